@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontam, mixing, simhash, substring_dedup, suffix_dedup, warc
+from helixframe.llm import decontam, fingerprints, mixing, simhash, substring_dedup, suffix_dedup, warc
 
 
 def _mixing(spark, sf_dir: str):
@@ -12,6 +12,7 @@ def _mixing(spark, sf_dir: str):
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op8_mixing": _mixing,
