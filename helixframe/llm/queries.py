@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontam, fingerprints, mixing, simhash, substring_dedup, suffix_dedup, warc
+from helixframe.llm import decontam, fingerprints, mixing, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def _mixing(spark, sf_dir: str):
@@ -14,7 +14,9 @@ def queries() -> dict:
         "op1_warc": warc.op1_warc,
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+        "op4_quality": quality.op4_quality,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_mixing": _mixing,
         "op9_simhash": simhash.op9_simhash,
         "op10_decontamination": decontam.op10_decontamination,
