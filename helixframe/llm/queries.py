@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontam, fingerprints, mixing, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from helixframe.llm import decontam, fingerprints, lm, mixing, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def _mixing(spark, sf_dir: str):
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_quality": quality.op4_quality,
+        "op5_language_model": lm.op5_language_model,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_mixing": _mixing,
