@@ -1,7 +1,7 @@
 """Near-duplicates by 64-bit SimHash, with deletion-variant signatures.
 
 Two fingerprints that differ in at most two of 64 bits, cut into two segments of 32, have a segment that differs in at
-most one bit. Each segment is indexed as it is and with each one of its bits deleted; a variant with the deleted bit 0
+most one bit. If no segment is equal, both differ in one bit: the first segment's variants with each one of its bits deleted are indexed; a variant with the deleted bit 0
 joins those with the bit 1, so an equality join meets exactly the pairs whose segment differs in that bit, once. Pairs
 with an equal segment meet in a second, finer index: the equal segment together with one half of the other, of which one
 half differs in at most one bit, by the same variants. The join's condition verifies the distance.
@@ -62,26 +62,39 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct fingerprints (column fp) within two bits, each once."""
+    """(a, b), a < b: all pairs of distinct fingerprints (column fp) within two bits, each once.
+
+    Keys are packed into one long. Equal segments: only those that several fingerprints have go one level down. Two
+    segments that both differ in one bit: the first one's variants, and whether the second has an odd number of bits set,
+    which must differ too."""
     high = F.shiftrightunsigned(F.col("fp"), 32)
     low = F.col("fp").bitwiseAND(0xFFFFFFFF)
-    cut = distinct.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), high.alias("own"), low.alias("other")), F.struct(F.lit(1).alias("seg"), low.alias("own"), high.alias("other")))).alias("x")).select("fp", "x.*")
-    bit = lambda width: F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: i)).alias("bit")
+
+    def meet(rows: DataFrame) -> DataFrame:
+        """Rows (fp, key, set): those with the deleted bit 0 against those with 1."""
+        x, y = rows.where(~F.col("set")).drop("set"), rows.where("set").select(F.col("fp").alias("fp2"), "key")
+        return x.hint("merge").join(y, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= 2).select("fp", "fp2")
+
+    wild = distinct.select("fp", high.alias("own"), (F.bit_count(low) % 2).alias("odd"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
     one = F.expr("shiftleft(1L, bit)")
+    is_set = F.col("own").bitwiseAND(one) != 0
+    # The side of the join is the bit, and the parity is turned on one side, so that equal keys mean unequal parities.
+    turned = F.when(is_set, 1 - F.col("odd")).otherwise(F.col("odd")).cast("long")
+    key = F.col("own").bitwiseAND(F.bitwise_not(one)) + F.expr("shiftleft(cast(bit as bigint), 32)") + F.shiftleft(turned, 37)
+    pairs = meet(wild.select("fp", key.alias("key"), is_set.alias("set")))
 
-    # Segments that differ in one bit: the variant without that bit, 0 against 1.
-    wild = cut.select("fp", "seg", "own", bit(32)).select("fp", "seg", "bit", F.col("own").bitwiseAND(F.bitwise_not(one)).alias("rest"), (F.col("own").bitwiseAND(one) != 0).alias("set"))
-    # Equal segments: the same one level down, on the halves of the other segment.
+    cut = distinct.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), high.alias("own"), low.alias("other")), F.struct(F.lit(1).alias("seg"), low.alias("own"), high.alias("other")))).alias("x")).select("fp", "x.*")
+    shared = cut.groupBy("seg", "own").agg(F.count("*").alias("n")).where("n > 1").select("seg", "own")
+    cut = cut.hint("merge").join(shared, ["seg", "own"])
     half = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.expr("shiftright(other, 16)").alias("part")), F.struct(F.lit(1).alias("half"), F.col("other").bitwiseAND(0xFFFF).alias("part"))))
     deep = cut.select("fp", "seg", "own", half.alias("h")).select("fp", "seg", "own", "h.*")
-    deep_wild = deep.select("fp", "seg", "own", "half", "part", bit(16)).select("fp", "seg", "own", "half", "bit", F.col("part").bitwiseAND(F.bitwise_not(one)).alias("rest"), (F.col("part").bitwiseAND(one) != 0).alias("set"))
-
-    def meet(rows: DataFrame, keys: list[str]) -> DataFrame:
-        x, y = rows.where(~F.col("set")).drop("set"), rows.where("set").drop("set").withColumnRenamed("fp", "fp2")
-        return x.join(y, keys).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= 2).select("fp", "fp2")
-
-    equal = deep.join(deep.withColumnRenamed("fp", "fp2"), ["seg", "own", "half", "part"]).where((F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= 2)).select("fp", "fp2")
-    pairs = meet(wild, ["seg", "bit", "rest"]).union(meet(deep_wild, ["seg", "own", "half", "bit", "rest"])).union(equal)
+    place = F.col("own") + F.expr("shiftleft(cast(seg as bigint), 32)") + F.expr("shiftleft(cast(half as bigint), 33)")
+    small = F.col("part").bitwiseAND(F.bitwise_not(one))
+    bits = deep.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    pairs = pairs.union(meet(bits.select("fp", (place + F.expr("shiftleft(cast(bit as bigint), 34)") + F.shiftleft(small, 38)).alias("key"), (F.col("part").bitwiseAND(one) != 0).alias("set"))))
+    same = deep.select("fp", (place + F.shiftleft(F.col("part"), 38)).alias("key"))
+    near = same.hint("merge").join(same.select(F.col("fp").alias("fp2"), "key"), "key").where((F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= 2))
+    pairs = pairs.union(near.select("fp", "fp2"))
     return pairs.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
 
 
@@ -122,11 +135,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def keep_one_per_component(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id; of rows that share it, one."""
     names = docs.columns
-    found = near_duplicates(docs, shingle).where(F.coalesce("doc_id", F.lit(LAST_ID)) == F.coalesce("component_id", F.lit(LAST_ID))).select(F.col("doc_id").alias("_keep"), "fp").distinct()
-    kept = found.groupBy("_keep").agg(F.min("fp").alias("_fp"))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*names)
-    one = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in names if c != "doc_id"])
-    return out.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*names)
+    of = near_duplicates(docs, shingle)
+    found = of.where(F.coalesce("doc_id", F.lit(LAST_ID)) == F.coalesce("component_id", F.lit(LAST_ID))).groupBy(F.col("doc_id").alias("__hx_keep")).agg(F.count("*").alias("__hx_n"))
+    kept = saved(found, "kept")
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__hx_keep")))
+    if kept.where("__hx_n > 1").limit(1).count():  # only then do rows share an id
+        one = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in names if c != "doc_id"])
+        out = out.withColumn("__hx_row", F.row_number().over(one)).where("__hx_row = 1")
+    return out.select(*names)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
