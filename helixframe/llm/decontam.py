@@ -161,8 +161,8 @@ def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000) -> DataFrame:
-    """docs with _runs (array of [first, last) word numbers, merged) and _items (the items, sorted as strings)."""
-    out = docs.withColumn("_runs", F.lit(None).cast("array<array<int>>")).withColumn("_items", F.lit(None).cast("array<string>"))
+    """docs with __hx_runs (array of [first, last) word numbers, merged) and __hx_items (the items, sorted as strings)."""
+    out = docs.withColumn("__hx_runs", F.lit(None).cast("array<array<int>>")).withColumn("__hx_items", F.lit(None).cast("array<string>"))
     for block in item_blocks(benchmark, window, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(block)
         built: list[ItemAutomaton] = []
@@ -172,8 +172,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_wor
                 built.append(ItemAutomaton(shared.value, window))
             return zip(*(built[0].scan(words_of(x)) for x in texts), strict=True) if texts else ([], [])
 
-        found = map_text(out, lambda texts, run=run: [list(x) if k == 0 else [sorted(y) for y in x] for k, x in enumerate(run(texts))], "_more array<array<int>>, _named array<string>")
-        out = found.withColumn("_runs", F.when(F.col("_runs").isNull(), F.col("_more")).otherwise(F.concat("_runs", "_more"))).withColumn("_items", F.when(F.col("_items").isNull(), F.col("_named")).otherwise(F.array_sort(F.array_union("_items", "_named")))).drop("_more", "_named")
+        found = map_text(out, lambda texts, run=run: [list(x) if k == 0 else [sorted(y) for y in x] for k, x in enumerate(run(texts))], "__hx_more array<array<int>>, __hx_named array<string>")
+        out = found.withColumn("__hx_runs", F.when(F.col("__hx_runs").isNull(), F.col("__hx_more")).otherwise(F.concat("__hx_runs", "__hx_more"))).withColumn("__hx_items", F.when(F.col("__hx_items").isNull(), F.col("__hx_named")).otherwise(F.array_sort(F.array_union("__hx_items", "__hx_named")))).drop("__hx_more", "__hx_named")
     return out
 
 
@@ -198,25 +198,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     names = docs.columns
     found = find_hits(docs, benchmark, window)
     clean = F.udf(lambda text, runs: remove_spans(text.encode(), merge_runs([tuple(r) for r in runs])).decode("utf-8", "ignore"), "string", useArrow=True)
-    hit = F.size("_runs") > 0
+    hit = F.size("__hx_runs") > 0
     # Only rows with hits reach Python a second time.
-    touched = found.where(hit).withColumn("text", clean("text", "_runs"))
+    touched = found.where(hit).withColumn("text", clean("text", "__hx_runs"))
     if "n_chars" in names:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.where(~hit | F.col("_runs").isNull()).select(*names).unionByName(touched.select(*names))
+    return found.where(~hit | F.col("__hx_runs").isNull()).select(*names).unionByName(touched.select(*names))
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = texts_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     # Runs of one block don't overlap; sorting and merging is needed after several.
-    ordered = F.array_sort("_runs")
+    ordered = F.array_sort("__hx_runs")
     step = lambda acc, r: F.struct((acc["n"] + F.greatest(F.lit(0), r[1] - F.greatest(acc["to"], r[0]))).alias("n"), F.greatest(acc["to"], r[1]).alias("to"))
     n_hit = F.aggregate(ordered, F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step)["n"].cast("long")
     n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
     return found.select(
-        "doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        "doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.size("__hx_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__hx_items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 

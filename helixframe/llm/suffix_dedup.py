@@ -207,13 +207,13 @@ def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     import xxhash
 
     names = docs.columns
-    cut = dedup_bytes(docs, width).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("doc_id").isNull().alias("_n"), F.col("text_hash").alias("_h"), "kept").dropDuplicates(["_d", "_n", "_h"])
-    hashed = map_text(docs, lambda texts: [np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64)], "_hash long")
-    joined = hashed.join(cut, (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_d")) & (F.col("doc_id").isNull() == F.col("_n")) & (F.col("_hash") == F.col("_h")), "left")
+    cut = dedup_bytes(docs, width).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(-1)).alias("__hx_d"), F.col("doc_id").isNull().alias("__hx_n"), F.col("text_hash").alias("__hx_h"), F.col("kept").alias("__hx_kept")).dropDuplicates(["__hx_d", "__hx_n", "__hx_h"])
+    hashed = map_text(docs, lambda texts: [np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64)], "__hx_hash long")
+    joined = hashed.join(cut, (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("__hx_d")) & (F.col("doc_id").isNull() == F.col("__hx_n")) & (F.col("__hx_hash") == F.col("__hx_h")), "left")
     fix = F.udf(lambda kept: None if kept is None else bytes(kept).decode("utf-8", "ignore"), "string", useArrow=True)
-    out = joined.withColumn("text", F.when(F.col("kept").isNull(), F.col("text")).otherwise(fix("kept")))
+    out = joined.withColumn("text", F.when(F.col("__hx_kept").isNull(), F.col("text")).otherwise(fix("__hx_kept")))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("__hx_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
 
 

@@ -288,4 +288,4 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs whose score is below the threshold."""
-    return score_toxicity(docs, fit_lexicon(docs, labels), "_score").where(F.col("_score") < threshold).drop("_score")
+    return score_toxicity(docs, fit_lexicon(docs, labels), "__hx_score").where(F.col("__hx_score") < threshold).drop("__hx_score")
