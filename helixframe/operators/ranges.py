@@ -33,7 +33,7 @@ def range_join(left: DataFrame, right: DataFrame, l: tuple[str, str, str], r: tu
 
 def in_ranges(left: DataFrame, ranges: DataFrame, l: tuple[str, str, str], r: tuple[str, str, str], key: str, invert: bool = False, width: int = 1024) -> DataFrame:  # noqa: E741
     """Left rows, by a unique key, that overlap any range; or none."""
-    hit = range_join(left.select(key, *dict.fromkeys(l)), ranges.select(*[F.col(c).alias(f"__{c}") for c in dict.fromkeys(r)]), l, tuple(f"__{c}" for c in r), width=width).select(F.col(key).alias("__key")).distinct()
+    hit = range_join(left.select(key, *dict.fromkeys(l)), ranges.select(*[F.col(c).alias(f"__r_{c}") for c in dict.fromkeys(r)]), l, tuple(f"__r_{c}" for c in r), width=width).select(F.col(key).alias("__key")).distinct()
     return left.join(hit, F.col(key) == F.col("__key"), "left_anti" if invert else "left_semi")
 
 

@@ -81,6 +81,8 @@ def duck(sql: str) -> str:
     if not ctes:
         return body
     joined = ",\n".join(ctes)
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {joined},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {joined},\n{body[5:]}"
     return f"WITH {joined}\n{body}"
