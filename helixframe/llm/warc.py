@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +29,28 @@ def _uri(url: Column) -> Column:
     return F.regexp_replace(F.coalesce(url, F.lit("urn:x-none")), r"[\x00-\x20\x7F]", "%20")
 
 
+def _pack(payload: bytes) -> bytes:
+    return zstandard.ZstdCompressor(6).compress(bytes(payload))
+
+
+def _unpack(packed: bytes | None) -> bytes | None:
+    return None if packed is None else zstandard.ZstdDecompressor().decompress(bytes(packed))
+
+
+def _squeeze(column: str) -> Column:
+    return F.udf(_pack, "binary", useArrow=True)(column)
+
+
 def archive_tables(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", revisit_from: int = 1000, date: str = "1970-01-01T00:00:00Z") -> tuple[DataFrame, DataFrame]:
     """(records, payloads). records: headers (the exact bytes), digest (SHA-256 of the payload).
-    payloads: digest, payload, one row per distinct payload.
+    payloads: digest, packed, one row per distinct payload, packed by Zstandard before it is shuffled.
 
     Of records with equal payloads of at least revisit_from bytes, the one with the largest id is the response and the
     others are revisits that refer to it. A revisit's payload is still found by its digest."""
     body = F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), _uri(F.col(url_col)).alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    payloads = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
+    payloads = rows.select("digest", _squeeze("payload").alias("packed")).groupBy("digest").agg(F.first("packed").alias("packed"))
     heads = rows.select("id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"))
     # Only groups that hold more than one record matter; their number is that of distinct payloads, not of records.
     latest = heads.where(F.col("size") >= revisit_from).groupBy(F.col("digest").alias("d")).agg(F.max("id").alias("latest"))
@@ -69,6 +82,7 @@ def header(name: str, headers: Column | None = None) -> Column:
 def reconstruct(records: DataFrame, payloads: DataFrame) -> DataFrame:
     """records with their payloads by a join on the digest; verified says whether the payload has that digest."""
     joined = records.join(payloads, "digest", "left")
+    joined = joined.withColumn("payload", F.udf(_unpack, "binary", useArrow=True)("packed")).drop("packed")
     return joined.withColumn("verified", F.coalesce(F.sha2("payload", 256) == F.col("digest"), F.lit(False)))
 
 
@@ -114,7 +128,7 @@ def read_warc(spark, path: str) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "headers binary, block binary")
     declared = F.regexp_extract(F.col("headers").cast("string"), r"\r\nWARC-Block-Digest: sha256:([0-9a-f]{64})", 1)
     rows = saved(rows.withColumn("digest", F.when(declared != "", declared).otherwise(F.sha2("block", 256))), "warc")
-    stored = rows.where(F.sha2("block", 256) == F.col("digest")).groupBy("digest").agg(F.first("block").alias("payload"))
+    stored = rows.where(F.sha2("block", 256) == F.col("digest")).select("digest", _squeeze("block").alias("packed")).groupBy("digest").agg(F.first("packed").alias("packed"))
     return rows.select("headers", "digest"), stored
 
 
