@@ -70,7 +70,7 @@ def _(t):
     r = F.col("res_id").cast("string")
     num = F.when(F.col("res_id") % 9 == 0, "null").otherwise(F.concat(F.col("seqid").cast("string"), F.when(F.col("res_id") % 5 == 0, "A").otherwise("")))
     xml = F.concat(F.lit('<residue><crossRefDb dbSource="PDB" dbAccessionId="'), F.lower("structid"), F.lit('" dbResNum="'), num, F.lit('" dbResName="ALA" dbChainId="'), "chain", F.lit('"/><crossRefDb dbSource="UniProt" dbAccessionId="P'), (F.col("res_id") % 7).cast("string"), F.lit('" dbResNum="'), (F.col("seqid") + 3).cast("string"), F.lit('"/><crossRefDb dbSource="Pfam" dbAccessionId="PF'), r, F.lit('"/><residueDetail property="nameSecondaryStructure">helix</residueDetail></residue>'))
-    rows = t.residues.select(F.from_xml(xml, R.SIFTS_XML.simpleString()).alias("x")).select("x.*")
+    rows = t.residues.select(F.from_xml(xml, R.SIFTS_XML).alias("x")).select("x.*")
     return R.sifts_residues(rows).drop("resname")
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Kinds of identifiers that an id map keeps. Fixed values.
 ID_TYPES = ("UniParc", "UniProtKB-ID", "Gene_Name", "GeneID", "Ensembl_TRS", "Ensembl_PRO", "PDB", "RefSeq", "RefSeq_NT")
@@ -86,7 +85,7 @@ def mane(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(p)).select(x(1).alias("unp"), x(2).alias("enst"), x(3).alias("ensp"), x(4).alias("refseq_nt"), x(5).alias("refseq_np"), F.when(x(6) != "", x(6)).alias("isoform"))
 
 
-SIFTS_XML = T.StructType.fromDDL("_dbResNum string, _dbResName string, crossRefDb array<struct<_dbSource: string, _dbAccessionId: string, _dbResNum: string, _dbResName: string, _dbChainId: string>>, residueDetail array<struct<_VALUE: string, _property: string>>")
+SIFTS_XML = "_dbResNum string, _dbResName string, crossRefDb array<struct<_dbSource: string, _dbAccessionId: string, _dbResNum: string, _dbResName: string, _dbChainId: string>>, residueDetail array<struct<_VALUE: string, _property: string>>"
 
 
 def read_sifts_xml(spark: SparkSession, path: str) -> DataFrame:
