@@ -68,17 +68,21 @@ def complement(first: DataFrame, *others: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b.select("chrom", "pos"), ["chrom", "pos"], "left_anti"), others, first)
 
 
-def merge_sites(sets: dict[str, DataFrame], calls: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+def merge_sites(sets: dict[str, DataFrame], calls: dict[str, DataFrame], weights: dict[str, int] | None = None, summed: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Merges sets by position. Sites: chrom, pos, the longest reference, the union of alternatives on it (each stretched by
-    the rest of the reference), the mean quality, the union of filters but PASS, AN and AC recounted.
+    the rest of the reference), the mean quality weighted by `weights`
+    (numbers of samples; 1 without), the sum of the `summed` columns, the union of filters but PASS, AN and AC recounted.
     Calls: src, sample and allele numbers in the merged list."""
     all_ = tagged(sets)
+    weight = F.lit(1)
+    for name, w in (weights or {}).items():
+        weight = F.when(F.col("src") == name, w).otherwise(weight)
     ref = all_.groupBy("chrom", "pos").agg(F.max_by("ref", F.struct(F.length("ref"), "ref")).alias("long_ref"))
     own = all_.join(ref, ["chrom", "pos"])
     stretched = own.select("chrom", "pos", "src", "vid", "long_ref", "ref", F.posexplode("alts").alias("k", "a")).withColumn("alt", F.concat("a", F.expr("substring(long_ref, length(ref) + 1)")))
     alts = stretched.groupBy("chrom", "pos").agg(F.array_sort(F.collect_set("alt")).alias("alts"))
     flags = own.select("chrom", "pos", F.explode_outer("filters").alias("f")).groupBy("chrom", "pos").agg(F.array_join(F.array_sort(F.collect_set("f")), ";").alias("filters"))
-    qual = own.groupBy("chrom", "pos").agg(F.round(F.avg("qual"), 6).alias("qual"), F.array_join(F.array_sort(F.collect_set("src")), "+").alias("sources"))
+    qual = own.groupBy("chrom", "pos").agg(F.round(F.sum(F.col("qual") * weight) / F.sum(F.when(F.col("qual").isNotNull(), weight)), 2).alias("qual"), *[F.sum(c).alias(c) for c in summed], F.array_join(F.array_sort(F.collect_set("src")), "+").alias("sources"))
     place = stretched.join(alts, ["chrom", "pos"]).select("src", "vid", (F.col("k") + 1).alias("old"), F.array_position("alts", F.col("alt")).cast("int").alias("new"))
     moved = tagged(calls)
     for side in ("a1", "a2"):
@@ -88,7 +92,7 @@ def merge_sites(sets: dict[str, DataFrame], calls: dict[str, DataFrame]) -> tupl
     moved = moved.join(where, ["src", "vid"]).select("chrom", "pos", "src", "sample", "a1", "a2")
     an = moved.select("chrom", "pos", F.explode(F.array("a1", "a2")).alias("a")).where("a is not null").groupBy("chrom", "pos").agg(F.count("*").alias("an"), F.count_if(F.col("a") > 0).alias("ac"))
     sites = ref.join(alts, ["chrom", "pos"]).join(flags, ["chrom", "pos"]).join(qual, ["chrom", "pos"]).join(an, ["chrom", "pos"], "left").na.fill(0, ["an", "ac"])
-    return sites.select("chrom", "pos", F.col("long_ref").alias("ref"), F.array_join("alts", ",").alias("alts"), "qual", "filters", "sources", "an", "ac"), moved
+    return sites.select("chrom", "pos", F.col("long_ref").alias("ref"), F.array_join("alts", ",").alias("alts"), "qual", "filters", "sources", "an", "ac", *summed), moved
 
 
 def allele_bases(variants: DataFrame, calls: DataFrame) -> DataFrame:

@@ -250,3 +250,17 @@ def binned_stats(variants: DataFrame, value: str, width: float, most: float) ->
     """(bin, type, n) by a value's bins up to `most`, and over all with a null bin: grouping sets."""
     b = variants.withColumn("bin", F.least(F.floor(F.col(value) / width) * width, F.lit(most)).cast("double"))
     return b.groupingSets([["bin", "type"], ["type"], []], "bin", "type").agg(F.count("*").alias("n"))
+
+
+def sample_stats(variants: DataFrame, calls: DataFrame) -> DataFrame:
+    """(sample, n, n_snp, n_indel, n_multi, n_private, n_shared, n_ts): sites where a sample has an alternative allele, by kind,
+    and by whether other samples have one too."""
+    from helixframe.functions.variants import is_indel, is_snp, is_transition
+
+    own = calls.where("a1 > 0 or a2 > 0").select("sample", "vid")
+    carriers = own.groupBy("vid").agg(F.count_distinct("sample").alias("carriers"))
+    single = is_snp() & (F.size("alts") == 1)
+    return own.join(carriers, "vid").join(variants.select("vid", "ref", "alts"), "vid").groupBy("sample").agg(
+        F.count("*").alias("n"), F.count_if(single).alias("n_snp"), F.count_if(is_indel()).alias("n_indel"), F.count_if(F.size("alts") > 1).alias("n_multi"),
+        F.count_if(F.col("carriers") == 1).alias("n_private"), F.count_if(F.col("carriers") > 1).alias("n_shared"), F.count_if(is_transition()).alias("n_ts"),
+    )

@@ -240,6 +240,15 @@ def _(t):
     return P.info_bounds(info_map(t.variants), {"qual": (10, None), "DP": (20, 140), "MQ": (10, None)})
 
 
+_N = "WITH v AS (SELECT vid, ref, qual, 3 * size AS dp, vid % 4 + vid % 3 AS alt_bases, (vid % 200) / 1000000.0 AS pv, CASE WHEN vid % 19 <> 0 THEN vid % 60 END AS mq FROM variants)"
+
+
+@query("f30_named_filters", f"{_N} SELECT vid, concat_ws(';', CASE WHEN pv < 1e-4 THEN 'EndDistBias' END, CASE WHEN dp > 140 THEN 'MaxDP' END, CASE WHEN alt_bases < 2 THEN 'MinAB' END, CASE WHEN mq < 10 THEN 'MinMQ' END, CASE WHEN qual < 10 THEN 'Qual' END, CASE WHEN pv < 1e-4 THEN 'StrandBias' END) AS failed FROM v")
+def _(t):
+    more = F.concat(F.col("info"), F.lit(";DP4=9,9,"), (F.col("vid") % 4).cast("string"), F.lit(","), (F.col("vid") % 3).cast("string"), F.lit(";PV4="), *[x for i in range(4) for x in (((F.col("vid") % 200) / 1000000.0).cast("string"), F.lit("," if i < 3 else ""))])
+    return P.named_filters(info_map(t.variants.withColumn("info", more)), MaxDP=140)
+
+
 @query("f31_snp_gap", f"WITH g AS (SELECT chrom, pos - 600 AS s, pos + length(ref) + 600 AS e FROM variants WHERE {INDEL}) SELECT DISTINCT v.vid FROM (SELECT * FROM variants WHERE NOT {INDEL}) v JOIN g ON g.chrom = v.chrom AND v.pos >= s AND v.pos < e")
 def _(t):
     return P.snp_gap(sites_of(t), 600)

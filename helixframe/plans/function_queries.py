@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import variants as V
+from helixframe.functions.residues import PROPERTIES, aa_properties
 from helixframe.plans.registry import query
 from helixframe.plans.site_queries import sites_of
 from helixframe.sources import vcf as R
@@ -148,6 +149,14 @@ def _(t):
     return t.residues.select("res_id", letter.alias("letter"), V.relative_access(F.abs("z"), letter, {"A": 106.0, "R": 248.0, "M": 188.0}).alias("rsa"))
 
 
+_AA = "aa AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {s}, '{k}', {hp}, {acc})" for a, s, k, _, hp, _, _, acc in PROPERTIES) + ") v(letter, size, kind, hp, access))"
+
+
+@query("p20_aa_properties", f"WITH {_AA} SELECT res_id, size, kind, CAST(hp AS DOUBLE) AS hp, round(abs(z) / access, 4) AS rsa FROM residues JOIN aa ON letter = rescode")
+def _(t):
+    return t.residues.join(F.broadcast(aa_properties(t.spark)), F.col("rescode") == F.col("letter")).select("res_id", "size", "kind", "hp", F.round(F.abs("z") / F.col("access"), 4).alias("rsa"))
+
+
 @query("p22_model_path", "SELECT iid, concat('/models/', substr(transcript, 1, 2), '/', transcript, '/', CAST(seqid AS VARCHAR), '.pdb') AS path FROM intervals")
 def _(t):
     return t.intervals.select("iid", F.concat(F.lit("/models/"), F.substring("transcript", 1, 2), F.lit("/"), "transcript", F.lit("/"), F.col("seqid").cast("string"), F.lit(".pdb")).alias("path"))

@@ -140,7 +140,7 @@ def _(t):
 
 @query("n7_lroh")
 def _(t):
-    return W.autozygous_runs(sites_of(t), t.calls, error=0.3, prior=0.4, threshold=0.6)
+    return W.autozygous_runs(sites_of(t), t.calls, error=0.4, prior=0.5, threshold=0.5)
 
 
 _OTHER_CALLS = "CASE WHEN gq % 9 = 0 THEN a2 ELSE a1 END"

@@ -9,8 +9,8 @@ from helixframe.operators import sets as G
 from helixframe.plans.registry import query
 from helixframe.plans.site_queries import sites_of
 
-_AB = """a AS (SELECT vid, chrom, pos, ref, alt1, alt2, qual, filter FROM variants WHERE vid % 5 <> 0),
- b AS (SELECT vid, chrom, CASE WHEN vid % 34 = 17 THEN pos + 1 ELSE pos END AS pos, CASE WHEN vid % 11 = 0 THEN 'N' WHEN vid % 13 = 0 THEN concat(ref, 'T') ELSE ref END AS ref, alt1, alt2, qual + 1 AS qual, filter FROM variants WHERE vid % 7 <> 0)"""
+_AB = """a AS (SELECT vid, chrom, pos, ref, alt1, alt2, qual, filter, size FROM variants WHERE vid % 5 <> 0),
+ b AS (SELECT vid, chrom, CASE WHEN vid % 34 = 17 THEN pos + 1 ELSE pos END AS pos, CASE WHEN vid % 11 = 0 THEN 'N' WHEN vid % 13 = 0 THEN concat(ref, 'T') ELSE ref END AS ref, alt1, alt2, qual + 1 AS qual, filter, size FROM variants WHERE vid % 7 <> 0)"""
 _C2 = "cb AS (SELECT vid, sample, CASE WHEN (vid + sample) % 9 = 0 THEN 1 - LEAST(a1, 1) ELSE a1 END AS a1, a2 FROM calls WHERE sample < 16)"
 
 
@@ -47,12 +47,12 @@ def _(t):
 @query("j20_merge_sites", f"""WITH {_AB}, u AS (SELECT *, 'a' AS src FROM a UNION ALL SELECT *, 'b' FROM b), r AS (SELECT chrom, pos, arg_max(ref, (length(ref), ref)) AS long FROM u GROUP BY ALL),
  o AS (SELECT u.*, long FROM u JOIN r ON u.chrom = r.chrom AND u.pos = r.pos), l AS (SELECT chrom, pos, concat(alt1, substr(long, length(ref) + 1)) AS alt FROM o UNION SELECT chrom, pos, concat(alt2, substr(long, length(ref) + 1)) FROM o WHERE alt2 IS NOT NULL),
  g AS (SELECT chrom, pos, string_agg(alt, ',' ORDER BY alt) AS alts FROM l GROUP BY ALL), ff AS (SELECT DISTINCT chrom, pos, unnest(CASE WHEN filter IS NULL OR filter = 'PASS' THEN [NULL] ELSE string_split(filter, ';') END) AS f FROM o), fl AS (SELECT chrom, pos, COALESCE(string_agg(f, ';' ORDER BY f), '') AS filters FROM ff GROUP BY ALL),
- q AS (SELECT chrom, pos, round(avg(qual), 6) AS qual, string_agg(DISTINCT src, '+' ORDER BY src) AS sources FROM o GROUP BY ALL),
+ q AS (SELECT chrom, pos, round(SUM(qual * CASE src WHEN 'a' THEN 20 ELSE 16 END) / SUM(CASE src WHEN 'a' THEN 20 ELSE 16 END), 2) AS qual, CAST(SUM(size) AS BIGINT) AS size, string_agg(DISTINCT src, '+' ORDER BY src) AS sources FROM o GROUP BY ALL),
  c AS (SELECT 'a' AS src, vid, a1, a2 FROM calls UNION ALL SELECT 'b', vid, a1, a2 FROM calls WHERE sample < 16), n AS (SELECT chrom, pos, count(x) AS an, count(x) FILTER (x > 0) AS ac FROM (SELECT chrom, pos, unnest([a1, a2]) AS x FROM c JOIN o USING (src, vid)) GROUP BY ALL)
- SELECT r.chrom, r.pos, long AS ref, alts, qual, filters, sources, COALESCE(an, 0) AS an, COALESCE(ac, 0) AS ac FROM r JOIN g USING (chrom, pos) JOIN fl USING (chrom, pos) JOIN q USING (chrom, pos) LEFT JOIN n USING (chrom, pos)""")
+ SELECT r.chrom, r.pos, long AS ref, alts, qual, filters, sources, COALESCE(an, 0) AS an, COALESCE(ac, 0) AS ac, size FROM r JOIN g USING (chrom, pos) JOIN fl USING (chrom, pos) JOIN q USING (chrom, pos) LEFT JOIN n USING (chrom, pos)""")
 def _(t):
     a, b = two(t)
-    return G.merge_sites({"a": a, "b": b}, {"a": t.calls, "b": t.calls.where("sample < 16")})[0]
+    return G.merge_sites({"a": a, "b": b}, {"a": t.calls, "b": t.calls.where("sample < 16")}, {"a": 20, "b": 16}, ("size",))[0]
 
 
 @query("j20_merge_calls", f"""WITH {_AB}, u AS (SELECT *, 'a' AS src FROM a UNION ALL SELECT *, 'b' FROM b), r AS (SELECT chrom, pos, arg_max(ref, (length(ref), ref)) AS long FROM u GROUP BY ALL), o AS (SELECT u.*, long FROM u JOIN r ON u.chrom = r.chrom AND u.pos = r.pos),

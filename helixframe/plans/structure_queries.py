@@ -316,6 +316,19 @@ def _(t):
     return S.binned_stats(t.variants.withColumn("type", F.when(F.length("ref") == 1, "snp").otherwise("indel")), "qual", 10, 50.0)
 
 
+@query("a42_sample_stats", """WITH c AS (SELECT sample, vid, a1, a2 FROM calls WHERE a1 > 0 OR a2 > 0), k AS (SELECT vid, count(DISTINCT sample) AS n FROM c GROUP BY vid)
+ SELECT sample, count(*) AS n, count(*) FILTER (length(ref) = 1 AND alt2 IS NULL) AS n_snp, count(*) FILTER (length(ref) > 1 OR alt2 IS NOT NULL) AS n_indel, count(*) FILTER (alt2 IS NOT NULL) AS n_multi, count(*) FILTER (k.n = 1) AS n_private, count(*) FILTER (k.n > 1) AS n_shared,
+ count(*) FILTER (length(ref) = 1 AND alt2 IS NULL AND concat(ref, alt1) IN ('AG', 'GA', 'CT', 'TC')) AS n_ts FROM c JOIN k USING (vid) JOIN variants USING (vid) GROUP BY sample""")
+def _(t):
+    return S.sample_stats(sites_of(t), t.calls)
+
+
+@query("s17_read_pfam", "SELECT concat('S', CAST(p_partkey % 10 AS VARCHAR)) AS structid, p_size AS seqstart, p_size + 30 AS seqend FROM part")
+def _(t):
+    rows = text(t.part, F.concat(F.lit("S"), (F.col("p_partkey") % 10).cast("string")), F.lit("A"), "p_size", F.col("p_size") + 30, F.lit("PF1"), F.lit("n"))
+    return R.pfam(rows).select("structid", F.col("seqstart").cast("long").alias("seqstart"), F.col("seqend").cast("long").alias("seqend"))
+
+
 _CSQ = "c AS (SELECT vid, chrom, pos, split_part(csq, '|', 1) AS cons, split_part(csq, '|', 2) AS tr, split_part(csq, '|', 3) AS aa, TRY_CAST(split_part(split_part(csq, '|', 4), '-', 1) AS INT) AS ppos FROM consequences)"
 
 

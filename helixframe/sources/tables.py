@@ -140,7 +140,13 @@ def alphamissense(lines: DataFrame) -> DataFrame:
 
 
 def read_pfam(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("header", True).schema("structid string, chain string, seqstart int, seqend int, acc string, name string").csv(path)
+    return pfam(spark.read.text(path).where(~F.col("value").startswith("structid")))
+
+
+def pfam(lines: DataFrame) -> DataFrame:
+    """Domain ranges of a structure's chain."""
+    c = cells()
+    return lines.select(c[0].alias("structid"), c[1].alias("chain"), c[2].try_cast("int").alias("seqstart"), c[3].try_cast("int").alias("seqend"), c[4].alias("acc"), c[5].alias("name"))
 
 
 def cosmis(index: DataFrame, scores: dict[str, DataFrame]) -> DataFrame:
