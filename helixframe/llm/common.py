@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -38,7 +40,9 @@ def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string), whatever other columns there are."""
+    """(doc_id long, text string), whatever other columns there are. Batches to Python are kept to 8 MB, so that what a
+    worker holds doesn't depend on how long texts are."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -58,6 +62,13 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept between stages, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, most: int = 2_000_000, column: str = "text"):
     """Cuts a record batch into runs of rows of about so many bytes of text; one larger row is a run of its own."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -69,6 +80,7 @@ def slices(batch: pa.RecordBatch, most: int = 2_000_000, column: str = "text"):
         total += size
     if len(sizes) > at:
         yield batch.slice(at)
+    give_back()
 
 
 # Hashing. A string's hash is a polynomial modulo 2^64 with random values for bytes, read off prefix sums; MIX spreads it.
@@ -171,7 +183,6 @@ def word_hashes(texts: list[bytes], piece: int = 2_000_000) -> tuple[np.ndarray,
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.array(counts, np.int64)
 
 
-LONG_ID = T.StructField("doc_id", T.LongType())
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

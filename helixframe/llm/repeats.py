@@ -27,14 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import LAST_ID, as_bytes, byte_size, gram_hash, prefix_hash, saved, slices, span_hash, texts_of
+from helixframe.llm.common import LAST_ID, as_bytes, byte_size, give_back, gram_hash, mix, prefix_hash, saved, slices, span_hash, texts_of
 
-PIECE = 1 << 21
+PIECE = 1 << 18
 
 
 # A chunk: doc_ids (with nulls) and texts.
@@ -103,7 +104,9 @@ def runs_of(values: np.ndarray, counts: np.ndarray, width: int, k: int) -> Runs:
         new, end = np.r_[0, turn], np.r_[turn, len(starts)] - 1
         first, last = starts[new], starts[end]
         whole = span_hash(prefix_hash(h, 1), first, last + width, 1)
-        found.append(Runs(g[place[new]], first + at, last + at, d[first], whole, doc_starts[d[first]]))
+        # Least hashes are small; mixed once more they spread over the buckets evenly.
+        anchor = mix(g[place[new]] + np.uint64(0x9E3779B97F4A7C15))
+        found.append(Runs(anchor, first + at, last + at, d[first], whole, doc_starts[d[first]]))
     if not found:
         return Runs(np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64), np.empty(0, np.int64))
     return Runs(*(np.concatenate([getattr(x, c) for x in found]) for c in ("anchor", "first", "last", "doc", "whole", "doc_start")))
@@ -134,6 +137,8 @@ class Scheme:
     with_text: bool = False
     token_bytes: float = 1.0
     hot: int = 20_000
+    chunk_bytes: int = 2_000_000
+    bucket_bytes: int = 16_000_000  #: of text, to a bucket that compares
 
 
 def distinct_runs(runs: Runs, ids: np.ndarray, ties: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,9 +159,8 @@ def distinct_runs(runs: Runs, ids: np.ndarray, ties: np.ndarray, across: bool) -
 
 
 def text_ties(texts: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64)
+    """Hashes as Spark's xxhash64 gives them for a string."""
+    return np.array([xxhash.xxh64_intdigest(x, 42) for x in texts], np.uint64)
 
 
 def _ask(runs: Runs, across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -177,13 +181,14 @@ def _ask(runs: Runs, across: bool) -> tuple[np.ndarray, np.ndarray]:
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
     for i in range(batch.num_rows):
         yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+    give_back()
 
 
 def _chunks(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, scheme.chunk_bytes):
                 texts = as_bytes(part.column("text"))
                 values, counts = scheme.tokens(texts)
                 keys, times = _ask(runs_of(values, counts, scheme.width, scheme.k), scheme.across)
@@ -202,7 +207,9 @@ def _answers(asks: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> D
     """(chunk, parts): what the buckets answer to a chunk, bucket by bucket."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": group["chunk"], "bucket": group["bucket"], "data": answer([bytes(x) for x in group["data"]])})
+        made = pd.DataFrame({"chunk": group["chunk"], "bucket": group["bucket"], "data": answer([bytes(x) for x in group["data"]])})
+        give_back()
+        return made
 
     got = asks.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, data binary")
     return got.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("parts"))
@@ -323,7 +330,7 @@ def repeated_tokens(docs: DataFrame, scheme: Scheme, finish: Callable[[Chunk, np
     size = byte_size(docs)
     tokens = size / scheme.token_bytes
     ask_buckets = buckets_for(tokens * 2.2 / (scheme.width - scheme.k + 2), 1_000_000)
-    send_buckets = buckets_for(size, 16_000_000)
+    send_buckets = buckets_for(size, scheme.bucket_bytes)
     table = saved(_chunks(docs, scheme, ask_buckets), "chunks", "uncompressed")
     bodies = table.where("bucket = -1").select("chunk", "body")
     first = saved(_answers(table.where("bucket >= 0").select("chunk", "bucket", "data"), lambda parts: _count_answer(scheme, parts)), "answers", "zstd")

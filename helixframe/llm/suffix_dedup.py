@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import BYTE_VALUE, gram_hash, map_text, prefix_hash
+from helixframe.llm.common import BYTE_VALUE, LAST_ID, gram_hash, prefix_hash, saved
 from helixframe.llm.repeats import Chunk, Scheme, _inner, repeated_tokens
 
 
@@ -120,7 +120,7 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, width: int, q: int, sh
     return symbols.string[suffixes], symbols.place[suffixes], group
 
 
-def windows_before(sent: list[dict], width: int = 100, q: int = 25, most: int = 600_000) -> list[np.ndarray]:
+def windows_before(sent: list[dict], width: int = 100, q: int = 25, most: int = 250_000) -> list[np.ndarray]:
     """A bit for each window that also starts earlier, for each sender's runs."""
     cat = {k: np.concatenate([x[k] for x in sent]) for k in ("anchor", "whole", "id", "tie", "start", "number")}
     data = np.concatenate([x["bytes"] for x in sent])
@@ -177,7 +177,7 @@ def windows_before(sent: list[dict], width: int = 100, q: int = 25, most: int =
 
 
 def scheme(width: int = 100, q: int = 25, k: int = 32) -> Scheme:
-    return Scheme(byte_tokens, width, k, False, exact_counts, lambda sent: windows_before(sent, width, q), with_text=True)
+    return Scheme(byte_tokens, width, k, False, exact_counts, lambda sent: windows_before(sent, width, q), with_text=True, chunk_bytes=1_000_000, bucket_bytes=8_000_000)
 
 
 def _finish(chunk: Chunk, removed: np.ndarray) -> pa.RecordBatch:
@@ -191,27 +191,25 @@ def _finish(chunk: Chunk, removed: np.ndarray) -> pa.RecordBatch:
         spans.append(int((drop[1:] & ~drop[:-1]).sum()) + int(drop[0]) if n else 0)
         kept.append(data[a:b][~drop].tobytes() if n else text)
     return pa.RecordBatch.from_arrays(
-        [pa.array(chunk.ids, mask=chunk.null), pa.array(chunk.counts), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(chunk.ties.view(np.int64)), pa.array(kept, pa.binary())],
-        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_hash", "kept"],
+        [pa.array(chunk.ids, mask=chunk.null), pa.array(chunk.counts), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(chunk.ties.view(np.int64)), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") if n else None for x, n in zip(kept, gone, strict=True)], pa.string())],
+        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_hash", "kept", "kept_text"],
     )
 
 
 def dedup_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_hash, kept), a row per document. kept: the bytes that stay,
-    which need not be UTF-8; text_hash: XXH64 of the text's bytes, seed 0."""
-    return repeated_tokens(docs, scheme(width, width // 4 if width % 4 == 0 else width), _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_hash long, kept binary")
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_hash, kept, kept_text), a row per document. kept: the bytes that stay,
+    which need not be UTF-8; text_hash: Spark's xxhash64 of the text; kept_text: the whole characters of kept,
+    null where nothing was removed."""
+    return repeated_tokens(docs, scheme(width, width // 4 if width % 4 == 0 else width), _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_hash long, kept binary, kept_text string")
 
 
 def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     """docs with the repeated bytes cut out of the texts; what a cut leaves of a broken character goes too."""
-    import xxhash
-
     names = docs.columns
-    cut = dedup_bytes(docs, width).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(-1)).alias("__hx_d"), F.col("doc_id").isNull().alias("__hx_n"), F.col("text_hash").alias("__hx_h"), F.col("kept").alias("__hx_kept")).dropDuplicates(["__hx_d", "__hx_n", "__hx_h"])
-    hashed = map_text(docs, lambda texts: [np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64)], "__hx_hash long")
-    joined = hashed.join(cut, (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("__hx_d")) & (F.col("doc_id").isNull() == F.col("__hx_n")) & (F.col("__hx_hash") == F.col("__hx_h")), "left")
-    fix = F.udf(lambda kept: None if kept is None else bytes(kept).decode("utf-8", "ignore"), "string", useArrow=True)
-    out = joined.withColumn("text", F.when(F.col("__hx_kept").isNull(), F.col("text")).otherwise(fix("__hx_kept")))
+    id_, hash_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    cut = dedup_bytes(docs, width).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__hx_d"), F.col("text_hash").alias("__hx_h"), F.col("kept_text").alias("__hx_kept"))
+    cut = saved(cut, "cut").dropDuplicates(["__hx_d", "__hx_h"])
+    out = docs.join(cut, (id_ == F.col("__hx_d")) & (hash_ == F.col("__hx_h")), "left").withColumn("text", F.coalesce("__hx_kept", "text"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__hx_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -77,7 +77,7 @@ def brute_words(rows, width=50):
 
 def brute_bytes(rows, width=100):
     first = {}
-    keyed = [(last(i), xxhash.xxh64_intdigest((t or "").encode()), (t or "").encode()) for i, t in rows]
+    keyed = [(last(i), xxhash.xxh64_intdigest((t or "").encode(), 42), (t or "").encode()) for i, t in rows]
     for i, h, b in keyed:
         for k in range(len(b) - width + 1):
             s = b[k : k + width]
