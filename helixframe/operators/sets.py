@@ -53,7 +53,7 @@ def intersect_sites(sets: dict[str, DataFrame], at_least: int = 1, at_most: int
     its first position."""
     all_ = tagged(sets).select("chrom", "pos", "src").distinct()
     if window:
-        w = Window.partitionBy("chrom").orderBy("pos")
+        w = Window.partitionBy("chrom").orderBy("pos", "src")
         new = F.coalesce((F.col("pos") - F.lag("pos").over(w) > window).cast("int"), F.lit(1))
         all_ = all_.withColumn("new", new).withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         by = all_.groupBy("chrom", "g").agg(F.min("pos").alias("pos"), F.array_join(F.array_sort(F.collect_set("src")), "+").alias("sources"), F.count_distinct("src").alias("n")).drop("g")

@@ -36,7 +36,7 @@ def _(t):
     return R.parse_lines(lines).select("chrom", "pos", x("DP").alias("dp"), x("DB").alias("db"), x("MQ").alias("mq"), x("AA").alias("aa"))
 
 
-@query("s3_parse_calls", "SELECT v.chrom, v.pos, concat('NA', CAST(s.sample AS VARCHAR)) AS sample, a1, a2, COALESCE(phased, false) AS phased, dp, CAST(gq AS DOUBLE) AS gq FROM variants v CROSS JOIN samples s LEFT JOIN calls c ON c.vid = v.vid AND c.sample = s.sample")
+@query("s3_parse_calls", "SELECT v.chrom, v.pos, concat('NA', CAST(s.sample AS VARCHAR)) AS sample, a1, a2, COALESCE(phased, false) AS phased, dp, CAST(gq AS DOUBLE) AS gq FROM variants v CROSS JOIN (SELECT CAST(unnest(range(20)) AS INT) AS sample) s LEFT JOIN calls c ON c.vid = v.vid AND c.sample = s.sample")
 def _(t):
     lines = lines_of(t)
     return R.parse_calls(R.parse_lines(lines), R.read_header(lines)).select("chrom", "pos", "sample", "a1", "a2", "phased", "dp", "gq")
@@ -191,7 +191,7 @@ def _(t):
 _GT = "concat(COALESCE(CAST(a1 AS VARCHAR), '.'), CASE WHEN phased THEN '|' ELSE '/' END, COALESCE(CAST(a2 AS VARCHAR), '.'))"
 
 
-@query("w1_write_vcf", f"""WITH c AS (SELECT v.vid, s.sample, COALESCE(concat({_GT}, ':', COALESCE(CAST(dp AS VARCHAR), '.'), ':', COALESCE(CAST(gq AS VARCHAR), '.')), './.:.:.') AS x FROM variants v CROSS JOIN samples s LEFT JOIN calls k ON k.vid = v.vid AND k.sample = s.sample), g AS (SELECT vid, string_agg(x, chr(9) ORDER BY sample) AS x FROM c GROUP BY vid)
+@query("w1_write_vcf", f"""WITH c AS (SELECT v.vid, s.sample, COALESCE(concat({_GT}, ':', COALESCE(CAST(dp AS VARCHAR), '.'), ':', COALESCE(CAST(gq AS VARCHAR), '.')), './.:.:.') AS x FROM variants v CROSS JOIN (SELECT CAST(unnest(range(20)) AS INT) AS sample) s LEFT JOIN calls k ON k.vid = v.vid AND k.sample = s.sample), g AS (SELECT vid, string_agg(x, chr(9) ORDER BY sample) AS x FROM c GROUP BY vid)
  SELECT md5(concat_ws(chr(9), chrom, CAST(pos AS VARCHAR), COALESCE(id, '.'), ref, concat_ws(',', alt1, alt2), CASE WHEN qual = floor(qual) THEN CAST(CAST(qual AS BIGINT) AS VARCHAR) ELSE CAST(qual AS VARCHAR) END, {_FILTER}, info, 'GT:DP:GQ', x)) AS line FROM variants JOIN g USING (vid)""")
 def _(t):
     return R.vcf_lines(sites_of(t).withColumn("info_text", F.col("info")), t.calls, list(range(20))).select(F.md5("value").alias("line"))
@@ -258,7 +258,7 @@ def _(t):
     return v.select("chrom", "pos", *[F.coalesce(F.try_element_at("info", F.lit(k.upper())), F.lit("?")).alias(k) for k in ("dp", "mq")])
 
 
-@query("w12_extract_format", "SELECT v.chrom, v.pos, concat('NA', CAST(s.sample AS VARCHAR)) AS sample, CAST(gq AS DOUBLE) AS value FROM variants v CROSS JOIN samples s LEFT JOIN calls c ON c.vid = v.vid AND c.sample = s.sample")
+@query("w12_extract_format", "SELECT v.chrom, v.pos, concat('NA', CAST(s.sample AS VARCHAR)) AS sample, CAST(gq AS DOUBLE) AS value FROM variants v CROSS JOIN (SELECT CAST(unnest(range(20)) AS INT) AS sample) s LEFT JOIN calls c ON c.vid = v.vid AND c.sample = s.sample")
 def _(t):
     lines = lines_of(t)
     return R.parse_calls(R.parse_lines(lines), R.read_header(lines)).select("chrom", "pos", "sample", F.col("gq").alias("value"))

@@ -115,7 +115,7 @@ for _name, _cond in (("g1_isec_all", "n = 2"), ("g1_isec_at_least", "n >= 1"), (
         return G.intersect_sites(dict(zip("ab", two(t), strict=True)), least, most)
 
 
-@query("g1_isec_window", f"""WITH {_AB}, {_UNION}, s AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) <= 40 THEN 0 ELSE 1 END AS new FROM u), g AS (SELECT *, SUM(new) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g FROM s)
+@query("g1_isec_window", f"""WITH {_AB}, {_UNION}, s AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos, src) <= 40 THEN 0 ELSE 1 END AS new FROM u), g AS (SELECT *, SUM(new) OVER (PARTITION BY chrom ORDER BY pos, src ROWS UNBOUNDED PRECEDING) AS g FROM s)
  SELECT chrom, min(pos) AS pos, string_agg(DISTINCT src, '+' ORDER BY src) AS sources FROM g GROUP BY chrom, g HAVING count(DISTINCT src) = 2""")
 def _(t):
     return G.intersect_sites(dict(zip("ab", two(t), strict=True)), 2, window=40)
