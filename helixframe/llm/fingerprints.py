@@ -199,7 +199,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     before = {r: have[i - 1] for i, r in enumerate(have)}
     to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
     ends = heads.select("head.doc_id", "head.text", to[F.col("range")].alias("range"), F.lit(True).alias("borrowed"))
-    parts = max(len(have), 1)
+    parts = 4 * len(have)  # so that few ranges share a task
     laid = rows.unionByName(ends).repartition(parts, "range").sortWithinPartitions("range", "borrowed", F.col("doc_id").desc_nulls_last(), "text")
 
     kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "common_prefix": pa.int64()}
