@@ -11,15 +11,15 @@ rows of their own, whatever their doc_id. Empty documents have no hits; an empty
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import map_text, texts_of, word_spans
+from helixframe.llm.common import arrow_schema, as_bytes, slices, texts_of, word_spans
 
 #: Lower case; all ASCII that is neither letter nor digit to a space.
 NORMAL = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else (c + 32 if chr(c).isupper() else 32) for c in range(256))
@@ -160,27 +160,6 @@ def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator
         yield block
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000) -> DataFrame:
-    """docs with __hx_runs (array of [first, last) word numbers, merged) and __hx_items (the items, sorted as strings)."""
-    out = docs.withColumn("__hx_runs", F.lit(None).cast("array<array<int>>")).withColumn("__hx_items", F.lit(None).cast("array<string>"))
-    for block in item_blocks(benchmark, window, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        built: list[ItemAutomaton] = []
-
-        def run(texts, shared=shared, built=built):
-            if not built:
-                built.append(ItemAutomaton(shared.value, window))
-            return zip(*(built[0].scan(words_of(x)) for x in texts), strict=True) if texts else ([], [])
-
-        found = map_text(out, lambda texts, run=run: [list(x) if k == 0 else [sorted(y) for y in x] for k, x in enumerate(run(texts))], "__hx_more array<array<int>>, __hx_named array<string>")
-        out = found.withColumn("__hx_runs", F.when(F.col("__hx_runs").isNull(), F.col("__hx_more")).otherwise(F.concat("__hx_runs", "__hx_more"))).withColumn("__hx_items", F.when(F.col("__hx_items").isNull(), F.col("__hx_named")).otherwise(F.array_sort(F.array_union("__hx_items", "__hx_named")))).drop("__hx_more", "__hx_named")
-    return out
-
-
-def hit_counts(texts: list[bytes], runs: list[list[list[int]]]) -> tuple[list[int], list[int]]:
-    return [len(words_of(x)) for x in texts], [sum(b - a for a, b in merge_runs([tuple(r) for r in rs])) for rs in runs]
-
-
 def remove_spans(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     """The text without the words of the runs, from a run's first byte to its last."""
     if not runs:
@@ -193,26 +172,58 @@ def remove_spans(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def _pass(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int, clean: bool) -> DataFrame:
+    """docs with the block's runs and items added to __hx_runs and __hx_items; clean: the text without all runs so far."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    built: list[ItemAutomaton] = []
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not built:
+            built.append(ItemAutomaton(shared.value, window))
+        out = arrow_schema(schema)
+        kind = {name: out.field(name).type for name in out.names}
+        for batch in batches:
+            for part in slices(batch):
+                texts = as_bytes(part.column("text"))
+                runs, items = [], []
+                for text, old, had in zip(texts, part.column("__hx_runs").to_pylist(), part.column("__hx_items").to_pylist(), strict=True):
+                    own, found = built[0].scan(words_of(text))
+                    runs.append(merge_runs([*map(tuple, old), *own]) if old else own)
+                    items.append(sorted({*had, *found}))
+                made = {"__hx_runs": pa.array(runs, kind["__hx_runs"]), "__hx_items": pa.array(items, kind["__hx_items"])}
+                if clean:
+                    cut = pa.array([remove_spans(x, r).decode("utf-8", "ignore") if r else None for x, r in zip(texts, runs, strict=True)], kind["text"])
+                    made["text"] = pc.if_else(pc.is_valid(cut), cut, part.column("text"))
+                yield pa.RecordBatch.from_arrays([made.get(name, part.column(i)) for i, name in enumerate(out.names)], names=out.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000, clean: bool = False) -> DataFrame:
+    """docs with __hx_runs (array of [first, last) word numbers, merged) and __hx_items (the items, sorted as strings);
+    clean: the texts without the runs."""
+    out = docs.withColumn("text", F.col("text").cast("string")).withColumn("__hx_runs", F.array().cast("array<array<int>>")).withColumn("__hx_items", F.array().cast("array<string>"))
+    waiting = None
+    for block in item_blocks(benchmark, window, block_words):
+        if waiting is not None:
+            out = _pass(out, waiting, window, False)
+        waiting = block
+    return _pass(out, waiting, window, clean)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the spans that the benchmark's windows hit; documents without hits stay as they are, byte by byte."""
-    names = docs.columns
-    found = find_hits(docs, benchmark, window)
-    clean = F.udf(lambda text, runs: remove_spans(text.encode(), merge_runs([tuple(r) for r in runs])).decode("utf-8", "ignore"), "string", useArrow=True)
-    hit = F.size("__hx_runs") > 0
-    # Only rows with hits reach Python a second time.
-    touched = found.where(hit).withColumn("text", clean("text", "__hx_runs"))
-    if "n_chars" in names:
-        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.where(~hit | F.col("__hx_runs").isNull()).select(*names).unionByName(touched.select(*names))
+    out = find_hits(docs, benchmark, window, clean=True)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("__hx_runs") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = texts_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    # Runs of one block don't overlap; sorting and merging is needed after several.
-    ordered = F.array_sort("__hx_runs")
-    step = lambda acc, r: F.struct((acc["n"] + F.greatest(F.lit(0), r[1] - F.greatest(acc["to"], r[0]))).alias("n"), F.greatest(acc["to"], r[1]).alias("to"))
-    n_hit = F.aggregate(ordered, F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step)["n"].cast("long")
+    n_hit = F.aggregate("__hx_runs", F.lit(0).cast("long"), lambda acc, r: acc + r[1] - r[0])
     n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
     return found.select(
         "doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.size("__hx_items").cast("long").alias("n_items"),

@@ -64,7 +64,7 @@ class Lexicon:
         try:
             return self.known[word]
         except KeyError:
-            if len(self.known) > 300_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             got = self.known[word] = self._find(word)
             return got
