@@ -195,7 +195,7 @@ def _(t):
     return hit.groupBy((F.abs(F.length("alt1") - F.length("ref")) % 3 == 0).alias("in_frame")).agg(F.count("*").alias("n"))
 
 
-@query("a46_pdbmap_stats", f"WITH {_HIT} SELECT (SELECT count(DISTINCT structid) FROM residues) AS structures, (SELECT count(DISTINCT concat(structid, chain)) FROM residues) AS chains, (SELECT count(*) FROM residues) AS residues, (SELECT count(DISTINCT transcript) FROM intervals) AS transcripts, (SELECT count(DISTINCT gc_id) FROM hit) AS mapped_consequences, (SELECT count(DISTINCT structid) FROM hit) AS mapped_structures, (SELECT count(*) FROM variants WHERE length(ref) = 1) AS snps")
+@query("a46_summary_stats", f"WITH {_HIT} SELECT (SELECT count(DISTINCT structid) FROM residues) AS structures, (SELECT count(DISTINCT concat(structid, chain)) FROM residues) AS chains, (SELECT count(*) FROM residues) AS residues, (SELECT count(DISTINCT transcript) FROM intervals) AS transcripts, (SELECT count(DISTINCT gc_id) FROM hit) AS mapped_consequences, (SELECT count(DISTINCT structid) FROM hit) AS mapped_structures, (SELECT count(*) FROM variants WHERE length(ref) = 1) AS snps")
 def _(t):
     hit = M.intersect(consequences(t), mapped(t))
     parts = [

@@ -22,8 +22,8 @@ def read_bed(spark: SparkSession, path: str, sep: str = "\t", indexing: str = "u
 
 
 def shift_bed(bed: DataFrame, indexing: str) -> DataFrame:
-    """Ends of (chrom, start, end) to 1-based, end-exclusive: ucsc adds one to both, ensembl to the end, pdbmap to none."""
-    up = {"ucsc": (1, 1), "ensembl": (0, 1), "pdbmap": (0, 0)}[indexing]
+    """Ends of (chrom, start, end) to 1-based, end-exclusive: ucsc adds one to both, ensembl to the end, own to none."""
+    up = {"ucsc": (1, 1), "ensembl": (0, 1), "own": (0, 0)}[indexing]
     return bed.withColumn("start", F.col("start").cast("long") + up[0]).withColumn("end", F.col("end").cast("long") + up[1])
 
 
