@@ -366,6 +366,22 @@ def test_lexicon_finds_misspelt_and_quoted_words():
     assert direct[0] > 0 == direct[2] and quoted[2] > 0 == quoted[0]
 
 
+def test_learned_lexicon_finds_misspelt_words(spark):
+    r = random.Random(8)
+    plain = ["".join(r.choices("bcdfghjklnqvwxz", k=r.randint(4, 8))) for _ in range(400)]
+    toxic = ["stupid", "idiot", "scum", "pathetic", "worthless"]
+    rows = [(i, " ".join(r.choices(plain, k=20) + (r.choices(toxic, k=4) + r.choices(plain, k=5) if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit_lexicon(docs, docs.selectExpr("doc_id", "0 as quality", "toxic"))
+    assert "stup*" in lexicon.terms
+    for right, term in (("stupid", "stup*"), ("idiot", "idio*"), ("scum", "scum"), ("pathetic", "path*"), ("worthless", "wort*")):
+        wrong = [right[:1] + right[2:], right[:2] + "y" + right[2:], right[:1] + "y" + right[2:], right[:1] + right[2] + right[1] + right[3:], right[1] + right[0] + right[2:], "y" + right]
+        assert [lexicon.find(x) for x in wrong] == [(term, 1)] * len(wrong), right
+    for text in ("st0pid", "1d1ot", "$tupid", "i-diot", "st*pid", "stu.pid", "w0rthle$s", "p@thetic"):
+        assert len(lexicon.hits(f"so {text} now")) == 1 and lexicon.features(f"so {text} now")[1] > 0, text
+    assert not lexicon.hits(" ".join(plain)) and not lexicon.hits("b2b x-ray 2024 3.14 user@example.com")
+
+
 def test_language_model_like_brute_force(spark, docs, none):
     rows = [(r.doc_id, (r.text or "").encode().lower().split() + [None]) for r in docs.collect()]
     train = [w for i, w in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
