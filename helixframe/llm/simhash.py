@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import LAST_ID, as_bytes, saved, slices, texts_of
+from helixframe.llm.common import as_bytes, saved, slices, texts_of
 
 SEED = 42
 
@@ -49,16 +49,25 @@ def simhash(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
+#: Two hashes of a text: what tells the rows of a doc_id, or without one, from each other.
+KEYS = ("__hx_k1", "__hx_k2")
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return rows.withColumn(KEYS[0], F.xxhash64(text)).withColumn(KEYS[1], F.xxhash64(F.lit(1), text))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long), a row per document."""
+    """(doc_id, fp long) and the keys, a row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 fps = np.array([simhash(x, shingle) for x in as_bytes(part.column("text"))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps), *(part.column(k) for k in KEYS)], ["doc_id", "fp", *KEYS])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, fp long")
+    return with_keys(texts_of(docs)).mapInArrow(run, f"doc_id long, fp long, {KEYS[0]} long, {KEYS[1]} long")
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
@@ -121,28 +130,42 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError("components: links still change")
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """(fp, first, root) for every distinct fingerprint: the least row that has it, ids first, and the component's root."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEYS)
+    distinct = saved(prints.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
+    of = components(near_links(distinct.select("fp")))
+    return distinct.join(of, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id), a row per document: the smallest doc_id reachable over links of at most two bits."""
     prints = saved(fingerprints(docs, shingle), "fingerprints")
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    of = components(near_links(distinct.select("fp")))
-    whole = distinct.join(of, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = whole.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
+    whole = _rooted(prints)
+    ids = whole.groupBy(F.col("root").alias("r")).agg(F.min("first")["doc_id"].alias("component_id"))
     named = whole.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id; of rows that share it, one."""
+    """docs without near-duplicates: of each component the row with the smallest doc_id, nulls last, then of the least hash of
+    the text; of rows that share both, one."""
     names = docs.columns
-    of = near_duplicates(docs, shingle)
-    found = of.where(F.coalesce("doc_id", F.lit(LAST_ID)) == F.coalesce("component_id", F.lit(LAST_ID))).groupBy(F.col("doc_id").alias("__hx_keep")).agg(F.count("*").alias("__hx_n"))
-    kept = saved(found, "kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__hx_keep")))
-    if kept.where("__hx_n > 1").limit(1).count():  # only then do rows share an id
-        one = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in names if c != "doc_id"])
-        out = out.withColumn("__hx_row", F.row_number().over(one)).where("__hx_row = 1")
-    return out.select(*names)
+    prints = saved(fingerprints(docs, shingle), "fingerprints")
+    least = _rooted(prints).groupBy("root").agg(F.min("first").alias("x")).select("x.doc_id", *[f"x.{k}" for k in KEYS])
+    own = ("__hx_keep", "__hx_own1", "__hx_own2")
+
+    def same(x: tuple[str, ...], y: tuple[str, ...]):
+        return F.col(x[0]).eqNullSafe(F.col(y[0])) & (F.col(x[1]) == F.col(y[1])) & (F.col(x[2]) == F.col(y[2]))
+
+    kept = saved(prints.join(least.toDF(*own), same(("doc_id", *KEYS), own)).groupBy(*own).agg(F.count("*").alias("__hx_n")), "kept")
+    out = with_keys(docs).join(kept, same(("doc_id", *KEYS), own))
+    if not kept.where("__hx_n > 1").limit(1).count():
+        return out.select(*names)
+    # Only where rows share id and text: the least by the other columns, nulls last, which partial aggregates find.
+    row = F.struct(*[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("v")).alias(f"c{i}") for i, c in enumerate(names)])
+    one = out.where("__hx_n > 1").groupBy(*own).agg(F.min(row).alias("x")).select(*[F.col("x")[f"c{i}"]["v"].alias(c) for i, c in enumerate(names)])
+    return out.where("__hx_n = 1").select(*names).union(one)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

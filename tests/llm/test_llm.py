@@ -210,6 +210,14 @@ def test_one_row_per_component_stays(spark, docs, none):
     assert simhash.keep_one_per_component(none).count() == 0
 
 
+def test_one_row_per_component_stays_without_or_with_repeated_ids(spark):
+    r = random.Random(4)
+    a, b, c, d, e = (" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(30)) for _ in range(5))
+    rows = [(None, a, 1), (None, b, 2), (None, b, 3), (None, c, 4), (5, c, 5), (7, d, 6), (7, e, 7), (7, e, 8), (3, e.upper(), 9)]
+    kept = simhash.keep_one_per_component(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert sorted(kept.collect(), key=lambda x: x.n) == [(None, a, 1), (None, b, 2), (5, c, 5), (7, d, 6), (3, e.upper(), 9)]
+
+
 # op10
 
 
