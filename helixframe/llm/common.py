@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,12 +85,14 @@ def slices(batch: pa.RecordBatch, most: int = 2_000_000, column: str = "text"):
     give_back()
 
 
-# Hashing. A string's hash is a polynomial modulo 2^64 with random values for bytes, read off prefix sums; MIX spreads it.
+# Hashing. A row's hash is a polynomial modulo 2^64 with random values for tokens, read off prefix sums; mix() spreads it.
+# Such hashes only bring candidates together: results rest on comparisons of bytes or words.
 
 _rng = np.random.default_rng(20240229)
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = {k: int(x) | 5 for k, x in enumerate(_rng.integers(2**40, 2**62, 4, dtype=np.uint64).tolist())}
 _powers: dict[tuple[int, bool], np.ndarray] = {}
+_SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -141,48 +145,51 @@ def word_spans(data: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarr
     return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
 
 
-def word_hashes(texts: list[bytes], piece: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of the texts, in order, and how many words each text has.
-
-    Texts are hashed together; a longer one in pieces that end at white space."""
-    out, counts, group, size = [], [], [], 0
-
-    def flush():
-        nonlocal group, size
-        if not group:
-            return
-        data = np.frombuffer(b"\n".join(group) + b"\n", np.uint8)
-        starts, ends = word_spans(data)
-        out.append(span_hash(prefix_hash(BYTE_VALUE[data]), starts, ends))
-        edges = np.cumsum([len(x) + 1 for x in group])
-        counts.extend(np.diff(np.searchsorted(starts, edges), prepend=0).tolist())
-        group, size = [], 0
+def pieces_of(text: bytes, piece: int = 2_000_000) -> Iterator[bytes]:
+    """A text in pieces of about so many bytes that end at white space; a longer word is whole."""
+    at = 0
+    while len(text) - at > piece:
+        end = max(text.rfind(c, at, at + piece) for c in _SPACES)
+        if end < at:
+            end = min((x for c in _SPACES if (x := text.find(c, at + piece)) >= 0), default=len(text) - 1)
+        yield text[at : end + 1]
+        at = end + 1
+    yield text[at:]
+
+
+class _Digests(dict):
+    """Words' hashes: 64 bits of BLAKE2b, which nobody can make two words agree in by construction."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return got
+
 
+_digests = _Digests()
+
+
+def word_hashes(texts: list[bytes], piece: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of the texts, in order, and how many words each text has. Equal words have equal hashes;
+    whoever needs the converse compares the words."""
+    out, counts = [], []
     for text in texts:
-        if len(text) > piece:
-            flush()
-            at, total = 0, 0
-            while at < len(text):
-                end = at + piece
-                if end < len(text):
-                    cut = max(text.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-                    if cut <= at:  # a word longer than a piece
-                        cut = min((x for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (x := text.find(c, end)) >= 0), default=len(text) - 1)
-                    end = cut + 1
-                group = [text[at:end]]
-                flush()
-                total += counts.pop()
-                at = end
-            counts.append(total)
-            continue
-        if size + len(text) > piece:
-            flush()
-        group.append(text)
-        size += len(text) + 1
-    flush()
+        n = 0
+        for part in pieces_of(text, piece):
+            words = part.split()
+            out.append(np.fromiter(map(_digests.__getitem__, words), np.uint64, len(words)))
+            n += len(words)
+        counts.append(n)
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.array(counts, np.int64)
 
 
+class Numbers(dict):
+    """Numbers things in the order in which they first come: equal numbers, equal things."""
+
+    def __missing__(self, key) -> int:
+        got = self[key] = len(self)
+        return got
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

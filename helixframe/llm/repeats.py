@@ -5,15 +5,17 @@ anchor, the k-gram with the least hash inside it (the leftmost of equals), so eq
 of neighbouring windows shares one. Windows can only repeat where their anchor does. That turns one row per window into
 one entry per run:
 
-1. Documents are cut into chunks of about two megabytes; a chunk keeps its texts, compressed, in the shared folder, and
-   asks, for each hash range (bucket), about its anchors. A bucket adds up what all chunks ask and answers each.
-2. A chunk sends its runs of repeated anchors to the anchors' buckets, each distinct run once; a bucket compares their
-   windows exactly and answers with a bit per window.
-3. A chunk marks what the bits say, and drops or keeps its tokens.
-
-Chunks and buckets are bounded: the number of buckets grows with the corpus, and a chunk asks once however often an anchor
-occurs in it. Anchors with more than `hot` distinct runs are left to an aggregation over window hashes, which Spark
-combines before it shuffles.
+1. Documents are cut into chunks of one or two megabytes; a chunk keeps its texts, compressed, in the shared folder, and
+   asks, for each hash range (bucket), about its anchors, or about the counters of a sketch that they fall in. A bucket
+   adds up what all chunks ask and answers each.
+2. Where an anchor has more than `hot` distinct runs, its windows get longer keys: first the anchor with half of what
+   surrounds it in the window, then the whole window. A level of keys is asked about like the anchors.
+3. A chunk sends its runs of repeated keys, with their text, to the keys' buckets, each distinct run once; a bucket finds
+   which windows are alike, by their bytes or words, and answers with a bit per window.
+4. A chunk marks what the bits say, and drops or keeps its tokens.
+
+Hashes bring windows together; only equal bytes (or words) make them equal. Chunks are bounded, the number of buckets
+grows with the corpus, and a chunk asks once however often a key occurs in it.
 
 A row's identity is its place in its chunk, so null or repeated doc_ids never mix texts up. A null doc_id sorts after all.
 """
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import LAST_ID, as_bytes, byte_size, give_back, gram_hash, mix, prefix_hash, saved, slices, span_hash, texts_of
+from helixframe.llm.common import LAST_ID, Numbers, as_bytes, byte_size, give_back, gram_hash, mix, prefix_hash, saved, slices, span_hash, texts_of
 
 PIECE = 1 << 18
 
@@ -59,17 +61,25 @@ def open_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 @dataclass
 class Runs:
-    """Runs of windows with one anchor: hash, first and last window start, document, hash of the whole run's tokens."""
+    """Runs of windows with one key: the key, first and last window start, document, hash of the whole run's tokens."""
 
     anchor: np.ndarray
     first: np.ndarray
     last: np.ndarray
     doc: np.ndarray
-    whole: np.ndarray
+    whole: np.ndarray  #: for estimates only
     doc_start: np.ndarray  #: of the document, as a token's number in the chunk
+    place: np.ndarray  #: where the anchor starts
 
     def take(self, at: np.ndarray) -> Runs:
-        return Runs(*(x[at] for x in (self.anchor, self.first, self.last, self.doc, self.whole, self.doc_start)))
+        return Runs(*(x[at] for x in self.columns()))
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.anchor, self.first, self.last, self.doc, self.whole, self.doc_start, self.place
+
+    @staticmethod
+    def joined(parts: list[Runs]) -> Runs:
+        return Runs(*map(np.concatenate, zip(*(x.columns() for x in parts), strict=True)))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -106,10 +116,32 @@ def runs_of(values: np.ndarray, counts: np.ndarray, width: int, k: int) -> Runs:
         whole = span_hash(prefix_hash(h, 1), first, last + width, 1)
         # Least hashes are small; mixed once more they spread over the buckets evenly.
         anchor = mix(g[place[new]] + np.uint64(0x9E3779B97F4A7C15))
-        found.append(Runs(anchor, first + at, last + at, d[first], whole, doc_starts[d[first]]))
-    if not found:
-        return Runs(np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64), np.empty(0, np.int64))
-    return Runs(*(np.concatenate([getattr(x, c) for x in found]) for c in ("anchor", "first", "last", "doc", "whole", "doc_start")))
+        found.append(Runs(anchor, first + at, last + at, d[first], whole, doc_starts[d[first]], place[new] + at))
+    none = np.empty(0, np.int64)
+    return Runs.joined(found) if found else Runs(none.view(np.uint64), none, none, none, none.view(np.uint64), none, none)
+
+
+def longer_keys(runs: Runs, values: np.ndarray, width: int, k: int, level: int) -> Runs:
+    """The runs cut up by longer keys. Level 1: windows with the anchor in their second half share what is before it, the
+    others what is after it, half of the rest of a window. Level 2: a window is its own key."""
+    if level == 1:
+        half = (width - k) // 2
+        cut = runs.place - half
+        early, late = np.flatnonzero(runs.first <= cut), np.flatnonzero(runs.last > cut)
+        a, b = runs.take(early), runs.take(late)
+        a.last, b.first = np.minimum(a.last, cut[early]), np.maximum(b.first, cut[late] + 1)
+        out = Runs.joined([a, b])
+        start = np.r_[a.place - half, b.place]
+        end = np.r_[a.place + k, b.place - half + 1 + width]
+        salt = np.repeat(np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64), [len(early), len(late)])
+    else:
+        number = runs.last - runs.first + 1
+        out = runs.take(np.repeat(np.arange(len(number)), number))
+        out.first = out.last = out.first + _inner(number)
+        start, end, salt = out.first, out.first + width, np.uint64(0x165667B19E3779F9)
+    out.anchor = mix(span_hash(prefix_hash(values, 2), start, end, 2) + salt)
+    out.whole = span_hash(prefix_hash(values, 1), out.first, out.last + width, 1)
+    return out
 
 
 def buckets_for(n: float, each: float, least: int = 16) -> int:
@@ -125,37 +157,28 @@ def edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 @dataclass
 class Scheme:
-    """tokens(texts): the tokens' hashes and how many each text has. across: only repeats in other documents count, of
-    which the one with the least doc_id is kept; else the first occurrence at all."""
+    """tokens(texts): the tokens' hashes and how many each text has. spans(data): where each token starts and ends in the
+    bytes. across: only repeats in other documents count, of which the one with the least doc_id is kept; else the first
+    occurrence at all. alike(texts, numbers, shards): (run, window, group) of the windows of some runs that are in the
+    runs more than once; equal windows, and no others, have equal groups."""
 
     tokens: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+    spans: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
     width: int
     k: int
     across: bool
-    count: Callable[[list[tuple[np.ndarray, np.ndarray]]], list[np.ndarray]]  #: what a bucket estimates for each asker
-    compare: Callable[[list[dict]], list[np.ndarray]]  #: a bit per window for each asker
-    with_text: bool = False
+    alike: Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    between: bytes = b""  #: documents, where their tokens are looked up
+    sketch_rows: int = 0  #: of a count-min sketch; 0: keys are counted themselves
+    sketch_load: float = 0.25  #: keys to a counter
     token_bytes: float = 1.0
     hot: int = 20_000
     chunk_bytes: int = 2_000_000
     bucket_bytes: int = 16_000_000  #: of text, to a bucket that compares
+    piece_bytes: int = 4_000_000  #: of runs that are compared at once, but for a key's
 
 
-def distinct_runs(runs: Runs, ids: np.ndarray, ties: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lead, lead_of, same): the leading run of each distinct one, in the order of anchors; for each run, the number of
-    its lead; and whether it shares the lead's place, so that the lead's bits hold for it. The others repeat the lead."""
-    start = runs.first - runs.doc_start
-    order = np.lexsort((start, ties[runs.doc], ids[runs.doc], runs.last - runs.first, runs.whole, runs.anchor))
-    a, b, c = runs.anchor[order], runs.whole[order], (runs.last - runs.first)[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])] if len(order) else np.empty(0, bool)
-    lead = order[new]
-    lead_of = np.empty(len(order), np.int64)
-    lead_of[order] = np.cumsum(new) - 1
-    to = lead[lead_of] if len(order) else lead_of
-    same = ids[runs.doc] == ids[runs.doc[to]]
-    if not across:
-        same &= (ties[runs.doc] == ties[runs.doc[to]]) & (start == start[to])
-    return lead, lead_of, same
+LEVELS = 3
 
 
 def text_ties(texts: list[bytes]) -> np.ndarray:
@@ -164,7 +187,7 @@ def text_ties(texts: list[bytes]) -> np.ndarray:
 
 
 def _ask(runs: Runs, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted anchors, and of each the number of distinct runs; 2 at least if it is repeated in the chunk (across: in another document)."""
+    """Sorted keys, and of each the number of distinct runs; 2 at least if it is repeated in the chunk (across: in another document)."""
     if not len(runs.anchor):
         return runs.anchor, np.empty(0, np.int64)
     order = np.lexsort((runs.whole, runs.doc, runs.anchor))
@@ -178,32 +201,74 @@ def _ask(runs: Runs, across: bool) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.where(docs > 1, np.maximum(distinct, 2), 1) if across else np.where(times > 1, np.maximum(distinct, 2), 1)
 
 
+def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The counters of keys in a row of the sketch, as numbers of 64 bits of which the leading `bits` count."""
+    low = np.uint64(64 - bits)
+    return mix(keys + np.uint64(0x9E3779B97F4A7C15 * (row + 1) % 2**64)) >> low << low
+
+
+def counters(keys: np.ndarray, times: np.ndarray, rows: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A chunk's own sketch, row by row: the counters that are not 0, and what they hold."""
+    if not rows:
+        return [(keys, times)]
+    out = []
+    for row in range(rows):
+        own, inverse = np.unique(cells(keys, row, bits), return_inverse=True)
+        out.append((own, np.bincount(inverse, times, len(own)).astype(np.int64)))
+    return out
+
+
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
     for i in range(batch.num_rows):
         yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
     give_back()
 
 
-def _chunks(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64 bits, byte plane by byte plane, which compress."""
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(1).compress(struct.pack(f"<{len(arrays)}q", *map(len, arrays)) + b"".join(planes))
+
+
+def unsqueeze(data: bytes, *kinds) -> list[np.ndarray]:
+    body = zstandard.ZstdDecompressor().decompress(data)
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(struct.unpack_from(f"<{len(kinds)}q", body), kinds, strict=True):
+        out.append(np.frombuffer(body, np.uint8, 8 * n, at).reshape(8, n).T.copy().view(kind).ravel())
+        at += 8 * n
+    return out
+
+
+def differences(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _asks(runs: Runs, scheme: Scheme, buckets: int, bits: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, message) about the keys of some runs. Rows of the sketch have their own buckets."""
+    keys, times = _ask(runs, scheme.across)
+    for row, (own, held) in enumerate(counters(keys, times, scheme.sketch_rows, bits)):
+        at = edges(own, buckets)
+        for b in range(buckets):
+            if at[b + 1] > at[b]:
+                yield row * buckets + b, squeeze(differences(own[at[b] : at[b + 1]]), held[at[b] : at[b + 1]])
+
+
+def _chunks(docs: DataFrame, scheme: Scheme, buckets: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, scheme.chunk_bytes):
                 texts = as_bytes(part.column("text"))
                 values, counts = scheme.tokens(texts)
-                keys, times = _ask(runs_of(values, counts, scheme.width, scheme.k), scheme.across)
-                times = np.minimum(times, 255).astype(np.uint8)
-                at = edges(keys, buckets)
-                own = [b for b in range(buckets) if at[b + 1] > at[b]]
-                rows = [None, *(keys[at[b] : at[b + 1]].tobytes() + times[at[b] : at[b + 1]].tobytes() for b in own)]
-                columns = [pa.array([number] * len(rows), pa.int64()), pa.array([-1, *own], pa.int32()), pa.array(rows, pa.binary()), pa.array([pack_chunk(part.column("doc_id"), texts)] + [None] * len(own), pa.binary())]
+                asks = list(_asks(runs_of(values, counts, scheme.width, scheme.k), scheme, buckets, bits))
+                columns = [pa.array([number] * (1 + len(asks)), pa.int64()), pa.array([-1, *(b for b, _ in asks)], pa.int32()), pa.array([None, *(x for _, x in asks)], pa.binary()), pa.array([pack_chunk(part.column("doc_id"), texts)] + [None] * len(asks), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "data", "body"])
                 number += 1
 
     return docs.mapInArrow(run, "chunk long, bucket int, data binary, body binary")
 
 
-def _answers(asks: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+def answers(asks: DataFrame, answer: Callable[[list[bytes]], list[bytes]], name: str = "parts") -> DataFrame:
     """(chunk, parts): what the buckets answer to a chunk, bucket by bucket."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -212,58 +277,92 @@ def _answers(asks: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> D
         return made
 
     got = asks.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, data binary")
-    return got.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("parts"))
+    return got.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias(name))
 
 
-def _count_answer(scheme: Scheme, parts: list[bytes]) -> list[bytes]:
-    asked = [(np.frombuffer(x, np.uint64, len(x) // 9), np.frombuffer(x, np.uint8, len(x) // 9, len(x) // 9 * 8)) for x in parts]
-    out = []
-    for estimate in scheme.count(asked):
-        code = (estimate >= 2).astype(np.uint8)
-        code[estimate > scheme.hot] = 2
-        out.append(code.tobytes())
-    return out
+def summed(asked: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Counters of the same keys, or cells, added up, for each asker."""
+    known, inverse = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([t for _, t in asked]), len(known)).astype(np.int64)
+    return np.split(total[inverse], np.cumsum([len(k) for k, _ in asked])[:-1])
+
+
+def _count_answer(parts: list[bytes], hot: int) -> list[bytes]:
+    """A code per key or counter: 0 alone, 1 repeated, 2 hot."""
+    asked = [(np.cumsum(k, dtype=np.uint64), t) for k, t in (unsqueeze(x, np.uint64, np.int64) for x in parts)]
+    return [((n >= 2).astype(np.uint8) + (n > hot)).tobytes() for n in summed(asked)]
 
 
 class Chunk:
-    """A chunk with its runs and what the first answers say: code 0 alone, 1 repeated, 2 hot."""
+    """A chunk with its runs and what the answers say about their keys, level by level. pending: the runs that the next
+    level has to ask about; runs: those whose keys are repeated."""
 
-    def __init__(self, scheme: Scheme, body: bytes, parts: list[dict] | None):
+    def __init__(self, scheme: Scheme, row: dict, bits: int):
         self.scheme = scheme
-        self.null, self.ids, self.texts = open_chunk(body)
+        self.null, self.ids, self.texts = open_chunk(row["body"])
         self.values, self.counts = scheme.tokens(self.texts)
         self.ties = text_ties(self.texts)
-        runs = runs_of(self.values, self.counts, scheme.width, scheme.k)
-        keys = np.unique(runs.anchor)
-        code = np.frombuffer(b"".join(bytes(x["data"]) for x in parts or []), np.uint8)
-        assert len(code) == len(keys), "an answer is missing"
-        of_run = code[np.searchsorted(keys, runs.anchor)] if len(keys) else np.empty(0, np.uint8)
-        self.runs = runs.take(np.flatnonzero(of_run == 1))
-        self.hot = runs.take(np.flatnonzero(of_run == 2))
-        self.lead, self.lead_of, self.same = distinct_runs(self.runs, self.ids, self.ties, scheme.across)
+        runs, known = runs_of(self.values, self.counts, scheme.width, scheme.k), []
+        for level in range(LEVELS):
+            if level and not len(runs.anchor):
+                break
+            if level:
+                runs = longer_keys(runs, self.values, scheme.width, scheme.k, level)
+            if f"parts{level}" not in row:
+                break
+            code = self._codes(np.unique(runs.anchor), row[f"parts{level}"] or [], bits)[np.searchsorted(np.unique(runs.anchor), runs.anchor)]
+            known.append(runs.take(np.flatnonzero(code == 1)))
+            runs = runs.take(np.flatnonzero(code == 2))
+        self.pending, self.runs = runs, Runs.joined(known)
+        self._lead()
+
+    def _codes(self, keys: np.ndarray, parts: list[dict], bits: int) -> np.ndarray:
+        """The code of each key: the least of its counters."""
+        got = np.frombuffer(b"".join(bytes(x["data"]) for x in parts), np.uint8)
+        least, at = np.full(len(keys), 2, np.uint8), 0
+        for row in range(max(1, self.scheme.sketch_rows)):
+            cell = cells(keys, row, bits) if self.scheme.sketch_rows else keys
+            own, inverse = np.unique(cell, return_inverse=True)
+            least = np.minimum(least, got[at : at + len(own)][inverse])
+            at += len(own)
+        assert at == len(got), "an answer is missing"
+        return least
+
+    def _lead(self) -> None:
+        """lead: of each distinct run the one to send, in the order of keys; lead_of: for each run, the number of its lead;
+        same: whether the run is at its lead's place, so that the lead's bits hold for it. Others repeat the lead."""
+        runs, across = self.runs, self.scheme.across
+        start = runs.first - runs.doc_start
+        whole = self.scheme.between.join(self.texts)
+        data = np.frombuffer(whole, np.uint8)
+        begins, ends = self.scheme.spans(data)
+        cut = list(zip(begins[runs.first].tolist(), ends[runs.last + self.scheme.width - 1].tolist(), strict=True)) if len(start) else []
+        numbers = Numbers()
+        text = np.fromiter((numbers[whole[a:b]] for a, b in cut), np.int64, len(cut))
+        order = np.lexsort((start, self.ties[runs.doc], self.ids[runs.doc], text, runs.anchor))
+        a, b = runs.anchor[order], text[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(order) else np.empty(0, bool)
+        lead = self.lead = order[new]
+        self.lead_of = np.empty(len(order), np.int64)
+        self.lead_of[order] = np.cumsum(new) - 1
+        to = lead[self.lead_of] if len(order) else self.lead_of
+        self.same = self.ids[runs.doc] == self.ids[runs.doc[to]]
+        if not across:
+            self.same &= (self.ties[runs.doc] == self.ties[runs.doc[to]]) & (start == start[to])
+        self.lead_texts = [whole[slice(*cut[i])] for i in lead.tolist()]
 
     def sends(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        lead, runs, scheme = self.lead, self.runs, self.scheme
-        anchor, first, last = runs.anchor[lead], runs.first[lead], runs.last[lead]
-        number = (last - first + 1).astype(np.int64)
-        at = edges(anchor, buckets)
-        if scheme.with_text:
-            whole_text = b"".join(self.texts)
-        else:
-            windows = gram_hash(prefix_hash(self.values, 2), scheme.width, 2)
+        runs = self.runs.take(self.lead)
+        at = edges(runs.anchor, buckets)
+        number = runs.last - runs.first + 1
         for b in range(buckets):
-            i, j = at[b], at[b + 1]
-            if i == j:
-                continue
-            doc = runs.doc[lead[i:j]]
-            head = [anchor[i:j], runs.whole[lead[i:j]], self.ids[doc], self.ties[doc], first[i:j] - runs.doc_start[lead[i:j]], number[i:j]]
-            if scheme.with_text:
-                tail = b"".join([whole_text[x : y + scheme.width] for x, y in zip(first[i:j].tolist(), last[i:j].tolist(), strict=True)])
-            else:
-                tail = windows[np.repeat(first[i:j], number[i:j]) + _inner(number[i:j])].tobytes()
-            yield b, zstandard.ZstdCompressor(1).compress(struct.pack("<q", j - i) + b"".join(x.astype(np.uint64).tobytes() if x.dtype == np.uint64 else x.astype(np.int64).tobytes() for x in head) + tail)
-
-    def removed(self, parts: list[dict] | None, hot_starts: list[int] | None) -> np.ndarray:
+            own = slice(at[b], at[b + 1])
+            if at[b + 1] > at[b]:
+                texts = self.lead_texts[own]
+                head = [runs.anchor[own], self.ids[runs.doc[own]], self.ties[runs.doc[own]], (runs.first - runs.doc_start)[own], number[own], np.array([*map(len, texts)])]
+                yield b, zstandard.ZstdCompressor(1).compress(struct.pack("<q", len(texts)) + b"".join(x.astype(np.uint64 if x.dtype == np.uint64 else np.int64).tobytes() for x in head) + b"".join(texts))
+
+    def removed(self, parts: list[dict] | None) -> np.ndarray:
         """For each token of the chunk, whether a window that repeats covers it."""
         runs, lead = self.runs, self.lead
         number = (runs.last - runs.first + 1)[lead] if len(lead) else np.empty(0, np.int64)
@@ -276,8 +375,6 @@ class Chunk:
         inner = _inner(count)
         flagged = bits[np.repeat(offset[self.lead_of[alike]], count) + inner].astype(bool)
         starts = (np.repeat(runs.first[alike], count) + inner)[flagged]
-        if hot_starts:
-            starts = np.r_[starts, np.array(hot_starts, np.int64)]
         np.add.at(change, starts, 1)
         np.add.at(change, starts + self.scheme.width, -1)
         other = np.flatnonzero(~self.same)
@@ -291,72 +388,109 @@ def _inner(number: np.ndarray) -> np.ndarray:
     return np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
 
 
-def open_sent(data: bytes, with_text: bool, width: int) -> dict:
+def open_sent(data: bytes) -> dict:
     body = zstandard.ZstdDecompressor().decompress(data)
     (n,) = struct.unpack_from("<q", body)
-    names = ("anchor", "whole", "id", "tie", "start", "number")
-    kinds = (np.uint64, np.uint64, np.int64, np.uint64, np.int64, np.int64)
-    out = {name: np.frombuffer(body, kind, n, 8 + 8 * n * i) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))}
-    tail = 8 + 48 * n
-    return out | ({"bytes": np.frombuffer(body, np.uint8, -1, tail)} if with_text else {"windows": np.frombuffer(body, np.uint64, -1, tail)})
-
-
-def _hot_rows(chunks: DataFrame, scheme: Scheme) -> DataFrame:
-    """(chunk, starts): window starts to remove, of anchors with very many runs. A row per window, its hash of 128 bits,
-    is aggregated to its first place and joined to it again; Spark combines before the shuffle and splits skewed joins."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in rows_of(batch):
-                c = Chunk(scheme, row["body"], row["parts"])
-                number = c.hot.last - c.hot.first + 1
-                at = np.repeat(c.hot.first, number) + _inner(number)
-                doc = np.repeat(c.hot.doc, number)
-                one, two = (gram_hash(prefix_hash(c.values, base), scheme.width, base)[at].view(np.int64) if len(at) else np.empty(0, np.int64) for base in (2, 3))
-                columns = [one, two, np.full(len(at), row["chunk"]), at, c.ids[doc], c.ties[doc].view(np.int64), at - np.repeat(c.hot.doc_start, number)]
-                for i in range(0, len(at), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in columns], ["one", "two", "chunk", "at", "id", "tie", "start"])
-
-    rows = chunks.mapInArrow(run, "one long, two long, chunk long, at long, id long, tie long, start long")
-    place = F.struct("id") if scheme.across else F.struct("id", F.col("tie").cast("decimal(20,0)").alias("tie"), "start")
-    rows = rows.withColumn("place", place)
-    least = rows.groupBy("one", "two").agg(F.min("place").alias("least"))
-    return rows.join(least, ["one", "two"]).where(F.col("place") > F.col("least")).groupBy("chunk").agg(F.collect_list("at").alias("starts"))
+    names = ("anchor", "id", "tie", "start", "number", "size")
+    kinds = (np.uint64, np.int64, np.uint64, np.int64, np.int64, np.int64)
+    out: dict = {name: np.frombuffer(body, kind, n, 8 + 8 * n * i) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))}
+    ends = 8 + 48 * n + np.cumsum(out["size"])
+    return out | {"texts": [body[e - s : e] for e, s in zip(ends.tolist(), out["size"].tolist(), strict=True)]}
+
+
+def compare_runs(sent: list[dict], scheme: Scheme) -> list[np.ndarray]:
+    """A bit for each window that also starts earlier (across: in a document with a smaller id), for each sender's runs."""
+    cat = {k: np.concatenate([x[k] for x in sent]) for k in ("anchor", "id", "tie", "start", "number", "size")}
+    texts = [t for x in sent for t in x["texts"]]
+    sender = np.repeat(np.arange(len(sent)), [len(x["texts"]) for x in sent])
+    when = [cat["id"]] if scheme.across else [cat["id"], cat["tie"], cat["start"]]
+    first_bit = np.cumsum(cat["number"]) - cat["number"]
+    bits = np.zeros(cat["number"].sum(), np.uint8)
+    # Equal runs: the earliest stands for all.
+    numbers = Numbers()
+    text = np.fromiter(map(numbers.__getitem__, texts), np.int64, len(texts))
+    del numbers
+    order = np.lexsort((*reversed(when), text, cat["anchor"]))
+    new = np.r_[True, (text[order][1:] != text[order][:-1]) | (cat["anchor"][order][1:] != cat["anchor"][order][:-1])]
+    lead = order[new]
+    lead_of = lead[np.cumsum(new) - 1]
+    twin = np.ones(len(order), bool)
+    for x in when:
+        twin &= x[order] == x[lead_of]
+    late = order[~twin]
+    bits[np.repeat(first_bit[late], cat["number"][late]) + _inner(cat["number"][late])] = 1
+    # Keys with several runs, some keys at a time.
+    a = cat["anchor"][lead]
+    fresh = np.r_[True, a[1:] != a[:-1]]
+    each = np.diff(np.r_[np.flatnonzero(fresh), len(a)])
+    several = lead[(each > 1)[np.cumsum(fresh) - 1]]
+    a, total = cat["anchor"][several], np.cumsum(cat["size"][several])
+    last_of = np.r_[np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)] if len(a) else np.empty(0, np.int64)
+    at = 0
+    while at < len(a):
+        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + scheme.piece_bytes, "right"))
+        end = int(last_of[min(np.searchsorted(last_of, max(end, at + 1)), len(last_of) - 1)])
+        own = several[at:end]
+        own = own[np.argsort(sender[own], kind="stable")]
+        at = end
+        run, window, group = scheme.alike([texts[i] for i in own.tolist()], cat["number"][own], sender[own])
+        if not len(run):
+            continue
+        run = own[run]
+        keys = [x[run] for x in when]
+        if not scheme.across:
+            keys[2] = keys[2] + window
+        by = np.lexsort((*reversed(keys), group))
+        start = np.r_[True, group[by][1:] != group[by][:-1]]
+        lead_at = by[start][np.cumsum(start) - 1]
+        after = np.zeros(len(by), bool)
+        for x in keys:
+            after |= x[by] != x[lead_at]
+        bits[(first_bit[run] + window)[by][after]] = 1
+    # Twins have their lead's bits.
+    same = order[twin & (order != lead_of)]
+    to = lead_of[twin & (order != lead_of)]
+    bits[np.repeat(first_bit[same], cat["number"][same]) + _inner(cat["number"][same])] = bits[np.repeat(first_bit[to], cat["number"][to]) + _inner(cat["number"][to])]
+    return np.split(bits, np.cumsum([x["number"].sum() for x in sent])[:-1])
 
 
 def repeated_tokens(docs: DataFrame, scheme: Scheme, finish: Callable[[Chunk, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
     """finish(chunk, removed) makes a record batch of each chunk, a row per document."""
     docs = texts_of(docs)
     size = byte_size(docs)
-    tokens = size / scheme.token_bytes
-    ask_buckets = buckets_for(tokens * 2.2 / (scheme.width - scheme.k + 2), 1_000_000)
+    keys = size / scheme.token_bytes * 2.2 / (scheme.width - scheme.k + 2)
+    bits = min(60, max(8, int(np.ceil(np.log2(max(1.0, keys / scheme.sketch_load))))))
+    ask_buckets = buckets_for(keys, 1_000_000)
     send_buckets = buckets_for(size, scheme.bucket_bytes)
-    table = saved(_chunks(docs, scheme, ask_buckets), "chunks", "uncompressed")
-    bodies = table.where("bucket = -1").select("chunk", "body")
-    first = saved(_answers(table.where("bucket >= 0").select("chunk", "bucket", "data"), lambda parts: _count_answer(scheme, parts)), "answers", "zstd")
-    known = bodies.join(first, "chunk", "left")
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in rows_of(batch):
-                for b, data in Chunk(scheme, row["body"], row["parts"]).sends(send_buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["chunk", "bucket", "data"])
+    table = saved(_chunks(docs, scheme, ask_buckets, bits), "chunks", "uncompressed")
+    known, asks = table.where("bucket = -1").select("chunk", "body"), table.where("bucket >= 0").select("chunk", "bucket", "data")
+
+    def chunk_rows(make: Callable[[Chunk], Iterator[tuple[int, bytes]]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in rows_of(batch):
+                    for b, data in make(Chunk(scheme, row, bits)):
+                        yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["chunk", "bucket", "data"])
+
+        return known.mapInArrow(run, "chunk long, bucket int, data binary")
+
+    for level in range(LEVELS):
+        hot = scheme.hot if level < LEVELS - 1 else 2**62
+        got = saved(answers(asks, lambda parts, hot=hot: _count_answer(parts, hot), f"parts{level}"), "answers")
+        known = known.join(got, "chunk", "left")
+        if not got.where(F.exists(f"parts{level}", lambda x: F.contains(x["data"], F.lit(b"\x02")))).limit(1).count():
+            break
+        asks = chunk_rows(lambda c: _asks(c.pending, scheme, ask_buckets, bits))
 
     def compare(parts: list[bytes]) -> list[bytes]:
-        sent = [open_sent(x, scheme.with_text, scheme.width) for x in parts]
-        return [struct.pack("<q", len(bits)) + np.packbits(bits).tobytes() for bits in scheme.compare(sent)]
+        return [struct.pack("<q", len(x)) + np.packbits(x).tobytes() for x in compare_runs([open_sent(x) for x in parts], scheme)]
 
-    second = _answers(known.mapInArrow(send, "chunk long, bucket int, data binary"), compare).select("chunk", F.col("parts").alias("bits"))
-    is_hot = F.exists("parts", lambda x: F.contains(x["data"], F.lit(b"\x02")))
-    hot = _hot_rows(known, scheme) if first.where(is_hot).limit(1).count() else None
-    whole = known.join(saved(second, "bits"), "chunk", "left")
-    whole = whole.join(hot, "chunk", "left") if hot is not None else whole.withColumn("starts", F.lit(None).cast("array<long>"))
+    second = saved(answers(chunk_rows(lambda c: c.sends(send_buckets)), compare, "bits"), "bits")
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                c = Chunk(scheme, row["body"], row["parts"])
-                yield finish(c, c.removed(row["bits"], row["starts"]))
-
-    return whole.mapInArrow(end, schema)
+                c = Chunk(scheme, row, bits)
+                yield finish(c, c.removed(row["bits"]))
 
+    return known.join(second, "chunk", "left").mapInArrow(end, schema)

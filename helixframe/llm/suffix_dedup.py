@@ -1,20 +1,23 @@
 """Suffix-array dedup by merging Burrows-Wheeler transforms.
 
 Byte strings of 100 that occur before are removed. Anchors (repeats.py) bring all places of a repeated string to one
-bucket, as runs: pieces of text of at most 168 bytes. Equal runs are one to begin with. Of the others a bucket makes
-shards; a shard sorts its own suffixes once and keeps its Burrows-Wheeler transform. Shards are merged by interleave
-refinement: a pass sends each place of the interleave to the bucket of the symbol before it, which sorts the interleave by
-one symbol more, without comparing suffixes again. Blocks that a pass does not cut share that many symbols, so the blocks
-of the last pass are the repeated intervals.
+bucket, as runs: pieces of text of at most 168 bytes. Equal runs are one to begin with. The others form shards, one for
+each chunk of the corpus that sent some; a shard's suffixes are sorted once, which gives its Burrows-Wheeler transform.
+All shards are merged by interleave refinement: a pass sends each place of the interleave to the bucket of the symbol
+before it, which sorts the interleave by one symbol more, without comparing suffixes again. A boundary that appears
+between two places in pass p says that their common prefix has p - 1 symbols; places whose common prefix is the whole
+window are the repeated intervals.
 
-A symbol is a gram of 25 bytes, and a text is the 25 strings of grams that begin at its first 25 bytes, so that every byte
-still begins one suffix and four passes make 100 bytes. The bytes of an interval are compared at the end.
+A symbol is a gram of `gram` bytes (25, so that four passes make 100; any divisor of the width will do), and a text is the
+strings of grams that begin at its first bytes, so that every byte still begins one suffix. Grams are numbered by their
+bytes' hashes, and the bytes of an interval are compared at the end.
 
 A byte is removed if a string over it also starts earlier (smaller doc_id, or same document and earlier start); strings are
 judged on the input. Of documents with one doc_id, the texts' hashes make the order.
 
 Nulls: a null text is empty; a null doc_id sorts after all others. Rows of equal doc_id and text are one document, so
-repeated rows have equal results. Texts of under 100 bytes keep everything. An empty table gives an empty one.
+repeated rows have equal results. Texts of under 100 bytes keep everything; very long ones are a chunk of their own. Other
+columns of the input are not read, or kept as they are. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import BYTE_VALUE, LAST_ID, gram_hash, prefix_hash, saved
+from helixframe.llm.common import BYTE_VALUE, LAST_ID, Numbers, gram_hash, prefix_hash, saved
 from helixframe.llm.repeats import Chunk, Scheme, _inner, repeated_tokens
 
 
@@ -34,10 +37,9 @@ def byte_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return BYTE_VALUE[np.frombuffer(b"".join(texts), np.uint8)], np.array([*map(len, texts)], np.int64)
 
 
-def exact_counts(asked: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([t for _, t in asked]), len(keys)).astype(np.int64)
-    return np.split(total[inverse], np.cumsum([len(k) for k, _ in asked])[:-1])
+def byte_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(len(data) + 1)
+    return at[:-1], at[1:]
 
 
 class Symbols:
@@ -69,115 +71,68 @@ class Symbols:
         return s
 
 
-def shard_order(symbols: Symbols, members: np.ndarray, depth: int) -> np.ndarray:
-    """A shard's suffixes sorted by their first `depth` symbols."""
-    return members[np.lexsort([symbols.nth(k)[members] for k in reversed(range(depth))])]
+def shard_orders(symbols: Symbols, bounds: list[int], depth: int) -> list[np.ndarray]:
+    """The suffixes from each bound to the next, a shard's, sorted by their first `depth` symbols."""
+    nth = [symbols.nth(k) for k in reversed(range(depth))]
+    return [a + np.lexsort([x[a:b] for x in nth]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def merge_shards(symbols: Symbols, orders: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes, block): all suffixes in the order of their first `depth` symbols, and the number of the block of suffixes
-    that share these, found by refining the interleave of the shards."""
-    transforms = [symbols.before[x] for x in orders]
-    shard = np.repeat(np.arange(len(orders), dtype=np.uint8), [*map(len, orders)])
+    """(suffixes, common): all suffixes in the order of their first `depth` symbols, and how many symbols each has in common
+    with the one before it, `depth` at most; found by refining the interleave of the shards' transforms."""
+    sizes = [*map(len, orders)]
+    transforms = symbols.before[np.concatenate(orders)]
+    shard = np.repeat(np.arange(len(orders), dtype=np.uint16 if len(orders) < 2**16 else np.int64), sizes)
     block = np.zeros(len(shard), np.int64)
-    for _ in range(depth):
+    common = np.full(len(shard), depth)
+    common[:1] = 0
+    for done in range(depth):
+        # Each shard's transform is read from its begin to its end, in the order in which the interleave takes from it.
         comes = np.empty(len(shard), np.int32)
-        for b, transform in enumerate(transforms):
-            comes[shard == b] = transform
+        comes[np.argsort(shard, kind="stable")] = transforms
         to = np.argsort(comes, kind="stable")
         shard, symbol, block = shard[to], comes[to], block[to]
+        # An end of a string is alike no other symbol, nor another end as far as what follows is concerned.
         cut = (symbol[1:] != symbol[:-1]) | ((block[1:] != block[:-1]) & (symbol[1:] > 0))
+        common[1:][cut] = np.minimum(common[1:][cut], done)
         block = np.r_[0, np.cumsum(cut)]
     suffixes = np.empty(len(shard), np.int64)
-    for b, order in enumerate(orders):
-        suffixes[shard == b] = order
-    return suffixes, block
+    suffixes[np.argsort(shard, kind="stable")] = np.concatenate(orders)
+    return suffixes, common
 
 
-def repeated_windows(data: np.ndarray, sizes: np.ndarray, width: int, q: int, shards: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, place, group) of the windows that occur more than once in the strings; equal windows have equal groups."""
+def repeated_windows(data: np.ndarray, sizes: np.ndarray, shards: np.ndarray, width: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, place, group) of the windows that occur more than once in the strings, which are in the order of their
+    shards; equal windows have equal groups."""
     symbols = Symbols(data, sizes, q)
     depth = width // q
-    bounds = np.linspace(0, len(sizes), shards + 1).astype(int)
     where = np.r_[0, np.cumsum(sizes + 1)]
-    orders = [shard_order(symbols, np.arange(where[a], where[b]), depth) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    suffixes, block = merge_shards(symbols, orders, depth)
+    bounds = where[np.r_[0, np.flatnonzero(np.diff(shards)) + 1, len(shards)]].tolist()
+    suffixes, common = merge_shards(symbols, shard_orders(symbols, bounds, depth), depth)
+    group = np.cumsum(common < depth)
     long = symbols.place[suffixes] + width <= sizes[symbols.string[suffixes]]
-    suffixes, block = suffixes[long], block[long]
-    _, group, times = np.unique(block, return_inverse=True, return_counts=True)
+    suffixes, group = suffixes[long], group[long]
+    _, group, times = np.unique(group, return_inverse=True, return_counts=True)
     more = times[group] > 1
     suffixes, group = suffixes[more], group[more]
     if len(suffixes):  # the intervals' bytes
         start = symbols.byte[suffixes]
         first = np.r_[True, group[1:] != group[:-1]]
         lead = start[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        span = np.arange(width)
         for at in range(0, len(start), 50_000):
-            span = np.arange(width)
             if not np.array_equal(data[start[at : at + 50_000, None] + span], data[lead[at : at + 50_000, None] + span]):
-                strings = {}
-                group = np.array([strings.setdefault(data[x : x + width].tobytes(), len(strings)) for x in start.tolist()])
+                strings = Numbers()
+                group = np.array([strings[data[x : x + width].tobytes()] for x in start.tolist()])
                 break
     return symbols.string[suffixes], symbols.place[suffixes], group
 
 
-def windows_before(sent: list[dict], width: int = 100, q: int = 25, most: int = 250_000) -> list[np.ndarray]:
-    """A bit for each window that also starts earlier, for each sender's runs."""
-    cat = {k: np.concatenate([x[k] for x in sent]) for k in ("anchor", "whole", "id", "tie", "start", "number")}
-    data = np.concatenate([x["bytes"] for x in sent])
-    sizes = cat["number"] + (width - 1)
-    offset = np.cumsum(sizes) - sizes
-    first_bit = np.cumsum(cat["number"]) - cat["number"]
-    bits = np.zeros(cat["number"].sum(), np.uint8)
-    # Equal runs: the earliest stands for all.
-    order = np.lexsort((cat["start"], cat["tie"], cat["id"], cat["number"], cat["whole"], cat["anchor"]))
-    s = {k: v[order] for k, v in cat.items()}
-    new = np.r_[True, (s["anchor"][1:] != s["anchor"][:-1]) | (s["whole"][1:] != s["whole"][:-1]) | (s["number"][1:] != s["number"][:-1])]
-    lead = order[new]
-    lead_of = lead[np.cumsum(new) - 1]
-    twin = np.ones(len(order), bool)
-    for k in ("id", "tie", "start"):
-        twin &= s[k] == cat[k][lead_of]
-    late = order[~twin]
-    bits[np.repeat(first_bit[late], cat["number"][late]) + _inner(cat["number"][late])] = 1
-    # Anchors with several runs: their runs, some anchors at a time.
-    a = cat["anchor"][lead]
-    fresh = np.r_[True, a[1:] != a[:-1]]
-    each = np.diff(np.r_[np.flatnonzero(fresh), len(a)])
-    several = lead[(each > 1)[np.cumsum(fresh) - 1]]
-    a = cat["anchor"][several]
-    total = np.cumsum(sizes[several])
-    cuts, at = [], 0
-    last_of = np.r_[np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)] if len(a) else np.empty(0, np.int64)
-    while at < len(a):
-        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right"))
-        end = int(last_of[min(np.searchsorted(last_of, max(end, at + 1)), len(last_of) - 1)])
-        cuts.append((at, end))
-        at = end
-    for at, end in cuts:
-        own = several[at:end]
-        text = data[np.repeat(offset[own], sizes[own]) + _inner(sizes[own])]
-        string, place, group = repeated_windows(text, sizes[own], width, q)
-        if not len(string):
-            continue
-        run = own[string]
-        when = (cat["start"][run] + place, cat["tie"][run], cat["id"][run])
-        by = np.lexsort((*when, group))
-        g = group[by]
-        start = np.r_[True, g[1:] != g[:-1]]
-        lead_at = by[start][np.cumsum(start) - 1]
-        after = np.zeros(len(by), bool)
-        for x in when:
-            after |= x[by] != x[lead_at]
-        bits[(first_bit[run] + place)[by][after]] = 1
-    # Twins have their lead's bits.
-    same = order[twin & (order != lead_of)]
-    to = lead_of[twin & (order != lead_of)]
-    bits[np.repeat(first_bit[same], cat["number"][same]) + _inner(cat["number"][same])] = bits[np.repeat(first_bit[to], cat["number"][to]) + _inner(cat["number"][to])]
-    return np.split(bits, np.cumsum([x["number"].sum() for x in sent])[:-1])
-
-
 def scheme(width: int = 100, q: int = 25, k: int = 32) -> Scheme:
-    return Scheme(byte_tokens, width, k, False, exact_counts, lambda sent: windows_before(sent, width, q), with_text=True, chunk_bytes=1_000_000, bucket_bytes=8_000_000)
+    def alike(texts: list[bytes], numbers: np.ndarray, shards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return repeated_windows(np.frombuffer(b"".join(texts), np.uint8), numbers + (width - 1), shards, width, q)
+
+    return Scheme(byte_tokens, byte_spans, width, k, False, alike, chunk_bytes=1_000_000, bucket_bytes=8_000_000, piece_bytes=250_000)
 
 
 def _finish(chunk: Chunk, removed: np.ndarray) -> pa.RecordBatch:

@@ -95,7 +95,7 @@ def brute_bytes(rows, width=100):
 
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_repeats_like_brute_force(spark, docs, hot, monkeypatch):
-    # Small slices: runs meet across chunks; hot=1 sends every repeated anchor through the aggregation.
+    # hot=1 asks about every repeated anchor with longer keys.
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     for module, brute, one in ((substring_dedup, brute_words, substring_dedup.dedup_substrings), (suffix_dedup, brute_bytes, suffix_dedup.dedup_bytes)):
         scheme = module.scheme()
@@ -105,6 +105,61 @@ def test_repeats_like_brute_force(spark, docs, hot, monkeypatch):
         assert rows_of(one(docs).select(*names)) == brute(rows)
 
 
+def thue_morse(n, a="a", b="b"):
+    """Words whose polynomial hashes modulo 2^64 agree, whatever the base."""
+    return "".join((a, b)[k.bit_count() & 1] for k in range(n)), "".join((b, a)[k.bit_count() & 1] for k in range(n))
+
+
+def test_unlike_words_are_never_taken_for_equal(spark):
+    one, two = thue_morse(2048)
+    words = [f"w{i}" for i in range(59)]
+    texts = [" ".join([*words[:30], x, *words[30:]]) for x in (one, two)] + [one * 2, two + one, "x " * 3 + one]
+    rows = [(i * 5, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256"))
+    assert got == brute_words(rows) and got[0][2] == 0 and all(r[2] == 0 for r in got)
+    assert rows_of(suffix_dedup.dedup_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_bytes(rows)
+    # In lm, a word that is only in the held-out rows is unknown.
+    held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
+    scored = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame([(held, two), *((i, one) for i in range(50) if zlib.crc32(str(i).encode()) % 5 != 1)], "doc_id long, text string")).collect()}
+    assert scored[held].n_known == 1 and scored[held].n_tokens == 2
+
+
+def test_forced_hash_collisions_change_nothing(spark, docs, monkeypatch):
+    """Hashes only propose: with hashes of a few bits the results are the same."""
+    r = random.Random(2)
+    texts = [bytes(r.choices(b"ab", k=140)) for _ in range(30)]
+    numbers = np.full(30, 41)
+    shards = np.repeat(np.arange(6), 5)
+    want = suffix_dedup.repeated_windows(np.frombuffer(b"".join(texts), np.uint8), numbers + 99, shards, 100, 25)
+    words = [" ".join(r.choices("abc", k=14)).encode() for _ in range(40)]
+    right = substring_dedup.alike_words(words, np.full(40, 9), 6)
+    weak = lambda prefix, k, base=0: (suffix_dedup_gram(prefix, k, base) & np.uint64(3))
+    suffix_dedup_gram = suffix_dedup.gram_hash
+    monkeypatch.setattr(suffix_dedup, "gram_hash", weak)
+    monkeypatch.setattr(substring_dedup, "gram_hash", weak)
+    sets = lambda found: sorted(sorted(zip(*(x[found[2] == g].tolist() for x in found[:2]), strict=True)) for g in np.unique(found[2]))
+    more = lambda groups: [g for g in groups if len(g) > 1]
+    assert more(sets(suffix_dedup.repeated_windows(np.frombuffer(b"".join(texts), np.uint8), numbers + 99, shards, 100, 25))) == sets(want)
+    assert more(sets(substring_dedup.alike_words(words, np.full(40, 9), 6))) == sets(right)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 2**63), min_size=1, max_size=200, unique=True), st.integers(0, 3))
+def test_merged_sketches_never_underestimate(keys, seed):
+    r = np.random.default_rng(seed)
+    keys = np.sort(np.array(keys, np.uint64))
+    true, merged = Counter(), [Counter(), Counter()]
+    for _ in range(4):
+        own = keys[r.random(len(keys)) < 0.5]
+        true.update(own.tolist())
+        for row, (cell, held) in enumerate(repeats.counters(own, np.ones(len(own), np.int64), 2, 6)):
+            for c, n in zip(cell.tolist(), held.tolist(), strict=True):
+                merged[row][c] += n
+    for k in keys:
+        assert min(merged[row][int(repeats.cells(np.array([k]), row, 6)[0])] for row in range(2)) >= true[int(k)]
+
+
 def test_repeats_on_given_tables(spark):
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
     assert rows_of(substring_dedup.op3_substring_dedup(spark, SF)) == brute_words(rows)
@@ -116,11 +171,13 @@ def test_repeats_of_nothing(none):
     assert suffix_dedup.dedup_bytes(none).count() == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("ab", min_size=8, max_size=40), min_size=1, max_size=8))
-def test_merged_transforms_find_all_repeated_windows(texts):
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    string, place, group = suffix_dedup.repeated_windows(data, np.array([*map(len, texts)]), 8, 2, shards=min(3, len(texts)))
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=8, max_size=40), min_size=1, max_size=8), st.sampled_from([1, 2, 4, 8]), st.data())
+def test_merged_transforms_find_all_repeated_windows(texts, q, data):
+    bytes_ = np.frombuffer("".join(texts).encode(), np.uint8)
+    sizes = np.array([*map(len, texts)])
+    shards = np.sort(np.array(data.draw(st.lists(st.integers(0, 3), min_size=len(texts), max_size=len(texts)))))
+    string, place, group = suffix_dedup.repeated_windows(bytes_, sizes, shards, 8, q)
     found = defaultdict(set)
     for s, p, g in zip(string.tolist(), place.tolist(), group.tolist(), strict=True):
         found[g].add((s, p))
@@ -129,15 +186,15 @@ def test_merged_transforms_find_all_repeated_windows(texts):
         for p in range(len(t) - 7):
             want[t[p : p + 8]].add((s, p))
     assert sorted(map(sorted, found.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
-
-
-def test_sketch_never_underestimates():
-    r = np.random.default_rng(1)
-    asked = [(np.unique(r.integers(0, 500, 300).astype(np.uint64)), None) for _ in range(5)]
-    asked = [(k, np.ones(len(k), np.uint8)) for k, _ in asked]
-    true = Counter(k for keys, _ in asked for k in keys.tolist())
-    for (keys, _), got in zip(asked, substring_dedup.sketch_estimates(asked, load=4.0), strict=True):
-        assert all(g >= true[k] for k, g in zip(keys.tolist(), got.tolist(), strict=True))
+    # With symbols of one byte, what neighbours have in common is the longest common prefix.
+    symbols = suffix_dedup.Symbols(bytes_, sizes, 1)
+    where = np.r_[0, np.cumsum(sizes + 1)]
+    bounds = where[np.r_[0, np.flatnonzero(np.diff(shards)) + 1, len(shards)]].tolist()
+    suffixes, common = suffix_dedup.merge_shards(symbols, suffix_dedup.shard_orders(symbols, bounds, 8), 8)
+    rest = [texts[symbols.string[x]][symbols.place[x] :] for x in suffixes.tolist()]
+    for a, b, n in zip(rest, rest[1:], common[1:].tolist(), strict=False):
+        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert n == min(8, same) or (n > same and not a[same:] and not b[same:])
 
 
 def test_long_texts_are_hashed_like_short_ones():
