@@ -1,26 +1,31 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is an interpolated bigram model of words. Its automaton has a state per word, reached by it; an arc for each
-bigram that was seen in training carries its smoothed probability; a failure arc, taken where there is none, carries the
-weight that the state keeps for what it has not seen, and leads to the empty state, whose arcs are all words, by absolute
-discounting, the discounts going to the one unknown word.
+The model is a smoothed trigram model of words. Its automaton has an empty state, a state for each word and one for each
+bigram that training texts have `least_seen` times or more. An arc leaves a state for each word that was seen after it,
+carries the smoothed log-probability, and leads to the longest state that then ends the history. Where a state has no arc
+for a word, its failure arc is taken: it carries the weight that the state leaves to what it has not seen, and leads to
+the next shorter state. The empty state has an arc for every training word and one for all unknown words together.
 
-The automaton of a large corpus fits nowhere whole, so each chunk of documents gets the part that its texts can reach:
+With c(..) for training counts, N and V for training tokens and distinct ones, D = 0.75, and h a word, gh a bigram:
 
-1. A chunk counts its words and bigrams by hash and asks the hash range (bucket) of each; a bucket adds the training counts
-   of all chunks up and answers with them. What is shuffled grows with the corpus; a chunk asks once per distinct gram.
-2. From the answers a chunk has its states' arcs and failure weights, and its texts are traversed from left to right, the
-   state carried from token to token, an arc or the failure arc taken at each, and log-probabilities added up.
+    empty state:  P(w) = (c(w) - D) / N, and D V / N for unknown words
+    state h:      P(w | h) = (c(hw) + M2 P(w)) / (c(h) + M2),           failure weight M2 / (c(h) + M2)
+    state gh:     P(w | gh) = (c(ghw) + M3 P(w | h)) / (c(gh) + M3),    failure weight M3 / (c(gh) + M3)
 
-How much weight a state keeps for its arcs depends on how often its word was seen; for each range of counts it is chosen
-on all training texts, each bigram left out of its own counts. The sums for every choice are kept while the texts are
-traversed, so that they are read once.
+The automaton of a large corpus fits nowhere whole, so each shard of documents gets the part that its texts can reach:
 
-Word hashes have 64 bits; bigrams have 20 bits more than it takes to number the corpus's tokens.
+1. A shard numbers its words, and asks the hash range (bucket) of each; a bucket adds up what all shards count and answers
+   with the words' counts and numbers of their own. Words are compared as such, so no two are taken for one.
+2. It asks about its bigrams after words that are states, then about its trigrams after bigrams that are states. What is
+   shuffled grows with the corpus; a shard asks once per distinct gram, whatever its documents repeat.
+3. From the answers it builds states, arcs and failure arcs, for some documents at a time, and goes through each text once
+   from left to right, carries the state, and adds up log-probabilities.
+
+Bigrams and trigrams are known by 64-bit hashes of the words' numbers.
 
 Nulls: a null text is empty and has the end as its only token. A null doc_id counts as remainder 0, so it is learned from.
-Repeated rows have equal scores. Without training rows all tokens are unknown, with probability 1. An empty table gives an
-empty one.
+Repeated rows have equal scores. A very long text is a shard of its own, split into words piece by piece. Without training
+rows all tokens are unknown, with probability 1. Other columns of the input are not read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,204 +37,278 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import as_bytes, byte_size, mix, saved, slices, texts_of, word_hashes
-from helixframe.llm.repeats import buckets_for, edges, open_chunk, pack_chunk, rows_of
+from helixframe.llm.common import LAST_ID, Numbers, as_bytes, byte_size, give_back, mix, pieces_of, saved, slices, texts_of
+from helixframe.llm.repeats import answers, buckets_for, differences, edges, rows_of, squeeze, summed, unsqueeze
 
-END = np.uint64(0x5851F42D4C957F2D)
+#: The end of a text, which is no word.
+END = b"\n"
 DISCOUNT = 0.75
-#: Weights that a state may give to its arcs, tried for each range of its word's counts.
-KEEPS = (0.0, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7)
-RANGES = 8
-
-
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words and the end of each text, and how many each text has."""
-    values, counts = word_hashes([x.lower() for x in texts])
-    return np.insert(mix(values), np.cumsum(counts), END), counts + 1
-
-
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(3).compress(struct.pack(f"<{len(arrays)}q", *map(len, arrays)) + b"".join(x.tobytes() for x in arrays))
-
-
-def _open(data: bytes, *kinds) -> list[np.ndarray]:
-    body = zstandard.ZstdDecompressor().decompress(data)
-    out, at = [], 8 * len(kinds)
-    for n, kind in zip(struct.unpack_from(f"<{len(kinds)}q", body), kinds, strict=True):
-        out.append(np.frombuffer(body, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return out
-
-
-def _plane(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys as differences, byte plane by byte plane, which compress."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.ravel().copy()
-
-
-def _unplane(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(planes.reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+#: What a state's failure arc weighs, in counts: after a word, after a bigram.
+M2, M3 = 20.0, 4.0
+LEAST_SEEN = 2
+
+
+def in_training(ids: np.ndarray, null: np.ndarray, held_remainder: int) -> np.ndarray:
+    return np.array([(0 if n else zlib.crc32(str(i).encode()) % 5) != held_remainder for i, n in zip(ids.tolist(), null.tolist(), strict=True)], bool)
+
+
+class Shard:
+    """Documents as numbers of the shard's words, which are in the order of their hashes."""
+
+    def __init__(self, ids: np.ndarray, null: np.ndarray, counts: np.ndarray, word: np.ndarray):
+        self.ids, self.null, self.counts, self.word = ids, null, counts, word
+
+    @staticmethod
+    def of(ids: list, texts: Iterator[list[bytes]], buckets: int, train: np.ndarray) -> tuple[bytes, list[tuple[int, bytes]]]:
+        """The packed shard, and what it asks about its words."""
+        numbers = Numbers()
+        end = numbers[END]
+        rows, counts = [], []
+        for some in texts:
+            for text in some:
+                n = 1
+                for piece in pieces_of(text):
+                    words = piece.lower().split()
+                    rows.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                    n += len(words)
+                rows.append(np.array([end]))
+                counts.append(n)
+        words, word, counts = list(numbers), np.concatenate(rows), np.array(counts, np.int64)
+        del numbers, rows
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        word = place[word]
+        learned = np.bincount(word[np.repeat(train, counts)], minlength=len(words))
+        at = edges(hashes[order], buckets)
+        asks = []
+        for b in range(buckets):
+            i, j = at[b], at[b + 1]
+            if j > i:
+                asks.append((b, struct.pack("<q", j - i) + zstandard.ZstdCompressor(3).compress(learned[i:j].astype(np.int64).tobytes() + b" ".join(words[k] for k in order[i:j].tolist()))))
+        null = np.array([i is None for i in ids], np.int64)
+        body = squeeze(np.array([LAST_ID if i is None else i for i in ids], np.int64), null, counts, word)
+        return body, asks
+
+    @staticmethod
+    def open(body: bytes) -> Shard:
+        ids, null, counts, word = unsqueeze(body, np.int64, np.int64, np.int64, np.int64)
+        return Shard(ids, null.astype(bool), counts, word)
+
+
+def _count_words(group: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's answer to each shard: its words' training counts and numbers; and a row with chunk -1: how many distinct
+    words training texts have, and how often."""
+    numbers, asked, total = Numbers(), [], np.zeros(0, np.int64)
+    for data in group["data"]:
+        (n,) = struct.unpack_from("<q", data := bytes(data))
+        body = zstandard.ZstdDecompressor().decompress(data[8:])
+        own = np.fromiter(map(numbers.__getitem__, body[8 * n :].split(b" ")), np.int64, n)
+        total = np.r_[total, np.zeros(max(0, len(numbers) - len(total)), np.int64)]
+        total[own] += np.frombuffer(body, np.int64, n)
+        asked.append(own)
+    # Numbers that do not depend on the order in which the shards came.
+    rank = np.empty(len(total), np.int64)
+    rank[[numbers[w] for w in sorted(numbers)]] = np.arange(len(total))
+    bucket = int(group["bucket"].iloc[0])
+    rows = [(c, bucket, squeeze(total[own], rank[own] + (bucket << 40)), 0, 0) for c, own in zip(group["chunk"], asked, strict=True)]
+    give_back()
+    return pd.DataFrame([*rows, (-1, bucket, None, int((total > 0).sum()), int(total.sum()))], columns=["chunk", "bucket", "data", "v", "n"])
+
+
+def _count_grams(parts: list[bytes]) -> list[bytes]:
+    asked = [(np.cumsum(k, dtype=np.uint64), t) for k, t in (unsqueeze(x, np.uint64, np.int64) for x in parts)]
+    return [squeeze(x) for x in summed(asked)]
 
 
 class Grams:
-    """A chunk's documents, tokens, and distinct words and bigrams with the tokens' numbers among them."""
-
-    def __init__(self, body: bytes, bits: int, held_remainder: int):
-        self.null, self.ids, self.texts = open_chunk(body)
-        self.train = np.array([(0 if null else zlib.crc32(str(i).encode()) % 5) != held_remainder for i, null in zip(self.ids.tolist(), self.null.tolist(), strict=True)], bool)
-        values, self.counts = tokens(self.texts)
-        self.first = np.zeros(len(values), bool)
-        self.first[np.cumsum(self.counts) - self.counts] = True
-        self.of_train = np.repeat(self.train, self.counts)
-        self.words, self.word = np.unique(values, return_inverse=True)
-        self.pair_at = np.flatnonzero(~self.first)
-        pair = mix(values[self.pair_at - 1] * np.uint64(0x9E3779B97F4A7C15) + values[self.pair_at]) >> np.uint64(64 - bits)
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
-
-    def asks(self, buckets: int, bits: int) -> Iterator[tuple[int, bytes]]:
-        learned = np.bincount(self.word[self.of_train], minlength=len(self.words)).astype(np.uint32)
-        learned_pairs = np.bincount(self.pair[self.of_train[self.pair_at]], minlength=len(self.pairs)).astype(np.uint32)
-        w, p = edges(self.words, buckets), edges(self.pairs << np.uint64(64 - bits), buckets)
+    """What a shard knows of its grams after so many answers. at2, at3: tokens that end a bigram after a word's state, or
+    a trigram after a bigram's; pair, triple: the grams' numbers among the shard's; their keys and counts."""
+
+    def __init__(self, row: dict, held_remainder: int):
+        s = self.shard = Shard.open(row["body"])
+        self.train = in_training(s.ids, s.null, held_remainder)
+        got = [unsqueeze(bytes(x["data"]), np.int64, np.int64) for x in row["words"] or []]
+        self.count, number = (np.concatenate([x[k] for x in got] or [np.empty(0, np.int64)]) for k in (0, 1))
+        self.number = number.view(np.uint64)
+        self.of_train = np.repeat(self.train, s.counts)
+        self.place = np.arange(len(s.word)) - np.repeat(np.cumsum(s.counts) - s.counts, s.counts)
+        own = self.count[s.word]
+        self.at2 = np.flatnonzero((self.place >= 1) & (own > 0) & (np.r_[0, own[:-1]] >= LEAST_SEEN))
+        self.keys2, self.pair = np.unique(self._key(self.number[s.word[self.at2 - 1]], self.at2), return_inverse=True)
+        if "pairs" not in row:
+            return
+        self.count2 = self._counts(row["pairs"], len(self.keys2))
+        seen = np.zeros(len(s.word), np.int64)
+        seen[self.at2] = self.count2[self.pair]
+        self.pair_of = np.full(len(s.word), -1)
+        self.pair_of[self.at2] = self.pair
+        self.at3 = np.flatnonzero((self.place >= 2) & (seen > 0) & (np.r_[0, seen[:-1]] >= LEAST_SEEN))
+        self.keys3, self.triple = np.unique(self._key(self.keys2[self.pair_of[self.at3 - 1]], self.at3), return_inverse=True)
+        if "triples" in row:
+            self.count3 = self._counts(row["triples"], len(self.keys3))
+
+    def _key(self, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return mix(mix(before + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + self.number[self.shard.word[at]])
+
+    @staticmethod
+    def _counts(parts: list[dict] | None, n: int) -> np.ndarray:
+        got = np.concatenate([np.empty(0, np.int64), *(unsqueeze(bytes(x["data"]), np.int64)[0] for x in parts or [])])
+        assert len(got) == n, "an answer is missing"
+        return got
+
+    def asks(self, buckets: int, triples: bool) -> Iterator[tuple[int, bytes]]:
+        keys, gram, at = (self.keys3, self.triple, self.at3) if triples else (self.keys2, self.pair, self.at2)
+        learned = np.bincount(gram[self.of_train[at]], minlength=len(keys)).astype(np.int64)
+        to = edges(keys, buckets)
         for b in range(buckets):
-            if w[b + 1] > w[b] or p[b + 1] > p[b]:
-                i, j = slice(w[b], w[b + 1]), slice(p[b], p[b + 1])
-                yield b, _squeeze(_plane(self.words[i]), learned[i], _plane(self.pairs[j]), learned_pairs[j])
-
-
-def _add_up(group: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's answer to each chunk: the training counts of what it asked for; and a row with chunk -1: how many
-    distinct words it saw in training, and how often."""
-    asked = [_open(bytes(x), np.uint8, np.uint32, np.uint8, np.uint32) for x in group["data"]]
-
-    def total(planes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        keys = [_unplane(x) for x in planes]
-        known, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, np.concatenate(counts), len(known)).astype(np.uint32)
-        return np.split(sums[at], np.cumsum([*map(len, keys)])[:-1]), sums
+            if to[b + 1] > to[b]:
+                yield b, squeeze(differences(keys[to[b] : to[b + 1]]), learned[to[b] : to[b + 1]])
 
-    words, sums = total([x[0] for x in asked], [x[1] for x in asked])
-    pairs, _ = total([x[2] for x in asked], [x[3] for x in asked])
-    rows = [(c, b, _squeeze(w, p), 0, 0) for c, b, w, p in zip(group["chunk"], group["bucket"], words, pairs, strict=True)]
-    return pd.DataFrame([*rows, (-1, int(group["bucket"].iloc[0]), None, int((sums > 0).sum()), int(sums.sum()))], columns=["chunk", "bucket", "data", "v", "n"])
 
+class Automaton:
+    """The part of the automaton that the tokens from `start` to `end` of a shard can reach. State 0 is the empty one, then
+    come those of the shard's words and bigrams."""
+
+    def __init__(self, g: Grams, n: int, v: int, start: int, end: int):
+        words, word = len(g.count), g.shard.word
+        self.words = words
+        p1 = np.where(g.count > 0, (g.count - DISCOUNT) / n, DISCOUNT * v / n) if n > 0 else np.ones(words)
+        self.empty = np.log10(p1).tolist()
+        is_state = g.count >= LEAST_SEEN
+        self.home = np.where(is_state, np.arange(words) + 1, 0).tolist()
+
+        def some(at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The grams that end in [start, end), and where each does."""
+            i, j = np.searchsorted(at, [start, end])
+            own, first = np.unique(gram[i:j], return_index=True)
+            return own, at[i + first]
+
+        pairs, at = some(g.at2, g.pair)
+        h, w = word[at - 1], word[at]
+        p2 = (g.count2[pairs] + M2 * p1[w]) / (g.count[h] + M2)
+        pair_state = np.where(g.count2[pairs] >= LEAST_SEEN, 1 + words + pairs, np.where(is_state[w], w + 1, 0))
+        seen = g.count2[pairs] > 0
+        keys, logs, to = [((h + 1) * words + w)[seen]], [np.log10(p2[seen])], [pair_state[seen]]
+        triples, at = some(g.at3, g.triple)
+        before, last = g.pair_of[at - 1], g.pair_of[at]
+        p3 = (g.count3[triples] + M3 * p2[np.searchsorted(pairs, last)]) / (g.count2[before] + M3)
+        seen = g.count3[triples] > 0
+        keys.append(((1 + words + before) * words + word[at])[seen])
+        logs.append(np.log10(p3[seen]))
+        to.append(pair_state[np.searchsorted(pairs, last)][seen])
+        self.arcs = dict(zip(np.concatenate(keys).tolist(), zip(np.concatenate(logs).tolist(), np.concatenate(to).tolist(), strict=True), strict=True))
+        # Failure arcs: of bigrams to their last words, of words to the empty state.
+        deep = g.count2[pairs] >= LEAST_SEEN
+        states = 1 + words + pairs[deep]
+        self.fail = dict(zip(states.tolist(), zip(np.log10(M3 / (g.count2[pairs[deep]] + M3)).tolist(), (w[deep] + 1).tolist(), strict=True), strict=True))
+        known = np.unique(word[start:end])
+        known = known[is_state[known]]
+        self.fail |= dict(zip((known + 1).tolist(), zip(np.log10(M2 / (g.count[known] + M2)).tolist(), [0] * len(known), strict=True), strict=True))
+
+    def traverse(self, tokens: list[int]) -> float:
+        """The log10 probability of a text, in one go from left to right."""
+        arcs, fail, words, state, total = self.arcs, self.fail, self.words, 0, 0.0
+        for token in tokens:
+            while state:
+                arc = arcs.get(state * words + token)
+                if arc is not None:
+                    total += arc[0]
+                    state = arc[1]
+                    break
+                weight, state = fail[state]
+                total += weight
+            else:
+                total += self.empty[token]
+                state = self.home[token]
+        return total
+
+
+def score_shard(g: Grams, n: int, v: int, most: int = 200_000) -> list[float]:
+    """The documents' scores; an automaton serves so many tokens, or one longer document."""
+    counts, word = g.shard.counts.tolist(), g.shard.word
+    out: list[float] = []
+    at = start = first = 0
+    for k, size in enumerate([*counts, None]):
+        if size is None or (at > start and at + size - start > most):
+            model, x = Automaton(g, n, v, start, at), start
+            for c in counts[first:k]:
+                out.append(model.traverse(word[x : x + c].tolist()))
+                x += c
+            start, first = at, k
+        at += size or 0
+    return out
 
-def word_probability(count: np.ndarray, n: int, v: int) -> np.ndarray:
-    """The empty state's arcs: absolute discounting, all discounts to the unknown word."""
-    if n <= 0:
-        return np.ones(len(count))
-    return np.where(count > 0, (count - DISCOUNT) / n, DISCOUNT * v / n)
 
+def score_texts(docs: DataFrame, held_remainder: int = 1, shard_bytes: int = 16_000_000) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per document."""
+    docs = texts_of(docs)
+    size = max(64, byte_size(docs))
+    buckets = buckets_for(size / 6, 1_500_000)
+    message = "chunk long, bucket int, data binary"
 
-def ranges_of(seen: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(seen, 1)).astype(np.int64) // 3, RANGES - 1)
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        bytes_held = 0
 
+        def flush() -> pa.RecordBatch:
+            ids = [i for part in held for i in part.column("doc_id").to_pylist()]
+            train = in_training(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids]), held_remainder)
+            body, asks = Shard.of(ids, (as_bytes(part.column("text")) for part in held), buckets, train)
+            give_back()
+            return pa.RecordBatch.from_arrays([pa.array([number] * (1 + len(asks)), pa.int64()), pa.array([-1, *(b for b, _ in asks)], pa.int32()), pa.array([body, *(x for _, x in asks)], pa.binary())], ["chunk", "bucket", "data"])
 
-class Automaton:
-    """The part of the automaton that a chunk's texts can reach."""
-
-    def __init__(self, grams: Grams, parts: list[dict] | None, n: int, v: int):
-        got = [_open(bytes(x["data"]), np.uint32, np.uint32) for x in parts or []]
-        self.grams, self.n, self.v = grams, n, v
-        self.word_count = np.concatenate([x[0] for x in got] or [np.empty(0, np.uint32)]).astype(np.int64)
-        self.pair_count = np.concatenate([x[1] for x in got] or [np.empty(0, np.uint32)]).astype(np.int64)
-
-    def known(self) -> np.ndarray:
-        return self.word_count[self.grams.word]
-
-    def traverse(self, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(lower, share, seen, at). lower: each token's probability from the empty state; at: tokens that are read in a
-        word's state; share: their arcs' relative counts there, 0 where there is no arc; seen: the state's count. The state
-        before a token is its preceding word, so all positions are followed together. less=1 leaves each token out."""
-        g = self.grams
-        lower = word_probability(np.maximum(self.known() - less, 0), self.n - less, self.v)
-        seen = np.maximum(self.known()[g.pair_at - 1] - less, 0)
-        arc = np.maximum(self.pair_count[g.pair] - less, 0)
-        has = seen > 0
-        return lower, arc[has] / seen[has], seen[has], g.pair_at[has]
-
-    def sums(self, group: np.ndarray, groups: int, less: int = 0, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of log10 probabilities by group of tokens: (groups,) of tokens read in the empty state, and
-        (groups, RANGES, KEEPS) of those read in a word's state, for every weight that the state may keep."""
-        lower, share, seen, at = self.traverse(less)
-        plain = np.ones(len(lower), bool)
-        plain[at] = False
-        if only is not None:
-            plain &= only
-            keep = only[at]
-            share, seen, at = share[keep], seen[keep], at[keep]
-        own = np.flatnonzero(plain)
-        fixed = np.bincount(group[own], np.log10(lower[own]), groups)
-        cell = group[at] * RANGES + ranges_of(seen)
-        by = np.empty((groups, RANGES, len(KEEPS)))
-        for i, keep in enumerate(KEEPS):
-            by[:, :, i] = np.bincount(cell, np.log10(keep * share + (1 - keep) * lower[at]), groups * RANGES).reshape(groups, RANGES)
-        return fixed, by
-
-
-def _bodies(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, 4_000_000):
-                body = pack_chunk(part.column("doc_id"), as_bytes(part.column("text")))
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([body], pa.binary())], ["chunk", "body"])
-                number += 1
+                held.append(part)
+                bytes_held += part.nbytes
+                if bytes_held >= shard_bytes:
+                    yield flush()
+                    number, held, bytes_held = number + 1, [], 0
+        if held:
+            yield flush()
 
-    return docs.mapInArrow(run, "chunk long, body binary")
+    table = saved(docs.mapInArrow(shards, message), "shards", "uncompressed")
+    counted = table.where("bucket >= 0").groupBy("bucket").applyInPandas(_count_words, f"{message}, v long, n long")
+    counted = saved(counted, "words", "uncompressed")
+    v, n = counted.where("chunk = -1").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    words = counted.where("chunk >= 0").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("words"))
+    known = table.where("bucket = -1").select("chunk", F.col("data").alias("body")).join(words, "chunk", "left")
 
+    for name in ("pairs", "triples"):
 
-def score_texts(docs: DataFrame, held_remainder: int = 1) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per document."""
-    docs = texts_of(docs)
-    size = max(64, byte_size(docs))
-    bits = min(64, int(size / 6).bit_length() + 20)
-    buckets = buckets_for(size / 6, 1_500_000)
-    bodies = saved(_bodies(docs), "texts", "uncompressed")
+        def ask(batches: Iterator[pa.RecordBatch], triples: bool = name == "triples") -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in rows_of(batch):
+                    for b, data in Grams(row, held_remainder).asks(buckets, triples):
+                        yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["chunk", "bucket", "data"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in rows_of(batch):
-                for b, data in Grams(row["body"], bits, held_remainder).asks(buckets, bits):
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["chunk", "bucket", "data"])
+        known = known.join(saved(answers(known.mapInArrow(ask, message), _count_grams, name), name, "uncompressed"), "chunk", "left")
 
-    counts = bodies.mapInArrow(ask, "chunk long, bucket int, data binary").groupBy("bucket").applyInPandas(_add_up, "chunk long, bucket int, data binary, v long, n long")
-    counts = saved(counts, "counts", "uncompressed")
-    v, n = counts.where("chunk = -1").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parts = counts.where("chunk >= 0").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("parts"))
-    known = bodies.join(parts, "chunk", "left")
-    fields = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, fixed double, kept array<double>, left_out array<double>"
+    fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                g = Grams(row["body"], bits, held_remainder)
-                model = Automaton(g, row["parts"], n, v)
-                docs_n = len(g.ids)
-                doc = np.repeat(np.arange(docs_n), g.counts)
-                fixed, by = model.sums(doc, docs_n)
-                _, left = model.sums(np.zeros(len(doc), np.int64), 1, 1, g.of_train)
-                seen = model.known()
-                base = np.bincount(doc, np.log10((seen + 0.5) / (n + 0.5 * (v + 1))), docs_n)
-                size = RANGES * len(KEEPS)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(g.ids, mask=g.null), pa.array(~g.train), pa.array(g.counts), pa.array(np.bincount(doc, seen > 0, docs_n).astype(np.int64)), pa.array(base), pa.array(fixed),
-                    pa.ListArray.from_arrays(pa.array(np.arange(docs_n + 1) * size, pa.int32()), pa.array(by.ravel())),
-                    pa.array([left.ravel().tolist()] + [None] * (docs_n - 1), pa.list_(pa.float64())),
-                ], [x.split()[0] for x in fields.split(", ")])
-
-    scored = saved(known.mapInArrow(score, fields), "scores")
-    sums = np.zeros(RANGES * len(KEEPS))
-    for r in scored.where("left_out is not null").select(F.posexplode("left_out")).groupBy("pos").agg(F.sum("col").alias("s")).collect():
-        sums[r["pos"]] = r["s"]
-    best = sums.reshape(RANGES, len(KEEPS)).argmax(1)
-    total = F.col("fixed")
-    for r in range(RANGES):
-        total = total + F.get("kept", F.lit(int(r * len(KEEPS) + best[r])))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", total.alias("score"))
+                g = Grams(row, held_remainder)
+                s, seen = g.shard, g.count[g.shard.word]
+                doc = np.repeat(np.arange(len(s.ids)), s.counts)
+                base = np.bincount(doc, np.log10((seen + 0.5) / (n + 0.5 * (v + 1))), len(s.ids))
+                known_tokens = np.bincount(doc, seen > 0, len(s.ids)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s.ids, mask=s.null), pa.array(~g.train), pa.array(s.counts), pa.array(known_tokens), pa.array(np.full(len(s.ids), n, np.int64)), pa.array(base), pa.array(score_shard(g, n, v), pa.float64())],
+                    [x.split()[0] for x in fields.split(", ")],
+                )
+
+    return known.mapInArrow(score, fields)
 
 
 def op5_language_model(spark, sf_dir: str) -> DataFrame:

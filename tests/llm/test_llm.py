@@ -457,15 +457,27 @@ def test_language_model_like_brute_force(spark, docs, none):
     assert len(got) == len(rows) and {r.train_tokens for r in got} == {n}
     want = sorted((len(w), sum(count[x] > 0 for x in w), round(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6)) for _, w in rows)
     assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    word = lambda x: (count[x] - lm.DISCOUNT) / n if count[x] else lm.DISCOUNT * v / n
-    # Some choice of weights explains every score.
-    assert sum(word(x) for x in count) + word("?") == pytest.approx(1)
-    for r, (i, w) in ((r, x) for r in got for x in rows if r.doc_id == x[0] and len(x[1]) == r.n_tokens):
-        low = high = math.log10(word(w[0]))
-        for a, b in zip(w, w[1:], strict=False):
-            each = [math.log10(k * (pairs[a, b] / count[a]) + (1 - k) * word(b)) if count[a] else math.log10(word(b)) for k in lm.KEEPS]
-            low, high = low + min(each), high + max(each)
-        assert low - 1e-6 <= r.score <= high + 1e-6
+    triples = Counter(p for w in train for p in zip(w, w[1:], w[2:], strict=False))
+
+    def one(x):
+        return (count[x] - lm.DISCOUNT) / n if count[x] else lm.DISCOUNT * v / n
+
+    def two(h, x):
+        return (pairs[h, x] + lm.M2 * one(x)) / (count[h] + lm.M2) if count[h] >= 2 else one(x)
+
+    def three(g, h, x):
+        return (triples[g, h, x] + lm.M3 * two(h, x)) / (pairs[g, h] + lm.M3) if pairs[g, h] >= 2 else two(h, x)
+
+    def score(w):
+        p = [one(w[0]), *(two(w[0], x) for x in w[1:2]), *(three(*t) for t in zip(w, w[1:], w[2:], strict=False))]
+        return sum(map(math.log10, p))
+
+    everything = [*count, "never seen"]
+    assert sum(map(one, everything)) == pytest.approx(1)
+    for (g, h), c in pairs.most_common(5):
+        assert sum(two(h, x) for x in everything) == pytest.approx(1) and c >= 2 and sum(three(g, h, x) for x in everything) == pytest.approx(1)
+    assert sorted((r.n_tokens, round(r.score, 6)) for r in got) == sorted((len(w), round(score(w), 6)) for _, w in rows)
+    assert sorted((r.n_tokens, round(r.score, 6)) for r in lm.score_texts(docs, shard_bytes=2000).collect()) == sorted((r.n_tokens, round(r.score, 6)) for r in got)
     assert lm.score_texts(none).count() == 0
     held = [r for r in lm.op5_language_model(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
