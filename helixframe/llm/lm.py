@@ -6,11 +6,12 @@ carries the smoothed log-probability, and leads to the longest state that then e
 for a word, its failure arc is taken: it carries the weight that the state leaves to what it has not seen, and leads to
 the next shorter state. The empty state has an arc for every training word and one for all unknown words together.
 
-With c(..) for training counts, N and V for training tokens and distinct ones, D = 0.75, and h a word, gh a bigram:
+With c(..) for training counts, N and V for training tokens and distinct ones, D = 0.75, h a word, gh a bigram, and
+K = S / (c + M) for what a state seen c times keeps, per count (S2, M2 of a word's state, S3, M3 of a bigram's):
 
     empty state:  P(w) = (c(w) - D) / N, and D V / N for unknown words
-    state h:      P(w | h) = (c(hw) + M2 P(w)) / (c(h) + M2),           failure weight M2 / (c(h) + M2)
-    state gh:     P(w | gh) = (c(ghw) + M3 P(w | h)) / (c(gh) + M3),    failure weight M3 / (c(gh) + M3)
+    state h:      P(w | h) = K c(hw) + (1 - K c(h)) P(w),             failure weight 1 - K c(h)
+    state gh:     P(w | gh) = K c(ghw) + (1 - K c(gh)) P(w | h),      failure weight 1 - K c(gh)
 
 The automaton of a large corpus fits nowhere whole, so each shard of documents gets the part that its texts can reach:
 
@@ -49,8 +50,9 @@ from helixframe.llm.repeats import answers, buckets_for, differences, edges, row
 #: The end of a text, which is no word.
 END = b"\n"
 DISCOUNT = 0.75
-#: What a state's failure arc weighs, in counts: after a word, after a bigram.
-M2, M3 = 20.0, 4.0
+#: What words' and bigrams' states keep of the probability at most, and how soon.
+S2, M2 = 0.3, 5.0
+S3, M3 = 0.7, 1.0
 LEAST_SEEN = 2
 
 
@@ -173,6 +175,11 @@ class Grams:
                 yield b, squeeze(differences(keys[to[b] : to[b + 1]]), learned[to[b] : to[b + 1]])
 
 
+def left(count: np.ndarray, share: float, soon: float) -> np.ndarray:
+    """The failure weight of states that were seen so often."""
+    return 1 - share * count / (count + soon)
+
+
 class Automaton:
     """The part of the automaton that the tokens from `start` to `end` of a shard can reach. State 0 is the empty one, then
     come those of the shard's words and bigrams."""
@@ -193,13 +200,13 @@ class Automaton:
 
         pairs, at = some(g.at2, g.pair)
         h, w = word[at - 1], word[at]
-        p2 = (g.count2[pairs] + M2 * p1[w]) / (g.count[h] + M2)
+        p2 = S2 * g.count2[pairs] / (g.count[h] + M2) + left(g.count[h], S2, M2) * p1[w]
         pair_state = np.where(g.count2[pairs] >= LEAST_SEEN, 1 + words + pairs, np.where(is_state[w], w + 1, 0))
         seen = g.count2[pairs] > 0
         keys, logs, to = [((h + 1) * words + w)[seen]], [np.log10(p2[seen])], [pair_state[seen]]
         triples, at = some(g.at3, g.triple)
         before, last = g.pair_of[at - 1], g.pair_of[at]
-        p3 = (g.count3[triples] + M3 * p2[np.searchsorted(pairs, last)]) / (g.count2[before] + M3)
+        p3 = S3 * g.count3[triples] / (g.count2[before] + M3) + left(g.count2[before], S3, M3) * p2[np.searchsorted(pairs, last)]
         seen = g.count3[triples] > 0
         keys.append(((1 + words + before) * words + word[at])[seen])
         logs.append(np.log10(p3[seen]))
@@ -208,10 +215,10 @@ class Automaton:
         # Failure arcs: of bigrams to their last words, of words to the empty state.
         deep = g.count2[pairs] >= LEAST_SEEN
         states = 1 + words + pairs[deep]
-        self.fail = dict(zip(states.tolist(), zip(np.log10(M3 / (g.count2[pairs[deep]] + M3)).tolist(), (w[deep] + 1).tolist(), strict=True), strict=True))
+        self.fail = dict(zip(states.tolist(), zip(np.log10(left(g.count2[pairs[deep]], S3, M3)).tolist(), (w[deep] + 1).tolist(), strict=True), strict=True))
         known = np.unique(word[start:end])
         known = known[is_state[known]]
-        self.fail |= dict(zip((known + 1).tolist(), zip(np.log10(M2 / (g.count[known] + M2)).tolist(), [0] * len(known), strict=True), strict=True))
+        self.fail |= dict(zip((known + 1).tolist(), zip(np.log10(left(g.count[known], S2, M2)).tolist(), [0] * len(known), strict=True), strict=True))
 
     def traverse(self, tokens: list[int]) -> float:
         """The log10 probability of a text, in one go from left to right."""

@@ -463,10 +463,10 @@ def test_language_model_like_brute_force(spark, docs, none):
         return (count[x] - lm.DISCOUNT) / n if count[x] else lm.DISCOUNT * v / n
 
     def two(h, x):
-        return (pairs[h, x] + lm.M2 * one(x)) / (count[h] + lm.M2) if count[h] >= 2 else one(x)
+        return lm.S2 * pairs[h, x] / (count[h] + lm.M2) + (1 - lm.S2 * count[h] / (count[h] + lm.M2)) * one(x) if count[h] >= 2 else one(x)
 
     def three(g, h, x):
-        return (triples[g, h, x] + lm.M3 * two(h, x)) / (pairs[g, h] + lm.M3) if pairs[g, h] >= 2 else two(h, x)
+        return lm.S3 * triples[g, h, x] / (pairs[g, h] + lm.M3) + (1 - lm.S3 * pairs[g, h] / (pairs[g, h] + lm.M3)) * two(h, x) if pairs[g, h] >= 2 else two(h, x)
 
     def score(w):
         p = [one(w[0]), *(two(w[0], x) for x in w[1:2]), *(three(*t) for t in zip(w, w[1:], w[2:], strict=False))]
