@@ -2,11 +2,13 @@
 
 A document's words are streamed through the automaton, which keeps the longest match that ends at each word. A word is hit
 if it lies in a match of `window` words, or in a whole item of fewer words (the coverage limit). Items are taken in blocks
-of at most block_words words; each block has an automaton of its own, of a size so bounded, that is broadcast, and the
-documents pass all of them in one stage without a shuffle.
+of about block_words words, numbered by hashes; each block has an automaton of its own, of a size so bounded, that is
+broadcast. The documents pass a few blocks' automata in a stage, without a shuffle, and are written between such stages, so
+that neither a task nor the driver ever holds more than `at_once` of them, however large the benchmark is.
 
 Nulls: a null text has no words; a null item_id is written as an empty string. Items of equal id count once. Documents are
-rows of their own, whatever their doc_id. Empty documents have no hits; an empty benchmark gives none anywhere.
+rows of their own, whatever their doc_id. Empty documents have no hits; an empty benchmark gives none anywhere. A very long
+text is streamed like others. Other columns are kept, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from helixframe.llm.common import arrow_schema, as_bytes, slices, texts_of, word_spans
+from helixframe.llm.common import arrow_schema, as_bytes, saved, slices, texts_of, word_spans
 
 #: Lower case; all ASCII that is neither letter nor digit to a space.
 NORMAL = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else (c + 32 if chr(c).isupper() else 32) for c in range(256))
@@ -141,23 +143,22 @@ def merge_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of at most so many words, fetched one item at a time; an item too long for a block is cut
-    into overlapping parts, which have the same windows."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    block: list[tuple[str, list[bytes]]] = []
-    size, none = 0, True
-    for row in rows.toLocalIterator():
-        words = words_of(row["text"].encode())
-        for at in range(0, max(1, len(words) - window + 1), block_words - window + 1) if len(words) > block_words else (0,):
-            part = words[at : at + block_words] if len(words) > block_words else words
-            if size and size + len(part) > block_words:
-                yield block
-                block, size, none = [], 0, False
-            block.append((row["item"], part))
-            size += len(part)
-    if block or none:
-        yield block
+def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """(block, item, words): the items' words, joined by spaces, in blocks of about block_words words by their hashes. An
+    item too long for a tenth of a block is cut into overlapping parts, which have the same windows."""
+    longest = max(window, block_words // 10)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of((text or "").encode())
+                parts = [words[at : at + longest] for at in range(0, max(1, len(words) - window + 1), longest - window + 1)] if len(words) > longest else [words]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array([b" ".join(x) for x in parts], pa.binary()), pa.array([*map(len, parts)], pa.int64())], ["item", "words", "n"])
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
+    parts = saved(items.mapInArrow(cut, "item string, words binary, n long").where("n > 0").distinct(), "items")
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    return parts.select(F.pmod(F.xxhash64("item", "words"), F.lit(max(1, -(-total // block_words)))).alias("block"), "item", "words")
 
 
 def remove_spans(text: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -172,8 +173,11 @@ def remove_spans(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _pass(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int, clean: bool) -> DataFrame:
-    """docs with the block's runs and items added to __hx_runs and __hx_items; clean: the text without all runs so far."""
+RUNS, ITEMS, WORDS = "__hx_runs", "__hx_items", "__hx_words"
+
+
+def _pass(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
+    """(row, runs, items, words) with the block's runs and items added; row: a struct of the input's columns."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     built: list[ItemAutomaton] = []
     schema = docs.schema
@@ -185,48 +189,58 @@ def _pass(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int, cl
         kind = {name: out.field(name).type for name in out.names}
         for batch in batches:
             for part in slices(batch):
-                texts = as_bytes(part.column("text"))
-                runs, items = [], []
-                for text, old, had in zip(texts, part.column("__hx_runs").to_pylist(), part.column("__hx_items").to_pylist(), strict=True):
-                    own, found = built[0].scan(words_of(text))
+                runs, items, counts = [], [], []
+                for text, old, had in zip(as_bytes(part.column("text")), part.column(RUNS).to_pylist(), part.column(ITEMS).to_pylist(), strict=True):
+                    words = words_of(text)
+                    own, found = built[0].scan(words)
                     runs.append(merge_runs([*map(tuple, old), *own]) if old else own)
                     items.append(sorted({*had, *found}))
-                made = {"__hx_runs": pa.array(runs, kind["__hx_runs"]), "__hx_items": pa.array(items, kind["__hx_items"])}
-                if clean:
-                    cut = pa.array([remove_spans(x, r).decode("utf-8", "ignore") if r else None for x, r in zip(texts, runs, strict=True)], kind["text"])
-                    made["text"] = pc.if_else(pc.is_valid(cut), cut, part.column("text"))
+                    counts.append(len(words))
+                made = {RUNS: pa.array(runs, kind[RUNS]), ITEMS: pa.array(items, kind[ITEMS]), WORDS: pa.array(counts, kind[WORDS])}
                 yield pa.RecordBatch.from_arrays([made.get(name, part.column(i)) for i, name in enumerate(out.names)], names=out.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000, clean: bool = False) -> DataFrame:
-    """docs with __hx_runs (array of [first, last) word numbers, merged) and __hx_items (the items, sorted as strings);
-    clean: the texts without the runs."""
-    out = docs.withColumn("text", F.col("text").cast("string")).withColumn("__hx_runs", F.array().cast("array<array<int>>")).withColumn("__hx_items", F.array().cast("array<string>"))
-    waiting = None
-    for block in item_blocks(benchmark, window, block_words):
-        if waiting is not None:
-            out = _pass(out, waiting, window, False)
-        waiting = block
-    return _pass(out, waiting, window, clean)
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000, at_once: int = 2) -> DataFrame:
+    """docs with __hx_runs (array of [first, last) word numbers, merged), __hx_items (the items, sorted as strings) and
+    __hx_words (the number of words); columns of the input that have such a name are replaced."""
+    out = docs.withColumn("text", F.col("text").cast("string")).withColumn(RUNS, F.array().cast("array<array<int>>")).withColumn(ITEMS, F.array().cast("array<string>")).withColumn(WORDS, F.lit(0).cast("long"))
+    blocks = item_blocks(benchmark, window, block_words)
+    numbers = sorted(r["block"] for r in blocks.select("block").distinct().collect())
+    for i, number in enumerate(numbers or [0]):
+        if i and i % at_once == 0:
+            out = saved(out, "hits")
+        out = _pass(out, [(r["item"], bytes(r["words"]).split()) for r in blocks.where(F.col("block") == number).orderBy("item", "words").collect()], window)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the spans that the benchmark's windows hit; documents without hits stay as they are, byte by byte."""
-    out = find_hits(docs, benchmark, window, clean=True)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = find_hits(docs.select("text", own.alias("row")), benchmark, window)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = [remove_spans(x, r).decode("utf-8", "ignore") if r else None for x, r in zip(as_bytes(part.column("text")), part.column(RUNS).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], ["row", "cut"])
+
+    schema = T.StructType([found.schema["row"], T.StructField("cut", T.StringType())])
+    out = found.select("text", RUNS, "row").mapInArrow(cut, schema)
+    hit = F.col("cut").isNotNull()
+    new = {"text": F.when(hit, F.col("cut")).otherwise(F.col("row.text")).cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__hx_runs") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(hit, F.length("cut")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = texts_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("__hx_runs", F.lit(0).cast("long"), lambda acc, r: acc + r[1] - r[0])
-    n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
     return found.select(
-        "doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.size("__hx_items").cast("long").alias("n_items"),
+        "doc_id", F.col(WORDS).alias("n_words"), n_hit.alias("n_hit"), F.size("__hx_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("__hx_items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 

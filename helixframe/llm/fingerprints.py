@@ -7,7 +7,8 @@ spans of 8 code points (of the whole text, if shorter); two fingerprints' likene
 agree, corrected for chance and turned from a share of the union into a share of the text.
 
 Nulls: a null text is empty. A null doc_id sorts last in the descending order. Rows with one doc_id follow each other in
-the order of their texts. Equal texts, empty ones too, have equal fingerprints and likeness 1. One row is its own next.
+the order of their texts' hashes. Equal texts, empty ones too, have equal fingerprints and likeness 1. One row is its own
+next. A very long text is hashed whole. Other columns are not read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import mix, texts_of
+from helixframe.llm.common import mix, saved, texts_of
 
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_000_003, 998_244_353)
@@ -178,48 +180,65 @@ def edit(own: Printed, after: str) -> tuple[str, str, int]:
     return fingerprint(new.whole(), new.n, sketch(hashes)), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), common_extension(own.prefixes, 0, new, 0)
 
 
-def document_fingerprints(docs: DataFrame) -> DataFrame:
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
+_KINDS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "common_prefix": pa.int64()}
+
+
+def _row(doc: int | None, own: Printed, after: Printed) -> tuple:
+    changed, digest, common = edit(own, after.text)
+    return doc, own.prefixes.n, digest, own.print, changed, likeness(own.print, changed), likeness(own.print, after.print), common
+
+
+def document_fingerprints(docs: DataFrame, range_bytes: int = 16_000_000) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_prefix).
 
-    The documents are range-partitioned by descending doc_id and sorted once, so that a document's next one follows it in
-    its partition. The first document of each range, one row per range, is sent along as the end of the range before."""
-    spark = docs.sparkSession
+    The documents are range-partitioned and sorted by descending doc_id once, ties by the texts' hashes and then as they
+    come, so that rows of one doc_id, or of none, spread over ranges too. A document's next one follows it in its partition.
+    A partition keeps its first and last texts, and a last document is compared with the first of the next partition."""
     rows = texts_of(docs).withColumn("text", F.coalesce("text", F.lit("")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, min(4000, size // 32_000_000 + 1))
-    bounds = rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
-    bounds = sorted({int(x) for x in bounds}, reverse=True)
-    # Range 0 holds the largest ids; null ids are in a last range of their own.
-    number = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > F.col("doc_id"))) if bounds else F.lit(0))
-    rows = rows.withColumn("range", number).withColumn("borrowed", F.lit(False))
-    heads = rows.groupBy("range").agg(F.min_by(F.struct("doc_id", "text"), F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), "text")).alias("head"))
-    have = sorted(r["range"] for r in heads.select("range").collect())  # one number per range
-    if not have:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long")
-    before = {r: have[i - 1] for i, r in enumerate(have)}
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    ends = heads.select("head.doc_id", "head.text", to[F.col("range")].alias("range"), F.lit(True).alias("borrowed"))
-    parts = 4 * len(have)  # so that few ranges share a task
-    laid = rows.unionByName(ends).repartition(parts, "range").sortWithinPartitions("range", "borrowed", F.col("doc_id").desc_nulls_last(), "text")
-
-    kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "common_prefix": pa.int64()}
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // range_bytes + 1)
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("doc_id").desc_nulls_last(), "hash", "row"]
+    laid = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    edge = "range long, first_text string, last_id long, last_text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, Printed, int] | None = None
+        before: tuple[int | None, Printed] | None = None
+        first = None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
-                part = batch.slice(at, 256)
-                for doc, text, own, borrowed in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                for doc, text in zip(*(batch.slice(at, 256).column(i).to_pylist() for i in range(2)), strict=True):
                     now = Printed(text)
-                    if last is not None and last[2] == own:
-                        changed, digest, common = edit(last[1], text)
-                        out.append((last[0], last[1].prefixes.n, digest, last[1].print, changed, likeness(last[1].print, changed), likeness(last[1].print, now.print), common))
-                    last = None if borrowed else (doc, now, own)
+                    if before is None:
+                        first = text
+                    else:
+                        out.append((*_row(*before, now), None, None, None, None))
+                    before = (doc, now)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], [*kinds])
+                    yield _batch(out)
+        if before is not None:
+            yield _batch([*[(*[None] * len(_KINDS), TaskContext.get().partitionId(), first, before[0], before[1].text)]])
+
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [*_KINDS.values(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [*_KINDS, *(x.split()[0] for x in edge.split(", "))])
+
+    made = saved(laid.select("doc_id", "text").mapInArrow(run, f"{FIELDS}, {edge}"), "fingerprints")
+    edges = made.where("range is not null")
+    # One number per partition is sorted in one place; texts are joined to it.
+    numbers = edges.select("range")
+    after = numbers.withColumn("next", F.lead("range").over(Window.orderBy("range"))).select("range", F.coalesce("next", F.min("range").over(Window.partitionBy())).alias("next"))
+    pairs = edges.join(after, "range").join(edges.select(F.col("range").alias("next"), F.col("first_text").alias("next_text")), "next")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_row(doc, Printed(own), Printed(after)) for doc, own, after in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS.values(), strict=True)], [*_KINDS])
 
-    return laid.select("doc_id", "text", "range", "borrowed").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long")
+    return made.where("range is null").select(*_KINDS).unionByName(pairs.select("last_id", "last_text", "next_text").mapInArrow(close, FIELDS))
 
 
 def op2_fingerprints(spark, sf_dir: str) -> DataFrame:

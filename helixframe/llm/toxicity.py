@@ -11,7 +11,8 @@ a quotation. A document's score is a logistic function of its direct, misspelled
 
 Nulls: a null text is an empty one; empty texts have the score of a document without hits. Null labels and documents
 without labels teach nothing; of several labels of a doc_id the largest holds. Without toxic rows in the sample the
-lexicon is empty and all scores are alike and low. A null doc_id counts as held out. Repeated rows have equal scores.
+lexicon is empty and all scores are alike and low. A null doc_id counts as held out. Repeated rows have equal scores. Very
+long texts are read whole. Other columns of the input are kept. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -64,7 +65,9 @@ class Lexicon:
                 for c in term.rstrip("*"):
                     node = node.setdefault(c, {})
                 node["*" if term.endswith("*") else ""] = own
-        # A term and what one edit makes of it have a form in common, if each may lose a letter.
+        # A term and what one edit makes of it have a form in common, if each may lose a letter: a letter put in or left out
+        # is lost on one side, a changed one on both, and of two that change places each side loses the other's first. So
+        # words without a common form need no walk.
         self.cut_words = {c for t in targets if not t.endswith("*") for c in _shortened(t)}
         self.cut_stems = {c for t in targets if t.endswith("*") for c in _shortened(t[:-1])}
         self.cut_sizes = sorted({*map(len, self.cut_stems)})
@@ -204,7 +207,7 @@ def _gain(a: float, b: float, n1: float, n0: float) -> float:
     return g if q > p else -g
 
 
-def learn_terms(sample: DataFrame, least_gain: float = 32.0, precision: float = 0.75, most_terms: int = 2000) -> tuple[dict[str, float], dict[str, str]]:
+def learn_terms(sample: DataFrame, least_gain: float = 32.0, precision: float = 0.75) -> tuple[dict[str, float], dict[str, str]]:
     """The lexicon's terms, and what is beneath its stems, from (text, label): by document counts first, then by distinct
     places of the promising terms."""
 
@@ -225,8 +228,8 @@ def learn_terms(sample: DataFrame, least_gain: float = 32.0, precision: float =
     share = n1 / (n1 + n0)
     lean = F.col("a") / (F.col("a") + F.col("b"))
     promising = counted.where((lean >= precision / 2) & (2 * F.col("a") * F.log(F.lit(1 / share)) >= least_gain))
-    # A bounded list: the most frequent, which any truly toxic term is among.
-    chosen = {r["term"] for r in promising.orderBy(F.desc("a"), "term").limit(200_000).collect()}
+    # The sample bounds them.
+    chosen = {r["term"] for r in promising.select("term").collect()}
     if not chosen:
         return {}, {}
     shared = sample.sparkSession.sparkContext.broadcast(chosen)
@@ -255,8 +258,6 @@ def learn_terms(sample: DataFrame, least_gain: float = 32.0, precision: float =
         if any(stem[:k] + "*" in terms for k in STEMS if k < len(stem) or (k == len(stem) and not t.endswith("*"))):
             continue
         terms[t] = round(math.log((a + 0.5) / (b + 0.5) * n0 / n1) / math.log(10), 3)
-        if len(terms) >= most_terms:
-            break
     # A stem stands for its words where letters are right; edits are measured to the words themselves.
     beneath = {}
     for t, a, b in rows:

@@ -10,8 +10,10 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helixframe.llm import decontam, fingerprints, lm, mixing, quality, queries, repeats, simhash, substring_dedup, suffix_dedup, toxicity, warc
@@ -310,9 +312,18 @@ def test_decontamination_blocks(spark, docs, block_words):
     for r in got.collect():
         hit, found = brute_hits(r.text, parsed)
         assert {k for a, b in r["__hx_runs"] for k in range(a, b)} == hit and r["__hx_items"] == sorted(found)
-    clean = decontam.decontaminate(docs, bench)
-    assert clean.count() == docs.count()
-    assert all(not brute_hits(r.text, parsed)[0] or r.text is None for r in clean.where("text like '%two%'").collect())
+        assert r["__hx_words"] == len(decontam.words_of((r.text or "").encode()))
+    crowded = docs.selectExpr("*", "doc_id as __hx_runs", "text as __hx_items", "1 as row", "text as cut", "2 as `a.b`")
+    clean = decontam.decontaminate(crowded, bench)
+    assert clean.columns == crowded.columns and clean.dtypes == crowded.dtypes
+    want = []
+    for r in crowded.collect():
+        hit, _ = brute_hits(r.text, parsed)
+        words = decontam.words_of((r.text or "").encode())
+        want.append((r.body, r["__hx_runs"], [w for k, w in enumerate(words) if k not in hit], r.text if not hit else "?"))
+    got = [(r.body, r["__hx_runs"], decontam.words_of((r.text or "").encode()), r.text) for r in clean.collect()]
+    for a, b in zip(sorted(got, key=lambda x: str(x[:3])), sorted(want, key=lambda x: str(x[:3])), strict=True):
+        assert a[:3] == b[:3] and b[3] in ("?", a[3])
 
 
 # op8, op1
@@ -354,15 +365,26 @@ def test_archive_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
     records, payloads = (saved(x, "t") for x in warc.archive_tables(pages))
     assert payloads.count() == len({r[2] or "" for r in rows})
-    got = rows_of(warc.read_records(records, payloads).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"))
+    got = rows_of(warc.read_records(records, payloads).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"))
     body = lambda t: (t or "").encode()
-    want = [(i, len(body(t)), hashlib.sha1(body(t)).hexdigest(), "revisit" if t == big and i != 7 else "response", 7 if t == big and i != 7 else None, True) for i, _, t, _ in rows]
+    want = [(i, len(body(t)), hashlib.sha1(body(t)).hexdigest(), "revisit" if t == big and i != 7 else "response", 7 if t == big and i != 7 else None, u or "urn:x-none") for i, u, t, _ in rows]
     assert got == sorted(want, key=str)
     warc.write_warc(records, payloads, str(tmp_path / "w"))
     back, blocks = warc.read_warc(spark, str(tmp_path / "w"))
     assert sorted(bytes(r.headers) for r in back.collect()) == sorted(bytes(r.headers) for r in records.collect())
     whole = {r.digest: bytes(r.payload) for r in warc.reconstruct(back, blocks).collect()}
     assert whole == {r.digest: bytes(r.payload) for r in warc.reconstruct(records, payloads).collect()}
+    # Damage is found: another payload under a digest, a payload that is gone, a header that says otherwise.
+    digest = hashlib.sha256(big.encode()).hexdigest()
+    other = payloads.where("digest != '" + digest + "'")
+    for bad in (payloads.withColumn("packed", F.when(F.col("digest") == digest, F.lit(zstandard.ZstdCompressor().compress(b"forged"))).otherwise(F.col("packed"))), other):
+        for read in (warc.read_records(records, bad).select("page_id", "payload_digest"), warc.read_records(records, bad).select("payload_bytes"), warc.reconstruct(records, bad)):
+            with pytest.raises(Exception, match="payload missing or damaged"):
+                read.collect()
+    lied = records.withColumn("headers", F.regexp_replace(F.col("headers").cast("string"), "sha1:0", "sha1:1").cast("binary"))
+    lied = lied.unionByName(records.withColumn("headers", F.regexp_replace(F.col("headers").cast("string"), "Content-Length: 5", "Content-Length: 6").cast("binary")))
+    with pytest.raises(Exception, match="unlike its record"):
+        warc.read_records(lied, payloads).select("payload_digest").collect()
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_records(*warc.archive_tables(empty)).count() == 0
 
@@ -382,8 +404,12 @@ def test_extension_like_brute_force(a, b, i, j):
     assert fingerprints.likeness(fingerprints.print_text(a), fingerprints.print_text(a)) == 1.0
 
 
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
 def test_fingerprints_like_brute_force(spark, docs, none):
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
     want = []
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
@@ -393,6 +419,13 @@ def test_fingerprints_like_brute_force(spark, docs, none):
         want.append((i, n, hashlib.sha256(edited.encode()).hexdigest(), p, e, fingerprints.likeness(p, e), fingerprints.likeness(p, q)))
     assert rows_of(fingerprints.document_fingerprints(docs).drop("common_prefix")) == sorted(want, key=str)
     assert fingerprints.document_fingerprints(none).count() == 0
+    # Rows without an id, or all with one, spread over many ranges and give the same.
+    for own in (None, 4):
+        same = docs.withColumn("doc_id", F.lit(own).cast("long"))
+        texts = sorted(((r.text or "") for r in docs.collect()), key=lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42)))
+        got = fingerprints.document_fingerprints(same, range_bytes=500)
+        follow = [t[: len(t) - len(t) // 3] + a[: len(t) // 3] for t, a in zip(texts, [*texts[1:], texts[0]], strict=True)]
+        assert sorted(r.edited_sha256 for r in got.collect()) == sorted(hashlib.sha256(x.encode()).hexdigest() for x in follow)
 
 
 # op4, op5, op7
@@ -431,6 +464,39 @@ def test_lexicon_finds_misspelt_and_quoted_words():
     assert direct[0] > 0 == direct[2] and quoted[2] > 0 == quoted[0]
 
 
+def edits(a, b):
+    """Optimal string alignment distance."""
+    d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.text("abc", min_size=3, max_size=8), min_size=1, max_size=6), st.sets(st.text("abc", min_size=4, max_size=7), max_size=4), st.lists(st.text("abcd", min_size=1, max_size=10), max_size=12), st.data())
+def test_edits_like_brute_force(words, stems, others, data):
+    terms = {w: 1.0 for w in words} | {f"{s}*": 1.0 for s in stems}
+    lexicon = toxicity.Lexicon(terms)
+    near = []
+    for t in [*words, *(s + data.draw(st.text("abcd", max_size=3)) for s in stems)]:
+        at, c = data.draw(st.integers(0, len(t))), data.draw(st.sampled_from("abcd"))
+        near += [t[:at] + t[at + 1 :], t[:at] + c + t[at:], t[:at] + c + t[at + 1 :], t[:at] + t[at + 1 : at + 2] + t[at : at + 1] + t[at + 2 :]]
+    for w in {*others, *near}:
+        if not w:
+            continue
+        exact = w in words or any(w.startswith(s) for s in stems)
+        close = len(w) >= 3 and (any(edits(w, t) <= 1 for t in words if len(t) >= 4) or any(edits(w[:k], s) <= 1 for s in stems if len(s) >= 5 for k in range(len(w) + 1)))
+        got = lexicon.find(w)
+        assert (got is not None) == (exact or close) and (got is None or (got[1] == 0) == exact), w
+
+
+def test_misspelt_stem_is_found():
+    assert toxicity.Lexicon({"blockh*": 1.0}).find("vlockheads") == ("blockh*", 1)
+
+
 def test_learned_lexicon_finds_misspelt_words(spark):
     r = random.Random(8)
     plain = ["".join(r.choices("bcdfghjklnqvwxz", k=r.randint(4, 8))) for _ in range(400)]
