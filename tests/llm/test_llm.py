@@ -77,7 +77,8 @@ def brute_words(rows, width=50):
     return sorted(out, key=str)
 
 
-def brute_bytes(rows, width=100):
+def kept_bytes(rows, width=100):
+    """(the bytes of the text, a flag for each that goes), in the order of the rows."""
     first = {}
     keyed = [(last(i), xxhash.xxh64_intdigest((t or "").encode(), 42), (t or "").encode()) for i, t in rows]
     for i, h, b in keyed:
@@ -85,11 +86,18 @@ def brute_bytes(rows, width=100):
             s = b[k : k + width]
             first[s] = min(first.get(s, (i, h, k)), (i, h, k))
     out = []
-    for (i, h, b), (own, _) in zip(keyed, rows, strict=True):
+    for i, h, b in keyed:
         gone = bytearray(len(b))
         for k in range(len(b) - width + 1):
             if first[b[k : k + width]] < (i, h, k):
                 gone[k : k + width] = b"\1" * width
+        out.append((b, gone))
+    return out
+
+
+def brute_bytes(rows, width=100):
+    out = []
+    for (b, gone), (own, _) in zip(kept_bytes(rows, width), rows, strict=True):
         spans = sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
         out.append((own, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     return sorted(out, key=str)
@@ -445,6 +453,51 @@ def test_held_out_accuracy(spark, run, column, least):
     assert auc([r for r in rows if r.held_out], column, truth) >= least
 
 
+def plain_statistics(text):
+    """A text's statistics, one after the other."""
+    kinds = quality.KINDS.values()
+    words = text.split()
+    n = max(len(words), 1)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    spread = lambda x: math.log((x + 0.002) / (1.002 - x))
+    shares = [sum(c in k for c in text) / max(len(text), 1) for k in kinds]
+    most = max(Counter(words).values(), default=0)
+    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return [math.log1p(len(text)), math.log1p(len(words)), *map(spread, shares), math.log1p(len(text) / n), spread(len({*words}) / n), spread(most / n), spread(same / n), spread(len({*grams}) / max(len(grams), 1))]
+
+
+def test_quality_like_brute_force(spark):
+    docs, labels = (duckdb.sql(f"select * from '{SF}/{t}.parquet'") for t in ("documents", "labels"))
+    texts = {i: plain_statistics((t or "").encode()) for i, t in docs.select("doc_id, text").fetchall()}
+    truth = {i: q for i, q in labels.select("doc_id, quality").fetchall() if q is not None and i in texts and zlib.crc32(str(i).encode()) % 5}
+    x = {k: np.array([texts[i] for i, q in truth.items() if q == k]) for k in (0, 1)}
+    cov = {k: np.cov(x[k].T, bias=True) for k in x}
+    pooled = sum(len(x[k]) * cov[k] for k in x) / len(truth)
+    target = 0.9 * pooled + 0.1 * np.diag(np.diag(pooled))
+    own = {k: 0.9 * cov[k] + 0.1 * target + 1e-6 * np.eye(len(pooled)) for k in x}
+    def density(k, v):
+        d = v - x[k].mean(0)
+        return -0.5 * d @ np.linalg.solve(own[k], d) - 0.5 * np.linalg.slogdet(own[k])[1]
+    got = {r.doc_id: r for r in quality.op4_quality(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for i, v in texts.items():
+        margin = (density(1, np.array(v)) - density(0, np.array(v))) / 4 + math.log(len(x[1]) / len(x[0]))
+        want = 1 / (1 + math.exp(-max(-500, min(500, margin))))
+        assert got[i].score == pytest.approx(want, rel=1e-4, abs=1e-9) and got[i].predicted == (got[i].score >= 0.3)
+
+
+def test_toxicity_like_brute_force(spark):
+    """All scores, with every word compared with every term."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.fit_lexicon(docs, labels)
+    plain = PlainLexicon(lexicon.terms, lexicon.clean, lexicon.weights, lexicon.beneath)
+    got = toxicity.op7_toxicity(spark, sf).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert lexicon.terms and plain.score([texts[r.doc_id] for r in got]).tolist() == pytest.approx([r.score for r in got])
+    assert all(r.predicted == (r.score >= 0.5) for r in got)
+
+
 def test_classifiers_on_awkward_rows(spark, docs, none, labels):
     for table in (labels, labels.where("false")):
         assert quality.score_quality(docs, table).count() == docs.count()
@@ -493,6 +546,30 @@ def test_edits_like_brute_force(words, stems, others, data):
         assert (got is not None) == (exact or close) and (got is None or (got[1] == 0) == exact), w
 
 
+class PlainLexicon(toxicity.Lexicon):
+    """Finds words by comparing them with every term."""
+
+    def _find(self, word):
+        whole = [t for t in self.terms if t == word]
+        stems = [t for t in self.terms if t.endswith("*") and word.startswith(t[:-1])]
+        if whole or stems:
+            return (whole or [max(stems, key=len)])[0], 0
+        if len(word) < 3 or word in self.clean:
+            return None
+        near = []
+        for t, own in [*((t, t) for t in self.terms), *self.beneath.items()]:
+            stem = t.rstrip("*")
+            if t != stem and len(t) >= 6:
+                near += [own for k in range(len(stem) - 1, len(stem) + 2) if close(word[:k], stem)]
+            elif t == stem and len(t) >= 4 and close(word, t):
+                near.append(own)
+        return (min(near), 1) if near else None
+
+
+def close(a, b):
+    return abs(len(a) - len(b)) <= 1 and len({*a} ^ {*b}) <= 2 and edits(a, b) <= 1
+
+
 def test_misspelt_stem_is_found():
     assert toxicity.Lexicon({"blockh*": 1.0}).find("vlockheads") == ("blockh*", 1)
 
@@ -571,18 +648,26 @@ def test_pipeline_like_its_parts(spark):
     for _, stage in corpus_pipeline.STAGES:
         steps.append(saved(stage(spark, steps[-1], SF), "stage"))
     rows = [[(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()] for d in steps[:5]]
-    scored = {r.doc_id for r in toxicity.op7_toxicity(spark, SF).collect() if r.predicted == 0}
-    assert {i for i, _ in rows[1]} == scored
+    lexicon = toxicity.fit_lexicon(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    plain = PlainLexicon(lexicon.terms, lexicon.clean, lexicon.weights, lexicon.beneath)
+    scores = plain.score([t or "" for _, t in rows[0]])
+    assert {i for i, _ in rows[1]} == {i for (i, _), x in zip(rows[0], scores.tolist(), strict=True) if x < 0.5}
     prints = [brute_simhash(t) for _, t in rows[1]]
     assert {i for i, _ in rows[2]} == set(brute_components([i for i, _ in rows[1]], prints))
-    assert dict((i, len((t or "").encode())) for i, t in rows[3]).keys() == {i for i, _ in rows[2]}
-    cut = {i: n - gone for i, n, gone, _, _ in brute_bytes(rows[2])}
-    assert all(cut[i] - 6 <= len(t.encode()) <= cut[i] or cut[i] >= len(t.encode()) for i, t in rows[3])
+    assert dict(rows[2]).items() <= dict(rows[1]).items()
+    want = {i: t if not any(gone) else bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore") for (i, t), (b, gone) in zip(rows[2], kept_bytes(rows[2]), strict=True)}
+    assert dict(rows[3]) == want and len(rows[3]) == len(rows[2])
     items = [(str(i), decontam.words_of(t.encode())) for i, t in duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()]
     for (i, before), (j, after) in zip(sorted(rows[3]), sorted(rows[4]), strict=True):
         hit, _ = brute_hits(before, items)
-        assert i == j and len(decontam.words_of(after.encode())) == len(decontam.words_of(before.encode())) - len(hit)
-    assert steps[5].count() == len(rows[4])
+        assert i == j and decontam.words_of(after.encode()) == [w for k, w in enumerate(decontam.words_of(before.encode())) if k not in hit]
+        assert hit or before == after
+    sizes, per, level = brute_mix([(r.doc_id, r.text, r.source) for r in steps[4].collect()])
+    taken = Counter()
+    for r in steps[5].collect():
+        assert r.size == len((dict(rows[4])[r.doc_id] or "").encode().split()) and 0 <= r.taken <= 3 * r.size
+        taken[r.source_size, round(r.target, 4)] += r.taken
+    assert dict(taken) == pytest.approx({(per[x], round(level[x], 4)): level[x] for x in per}, abs=1) and sum(n for _, _, n in sizes) == sum(per.values())
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
