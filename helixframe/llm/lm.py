@@ -102,7 +102,7 @@ class Shard:
     @staticmethod
     def open(body: bytes) -> Shard:
         ids, null, counts, word = unsqueeze(body, np.int64, np.int64, np.int64, np.int64)
-        return Shard(ids, null.astype(bool), counts, word)
+        return Shard(ids, null.astype(bool), counts, word.astype(np.int32))
 
 
 def _count_words(group: pd.DataFrame) -> pd.DataFrame:
@@ -141,18 +141,21 @@ class Grams:
         self.count, number = (np.concatenate([x[k] for x in got] or [np.empty(0, np.int64)]) for k in (0, 1))
         self.number = number.view(np.uint64)
         self.of_train = np.repeat(self.train, s.counts)
-        self.place = np.arange(len(s.word)) - np.repeat(np.cumsum(s.counts) - s.counts, s.counts)
+        start = np.cumsum(s.counts) - s.counts
+        deep = np.full(len(s.word), 2, np.int8)
+        deep[start] = 0
+        deep[start[s.counts > 1] + 1] = 1
         own = self.count[s.word]
-        self.at2 = np.flatnonzero((self.place >= 1) & (own > 0) & (np.r_[0, own[:-1]] >= LEAST_SEEN))
+        self.at2 = np.flatnonzero((deep >= 1) & (own > 0) & (np.r_[0, own[:-1]] >= LEAST_SEEN))
         self.keys2, self.pair = np.unique(self._key(self.number[s.word[self.at2 - 1]], self.at2), return_inverse=True)
         if "pairs" not in row:
             return
         self.count2 = self._counts(row["pairs"], len(self.keys2))
         seen = np.zeros(len(s.word), np.int64)
         seen[self.at2] = self.count2[self.pair]
-        self.pair_of = np.full(len(s.word), -1)
+        self.pair_of = np.full(len(s.word), -1, np.int32)
         self.pair_of[self.at2] = self.pair
-        self.at3 = np.flatnonzero((self.place >= 2) & (seen > 0) & (np.r_[0, seen[:-1]] >= LEAST_SEEN))
+        self.at3 = np.flatnonzero((deep >= 2) & (seen > 0) & (np.r_[0, seen[:-1]] >= LEAST_SEEN))
         self.keys3, self.triple = np.unique(self._key(self.keys2[self.pair_of[self.at3 - 1]], self.at3), return_inverse=True)
         if "triples" in row:
             self.count3 = self._counts(row["triples"], len(self.keys3))
@@ -181,16 +184,18 @@ def left(count: np.ndarray, share: float, soon: float) -> np.ndarray:
 
 
 class Automaton:
-    """The part of the automaton that the tokens from `start` to `end` of a shard can reach. State 0 is the empty one, then
-    come those of the shard's words and bigrams."""
+    """The part of the automaton that a shard's tokens can reach. State 0 is the empty one, then come those of the shard's
+    words and bigrams. Arcs and failure arcs of the longer states are made for some tokens at a time, by reach()."""
 
-    def __init__(self, g: Grams, n: int, v: int, start: int, end: int):
-        words, word = len(g.count), g.shard.word
-        self.words = words
-        p1 = np.where(g.count > 0, (g.count - DISCOUNT) / n, DISCOUNT * v / n) if n > 0 else np.ones(words)
-        self.empty = np.log10(p1).tolist()
-        is_state = g.count >= LEAST_SEEN
-        self.home = np.where(is_state, np.arange(words) + 1, 0).tolist()
+    def __init__(self, g: Grams, n: int, v: int):
+        self.g, self.words = g, len(g.count)
+        self.p1 = np.where(g.count > 0, (g.count - DISCOUNT) / n, DISCOUNT * v / n) if n > 0 else np.ones(self.words)
+        self.is_state = g.count >= LEAST_SEEN
+        #: The empty state's arcs: their logarithms, and where they lead.
+        self.empty, self.home = np.log10(self.p1).tolist(), np.where(self.is_state, np.arange(self.words) + 1, 0).tolist()
+
+    def reach(self, start: int, end: int) -> None:
+        g, words, word = self.g, self.words, self.g.shard.word
 
         def some(at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """The grams that end in [start, end), and where each does."""
@@ -199,39 +204,40 @@ class Automaton:
             return own, at[i + first]
 
         pairs, at = some(g.at2, g.pair)
-        h, w = word[at - 1], word[at]
-        p2 = S2 * g.count2[pairs] / (g.count[h] + M2) + left(g.count[h], S2, M2) * p1[w]
-        pair_state = np.where(g.count2[pairs] >= LEAST_SEEN, 1 + words + pairs, np.where(is_state[w], w + 1, 0))
+        h, w = word[at - 1].astype(np.int64), word[at]
+        p2 = S2 * g.count2[pairs] / (g.count[h] + M2) + left(g.count[h], S2, M2) * self.p1[w]
+        to2 = np.where(g.count2[pairs] >= LEAST_SEEN, 1 + words + pairs, np.where(self.is_state[w], w + 1, 0))
         seen = g.count2[pairs] > 0
-        keys, logs, to = [((h + 1) * words + w)[seen]], [np.log10(p2[seen])], [pair_state[seen]]
         triples, at = some(g.at3, g.triple)
-        before, last = g.pair_of[at - 1], g.pair_of[at]
-        p3 = S3 * g.count3[triples] / (g.count2[before] + M3) + left(g.count2[before], S3, M3) * p2[np.searchsorted(pairs, last)]
-        seen = g.count3[triples] > 0
-        keys.append(((1 + words + before) * words + word[at])[seen])
-        logs.append(np.log10(p3[seen]))
-        to.append(pair_state[np.searchsorted(pairs, last)][seen])
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), zip(np.concatenate(logs).tolist(), np.concatenate(to).tolist(), strict=True), strict=True))
-        # Failure arcs: of bigrams to their last words, of words to the empty state.
+        before, last = g.pair_of[at - 1].astype(np.int64), np.searchsorted(pairs, g.pair_of[at])
+        p3 = S3 * g.count3[triples] / (g.count2[before] + M3) + left(g.count2[before], S3, M3) * p2[last]
+        seen3 = g.count3[triples] > 0
+        #: (state, word) as one number, to the number of the arc; and the arcs' logarithms and ends.
+        keys = np.r_[((h + 1) * words + w)[seen], ((1 + words + before) * words + word[at])[seen3]]
+        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.log, self.to = np.log10(np.r_[p2[seen], p3[seen3]]).tolist(), np.r_[to2[seen], to2[last][seen3]].tolist()
+        #: Failure arcs: of bigrams to their last words, of words to the empty state.
         deep = g.count2[pairs] >= LEAST_SEEN
-        states = 1 + words + pairs[deep]
-        self.fail = dict(zip(states.tolist(), zip(np.log10(left(g.count2[pairs[deep]], S3, M3)).tolist(), (w[deep] + 1).tolist(), strict=True), strict=True))
         known = np.unique(word[start:end])
-        known = known[is_state[known]]
-        self.fail |= dict(zip((known + 1).tolist(), zip(np.log10(left(g.count[known], S2, M2)).tolist(), [0] * len(known), strict=True), strict=True))
+        known = known[self.is_state[known]]
+        states = np.r_[1 + words + pairs[deep], known + 1]
+        self.fail = dict(zip(states.tolist(), range(len(states)), strict=True))
+        self.weight = np.log10(np.r_[left(g.count2[pairs[deep]], S3, M3), left(g.count[known], S2, M2)]).tolist()
+        self.shorter = np.r_[w[deep] + 1, np.zeros(len(known), np.int64)].tolist()
 
     def traverse(self, tokens: list[int]) -> float:
         """The log10 probability of a text, in one go from left to right."""
-        arcs, fail, words, state, total = self.arcs, self.fail, self.words, 0, 0.0
+        arcs, log, to, words, state, total = self.arcs, self.log, self.to, self.words, 0, 0.0
         for token in tokens:
             while state:
                 arc = arcs.get(state * words + token)
                 if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
+                    total += log[arc]
+                    state = to[arc]
                     break
-                weight, state = fail[state]
-                total += weight
+                arc = self.fail[state]
+                total += self.weight[arc]
+                state = self.shorter[arc]
             else:
                 total += self.empty[token]
                 state = self.home[token]
@@ -239,13 +245,14 @@ class Automaton:
 
 
 def score_shard(g: Grams, n: int, v: int, most: int = 200_000) -> list[float]:
-    """The documents' scores; an automaton serves so many tokens, or one longer document."""
-    counts, word = g.shard.counts.tolist(), g.shard.word
+    """The documents' scores; arcs are made for so many tokens at a time, or for one longer document."""
+    counts, word, model = g.shard.counts.tolist(), g.shard.word, Automaton(g, n, v)
     out: list[float] = []
     at = start = first = 0
     for k, size in enumerate([*counts, None]):
         if size is None or (at > start and at + size - start > most):
-            model, x = Automaton(g, n, v, start, at), start
+            model.reach(start, at)
+            x = start
             for c in counts[first:k]:
                 out.append(model.traverse(word[x : x + c].tolist()))
                 x += c
@@ -254,11 +261,11 @@ def score_shard(g: Grams, n: int, v: int, most: int = 200_000) -> list[float]:
     return out
 
 
-def score_texts(docs: DataFrame, held_remainder: int = 1, shard_bytes: int = 16_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, held_remainder: int = 1, shard_bytes: int = 8_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per document."""
     docs = texts_of(docs)
     size = max(64, byte_size(docs))
-    buckets = buckets_for(size / 6, 1_500_000)
+    buckets = buckets_for(size / 6, 1_000_000)
     message = "chunk long, bucket int, data binary"
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
