@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 IUPAC = {"AA": "A", "CC": "C", "GG": "G", "TT": "T", "AC": "M", "AG": "R", "AT": "W", "CG": "S", "CT": "Y", "GT": "K"}
 #: Residue names and letters, some modified ones included. Fixed values.
 AA3 = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V", "MSE": "M", "SEC": "U"}
+#: Consequences that count as non-synonymous. Fixed values.
+NONSYNONYMOUS = ["initiator_codon_variant", "inframe_insertion", "inframe_deletion", "missense_variant", "stop_gained", "stop_lost", "frameshift_variant", "splice_region_variant", "transcript_ablation"]
 STANDARD = [*(f"chr{i}" for i in range(1, 23)), "chrX", "chrY", "chrMT"]
 
 
@@ -68,20 +70,30 @@ def common_suffix(a: Column, b: Column) -> Column:
     return common_prefix(F.reverse(a), F.reverse(b))
 
 
-def event_type(ref: Column, alt: Column) -> Column:
-    """Kind and size: r0 reference, sN substitutions, i+N insertion, i-N deletion, oN other, u0 symbolic, b breakend."""
-    bend = alt.contains("[") | alt.contains("]")
-    pre, suf = common_prefix(ref, alt), common_suffix(ref, alt)
+def event(ref: Column, alt: Column) -> Column:
+    """Struct (type, sequence): kind and size of an allele, and what is put in, taken out or stands there instead. r0
+    reference, sN substitutions, i+N insertion, i-N deletion, oN other (the longer allele's length less the first base), u0
+    symbolic, b breakend, of a mate or single."""
+    bend = alt.contains("[") | alt.contains("]") | alt.rlike(r"^\.[A-Za-z]|[A-Za-z]\.$")
     short = F.least(F.length(ref), F.length(alt))
+    pre = common_prefix(ref, alt)
     unlike = F.size(F.filter(F.sequence(F.lit(1), F.length(ref)), lambda i: F.substring(ref, i, F.lit(1)) != F.substring(alt, i, F.lit(1))))
     gap = F.length(alt) - F.length(ref)
-    pure = (gap != 0) & (pre + suf >= short)
+    pure = pre + common_suffix(ref, alt) >= short
+    made = lambda kind, sequence: F.struct(kind.alias("type"), sequence.alias("sequence"))
+    text = lambda c: c.cast("string")
     return (
-        F.when(bend, "b").when(alt.isin(".", "*") | (alt == ref), "r0").when(alt.startswith("<"), "u0").when(gap == 0, F.concat(F.lit("s"), unlike.cast("string")))
-        .when(pure, F.concat(F.lit("i"), F.when(gap > 0, "+").otherwise("-"), F.abs(gap).cast("string"))).otherwise(F.concat(F.lit("o"), F.greatest(F.length(ref), F.length(alt)).cast("string")))
+        F.when(bend, made(F.lit("b"), F.lit(None).cast("string"))).when(alt.isin(".", "*"), made(F.lit("r0"), ref)).when(alt == ref, made(F.lit("r0"), alt)).when(alt.startswith("<"), made(F.lit("u0"), alt))
+        .when(gap == 0, made(F.concat(F.lit("s"), text(unlike)), alt))
+        .when(pure & (gap > 0), made(F.concat(F.lit("i+"), text(gap)), F.substring(alt, pre + 1, gap))).when(pure, made(F.concat(F.lit("i-"), text(-gap)), F.substring(ref, pre + 1, -gap)))
+        .otherwise(made(F.concat(F.lit("o"), text(F.greatest(F.length(ref), F.length(alt)) - 1)), alt))
     )
 
 
+def event_type(ref: Column, alt: Column) -> Column:
+    return event(ref, alt)["type"]
+
+
 def normalised(ref: Column, alt: Column, pos: Column) -> Column:
     """Struct (pos, ref, alt): shared last bases are cut, then shared first ones, at least one base of each stays."""
     cut = F.least(common_suffix(ref, alt), F.length(ref) - 1, F.length(alt) - 1)
@@ -147,13 +159,18 @@ def complete_record(v: DataFrame) -> DataFrame:
     )
 
 
+def is_nonsynonymous(terms: Column) -> Column:
+    """Whether any of the terms, '&' between them, is."""
+    return F.arrays_overlap(F.split(terms, "&"), F.array(*map(F.lit, NONSYNONYMOUS)))
+
+
 def derived_af(maf: Column, aa: Column, ref: Column) -> Column:
     return F.when(aa.isNull() | (aa == ".") | (aa == ref), maf).otherwise(1 - maf)
 
 
 def seq_identity(a: Column, b: Column) -> Column:
     """Struct (n, mismatches, share) of two sequences; of unequal lengths the share is 1.0."""
-    unlike = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: (i <= F.length(a)) & (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))))
+    unlike = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda x: x))
     return F.struct(F.length(a).alias("n"), F.when(F.length(a) == F.length(b), unlike).alias("mismatches"), F.when(F.length(a) != F.length(b), 1.0).otherwise(F.round(unlike / F.greatest(F.length(a), F.lit(1)), 6)).alias("share"))
 
 

@@ -134,6 +134,8 @@ def clusters(residues: DataFrame, radius: float, least: int) -> DataFrame:
         label = jump
         if not changed:
             break
+    else:
+        raise RuntimeError("density clusters did not settle in 64 rounds, enough for chains of 2^64 residues")
     edge = near.join(label.select(F.col("res_id").alias("point_id"), "cluster"), "point_id").groupBy("res_id").agg(F.min("cluster").alias("near_cluster"))
     return residues.select("res_id").join(label, "res_id", "left").join(edge, "res_id", "left").select("res_id", F.coalesce("cluster", "near_cluster").alias("cluster"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,27 +79,30 @@ def heterozygosity(variants: DataFrame, calls: DataFrame) -> DataFrame:
     return by.select("sample", "observed_hom", rounded(F.col("e")).alias("expected_hom"), "n", F.round(ratio(F.col("observed_hom") - F.col("e"), F.col("n") - F.col("e")), 4).alias("f"))
 
 
-def exact_hwe(het: int, hom1: int, hom2: int) -> tuple[float, float, float]:
-    """Exact Hardy-Weinberg p values: two-sided, at most so many heterozygotes, at least so many. The probabilities of all
-    heterozygote counts that the allele counts allow follow from the most likely one by ratios of neighbours."""
-    n = het + hom1 + hom2
-    rare = 2 * min(hom1, hom2) + het
-    if not n:
-        return 1.0, 1.0, 1.0
-    counts = range(rare % 2, rare + 1, 2)
-    mid = min(counts, key=lambda h: abs(h - rare * (2 * n - rare) / (2 * n)))
-    weight = {mid: 1.0}
-    h, a, b = mid, (rare - mid) // 2, n - mid - (rare - mid) // 2
-    while h >= 2:
-        weight[h - 2] = weight[h] * h * (h - 1) / (4.0 * (a + 1) * (b + 1))
-        h, a, b = h - 2, a + 1, b + 1
-    h, a, b = mid, (rare - mid) // 2, n - mid - (rare - mid) // 2
-    while h + 2 <= rare:
-        weight[h + 2] = weight[h] * 4.0 * a * b / ((h + 2.0) * (h + 1.0))
-        h, a, b = h + 2, a - 1, b - 1
-    total = sum(weight.values())
-    own = weight[het]
-    return min(1.0, sum(w for w in weight.values() if w <= own * (1 + 1e-9)) / total), sum(w for k, w in weight.items() if k <= het) / total, sum(w for k, w in weight.items() if k >= het) / total
+def exact_hwe(het: np.ndarray, hom1: np.ndarray, hom2: np.ndarray, most: int = 2_000_000) -> np.ndarray:
+    """Exact Hardy-Weinberg p values of triples, a row each: two-sided, at most so many heterozygotes, at least so many.
+
+    Given the allele counts, h heterozygotes beside a and b homozygotes have a probability in proportion to
+    2^h / (h! a! b!). The terms of all triples lie one after the other, in blocks of about `most`."""
+    het, hom1, hom2 = (np.asarray(x, np.int64) for x in (het, hom1, hom2))
+    rare, total = 2 * np.minimum(hom1, hom2) + het, het + hom1 + hom2
+    log_factorial = np.r_[0.0, np.cumsum(np.log(np.arange(1, total.max(initial=0) + 1)))]
+    sizes = rare // 2 + 1
+    out = np.empty((len(het), 3))
+    for block in np.split(np.arange(len(het)), np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1):
+        n = sizes[block]
+        first = np.cumsum(n) - n
+        own = np.repeat(np.arange(len(block)), n)
+        a = np.arange(n.sum()) - first[own]
+        h = rare[block][own] - 2 * a
+        log = h * np.log(2) - log_factorial[h] - log_factorial[a] - log_factorial[total[block][own] - h - a]
+        p = np.exp(log - np.maximum.reduceat(log, first)[own])
+        p /= np.add.reduceat(p, first)[own]
+        seen = het[block][own]
+        mine = p[first + (rare - het)[block] // 2][own]
+        for k, part in enumerate((p <= mine * (1 + 1e-9), h <= seen, h >= seen)):
+            out[block, k] = np.minimum(1.0, np.add.reduceat(np.where(part, p, 0.0), first))
+    return out
 
 
 def hwe(variants: DataFrame, calls: DataFrame) -> DataFrame:
@@ -107,7 +111,7 @@ def hwe(variants: DataFrame, calls: DataFrame) -> DataFrame:
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in parts:
-            x[["p", "p_lo", "p_hi"]] = [exact_hwe(int(a), int(b), int(d)) for a, b, d in zip(x["het"], x["hom_ref"], x["hom_alt"], strict=True)]
+            x[["p", "p_lo", "p_hi"]] = exact_hwe(x["het"], x["hom_ref"], x["hom_alt"])
             yield x
 
     p = c.select("het", "hom_ref", "hom_alt").distinct().mapInPandas(solve, "het long, hom_ref long, hom_alt long, p double, p_lo double, p_hi double")
@@ -256,5 +260,6 @@ def fst_terms(calls: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def weir_fst(calls: DataFrame, samples: DataFrame) -> DataFrame:
-    """(vid, fst); null where the denominator is 0."""
-    return fst_terms(calls, samples).select("vid", rounded(F.when(F.abs("den") > 1e-12, F.col("num") / F.col("den"))).alias("fst"))
+    """(vid, fst); null where the denominator is 0. Exact halves in the last digit are many here, and the order of sums
+    would decide how they round: a hair lifts them."""
+    return fst_terms(calls, samples).select("vid", rounded(F.when(F.abs("den") > 1e-12, F.col("num") / F.col("den") + 1e-10)).alias("fst"))

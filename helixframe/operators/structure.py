@@ -145,8 +145,8 @@ def alignment_stats(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def chunked(reference: DataFrame, size: int) -> DataFrame:
     """(contig, chunk, text) of (contig, seq): pieces of `size` bases, so that no row holds a chromosome."""
-    n = F.greatest(F.ceil(F.length("seq") / size), F.lit(1))
-    return reference.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk"), "seq").select("contig", "chunk", F.substring("seq", F.col("chunk") * size + 1, F.lit(size)).alias("text"))
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))  # one pass over the contig
+    return reference.select("contig", F.posexplode_outer(pieces).alias("chunk", "text")).select("contig", F.coalesce("chunk", F.lit(0)).cast("long").alias("chunk"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def fetch(spans: DataFrame, chunks: DataFrame, size: int) -> DataFrame:

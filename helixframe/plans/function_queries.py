@@ -14,13 +14,14 @@ _ALTS = "[x FOR x IN [alt1, alt2] IF x IS NOT NULL]"
 _FILTER = "CASE WHEN filter IS NULL THEN '.' ELSE filter END"
 
 
+SAMPLES = list(range(20))
+HEAD = ["##fileformat=VCFv4.2", '##INFO=<ID=DP,Number=1,Type=Integer,Description="">', '##INFO=<ID=MQ,Number=1,Type=Float,Description="">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(f"NA{s}" for s in SAMPLES)])]
+
+
 def lines_of(t):
     """VCF lines of the views, header included."""
     v = sites_of(t).withColumn("info_text", F.col("info"))
-    samples = list(range(20))
-    data = R.vcf_lines(v, t.calls, samples).select("value")
-    head = ["##fileformat=VCFv4.2", '##INFO=<ID=DP,Number=1,Type=Integer,Description="">', '##INFO=<ID=MQ,Number=1,Type=Float,Description="">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(f"NA{s}" for s in samples)])]
-    return t.spark.createDataFrame([(h,) for h in head], "value string").union(data)
+    return t.spark.createDataFrame([(h,) for h in HEAD], "value string").union(R.vcf_lines(v, t.calls, SAMPLES).select("value"))
 
 
 @query("s1_read_vcf", f"SELECT chrom, pos, id, ref, array_to_string({_ALTS}, ',') AS alts, qual, CASE WHEN filter IS NULL THEN '.' WHEN filter = 'PASS' THEN '' ELSE filter END AS filters FROM variants")
@@ -31,7 +32,7 @@ def _(t):
 @query("s2_parse_info", "SELECT chrom, pos, 3 * size AS dp, vid % 4 = 0 AS db, CASE WHEN vid % 19 <> 0 THEN CAST(vid % 60 AS DOUBLE) END AS mq, regexp_extract(info, 'AA=([ACGT])', 1) AS aa FROM variants")
 def _(t):
     lines = lines_of(t)
-    h = R.read_header(lines)
+    h = R.parse_header(HEAD)
     x = lambda k: R.typed_info(F.col("info"), k, h)
     return R.parse_lines(lines).select("chrom", "pos", x("DP").alias("dp"), x("DB").alias("db"), x("MQ").alias("mq"), x("AA").alias("aa"))
 
@@ -39,7 +40,7 @@ def _(t):
 @query("s3_parse_calls", "SELECT v.chrom, v.pos, concat('NA', CAST(s.sample AS VARCHAR)) AS sample, a1, a2, COALESCE(phased, false) AS phased, dp, CAST(gq AS DOUBLE) AS gq FROM variants v CROSS JOIN (SELECT CAST(unnest(range(20)) AS INT) AS sample) s LEFT JOIN calls c ON c.vid = v.vid AND c.sample = s.sample")
 def _(t):
     lines = lines_of(t)
-    return R.parse_calls(R.parse_lines(lines), R.read_header(lines)).select("chrom", "pos", "sample", "a1", "a2", "phased", "dp", "gq")
+    return R.parse_calls(R.parse_lines(lines), R.parse_header(HEAD)).select("chrom", "pos", "sample", "a1", "a2", "phased", "dp", "gq")
 
 
 @query("s4_parse_alt", """WITH a AS (SELECT vid, chrom, pos, CASE vid % 5 WHEN 0 THEN '<DEL>' WHEN 1 THEN concat(ref, '[', chrom, ':', CAST(pos + 10 AS VARCHAR), '[') WHEN 2 THEN concat(ref, '.') ELSE alt1 END AS alt, ref, alt1 FROM variants)
@@ -108,11 +109,13 @@ def _(t):
     return j.select("vid", "sample", V.gt_type().alias("gt_type"), V.gt_bases().alias("bases"))
 
 
-@query("p11_event_type", "WITH a AS (SELECT vid, ref, CASE WHEN vid % 6 = 0 THEN '.' WHEN vid % 6 = 1 THEN concat(ref, 'GG') WHEN vid % 6 = 2 THEN '<ID>' WHEN vid % 6 = 3 THEN concat(ref, '[c:1[') ELSE alt1 END AS alt FROM variants) SELECT vid, CASE WHEN vid % 6 = 0 THEN 'r0' WHEN vid % 6 = 1 THEN 'i+2' WHEN vid % 6 = 2 THEN 'u0' WHEN vid % 6 = 3 THEN 'b' WHEN length(ref) = 1 THEN CASE WHEN ref = alt THEN 'r0' ELSE 's1' END WHEN left(ref, 1) = alt OR right(ref, 1) = alt THEN 'i-2' ELSE 'o3' END AS event FROM a")
+@query("p11_event_type", """WITH a AS (SELECT vid, ref, CASE vid % 8 WHEN 0 THEN '.' WHEN 1 THEN concat(ref, 'GG') WHEN 2 THEN '<ID>' WHEN 3 THEN concat(ref, '[c:1[') WHEN 4 THEN concat('.', ref) WHEN 5 THEN concat(ref, '.') ELSE alt1 END AS alt FROM variants)
+ SELECT vid, CASE WHEN vid % 8 = 0 THEN 'r0' WHEN vid % 8 = 1 THEN 'i+2' WHEN vid % 8 = 2 THEN 'u0' WHEN vid % 8 IN (3, 4, 5) THEN 'b' WHEN length(ref) = 1 THEN CASE WHEN ref = alt THEN 'r0' ELSE 's1' END WHEN left(ref, 1) = alt OR right(ref, 1) = alt THEN 'i-2' ELSE 'o2' END AS event,
+ CASE WHEN vid % 8 = 0 THEN ref WHEN vid % 8 = 1 THEN 'GG' WHEN vid % 8 IN (3, 4, 5) THEN NULL WHEN vid % 8 = 2 OR length(ref) = 1 THEN alt WHEN left(ref, 1) = alt THEN substr(ref, 2) WHEN right(ref, 1) = alt THEN left(ref, 2) ELSE alt END AS sequence FROM a""")
 def _(t):
-    k = F.col("vid") % 6
-    alt = F.when(k == 0, ".").when(k == 1, F.concat("ref", F.lit("GG"))).when(k == 2, "<ID>").when(k == 3, F.concat("ref", F.lit("[c:1["))).otherwise(F.col("alt1"))
-    return t.variants.select("vid", V.event_type(F.col("ref"), alt).alias("event"))
+    k = F.col("vid") % 8
+    alt = F.when(k == 0, ".").when(k == 1, F.concat("ref", F.lit("GG"))).when(k == 2, "<ID>").when(k == 3, F.concat("ref", F.lit("[c:1["))).when(k == 4, F.concat(F.lit("."), "ref")).when(k == 5, F.concat("ref", F.lit("."))).otherwise(F.col("alt1"))
+    return t.variants.select("vid", V.event(F.col("ref"), alt).alias("e")).select("vid", F.col("e.type").alias("event"), "e.sequence")
 
 
 @query("p12_normalize_alleles", """WITH a AS (SELECT vid, pos, concat(ref, 'CA') AS r, concat(alt1, 'CA') AS a, ref, alt1 FROM variants WHERE length(ref) = 1) SELECT vid, pos, ref, alt1 AS alt FROM a""")
@@ -142,11 +145,11 @@ def _(t):
     return t.sequences.select("seq_id", F.md5("seq").alias("md5"), V.modbase_seq_id(F.col("seq")).alias("modbase_id"), F.col("seq").rlike("^[ACDEFGHIKLMNPQRSTVWY]+$").alias("protein"))
 
 
-@query("p19_p21_residues", "WITH m AS (SELECT res_id, ['ALA', 'ARG', 'MSE', 'XXX'][1 + CAST(res_id % 4 AS INT)] AS name, z FROM residues) SELECT res_id, CASE name WHEN 'ALA' THEN 'A' WHEN 'ARG' THEN 'R' WHEN 'MSE' THEN 'M' END AS letter, round(abs(z) / CASE name WHEN 'ALA' THEN 106.0 WHEN 'ARG' THEN 248.0 WHEN 'MSE' THEN 188.0 END, 4) AS rsa FROM m")
+@query("p19_p21_residues", "WITH m AS (SELECT res_id, ['ALA', 'ARG', 'MSE', 'XXX'][1 + CAST(res_id % 4 AS INT)] AS name, z FROM residues) SELECT res_id, CASE name WHEN 'ALA' THEN 'A' WHEN 'ARG' THEN 'R' WHEN 'MSE' THEN 'M' END AS letter, round(abs(z) / CASE name WHEN 'ALA' THEN 115.0 WHEN 'ARG' THEN 225.0 WHEN 'MSE' THEN 185.0 END, 4) AS rsa FROM m")
 def _(t):
     name = F.get(F.array(*map(F.lit, ("ALA", "ARG", "MSE", "XXX"))), (F.col("res_id") % 4).cast("int"))
     letter = F.try_element_at(V.literal_map(V.AA3), name)
-    return t.residues.select("res_id", letter.alias("letter"), V.relative_access(F.abs("z"), letter, {"A": 106.0, "R": 248.0, "M": 188.0}).alias("rsa"))
+    return t.residues.select("res_id", letter.alias("letter"), V.relative_access(F.abs("z"), letter, {letter: float(access) for letter, *_, access in PROPERTIES}).alias("rsa"))
 
 
 _AA = "aa AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {s}, '{k}', {hp}, {acc})" for a, s, k, _, hp, _, _, acc in PROPERTIES) + ") v(letter, size, kind, hp, access))"
@@ -261,7 +264,7 @@ def _(t):
 @query("w12_extract_format", "SELECT v.chrom, v.pos, concat('NA', CAST(s.sample AS VARCHAR)) AS sample, CAST(gq AS DOUBLE) AS value FROM variants v CROSS JOIN (SELECT CAST(unnest(range(20)) AS INT) AS sample) s LEFT JOIN calls c ON c.vid = v.vid AND c.sample = s.sample")
 def _(t):
     lines = lines_of(t)
-    return R.parse_calls(R.parse_lines(lines), R.read_header(lines)).select("chrom", "pos", "sample", F.col("gq").alias("value"))
+    return R.parse_calls(R.parse_lines(lines), R.parse_header(HEAD)).select("chrom", "pos", "sample", F.col("gq").alias("value"))
 
 
 @query("w13_vcf_query", f"SELECT vid, concat(any_value(chrom), ':', CAST(any_value(pos) AS VARCHAR), ' ', string_agg(concat(CAST(sample AS VARCHAR), '=', {_GT}), ' ' ORDER BY sample)) AS line FROM calls JOIN variants USING (vid) GROUP BY vid")

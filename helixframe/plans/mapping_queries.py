@@ -139,14 +139,14 @@ def _(t):
     return range_join(points, i, ("chrom", "pos", "end"), ("i_c", "i_s", "i_e"), width=256, keep=F.col("ref") == F.col("i_ref")).groupBy("vid").agg(F.min("iid").alias("first_iid"), F.count("*").alias("n"))
 
 
-@query("j21_spatial_radius", "SELECT a.res_id, b.res_id AS point_id, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) AS distance FROM residues a JOIN residues b ON a.structid = b.structid AND b.res_id % 7 = 0 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 36")
+@query("j21_spatial_radius", "SELECT a.res_id, b.res_id AS point_id, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) AS distance FROM residues a JOIN residues b ON a.structid = b.structid WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 36")
 def _(t):
-    return M.neighbours(t.residues, t.residues.where("res_id % 7 = 0"), 6.0).withColumn("distance", F.round("distance", 6))
+    return M.neighbours(t.residues, t.residues, 6.0).withColumn("distance", F.round("distance", 6))
 
 
-@query("a52_density", "WITH d AS (SELECT a.res_id, CAST(ceil(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS INT) AS d FROM residues a JOIN residues b ON a.structid = b.structid AND b.res_id % 7 = 0) SELECT r.res_id, CAST(k.k AS INT) AS k, count(d.d) AS n FROM residues r CROSS JOIN range(11) k(k) LEFT JOIN d ON d.res_id = r.res_id AND d.d <= k.k GROUP BY ALL")
+@query("a52_density", "WITH d AS (SELECT a.res_id, CAST(ceil(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS INT) AS d FROM residues a JOIN residues b ON a.structid = b.structid) SELECT r.res_id, CAST(k.k AS INT) AS k, count(d.d) AS n FROM residues r CROSS JOIN range(11) k(k) LEFT JOIN d ON d.res_id = r.res_id AND d.d <= k.k GROUP BY ALL")
 def _(t):
-    return M.density(t.residues, t.residues.where("res_id % 7 = 0"), 10)
+    return M.density(t.residues, t.residues, 10)
 
 
 @query("t17_dbscan_residues")
@@ -169,9 +169,9 @@ def _(t):
     return t.intervals.join(x, "transcript").select("iid", "unp")
 
 
-@query("j23_sifts_segment_align", "SELECT structid, chain, seqid + k AS unp_pos, seqid % 50 + k AS seq_pos FROM (SELECT structid, chain, CAST(seqid AS BIGINT) AS seqid, unnest(range(0, iid % 9 + 1)) AS k FROM intervals WHERE iid % 5 = 0)")
+@query("j23_sifts_segment_align", "SELECT structid, chain, seqid + k AS unp_pos, seqid % 50 + k AS seq_pos FROM (SELECT structid, chain, CAST(seqid AS BIGINT) AS seqid, unnest(range(0, iid % 9 + 1)) AS k FROM intervals)")
 def _(t):
-    s = t.intervals.where("iid % 5 = 0").select("structid", "chain", F.col("seqid").cast("long").alias("unp_start"), (F.col("seqid") + F.col("iid") % 9).alias("unp_end"), (F.col("seqid") % 50).cast("long").alias("seq_start"), (F.col("seqid") % 50 + F.col("iid") % 9).alias("seq_end"))
+    s = t.intervals.select("structid", "chain", F.col("seqid").cast("long").alias("unp_start"), (F.col("seqid") + F.col("iid") % 9).alias("unp_end"), (F.col("seqid") % 50).cast("long").alias("seq_start"), (F.col("seqid") % 50 + F.col("iid") % 9).alias("seq_end"))
     return M.segment_alignment(s)
 
 
@@ -242,7 +242,7 @@ def _(t):
     return t.residues.groupBy("structid").agg(F.round(F.avg("z"), 4).alias("mean"), F.array_join(F.transform(by, lambda r: r["v"].cast("string")), ",").alias("per_residue"))
 
 
-_EXONS = "ex AS (SELECT transcript, chrom, CASE WHEN CAST(substr(transcript, 2) AS INT) % 2 = 0 THEN 1 ELSE -1 END AS strand, start_pos AS s, end_pos AS e, row_number() OVER (PARTITION BY transcript, chrom ORDER BY iid) AS rank FROM intervals WHERE seqid % 10 = 3)"
+_EXONS = "ex AS (SELECT transcript, chrom, CASE WHEN CAST(substr(transcript, 2) AS INT) % 2 = 0 THEN 1 ELSE -1 END AS strand, start_pos AS s, end_pos AS e, row_number() OVER (PARTITION BY transcript, chrom ORDER BY iid) AS rank FROM intervals)"
 
 
 @query("t8_codon_to_genomic", f"""WITH {_EXONS}, b AS (SELECT *, COALESCE(SUM(e - s) OVER (PARTITION BY transcript, chrom ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ex), o AS (SELECT *, unnest(range(0, e - s)) AS off FROM b),
@@ -250,7 +250,7 @@ _EXONS = "ex AS (SELECT transcript, chrom, CASE WHEN CAST(substr(transcript, 2)
 def _(t):
     from pyspark.sql import Window
 
-    ex = t.intervals.where("seqid % 10 = 3").select(F.concat_ws(":", "transcript", "chrom").alias("key"), "transcript", "chrom", F.when(F.substring("transcript", 2, 9).cast("int") % 2 == 0, 1).otherwise(-1).alias("strand"), F.col("start_pos").alias("e_start"), F.col("end_pos").alias("e_end"), F.row_number().over(Window.partitionBy("transcript", "chrom").orderBy("iid")).alias("rank"))
+    ex = t.intervals.select(F.concat_ws(":", "transcript", "chrom").alias("key"), "transcript", "chrom", F.when(F.substring("transcript", 2, 9).cast("int") % 2 == 0, 1).otherwise(-1).alias("strand"), F.col("start_pos").alias("e_start"), F.col("end_pos").alias("e_end"), F.row_number().over(Window.partitionBy("transcript", "chrom").orderBy("iid")).alias("rank"))
     return M.codons(ex.select(F.col("key").alias("transcript"), "chrom", "strand", "e_start", "e_end", "rank")).withColumn("transcript", F.split("transcript", ":")[0])
 
 

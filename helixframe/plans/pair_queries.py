@@ -18,8 +18,8 @@ _R2 = """SELECT vid, vid2, n AS n_indv, round((n * sxu - sx * su) * CAST(n * sxu
 _HAP = """SELECT vid, vid2, n AS n_chr, round(d * d / NULLIF(pa * (1 - pa) * pb * (1 - pb), 0), 6) AS r2, round(d, 6) AS d, round(d / NULLIF(CASE WHEN d < 0 THEN LEAST(pa * pb, (1 - pa) * (1 - pb)) ELSE LEAST(pa * (1 - pb), (1 - pa) * pb) END, 0), 6) AS dprime FROM
  (SELECT vid, vid2, n, na / n AS pa, nb / n AS pb, n11 / n - (na / n) * (nb / n) AS d FROM (SELECT a.vid, b.vid AS vid2, 2 * count(*) AS n, SUM(a.a1 * b.a1 + a.a2 * b.a2) AS n11, SUM(a.a1 + a.a2) AS na, SUM(b.a1 + b.a2) AS nb
   FROM o a JOIN o b ON a.sample = b.sample AND a.phased AND b.phased AND {} GROUP BY ALL))"""
-_LIST = "a.chrom = b.chrom AND a.vid <> b.vid AND a.vid % 400 = 7"
-_OTHER = "a.chrom <> b.chrom AND a.vid % 1000 = 7"
+_LIST = "a.chrom = b.chrom AND a.vid <> b.vid AND a.vid % 50 = 0"
+_OTHER = "a.chrom <> b.chrom AND a.vid % 50 = 0"
 
 
 @query("a24_hap_r2", f"WITH {_OK} {_HAP.format(_NEAR)}")
@@ -41,22 +41,22 @@ def _(t):
 
 @query("a27_interchrom_geno_r2", f"WITH {_OK} {_R2.format(_OTHER)}")
 def _(t):
-    return P.genotype_r2(P.other_chromosome_pairs(sites_of(t), t.calls, t.variants.where("vid % 1000 = 7")))
+    return P.genotype_r2(P.other_chromosome_pairs(sites_of(t), t.calls, t.variants.where("vid % 50 = 0")))
 
 
 @query("a28_interchrom_hap_r2", f"WITH {_OK} {_HAP.format(_OTHER)}")
 def _(t):
-    return P.haplotype_r2(P.other_chromosome_pairs(sites_of(t), t.calls, t.variants.where("vid % 1000 = 7")))
+    return P.haplotype_r2(P.other_chromosome_pairs(sites_of(t), t.calls, t.variants.where("vid % 50 = 0")))
 
 
 @query("a29_hap_r2_positions", f"WITH {_OK} {_HAP.format(_LIST)}")
 def _(t):
-    return P.haplotype_r2(P.listed_pairs(sites_of(t), t.calls, t.variants.where("vid % 400 = 7")))
+    return P.haplotype_r2(P.listed_pairs(sites_of(t), t.calls, t.variants.where("vid % 50 = 0")))
 
 
 @query("a30_geno_r2_positions", f"WITH {_OK} {_R2.format(_LIST)}")
 def _(t):
-    return P.genotype_r2(P.listed_pairs(sites_of(t), t.calls, t.variants.where("vid % 400 = 7")))
+    return P.genotype_r2(P.listed_pairs(sites_of(t), t.calls, t.variants.where("vid % 50 = 0")))
 
 
 @query("a33_relatedness_yang", f"""WITH {_OK}, f AS (SELECT vid, SUM(a1 + a2) / (2 * count(*)) AS f FROM calls WHERE a1 <= 1 AND a2 <= 1 GROUP BY vid)
@@ -89,12 +89,12 @@ def _(t):
     return P.pca_loadings(v, t.calls, P.pca(v, t.calls, 2))
 
 
-@query("a37_haplotype_count", """WITH b AS (SELECT iid, chrom, start_pos, end_pos FROM intervals WHERE seqid < 30), o AS (SELECT iid, vid, pos FROM variants v JOIN b ON b.chrom = v.chrom AND pos >= start_pos AND pos < end_pos WHERE alt2 IS NULL), n AS (SELECT iid, count(*) AS n_snp FROM o GROUP BY iid),
+@query("a37_haplotype_count", """WITH b AS (SELECT iid, chrom, start_pos, end_pos FROM intervals), o AS (SELECT iid, vid, pos FROM variants v JOIN b ON b.chrom = v.chrom AND pos >= start_pos AND pos < end_pos WHERE alt2 IS NULL), n AS (SELECT iid, count(*) AS n_snp FROM o GROUP BY iid),
  h AS (SELECT iid, sample, 0 AS h, pos, a1 AS a FROM o JOIN calls USING (vid) WHERE phased AND a1 IS NOT NULL AND a2 IS NOT NULL UNION ALL SELECT iid, sample, 1, pos, a2 FROM o JOIN calls USING (vid) WHERE phased AND a1 IS NOT NULL AND a2 IS NOT NULL),
  s AS (SELECT iid, sample, h, count(*) AS k, string_agg(CAST(a AS VARCHAR), '' ORDER BY pos, a) AS hap FROM h GROUP BY ALL), u AS (SELECT iid, n_snp, hap, count(*) AS m FROM s JOIN n USING (iid) WHERE k = n_snp GROUP BY ALL), f AS (SELECT iid, n_snp, m, count(*) AS f FROM u GROUP BY ALL)
  SELECT iid, n_snp, CAST(SUM(f) AS BIGINT) AS n_unique, string_agg(concat(m, ':', f), ',' ORDER BY m, f) AS spectrum FROM f GROUP BY iid, n_snp""")
 def _(t):
-    return W.haplotype_counts(sites_of(t), t.calls, t.intervals.where("seqid < 30").select("iid", "chrom", F.col("start_pos").alias("start"), F.col("end_pos").alias("end")))
+    return W.haplotype_counts(sites_of(t), t.calls, t.intervals.select("iid", "chrom", F.col("start_pos").alias("start"), F.col("end_pos").alias("end")))
 
 
 @query("n1_snp_density", """WITH b AS (SELECT chrom, pos // 5000 AS bin, count(DISTINCT pos) AS n FROM variants GROUP BY ALL), e AS (SELECT chrom, unnest(range(min(bin), max(bin) + 1)) AS bin FROM b GROUP BY chrom)

@@ -202,8 +202,12 @@ def _(t):
 
 
 def aligned(t):
-    s = t.sequences.select("seq_id", F.substring("seq", 1, 60).alias("seq"))
-    return S.global_alignments(s.select(F.col("seq_id").alias("key"), F.col("seq").alias("a"), F.concat(F.substring("seq", 1, 20), F.substring("seq", 24, 60)).alias("b")))
+    """Each chain's whole sequence against that of every other chain of its structure that comes after it."""
+    from pyspark.sql import Window
+
+    s = S.chain_sequences(one_residue(t)).withColumn("k", F.row_number().over(Window.orderBy("structid", "chain")))
+    b = s.select("structid", F.col("chain").alias("chain2"), F.col("seq").alias("b"), F.col("k").alias("k2"))
+    return S.global_alignments(s.join(b, "structid").where("chain < chain2").select((F.col("k") * 100_000 + F.col("k2")).cast("long").alias("key"), F.col("seq").alias("a"), "b"))
 
 
 @query("t6_global_align")
@@ -213,20 +217,20 @@ def _(t):
 
 @query("t7_best_alignment")
 def _(t):
-    return S.best_alignments(aligned(t).withColumn("gene", F.col("key") % 50))
+    return S.best_alignments(aligned(t).withColumn("gene", F.floor(F.col("key") / 100_000)), 0.1)
 
 
-@query("a53_alignment_stats", """WITH p AS (SELECT seq_id AS key, unnest(range(1, CAST(LEAST(length(seq), 50) AS BIGINT) + 1)) AS i, seq FROM sequences), c AS (SELECT key, substr(seq, i, 1) AS a, CASE WHEN i % 4 = 0 THEN 'A' ELSE substr(seq, i, 1) END AS b, length(seq) AS n FROM p)
+@query("a53_alignment_stats", """WITH p AS (SELECT seq_id AS key, unnest(range(1, CAST(length(seq) AS BIGINT) + 1)) AS i, seq FROM sequences), c AS (SELECT key, substr(seq, i, 1) AS a, CASE WHEN i % 4 = 0 THEN 'A' ELSE substr(seq, i, 1) END AS b, length(seq) AS n FROM p)
  SELECT key, round(count(*) / any_value(n), 2) AS perc_aligned, round(count(*) FILTER (CASE WHEN a = 'U' THEN 'M' ELSE a END = CASE WHEN b = 'U' THEN 'M' ELSE b END) / count(*), 2) AS perc_identity FROM c GROUP BY key""")
 def _(t):
-    p = t.sequences.where("length(seq) > 0").select(F.col("seq_id").alias("key"), F.explode(F.sequence(F.lit(1), F.least(F.length("seq"), F.lit(50)))).alias("i"), "seq")
-    p = p.withColumn("a", F.expr("substring(seq, i, 1)")).withColumn("b", F.when(F.col("i") % 4 == 0, "A").otherwise(F.col("a")))
+    p = t.sequences.where("length(seq) > 0").select(F.col("seq_id").alias("key"), F.posexplode(F.split("seq", "")).alias("i", "a")).withColumn("i", F.col("i") + 1)
+    p = p.withColumn("b", F.when(F.col("i") % 4 == 0, "A").otherwise(F.col("a")))
     return S.alignment_stats(p.select("key", "a", "b"), t.sequences.select(F.col("seq_id").alias("key"), F.length("seq").alias("n"))).drop("score")
 
 
 @query("a55_transcript_compare", "WITH p AS (SELECT seq_id, seq AS a, CASE WHEN seq_id % 3 = 0 THEN concat(left(seq, 10), 'Z', substr(seq, 12)) WHEN seq_id % 3 = 1 THEN concat(seq, 'A') ELSE seq END AS b FROM sequences WHERE length(seq) > 20) SELECT seq_id, CASE WHEN length(a) = length(b) THEN CAST(a <> b AS INT) END AS mismatches, CASE WHEN length(a) <> length(b) THEN 1.0 ELSE round(CAST(a <> b AS INT) / length(a), 6) END AS share FROM p")
 def _(t):
-    b = F.when(F.col("seq_id") % 3 == 0, F.concat(F.substring("seq", 1, 10), F.lit("Z"), F.substring("seq", 12, 400))).when(F.col("seq_id") % 3 == 1, F.concat("seq", F.lit("A"))).otherwise(F.col("seq"))
+    b = F.when(F.col("seq_id") % 3 == 0, F.concat(F.substring("seq", 1, 10), F.lit("Z"), F.expr("substring(seq, 12)"))).when(F.col("seq_id") % 3 == 1, F.concat("seq", F.lit("A"))).otherwise(F.col("seq"))
     return t.sequences.where("length(seq) > 20").select("seq_id", V.seq_identity(F.col("seq"), b).alias("x")).select("seq_id", "x.mismatches", "x.share")
 
 
@@ -349,11 +353,15 @@ def _(t):
     return c.select("vid", F.col("feature").alias("transcript"), F.coalesce(F.concat("ref_amino_acid", F.lit("/"), "alt_amino_acid"), F.lit("")).alias("aa"), F.col("protein_pos").alias("ppos"), F.round(F.coalesce(maf, F.lit(0.0)), 6).alias("maf"))
 
 
-@query("f38_nonsyn_filter", f"WITH {_CSQ} SELECT vid, cons FROM c WHERE cons LIKE '%missense_variant%'")
+#: Terms by site, some of which count.
+_TERMS = [*V.NONSYNONYMOUS, "start_lost", "protein_altering_variant", "coding_sequence_variant", "intron_variant"]
+
+
+@query("f38_nonsyn_filter", f"WITH c AS (SELECT vid, split_part(csq, '|', 1) AS own, {_TERMS}[1 + CAST(vid % {len(_TERMS)} AS INT)] AS more FROM consequences), d AS (SELECT vid, concat(own, '&', more) AS cons FROM c) SELECT vid, cons FROM d WHERE list_has_any(string_split(cons, '&'), {V.NONSYNONYMOUS})")
 def _(t):
-    terms = F.array(*map(F.lit, ("missense_variant", "stop_gained", "stop_lost", "start_lost", "frameshift_variant", "inframe_insertion", "inframe_deletion", "protein_altering_variant", "coding_sequence_variant")))
-    c = t.consequences.withColumn("cons", F.split("csq", r"\|")[0])
-    return c.where(F.arrays_overlap(F.split("cons", "&"), terms)).select("vid", "cons")
+    more = F.get(F.array(*map(F.lit, _TERMS)), (F.col("vid") % len(_TERMS)).cast("int"))
+    c = t.consequences.select("vid", F.concat(F.split("csq", r"\|")[0], F.lit("&"), more).alias("cons"))
+    return c.where(V.is_nonsynonymous(F.col("cons")))
 
 
 @query("o4_view_order", "SELECT structid, chain, seqid, res_id, row_number() OVER (PARTITION BY structid ORDER BY chain, seqid, res_id) AS k FROM residues")

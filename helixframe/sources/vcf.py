@@ -6,13 +6,20 @@ declarations; '.' and '' are null. FILTER: '.' null, PASS an empty array.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Types of reserved INFO keys that a header need not declare. Fixed values of the VCF specification.
-RESERVED_INFO = {"AA": "String", "AC": "Integer", "AF": "Float", "AN": "Integer", "BQ": "Float", "CIGAR": "String", "DB": "Flag", "DP": "Integer", "END": "Integer", "H2": "Flag", "MQ": "Float", "MQ0": "Integer", "NS": "Integer", "SB": "Float", "SOMATIC": "Flag", "VALIDATED": "Flag"}
+#: Types of reserved INFO keys that a header need not declare, structural variants' keys after the others. Fixed values.
+RESERVED_INFO = {
+    "AA": "String", "AC": "Integer", "AF": "Float", "AN": "Integer", "BQ": "Float", "CIGAR": "String", "DB": "Flag", "DP": "Integer", "END": "Integer", "H2": "Flag", "H3": "Flag", "MQ": "Float",
+    "MQ0": "Integer", "NS": "Integer", "SB": "String", "SOMATIC": "Flag", "VALIDATED": "Flag", "1000G": "Flag", "IMPRECISE": "Flag", "NOVEL": "Flag", "SVTYPE": "String", "SVLEN": "Integer", "CIPOS": "Integer",
+    "CIEND": "Integer", "HOMLEN": "Integer", "HOMSEQ": "String", "BKPTID": "String", "MEINFO": "String", "METRANS": "String", "DGVID": "String", "DBVARID": "String", "DBRIPID": "String", "MATEID": "String",
+    "PARID": "String", "EVENT": "String", "CILEN": "Integer", "DPADJ": "Integer", "CN": "Integer", "CNADJ": "Integer", "CICN": "Integer", "CICNADJ": "Integer",
+}
 SPARK_TYPE = {"Integer": "bigint", "Float": "double", "Flag": "boolean", "String": "string", "Character": "string"}
 
 
@@ -22,34 +29,65 @@ def null_dot(c: Column) -> Column:
 
 @dataclass
 class Header:
-    """Declared types and counts of INFO and FORMAT keys, and the samples' names."""
+    """Declared types and counts of INFO and FORMAT keys, and the samples' names. by_file: names of files whose samples,
+    or the order of these, differ from the others'."""
 
     info: dict[str, tuple[str, str]]
     format: dict[str, tuple[str, str]]
     samples: list[str]
-
-
-def read_header(lines: DataFrame) -> Header:
-    """The header of a frame of lines (value): its lines are few, whatever the file's size."""
-    info: dict[str, tuple[str, str]] = {}
-    form: dict[str, tuple[str, str]] = {}
-    samples: list[str] = []
-    named = F.regexp_extract("value", r"^##(INFO|FORMAT)=<ID=([^,>]+)", 2)
-    number, kind = F.regexp_extract("value", r"Number=([^,>]+)", 1), F.regexp_extract("value", r"Type=([^,>]+)", 1)
-    for r in lines.where(F.col("value").startswith("#")).select("value", named.alias("id"), number.alias("number"), kind.alias("kind")).distinct().collect():
-        if r["value"].startswith("##INFO"):
-            info[r["id"]] = (r["kind"], r["number"])
-        elif r["value"].startswith("##FORMAT"):
-            form[r["id"]] = (r["kind"], r["number"])
-        elif r["value"].startswith("#CHROM"):
-            samples = r["value"].split("\t")[9:]
-    return Header(info, form, samples)
+    by_file: dict[str, list[str]] = field(default_factory=dict)
+
+
+def parse_header(lines: Iterable[str]) -> Header:
+    """Of the lines that begin a file."""
+    out = Header({}, {}, [])
+    for line in lines:
+        if got := re.match(r"##(INFO|FORMAT)=<(?:.*?,)?ID=([^,>]+)", line):
+            number, kind = (re.search(rf"[<,]{key}=([^,>]+)", line) for key in ("Number", "Type"))
+            own = out.info if got[1] == "INFO" else out.format
+            own[got[2]] = (kind[1] if kind else "String", number[1] if number else "1")
+        elif line.startswith("#CHROM"):
+            out.samples = line.split("\t")[9:]
+    return out
+
+
+def file_heads(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The lines with # that begin each file of a path, by file. Only the files' beginnings are read, by Hadoop's readers,
+    so that any store and compression will do that Spark's text source reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    heads: dict[str, list[str]] = {}
+    for name in spark.read.text(path).inputFiles():
+        file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        stream = file.getFileSystem(conf).open(file)
+        codec = codecs.getCodec(file)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        heads[name] = []
+        while (line := reader.readLine()) is not None and line.startswith("#"):
+            heads[name].append(line)
+        reader.close()
+    return heads
+
+
+def read_header(spark: SparkSession, path: str) -> Header:
+    """Declarations of all files. A file without a #CHROM line, as the parts of a written folder are, has the samples of
+    those that have one; these must agree then."""
+    heads = {name: parse_header(lines) for name, lines in file_heads(spark, path).items()}
+    named = {name: h.samples for name, h in heads.items() if h.samples}
+    out = Header({k: v for h in heads.values() for k, v in h.info.items()}, {k: v for h in heads.values() for k, v in h.format.items()}, next(iter(named.values()), []))
+    if any(names != out.samples for names in named.values()):
+        bare = [name for name, h in heads.items() if not h.samples]
+        if bare:
+            raise ValueError(f"files of {path} have different samples, and these name none: {bare[:5]}")
+        out.by_file = {re.sub("^file:///", "file:/", name): names for name, names in named.items()}  # as _metadata has them
+    return out
 
 
 def parse_lines(lines: DataFrame, prepend_chr: bool = False, strict: bool = True) -> DataFrame:
     """(chrom, pos, id, ref, alts, qual, filters, info, format, fields) of data lines; fields: the calls' texts."""
     f = F.split("value", "\t" if strict else r"[\t ]+")
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(f.alias("f"))
+    file = [F.col("file")] if "file" in lines.columns else []
+    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(f.alias("f"), *file)
     chrom = F.get("f", F.lit(0))
     if prepend_chr:
         chrom = F.when(chrom.startswith("chr"), chrom).otherwise(F.concat(F.lit("chr"), chrom))
@@ -58,21 +96,26 @@ def parse_lines(lines: DataFrame, prepend_chr: bool = False, strict: bool = True
         chrom.alias("chrom"), F.get("f", F.lit(1)).cast("long").alias("pos"), null_dot(F.get("f", F.lit(2))).alias("id"), F.get("f", F.lit(3)).alias("ref"),
         F.when(F.get("f", F.lit(4)) == ".", F.array().cast("array<string>")).otherwise(F.split(F.get("f", F.lit(4)), ",")).alias("alts"), F.get("f", F.lit(5)).try_cast("double").alias("qual"),
         F.when(flt == ".", None).when(flt == "PASS", F.array().cast("array<string>")).otherwise(F.split(flt, ";")).alias("filters"),
-        parse_info(F.get("f", F.lit(7))).alias("info"), F.split(F.get("f", F.lit(8)), ":").alias("format"), F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))).alias("fields"),
+        parse_info(F.get("f", F.lit(7))).alias("info"), F.split(F.get("f", F.lit(8)), ":").alias("format"), F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))).alias("fields"), *file,
     )
 
 
 def read_vcf(spark: SparkSession, path: str, prepend_chr: bool = False, strict: bool = True) -> tuple[DataFrame, Header]:
-    """A VCF file or a folder of them, plain or gzip (.bgz by copying it as .gz)."""
-    lines = spark.read.text(path)
-    return parse_lines(lines, prepend_chr, strict), read_header(lines)
+    """A VCF file or a folder of them, plain or gzip (.bgz by copying it as .gz). Where files differ in their samples, rows
+    carry their file."""
+    lines, header = spark.read.text(path), read_header(spark, path)
+    if header.by_file:
+        lines = lines.select("value", F.col("_metadata.file_path").alias("file"))
+    return parse_lines(lines, prepend_chr, strict), header
 
 
 def parse_info(info: Column) -> Column:
-    """INFO as a map from key to text; a flag has the value ''."""
+    """INFO as a map from key to text; a flag has the value ''. Of a key that repeats the last value holds."""
     pairs = F.filter(F.split(F.coalesce(info, F.lit("")), ";"), lambda x: ~x.isin("", "."))
-    split = F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1), F.when(x.contains("="), F.substring(x, F.instr(x, "=") + 1, F.length(x))).otherwise("")))
-    return F.map_from_entries(F.array_distinct(split))
+    split = F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("col1"), F.when(x.contains("="), F.substring(x, F.instr(x, "=") + 1, F.length(x))).otherwise("").alias("col2")))
+    keys = F.transform(split, lambda x: x["col1"])
+    last = F.filter(split, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["col1"]))
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), split).otherwise(last))
 
 
 def typed_info(info: Column, key: str, header: Header | None = None) -> Column:
@@ -89,16 +132,21 @@ def typed_info(info: Column, key: str, header: Header | None = None) -> Column:
 def parse_calls(variants: DataFrame, header: Header) -> DataFrame:
     """variants with a row per sample: sample, gt, a1, a2 (null if missing), ploidy, phased, and dp, gq and ft where the
     format has them."""
-    names = F.array(*map(F.lit, header.samples)) if header.samples else F.array().cast("array<string>")
-    rows = variants.select("*", F.posexplode("fields").alias("k", "text")).withColumn("sample", F.get(names, F.col("k")))
-    values = F.split("text", ":")
-    value = lambda key: null_dot(F.get(values, F.array_position("format", key).cast("int") - 1))
-    rows = rows.withColumn("gt", F.get(values, F.array_position("format", "GT").cast("int") - 1))
-    alleles = F.split("gt", r"[/|]")
-    ft = value("FT")
+    # FORMAT is looked through once per line, a call's text split once.
+    keys = ("GT", "DP", "GQ", "FT")
+    rows = variants.select("*", *[F.array_position("format", k).cast("int").alias(f"__{k}") for k in keys])
+    if header.by_file:
+        names = variants.sparkSession.createDataFrame(list(header.by_file.items()), "file string, __names array<string>")
+        rows = rows.join(F.broadcast(names), "file")  # names, as many as files and samples
+    else:
+        rows = rows.withColumn("__names", F.array(*map(F.lit, header.samples)) if header.samples else F.array().cast("array<string>"))
+    rows = rows.select("*", F.posexplode("fields").alias("__k", "__text")).select("*", F.get("__names", F.col("__k")).alias("sample"), F.split("__text", ":").alias("__values"))
+    raw = lambda key: F.get("__values", F.col(f"__{key}") - 1)
+    rows = rows.withColumn("gt", raw("GT")).withColumn("__alleles", F.split("gt", r"[/|]"))
+    alleles, ft = F.col("__alleles"), null_dot(raw("FT"))
     return rows.select(
-        *[c for c in variants.columns if c not in ("fields", "format")], "sample", "gt", F.get(alleles, F.lit(0)).try_cast("int").alias("a1"), F.get(alleles, F.lit(1)).try_cast("int").alias("a2"),
-        F.size(alleles).alias("ploidy"), F.col("gt").contains("|").alias("phased"), value("DP").try_cast("int").alias("dp"), value("GQ").try_cast("double").alias("gq"),
+        *[c for c in variants.columns if c not in ("fields", "format", "file")], "sample", "gt", F.get(alleles, F.lit(0)).try_cast("int").alias("a1"), F.get(alleles, F.lit(1)).try_cast("int").alias("a2"),
+        F.size(alleles).alias("ploidy"), F.col("gt").contains("|").alias("phased"), null_dot(raw("DP")).try_cast("int").alias("dp"), null_dot(raw("GQ")).try_cast("double").alias("gq"),
         F.when(ft == "PASS", F.array().cast("array<string>")).otherwise(F.split(ft, ";")).alias("ft"),
     )
 
@@ -147,9 +195,12 @@ def vcf_lines(variants: DataFrame, calls: DataFrame | None = None, samples: list
     ]
     if calls is not None:
         text = F.concat_ws(":", call_text(), F.coalesce(F.col("dp").cast("string"), F.lit(".")), F.coalesce(F.col("gq").cast("string"), F.lit(".")))
-        packed = calls.groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("sample", text))).alias("__c"))
-        v = v.join(packed, "vid", "left")
-        cells += [F.lit("GT:DP:GQ"), *[F.coalesce(F.try_element_at("__c", F.lit(s)), F.lit("./.:.:.")) for s in samples or []]]
+        # A row per cell, as many as the file has; each line's cells are put in order once.
+        order = v.sparkSession.createDataFrame([(s, k) for k, s in enumerate(samples or [])], f"sample {calls.schema['sample'].dataType.simpleString()}, __k int")
+        grid = v.select("vid").join(F.broadcast(order)).join(calls.select("vid", "sample", text.alias("__t")), ["vid", "sample"], "left")
+        line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", F.coalesce("__t", F.lit("./.:.:.")).alias("__t")))), lambda x: x["__t"]), "\t")
+        v = v.join(grid.groupBy("vid").agg(line.alias("__c")), "vid", "left")
+        cells += [F.lit("GT:DP:GQ"), F.col("__c")]
     return v.select("chrom", "pos", F.concat_ws("\t", *cells).alias("value"))
 
 

@@ -33,7 +33,7 @@ FROM {lineitem} GROUP BY l_partkey, l_suppkey % 20""",
     "residues": """SELECT vec_id AS res_id, concat('S', CAST(vec_id % 10 AS STRING)) AS structid, substr('ABCD', CAST(1 + CAST(FLOOR(vec_id / 10) AS BIGINT) % 4 AS INT), 1) AS chain,
   CAST(FLOOR(vec_id / 40) AS INT) AS seqid, CAST({element}(embedding, 1) AS DOUBLE) * 50 AS x, CAST({element}(embedding, 2) AS DOUBLE) * 50 AS y, CAST({element}(embedding, 3) AS DOUBLE) * 50 AS z,
   substr('ACDEFGHIKLMNPQRSTVWY', CAST(1 + vec_id % 20 AS INT), 1) AS rescode FROM {embeddings}""",
-    "sequences": "SELECT doc_id AS seq_id, substr(upper({strip}(text, '[^A-Za-z]', ''{g})), 1, 300) AS seq FROM {documents}",
+    "sequences": "SELECT doc_id AS seq_id, upper({strip}(text, '[^A-Za-z]', ''{g})) AS seq FROM {documents}",
     # Consequences: two transcripts per site.
     "consequences": """SELECT p_partkey AS vid, concat('chr', CAST(1 + p_partkey % 5 AS STRING)) AS chrom, 1 + (p_partkey * 7919) % 200000 AS pos, 2 + (p_partkey * 7919) % 200000 AS end_pos,
   CASE WHEN p_partkey % 6 = 0 THEN '' ELSE concat('T', CAST((p_partkey + k * 7) % 500 AS STRING)) END AS transcript,

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helixframe.functions import variants as V
-from helixframe.operators import filters, mapping, ranges, sets, sites, structure, windows
+from helixframe.operators import filters, mapping, pairs, ranges, sets, sites, structure, windows
 from helixframe.sources import tables, vcf
 
 
@@ -30,16 +30,24 @@ def exact_by_enumeration(het, hom1, hom2):
 
 @pytest.mark.parametrize(("het", "hom1", "hom2"), [(0, 0, 0), (1, 0, 0), (5, 3, 2), (0, 5, 5), (10, 0, 0), (3, 20, 1), (7, 2, 30)])
 def test_exact_hwe(het, hom1, hom2):
-    if het + hom1 + hom2:
-        assert sites.exact_hwe(het, hom1, hom2) == pytest.approx(exact_by_enumeration(het, hom1, hom2))
-    else:
-        assert sites.exact_hwe(0, 0, 0) == (1.0, 1.0, 1.0)
+    assert sites.exact_hwe([het], [hom1], [hom2])[0] == pytest.approx(exact_by_enumeration(het, hom1, hom2))
+
+
+def test_exact_hwe_in_blocks():
+    r = np.random.default_rng(4)
+    triples = r.integers(0, 12, (200, 3))
+    want = np.array([exact_by_enumeration(*map(int, x)) for x in triples])
+    assert sites.exact_hwe(*triples.T, most=50) == pytest.approx(want) and sites.exact_hwe([], [], []).shape == (0, 3)
+    far = sites.exact_hwe([40_000], [30_000], [30_000])[0]
+    assert np.isfinite(far).all() and 0 <= far[0] <= 1
 
 
 def test_event_types_and_trimming(spark):
-    pairs = [("A", "C", "s1"), ("A", "ACGT", "i+3"), ("ACGT", "A", "i-3"), ("ACGT", "ACT", "i-1"), ("A", ".", "r0"), ("A", "<ID>", "u0"), ("ACG", "AGC", "s2"), ("A", "A[1:5[", "b"), ("ACGT", "AAA", "o4")]
-    df = spark.createDataFrame(pairs, "ref string, alt string, want string").withColumn("got", V.event_type(F.col("ref"), F.col("alt")))
+    given_pairs = [("A", "C", "s1"), ("A", "ACGT", "i+3"), ("ACGT", "A", "i-3"), ("ACGT", "ACT", "i-1"), ("A", ".", "r0"), ("A", "<ID>", "u0"), ("ACG", "AGC", "s2"), ("A", ".A", "b"), ("A", "A.", "b"), ("A", "A[1:5[", "b"), ("ACGT", "AAA", "o3")]
+    made = {("A", "C"): "C", ("A", "ACGT"): "CGT", ("ACGT", "A"): "CGT", ("ACGT", "ACT"): "G", ("ACGT", "AAA"): "AAA", ("A", "."): "A", ("A", "<ID>"): "<ID>", ("ACG", "AGC"): "AGC"}
+    df = spark.createDataFrame(given_pairs, "ref string, alt string, want string").withColumn("got", V.event_type(F.col("ref"), F.col("alt")))
     assert all(r.got == r.want for r in df.collect())
+    assert all(r.sequence == made.get((r.ref, r.alt)) for r in df.withColumn("sequence", V.event(F.col("ref"), F.col("alt"))["sequence"]).collect())
     n = spark.createDataFrame([("TATATATA", "TATATA", 5)], "ref string, alt string, pos long").select(V.normalised(F.col("ref"), F.col("alt"), F.col("pos")).alias("n")).first()["n"]
     assert (n["pos"], n["ref"], n["alt"]) == (5, "TAT", "T")
 
@@ -173,3 +181,43 @@ def test_breakends(spark):
     got = [r.x for r in spark.createDataFrame([(a,) for a in alts], "a string").select(vcf.parse_alt(F.col("a")).alias("x")).collect()]
     assert [g.alt_type for g in got] == ["breakend"] * 3 + ["symbolic", "single_breakend", "single_breakend", "substitution"]
     assert [(g.chrom, g.pos, g.seq, g.within_main) for g in got[:3]] == [("17", 198982, "G", True), ("13", 123456, "T", True), ("ctg1", 7, "C", False)]
+
+
+def test_pairs_of_many_samples(spark):
+    """More samples than a word has bits; each with gaps of its own."""
+    r = random.Random(6)
+    calls = {(v, s): (r.randint(0, 1), r.randint(0, 1), r.random() < 0.7) for v in range(4) for s in range(150) if r.random() < 0.8}
+    v = spark.createDataFrame([(k, "chr1", 10 + k, ["C"]) for k in range(4)], "vid int, chrom string, pos long, alts array<string>")
+    c = spark.createDataFrame([(v_, s, *x) for (v_, s), x in calls.items()], "vid int, sample int, a1 int, a2 int, phased boolean")
+    near = pairs.near_pairs(v, c, 100)
+    for row in pairs.genotype_r2(near).collect():
+        xy = [(sum(calls[row.vid, s][:2]), sum(calls[row.vid2, s][:2])) for s in range(150) if (row.vid, s) in calls and (row.vid2, s) in calls]
+        assert row.n_indv == len(xy) and row.r2 == pytest.approx(np.corrcoef(np.array(xy).T)[0, 1] ** 2, abs=1e-6)
+    for row in pairs.genotype_chisq(near).collect():
+        table = np.zeros((3, 3))
+        for s in range(150):
+            if (row.vid, s) in calls and (row.vid2, s) in calls:
+                table[sum(calls[row.vid, s][:2]), sum(calls[row.vid2, s][:2])] += 1
+        want = np.outer(table.sum(1), table.sum(0)) / table.sum()
+        assert row.chisq == pytest.approx(((table - want) ** 2 / want).sum(), abs=1e-6) and row.dof == 4
+    for row in pairs.haplotype_r2(near).collect():
+        both = [s for s in range(150) if all((k, s) in calls and calls[k, s][2] for k in (row.vid, row.vid2))]
+        h = np.array([(calls[row.vid, s][i], calls[row.vid2, s][i]) for s in both for i in (0, 1)])
+        assert row.n_chr == len(h) and row.r2 == pytest.approx(np.corrcoef(h.T)[0, 1] ** 2, abs=1e-6)
+
+
+def test_files_with_samples_in_different_orders(spark, tmp_path):
+    import gzip
+
+    head = '##INFO=<ID=DP,Number=1,Type=Integer,Description="x">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t'
+    (tmp_path / "a.vcf").write_text(head + "A\tB\nchr1\t5\t.\tA\tC\t.\tPASS\tDP=3;DP=4;X\tGT\t0/1\t1/1\n")
+    with gzip.open(tmp_path / "b b.vcf.gz", "wt") as f:
+        f.write(head + "B\tA\nchr1\t9\t.\tA\tC\t.\tPASS\tDP=7\tGT:DP\t0/0:2\t0|1:8\n")
+    v, h = vcf.read_vcf(spark, str(tmp_path))
+    assert h.info["DP"] == ("Integer", "1")
+    assert {(r.pos, r.dp, r.x) for r in v.select("pos", vcf.typed_info(F.col("info"), "DP", h).alias("dp"), F.map_contains_key("info", "X").alias("x")).collect()} == {(5, 4, True), (9, 7, False)}
+    calls = vcf.parse_calls(v, h)
+    assert {(r.pos, r.sample, r.gt, r.dp) for r in calls.collect()} == {(5, "A", "0/1", None), (5, "B", "1/1", None), (9, "B", "0/0", 2), (9, "A", "0|1", 8)}
+    (tmp_path / "c.vcf").write_text("chr2\t1\t.\tA\tC\t.\tPASS\t.\tGT\t0/1\t1/1\n")
+    with pytest.raises(ValueError, match="name none"):
+        vcf.read_vcf(spark, str(tmp_path))
