@@ -132,7 +132,7 @@ def scheme(width: int = 100, q: int = 25, k: int = 32) -> Scheme:
     def alike(texts: list[bytes], numbers: np.ndarray, shards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return repeated_windows(np.frombuffer(b"".join(texts), np.uint8), numbers + (width - 1), shards, width, q)
 
-    return Scheme(byte_tokens, byte_spans, width, k, False, alike, chunk_bytes=1_000_000, bucket_bytes=8_000_000, piece_bytes=250_000)
+    return Scheme(byte_tokens, byte_spans, width, k, False, alike, hot=2_000, chunk_bytes=1_000_000, bucket_bytes=8_000_000, piece_bytes=250_000)  # so many runs fill a piece
 
 
 def _finish(chunk: Chunk, removed: np.ndarray) -> pa.RecordBatch:
