@@ -11,6 +11,8 @@ IUPAC = {"AA": "A", "CC": "C", "GG": "G", "TT": "T", "AC": "M", "AG": "R", "AT":
 AA3 = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V", "MSE": "M", "SEC": "U"}
 #: Consequences that count as non-synonymous. Fixed values.
 NONSYNONYMOUS = ["initiator_codon_variant", "inframe_insertion", "inframe_deletion", "missense_variant", "stop_gained", "stop_lost", "frameshift_variant", "splice_region_variant", "transcript_ablation"]
+#: Populations whose frequencies a record carries. Fixed values.
+POPULATIONS = ["amr", "afr", "eur", "eas", "sas", "asn"]
 STANDARD = [*(f"chr{i}" for i in range(1, 23)), "chrX", "chrY", "chrMT"]
 
 
@@ -149,16 +151,33 @@ def parse_csq(csq: Column, fields: list[str]) -> Column:
 
 
 def complete_record(v: DataFrame) -> DataFrame:
-    """Defaults of a stored record: end is pos + 1, frequencies 0.0, the ancestral allele in capitals, the first alternative,
-    the derived allele, an id made of the place."""
-    alt = F.get("alts", F.lit(0))
+    """A stored record of vid, chrom, pos, id, ref, alts, end, aa and, where known, arrays `<population>_af`, ac, af, gts,
+    snp_sources and csq (structs with existing_variation, gene, symbol, symbol_source).
+
+    Defaults: end is pos + 1; frequencies, the first of each population, are 0.0; the ancestral allele in capitals; the first
+    alternative with its count and frequency; the derived allele. Names, gene and HGNC symbol are those of the first
+    consequence; an id that is missing is the existing name, else made of the place. csq of a record without consequences
+    holds one that is null."""
+    known = lambda c, kind: F.col(c) if c in v.columns else F.lit(None).cast(kind)
+    first = lambda c, kind: F.get(known(c, f"array<{kind}>"), F.lit(0)).cast(kind)
+    csq = known("csq", "array<struct<existing_variation:string,gene:string,symbol:string,symbol_source:string>>")
+    none = F.array(F.get(csq, F.lit(-1)))
+    alt, one, end = F.get("alts", F.lit(0)), F.get(csq, F.lit(0)), F.coalesce("end", F.col("pos") + 1)
     aa = F.upper(F.split("aa", r"\|")[0])
+    place = F.concat(F.col("chrom"), F.lit(":"), F.col("pos").cast("string"), F.lit("-"), end.cast("string"))
     return v.select(
-        "vid", "chrom", "pos", F.coalesce("end", F.col("pos") + 1).alias("end"), F.coalesce("id", F.concat(F.col("chrom"), F.lit(":"), F.col("pos").cast("string"), F.lit("-"), F.coalesce("end", F.col("pos") + 1).cast("string"))).alias("id"),
-        "ref", alt.alias("alt"), aa.alias("aa"), F.when(alt == aa, F.col("ref")).otherwise(alt).alias("da"), F.coalesce("maf", F.lit(0.0)).alias("maf"),
+        "vid", "chrom", "pos", end.alias("end"), F.coalesce(F.col("id"), one["existing_variation"], place).alias("id"), "ref", alt.alias("alt"), aa.alias("aa"), F.when(alt == aa, F.col("ref")).otherwise(alt).alias("da"),
+        *[F.coalesce(first(f"{p}_af", "double"), F.lit(0.0)).alias(f"{p}_af") for p in POPULATIONS], first("ac", "long").alias("ac"), first("af", "double").alias("af"),
+        F.array_join(known("gts", "array<string>"), ",").alias("gt"), F.array_join(known("snp_sources", "array<string>"), ";").alias("snp_source"),
+        one["existing_variation"].alias("existing"), one["gene"].alias("gene"), F.when(one["symbol_source"] == "HGNC", one["symbol"]).alias("hgnc"), F.when(F.size(csq) > 0, csq).otherwise(none).alias("csq"),
     )
 
 
+def record_consequences(records: DataFrame) -> DataFrame:
+    """A row per consequence of complete_record(): id, chrom, pos, end and the consequence's fields."""
+    return records.select("vid", "id", "chrom", "pos", "end", F.explode("csq").alias("__c")).select("vid", "id", "chrom", "pos", "end", "__c.*")
+
+
 def is_nonsynonymous(terms: Column) -> Column:
     """Whether any of the terms, '&' between them, is."""
     return F.arrays_overlap(F.split(terms, "&"), F.array(*map(F.lit, NONSYNONYMOUS)))

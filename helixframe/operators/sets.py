@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.variants import normalised
+
 
 def diff_sites(left: DataFrame, right: DataFrame) -> DataFrame:
     """(chrom, pos1, pos2, kind) of two site lists (chrom, pos, ref): B, one position and reference (N, '.' and '' match
@@ -68,12 +70,29 @@ def complement(first: DataFrame, *others: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b.select("chrom", "pos"), ["chrom", "pos"], "left_anti"), others, first)
 
 
-def merge_sites(sets: dict[str, DataFrame], calls: dict[str, DataFrame], weights: dict[str, int] | None = None, summed: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def _total(df: DataFrame, c: str) -> Column:
+    """The sum of a column, item by item if it holds arrays of one length."""
+    if df.schema[c].dataType.typeName() != "array":
+        return F.sum(c).alias(c)
+    every = F.collect_list(c)  # as many as sets have rows at a position
+    return F.when(F.size(every) > 0, F.aggregate(F.slice(every, 2, F.greatest(F.size(every), F.lit(1))), every[0], lambda x, y: F.zip_with(x, y, lambda p, q: p + q))).alias(c)
+
+
+def merge_sites(
+    sets: dict[str, DataFrame], calls: dict[str, DataFrame], weights: dict[str, int] | None = None, summed: tuple[str, ...] = (), first: tuple[str, ...] = (), samples: dict[str, DataFrame] | None = None, missing: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Merges sets by position. Sites: chrom, pos, the longest reference, the union of alternatives on it (each stretched by
-    the rest of the reference), the mean quality weighted by `weights`
-    (numbers of samples; 1 without), the sum of the `summed` columns, the union of filters but PASS, AN and AC recounted.
-    Calls: src, sample and allele numbers in the merged list."""
+    the rest of the reference), the mean quality weighted by `weights` (numbers of samples; 1 without), the sum of the
+    `summed` columns (of arrays item by item), the first set's value of the `first` columns, the union of filters but PASS,
+    `sf` with the numbers of the sets, an f behind those that were filtered, AN and AC recounted.
+    Calls: src, sample and allele numbers in the merged list. With `samples`, a frame per set, samples whose set has no row
+    at a position are there too, with `missing` (0: the reference) for both alleles."""
     all_ = tagged(sets)
+    number = F.lit(None).cast("int")
+    for k, name in enumerate(sets):
+        number = F.when(F.col("src") == name, k).otherwise(number)
+    flagged = F.concat(number.cast("string"), F.when(F.coalesce(F.size("filters") > 0, F.lit(False)), "f").otherwise(""))
+    order = F.struct(number.alias("k"), "vid")
     weight = F.lit(1)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("src") == name, w).otherwise(weight)
@@ -82,7 +101,8 @@ def merge_sites(sets: dict[str, DataFrame], calls: dict[str, DataFrame], weights
     stretched = own.select("chrom", "pos", "src", "vid", "long_ref", "ref", F.posexplode("alts").alias("k", "a")).withColumn("alt", F.concat("a", F.expr("substring(long_ref, length(ref) + 1)")))
     alts = stretched.groupBy("chrom", "pos").agg(F.array_sort(F.collect_set("alt")).alias("alts"))
     flags = own.select("chrom", "pos", F.explode_outer("filters").alias("f")).groupBy("chrom", "pos").agg(F.array_join(F.array_sort(F.collect_set("f")), ";").alias("filters"))
-    qual = own.groupBy("chrom", "pos").agg(F.round(F.sum(F.col("qual") * weight) / F.sum(F.when(F.col("qual").isNotNull(), weight)), 2).alias("qual"), *[F.sum(c).alias(c) for c in summed], F.array_join(F.array_sort(F.collect_set("src")), "+").alias("sources"))
+    qual = own.groupBy("chrom", "pos").agg(F.round(F.sum(F.col("qual") * weight) / F.sum(F.when(F.col("qual").isNotNull(), weight)), 2).alias("qual"), *[_total(own, c) for c in summed], *[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in first],
+        F.array_join(F.array_sort(F.collect_set("src")), "+").alias("sources"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(number.alias("k"), flagged.alias("t")))), lambda x: x["t"]), ",").alias("sf"))
     place = stretched.join(alts, ["chrom", "pos"]).select("src", "vid", (F.col("k") + 1).alias("old"), F.array_position("alts", F.col("alt")).cast("int").alias("new"))
     moved = tagged(calls)
     for side in ("a1", "a2"):
@@ -90,9 +110,53 @@ def merge_sites(sets: dict[str, DataFrame], calls: dict[str, DataFrame], weights
         moved = moved.join(p, ["src", "vid", side], "left").withColumn(side, F.when(F.col(side) == 0, 0).otherwise(F.col(f"{side}_new"))).drop(f"{side}_new")
     where = own.select("src", "vid", "chrom", "pos").distinct()
     moved = moved.join(where, ["src", "vid"]).select("chrom", "pos", "src", "sample", "a1", "a2")
+    if samples is not None:
+        who = tagged({name: df.select("sample") for name, df in samples.items()})
+        lacking = ref.select("chrom", "pos", F.explode(F.array(*map(F.lit, samples))).alias("src")).join(own.select("chrom", "pos", "src"), ["chrom", "pos", "src"], "left_anti")
+        blank = F.lit(missing).cast("int")
+        moved = moved.unionByName(lacking.join(who, "src").select("chrom", "pos", "src", "sample", blank.alias("a1"), blank.alias("a2")))
     an = moved.select("chrom", "pos", F.explode(F.array("a1", "a2")).alias("a")).where("a is not null").groupBy("chrom", "pos").agg(F.count("*").alias("an"), F.count_if(F.col("a") > 0).alias("ac"))
     sites = ref.join(alts, ["chrom", "pos"]).join(flags, ["chrom", "pos"]).join(qual, ["chrom", "pos"]).join(an, ["chrom", "pos"], "left").na.fill(0, ["an", "ac"])
-    return sites.select("chrom", "pos", F.col("long_ref").alias("ref"), F.array_join("alts", ",").alias("alts"), "qual", "filters", "sources", "an", "ac", *summed), moved
+    return sites.select("chrom", "pos", F.col("long_ref").alias("ref"), F.array_join("alts", ",").alias("alts"), "qual", "filters", "sources", "sf", "an", "ac", *summed, *first), moved
+
+
+def annotate_from_table(variants: DataFrame, table: DataFrame, info: dict[str, bool] | None = None, match_alleles: bool = False) -> DataFrame:
+    """variants (vid, chrom, pos, id, ref, alts, qual, filters, info: a map) filled from a table of inclusive intervals:
+    chrom, start, end, rank and any of id, qual, filters, ref, alts and the columns named in `info` (True: a flag).
+
+    A site's rows count in the order of rank. id becomes the rows' ids, each once, ';' between; qual and filters those of the
+    last row that has any; an INFO value the rows' values, ',' between, and where none has one ('', '.' or null) the key is
+    removed; a flag is set where a row's value is neither of these nor '0', else removed. With match_alleles an alternative
+    of the row must be one of the site, each with its reference and without shared ends; a row with reference '.' fits all.
+    Sites without a row stay as they are."""
+    from helixframe.operators.ranges import range_join
+
+    own = table.select(*[F.col(c).alias(f"__t_{c}") for c in table.columns], (F.col("end") + 1).alias("__t_stop"))
+    hits = range_join(variants.select("vid", "chrom", "pos", (F.col("pos") + 1).alias("__end"), "ref", "alts"), own, ("chrom", "pos", "__end"), ("__t_chrom", "__t_start", "__t_stop"), width=256)
+    if match_alleles:
+        short = lambda ref, alt: F.concat_ws("-", *[normalised(ref, alt, F.lit(0))[c] for c in ("ref", "alt")])
+        pairs = lambda ref, alts: F.transform(alts, lambda a: short(F.col(ref), a))
+        hits = hits.where((F.col("__t_ref") == ".") | F.arrays_overlap(pairs("ref", "alts"), pairs("__t_ref", "__t_alts")))
+    rank = F.col("__t_rank")
+
+    def last(c: str) -> Column:
+        return F.max_by(f"__t_{c}", F.when(F.col(f"__t_{c}").isNotNull(), rank)) if c in table.columns else F.lit(None).cast(variants.schema[c].dataType)
+
+    def value(c: str, flag: bool) -> Column:
+        raw = F.col(f"__t_{c}").cast("string")
+        some = raw.isNotNull() & ~raw.isin("", ".")
+        if flag:
+            return F.when(F.bool_or(some & (raw != "0")), "")
+        every = F.array_sort(F.collect_list(F.when(some, F.struct(rank.alias("r"), raw.alias("v")))))
+        return F.when(F.size(every) > 0, F.array_join(F.transform(every, lambda x: x["v"]), ","))
+
+    ids = F.array_sort(F.collect_set("__t_id")) if "id" in table.columns else F.array().cast("array<string>")
+    info = info or {}
+    by = hits.groupBy("vid").agg(ids.alias("__ids"), last("qual").alias("__qual"), last("filters").alias("__filters"), *[value(c, flag).alias(f"__i_{c}") for c, flag in info.items()])
+    entries = F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"__i_{c}").alias("v")) for c in info])
+    filled = F.col("info") if not info else F.map_concat(F.map_filter("info", lambda k, _: ~k.isin(*info)), F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull())))
+    new = {"id": F.when(F.size("__ids") > 0, F.array_join("__ids", ";")).otherwise(F.col("id")), "qual": F.coalesce("__qual", "qual"), "filters": F.coalesce("__filters", "filters"), "info": F.when(F.col("__ids").isNotNull(), filled).otherwise(F.col("info"))}
+    return variants.join(by, "vid", "left").select(*[new[c].alias(c) if c in new else c for c in variants.columns])
 
 
 def allele_bases(variants: DataFrame, calls: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ phased, dp, gq. A pair of site and sample without a row is uncalled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 ROUND = 6
 
@@ -25,6 +27,17 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
+@F.pandas_udf(DoubleType())
+def erfc(x: pd.Series) -> pd.Series:
+    return pd.Series([math.erfc(v) for v in x], dtype=float)
+
+
+def chi_square_p(x: Column, dof: Column) -> Column:
+    """Upper tail of the chi-square distribution with 1, 2 or 4 degrees of freedom; null for others."""
+    half = F.greatest(x, F.lit(0.0)) / 2
+    return F.when(dof == 1, erfc(F.sqrt(half))).when(dof == 2, F.exp(-half)).when(dof == 4, F.exp(-half) * (1 + half))
+
+
 def chromosomes(calls: DataFrame) -> DataFrame:
     """A row per called chromosome: vid, sample, allele."""
     return calls.select("vid", "sample", F.explode(F.array("a1", "a2")).alias("allele")).where("allele is not null")
@@ -144,20 +157,35 @@ def sample_depth(calls: DataFrame) -> DataFrame:
     return calls.where("dp is not null").groupBy("sample").agg(F.count("*").alias("n_sites"), rounded(F.avg("dp")).alias("mean_depth"))
 
 
-def sample_missing(variants: DataFrame, calls: DataFrame, samples: DataFrame) -> DataFrame:
-    """(sample, n_data, n_miss, f_miss): a call misses if its first allele does."""
-    got = calls.where("a1 is not null").groupBy("sample").agg(F.count("*").alias("have"))
-    n = variants.agg(F.count("*").alias("n_data"))
-    out = samples.select("sample").join(got, "sample", "left").na.fill(0).join(F.broadcast(n))
-    return out.select("sample", "n_data", (F.col("n_data") - F.col("have")).alias("n_miss"), rounded(ratio(F.col("n_data") - F.col("have"), F.col("n_data"))).alias("f_miss"))
+def _filtered(calls: DataFrame, filtered: DataFrame | None, by: str) -> tuple[DataFrame, DataFrame]:
+    """The calls that are left, and (by, n_filtered) of those (vid, sample) that genotype filters took out."""
+    out = (calls.select("vid", "sample").limit(0) if filtered is None else filtered.select("vid", "sample")).distinct()
+    return calls.join(out, ["vid", "sample"], "left_anti"), out.groupBy(by).agg(F.count("*").alias("n_filtered"))
 
 
-def site_missing(variants: DataFrame, calls: DataFrame, n_samples: int) -> DataFrame:
-    """(vid, n_data, n_miss, f_miss) by chromosomes, two a sample."""
-    got = chromosomes(calls).groupBy("vid").agg(F.count("*").alias("have"))
-    out = variants.select("vid").join(got, "vid", "left").na.fill(0)
-    total = F.lit(2 * n_samples)
-    return out.select("vid", total.cast("long").alias("n_data"), (total - F.col("have")).cast("long").alias("n_miss"), rounded((total - F.col("have")) / total).alias("f_miss"))
+def sample_missing(variants: DataFrame, calls: DataFrame, samples: DataFrame, filtered: DataFrame | None = None) -> DataFrame:
+    """(sample, n_data, n_filtered, n_miss, f_miss): a call misses if its first allele does. Filtered calls are no data."""
+    left, gone = _filtered(calls, filtered, "sample")
+    got = left.where("a1 is not null").groupBy("sample").agg(F.count("*").alias("have"))
+    n = variants.agg(F.count("*").alias("sites"))
+    out = samples.select("sample").join(got, "sample", "left").join(gone, "sample", "left").na.fill(0).join(F.broadcast(n))
+    total = F.col("sites") - F.col("n_filtered")
+    miss = total - F.col("have")
+    return out.select("sample", total.alias("n_data"), "n_filtered", miss.alias("n_miss"), rounded(ratio(miss, total)).alias("f_miss"))
+
+
+def site_missing(variants: DataFrame, calls: DataFrame, n_samples: int, filtered: DataFrame | None = None) -> DataFrame:
+    """(vid, n_data, n_filtered, n_miss, f_miss) by chromosomes: two a sample, one where a call is haploid, which is a phased
+    one without a second allele, or one of ploidy 1 if calls have it. Filtered calls are no data."""
+    left, gone = _filtered(calls, filtered, "vid")
+    one = F.col("a2").isNull() & F.coalesce("phased", F.lit(False))
+    if "ploidy" in calls.columns:
+        one |= F.coalesce(F.col("ploidy") == 1, F.lit(False))
+    got = left.groupBy("vid").agg((F.count("a1") + F.count("a2")).alias("have"), F.count_if(one).alias("haploid"))
+    out = variants.select("vid").join(got, "vid", "left").join(gone, "vid", "left").na.fill(0)
+    total = 2 * (n_samples - F.col("n_filtered")) - F.col("haploid")
+    miss = total - F.col("have")
+    return out.select("vid", total.cast("long").alias("n_data"), "n_filtered", miss.cast("long").alias("n_miss"), rounded(ratio(miss, total)).alias("f_miss"))
 
 
 def site_depth(calls: DataFrame) -> DataFrame:

@@ -62,10 +62,35 @@ def _(t):
     return t.consequences.select("vid", V.parse_csq(F.col("csq"), ["Consequence", "Feature", "Amino_acids", "Protein_position", "CANONICAL", "Existing_variation"]).alias("c")).select("vid", "c.*")
 
 
-@query("p2_complete_record", """WITH a AS (SELECT *, regexp_extract(info, 'AA=([ACGT])', 1) AS aa, CASE WHEN vid % 3 = 0 THEN pos + 5 ELSE pos + 1 END AS e FROM variants) SELECT vid, chrom, pos, e AS "end", COALESCE(id, concat(chrom, ':', CAST(pos AS VARCHAR), '-', CAST(e AS VARCHAR))) AS id, ref, alt1 AS alt, aa, CASE WHEN alt1 = aa THEN ref ELSE alt1 END AS da, CASE WHEN vid % 2 = 0 THEN (vid % 100) / 100 ELSE 0.0 END AS maf FROM a""")
+_RECORDS = """a AS (SELECT *, regexp_extract(info, 'AA=([ACGT])', 1) AS aa, CASE WHEN vid % 3 = 0 THEN pos + 5 ELSE pos + 1 END AS e, CASE WHEN vid % 6 <> 0 AND vid % 4 = 1 THEN concat('COSM', CAST(vid AS VARCHAR)) END AS x FROM variants),
+ g AS (SELECT vid, string_agg(concat(COALESCE(CAST(a1 AS VARCHAR), '.'), CASE WHEN phased THEN '|' ELSE '/' END, COALESCE(CAST(a2 AS VARCHAR), '.')), ',' ORDER BY sample) AS gt FROM calls GROUP BY vid),
+ r AS (SELECT vid, chrom, pos, e AS "end", COALESCE(id, x, concat(chrom, ':', CAST(pos AS VARCHAR), '-', CAST(e AS VARCHAR))) AS id, ref, alt1 AS alt, aa, CASE WHEN alt1 = aa THEN ref ELSE alt1 END AS da,
+  CASE WHEN vid % 2 = 0 THEN (vid % 100) / 100 ELSE 0.0 END AS amr_af, CAST(0 AS DOUBLE) AS afr_af, (vid % 7) / 10 AS eur_af, CAST(0 AS DOUBLE) AS eas_af, CAST(0 AS DOUBLE) AS sas_af, CAST(0 AS DOUBLE) AS asn_af, size AS ac, size / 100 AS af, gt,
+  CASE WHEN vid % 5 = 0 THEN 'dbSNP;1KG' END AS snp_source, x AS existing, CASE WHEN vid % 6 <> 0 THEN concat('G', CAST(vid % 50 AS VARCHAR)) END AS gene, CASE WHEN vid % 6 <> 0 AND vid % 2 = 1 THEN concat('SYM', CAST(vid % 50 AS VARCHAR)) END AS hgnc FROM a LEFT JOIN g USING (vid))"""
+
+
+def records(t):
+    """Records with two consequences, but every sixth without, and frequencies of two populations."""
+    n = lambda text, c: F.concat(F.lit(text), c.cast("string"))
+    vid = F.col("vid")
+    csq = [F.struct(F.when(vid % 4 == 1, n("COSM", vid)).alias("existing_variation"), n("G", vid % 50 + k).alias("gene"), n("SYM", vid % 50 + k).alias("symbol"), F.when(vid % 2 == 1, "HGNC").otherwise("EntrezGene").alias("symbol_source")) for k in (0, 1)]
+    gts = t.calls.groupBy("vid").agg(F.split(R.ordered_join(R.call_text(), ["sample"], ","), ",").alias("gts"))
+    v = sites_of(t).join(gts, "vid", "left").withColumns({
+        "end": F.when(vid % 3 == 0, F.col("pos") + 5), "aa": F.concat(F.lower("aa"), F.lit("|x")), "amr_af": F.when(vid % 2 == 0, F.array((vid % 100) / 100, F.lit(0.9))), "eur_af": F.array((vid % 7) / 10), "ac": F.array("size", F.lit(1)), "af": F.array(F.col("size") / 100),
+        "snp_sources": F.when(vid % 5 == 0, F.array(F.lit("dbSNP"), F.lit("1KG"))), "csq": F.when(vid % 6 != 0, F.array(*csq)),
+    })
+    return V.complete_record(v)
+
+
+@query("p2_complete_record", f"WITH {_RECORDS} SELECT * FROM r")
+def _(t):
+    return records(t).drop("csq")
+
+
+@query("p2_record_consequences", f"""WITH {_RECORDS} SELECT vid, id, chrom, pos, "end", CASE WHEN vid % 6 <> 0 THEN existing END AS existing_variation, CASE WHEN vid % 6 <> 0 THEN concat('G', CAST(vid % 50 + k AS VARCHAR)) END AS gene, CASE WHEN vid % 6 <> 0 THEN concat('SYM', CAST(vid % 50 + k AS VARCHAR)) END AS symbol,
+ CASE WHEN vid % 6 <> 0 THEN CASE WHEN vid % 2 = 1 THEN 'HGNC' ELSE 'EntrezGene' END END AS symbol_source FROM r CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) WHERE k = 0 OR vid % 6 <> 0""")
 def _(t):
-    v = sites_of(t).withColumn("end", F.when(F.col("vid") % 3 == 0, F.col("pos") + 5)).withColumn("maf", F.when(F.col("vid") % 2 == 0, (F.col("vid") % 100) / 100))
-    return V.complete_record(v.withColumn("aa", F.concat(F.lower("aa"), F.lit("|x"))))
+    return V.record_consequences(records(t))
 
 
 @query("p3_parse_vep_row", "SELECT vid, CAST(size AS INT) AS protein_position, concat('T', CAST(vid % 500 AS VARCHAR)) AS feature, CASE WHEN vid % 2 = 0 THEN 'benign' END AS sift FROM variants")

@@ -130,13 +130,25 @@ def _(t):
     return t.intervals.join(m, "transcript").where((F.col("target_beg") <= at) & (F.col("target_end") >= at)).select("iid", "model")
 
 
-@query("j19_annotate_from_table", "SELECT v.vid, min(i.iid) AS first_iid, count(*) AS n FROM variants v JOIN intervals i ON i.chrom = v.chrom AND v.pos >= i.start_pos AND v.pos <= i.end_pos AND substr('ACGT', CAST(1 + i.iid % 4 AS INT), 1) = v.ref GROUP BY v.vid")
+@query("j19_annotate_from_table", """WITH k AS (SELECT iid, chrom, start_pos, end_pos, CASE WHEN iid % 16 = 5 THEN '.' ELSE substr('ACGT', CAST(1 + iid % 4 AS INT), 1) END AS ref, substr('ACGT', CAST(1 + (iid // 4) % 4 AS INT), 1) AS alt FROM intervals),
+ h AS (SELECT v.vid, iid, concat('I', CAST(iid AS VARCHAR)) AS x FROM variants v JOIN k ON k.chrom = v.chrom AND v.pos >= start_pos AND v.pos <= end_pos AND (k.ref = '.' OR (k.ref = v.ref AND (k.alt = v.alt1 OR k.alt = v.alt2)))),
+ g AS (SELECT vid, string_agg(DISTINCT x, ';' ORDER BY x) AS ids, arg_max(concat('low', CAST(iid % 7 AS VARCHAR)), iid) FILTER (iid % 3 = 0) AS f, arg_max(iid % 5, iid) FILTER (iid % 5 <> 0) AS q, string_agg(CAST(iid % 10 AS VARCHAR), ',' ORDER BY iid) FILTER (iid % 4 <> 0) AS mq, bool_or(iid % 2 = 0) AS db FROM h GROUP BY vid)
+ SELECT v.vid, COALESCE(ids, id) AS id, CAST(COALESCE(q, qual) AS DOUBLE) AS qual, COALESCE(f, filter) AS filter, CASE WHEN g.vid IS NOT NULL THEN mq WHEN v.vid % 19 <> 0 THEN CAST(v.vid % 60 AS VARCHAR) END AS mq, CASE WHEN g.vid IS NOT NULL THEN db ELSE v.vid % 4 = 0 END AS db, CAST(3 * size AS VARCHAR) AS dp FROM variants v LEFT JOIN g ON g.vid = v.vid""")
 def _(t):
-    from helixframe.operators.ranges import range_join
-
-    points = t.variants.select("vid", "chrom", "pos", (F.col("pos") + 1).alias("end"), "ref")
-    i = t.intervals.select("iid", F.col("chrom").alias("i_c"), F.col("start_pos").alias("i_s"), (F.col("end_pos") + 1).alias("i_e"), F.expr("substr('ACGT', cast(1 + iid % 4 as int), 1)").alias("i_ref"))
-    return range_join(points, i, ("chrom", "pos", "end"), ("i_c", "i_s", "i_e"), width=256, keep=F.col("ref") == F.col("i_ref")).groupBy("vid").agg(F.min("iid").alias("first_iid"), F.count("*").alias("n"))
+    from helixframe.operators.sets import annotate_from_table
+    from helixframe.plans.filter_queries import info_map
+    from helixframe.plans.site_queries import sites_of
+
+    iid = F.col("iid")
+    base = lambda n: F.expr(f"substr('ACGT', cast(1 + {n} % 4 as int), 1)")
+    table = t.intervals.select(
+        "chrom", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), iid.alias("rank"), F.when(iid % 16 == 5, ".").otherwise(base("iid")).alias("ref"), F.array(base("(iid div 4)")).alias("alts"), F.concat(F.lit("I"), iid.cast("string")).alias("id"),
+        F.when(iid % 3 == 0, F.array(F.concat(F.lit("low"), (iid % 7).cast("string")))).alias("filters"), F.when(iid % 5 != 0, (iid % 5).cast("double")).alias("qual"), F.when(iid % 4 == 0, ".").otherwise((iid % 10).cast("string")).alias("MQ"), F.when(iid % 2 == 0, "1").otherwise("0").alias("DB"),
+    )
+    v = info_map(sites_of(t)).drop("info").withColumnRenamed("info_map", "info")
+    got = annotate_from_table(v, table, {"MQ": False, "DB": True}, match_alleles=True)
+    value = lambda k: F.try_element_at("info", F.lit(k))
+    return got.select("vid", "id", "qual", F.when(F.size("filters") == 0, "PASS").otherwise(F.array_join("filters", ";")).alias("filter"), value("MQ").alias("mq"), F.map_contains_key("info", "DB").alias("db"), value("DP").alias("dp"))
 
 
 @query("j21_spatial_radius", "SELECT a.res_id, b.res_id AS point_id, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) AS distance FROM residues a JOIN residues b ON a.structid = b.structid WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 36")

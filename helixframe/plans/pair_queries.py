@@ -34,7 +34,8 @@ def _(t):
 
 @query("a26_geno_chisq", f"""WITH {_OK}, c AS (SELECT a.vid, b.vid AS vid2, a.a1 + a.a2 AS i, b.a1 + b.a2 AS j, count(*) AS n FROM o a JOIN o b ON a.sample = b.sample AND {_NEAR} GROUP BY ALL),
  m AS (SELECT *, SUM(n) OVER (PARTITION BY vid, vid2, i) AS ni, SUM(n) OVER (PARTITION BY vid, vid2, j) AS nj FROM c)
- SELECT vid, vid2, CAST(SUM(n) AS BIGINT) AS n_indv, round(SUM(n) * (SUM(n * n / (ni * nj)) - 1), 6) AS chisq, CAST((count(DISTINCT i) - 1) * (count(DISTINCT j) - 1) AS INT) AS dof FROM m GROUP BY ALL""")
+, x AS (SELECT vid, vid2, CAST(SUM(n) AS BIGINT) AS n_indv, SUM(n) * (SUM(n * n / (ni * nj)) - 1) AS x, CAST((count(DISTINCT i) - 1) * (count(DISTINCT j) - 1) AS INT) AS dof FROM m GROUP BY vid, vid2)
+ SELECT vid, vid2, n_indv, round(x, 6) AS chisq, dof, round(CASE WHEN dof = 0 THEN NULL WHEN x < 1e-13 THEN 1 ELSE 1 - list_sum(list_transform(range(0, 150), lambda k: exp((k + dof / 2.0) * ln(x / 2) - x / 2 - lgamma(k + dof / 2.0 + 1)))) END, 6) AS p FROM x""")
 def _(t):
     return P.genotype_chisq(P.near_pairs(sites_of(t), t.calls, WIN))
 

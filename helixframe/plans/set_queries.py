@@ -47,24 +47,36 @@ def _(t):
 @query("j20_merge_sites", f"""WITH {_AB}, u AS (SELECT *, 'a' AS src FROM a UNION ALL SELECT *, 'b' FROM b), r AS (SELECT chrom, pos, arg_max(ref, (length(ref), ref)) AS long FROM u GROUP BY ALL),
  o AS (SELECT u.*, long FROM u JOIN r ON u.chrom = r.chrom AND u.pos = r.pos), l AS (SELECT chrom, pos, concat(alt1, substr(long, length(ref) + 1)) AS alt FROM o UNION SELECT chrom, pos, concat(alt2, substr(long, length(ref) + 1)) FROM o WHERE alt2 IS NOT NULL),
  g AS (SELECT chrom, pos, string_agg(alt, ',' ORDER BY alt) AS alts FROM l GROUP BY ALL), ff AS (SELECT DISTINCT chrom, pos, unnest(CASE WHEN filter IS NULL OR filter = 'PASS' THEN [NULL] ELSE string_split(filter, ';') END) AS f FROM o), fl AS (SELECT chrom, pos, COALESCE(string_agg(f, ';' ORDER BY f), '') AS filters FROM ff GROUP BY ALL),
- q AS (SELECT chrom, pos, round(SUM(qual * CASE src WHEN 'a' THEN 20 ELSE 16 END) / SUM(CASE src WHEN 'a' THEN 20 ELSE 16 END), 2) AS qual, CAST(SUM(size) AS BIGINT) AS size, string_agg(DISTINCT src, '+' ORDER BY src) AS sources FROM o GROUP BY ALL),
+ q AS (SELECT chrom, pos, round(SUM(qual * CASE src WHEN 'a' THEN 20 ELSE 16 END) / SUM(CASE src WHEN 'a' THEN 20 ELSE 16 END), 2) AS qual, CAST(SUM(size) AS BIGINT) AS size, concat_ws(',', CAST(SUM(size) AS VARCHAR), CAST(count(*) AS VARCHAR), '0') AS counts, string_agg(DISTINCT src, '+' ORDER BY src) AS sources FROM o GROUP BY ALL),
+ s AS (SELECT chrom, pos, string_agg(DISTINCT t, ',' ORDER BY t) AS sf FROM (SELECT chrom, pos, concat(CASE src WHEN 'a' THEN '0' ELSE '1' END, CASE WHEN filter <> 'PASS' THEN 'f' ELSE '' END) AS t FROM o) GROUP BY ALL), i AS (SELECT o.chrom, o.pos, arg_min(concat(v.info, CASE src WHEN 'b' THEN ';B' ELSE '' END), (src, o.vid)) AS info FROM o JOIN variants v ON v.vid = o.vid GROUP BY ALL),
  c AS (SELECT 'a' AS src, vid, a1, a2 FROM calls UNION ALL SELECT 'b', vid, a1, a2 FROM calls WHERE sample < 16), n AS (SELECT chrom, pos, count(x) AS an, count(x) FILTER (x > 0) AS ac FROM (SELECT chrom, pos, unnest([a1, a2]) AS x FROM c JOIN o USING (src, vid)) GROUP BY ALL)
- SELECT r.chrom, r.pos, long AS ref, alts, qual, filters, sources, COALESCE(an, 0) AS an, COALESCE(ac, 0) AS ac, size FROM r JOIN g USING (chrom, pos) JOIN fl USING (chrom, pos) JOIN q USING (chrom, pos) LEFT JOIN n USING (chrom, pos)""")
+ SELECT r.chrom, r.pos, long AS ref, alts, qual, filters, sources, sf, COALESCE(an, 0) AS an, COALESCE(ac, 0) AS ac, size, counts, info FROM r JOIN s USING (chrom, pos) JOIN i USING (chrom, pos) JOIN g USING (chrom, pos) JOIN fl USING (chrom, pos) JOIN q USING (chrom, pos) LEFT JOIN n USING (chrom, pos)""")
 def _(t):
-    a, b = two(t)
-    return G.merge_sites({"a": a, "b": b}, {"a": t.calls, "b": t.calls.where("sample < 16")}, {"a": 20, "b": 16}, ("size",))[0]
+    a, b = (x.withColumn("counts", F.array("size", F.lit(1).cast("long"), F.lit(0).cast("long"))) for x in two(t))
+    b = b.withColumn("info", F.concat("info", F.lit(";B")))
+    got = G.merge_sites({"a": a, "b": b}, {"a": t.calls, "b": t.calls.where("sample < 16")}, {"a": 20, "b": 16}, ("size", "counts"), ("info",))[0]
+    return got.withColumn("counts", F.array_join(F.col("counts").cast("array<string>"), ","))
 
 
-@query("j20_merge_calls", f"""WITH {_AB}, u AS (SELECT *, 'a' AS src FROM a UNION ALL SELECT *, 'b' FROM b), r AS (SELECT chrom, pos, arg_max(ref, (length(ref), ref)) AS long FROM u GROUP BY ALL), o AS (SELECT u.*, long FROM u JOIN r ON u.chrom = r.chrom AND u.pos = r.pos),
+_MERGED = f"""WITH {_AB}, u AS (SELECT *, 'a' AS src FROM a UNION ALL SELECT *, 'b' FROM b), r AS (SELECT chrom, pos, arg_max(ref, (length(ref), ref)) AS long FROM u GROUP BY ALL), o AS (SELECT u.*, long FROM u JOIN r ON u.chrom = r.chrom AND u.pos = r.pos),
  s AS (SELECT chrom, pos, src, vid, 1 AS k, concat(alt1, substr(long, length(ref) + 1)) AS alt FROM o UNION ALL SELECT chrom, pos, src, vid, 2, concat(alt2, substr(long, length(ref) + 1)) FROM o WHERE alt2 IS NOT NULL),
  l AS (SELECT chrom, pos, list(DISTINCT alt ORDER BY alt) AS alts FROM s GROUP BY ALL), p AS (SELECT src, vid, k, CAST(list_position(alts, alt) AS INT) AS new FROM s JOIN l USING (chrom, pos)),
  c AS (SELECT 'a' AS src, vid, sample, a1, a2 FROM calls UNION ALL SELECT 'b', vid, sample, a1, a2 FROM calls WHERE sample < 16)
- SELECT o.chrom, o.pos, c.src, c.sample, CASE WHEN c.a1 = 0 THEN 0 ELSE x.new END AS a1, CASE WHEN c.a2 = 0 THEN 0 ELSE y.new END AS a2 FROM c JOIN o USING (src, vid) LEFT JOIN p x ON x.src = c.src AND x.vid = c.vid AND x.k = c.a1 LEFT JOIN p y ON y.src = c.src AND y.vid = c.vid AND y.k = c.a2""")
+ SELECT o.chrom, o.pos, c.src, c.sample, CASE WHEN c.a1 = 0 THEN 0 ELSE x.new END AS a1, CASE WHEN c.a2 = 0 THEN 0 ELSE y.new END AS a2 FROM c JOIN o USING (src, vid) LEFT JOIN p x ON x.src = c.src AND x.vid = c.vid AND x.k = c.a1 LEFT JOIN p y ON y.src = c.src AND y.vid = c.vid AND y.k = c.a2"""
+
+
+@query("j20_merge_calls", _MERGED)
 def _(t):
     a, b = two(t)
     return G.merge_sites({"a": a, "b": b}, {"a": t.calls, "b": t.calls.where("sample < 16")})[1]
 
 
+@query("j20_merge_ref_for_missing", f"""{_MERGED} UNION ALL SELECT r.chrom, r.pos, w.src, w.sample, 0, 0 FROM r CROSS JOIN (SELECT 'a' AS src, sample FROM samples UNION ALL SELECT 'b', sample FROM samples WHERE sample < 16) w ANTI JOIN u ON u.chrom = r.chrom AND u.pos = r.pos AND u.src = w.src""")
+def _(t):
+    a, b = two(t)
+    return G.merge_sites({"a": a, "b": b}, {"a": t.calls, "b": t.calls.where("sample < 16")}, samples={"a": t.samples, "b": t.samples.where("sample < 16")}, missing=0)[1]
+
+
 _BASES = f"""{_C2}, al AS (SELECT vid, chrom, pos, [ref, alt1, alt2] AS l, alt2 IS NULL AS two FROM variants), x AS (SELECT vid, chrom, pos, sample, two, a1 + a2 AS dose, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN array_to_string(list_sort([l[a1 + 1], l[a2 + 1]]), '/') END AS bases FROM calls JOIN al USING (vid)),
  y AS (SELECT vid, sample, a1 + a2 AS dose2, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN array_to_string(list_sort([l[a1 + 1], l[a2 + 1]]), '/') END AS bases2 FROM cb JOIN al USING (vid)), j AS (SELECT * FROM x JOIN y USING (vid, sample))"""
 

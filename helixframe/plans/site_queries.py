@@ -87,15 +87,16 @@ def _(t):
     return S.sample_depth(t.calls)
 
 
-@query("a9_indv_missing", """WITH b AS (SELECT sample, count(*) AS have FROM calls WHERE a1 IS NOT NULL GROUP BY sample), n AS (SELECT count(*) AS n_data FROM variants)
- SELECT s.sample, n_data, n_data - COALESCE(have, 0) AS n_miss, round((n_data - COALESCE(have, 0)) / n_data, 6) AS f_miss FROM samples s CROSS JOIN n LEFT JOIN b USING (sample)""")
+@query("a9_indv_missing", """WITH b AS (SELECT sample, count(*) FILTER (a1 IS NOT NULL AND gq >= 20) AS have, count(*) FILTER (gq < 20) AS f FROM calls GROUP BY sample), n AS (SELECT count(*) AS sites FROM variants), x AS (SELECT s.sample, COALESCE(have, 0) AS have, COALESCE(f, 0) AS n_filtered, sites - COALESCE(f, 0) AS n_data FROM samples s CROSS JOIN n LEFT JOIN b USING (sample))
+ SELECT sample, n_data, n_filtered, n_data - have AS n_miss, round((n_data - have) / NULLIF(n_data, 0), 6) AS f_miss FROM x""")
 def _(t):
-    return S.sample_missing(t.variants, t.calls, t.samples)
+    return S.sample_missing(t.variants, t.calls, t.samples, t.calls.where("gq < 20"))
 
 
-@query("a10_site_missing", f"WITH {CHR}, h AS (SELECT vid, count(*) AS have FROM chrs GROUP BY vid) SELECT vid, CAST(40 AS BIGINT) AS n_data, 40 - COALESCE(have, 0) AS n_miss, round((40 - COALESCE(have, 0)) / 40, 6) AS f_miss FROM variants LEFT JOIN h USING (vid)")
+@query("a10_site_missing", """WITH h AS (SELECT vid, count(a1) FILTER (gq >= 20) + count(a2) FILTER (gq >= 20) AS have, count(*) FILTER (gq < 20) AS f, count(*) FILTER (gq >= 20 AND a2 IS NULL AND phased) AS one FROM calls GROUP BY vid), x AS (SELECT vid, COALESCE(have, 0) AS have, COALESCE(f, 0) AS n_filtered, 40 - 2 * COALESCE(f, 0) - COALESCE(one, 0) AS n_data FROM variants LEFT JOIN h USING (vid))
+ SELECT vid, n_data, n_filtered, n_data - have AS n_miss, round((n_data - have) / NULLIF(n_data, 0), 6) AS f_miss FROM x""")
 def _(t):
-    return S.site_missing(t.variants, t.calls, 20)
+    return S.site_missing(t.variants, t.calls, 20, t.calls.where("gq < 20"))
 
 
 @query("a11_site_depth", "SELECT vid, CAST(SUM(dp) AS BIGINT) AS sum_depth, CAST(SUM(CAST(dp AS BIGINT) * dp) AS BIGINT) AS sumsq_depth FROM calls WHERE dp IS NOT NULL GROUP BY vid")

@@ -206,6 +206,23 @@ def test_pairs_of_many_samples(spark):
         assert row.n_chr == len(h) and row.r2 == pytest.approx(np.corrcoef(h.T)[0, 1] ** 2, abs=1e-6)
 
 
+def test_chi_square_p(spark):
+    from helixframe.operators.sites import chi_square_p
+
+    rows = [(3.841459, 1, 0.05), (10.827566, 1, 0.001), (5.991465, 2, 0.05), (9.487729, 4, 0.05), (-1e-16, 1, 1.0), (0.0, 0, None)]
+    got = spark.createDataFrame(rows, "x double, dof int, want double").select("want", chi_square_p(F.col("x"), F.col("dof")).alias("p")).collect()
+    assert all(r.p is None if r.want is None else abs(r.p - r.want) < 1e-6 for r in got)
+
+
+def test_annotations_are_taken_over_and_removed(spark):
+    v = spark.createDataFrame([(1, "chr1", 5, None, "A", ["C"], None, None, {"X": "1", "F": "", "K": "k"}), (2, "chr1", 9, "rs2", "AT", ["A"], 3.0, [], {"X": "2"}), (3, "chr2", 5, None, "A", ["C"], None, None, {})], "vid int, chrom string, pos long, id string, ref string, alts array<string>, qual double, filters array<string>, info map<string,string>")
+    t = spark.createDataFrame([("chr1", 1, 6, 1, ".", None, "b", None, ".", "0"), ("chr1", 5, 5, 2, "A", ["T", "C"], "a", ["low"], "7", "0"), ("chr1", 5, 5, 3, "A", ["G"], "no", None, "8", "1"), ("chr1", 9, 9, 4, "ATG", ["AG"], None, None, ".", "1")], "chrom string, start long, end long, rank int, ref string, alts array<string>, id string, filters array<string>, X string, F string")
+    got = {r.vid: r for r in sets.annotate_from_table(v, t, {"X": False, "F": True}, match_alleles=True).collect()}
+    assert (got[1].id, got[1].filters, got[1].info) == ("a;b", ["low"], {"X": "7", "K": "k"})
+    assert (got[2].id, got[2].qual, got[2].filters, got[2].info) == ("rs2", 3.0, [], {"F": ""})
+    assert got[3].info == {} and got[3].id is None
+
+
 def test_files_with_samples_in_different_orders(spark, tmp_path):
     import gzip
 
