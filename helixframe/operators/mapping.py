@@ -24,11 +24,27 @@ def contained(consequences: DataFrame, mapped: DataFrame, residues: DataFrame) -
     return got.join(residues.select("structid", "chain", "seqid", "res_id"), ["structid", "chain", "seqid"], "left")
 
 
-def structure_view(residues: DataFrame, intersection: DataFrame, consequences: DataFrame, data: DataFrame, domains: DataFrame) -> DataFrame:
-    """Residues, left-joined with the variants that fall on them, their consequences and data, and the domain they lie in."""
-    out = residues.join(intersection, ["structid", "chain", "seqid"], "left").join(consequences.select("gc_id", "vid", "consequence"), "gc_id", "left").join(data.select("vid", "qual", "id"), "vid", "left")
+def structure_view(residues: DataFrame, chains: DataFrame, structures: DataFrame, models: DataFrame, intersection: DataFrame, consequences: DataFrame, data: DataFrame, alignments: DataFrame, transcripts: DataFrame, scores: DataFrame, domains: DataFrame) -> DataFrame:
+    """Residues with all that is known of them, left-joined: their chain (unp), structure (method, resolution) or model
+    (model_method, mpqs), the variants that fall on them (gc_id), their consequences and data, the residue's place in a
+    transcript (alignments: structid, chain, seqid, enst, ens_seqid), the transcript (enst, ens_seqid, gene), the alignment's
+    score (structid, chain, enst, perc_identity) and the domain it lies in (structid, chain, seqstart, seqend, domain).
+
+    method is the structure's, else the model's. A consequence that names a transcript is kept where it is the aligned one."""
+    own = ["structid", "chain"]
+    out = residues.join(chains, own, "left").join(structures, "structid", "left").join(models, "structid", "left")
+    out = out.withColumn("method", F.coalesce("method", "model_method")).drop("model_method")
+    out = out.join(intersection, [*own, "seqid"], "left").join(consequences.select("gc_id", "vid", F.col("transcript").alias("vep_trans"), "consequence"), "gc_id", "left").join(data.select("vid", "qual", "id"), "vid", "left")
+    out = out.join(alignments, [*own, "seqid"], "left").where((F.coalesce("vep_trans", F.lit("")) == "") | (F.col("vep_trans") == F.col("enst")))
+    out = out.join(transcripts, ["enst", "ens_seqid"], "left").join(scores, [*own, "enst"], "left").withColumn("is_missense", F.coalesce(F.col("consequence").contains("missense_variant"), F.lit(False)).cast("int"))
     d = domains.select(F.col("structid").alias("d_struct"), F.col("chain").alias("d_chain"), "seqstart", "seqend", "domain")
-    return out.join(F.broadcast(d), (F.col("structid") == F.col("d_struct")) & (F.col("chain") == F.col("d_chain")) & F.col("seqid").between(F.col("seqstart"), F.col("seqend")), "left").drop("d_struct", "d_chain", "seqstart", "seqend")
+    return out.join(d, (F.col("structid") == F.col("d_struct")) & (F.col("chain") == F.col("d_chain")) & F.col("seqid").between(F.col("seqstart"), F.col("seqend")), "left").drop("d_struct", "d_chain", "seqstart", "seqend")
+
+
+def one_per_variant(view: DataFrame) -> DataFrame:
+    """One row of a structure view per variant and residue: the first by transcript, domain and consequence."""
+    first = Window.partitionBy("vid", "res_id").orderBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("enst", "domain", "gc_id")])
+    return view.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
 
 
 def domain_ranges(residues: DataFrame, domains: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from helixframe.functions import variants as V
 from helixframe.functions.residues import PROPERTIES, aa_properties
 from helixframe.plans.registry import query
 from helixframe.plans.site_queries import sites_of
+from helixframe.sources import exports as X
 from helixframe.sources import vcf as R
 
 _ALTS = "[x FOR x IN [alt1, alt2] IF x IS NOT NULL]"
@@ -239,28 +240,36 @@ def _(t):
 _ALL = "COALESCE([ref, alt1, alt2][{0} + 1], '0')"
 
 
+_SECOND = "COALESCE([ref, alt1, alt2][a2 + 1], CASE WHEN phased AND a2 IS NULL THEN [ref, alt1, alt2][a1 + 1] END, '0')"
+
+
 def _with_alleles(t):
-    return t.calls.join(sites_of(t).select("vid", "chrom", "pos", "id", F.concat(F.array("ref"), "alts").alias("alleles")), "vid")
+    return X.with_alleles(sites_of(t), t.calls)
 
 
-@query("w5_to_plink_ped", f"SELECT sample, md5(string_agg(concat({_ALL.format('a1')}, ' ', {_ALL.format('a2')}), chr(9) ORDER BY chrom, pos)) AS line FROM calls JOIN variants USING (vid) GROUP BY sample")
+@query("w5_to_plink_ped", f"SELECT sample, md5(concat_ws(chr(9), CAST(sample AS VARCHAR), CAST(sample AS VARCHAR), '0', '0', '0', '0', string_agg(concat({_ALL.format('a1')}, ' ', {_SECOND}), chr(9) ORDER BY chrom, pos))) AS line FROM calls JOIN variants USING (vid) GROUP BY sample")
 def _(t):
-    return _with_alleles(t).groupBy("sample").agg(F.md5(R.ordered_join(F.concat_ws(" ", R.base_of("a1"), R.base_of("a2")), ["chrom", "pos"], "\t")).alias("line"))
+    return X.plink_ped(_with_alleles(t)).withColumn("line", F.md5("line"))
 
 
-@query("w6_to_plink_tped", f"SELECT vid, concat_ws(' ', substr(any_value(chrom), 4), COALESCE(any_value(id), concat(any_value(chrom), ':', CAST(any_value(pos) AS VARCHAR))), '0', CAST(any_value(pos) AS VARCHAR), string_agg(concat({_ALL.format('a1')}, ' ', {_ALL.format('a2')}), ' ' ORDER BY sample)) AS line FROM calls JOIN variants USING (vid) GROUP BY vid")
+@query("w5_to_plink_map", "SELECT vid, concat_ws(chr(9), substr(chrom, 4), COALESCE(id, concat(chrom, ':', CAST(pos AS VARCHAR))), '0', CAST(pos AS VARCHAR)) AS line FROM variants")
 def _(t):
-    cells = R.ordered_join(F.concat_ws(" ", R.base_of("a1"), R.base_of("a2")), ["sample"], " ")
-    place = F.coalesce("id", F.concat("chrom", F.lit(":"), F.col("pos").cast("string")))
-    number = F.regexp_replace("chrom", "^chr", "")
-    return _with_alleles(t).groupBy("vid", "chrom", "pos", "id").agg(cells.alias("c")).select("vid", F.concat_ws(" ", F.when(number.rlike(r"^\d+$"), number).otherwise("0"), place, F.lit("0"), F.col("pos").cast("string"), "c").alias("line"))
+    return X.plink_map(t.variants)
 
 
-@query("w7_to_impute", "SELECT vid, string_agg(concat(CAST(a1 AS VARCHAR), ' ', CAST(a2 AS VARCHAR)), ' ' ORDER BY sample) AS hap FROM calls JOIN variants USING (vid) WHERE alt2 IS NULL GROUP BY vid HAVING bool_and(phased AND a1 IS NOT NULL AND a2 IS NOT NULL)")
+@query("w6_to_plink_tped", f"SELECT vid, concat_ws(' ', substr(any_value(chrom), 4), COALESCE(any_value(id), concat(any_value(chrom), ':', CAST(any_value(pos) AS VARCHAR))), '0', CAST(any_value(pos) AS VARCHAR), string_agg(concat({_ALL.format('a1')}, ' ', {_SECOND}), ' ' ORDER BY sample)) AS line FROM calls JOIN variants USING (vid) GROUP BY vid")
 def _(t):
-    own = t.calls.join(sites_of(t).where(F.size("alts") == 1).select("vid"), "vid")
-    ok = F.bool_and(F.col("phased") & F.col("a1").isNotNull() & F.col("a2").isNotNull())
-    return own.groupBy("vid").agg(R.ordered_join(F.concat_ws(" ", F.col("a1").cast("string"), F.col("a2").cast("string")), ["sample"], " ").alias("hap"), ok.alias("ok")).where("ok").drop("ok")
+    return X.plink_tped(_with_alleles(t))
+
+
+@query("w6_to_plink_tfam", "SELECT sample, concat_ws(chr(9), CAST(sample AS VARCHAR), CAST(sample AS VARCHAR), '0', '0', '0', '0') AS line FROM samples")
+def _(t):
+    return X.plink_family(t.samples)
+
+
+@query("w7_to_impute", """SELECT vid, string_agg(concat(CAST(a1 AS VARCHAR), ' ', CAST(a2 AS VARCHAR)), ' ' ORDER BY sample) AS hap, any_value(concat_ws(' ', COALESCE(id, concat(chrom, '-', CAST(pos AS VARCHAR))), CAST(pos AS VARCHAR), ref, alt1)) AS legend FROM calls JOIN variants USING (vid) WHERE alt2 IS NULL GROUP BY vid HAVING bool_and(phased AND a1 IS NOT NULL AND a2 IS NOT NULL)""")
+def _(t):
+    return X.impute(sites_of(t), t.calls)
 
 
 for _name, _expr in (("w8_to_ldhat_phased", "COALESCE(CAST(a1 AS VARCHAR), '?')"), ("w9_to_ldhat_unphased", "CASE WHEN a1 IS NULL OR a2 IS NULL THEN '?' WHEN a1 <> a2 THEN '2' ELSE CAST(a1 AS VARCHAR) END")):
@@ -300,7 +309,16 @@ def _(t):
 
 @query("w14_vcf_to_tab", f"SELECT vid, string_agg(concat({_ALL.format('a1').replace(chr(39) + '0' + chr(39), chr(39) + '.' + chr(39))}, '/', {_ALL.format('a2').replace(chr(39) + '0' + chr(39), chr(39) + '.' + chr(39))}), chr(9) ORDER BY sample) AS line FROM calls JOIN variants USING (vid) GROUP BY vid")
 def _(t):
-    return _with_alleles(t).groupBy("vid").agg(R.ordered_join(F.concat_ws("/", R.base_of("a1", "."), R.base_of("a2", ".")), ["sample"], "\t").alias("line"))
+    return X.vcf_tab(_with_alleles(t))
+
+
+_CODES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in V.IUPAC.items()) + "}"
+_CELL = "concat(COALESCE([ref, alt1, alt2][a1 + 1], '.'), '/', COALESCE([ref, alt1, alt2][a2 + 1], '.'))"
+
+
+@query("w14_vcf_to_tab_iupac", f"SELECT vid, string_agg(COALESCE({_CODES}[array_to_string(list_sort(string_split({_CELL}, '/')), '')], {_CELL}), chr(9) ORDER BY sample) AS line FROM calls JOIN variants USING (vid) GROUP BY vid")
+def _(t):
+    return X.vcf_tab(_with_alleles(t), ambiguity=True)
 
 
 @query("w15_tab_to_vcf", f"SELECT vid, string_agg(DISTINCT b, ',' ORDER BY b) AS alts FROM (SELECT vid, ref, unnest([{_ALL.format('a1')}, {_ALL.format('a2')}]) AS b FROM calls JOIN variants USING (vid)) WHERE b <> ref AND b <> '0' GROUP BY vid")

@@ -42,18 +42,34 @@ def _(t):
     return M.contained(consequences(t), mapped(t), t.residues)
 
 
-_VIEW = f"WITH {_HIT}, {_DOM} SELECT r.structid, r.chain, r.seqid, r.res_id, hit.gc_id, g.vid, g.consequence, v.qual, v.id, domain FROM residues r LEFT JOIN hit ON hit.structid = r.structid AND hit.chain = r.chain AND hit.seqid = r.seqid LEFT JOIN g ON g.gc_id = hit.gc_id LEFT JOIN variants v ON v.vid = g.vid LEFT JOIN dom d ON d.structid = r.structid AND d.chain = r.chain AND r.seqid BETWEEN seqstart AND seqend"
+_DIMS = """ch AS (SELECT concat('S', CAST(p_partkey % 10 AS VARCHAR)) AS structid, substr('ABCD', CAST(1 + (p_partkey // 10) % 4 AS INT), 1) AS chain, min(concat('P', CAST(p_partkey % 300 AS VARCHAR))) AS unp FROM part WHERE p_partkey % 10 <> 3 GROUP BY ALL),
+ st AS (SELECT DISTINCT concat('S', CAST(s_suppkey % 10 AS VARCHAR)) AS structid, CASE WHEN s_suppkey % 10 <> 1 THEN 'X-RAY' END AS method, (s_suppkey % 10) / 2 AS resolution FROM supplier WHERE s_suppkey % 10 < 5), mo AS (SELECT DISTINCT concat('S', CAST(s_suppkey % 10 AS VARCHAR)) AS structid, 'MODEL' AS model_method, (s_suppkey % 10) / 8 AS mpqs FROM supplier WHERE s_suppkey % 10 IN (1, 4, 6, 7)),
+ al AS (SELECT DISTINCT structid, chain, seqid, transcript AS enst, seqid + 1 AS ens_seqid FROM intervals), tr AS (SELECT DISTINCT transcript AS enst, seqid + 1 AS ens_seqid, concat('G', substr(transcript, 2)) AS gene FROM intervals WHERE seqid % 3 <> 0), sc AS (SELECT DISTINCT structid, chain, transcript AS enst, (CAST(substr(transcript, 2) AS INT) % 100) / 100 AS perc_identity FROM intervals WHERE CAST(substr(transcript, 2) AS INT) % 2 = 0)"""
+_VIEW = f"""WITH {_HIT}, {_DOM}, {_DIMS} SELECT r.structid, r.chain, r.seqid, r.res_id, unp, COALESCE(st.method, model_method) AS method, resolution, mpqs, hit.gc_id, g.vid, g.transcript AS vep_trans, g.consequence, CASE WHEN g.consequence LIKE '%missense_variant%' THEN 1 ELSE 0 END AS is_missense, v.qual, v.id, al.enst, al.ens_seqid, gene, perc_identity, domain
+ FROM residues r LEFT JOIN ch ON ch.structid = r.structid AND ch.chain = r.chain LEFT JOIN st ON st.structid = r.structid LEFT JOIN mo ON mo.structid = r.structid LEFT JOIN hit ON hit.structid = r.structid AND hit.chain = r.chain AND hit.seqid = r.seqid LEFT JOIN g ON g.gc_id = hit.gc_id LEFT JOIN variants v ON v.vid = g.vid
+ LEFT JOIN al ON al.structid = r.structid AND al.chain = r.chain AND al.seqid = r.seqid LEFT JOIN tr ON tr.enst = al.enst AND tr.ens_seqid = al.ens_seqid LEFT JOIN sc ON sc.structid = r.structid AND sc.chain = r.chain AND sc.enst = al.enst LEFT JOIN dom d ON d.structid = r.structid AND d.chain = r.chain AND r.seqid BETWEEN seqstart AND seqend
+ WHERE COALESCE(g.transcript, '') = '' OR g.transcript = al.enst"""
 
 
 @query("j3_structure_view", _VIEW)
 def structure_view(t):
-    c = consequences(t)
-    return M.structure_view(t.residues.select("structid", "chain", "seqid", "res_id"), M.intersect(c, mapped(t)), c, t.variants, domains(t))
-
-
-@query("j4_full_structure_view", f"SELECT DISTINCT vid, res_id, qual, consequence FROM ({_VIEW.replace('WITH ', 'WITH ', 1)})")
+    c, i = consequences(t), t.intervals
+    number = F.substring("transcript", 2, 9).cast("int")
+    p, s = F.col("p_partkey"), F.col("s_suppkey") % 10
+    name = lambda n: F.concat(F.lit("S"), n.cast("string")).alias("structid")
+    chains = t.part.where(p % 10 != 3).groupBy(name(p % 10), F.expr("substr('ABCD', cast(1 + (p_partkey div 10) % 4 as int), 1)").alias("chain")).agg(F.min(F.concat(F.lit("P"), (p % 300).cast("string"))).alias("unp"))
+    structures = t.supplier.where(s < 5).select(name(s), F.when(s != 1, "X-RAY").alias("method"), (s / 2).alias("resolution")).distinct()
+    models = t.supplier.where(s.isin(1, 4, 6, 7)).select(name(s), F.lit("MODEL").alias("model_method"), (s / 8).alias("mpqs")).distinct()
+    place = [F.col("transcript").alias("enst"), (F.col("seqid") + 1).alias("ens_seqid")]
+    alignments = i.select("structid", "chain", "seqid", *place).distinct()
+    transcripts = i.where("seqid % 3 <> 0").select(*place, F.concat(F.lit("G"), F.substring("transcript", 2, 9)).alias("gene")).distinct()
+    scores = i.where(number % 2 == 0).select("structid", "chain", place[0], (number % 100 / 100).alias("perc_identity")).distinct()
+    return M.structure_view(t.residues.select("structid", "chain", "seqid", "res_id"), chains, structures, models, M.intersect(c, mapped(t)), c, t.variants, alignments, transcripts, scores, domains(t))
+
+
+@query("j4_full_structure_view", f"SELECT * FROM ({_VIEW}) QUALIFY row_number() OVER (PARTITION BY vid, res_id ORDER BY COALESCE(enst, ''), COALESCE(domain, ''), COALESCE(CAST(gc_id AS VARCHAR), '')) = 1")
 def _(t):
-    return structure_view(t).select("vid", "res_id", "qual", "consequence").dropDuplicates()
+    return M.one_per_variant(structure_view(t))
 
 
 @query("j5_pfam_range", f"WITH {_DOM} SELECT res_id, domain FROM residues r JOIN dom d ON d.structid = r.structid AND d.chain = r.chain AND r.seqid BETWEEN seqstart AND seqend")
