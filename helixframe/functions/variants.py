@@ -120,6 +120,20 @@ def gt_bases() -> Column:
     return F.concat(F.get("alleles", F.col("a1")), F.when(F.col("phased"), "|").otherwise("/"), F.get("alleles", F.col("a2")))
 
 
+def is_het() -> Column:
+    return gt_type() == 1
+
+
+def is_variant() -> Column:
+    """Whether a call has an alternative; null if incomplete."""
+    return gt_type() > 0
+
+
+def call_is_filtered(ft: Column) -> Column:
+    """Whether a call failed a filter of its own; not where it has none."""
+    return F.coalesce(F.size(ft) > 0, F.lit(False))
+
+
 def iupac(a: Column, b: Column) -> Column:
     return F.try_element_at(literal_map(IUPAC), F.array_join(F.array_sort(F.array(a, b)), ""))
 

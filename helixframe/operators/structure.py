@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.variants import iupac
+
 LETTERS = "ARNDCQEGHILKMFPSTWYVBZX*"
 #: BLOSUM62 (Henikoff and Henikoff 1992), rows and columns in the order of LETTERS. Fixed values.
 BLOSUM62 = [[int(x) for x in row.split()] for row in """
@@ -205,8 +207,11 @@ def fix_ploidy(calls: DataFrame, regions: DataFrame, sexes: DataFrame) -> DataFr
     return j.select("vid", "sample", F.when(p > 0, F.col("a1")).alias("a1"), F.when(p > 1, F.col("a2")).alias("a2"), p.alias("ploidy"))
 
 
-def validate(variants: DataFrame, calls: DataFrame | None = None) -> DataFrame:
-    """(vid, rule): a row per broken rule. Columns: chrom, pos, ref, alts, qual, filters, order (the line's number)."""
+def validate(variants: DataFrame, calls: DataFrame | None = None, info_types: dict[str, str] | None = None) -> DataFrame:
+    """(vid, rule): a row per broken rule. Columns: chrom, pos, ref, alts, qual, filters, order (the line's number).
+
+    info_types, the header's types by key, checks the map `info`: values of Integer and Float keys, keys without a type.
+    With calls, allele numbers are checked, and the declared columns an and ac (an array, one per alternative) if there."""
     w = Window.partitionBy("chrom").orderBy("order")
     alleles = "^[ACGTN]+$"
     rules: dict[str, Column] = {
@@ -214,11 +219,39 @@ def validate(variants: DataFrame, calls: DataFrame | None = None) -> DataFrame:
         "alternative": F.exists("alts", lambda a: ~a.rlike(r"^[ACGTN*]+$|^<.+>$|[\[\]]")), "equal alleles": F.array_contains("alts", F.col("ref")), "quality": F.col("qual") < 0,
         "filter": F.exists("filters", lambda f: f.rlike(r"[\s;]") | (f == "0")), "unsorted": F.col("pos") < F.lag("pos").over(w), "duplicate position": F.col("pos") == F.lag("pos").over(w),
     }
+    if info_types is not None:
+        shape = {"Integer": r"^(-?\d+|\.)(,(-?\d+|\.))*$", "Float": r"^([-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?|\.)(,([-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?|\.))*$"}
+        bad = [~F.try_element_at("info", F.lit(k)).rlike(shape[kind]) for k, kind in info_types.items() if kind in shape]
+        rules["INFO type"] = F.exists(F.array(*bad, F.lit(False)), lambda b: F.coalesce(b, F.lit(False)))
+        rules["INFO undeclared"] = F.exists(F.map_keys("info"), lambda k: ~k.isin(*info_types))
     found = variants.select("vid", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()])).alias("broken")).select("vid", F.explode("broken").alias("rule"))
     if calls is None:
         return found
     bad = calls.join(variants.select("vid", F.size("alts").alias("n")), "vid").where((F.col("a1") > F.col("n")) | (F.col("a2") > F.col("n"))).select("vid").distinct().withColumn("rule", F.lit("allele number"))
-    return found.union(bad)
+    found = found.union(bad)
+    if not {"an", "ac"} <= set(variants.columns):
+        return found
+    per = calls.select("vid", F.explode(F.array("a1", "a2")).alias("allele")).where("allele is not null").groupBy("vid", "allele").agg(F.count("*").alias("n"))
+    real = per.groupBy("vid").agg(F.sum("n").alias("__an"), F.map_from_entries(F.collect_list(F.struct("allele", "n"))).alias("__ac"))  # a site's alleles
+    j = variants.select("vid", "alts", "an", "ac").join(real, "vid", "left")
+    counted = F.transform(F.sequence(F.lit(1), F.size("alts")), lambda k: F.coalesce(F.try_element_at("__ac", k), F.lit(0).cast("long")))
+    recount = {"AN": F.col("an") != F.coalesce("__an", F.lit(0)), "AC": (F.size("alts") > 0) & (F.col("ac").cast("array<bigint>") != counted)}
+    return found.union(j.select("vid", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in recount.items()]))).alias("rule")))
+
+
+def sample_alternatives(variants: DataFrame, calls: DataFrame, sample, haplotype: int | None = None, ambiguity: bool = False) -> DataFrame:
+    """variants (vid, contig, pos, ref, alts) that one sample has, with `alt` to build its consensus of: the allele of its
+    first or second haplotype, or of both; with ambiguity two unlike single bases are one IUPAC letter, and else the first
+    alternative of the call counts. Sites where that is the reference, or missing, are left out."""
+    own = variants.join(calls.where(F.col("sample") == F.lit(sample)).select("vid", "a1", "a2"), "vid").withColumn("__alleles", F.concat(F.array("ref"), "alts"))
+    base = lambda c: F.get("__alleles", F.col(c))
+    if haplotype is not None:
+        alt = F.when(F.col(f"a{haplotype}") > 0, base(f"a{haplotype}"))
+    else:
+        alt = F.when(F.col("a1") > 0, base("a1")).when(F.col("a2") > 0, base("a2"))
+        if ambiguity:
+            alt = F.when(F.col("a1") != F.col("a2"), F.coalesce(iupac(base("a1"), base("a2")), alt)).otherwise(alt)
+    return own.withColumn("alt", alt).where("alt is not null").drop("a1", "a2", "__alleles")
 
 
 def permutations(labels: DataFrame, times: int, seed: int = 11) -> DataFrame:

@@ -129,10 +129,11 @@ def _(t):
     return v.select("vid", (F.col("pos") + F.element_at("info_map", "DP").cast("long")).alias("sv_end"), (~F.map_contains_key("info_map", "DB")).alias("is_precise"), F.coalesce(F.size("filters") > 0, F.lit(False)).alias("is_filtered"))
 
 
-@query("p10_call_predicates", "SELECT c.vid, sample, CASE WHEN a1 IS NULL OR a2 IS NULL THEN NULL WHEN a1 = 0 AND a2 = 0 THEN 0 WHEN a1 <> a2 THEN 1 ELSE 2 END AS gt_type, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN concat([ref, alt1, alt2][a1 + 1], CASE WHEN phased THEN '|' ELSE '/' END, [ref, alt1, alt2][a2 + 1]) END AS bases FROM calls c JOIN variants USING (vid)")
+@query("p10_call_predicates", "SELECT c.vid, sample, CASE WHEN a1 IS NULL OR a2 IS NULL THEN NULL WHEN a1 = 0 AND a2 = 0 THEN 0 WHEN a1 <> a2 THEN 1 ELSE 2 END AS gt_type, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN concat([ref, alt1, alt2][a1 + 1], CASE WHEN phased THEN '|' ELSE '/' END, [ref, alt1, alt2][a2 + 1]) END AS bases, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN a1 <> a2 END AS is_het, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN a1 > 0 OR a2 > 0 END AS is_variant, gq < 20 AS is_filtered FROM calls c JOIN variants USING (vid)")
 def _(t):
     j = t.calls.join(sites_of(t).select("vid", F.concat(F.array("ref"), "alts").alias("alleles")), "vid")
-    return j.select("vid", "sample", V.gt_type().alias("gt_type"), V.gt_bases().alias("bases"))
+    ft = F.when(F.col("gq") < 20, F.array(F.lit("q20"))).otherwise(F.array().cast("array<string>"))
+    return j.select("vid", "sample", V.gt_type().alias("gt_type"), V.gt_bases().alias("bases"), V.is_het().alias("is_het"), V.is_variant().alias("is_variant"), V.call_is_filtered(ft).alias("is_filtered"))
 
 
 @query("p11_event_type", """WITH a AS (SELECT vid, ref, CASE vid % 8 WHEN 0 THEN '.' WHEN 1 THEN concat(ref, 'GG') WHEN 2 THEN '<ID>' WHEN 3 THEN concat(ref, '[c:1[') WHEN 4 THEN concat('.', ref) WHEN 5 THEN concat(ref, '.') ELSE alt1 END AS alt FROM variants)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from uuid import uuid4
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import variants as V
@@ -262,6 +264,17 @@ def _(t):
     return S.consensus(ref, v.select("contig", "pos", "ref", "alt"))
 
 
+_CODES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in V.IUPAC.items()) + "}"
+
+
+@query("t10_sample_alternatives", f"""WITH c AS (SELECT vid, a1, a2, [ref, alt1, alt2] AS l, COALESCE(CASE WHEN a1 > 0 THEN l[a1 + 1] END, CASE WHEN a2 > 0 THEN l[a2 + 1] END) AS alt FROM calls JOIN variants USING (vid) WHERE sample = 3)
+ SELECT vid, 'first' AS mode, l[a1 + 1] AS alt FROM c WHERE a1 > 0 UNION ALL SELECT vid, 'second', l[a2 + 1] FROM c WHERE a2 > 0 UNION ALL SELECT vid, 'any', alt FROM c WHERE alt IS NOT NULL
+ UNION ALL SELECT vid, 'iupac', CASE WHEN a1 <> a2 THEN COALESCE({_CODES}[concat(LEAST(l[a1 + 1], l[a2 + 1]), GREATEST(l[a1 + 1], l[a2 + 1]))], alt) ELSE alt END FROM c WHERE alt IS NOT NULL""")
+def _(t):
+    modes = {"first": {"haplotype": 1}, "second": {"haplotype": 2}, "any": {}, "iupac": {"ambiguity": True}}
+    return reduce(DataFrame.union, [S.sample_alternatives(sites_of(t), t.calls, 3, **how).select("vid", F.lit(name).alias("mode"), "alt") for name, how in modes.items()])
+
+
 @query("t13_contrast", """WITH d AS (SELECT vid, sample, LEAST(a1, a2) AS x, GREATEST(a1, a2) AS y FROM calls WHERE COALESCE(dp, 0) >= 10 AND a1 IS NOT NULL AND a2 IS NOT NULL), m AS (SELECT * FROM d WHERE sample IN (1, 2, 3)), p AS (SELECT * FROM d WHERE sample IN (4, 5) AND vid IN (SELECT vid FROM m)),
  k AS (SELECT *, EXISTS (SELECT 1 FROM m WHERE m.vid = p.vid AND (m.x = p.x OR m.y = p.x)) AND EXISTS (SELECT 1 FROM m WHERE m.vid = p.vid AND (m.x = p.y OR m.y = p.y)) AS known, EXISTS (SELECT 1 FROM m WHERE m.vid = p.vid AND m.x = p.x AND m.y = p.y) AS same FROM p)
  SELECT vid, sample, CASE WHEN NOT known THEN 'allele' ELSE 'genotype' END AS novel FROM k WHERE NOT known OR NOT same""")
@@ -276,12 +289,15 @@ def _(t):
     return S.fix_ploidy(t.calls.join(t.variants.select("vid", "chrom", "pos"), "vid"), regions, sexes)
 
 
-@query("t15_validate", """WITH v AS (SELECT vid, chrom, CASE WHEN vid % 50 = 1 THEN -1 ELSE pos END AS pos, CASE WHEN vid % 41 = 2 THEN 'x' ELSE ref END AS ref, CASE WHEN vid % 43 = 3 THEN '!' ELSE alt1 END AS a, vid AS o FROM variants), l AS (SELECT *, lag(pos) OVER (PARTITION BY chrom ORDER BY o) AS before FROM v)
- SELECT vid, 'position' AS rule FROM v WHERE pos < 0 UNION ALL SELECT vid, 'reference' FROM v WHERE ref = 'x' UNION ALL SELECT vid, 'alternative' FROM v WHERE a = '!' UNION ALL SELECT vid, 'unsorted' FROM l WHERE pos < before UNION ALL SELECT vid, 'duplicate position' FROM l WHERE pos = before UNION ALL SELECT vid, 'equal alleles' FROM v WHERE ref = a""")
+@query("t15_validate", """WITH v AS (SELECT vid, chrom, CASE WHEN vid % 50 = 1 THEN -1 ELSE pos END AS pos, CASE WHEN vid % 41 = 2 THEN 'x' ELSE ref END AS ref, CASE WHEN vid % 43 = 3 THEN '!' ELSE alt1 END AS a, vid AS o, size FROM variants), h AS (SELECT vid, count(a1) + count(a2) AS an, count(*) FILTER (a1 = 1) + count(*) FILTER (a2 = 1) AS ac FROM calls GROUP BY vid), l AS (SELECT *, lag(pos) OVER (PARTITION BY chrom ORDER BY o) AS before FROM v)
+ SELECT vid, 'position' AS rule FROM v WHERE pos < 0 UNION ALL SELECT vid, 'reference' FROM v WHERE ref = 'x' UNION ALL SELECT vid, 'alternative' FROM v WHERE a = '!' UNION ALL SELECT vid, 'unsorted' FROM l WHERE pos < before UNION ALL SELECT vid, 'duplicate position' FROM l WHERE pos = before UNION ALL SELECT vid, 'equal alleles' FROM v WHERE ref = a
+ UNION ALL SELECT vid, 'INFO type' FROM v WHERE vid % 37 = 4 UNION ALL SELECT vid, 'INFO undeclared' FROM v WHERE vid % 47 = 5 UNION ALL SELECT DISTINCT vid, 'allele number' FROM calls WHERE a1 > 1 OR a2 > 1 UNION ALL SELECT v.vid, 'AN' FROM v LEFT JOIN h USING (vid) WHERE size <> COALESCE(an, 0) UNION ALL SELECT v.vid, 'AC' FROM v LEFT JOIN h USING (vid) WHERE size % 5 <> COALESCE(ac, 0)""")
 def _(t):
     v = sites_of(t).withColumn("pos", F.when(F.col("vid") % 50 == 1, F.lit(-1).cast("long")).otherwise(F.col("pos"))).withColumn("ref", F.when(F.col("vid") % 41 == 2, "x").otherwise(F.col("ref")))
     v = v.withColumn("alts", F.array(F.when(F.col("vid") % 43 == 3, "!").otherwise(F.col("alt1")))).withColumn("order", F.col("vid"))
-    return S.validate(v)
+    info = F.map_filter(F.create_map(F.lit("DP"), F.when(F.col("vid") % 37 == 4, "x").otherwise(F.col("size").cast("string")), F.lit("ZZ"), F.when(F.col("vid") % 47 == 5, "1")), lambda _, x: x.isNotNull())
+    v = v.withColumn("info", info).withColumn("an", F.col("size")).withColumn("ac", F.array(F.col("size") % 5))
+    return S.validate(v, t.calls, {"DP": "Integer", "MQ": "Float"})
 
 
 @query("t16_permute_snps", 'SELECT r.k AS round, chrom AS "group", count(*) AS n, CAST(SUM(vid) AS BIGINT) AS labels, CAST(SUM(pos) AS BIGINT) AS places FROM variants, range(1, 4) r(k) GROUP BY ALL')
