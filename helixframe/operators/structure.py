@@ -63,7 +63,7 @@ def chain_sequences(residues: DataFrame) -> DataFrame:
 
 def biounits(atoms: DataFrame, assemblies: DataFrame, operators: DataFrame) -> DataFrame:
     """Atoms of assemblies (assembly, chain, op) moved by operators (op, r11 .. r33, t1 .. t3)."""
-    a = atoms.join(F.broadcast(assemblies), "chain").join(F.broadcast(operators), "op")
+    a = atoms.join(assemblies, "chain").join(operators, "op")
     moved = [F.round(sum((F.col(f"r{i}{j}") * F.col(c) for j, c in enumerate("xyz", 1)), F.col(f"t{i}")), 4).alias(f"{c}") for i, c in enumerate("xyz", 1)]
     return a.select("assembly", "op", "chain", "serial", *moved)
 
