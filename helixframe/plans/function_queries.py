@@ -328,14 +328,21 @@ def _(t):
     return tab.select("vid", "ref", F.explode(F.split("g", "/")).alias("b")).where("b <> ref and b <> '0'").groupBy("vid").agg(F.array_join(F.array_sort(F.collect_set("b")), ",").alias("alts"))
 
 
-@query("w16_annotation_attr", "SELECT structid, chain, seqid, max(CASE WHEN v > 0.5 THEN round(1 - v, 6) ELSE v END) AS value FROM (SELECT structid, chain, seqid, (iid % 100) / 100 AS v FROM intervals) GROUP BY ALL")
+_ATTR = "SELECT structid, chain, seqid, max(CASE WHEN v > 0.5 THEN round(1 - v, 6) ELSE v END) AS value FROM (SELECT structid, chain, seqid, (iid % 100) / 100 AS v FROM intervals) GROUP BY ALL"
+
+
+@query("w16_annotation_attr", _ATTR)
+def residue_attribute(t):
+    return X.residue_attribute(t.intervals, (F.col("iid") % 100) / 100, fold=True)
+
+
+@query("w16_annotation_range", f"SELECT structid, min(value) AS least, max(value) AS greatest FROM ({_ATTR}) GROUP BY structid")
 def _(t):
-    v = (F.col("iid") % 100) / 100
-    return t.intervals.withColumn("v", F.when(v > 0.5, F.round(1 - v, 6)).otherwise(v)).groupBy("structid", "chain", "seqid").agg(F.max("v").alias("value"))
+    return X.attribute_range(residue_attribute(t))
 
 
-@query("w17_scores_json", "SELECT structid, chain, count(*) AS n FROM (SELECT DISTINCT structid, chain, seqid FROM residues) GROUP BY ALL")
+@query("w17_scores_json", """WITH p AS (SELECT structid, chain, seqid, max(CAST(res_id % 997 AS DOUBLE) / 8) AS score FROM residues GROUP BY ALL)
+ SELECT structid, chain, concat('{', string_agg(concat('"', CAST(seqid AS VARCHAR), '":{"score":', CAST(score AS VARCHAR), '}'), ',' ORDER BY seqid), '}') AS json FROM p GROUP BY ALL""")
 def _(t):
-    per = t.residues.groupBy("structid", "chain", "seqid").agg(F.round(F.max("z"), 3).alias("score"))
-    text = per.groupBy("structid", "chain").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("seqid").cast("string"), F.struct("score"))))).alias("json"))
-    return text.select("structid", "chain", F.size(F.json_object_keys("json")).cast("long").alias("n"))
+    scores = t.residues.groupBy(*X.RESIDUE).agg(F.max((F.col("res_id") % 997).cast("double") / 8).alias("score"))
+    return X.scores_json(scores)

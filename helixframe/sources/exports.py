@@ -64,3 +64,25 @@ def vcf_tab(rows: DataFrame, ambiguity: bool = False) -> DataFrame:
     a, b = base_of("a1", "."), base_of("a2", ".")
     cell = F.concat_ws("/", a, b)
     return rows.groupBy("vid").agg(ordered_join(F.coalesce(iupac(a, b), cell) if ambiguity else cell, ["sample"], "\t").alias("line"))
+
+
+RESIDUE = ["structid", "chain", "seqid"]
+
+
+def residue_attribute(rows: DataFrame, value: Column, fold: bool = False) -> DataFrame:
+    """(structid, chain, seqid, value): the greatest value of each residue; with fold a frequency above 0.5 is that of the
+    other allele."""
+    folded = F.when(value > 0.5, F.round(1 - value, 6)).otherwise(value) if fold else value
+    return rows.withColumn("value", folded).groupBy(*RESIDUE).agg(F.max("value").alias("value"))
+
+
+def attribute_range(attribute: DataFrame) -> DataFrame:
+    """(structid, least, greatest) of a residue attribute, values of -1 and less left out of the least."""
+    return attribute.groupBy("structid").agg(F.min(F.when(F.col("value") > -1, F.col("value"))).alias("least"), F.max("value").alias("greatest"))
+
+
+def scores_json(scores: DataFrame) -> DataFrame:
+    """(structid, chain, json) of (structid, chain, seqid, score): an object of residues, in their order, with their score."""
+    every = F.array_sort(F.collect_list(F.struct("seqid", "score")))  # a chain's residues
+    entries = F.transform(every, lambda x: F.struct(x["seqid"].cast("string").alias("key"), F.struct(x["score"].alias("score")).alias("value")))
+    return scores.groupBy("structid", "chain").agg(F.to_json(F.map_from_entries(entries)).alias("json"))
