@@ -220,3 +220,47 @@ def alphafold_fragment(pos: Column, length: Column, most: int = 2700, window: in
 
 def relative_access(acc: Column, letter: Column, most: dict[str, float]) -> Column:
     return F.round(acc / F.try_element_at(literal_map(most), letter), 4)
+
+
+def parse_vep_row(line: Column) -> Column:
+    """A struct of a line of an effect predictor's table, in lower case: name, chrom, start, end (the base after start if it
+    has one place), ref_allele, gene, feature, feature_type, consequence, cdna_pos, cds_pos, protein_pos (null unless whole
+    numbers), amino acids and codons ('-' where there aren't two), variation, and the map `extra`."""
+    f = F.split(F.lower(line), "\t")
+    at = lambda k: F.get(f, F.lit(k))
+    place = F.split(F.substring_index(at(1), ":", -1), "-")
+    start, end = F.get(place, F.lit(0)).try_cast("long"), F.get(place, F.lit(1)).try_cast("long")
+
+    def two(k: int, first: str, second: str) -> list[Column]:
+        parts = F.split(at(k), "/")
+        return [F.when(F.size(parts) < 2, "-").otherwise(F.get(parts, F.lit(i))).alias(name) for i, name in enumerate((first, second))]
+
+    names = ("ref_allele", "gene", "feature", "feature_type", "consequence")
+    numbers = ("cdna_pos", "cds_pos", "protein_pos")
+    return F.struct(
+        at(0).alias("name"), F.substring_index(at(1), ":", 1).alias("chrom"), start.alias("start"), F.when(F.size(place) < 2, start + 1).otherwise(end).alias("end"), *[at(k).alias(name) for k, name in enumerate(names, 2)],
+        *[at(k).try_cast("int").alias(name) for k, name in enumerate(numbers, 7)], *two(10, "ref_amino_acid", "var_amino_acid"), *two(11, "ref_codon", "var_codon"), at(12).alias("variation"), F.str_to_map(at(13), F.lit(";"), F.lit("=")).alias("extra"),
+    )
+
+
+def seq_differences(a: Column, b: Column) -> Column:
+    """'place a>b' of each place where two sequences of one length differ, joined by commas; null if their lengths differ."""
+    places = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    told = F.transform(places, lambda p, i: F.when(p["x"] != p["y"], F.concat((i + 1).cast("string"), F.lit(" "), p["x"], F.lit(">"), p["y"])))
+    return F.when(F.length(a) == F.length(b), F.array_join(F.array_compact(told), ","))
+
+
+def close_enough(a: Column, b: Column, share: float = 0.01) -> Column:
+    """Whether sequences of one length differ in at most one place, or in less than a share of them."""
+    x = seq_identity(a, b)
+    return (F.length(a) == F.length(b)) & ((x["mismatches"] <= 1) | (x["share"] < share))
+
+
+def reshaped_likelihoods(values: Column, n_alleles: Column, haploid: bool, phred: bool = True) -> Column:
+    """Genotype likelihoods of a diploid call (haploid: to be one) or of a haploid one, for the other ploidy: a struct of
+    values, those of unlike alleles null, and best, the first allele with the best value, 0 if there is none."""
+    alleles = F.sequence(F.lit(0), n_alleles - 1)
+    own = F.transform(alleles, lambda i: F.get(values, (i * (i + 3) / 2).cast("int"))) if haploid else values
+    pairs = F.flatten(F.transform(alleles, lambda i: F.transform(F.sequence(F.lit(0), i), lambda j: F.when(i == j, F.get(values, i)))))
+    best = F.array_position(own, F.array_min(own) if phred else F.array_max(own))
+    return F.struct((own if haploid else pairs).alias("values"), F.coalesce(best.cast("int") - 1, F.lit(0)).alias("best"))

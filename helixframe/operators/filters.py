@@ -310,3 +310,25 @@ def named_filters(variants: DataFrame, **bounds: float | None) -> DataFrame:
     } | {name: (lambda b, i=i: part("PV4", i) < b) for i, name in enumerate(("StrandBias", "BaseQualBias", "MapQualBias", "EndDistBias"))}
     names = [F.when(F.coalesce(broken[n](b), F.lit(False)), F.lit(n)) for n, b in at.items() if b is not None]
     return variants.select("vid", F.array_join(F.array_sort(F.array_compact(F.array(*names))), ";").alias("failed"))
+
+
+def low_quality(variants: DataFrame, least: float = 30) -> DataFrame:
+    """(vid, qual) of sites below a quality; one without a quality passes."""
+    return variants.where(F.col("qual") < least).select("vid", "qual")
+
+
+def low_genotype_quality(calls: DataFrame, least: float = 50) -> DataFrame:
+    """(vid, gq): the greatest quality of the calls with an alternative allele, where that is too low."""
+    own = calls.where((F.coalesce("a1", F.lit(0)) > 0) | (F.coalesce("a2", F.lit(0)) > 0))
+    return own.groupBy("vid").agg(F.max("gq").alias("gq")).where(F.col("gq") < least)
+
+
+def low_sample_depth(variants: DataFrame, calls: DataFrame, least: int = 5) -> DataFrame:
+    """(vid, dp): the least depth of a call, where that is too low; indels are left out."""
+    return calls.join(variants.where(~is_indel()).select("vid"), "vid").groupBy("vid").agg(F.min("dp").alias("dp")).where(F.col("dp") < least)
+
+
+def low_average_depth(variants: DataFrame, n_samples: int, least: float = 3) -> DataFrame:
+    """(vid, depth): a site's DP by the number of samples, where that is too low. Column: info_map."""
+    depth = F.try_element_at("info_map", F.lit("DP")).try_cast("double") / n_samples
+    return variants.where(depth < least).select("vid", F.round(depth, 6).alias("depth"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.ranges import grid_join, range_join
+from helixframe.sources.scratch import saved
 
 
 def intersect(consequences: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -100,8 +101,9 @@ def transcripts_of(edges: DataFrame, id_type: str = "Ensembl_TRS") -> DataFrame:
 
 
 def versioned_lookup(asked: DataFrame, edges: DataFrame, id_type: str) -> DataFrame:
-    """(asked, unps): by the exact id; else by the highest version of the id without its version; sorted, joined by commas."""
-    ids = ids_of(edges, id_type).select("ext_id", "unp", F.split("ext_id", r"\.")[0].alias("bare"), F.split("ext_id", r"\.")[1].cast("int").alias("version"))
+    """(asked, unps): by the exact id; else by the highest version of the id without its version, or
+    that without one where no other is; sorted, joined by commas."""
+    ids = ids_of(edges, id_type).select("ext_id", "unp", F.split("ext_id", r"\.")[0].alias("bare"), F.coalesce(F.get(F.split("ext_id", r"\."), F.lit(1)).try_cast("int"), F.lit(-1)).alias("version"))
     exact = asked.join(ids, F.col("asked") == F.col("ext_id")).groupBy("asked").agg(F.array_sort(F.collect_set("unp")).alias("exact"))
     newest = ids.groupBy("bare").agg(F.max("version").alias("version"))
     latest = ids.join(newest, ["bare", "version"]).groupBy("bare").agg(F.array_sort(F.collect_set("unp")).alias("latest"))
@@ -139,13 +141,14 @@ def clusters(residues: DataFrame, radius: float, least: int) -> DataFrame:
     included; linked cores share the least id; others join a neighbouring core's, or have none."""
     near = neighbours(residues, residues, radius).select("res_id", "point_id")
     cores = near.groupBy("res_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("res_id")
+    near, cores = saved(near, "near"), saved(cores, "cores")
     links = near.join(cores, "res_id").join(cores.select(F.col("res_id").alias("point_id")), "point_id")
     label = cores.select("res_id", F.col("res_id").alias("cluster"))
     for _ in range(64):
         # The least label of all neighbours, and then that label's own label: the reach doubles every round.
         step = links.join(label.select(F.col("res_id").alias("point_id"), "cluster"), "point_id").groupBy("res_id").agg(F.min("cluster").alias("cluster"))
         jump = step.join(step.select(F.col("res_id").alias("cluster"), F.col("cluster").alias("far")), "cluster").select("res_id", F.least("cluster", "far").alias("cluster"))
-        jump = jump.checkpoint() if residues.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else jump.persist()
+        jump = saved(jump, "clusters")
         changed = jump.join(label.withColumnRenamed("cluster", "old"), "res_id").where("cluster <> old").limit(1).count()
         label = jump
         if not changed:
@@ -166,3 +169,38 @@ def codons(exons: DataFrame) -> DataFrame:
     base = F.when(F.col("strand") > 0, F.col("e_start") + F.col("offset")).otherwise(F.col("e_end") - 1 - F.col("offset"))
     place = F.col("before") + F.col("offset")
     return own.groupBy("transcript", (F.floor(place / 3) + 1).alias("seqid"), "chrom").agg(F.min(base).alias("start"), (F.max(base) + 1).alias("end"), F.count("*").alias("n")).where("n = 3").drop("n")
+
+
+def _with_key(rows: DataFrame, other: DataFrame, on: list[str], key: str) -> DataFrame:
+    """rows with the least key of the other's rows that agree on the columns `on`, null where none does."""
+    return rows.join(other.groupBy(*on).agg(F.min(key).alias(key)), on, "left")
+
+
+def assign_keys(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with the keys of those that they refer to: chains get str_id (a model's before a structure's), residues
+    ch_id, alignments res_id, as_id and tr_id, transcripts gc_id (a consequence inside their span), consequences gd_id and
+    intersections res_id. Of several that fit the least key is taken, null if there is none.
+
+    structures, models: structid, str_id. chains: structid, chain, ch_id. residues: structid, chain, seqid, res_id.
+    alignments: structid, chain, seqid, transcript, trans_seqid. scores: structid, chain, transcript, as_id. transcripts:
+    transcript, trans_seqid, chrom, start, end, tr_id. consequences: transcript, chrom, pos, end_pos, name, gc_id. data:
+    chrom, pos, end_pos, name, gd_id. intersections: structid, chain, seqid, gc_id."""
+    place = ["structid", "chain", "seqid"]
+    of_model = t["models"].withColumnRenamed("str_id", "__model")
+    chains = _with_key(_with_key(t["chains"], t["structures"], ["structid"], "str_id"), of_model, ["structid"], "__model")
+    alignments = _with_key(_with_key(_with_key(t["alignments"], t["residues"], place, "res_id"), t["scores"], ["structid", "chain", "transcript"], "as_id"), t["transcripts"], ["transcript", "trans_seqid"], "tr_id")
+    spans, inner = t["transcripts"].alias("s"), t["consequences"].alias("c")
+    inside = spans.join(inner, (F.col("s.transcript") == F.col("c.transcript")) & (F.col("s.chrom") == F.col("c.chrom")) & (F.col("c.pos") >= F.col("s.start")) & (F.col("c.end_pos") <= F.col("s.end")))
+    held = inside.groupBy("s.tr_id").agg(F.min("c.gc_id").alias("gc_id"))
+    return {
+        "chains": chains.withColumn("str_id", F.coalesce("__model", "str_id")).drop("__model"), "residues": _with_key(t["residues"], t["chains"], ["structid", "chain"], "ch_id"), "alignments": alignments,
+        "transcripts": t["transcripts"].join(held, "tr_id", "left"), "consequences": _with_key(t["consequences"], t["data"], ["chrom", "pos", "end_pos", "name"], "gd_id"), "intersections": _with_key(t["intersections"], t["residues"], place, "res_id"),
+    }
+
+
+def protein_structures(chains: DataFrame, structures: DataFrame, scores: DataFrame, by: str, descending: bool = False) -> DataFrame:
+    """(unp, structid, by, perc_identity, chains, k): structures (structid, by) with a protein's chains and their greatest
+    identity; k ranks a protein's structures by `by`, identity and id."""
+    own = chains.join(structures, "structid").join(scores.groupBy("structid", "chain").agg(F.max("perc_identity").alias("perc_identity")), ["structid", "chain"])
+    per = own.groupBy("unp", "structid", by).agg(F.max("perc_identity").alias("perc_identity"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("#"), "chain"))), ";").alias("chains"))
+    return per.withColumn("k", F.row_number().over(Window.partitionBy("unp").orderBy(F.desc(by) if descending else F.asc(by), F.desc("perc_identity"), "structid")))

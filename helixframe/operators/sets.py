@@ -183,14 +183,19 @@ def discordance_matrix(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame
     return a.join(b, ["chrom", "pos", "sample"]).groupBy("dose1", "dose2").agg(F.count("*").alias("n"))
 
 
-def genotype_comparison(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """(class, n_match, n_mismatch, n_lost, n_gained): by the left side's genotype class; lost: right is missing."""
-    a = allele_bases(*left).select("chrom", "pos", "sample", "dose", "bases")
+def genotype_comparison(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame], strata: DataFrame | None = None) -> DataFrame:
+    """(class, n_match, n_mismatch, n_lost, n_gained): by the left side's genotype class; lost: right is missing. With strata
+    (vid, stratum, or vid, sample, stratum, of the left side) by these too."""
+    a = allele_bases(*left)
+    by = ["class"]
+    if strata is not None:
+        a, by = a.join(strata, [c for c in ("vid", "sample") if c in strata.columns]), ["stratum", "class"]
+    a = a.select("chrom", "pos", "sample", "dose", "bases", *by[:-1])
     b = allele_bases(*right).select("chrom", "pos", "sample", F.col("dose").alias("dose2"), F.col("bases").alias("bases2"))
     j = a.join(b, ["chrom", "pos", "sample"])
     kind = lambda d, s: F.when(F.split(s, "/")[0] != F.split(s, "/")[1], F.when(F.col(d) <= 2, "het_RA").otherwise("het_AA")).when(F.col(d) == 0, "hom_RR").otherwise("hom_AA")
     j = j.withColumn("class", F.coalesce(kind("dose", F.col("bases")), kind("dose2", F.col("bases2"))))
-    return j.where("class is not null").groupBy("class").agg(F.count_if(F.col("bases") == F.col("bases2")).alias("n_match"), F.count_if(F.col("bases") != F.col("bases2")).alias("n_mismatch"), F.count_if(F.col("bases").isNotNull() & F.col("bases2").isNull()).alias("n_lost"), F.count_if(F.col("bases").isNull() & F.col("bases2").isNotNull()).alias("n_gained"))
+    return j.where("class is not null").groupBy(*by).agg(F.count_if(F.col("bases") == F.col("bases2")).alias("n_match"), F.count_if(F.col("bases") != F.col("bases2")).alias("n_mismatch"), F.count_if(F.col("bases").isNotNull() & F.col("bases2").isNull()).alias("n_lost"), F.count_if(F.col("bases").isNull() & F.col("bases2").isNotNull()).alias("n_gained"))
 
 
 def non_reference_discordance(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -247,3 +252,33 @@ def replace_partition(target: DataFrame, rows: DataFrame, key: str) -> DataFrame
 
 def delete_by_label(tables: dict[str, DataFrame], label: str) -> dict[str, DataFrame]:
     return {name: df.where(F.col("label") != label) for name, df in tables.items()}
+
+
+def frequency_strata(variants: DataFrame, calls: DataFrame, width: float = 0.1) -> DataFrame:
+    """(vid, stratum): the lower end of the bin of a site's share of alternative alleles; 1 belongs to the last bin."""
+    alleles = calls.select("vid", F.explode(F.array("a1", "a2")).alias("a")).where("a is not null")
+    share = alleles.groupBy("vid").agg((F.count_if(F.col("a") > 0) / F.count("*")).alias("af"))
+    last = F.lit(round(1 / width) - 1)
+    return share.join(variants.select("vid"), "vid").select("vid", F.round(F.least(F.floor(F.round(F.col("af") / width, 9)), last) * width, 6).alias("stratum"))
+
+
+def allele_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(n_sites, n_ref, n_alt): positions of both sets, those with another reference, and of the others those with other
+    alternatives. Of a set's sites at one position the one with the first reference and alternatives counts."""
+    first = lambda df, r, a: df.groupBy("chrom", "pos").agg(F.min(F.struct("ref", F.array_sort("alts").alias("alts"))).alias("x")).select("chrom", "pos", F.col("x.ref").alias(r), F.col("x.alts").alias(a))
+    j = first(left, "r1", "a1").join(first(right, "r2", "a2"), ["chrom", "pos"])
+    other = F.col("r1") != F.col("r2")
+    return j.agg(F.count("*").alias("n_sites"), F.count_if(other).alias("n_ref"), F.count_if(~other & (F.col("a1") != F.col("a2"))).alias("n_alt"))
+
+
+def phase_comparison(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(sample, n_both, n_same): heterozygous calls of the same bases that both sides phased, and those in the same order.
+    Calls: phased."""
+
+    def ordered(variants: DataFrame, calls: DataFrame, a: str, b: str) -> DataFrame:
+        j = calls.where("phased and a1 <> a2").join(variants.select("vid", "chrom", "pos", F.concat(F.array("ref"), "alts").alias("__l")), "vid")
+        return j.select("chrom", "pos", "sample", F.get("__l", F.col("a1")).alias(a), F.get("__l", F.col("a2")).alias(b))
+
+    j = ordered(*left, "x1", "x2").join(ordered(*right, "y1", "y2"), ["chrom", "pos", "sample"])
+    same = (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))
+    return j.where(same | ((F.col("x1") == F.col("y2")) & (F.col("x2") == F.col("y1")))).groupBy("sample").agg(F.count("*").alias("n_both"), F.count_if(same).alias("n_same"))

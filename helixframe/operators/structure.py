@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.variants import iupac
+from helixframe.functions.variants import event, iupac, reshaped_likelihoods
+from helixframe.operators.ranges import range_join
 
 LETTERS = "ARNDCQEGHILKMFPSTWYVBZX*"
 #: BLOSUM62 (Henikoff and Henikoff 1992), rows and columns in the order of LETTERS. Fixed values.
@@ -162,11 +163,23 @@ def fetch(spans: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     return got.withColumn("pad", left).withColumn("seq", whole).withColumn("seq", F.rpad("seq", (F.col("end") - F.col("start")).cast("int"), F.lit("N"))).drop("pad")
 
 
-def flanks(variants: DataFrame, chunks: DataFrame, size: int, length: int) -> DataFrame:
-    """(vid, text): left[REF/ALT]right with `length` bases on both sides of normalised alleles (pos, ref, alt)."""
-    left = fetch(variants.select(F.col("vid").alias("key"), "contig", (F.col("pos") - length).alias("start"), F.col("pos").alias("end")), chunks, size).select("key", F.col("seq").alias("l"))
+def mask(texts: DataFrame, masks: DataFrame, lower: bool = False) -> DataFrame:
+    """texts (key, contig, start, end, seq) whose letters inside a mask (contig, start, end; 1-based, end exclusive) are N, or
+    in lower case."""
+    own = masks.select(F.col("contig").alias("m_contig"), F.col("start").alias("m_start"), F.col("end").alias("m_end"))
+    hits = range_join(texts.select("key", "contig", "start", "end"), own, ("contig", "start", "end"), ("m_contig", "m_start", "m_end"), width=64)
+    inside = F.sequence(F.greatest("start", "m_start") - F.col("start"), F.least("end", "m_end") - 1 - F.col("start"))
+    by = hits.select("key", F.explode(inside).alias("at")).groupBy("key").agg(F.collect_set("at").alias("__at"))  # a text's places
+    letters = F.transform(F.split("seq", ""), lambda c, i: F.when(F.array_contains("__at", i.cast("long")), F.lower(c) if lower else F.lit("N")).otherwise(c))
+    return texts.join(by, "key", "left").withColumn("seq", F.when(F.col("__at").isNull(), F.col("seq")).otherwise(F.array_join(letters, ""))).drop("__at")
+
+
+def flanks(variants: DataFrame, chunks: DataFrame, size: int, length: int, masks: DataFrame | None = None, lower: bool = False) -> DataFrame:
+    """(vid, text): left[REF/ALT]right with `length` bases on both sides of normalised alleles (pos, ref, alt), masked."""
+    hide = (lambda texts: mask(texts, masks, lower)) if masks is not None else lambda texts: texts
+    left = hide(fetch(variants.select(F.col("vid").alias("key"), "contig", (F.col("pos") - length).alias("start"), F.col("pos").alias("end")), chunks, size)).select("key", F.col("seq").alias("l"))
     after = F.col("pos") + F.length("ref")
-    right = fetch(variants.select(F.col("vid").alias("key"), "contig", after.alias("start"), (after + length).alias("end")), chunks, size).select("key", F.col("seq").alias("r"))
+    right = hide(fetch(variants.select(F.col("vid").alias("key"), "contig", after.alias("start"), (after + length).alias("end")), chunks, size)).select("key", F.col("seq").alias("r"))
     return variants.join(left, F.col("vid") == left["key"]).join(right, F.col("vid") == right["key"]).select("vid", F.concat("l", F.lit("["), "ref", F.lit("/"), "alt", F.lit("]"), "r").alias("text"))
 
 
@@ -199,12 +212,28 @@ def contrast(calls: DataFrame, plus: list, minus: list, least_dp: int = 0) -> Da
     return own.select("vid", "sample", novel.alias("novel")).where("novel is not null")
 
 
+def contrast_scores(calls: DataFrame, plus: list, minus: list) -> DataFrame:
+    """(vid, score): how sure it is that no plus sample has a minus sample's genotype, of calls with Phred likelihoods pl. A
+    plus sample's score is the least sum, over genotypes, of its own value and the least of the minus samples; the site's
+    is the least score over 0 of the plus samples. Sites without one are left out."""
+    long = calls.where(~F.exists("pl", lambda x: x.isNull())).select("vid", "sample", F.posexplode("pl").alias("k", "x"))
+    base = long.where(F.col("sample").isin(minus)).groupBy("vid", "k").agg(F.min("x").alias("y"))
+    own = long.where(F.col("sample").isin(plus)).join(base, ["vid", "k"]).groupBy("vid", "sample").agg(F.min(F.col("x") + F.col("y")).alias("score"))
+    return own.where("score > 0").groupBy("vid").agg(F.min("score").alias("score"))
+
+
 def fix_ploidy(calls: DataFrame, regions: DataFrame, sexes: DataFrame) -> DataFrame:
     """Calls (vid, chrom, pos, sample, a1, a2) with the ploidy of their region (chrom, start, end, sex, ploidy) and sex: one
-    allele where it is 1, none where it is 0."""
+    allele where it is 1, none where it is 0. With likelihoods (pl, n_alleles) the one allele is the best by these, and
+    they are made to fit."""
     j = calls.join(F.broadcast(sexes), "sample", "left").join(F.broadcast(regions.withColumnsRenamed({"chrom": "r_chrom", "sex": "r_sex"})), (F.col("chrom") == F.col("r_chrom")) & (F.col("sex") == F.col("r_sex")) & F.col("pos").between(F.col("start"), F.col("end")), "left")
     p = F.coalesce("ploidy", F.lit(2))
-    return j.select("vid", "sample", F.when(p > 0, F.col("a1")).alias("a1"), F.when(p > 1, F.col("a2")).alias("a2"), p.alias("ploidy"))
+    if "pl" not in calls.columns:
+        return j.select("vid", "sample", F.when(p > 0, F.col("a1")).alias("a1"), F.when(p > 1, F.col("a2")).alias("a2"), p.alias("ploidy"))
+    one = reshaped_likelihoods(F.col("pl"), F.col("n_alleles"), haploid=True)
+    known = F.col("a1").isNotNull() & F.col("a2").isNotNull() & F.col("pl").isNotNull()
+    first = F.when((p == 1) & known, one["best"]).when(p > 0, F.col("a1"))
+    return j.select("vid", "sample", first.alias("a1"), F.when(p > 1, F.col("a2")).alias("a2"), p.alias("ploidy"), F.when(p == 1, one["values"]).when(p > 1, F.col("pl")).alias("pl"))
 
 
 def validate(variants: DataFrame, calls: DataFrame | None = None, info_types: dict[str, str] | None = None) -> DataFrame:
@@ -297,3 +326,20 @@ def sample_stats(variants: DataFrame, calls: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(single).alias("n_snp"), F.count_if(is_indel()).alias("n_indel"), F.count_if(F.size("alts") > 1).alias("n_multi"),
         F.count_if(F.col("carriers") == 1).alias("n_private"), F.count_if(F.col("carriers") > 1).alias("n_shared"), F.count_if(is_transition()).alias("n_ts"),
     )
+
+
+def variant_counts(variants: DataFrame, calls: DataFrame, value: Column, width: float, most: float) -> DataFrame:
+    """(bin, stat, key, n) by bins of a value up to `most`, and over all with a null bin. Of alleles: change (of single bases,
+    A>C) and indel (the difference of lengths); of sites: n_alt, and carriers, the number of samples with an alternative."""
+    b = variants.select("vid", "ref", "alts", F.least(F.floor(value / width) * width, F.lit(most)).cast("double").alias("bin"))
+    entry = lambda stat, key: F.struct(F.lit(stat).alias("stat"), key.alias("key"))
+
+    def allele(alt: Column) -> Column:
+        e = event(F.col("ref"), alt)["type"]
+        return F.when(e == "s1", entry("change", F.concat("ref", F.lit(">"), alt))).when(e.startswith("i"), entry("indel", F.substring(e, 2, 20)))
+
+    carriers = calls.where("a1 > 0 or a2 > 0").groupBy("vid").agg(F.count_distinct("sample").alias("c"))
+    own = b.join(carriers, "vid", "left")
+    entries = F.concat(F.array_compact(F.transform("alts", allele)), F.array(entry("n_alt", F.size("alts").cast("string")), entry("carriers", F.coalesce("c", F.lit(0)).cast("string"))))
+    long = own.select("bin", F.explode(entries).alias("e")).select("bin", "e.stat", "e.key").withColumn("all", F.lit(True))
+    return long.groupingSets([["bin", "stat", "key"], ["all", "stat", "key"]], "bin", "all", "stat", "key").agg(F.count("*").alias("n")).where("all or bin is not null").drop("all")

@@ -204,23 +204,22 @@ def _(t):
 
 @query("f24_site_quality", "SELECT vid, qual FROM variants WHERE qual < 30")
 def _(t):
-    return t.variants.where("qual < 30").select("vid", "qual")
+    return P.low_quality(t.variants)
 
 
 @query("f25_genotype_quality", "SELECT vid, max(gq) AS gq FROM calls WHERE COALESCE(a1, 0) > 0 OR COALESCE(a2, 0) > 0 GROUP BY vid HAVING max(gq) < 50")
 def _(t):
-    return t.calls.where("coalesce(a1, 0) > 0 or coalesce(a2, 0) > 0").groupBy("vid").agg(F.max("gq").alias("gq")).where("gq < 50")
+    return P.low_genotype_quality(t.calls)
 
 
 @query("f26_depth_per_sample", f"SELECT vid, min(dp) AS dp FROM calls JOIN variants USING (vid) WHERE NOT {INDEL} GROUP BY vid HAVING min(dp) < 5")
 def _(t):
-    return t.calls.join(sites_of(t).where(~P.is_indel()).select("vid"), "vid").groupBy("vid").agg(F.min("dp").alias("dp")).where("dp < 5")
+    return P.low_sample_depth(sites_of(t), t.calls)
 
 
 @query("f27_avg_depth", "SELECT vid, round(3 * size / 20, 6) AS depth FROM variants WHERE 3 * size / 20 < 3")
 def _(t):
-    d = F.try_element_at("info_map", F.lit("DP")).cast("double") / 20
-    return info_map(t.variants).where(d < 3).select("vid", F.round(d, 6).alias("depth"))
+    return P.low_average_depth(info_map(t.variants), 20)
 
 
 @q("f28_snp_only", f"{V} NOT {INDEL}")

@@ -96,10 +96,24 @@ def _(t):
 
 @query("p3_parse_vep_row", "SELECT vid, CAST(size AS INT) AS protein_position, concat('T', CAST(vid % 500 AS VARCHAR)) AS feature, CASE WHEN vid % 2 = 0 THEN 'benign' END AS sift FROM variants")
 def _(t):
-    line = F.concat_ws("\t", F.col("vid").cast("string"), F.concat(F.lit("T"), (F.col("vid") % 500).cast("string")), F.col("size").cast("string"), F.when(F.col("vid") % 2 == 0, "SIFT=benign;X=1").otherwise("X=1"))
-    f = F.split(line, "\t")
-    extra = F.str_to_map(f[3], F.lit(";"), F.lit("="))
-    return t.variants.select(f[0].try_cast("long").alias("vid"), f[2].try_cast("int").alias("protein_position"), f[1].alias("feature"), F.try_element_at(extra, F.lit("SIFT")).alias("sift"))
+    r = V.parse_vep_row(vep_line())
+    return t.variants.select(r["name"].cast("long").alias("vid"), r["protein_pos"].alias("protein_position"), F.upper(r["feature"]).alias("feature"), F.try_element_at(r["extra"], F.lit("sift")).alias("sift"))
+
+
+def vep_line():
+    """A line of an effect predictor's table by site: 14 columns, some empty."""
+    n = lambda c: c.cast("string")
+    vid, pos, size = F.col("vid"), F.col("pos"), F.col("size")
+    place = F.concat("chrom", F.lit(":"), n(pos), F.when(vid % 3 == 0, F.concat(F.lit("-"), n(pos + 2))).otherwise(""))
+    amino = F.when(vid % 4 == 0, "A/G").when(vid % 4 == 1, "M").otherwise("-")
+    return F.concat_ws("\t", n(vid), place, "alt1", F.concat(F.lit("ENSG"), n(vid % 50)), F.concat(F.lit("T"), n(vid % 500)), F.lit("Transcript"), F.lit("missense_variant"), F.when(vid % 5 == 0, "-").otherwise(n(size * 3)), F.lit("?-7"), n(size), amino, F.lit("gCc/gGc"), F.coalesce("id", F.lit("-")), F.when(vid % 2 == 0, "SIFT=benign;X=1").otherwise("X=1"))
+
+
+@query("p3_vep_row_columns", """SELECT vid, lower(chrom) AS chrom, pos AS start, CASE WHEN vid % 3 = 0 THEN pos + 2 ELSE pos + 1 END AS "end", lower(alt1) AS ref_allele, concat('ensg', CAST(vid % 50 AS VARCHAR)) AS gene, 'transcript' AS feature_type, 'missense_variant' AS consequence, CASE WHEN vid % 5 <> 0 THEN CAST(size * 3 AS INT) END AS cdna_pos, CAST(NULL AS INT) AS cds_pos,
+ CASE WHEN vid % 4 = 0 THEN 'a' ELSE '-' END AS ref_amino_acid, CASE WHEN vid % 4 = 0 THEN 'g' ELSE '-' END AS var_amino_acid, 'gcc' AS ref_codon, 'ggc' AS var_codon, COALESCE(id, '-') AS variation FROM variants""")
+def _(t):
+    r = V.parse_vep_row(vep_line())
+    return t.variants.select(r["name"].cast("long").alias("vid"), *[r[c].alias(c) for c in ("chrom", "start", "end", "ref_allele", "gene", "feature_type", "consequence", "cdna_pos", "cds_pos", "ref_amino_acid", "var_amino_acid", "ref_codon", "var_codon", "variation")])
 
 
 @query("p4_std_chrom", "SELECT vid, chrom FROM variants WHERE chrom IN ('chr1', 'chr2', 'chr3', 'chr4', 'chr5')")
@@ -277,17 +291,14 @@ for _name, _expr in (("w8_to_ldhat_phased", "COALESCE(CAST(a1 AS VARCHAR), '?')"
 
     @query(_name, f"SELECT sample, string_agg({_expr}, '' ORDER BY pos) AS sites, string_agg(CAST(round(pos / 1000, 3) AS VARCHAR), ',' ORDER BY pos) AS locs FROM calls JOIN variants USING (vid) WHERE alt2 IS NULL AND chrom = 'chr2' GROUP BY sample")
     def _(t, phased=_name.endswith("_phased")):
-        own = t.calls.join(sites_of(t).where((F.size("alts") == 1) & (F.col("chrom") == "chr2")).select("vid", "pos"), "vid")
-        one = F.coalesce(F.col("a1").cast("string"), F.lit("?"))
-        two = F.when(F.col("a1").isNull() | F.col("a2").isNull(), "?").when(F.col("a1") != F.col("a2"), "2").otherwise(F.col("a1").cast("string"))
-        return own.groupBy("sample").agg(R.ordered_join(one if phased else two, ["pos"], "").alias("sites"), R.ordered_join(F.round(F.col("pos") / 1000, 3).cast("string"), ["pos"], ",").alias("locs"))
+        return X.ldhat(sites_of(t).where("chrom = 'chr2'"), t.calls, phased)
 
 
 @query("w10_to_beagle_gl", "SELECT c.vid, sample, round(power(10, -gq / 10.0), 6) AS l0, round(power(10, -dp / 10.0), 6) AS l1 FROM calls c JOIN variants USING (vid) WHERE alt2 IS NULL AND dp IS NOT NULL")
 def _(t):
     own = t.calls.join(sites_of(t).where(F.size("alts") == 1).select("vid"), "vid").where("dp is not null").withColumn("pl", F.array("gq", "dp"))
-    own = own.withColumn("l", F.transform("pl", lambda x: F.round(F.pow(F.lit(10.0), -x / 10.0), 6)))
-    return own.select("vid", "sample", F.col("l")[0].alias("l0"), F.col("l")[1].alias("l1"))
+    got = X.beagle_likelihoods(own, "pl")
+    return got.select("vid", "sample", F.col("likelihoods")[0].alias("l0"), F.col("likelihoods")[1].alias("l1"))
 
 
 @query("w11_extract_info", "SELECT chrom, pos, CAST(3 * size AS VARCHAR) AS dp, CASE WHEN vid % 19 <> 0 THEN CAST(vid % 60 AS VARCHAR) ELSE '?' END AS mq FROM variants")
@@ -304,8 +315,7 @@ def _(t):
 
 @query("w13_vcf_query", f"SELECT vid, concat(any_value(chrom), ':', CAST(any_value(pos) AS VARCHAR), ' ', string_agg(concat(CAST(sample AS VARCHAR), '=', {_GT}), ' ' ORDER BY sample)) AS line FROM calls JOIN variants USING (vid) GROUP BY vid")
 def _(t):
-    cells = R.ordered_join(F.concat_ws("=", F.col("sample").cast("string"), R.call_text()), ["sample"], " ")
-    return _with_alleles(t).groupBy("vid", "chrom", "pos").agg(cells.alias("c")).select("vid", F.concat(F.concat_ws(":", "chrom", F.col("pos").cast("string")), F.lit(" "), "c").alias("line"))
+    return X.formatted(_with_alleles(t), "%CHROM:%POS[ %SAMPLE=%GT]", {"CHROM": F.col("chrom"), "POS": F.col("pos")}, {"SAMPLE": F.col("sample"), "GT": R.call_text()})
 
 
 @query("w14_vcf_to_tab", f"SELECT vid, string_agg(concat({_ALL.format('a1').replace(chr(39) + '0' + chr(39), chr(39) + '.' + chr(39))}, '/', {_ALL.format('a2').replace(chr(39) + '0' + chr(39), chr(39) + '.' + chr(39))}), chr(9) ORDER BY sample) AS line FROM calls JOIN variants USING (vid) GROUP BY vid")
@@ -325,7 +335,7 @@ def _(t):
 @query("w15_tab_to_vcf", f"SELECT vid, string_agg(DISTINCT b, ',' ORDER BY b) AS alts FROM (SELECT vid, ref, unnest([{_ALL.format('a1')}, {_ALL.format('a2')}]) AS b FROM calls JOIN variants USING (vid)) WHERE b <> ref AND b <> '0' GROUP BY vid")
 def _(t):
     tab = _with_alleles(t).select("vid", F.col("alleles")[0].alias("ref"), F.concat_ws("/", R.base_of("a1"), R.base_of("a2")).alias("g"))
-    return tab.select("vid", "ref", F.explode(F.split("g", "/")).alias("b")).where("b <> ref and b <> '0'").groupBy("vid").agg(F.array_join(F.array_sort(F.collect_set("b")), ",").alias("alts"))
+    return X.tab_to_sites(tab)
 
 
 _ATTR = "SELECT structid, chain, seqid, max(CASE WHEN v > 0.5 THEN round(1 - v, 6) ELSE v END) AS value FROM (SELECT structid, chain, seqid, (iid % 100) / 100 AS v FROM intervals) GROUP BY ALL"

@@ -51,9 +51,9 @@ _VIEW = f"""WITH {_HIT}, {_DOM}, {_DIMS} SELECT r.structid, r.chain, r.seqid, r.
  WHERE COALESCE(g.transcript, '') = '' OR g.transcript = al.enst"""
 
 
-@query("j3_structure_view", _VIEW)
-def structure_view(t):
-    c, i = consequences(t), t.intervals
+def dimensions(t):
+    """The small tables around the residues, by name."""
+    i = t.intervals
     number = F.substring("transcript", 2, 9).cast("int")
     p, s = F.col("p_partkey"), F.col("s_suppkey") % 10
     name = lambda n: F.concat(F.lit("S"), n.cast("string")).alias("structid")
@@ -64,7 +64,13 @@ def structure_view(t):
     alignments = i.select("structid", "chain", "seqid", *place).distinct()
     transcripts = i.where("seqid % 3 <> 0").select(*place, F.concat(F.lit("G"), F.substring("transcript", 2, 9)).alias("gene")).distinct()
     scores = i.where(number % 2 == 0).select("structid", "chain", place[0], (number % 100 / 100).alias("perc_identity")).distinct()
-    return M.structure_view(t.residues.select("structid", "chain", "seqid", "res_id"), chains, structures, models, M.intersect(c, mapped(t)), c, t.variants, alignments, transcripts, scores, domains(t))
+    return {"chains": chains, "structures": structures, "models": models, "alignments": alignments, "transcripts": transcripts, "scores": scores}
+
+
+@query("j3_structure_view", _VIEW)
+def structure_view(t):
+    c, d = consequences(t), dimensions(t)
+    return M.structure_view(t.residues.select("structid", "chain", "seqid", "res_id"), d["chains"], d["structures"], d["models"], M.intersect(c, mapped(t)), c, t.variants, d["alignments"], d["transcripts"], d["scores"], domains(t))
 
 
 @query("j4_full_structure_view", f"SELECT * FROM ({_VIEW}) QUALIFY row_number() OVER (PARTITION BY vid, res_id ORDER BY COALESCE(enst, ''), COALESCE(domain, ''), COALESCE(CAST(gc_id AS VARCHAR), '')) = 1")
@@ -85,6 +91,52 @@ def _(t):
     return k.join(g, (F.col("transcript") == F.col("k_t")) & (F.col("chrom") == F.col("k_c")) & (F.col("pos") >= F.col("start_pos")) & (F.col("end_pos") <= F.col("k_end")), "left").select("iid", "ch_id", "gc_id")
 
 
+_KEYS = f"""{_GC}, i AS (SELECT *, md5(concat(structid, ':', chain)) AS ch_id FROM intervals), ch AS (SELECT DISTINCT structid, chain, ch_id FROM i), st AS (SELECT concat('S', CAST(s_suppkey % 120 AS VARCHAR)) AS structid, s_suppkey AS str_id FROM supplier WHERE s_suppkey % 3 = 0), mo AS (SELECT concat('S', CAST(s_suppkey % 120 AS VARCHAR)) AS structid, 1000000 + s_suppkey AS str_id FROM supplier WHERE s_suppkey % 3 = 1)"""
+
+
+def keyed(t):
+    i = t.intervals.withColumn("ch_id", F.md5(F.concat_ws(":", "structid", "chain")))
+    s = F.col("s_suppkey")
+    place = F.concat(F.lit("S"), (s % 120).cast("string")).alias("structid")
+    at = F.col("seqid") + 1
+    return M.assign_keys({
+        "structures": t.supplier.where(s % 3 == 0).select(place, s.alias("str_id")), "models": t.supplier.where(s % 3 == 1).select(place, (s + 1000000).alias("str_id")), "chains": i.select("structid", "chain", "ch_id").distinct(), "residues": t.residues.select("structid", "chain", "seqid", "res_id"),
+        "alignments": i.select("iid", "structid", "chain", "seqid", "transcript", at.alias("trans_seqid")), "scores": i.where("iid % 2 = 0").select("structid", "chain", "transcript", F.col("iid").alias("as_id")),
+        "transcripts": i.where("iid % 3 <> 0").select("transcript", at.alias("trans_seqid"), "chrom", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), F.col("iid").alias("tr_id")), "consequences": consequences(t).withColumn("name", F.col("vid")), "data": t.variants.where("vid % 4 <> 0").select("chrom", "pos", (F.col("pos") + 1).alias("end_pos"), F.col("vid").alias("name"), F.col("vid").alias("gd_id")),
+        "intersections": M.intersect(consequences(t), mapped(t)),
+    })
+
+
+@query("j6_chain_keys", f"WITH {_KEYS} SELECT structid, chain, ch_id, COALESCE((SELECT min(str_id) FROM mo WHERE mo.structid = ch.structid), (SELECT min(str_id) FROM st WHERE st.structid = ch.structid)) AS str_id FROM ch")
+def _(t):
+    return keyed(t)["chains"]
+
+
+@query("j6_residue_keys", f"WITH {_KEYS} SELECT res_id, ch_id FROM residues LEFT JOIN ch USING (structid, chain)")
+def _(t):
+    return keyed(t)["residues"].select("res_id", "ch_id")
+
+
+@query("j6_alignment_keys", f"WITH {_KEYS}, r AS (SELECT structid, chain, seqid, min(res_id) AS res_id FROM residues GROUP BY ALL), s AS (SELECT structid, chain, transcript, min(iid) AS as_id FROM i WHERE iid % 2 = 0 GROUP BY ALL), x AS (SELECT transcript, seqid, min(iid) AS tr_id FROM i WHERE iid % 3 <> 0 GROUP BY ALL) SELECT iid, res_id, as_id, tr_id FROM i LEFT JOIN r USING (structid, chain, seqid) LEFT JOIN s USING (structid, chain, transcript) LEFT JOIN x USING (transcript, seqid)")
+def _(t):
+    return keyed(t)["alignments"].select("iid", "res_id", "as_id", "tr_id")
+
+
+@query("j6_transcript_keys", f"WITH {_KEYS}, h AS (SELECT iid, min(gc_id) AS gc_id FROM i JOIN g ON g.transcript = i.transcript AND g.chrom = i.chrom AND g.pos >= start_pos AND g.end_pos <= i.end_pos GROUP BY iid) SELECT iid AS tr_id, gc_id FROM i LEFT JOIN h USING (iid) WHERE iid % 3 <> 0")
+def _(t):
+    return keyed(t)["transcripts"].select("tr_id", "gc_id")
+
+
+@query("j6_consequence_keys", f"WITH {_GC} SELECT gc_id, CASE WHEN vid % 4 <> 0 THEN vid END AS gd_id FROM g")
+def _(t):
+    return keyed(t)["consequences"].select("gc_id", "gd_id")
+
+
+@query("j6_intersection_keys", f"WITH {_HIT}, r AS (SELECT structid, chain, seqid, min(res_id) AS res_id FROM residues GROUP BY ALL) SELECT gc_id, structid, chain, seqid, res_id FROM hit LEFT JOIN r USING (structid, chain, seqid)")
+def _(t):
+    return keyed(t)["intersections"]
+
+
 @query("j7_user_annotation", """WITH w AS (SELECT iid, chrom, start_pos AS pos, concat('rs', CAST(iid AS VARCHAR)) AS id, structid, chain, seqid FROM intervals), u AS (SELECT CASE WHEN iid % 2 = 0 THEN chrom END AS chrom, pos, id, CASE WHEN iid % 2 = 1 THEN structid END AS structid, chain, seqid, iid % 50 AS value FROM w WHERE iid % 3 = 0),
  a AS (SELECT chrom, pos, id, max(value) AS x FROM u WHERE chrom IS NOT NULL GROUP BY ALL), b AS (SELECT structid, chain, seqid, max(value) AS y FROM u WHERE structid IS NOT NULL GROUP BY ALL) SELECT iid, COALESCE(x, y) AS value FROM w LEFT JOIN a USING (chrom, pos, id) LEFT JOIN b USING (structid, chain, seqid)""")
 def _(t):
@@ -242,6 +294,30 @@ def _(t):
     return t.residues.groupBy("structid").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("#"), "chain"))), ";").alias("chains"), F.count_distinct("seqid").alias("n_residues"), F.min("x").alias("least_x"))
 
 
+for _name, _table, _by, _down in (("a47_protein_structures", "st", "resolution", False), ("a47_protein_models", "mo", "mpqs", True)):
+
+    @query(_name, f"WITH {_DIMS}, s AS (SELECT structid, chain, max(perc_identity) AS perc_identity FROM sc GROUP BY ALL), p AS (SELECT unp, structid, {_by}, max(perc_identity) AS perc_identity, string_agg(DISTINCT concat('#', chain), ';' ORDER BY concat('#', chain)) AS chains FROM ch JOIN {_table} USING (structid) JOIN s USING (structid, chain) GROUP BY unp, structid, {_by}) SELECT *, CAST(row_number() OVER (PARTITION BY unp ORDER BY {_by} {'DESC' if _down else 'ASC'}, perc_identity DESC, structid) AS INT) AS k FROM p")
+    def _(t, which=_table, by=_by, down=_down):
+        d = dimensions(t)
+        return M.protein_structures(d["chains"], d["structures" if which == "st" else "models"], d["scores"], by, down)
+
+
+@query("a46_coverage_stats", f"WITH {_HIT}, {_DIMS}, m AS (SELECT DISTINCT g.vid, h.structid FROM hit h JOIN g USING (gc_id) JOIN variants v ON v.vid = g.vid) SELECT (SELECT count(DISTINCT structid) FROM mo) AS models, (SELECT count(DISTINCT unp) FROM ch) AS proteins, (SELECT count(DISTINCT unp) FROM ch JOIN st USING (structid)) AS proteins_structures, (SELECT count(DISTINCT unp) FROM ch JOIN mo USING (structid)) AS proteins_models, (SELECT count(DISTINCT vid) FROM m) AS mapped, (SELECT count(DISTINCT vid) FROM m JOIN st USING (structid)) AS mapped_structures, (SELECT count(DISTINCT vid) FROM m JOIN mo USING (structid)) AS mapped_models")
+def _(t):
+    d, c = dimensions(t), consequences(t)
+    hit = M.intersect(c, mapped(t)).join(c.select("gc_id", "vid"), "gc_id").join(t.variants.select("vid"), "vid", "left_semi")
+    unique = lambda df, c, name: df.agg(F.count_distinct(c).alias(name))
+    inside = lambda df, other: df.join(d[other].select("structid"), "structid", "left_semi")
+    parts = [
+        unique(d["models"], "structid", "models"), unique(d["chains"], "unp", "proteins"), unique(inside(d["chains"], "structures"), "unp", "proteins_structures"), unique(inside(d["chains"], "models"), "unp", "proteins_models"),
+        unique(hit, "vid", "mapped"), unique(inside(hit, "structures"), "vid", "mapped_structures"), unique(inside(hit, "models"), "vid", "mapped_models"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:  # one row each
+        out = out.crossJoin(p)
+    return out
+
+
 @query("a48_repr_subset", "WITH c AS (SELECT transcript, structid, chain, count(*) AS n FROM intervals GROUP BY ALL) SELECT transcript, structid, chain, n FROM (SELECT *, row_number() OVER (PARTITION BY transcript ORDER BY n DESC, structid, chain) AS k FROM c) WHERE k = 1")
 def _(t):
     c = t.intervals.groupBy("transcript", "structid", "chain").agg(F.count("*").alias("n"))

@@ -105,6 +105,36 @@ def _(t):
     return G.genotype_comparison((v, t.calls), (v, second_calls(t)))
 
 
+_STRATA = f"""k AS (SELECT *, CASE WHEN bases IS NOT NULL THEN {_CLASS.format('dose', 'bases')} ELSE {_CLASS.format('dose2', 'bases2')} END AS class FROM j JOIN st USING ({{0}}))
+ SELECT stratum, class, count(*) FILTER (bases = bases2) AS n_match, count(*) FILTER (bases <> bases2) AS n_mismatch, count(*) FILTER (bases IS NOT NULL AND bases2 IS NULL) AS n_lost, count(*) FILTER (bases IS NULL AND bases2 IS NOT NULL) AS n_gained FROM k WHERE class IS NOT NULL GROUP BY stratum, class"""
+
+
+@query("a44_compare_by_frequency", f"""WITH {_BASES}, af AS (SELECT vid, count(*) FILTER (a > 0) / count(*) AS af FROM (SELECT vid, unnest([a1, a2]) AS a FROM calls) WHERE a IS NOT NULL GROUP BY vid), st AS (SELECT vid, round(LEAST(floor(round(af / 0.1, 9)), 9) * 0.1, 6) AS stratum FROM af), {_STRATA.format('vid')}""")
+def _(t):
+    v = sites_of(t)
+    return G.genotype_comparison((v, t.calls), (v, second_calls(t)), G.frequency_strata(v, t.calls))
+
+
+@query("a44_compare_by_depth", f"WITH {_BASES}, st AS (SELECT vid, sample, LEAST(floor(dp / 10) * 10, 50.0) AS stratum FROM calls), {_STRATA.format('vid, sample')}")
+def _(t):
+    v = sites_of(t)
+    return G.genotype_comparison((v, t.calls), (v, second_calls(t)), t.calls.select("vid", "sample", F.least(F.floor(F.col("dp") / 10) * 10, F.lit(50)).cast("double").alias("stratum")))
+
+
+@query("a44_allele_mismatches", f"""WITH {_AB}, x AS (SELECT chrom, pos, min([ref, alts]) AS k FROM (SELECT chrom, pos, ref, array_to_string(list_sort([z FOR z IN [alt1, alt2] IF z IS NOT NULL]), ',') AS alts FROM a) GROUP BY ALL), y AS (SELECT chrom, pos, min([ref, alts]) AS k FROM (SELECT chrom, pos, ref, array_to_string(list_sort([z FOR z IN [alt1, alt2] IF z IS NOT NULL]), ',') AS alts FROM b) GROUP BY ALL)
+ SELECT count(*) AS n_sites, count(*) FILTER (x.k[1] <> y.k[1]) AS n_ref, count(*) FILTER (x.k[1] = y.k[1] AND x.k[2] <> y.k[2]) AS n_alt FROM x JOIN y USING (chrom, pos)""")
+def _(t):
+    return G.allele_mismatches(*two(t))
+
+
+@query("a44_phase", """WITH x AS (SELECT chrom, pos, sample, [ref, alt1, alt2][a1 + 1] AS p, [ref, alt1, alt2][a2 + 1] AS q, gq FROM calls JOIN variants USING (vid) WHERE phased AND a1 <> a2) SELECT x.sample, count(*) AS n_both, count(*) FILTER (CASE WHEN y.gq % 9 = 0 THEN x.p = y.q AND x.q = y.p ELSE x.p = y.p AND x.q = y.q END) AS n_same FROM x JOIN x y USING (chrom, pos, sample) WHERE (x.p = y.p AND x.q = y.q) OR (x.p = y.q AND x.q = y.p) GROUP BY x.sample""")
+def _(t):
+    swap = F.col("gq") % 9 == 0
+    turned = t.calls.select("vid", "sample", "phased", F.when(swap, F.col("a2")).otherwise(F.col("a1")).alias("a1"), F.when(swap, F.col("a1")).otherwise(F.col("a2")).alias("a2"))
+    v = sites_of(t)
+    return G.phase_comparison((v, t.calls), (v, turned))
+
+
 @query("a44_non_ref_discordance", f"WITH {_BASES} SELECT round(count(*) FILTER (bases <> bases2) / (count(*) FILTER (bases <> bases2) + count(*) FILTER (bases = bases2 AND dose > 0)), 6) AS rate FROM j")
 def _(t):
     v = sites_of(t)

@@ -14,6 +14,7 @@ from helixframe.plans.function_queries import lines_of
 from helixframe.plans.registry import query
 from helixframe.plans.site_queries import sites_of
 from helixframe.sources import tables as R
+from helixframe.sources.scratch import folder
 from helixframe.streaming import jobs
 
 
@@ -236,6 +237,12 @@ def _(t):
     return t.sequences.where("length(seq) > 20").select("seq_id", V.seq_identity(F.col("seq"), b).alias("x")).select("seq_id", "x.mismatches", "x.share")
 
 
+@query("a55_differences", "WITH p AS (SELECT seq_id, seq AS a, CASE WHEN seq_id % 3 = 0 THEN concat(left(seq, 10), 'zy', substr(seq, 13)) WHEN seq_id % 3 = 1 THEN concat(left(seq, 4), '1', substr(seq, 6)) ELSE concat(seq, 'A') END AS b FROM sequences WHERE length(seq) > 20) SELECT seq_id, CASE seq_id % 3 WHEN 0 THEN concat('11 ', substr(a, 11, 1), '>z,12 ', substr(a, 12, 1), '>y') WHEN 1 THEN concat('5 ', substr(a, 5, 1), '>1') END AS differences, seq_id % 3 = 1 OR (seq_id % 3 = 0 AND round(2 / length(a), 6) < 0.01) AS close FROM p")
+def _(t):
+    b = F.when(F.col("seq_id") % 3 == 0, F.concat(F.substring("seq", 1, 10), F.lit("zy"), F.expr("substring(seq, 13)"))).when(F.col("seq_id") % 3 == 1, F.concat(F.substring("seq", 1, 4), F.lit("1"), F.expr("substring(seq, 6)"))).otherwise(F.concat("seq", F.lit("A")))
+    return t.sequences.where("length(seq) > 20").select("seq_id", V.seq_differences(F.col("seq"), b).alias("differences"), V.close_enough(F.col("seq"), b).alias("close"))
+
+
 _SLICE = "WITH v AS (SELECT vid, vid % 200 AS contig, 1 + (vid * 7) % 290 AS pos, alt1 FROM variants)"
 
 
@@ -256,6 +263,15 @@ def _(t):
     return S.flanks(placed(t).select("vid", "contig", "pos", F.lit("R").alias("ref"), F.col("alt1").alias("alt")), chunks, 64, 5)
 
 
+@query("t12_masked_flanks", f"""{_SLICE}, m AS (SELECT DISTINCT contig, pos FROM v WHERE vid % 3 = 0), c AS (SELECT vid, contig, pos, alt1, unnest([-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]) AS d FROM v),
+ x AS (SELECT c.*, CASE WHEN seq IS NULL OR c.pos + d < 1 OR c.pos + d > length(seq) THEN 'N' ELSE substr(seq, c.pos + d, 1) END AS l, m.pos IS NOT NULL AS hid FROM c LEFT JOIN sequences ON seq_id = c.contig LEFT JOIN m ON m.contig = c.contig AND m.pos = c.pos + d), y AS (SELECT vid, alt1, d, CASE WHEN hid THEN lower(l) ELSE l END AS l FROM x)
+ SELECT vid, concat(string_agg(l, '' ORDER BY d) FILTER (d < 0), '[R/', any_value(alt1), ']', string_agg(l, '' ORDER BY d) FILTER (d > 0)) AS text FROM y GROUP BY vid""")
+def _(t):
+    chunks = S.chunked(t.sequences.select(F.col("seq_id").alias("contig"), "seq"), 64)
+    masks = placed(t).where("vid % 3 = 0").select("contig", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+    return S.flanks(placed(t).select("vid", "contig", "pos", F.lit("R").alias("ref"), F.col("alt1").alias("alt")), chunks, 64, 5, masks, lower=True)
+
+
 @query("t10_consensus", """WITH v AS (SELECT seq_id AS contig, unnest([3, 9, 20]) AS pos, seq FROM sequences WHERE length(seq) >= 30) SELECT DISTINCT contig, concat(substr(seq, 1, 2), 'ZZ', substr(seq, 4, 5), substr(seq, 9, 1), 'Z', substr(seq, 11)) AS seq FROM v""")
 def _(t):
     ref = t.sequences.where("length(seq) >= 30").select(F.col("seq_id").alias("contig"), "seq")
@@ -282,6 +298,39 @@ def _(t):
     return S.contrast(t.calls, [4, 5], [1, 2, 3], 10)
 
 
+_PL = "pl AS (SELECT c.vid, sample, a1, a2, CASE WHEN alt2 IS NULL THEN 2 ELSE 3 END AS n, CASE WHEN gq % 11 <> 0 THEN CASE WHEN alt2 IS NULL THEN [gq % 60, gq % 7, dp % 50] ELSE [gq % 60, gq % 7, dp % 50, gq % 13, gq % 17, gq % 19] END END AS pl FROM calls c JOIN variants USING (vid))"
+
+
+def with_likelihoods(t):
+    gq, dp = F.col("gq"), F.col("dp")
+    two = F.array(gq % 60, gq % 7, dp % 50)
+    j = t.calls.join(t.variants.select("vid", "chrom", "pos", F.when(F.col("alt2").isNull(), 2).otherwise(3).alias("n_alleles")), "vid")
+    return j.withColumn("pl", F.when(gq % 11 != 0, F.when(F.col("n_alleles") == 2, two).otherwise(F.concat(two, F.array(gq % 13, gq % 17, gq % 19)))))
+
+
+@query("t13_contrast_scores", f"""WITH {_PL}, l AS (SELECT vid, sample, unnest(range(1, len(pl) + 1)) AS k, unnest(pl) AS x FROM pl WHERE pl[3] IS NOT NULL), b AS (SELECT vid, k, min(x) AS y FROM l WHERE sample IN (1, 2, 3) GROUP BY ALL), s AS (SELECT vid, sample, min(x + y) AS s FROM l JOIN b USING (vid, k) WHERE sample IN (4, 5, 6, 7) GROUP BY ALL)
+ SELECT vid, min(s) AS score FROM s WHERE s > 0 GROUP BY vid""")
+def _(t):
+    return S.contrast_scores(with_likelihoods(t), [4, 5, 6, 7], [1, 2, 3])
+
+
+@query("t14_likelihoods", f"""WITH {_PL}, h AS (SELECT vid, sample, n, CASE WHEN n = 2 THEN [pl[1], pl[3]] ELSE [pl[1], pl[3], pl[6]] END AS x FROM pl WHERE pl IS NOT NULL)
+ SELECT vid, sample, array_to_string([COALESCE(CAST(z AS VARCHAR), '.') FOR z IN x], ',') AS one, COALESCE(list_position(x, list_min(x)) - 1, 0) AS best, CASE WHEN n = 2 THEN concat_ws(',', x[1], '.', COALESCE(CAST(x[2] AS VARCHAR), '.')) ELSE concat_ws(',', x[1], '.', COALESCE(CAST(x[2] AS VARCHAR), '.'), '.', '.', x[3]) END AS again FROM h""")
+def _(t):
+    text_of = lambda c: F.array_join(c.cast("array<string>"), ",", ".")
+    own = with_likelihoods(t).where("pl is not null").withColumn("h", V.reshaped_likelihoods(F.col("pl"), F.col("n_alleles"), haploid=True))
+    again = V.reshaped_likelihoods(F.col("h.values"), F.col("n_alleles"), haploid=False)["values"]
+    return own.select("vid", "sample", text_of(F.col("h.values")).alias("one"), "h.best", text_of(again).alias("again"))
+
+
+@query("t14_ploidy_by_likelihoods", f"""WITH {_PL}, p AS (SELECT pl.*, CASE WHEN chrom = 'chr5' AND sample % 2 = 0 THEN 1 ELSE 2 END AS p FROM pl JOIN variants USING (vid)), h AS (SELECT *, CASE WHEN n = 2 THEN [pl[1], pl[3]] ELSE [pl[1], pl[3], pl[6]] END AS x FROM p)
+ SELECT vid, sample, CASE WHEN p = 1 AND pl IS NOT NULL AND a1 IS NOT NULL AND a2 IS NOT NULL THEN COALESCE(list_position(x, list_min(x)) - 1, 0) ELSE a1 END AS a1, CASE WHEN p > 1 THEN a2 END AS a2, p AS ploidy FROM h""")
+def _(t):
+    regions = t.spark.createDataFrame([("chr5", 1, 10**9, "M", 1)], "chrom string, start long, end long, sex string, ploidy int")
+    sexes = t.samples.select("sample", F.when(F.col("sample") % 2 == 0, "M").otherwise("F").alias("sex"))
+    return S.fix_ploidy(with_likelihoods(t), regions, sexes).drop("pl")
+
+
 @query("t14_fix_ploidy", "SELECT c.vid, sample, CASE WHEN p > 0 THEN a1 END AS a1, CASE WHEN p > 1 THEN a2 END AS a2, CAST(p AS INT) AS ploidy FROM (SELECT c.*, CASE WHEN chrom = 'chr5' AND pos BETWEEN 1 AND 100000 THEN CASE WHEN sample % 2 = 0 THEN 1 ELSE 2 END WHEN chrom = 'chr4' AND sample % 2 = 1 THEN 0 ELSE 2 END AS p FROM calls c JOIN variants USING (vid)) c")
 def _(t):
     regions = t.spark.createDataFrame([("chr5", 1, 100000, "M", 1), ("chr4", 1, 10**9, "F", 0)], "chrom string, start long, end long, sex string, ploidy int")
@@ -336,6 +385,14 @@ def _(t):
     return S.binned_stats(t.variants.withColumn("type", F.when(F.length("ref") == 1, "snp").otherwise("indel")), "qual", 10, 50.0)
 
 
+@query("a42_variant_counts", """WITH b AS (SELECT vid, ref, alt1, alt2, LEAST(floor(qual / 20) * 20, 60.0) AS bin FROM variants), al AS (SELECT bin, ref, unnest([x FOR x IN [alt1, alt2] IF x IS NOT NULL]) AS alt FROM b), k AS (SELECT vid, count(DISTINCT sample) AS c FROM calls WHERE a1 > 0 OR a2 > 0 GROUP BY vid),
+ l AS (SELECT bin, 'change' AS stat, concat(ref, '>', alt) AS key FROM al WHERE length(ref) = 1 AND length(alt) = 1 AND ref <> alt UNION ALL SELECT bin, 'indel', CASE WHEN length(alt) > length(ref) THEN concat('+', CAST(length(alt) - length(ref) AS VARCHAR)) ELSE CAST(length(alt) - length(ref) AS VARCHAR) END FROM al WHERE length(ref) <> length(alt) AND (starts_with(ref, alt) OR starts_with(alt, ref) OR ends_with(ref, alt) OR ends_with(alt, ref))
+  UNION ALL SELECT bin, 'n_alt', CASE WHEN alt2 IS NULL THEN '1' ELSE '2' END FROM b UNION ALL SELECT bin, 'carriers', CAST(COALESCE(c, 0) AS VARCHAR) FROM b LEFT JOIN k USING (vid))
+ SELECT CAST(bin AS DOUBLE) AS bin, stat, key, count(*) AS n FROM l GROUP BY bin, stat, key UNION ALL SELECT NULL, stat, key, count(*) FROM l GROUP BY stat, key""")
+def _(t):
+    return S.variant_counts(sites_of(t), t.calls, F.col("qual"), 20, 60)
+
+
 @query("a42_sample_stats", """WITH c AS (SELECT sample, vid, a1, a2 FROM calls WHERE a1 > 0 OR a2 > 0), k AS (SELECT vid, count(DISTINCT sample) AS n FROM c GROUP BY vid)
  SELECT sample, count(*) AS n, count(*) FILTER (length(ref) = 1 AND alt2 IS NULL) AS n_snp, count(*) FILTER (length(ref) > 1 OR alt2 IS NOT NULL) AS n_indel, count(*) FILTER (alt2 IS NOT NULL) AS n_multi, count(*) FILTER (k.n = 1) AS n_private, count(*) FILTER (k.n > 1) AS n_shared,
  count(*) FILTER (length(ref) = 1 AND alt2 IS NULL AND concat(ref, alt1) IN ('AG', 'GA', 'CT', 'TC')) AS n_ts FROM c JOIN k USING (vid) JOIN variants USING (vid) GROUP BY sample""")
@@ -362,11 +419,11 @@ def _(t):
     return c.select("pos", F.concat_ws("/", "ref_amino_acid", "alt_amino_acid").alias("aa")).distinct()
 
 
-@query("f37_gnomad_missense", f"WITH {_CSQ} SELECT c.vid, tr AS transcript, aa, ppos, round(COALESCE(CASE WHEN vid % 4 <> 0 THEN (vid % 100) / 100 END, 0.0), 6) AS maf FROM c WHERE chrom = 'chr2' AND pos BETWEEN 1000 AND 150000 AND cons LIKE '%missense_variant%'")
+@query("f37_gnomad_missense", f"WITH {_CSQ} SELECT c.vid, concat('G', substr(tr, 2)) AS gene, chrom, pos, tr AS transcript, aa, ppos, round(COALESCE(CASE WHEN vid % 4 <> 0 THEN (vid % 100) / 100 END, 0.0), 6) AS maf FROM c WHERE chrom = 'chr2' AND pos BETWEEN 1000 AND 150000 AND cons LIKE '%missense_variant%'")
 def _(t):
     c = parsed(t).where((F.col("chrom") == "chr2") & F.col("pos").between(1000, 150000) & F.col("consequence").contains("missense_variant"))
     maf = F.when(F.col("vid") % 4 != 0, (F.col("vid") % 100) / 100)
-    return c.select("vid", F.col("feature").alias("transcript"), F.coalesce(F.concat("ref_amino_acid", F.lit("/"), "alt_amino_acid"), F.lit("")).alias("aa"), F.col("protein_pos").alias("ppos"), F.round(F.coalesce(maf, F.lit(0.0)), 6).alias("maf"))
+    return c.select("vid", F.concat(F.lit("G"), F.substring("feature", 2, 9)).alias("gene"), "chrom", "pos", F.col("feature").alias("transcript"), F.coalesce(F.concat("ref_amino_acid", F.lit("/"), "alt_amino_acid"), F.lit("")).alias("aa"), F.col("protein_pos").alias("ppos"), F.round(F.coalesce(maf, F.lit(0.0)), 6).alias("maf"))
 
 
 #: Terms by site, some of which count.
@@ -387,16 +444,6 @@ def _(t):
     return t.residues.select("structid", "chain", "seqid", "res_id", F.row_number().over(Window.partitionBy("structid").orderBy("chain", "seqid", "res_id")).alias("k"))
 
 
-def folder(spark, name):
-    """A new folder in the one that the session shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
-    return f"{base}/{name}-{uuid4().hex}"
-
-
 @query("r1_stream_ingest", "SELECT chrom, pos, COALESCE(id, '.') AS id, ref, concat_ws(',', alt1, alt2) AS alts, qual FROM variants")
 def _(t):
     at = folder(t.spark, "arrive")

@@ -3,6 +3,8 @@ id, alleles, sample, a1, a2, phased. A call is haploid if it is phased and lacks
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,3 +88,39 @@ def scores_json(scores: DataFrame) -> DataFrame:
     every = F.array_sort(F.collect_list(F.struct("seqid", "score")))  # a chain's residues
     entries = F.transform(every, lambda x: F.struct(x["seqid"].cast("string").alias("key"), F.struct(x["score"].alias("score")).alias("value")))
     return scores.groupBy("structid", "chain").agg(F.to_json(F.map_from_entries(entries)).alias("json"))
+
+
+def ldhat(variants: DataFrame, calls: DataFrame, phased: bool) -> DataFrame:
+    """(sample, sites, locs) over the biallelic sites of one chromosome: the first allele of each call, or, unphased, 2 for
+    unlike alleles; ? if missing; places in kilobases."""
+    own = calls.join(variants.where(F.size("alts") == 1).select("vid", "pos"), "vid")
+    code = F.col("a1").cast("string") if phased else F.when(F.col("a1") != F.col("a2"), "2").when(F.col("a1") == F.col("a2"), F.col("a1").cast("string"))
+    return own.groupBy("sample").agg(ordered_join(F.coalesce(code, F.lit("?")), ["pos"], "").alias("sites"), ordered_join(F.round(F.col("pos") / 1000, 3).cast("string"), ["pos"], ",").alias("locs"))
+
+
+def beagle_likelihoods(calls: DataFrame, values: str, phred: bool = True, filtered: Column | None = None) -> DataFrame:
+    """(vid, sample, likelihoods) of a column of PL (phred) or GL arrays; 1 for every genotype of a filtered call."""
+    one = lambda x: F.round(F.pow(F.lit(10.0), -x / 10.0 if phred else x), 6)
+    like = F.transform(values, (lambda x: F.when(filtered, F.lit(1.0)).otherwise(one(x))) if filtered is not None else one)
+    return calls.select("vid", "sample", like.alias("likelihoods"))
+
+
+def tab_to_sites(tab: DataFrame) -> DataFrame:
+    """(vid, alts) of genotypes in letters (vid, ref, g as a/b): the letters other than the reference, in order."""
+    letters = tab.select("vid", "ref", F.explode(F.split("g", r"[/|]")).alias("b")).where((F.col("b") != F.col("ref")) & ~F.col("b").isin("0", ".", ""))
+    return letters.groupBy("vid").agg(F.array_join(F.array_sort(F.collect_set("b")), ",").alias("alts"))
+
+
+def template_text(template: str, values: dict[str, Column]) -> Column:
+    """A template as text: %NAME stands for a value, null is '.'."""
+    parts = re.split(r"%([A-Z]+)", template)
+    return F.concat(*[F.coalesce(values[x].cast("string"), F.lit(".")) if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def formatted(rows: DataFrame, template: str, site: dict[str, Column], call: dict[str, Column]) -> DataFrame:
+    """(vid, line) of calls joined with their sites: a template of site values, in which a part in [ ] is repeated for each
+    sample, in their order."""
+    before, bracket, after = re.fullmatch(r"([^\[]*)(\[[^\]]*\])?(.*)", template, re.S).groups()
+    each = ordered_join(template_text((bracket or "")[1:-1], {**site, **call}), ["sample"], "")
+    fixed = {name: F.first(c) for name, c in site.items()}  # alike in all rows of a site
+    return rows.groupBy("vid").agg(F.concat(template_text(before, fixed), each, template_text(after, fixed)).alias("line"))
