@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,25 +120,54 @@ def by_hwe(variants: DataFrame, calls: DataFrame, least_p: float) -> DataFrame:
     return variants.join(bad, "vid", "left_anti")
 
 
-def thin(variants: DataFrame, distance: int) -> DataFrame:
-    """Greedy thinning: along a chromosome a site is kept if it lies `distance` or more after the last kept one.
-
-    A site that far after its predecessor is kept whatever came before, so stretches between such gaps are thinned apart:
-    a group is a stretch, not a chromosome."""
-    along = Window.partitionBy("chrom").orderBy("pos", "vid")
-    gap = (F.col("pos") - F.lag("pos").over(along) >= distance) | F.lag("pos").over(along).isNull()
-    cut = variants.select("vid", "chrom", "pos").withColumn("stretch", F.sum(gap.cast("int")).over(along))
+def thin(variants: DataFrame, distance: int, bin_width: int = 1000) -> DataFrame:
+    """Greedy thinning: along a chromosome a site is kept if it lies `distance` or more after the last kept one; of sites at
+    one position the least vid counts. Sites without a chromosome or position go. A distance below 1 keeps all others.
+
+    Chromosomes are cut into bins of bin_width distances. What a bin makes of the last kept site before it depends only on
+    where it is entered, within a distance of the bin's beginning or else at the first site after that: these entries and
+    the last site that each leads to are found bin by bin, followed through a chromosome (about 1 / bin_width of its
+    positions), and the bins are then thinned apart."""
+    placed = variants.where(F.col("chrom").isNotNull() & F.col("pos").isNotNull())
+    if distance < 1:
+        return placed
+    width = distance * bin_width
+    own = placed.groupBy("chrom", "pos").agg(F.min("vid").alias("vid")).withColumn("bin", F.floor(F.col("pos") / width))
+
+    def entries(part: pd.DataFrame) -> pd.DataFrame:
+        pos = np.sort(part["pos"].to_numpy(np.int64))
+        after = np.searchsorted(pos, pos + distance)
+        leads = pos.copy()
+        for i in range(len(pos) - 1, -1, -1):
+            if after[i] < len(pos):
+                leads[i] = leads[after[i]]
+        begin = int(part["bin"].iloc[0]) * width
+        n = min(len(pos), int(np.searchsorted(pos, begin + distance)) + 1)
+        return pd.DataFrame({"chrom": part["chrom"].iloc[0], "bin": part["bin"].iloc[0], "entry": pos[:n], "leads": leads[:n]})
+
+    def follow(part: pd.DataFrame) -> pd.DataFrame:
+        last, rows = None, []
+        for number, steps in part.sort_values(["bin", "entry"]).groupby("bin"):
+            rows.append((part["chrom"].iloc[0], number, last))
+            at = 0 if last is None else int(np.searchsorted(steps["entry"].to_numpy(), last + distance))
+            if at < len(steps):
+                last = int(steps["leads"].iloc[at])
+        return pd.DataFrame({"chrom": [r[0] for r in rows], "bin": [r[1] for r in rows], "last": pd.array([r[2] for r in rows], "Int64")})
 
     def keep(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["pos", "vid"])
-        last, kept = None, []
+        part = part.sort_values("pos")
+        last, kept = part["last"].iloc[0], []
+        last = None if pd.isna(last) else int(last)
         for vid, pos in zip(part["vid"], part["pos"], strict=True):
             if last is None or pos - last >= distance:
                 kept.append(vid)
                 last = pos
         return pd.DataFrame({"vid": kept})
 
-    return variants.join(cut.groupBy("chrom", "stretch").applyInPandas(keep, "vid long"), "vid", "left_semi")
+    chrom = f"chrom {variants.schema['chrom'].dataType.simpleString()}, bin long"
+    before = own.groupBy("chrom", "bin").applyInPandas(entries, f"{chrom}, entry long, leads long").groupBy("chrom").applyInPandas(follow, f"{chrom}, last long")
+    kept = own.join(before, ["chrom", "bin"]).groupBy("chrom", "bin").applyInPandas(keep, f"vid {variants.schema['vid'].dataType.simpleString()}")
+    return variants.join(kept, "vid", "left_semi")
 
 
 def pick_samples(samples: DataFrame, n: int, seed: int = 7) -> DataFrame:

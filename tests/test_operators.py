@@ -89,18 +89,20 @@ def all_alignments(a, b):
             yield "-" + x, b[0] + y
 
 
-def test_thinning_is_greedy(spark):
-    r = random.Random(1)
-    rows = [(i, f"chr{i % 3}", r.randint(1, 5000)) for i in range(400)]
-    kept = {x.vid for x in filters.thin(spark.createDataFrame(rows, "vid long, chrom string, pos long"), 37).collect()}
+@pytest.mark.parametrize(("distance", "bin_width"), [(37, 1000), (37, 1), (37, 3), (900, 1), (1, 2), (5000, 1)])
+def test_thinning_is_greedy(spark, distance, bin_width):
+    r = random.Random(distance)
+    rows = [(i, f"chr{i % 3}", r.randint(1, 5000)) for i in range(400)] + [(500, "chr0", None), (501, None, 7)]
+    kept = {x.vid for x in filters.thin(spark.createDataFrame(rows, "vid long, chrom string, pos long"), distance, bin_width).collect()}
     want = set()
     for c in ("chr0", "chr1", "chr2"):
         last = None
-        for i, _, p in sorted((x for x in rows if x[1] == c), key=lambda x: (x[2], x[0])):
-            if last is None or p - last >= 37:
+        for i, _, p in sorted((x for x in rows if x[1] == c and x[2] is not None), key=lambda x: (x[2], x[0])):
+            if last is None or p - last >= distance:
                 want.add(i)
                 last = p
     assert kept == want
+    assert filters.thin(spark.createDataFrame([], "vid long, chrom string, pos long"), distance).count() == 0
 
 
 def test_range_join_like_all_pairs(spark):
@@ -238,3 +240,101 @@ def test_files_with_samples_in_different_orders(spark, tmp_path):
     (tmp_path / "c.vcf").write_text("chr2\t1\t.\tA\tC\t.\tPASS\t.\tGT\t0/1\t1/1\n")
     with pytest.raises(ValueError, match="name none"):
         vcf.read_vcf(spark, str(tmp_path))
+
+
+def dosages(spark, n_sites, n_samples, seed, missing=0.0):
+    """Sites, calls, and the dosages by (vid, sample)."""
+    r = random.Random(seed)
+    calls = [(v, s, r.randint(0, 1), r.randint(0, 1)) for v in range(n_sites) for s in range(n_samples) if r.random() >= missing]
+    sites_ = spark.createDataFrame([(v, "chr1", v * 10 + 1, "A", ["C"]) for v in range(n_sites)], "vid long, chrom string, pos long, ref string, alts array<string>")
+    return sites_, spark.createDataFrame(calls, "vid long, sample int, a1 int, a2 int"), {(v, s): a + b for v, s, a, b in calls}
+
+
+@pytest.mark.parametrize("normalise", [True, False])
+def test_principal_components(spark, normalise):
+    v, c, dose = dosages(spark, 12, 6, 8, missing=0.15)
+    x = np.full((12, 6), np.nan)
+    for (i, j), d in dose.items():
+        x[i, j] = d
+    mean = np.nanmean(x, 1, keepdims=True)
+    centred = np.where(np.isnan(x), 0, x - mean)
+    used = ((mean > 0) & (mean < 2))[:, 0]
+    scaled = (centred / np.sqrt(mean / 2 * (1 - mean / 2)) if normalise else centred)[used]
+    values, vectors = np.linalg.eigh(scaled.T @ scaled / used.sum())
+    got = pairs.pca(v, c, 2, normalise)
+    rows = {(r["sample"], r.component): r for r in got.collect()}
+    for k in (1, 2):
+        own = np.array([rows[s, k].value for s in range(6)])
+        assert rows[0, k].eigenvalue == pytest.approx(values[-k]) and abs(own @ vectors[:, -k]) == pytest.approx(1)
+        assert own[np.argmax(abs(own))] > 0
+    for r in pairs.pca_loadings(v, c, got).collect():
+        assert r.loading == pytest.approx(sum(centred[r.vid, s] * rows[s, r.component].value for s in range(6)))
+
+
+def test_autozygous_runs_like_all_paths(spark):
+    """Posteriors from the probabilities of all 2^n paths of states."""
+    error, prior, threshold, rate = 0.2, 0.3, 0.4, 2 * 4 * 1e-8
+    r = random.Random(12)
+    v = [(k, f"chr{k % 2}", (k // 2 + 1) * 6_000_000 + k, "A", ["C"]) for k in range(16)]
+    calls = [(k, s, r.randint(0, 1), r.randint(0, 1)) for k in range(16) for s in range(5)]
+    calls = [(k, s, a, a if s == 0 else b) for k, s, a, b in calls]
+    got = windows.autozygous_runs(spark.createDataFrame(v, "vid long, chrom string, pos long, ref string, alts array<string>"), spark.createDataFrame(calls, "vid long, sample int, a1 int, a2 int"), error, prior, threshold)
+    got = {(x["sample"], x.chrom, x.start, x.end, x.n_sites) for x in got.collect()}
+    share = {k: np.mean([x for c in calls if c[0] == k for x in c[2:]]) for k in range(16)}
+    want = set()
+    for s, chrom in itertools.product(range(5), ("chr0", "chr1")):
+        sites_ = [x for x in v if x[1] == chrom and 0 < share[x[0]] < 1]
+        het = {c[0]: c[2] != c[3] for c in calls if c[1] == s}
+        total, inside = 0.0, np.zeros(len(sites_))
+        for path in itertools.product((0, 1), repeat=len(sites_)):
+            p = 1.0
+            for i, (x, state) in enumerate(zip(sites_, path, strict=True)):
+                h = error if state else 2 * share[x[0]] * (1 - share[x[0]])
+                p *= h if het[x[0]] else 1 - h
+                if i == 0:
+                    p *= prior if state else 1 - prior
+                else:
+                    move = 1 - np.exp(-rate * (x[2] - sites_[i - 1][2]))
+                    to = move * (prior if state else 1 - prior)
+                    p *= to + (1 - move if state == path[i - 1] else 0)
+            total += p
+            inside += p * np.array(path)
+        for _, run in itertools.groupby(enumerate(inside / total > threshold), key=lambda x: x[1]):
+            run = list(run)
+            if run[0][1]:
+                want.add((s, chrom, sites_[run[0][0]][2], sites_[run[-1][0]][2], len(run)))
+    assert want and got == want
+
+
+def test_sites_out_of_equilibrium_go(spark):
+    v, c, _ = dosages(spark, 14, 25, 9, missing=0.1)
+    counts = {k: [0, 0, 0] for k in range(14)}
+    for x in c.collect():
+        counts[x.vid][x.a1 + x.a2] += 1
+    p = {k: exact_by_enumeration(n[1], n[0], n[2])[0] for k, n in counts.items()}
+    want = {k for k in p if p[k] >= 0.5}
+    assert 0 < len(want) < 14 and {x.vid for x in filters.by_hwe(v, c, 0.5).collect()} == want
+
+
+def test_best_alignment_of_each_gene(spark):
+    r = random.Random(10)
+    rows = [(k, k % 7, r.choice([0.5, 0.85, 0.9, 1.0]), float(r.randint(1, 3))) for k in range(60)]
+    got = {(x.gene, x.key) for x in structure.best_alignments(spark.createDataFrame(rows, "key long, gene int, identity double, score double"), 0.85).collect()}
+    want = {(g, min((-i, -s, k) for k, h, i, s in rows if h == g and i >= 0.85)[2]) for g in range(7)}
+    assert got == want
+
+
+def test_lookup_takes_ids_without_a_version_last(spark):
+    edges = spark.createDataFrame([("P1", "R", "NM_1.2"), ("P2", "R", "NM_1.10"), ("P3", "R", "NM_1"), ("P4", "R", "NM_2")], "unp string, id_type string, ext_id string")
+    asked = spark.createDataFrame([("NM_1.2",), ("NM_1.7",), ("NM_1",), ("NM_2.4",), ("NM_3",)], "asked string")
+    assert {(r.asked, r.unps) for r in mapping.versioned_lookup(asked, edges, "R").collect()} == {("NM_1.2", "P1"), ("NM_1.7", "P2"), ("NM_1", "P3"), ("NM_2.4", "P4"), ("NM_3", "")}
+
+
+def test_templates_repeat_their_bracket(spark):
+    from helixframe.sources import exports
+
+    rows = spark.createDataFrame([(1, "1", 5, None, "B", "0/1"), (1, "1", 5, None, "A", "1|1"), (2, "2", 6, "rs", "A", None)], "vid int, chrom string, pos int, id string, sample string, gt string")
+    site, call = {"CHROM": F.col("chrom"), "POS": F.col("pos"), "ID": F.col("id")}, {"SAMPLE": F.col("sample"), "GT": F.col("gt")}
+    got = {r.vid: r.line for r in exports.formatted(rows, "%CHROM:%POS %ID[\t%SAMPLE=%GT]\t%CHROM", site, call).collect()}
+    assert got == {1: "1:5 .\tA=1|1\tB=0/1\t1", 2: "2:6 rs\tA=.\t2"}
+    assert {r.line for r in exports.formatted(rows, "%POS", site, call).collect()} == {"5", "6"}
