@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.variants import normalised
+from helixframe.functions.variants import fill_type, normalised
 
 
 def diff_sites(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -282,3 +282,26 @@ def phase_comparison(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame,
     j = ordered(*left, "x1", "x2").join(ordered(*right, "y1", "y2"), ["chrom", "pos", "sample"])
     same = (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))
     return j.where(same | ((F.col("x1") == F.col("y2")) & (F.col("x2") == F.col("y1")))).groupBy("sample").agg(F.count("*").alias("n_both"), F.count_if(same).alias("n_same"))
+
+
+def only_types(variants: DataFrame, calls: DataFrame, types: list[str], replace_with_ref: bool = False, keep_uncalled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Sites and calls whose alternatives of other types (those of fill_type) are missing, or the reference. Sites where no
+    call has an allele left go, unless they are kept."""
+    ok = variants.select("vid", F.transform("alts", lambda a: fill_type(F.col("ref"), a).isin(*types)).alias("__ok"))
+    j = calls.join(ok, "vid")
+    other = F.lit(0 if replace_with_ref else None).cast("int")
+    for side in ("a1", "a2"):
+        j = j.withColumn(side, F.when((F.col(side) > 0) & ~F.get("__ok", F.col(side) - 1), other).otherwise(F.col(side)))
+    own = j.drop("__ok")
+    if keep_uncalled:
+        return variants, own
+    called = own.where("a1 is not null or a2 is not null").select("vid").distinct()
+    return variants.join(called, "vid", "left_semi"), own.join(called, "vid", "left_semi")
+
+
+def concat(sets: list[DataFrame], pad: bool = False) -> DataFrame:
+    """Sets below one another, by place. Sets must have the same columns; with pad, those that one lacks are null."""
+    unlike = [df.columns for df in sets if set(df.columns) != set(sets[0].columns)]
+    if unlike and not pad:
+        raise ValueError(f"sets have different columns: {sets[0].columns} and {unlike[0]}")
+    return sort_sites(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=pad), sets), natural=False)

@@ -187,6 +187,17 @@ def _(t):
     return G.subset(sites_of(t), t.calls, t.samples.where("sample < 2"), exclude_ref=True, trim=True)[1].select("vid", "sample", "a1", "a2")
 
 
+_OK = "CASE WHEN {0} = 0 OR {0} IS NULL OR ({0} = 1 AND length(ref) = 1 AND ref <> alt1) THEN {0} {1}END"
+
+
+for _name, _how, _sql in (("g3_subset_types", {}, f"WITH c AS (SELECT vid, sample, {_OK.format('a1', '')} AS a1, {_OK.format('a2', '')} AS a2 FROM calls JOIN variants USING (vid)) SELECT * FROM c WHERE vid IN (SELECT vid FROM c WHERE a1 IS NOT NULL OR a2 IS NOT NULL)"),
+    ("g3_subset_types_to_ref", {"replace_with_ref": True, "keep_uncalled": True}, f"SELECT vid, sample, {_OK.format('a1', 'ELSE 0 ')} AS a1, {_OK.format('a2', 'ELSE 0 ')} AS a2 FROM calls JOIN variants USING (vid)")):
+
+    @query(_name, _sql)
+    def _(t, how=_how):
+        return G.only_types(sites_of(t), t.calls.select("vid", "sample", "a1", "a2"), ["snp"], **how)[1]
+
+
 @query("g4_union_labels", "SELECT DISTINCT unp, label FROM (SELECT unp, 'map' AS label FROM idmap WHERE unp = 'P12' OR unp LIKE 'P12-%' UNION ALL SELECT concat('P', CAST(vid % 300 AS VARCHAR)), 'site' FROM variants WHERE vid % 300 = 12)")
 def _(t):
     base = lambda df: df.where((F.col("unp") == "P12") | F.col("unp").startswith("P12-"))
@@ -226,7 +237,7 @@ def _(t):
 @query("o2_concat", f"WITH {_AB} SELECT chrom, pos, vid, qual, NULL AS extra FROM a WHERE chrom = 'chr1' UNION ALL SELECT chrom, pos, vid, qual, 'b' FROM b WHERE chrom = 'chr2'")
 def _(t):
     a, b = (x.select("chrom", "pos", "vid", "qual") for x in two(t))
-    return a.where("chrom = 'chr1'").unionByName(b.where("chrom = 'chr2'").withColumn("extra", F.lit("b")), allowMissingColumns=True).orderBy("chrom", "pos")
+    return G.concat([a.where("chrom = 'chr1'"), b.where("chrom = 'chr2'").withColumn("extra", F.lit("b"))], pad=True)
 
 
 @query("o3_shuffle_cols", "SELECT c.vid, string_agg(concat(COALESCE(CAST(a1 AS VARCHAR), '.'), '/', COALESCE(CAST(a2 AS VARCHAR), '.')), ' ' ORDER BY (c.sample * 7) % 20) AS line FROM calls c GROUP BY c.vid")

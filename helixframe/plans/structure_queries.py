@@ -121,6 +121,13 @@ def _(t):
     return R.rate4site(t.residues.select(line.alias("value"))).select("pos", "letter", "score")
 
 
+@query("s19_rate4site_summary", "SELECT structid AS file, round(min(z), 3) AS average, CAST(count(*) AS DOUBLE) / 10 AS stddev, CASE WHEN structid <> 'S3' THEN 1.5 END AS alpha FROM residues GROUP BY structid")
+def _(t):
+    by = t.residues.groupBy(F.col("structid").alias("file")).agg(F.format_string("%.3f", F.round(F.min("z"), 3)).alias("a"), F.format_string("%.1f", F.count("*") / 10).alias("s"))
+    remarks = F.array(F.concat(F.lit("#Average = "), "a"), F.concat(F.lit("#Standard Deviation = "), "s"), F.when(F.col("file") != "S3", "#The alpha parameter 1.5").otherwise("#"), F.lit("  1   A   0.5   [ 0.1, 0.9]  0.05   12/20"))
+    return R.rate4site_summary(by.select("file", F.explode(remarks).alias("value")))
+
+
 @query("s20_read_interpro", "SELECT DISTINCT concat('P', CAST(c_custkey % 400 AS VARCHAR)) AS unp, concat('IPR', CAST(c_custkey AS VARCHAR)) AS match_id FROM customer WHERE concat('P', CAST(c_custkey % 400 AS VARCHAR)) IN (SELECT unp FROM idmap)")
 def _(t):
     k = F.col("c_custkey")
@@ -134,6 +141,11 @@ def _(t):
     return R.gwas(t.variants.select("chrom", "pos", F.coalesce("id", F.lit(".")).alias("snp"), F.col("alt1").alias("allele")))
 
 
+@query("s21_gwas_counts", "SELECT concat('rs', CAST(l_partkey % 1000 AS VARCHAR)) AS snp, count(*) AS n FROM lineitem GROUP BY 1")
+def _(t):
+    return R.gwas_counts(t.lineitem.select(F.concat(F.lit("rs"), (F.col("l_partkey") % 1000).cast("string")).alias("snp")))
+
+
 @query("s22_read_panel", "SELECT sample FROM samples WHERE pop = 2")
 def _(t):
     return R.panel(t.samples.select("sample", F.col("pop").cast("string").alias("population")), "2")
@@ -151,6 +163,16 @@ def _(t):
     return R.atoms(atom_lines(t)).groupBy("chain", "resid").agg(F.count("*").alias("n"))
 
 
+@query("s23_read_cif_atoms", """SELECT structid, 'ATOM' AS record, CAST(res_id AS INT) AS serial, CASE WHEN res_id % 2 = 0 THEN 'CA' ELSE concat('O5', chr(39)) END AS atom, CASE WHEN res_id % 5 = 0 THEN 'B' ELSE '' END AS altloc, 'ALA' AS resname, chain, CAST(seqid AS INT) AS resid, CASE WHEN res_id % 7 = 0 THEN 'A' ELSE '' END AS icode, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, 'C' AS element FROM residues""")
+def _(t):
+    n = lambda c: F.format_string("%.3f", F.round(c, 3))
+    k = F.col("res_id")
+    head = ["group_PDB", "id", "type_symbol", "label_atom_id", "label_alt_id", "label_comp_id", "label_asym_id", "pdbx_PDB_ins_code", "Cartn_x", "Cartn_y", "Cartn_z", "auth_seq_id", "auth_asym_id"]
+    line = F.concat_ws("  ", F.lit("ATOM"), k.cast("string"), F.lit("C"), F.when(k % 2 == 0, "CA").otherwise("\"O5'\""), F.when(k % 5 == 0, "B").otherwise("."), F.lit("ALA"), F.lit("Z"), F.when(k % 7 == 0, "A").otherwise("?"), n("x"), n("y"), n("z"), F.col("seqid").cast("string"), "chain")
+    texts = t.residues.groupBy("structid").agg(F.concat(F.lit("data_\n#\nloop_\n" + "".join(f"_atom_site.{h}\n" for h in head)), F.array_join(F.collect_list(line), "\n"), F.lit("\n#\n")).alias("value"))
+    return R.cif_atoms(texts)
+
+
 @query("t1_residue_centroid", "WITH a AS (SELECT chain, CAST(seqid AS INT) AS resid, round(x + k, 3) AS x, k, round(y, 3) AS y FROM residues, range(2) r(k) WHERE seqid > 0), b AS (SELECT chain, resid, k, avg(x) AS x, avg(y) AS y FROM a GROUP BY ALL) SELECT chain, resid, round(avg(x), 4) AS x, round(avg(y), 4) AS y FROM b GROUP BY ALL")
 def _(t):
     return S.residue_centroids(R.atoms(atom_lines(t))).select("chain", "resid", "x", "y")

@@ -164,6 +164,13 @@ def rate4site(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(p)).select(x(1, "int").alias("pos"), F.regexp_extract("value", p, 2).alias("letter"), x(3, "double").alias("score"), x(4, "double").alias("low"), x(5, "double").alias("high"), x(6, "double").alias("std"), x(7, "int").alias("n"))
 
 
+def rate4site_summary(lines: DataFrame) -> DataFrame:
+    """(file, average, stddev, alpha) of the remarks in files' lines (file, value); null where a file has none."""
+    said = lambda p: F.max(F.regexp_extract("value", p, 1).try_cast("double"))
+    number = r"(-?[\d.]+(?:[eE][-+]?\d+)?)"
+    return lines.where(F.col("value").startswith("#")).groupBy("file").agg(said(rf"Average\s*=\s*{number}").alias("average"), said(rf"Standard Deviation\s*=\s*{number}").alias("stddev"), said(rf"alpha parameter\s*=?\s*{number}").alias("alpha"))
+
+
 def read_interpro(spark: SparkSession, path: str, human: DataFrame) -> DataFrame:
     """Matches of human proteins of a very large XML: one row a protein, split by Spark's reader, then a semi-join."""
     rows = spark.read.format("xml").option("rowTag", "protein").schema("_id string, match array<struct<_id: string, _name: string>>").load(path)
@@ -179,6 +186,11 @@ def gwas(rows: DataFrame) -> DataFrame:
     return rows.select("chrom", "pos", (F.col("pos") + 1).alias("end"), "snp", "allele")
 
 
+def gwas_counts(rows: DataFrame, by: str = "snp") -> DataFrame:
+    """(by, n): associations of each site, the most first."""
+    return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by)
+
+
 def panel(rows: DataFrame, population: str) -> DataFrame:
     return rows.where(F.col("population") == population).select("sample")
 
@@ -194,3 +206,26 @@ def atoms(lines: DataFrame) -> DataFrame:
         s(1, 6).alias("record"), s(7, 5).try_cast("int").alias("serial"), s(13, 4).alias("atom"), s(17, 1).alias("altloc"), s(18, 3).alias("resname"), s(22, 1).alias("chain"), s(23, 4).try_cast("int").alias("resid"), s(27, 1).alias("icode"),
         s(31, 8).try_cast("double").alias("x"), s(39, 8).try_cast("double").alias("y"), s(47, 8).try_cast("double").alias("z"), s(77, 2).alias("element"),
     )
+
+
+def read_cif_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """Atoms of mmCIF files, a structure each."""
+    return cif_atoms(spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\..*$", "").alias("structid"), "value"))
+
+
+def cif_atoms(texts: DataFrame) -> DataFrame:
+    """Atoms of mmCIF texts (structid, value), with the columns of atoms() and structid. The file says in which order its
+    columns stand; a column that it lacks is null. Author's names and numbers come before the labels."""
+    own = texts.select("structid", F.regexp_extract_all("value", F.lit(r"(?m)^_atom_site\.(\S+)"), F.lit(1)).alias("names"), F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^(?:ATOM|HETATM)\s.*$"), F.lit(0))).alias("line"))
+    own = own.withColumn("f", F.split(F.trim("line"), r"\s+"))
+
+    def item(*names: str) -> Column:
+        found = [F.get("f", F.array_position("names", n).cast("int") - 1) for n in names]
+        value = F.coalesce(*[F.when(F.array_contains("names", n), x) for n, x in zip(names, found, strict=True)])
+        return F.when(~value.isin(".", "?"), F.regexp_replace(value, r"""^["'](.*)["']$""", "$1"))
+
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return own.select(
+        "structid", item("group_PDB").alias("record"), item("id").try_cast("int").alias("serial"), item("auth_atom_id", "label_atom_id").alias("atom"), blank(item("label_alt_id")).alias("altloc"), item("auth_comp_id", "label_comp_id").alias("resname"),
+        item("auth_asym_id", "label_asym_id").alias("chain"), item("auth_seq_id", "label_seq_id").try_cast("int").alias("resid"), blank(item("pdbx_PDB_ins_code")).alias("icode"), *[item(f"Cartn_{c}").try_cast("double").alias(c) for c in "xyz"], item("type_symbol").alias("element"),
+    )

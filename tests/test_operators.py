@@ -338,3 +338,13 @@ def test_templates_repeat_their_bracket(spark):
     got = {r.vid: r.line for r in exports.formatted(rows, "%CHROM:%POS %ID[\t%SAMPLE=%GT]\t%CHROM", site, call).collect()}
     assert got == {1: "1:5 .\tA=1|1\tB=0/1\t1", 2: "2:6 rs\tA=.\t2"}
     assert {r.line for r in exports.formatted(rows, "%POS", site, call).collect()} == {"5", "6"}
+
+
+def test_mmcif_and_unlike_columns(spark, tmp_path):
+    (tmp_path / "1abc.cif").write_text("data_1ABC\nloop_\n_atom_site.group_PDB\n_atom_site.id\n_atom_site.Cartn_z\n_atom_site.label_asym_id\nATOM 1 2.5 A\nHETATM 2 ? B\n#\nATOMS none\n")
+    got = sorted((r.structid, r.record, r.serial, r.chain, r.z, r.x, r.icode) for r in tables.read_cif_atoms(spark, str(tmp_path)).collect())
+    assert got == [("1abc", "ATOM", 1, "A", 2.5, None, ""), ("1abc", "HETATM", 2, "B", None, None, "")]
+    a = spark.createDataFrame([("chr1", 1)], "chrom string, pos int")
+    with pytest.raises(ValueError, match="different columns"):
+        sets.concat([a, a.withColumn("x", F.lit(1))])
+    assert sets.concat([a, a.withColumn("x", F.lit(1))], pad=True).count() == 2
