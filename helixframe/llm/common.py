@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +26,13 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; one of our own only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir, which all executors share; one of our own only where it is unset and all
+    tasks run in this process, as in tests. Elsewhere a missing setting is an error, as a local folder would lose data."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(f"file://{tempfile.mkdtemp(prefix='helixframe-')}")
     return _own_dir[0]
@@ -43,11 +47,21 @@ def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string), whatever other columns there are. Batches to Python are kept to 8 MB, so that what a
-    worker holds doesn't depend on how long texts are."""
+    worker holds doesn't depend on how long texts are: the session's setting stays so, as plans read it when they run."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one struct, which operators carry along whatever the columns are called."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
 def byte_size(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts: sizes the hash partitions of a corpus."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import arrow_schema, as_bytes, saved, slices, texts_of, word_spans
+from helixframe.llm.common import arrow_schema, as_bytes, saved, slices, texts_of, whole_row, word_spans
 
 #: Lower case; all ASCII that is neither letter nor digit to a space.
 NORMAL = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else (c + 32 if chr(c).isupper() else 32) for c in range(256))
@@ -217,8 +217,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_wor
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the spans that the benchmark's windows hit; documents without hits stay as they are, byte by byte."""
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    found = find_hits(docs.select("text", own.alias("row")), benchmark, window)
+    found = find_hits(docs.select("text", whole_row(docs).alias("row")), benchmark, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     new = {"text": F.when(hit, F.col("cut")).otherwise(F.col("row.text")).cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(hit, F.length("cut")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

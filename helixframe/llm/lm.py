@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import LAST_ID, Numbers, as_bytes, byte_size, give_back, mix, pieces_of, saved, slices, texts_of
-from helixframe.llm.repeats import answers, buckets_for, differences, edges, rows_of, squeeze, summed, unsqueeze
+from helixframe.llm.repeats import answers, buckets_for, by_bucket, differences, rows_of, squeeze, summed, unsqueeze
 
 #: The end of a text, which is no word.
 END = b"\n"
@@ -89,12 +89,9 @@ class Shard:
         place[order] = np.arange(len(order))
         word = place[word]
         learned = np.bincount(word[np.repeat(train, counts)], minlength=len(words))
-        at = edges(hashes[order], buckets)
         asks = []
-        for b in range(buckets):
-            i, j = at[b], at[b + 1]
-            if j > i:
-                asks.append((b, struct.pack("<q", j - i) + zstandard.ZstdCompressor(3).compress(learned[i:j].astype(np.int64).tobytes() + b" ".join(words[k] for k in order[i:j].tolist()))))
+        for b, i, j in by_bucket(hashes[order], buckets):
+            asks.append((b, struct.pack("<q", j - i) + zstandard.ZstdCompressor(3).compress(learned[i:j].astype(np.int64).tobytes() + b" ".join(words[k] for k in order[i:j].tolist()))))
         null = np.array([i is None for i in ids], np.int64)
         body = squeeze(np.array([LAST_ID if i is None else i for i in ids], np.int64), null, counts, word)
         return body, asks
@@ -172,10 +169,8 @@ class Grams:
     def asks(self, buckets: int, triples: bool) -> Iterator[tuple[int, bytes]]:
         keys, gram, at = (self.keys3, self.triple, self.at3) if triples else (self.keys2, self.pair, self.at2)
         learned = np.bincount(gram[self.of_train[at]], minlength=len(keys)).astype(np.int64)
-        to = edges(keys, buckets)
-        for b in range(buckets):
-            if to[b + 1] > to[b]:
-                yield b, squeeze(differences(keys[to[b] : to[b + 1]]), learned[to[b] : to[b + 1]])
+        for b, i, j in by_bucket(keys, buckets):
+            yield b, squeeze(differences(keys[i:j]), learned[i:j])
 
 
 def left(count: np.ndarray, share: float, soon: float) -> np.ndarray:

@@ -37,7 +37,10 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import LAST_ID, Numbers, as_bytes, byte_size, give_back, gram_hash, mix, prefix_hash, saved, slices, span_hash, texts_of
 
+#: Windows of a piece, and the low bits of a hash that make room for a gram's place in it. All pieces have as many, so that
+#: a window's anchor depends on the window alone.
 PIECE = 1 << 18
+PLACE_BITS = 19
 
 
 # A chunk: doc_ids (with nulls) and texts.
@@ -93,7 +96,9 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def runs_of(values: np.ndarray, counts: np.ndarray, width: int, k: int) -> Runs:
     """The runs of all windows of the documents whose tokens' hashes follow each other in values. A very long row of
-    tokens is taken in pieces; a run that is cut in two there is two runs with one anchor."""
+    tokens is taken in pieces; a run that is cut in two there is two runs with one anchor. Of grams whose hashes agree but
+    for the low bits, the leftmost is least, whatever stands around the window."""
+    assert PIECE + width < 1 << PLACE_BITS
     doc_of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     doc_starts = np.cumsum(counts) - counts
     found = []
@@ -104,7 +109,7 @@ def runs_of(values: np.ndarray, counts: np.ndarray, width: int, k: int) -> Runs:
             break
         d = doc_of[at : at + n]
         g = gram_hash(prefix_hash(h), k)
-        low = np.uint64((1 << n.bit_length()) - 1)
+        low = np.uint64((1 << PLACE_BITS) - 1)
         place = sliding_min((g & ~low) | np.arange(len(g), dtype=np.uint64), width - k + 1) & low
         starts = np.flatnonzero(d[: n - width + 1] == d[width - 1 :])
         if not len(starts):
@@ -149,10 +154,12 @@ def buckets_for(n: float, each: float, least: int = 16) -> int:
     return max(least, 1 << max(0, int(np.ceil(np.log2(max(1.0, n / each))))))
 
 
-def edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket, by the leading bits, begins and ends in sorted keys."""
-    shift = 64 - (buckets.bit_length() - 1)
-    return np.r_[np.searchsorted(keys, np.arange(buckets, dtype=np.uint64) << np.uint64(shift)), len(keys)] if buckets > 1 else np.array([0, len(keys)])
+def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, begin, end) of the buckets, by the leading bits, that have any of the sorted keys."""
+    if len(keys):
+        own = (keys >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
+        begin = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
+        yield from zip(own[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True)
 
 
 @dataclass
@@ -247,10 +254,8 @@ def _asks(runs: Runs, scheme: Scheme, buckets: int, bits: int) -> Iterator[tuple
     """(bucket, message) about the keys of some runs. Rows of the sketch have their own buckets."""
     keys, times = _ask(runs, scheme.across)
     for row, (own, held) in enumerate(counters(keys, times, scheme.sketch_rows, bits)):
-        at = edges(own, buckets)
-        for b in range(buckets):
-            if at[b + 1] > at[b]:
-                yield row * buckets + b, squeeze(differences(own[at[b] : at[b + 1]]), held[at[b] : at[b + 1]])
+        for b, i, j in by_bucket(own, buckets):
+            yield row * buckets + b, squeeze(differences(own[i:j]), held[i:j])
 
 
 def _chunks(docs: DataFrame, scheme: Scheme, buckets: int, bits: int) -> DataFrame:
@@ -353,14 +358,12 @@ class Chunk:
 
     def sends(self, buckets: int) -> Iterator[tuple[int, bytes]]:
         runs = self.runs.take(self.lead)
-        at = edges(runs.anchor, buckets)
         number = runs.last - runs.first + 1
-        for b in range(buckets):
-            own = slice(at[b], at[b + 1])
-            if at[b + 1] > at[b]:
-                texts = self.lead_texts[own]
-                head = [runs.anchor[own], self.ids[runs.doc[own]], self.ties[runs.doc[own]], (runs.first - runs.doc_start)[own], number[own], np.array([*map(len, texts)])]
-                yield b, zstandard.ZstdCompressor(1).compress(struct.pack("<q", len(texts)) + b"".join(x.astype(np.uint64 if x.dtype == np.uint64 else np.int64).tobytes() for x in head) + b"".join(texts))
+        for b, i, j in by_bucket(runs.anchor, buckets):
+            own = slice(i, j)
+            texts = self.lead_texts[own]
+            head = [runs.anchor[own], self.ids[runs.doc[own]], self.ties[runs.doc[own]], (runs.first - runs.doc_start)[own], number[own], np.array([*map(len, texts)])]
+            yield b, zstandard.ZstdCompressor(1).compress(struct.pack("<q", len(texts)) + b"".join(x.astype(np.uint64 if x.dtype == np.uint64 else np.int64).tobytes() for x in head) + b"".join(texts))
 
     def removed(self, parts: list[dict] | None) -> np.ndarray:
         """For each token of the chunk, whether a window that repeats covers it."""

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import as_bytes, saved, slices, texts_of
+from helixframe.llm.common import as_bytes, saved, slices, texts_of, whole_row
 
 SEED = 42
 
@@ -150,22 +150,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def keep_one_per_component(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id, nulls last, then of the least hash of
     the text; of rows that share both, one."""
-    names = docs.columns
     prints = saved(fingerprints(docs, shingle), "fingerprints")
     least = _rooted(prints).groupBy("root").agg(F.min("first").alias("x")).select("x.doc_id", *[f"x.{k}" for k in KEYS])
-    own = ("__hx_keep", "__hx_own1", "__hx_own2")
+    own = ("keep", "own1", "own2")
 
     def same(x: tuple[str, ...], y: tuple[str, ...]):
         return F.col(x[0]).eqNullSafe(F.col(y[0])) & (F.col(x[1]) == F.col(y[1])) & (F.col(x[2]) == F.col(y[2]))
 
-    kept = saved(prints.join(least.toDF(*own), same(("doc_id", *KEYS), own)).groupBy(*own).agg(F.count("*").alias("__hx_n")), "kept")
-    out = with_keys(docs).join(kept, same(("doc_id", *KEYS), own))
-    if not kept.where("__hx_n > 1").limit(1).count():
-        return out.select(*names)
+    kept = saved(prints.join(least.toDF(*own), same(("doc_id", *KEYS), own)).groupBy(*own).agg(F.count("*").alias("n")), "kept")
+    # The input's columns stay in one struct, so that they may have any names.
+    rows = with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole_row(docs).alias("row"))).drop("text")
+    out = rows.join(kept, same(("doc_id", *KEYS), own))
+    if not kept.where("n > 1").limit(1).count():
+        return out.select("row.*")
     # Only where rows share id and text: the least by the other columns, nulls last, which partial aggregates find.
-    row = F.struct(*[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("v")).alias(f"c{i}") for i, c in enumerate(names)])
-    one = out.where("__hx_n > 1").groupBy(*own).agg(F.min(row).alias("x")).select(*[F.col("x")[f"c{i}"]["v"].alias(c) for i, c in enumerate(names)])
-    return out.where("__hx_n = 1").select(*names).union(one)
+    fields = [F.col("row").getField(c) for c in docs.columns]
+    least_of = F.struct(*[F.struct(x.isNull().alias("none"), x.alias("v")).alias(f"c{i}") for i, x in enumerate(fields)])
+    one = out.where("n > 1").groupBy(*own).agg(F.min(least_of).alias("x")).select(*[F.col("x")[f"c{i}"]["v"].alias(c) for i, c in enumerate(docs.columns)])
+    return out.where("n = 1").select("row.*").union(one)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import BYTE_VALUE, LAST_ID, Numbers, gram_hash, prefix_hash, saved
+from helixframe.llm.common import BYTE_VALUE, LAST_ID, Numbers, gram_hash, prefix_hash, saved, whole_row
 from helixframe.llm.repeats import Chunk, Scheme, _inner, repeated_tokens
 
 
@@ -146,28 +146,29 @@ def _finish(chunk: Chunk, removed: np.ndarray) -> pa.RecordBatch:
         spans.append(int((drop[1:] & ~drop[:-1]).sum()) + int(drop[0]) if n else 0)
         kept.append(data[a:b][~drop].tobytes() if n else text)
     return pa.RecordBatch.from_arrays(
-        [pa.array(chunk.ids, mask=chunk.null), pa.array(chunk.counts), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(chunk.ties.view(np.int64)), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") if n else None for x, n in zip(kept, gone, strict=True)], pa.string())],
-        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_hash", "kept", "kept_text"],
+        [pa.array(chunk.ids, mask=chunk.null), pa.array(chunk.counts), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([hashlib.sha256(x).hexdigest() if n else None for x, n in zip(chunk.texts, gone, strict=True)], pa.string()), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") if n else None for x, n in zip(kept, gone, strict=True)], pa.string())],
+        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_sha256", "kept", "kept_text"],
     )
 
 
 def dedup_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_hash, kept, kept_text), a row per document. kept: the bytes that stay,
-    which need not be UTF-8; text_hash: Spark's xxhash64 of the text; kept_text: the whole characters of kept,
-    null where nothing was removed."""
-    return repeated_tokens(docs, scheme(width, width // 4 if width % 4 == 0 else width), _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_hash long, kept binary, kept_text string")
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_sha256, kept, kept_text), a row per document. kept: the bytes that
+    stay, which need not be UTF-8; text_sha256 of the text, and kept_text, the whole characters of kept, are null where
+    nothing was removed."""
+    return repeated_tokens(docs, scheme(width, width // 4 if width % 4 == 0 else width), _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, kept binary, kept_text string")
 
 
 def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     """docs with the repeated bytes cut out of the texts; what a cut leaves of a broken character goes too."""
-    names = docs.columns
-    id_, hash_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    cut = dedup_bytes(docs, width).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__hx_d"), F.col("text_hash").alias("__hx_h"), F.col("kept_text").alias("__hx_kept"))
-    cut = saved(cut, "cut").dropDuplicates(["__hx_d", "__hx_h"])
-    out = docs.join(cut, (id_ == F.col("__hx_d")) & (hash_ == F.col("__hx_h")), "left").withColumn("text", F.coalesce("__hx_kept", "text"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__hx_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    cut = dedup_bytes(docs, width).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.col("text_sha256").alias("sha"), F.col("kept_text").alias("cut"))
+    cut = saved(cut, "cut").dropDuplicates(["id", "sha"])
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("sha"), whole_row(docs).alias("row"))
+    out = rows.join(cut, ["id", "sha"], "left")
+    was = F.col("cut").isNotNull()
+    new = {"text": F.when(was, F.col("cut")).otherwise(F.col("row.text")).cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(was, F.length("cut")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import crc_mod5, map_text, saved, slices, texts_of
+from helixframe.llm.common import crc_mod5, map_text, saved, slices, texts_of, whole_row
 from helixframe.llm.quality import labelled
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -332,5 +332,6 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs whose score is below the threshold."""
-    return score_toxicity(docs, fit_lexicon(docs, labels), "__hx_score").where(F.col("__hx_score") < threshold).drop("__hx_score")
+    """docs whose score is below the threshold. Rows travel whole, in a struct, so their columns may have any names."""
+    rows = docs.select(F.col("text").cast("string").alias("text"), whole_row(docs).alias("row"))
+    return score_toxicity(rows, fit_lexicon(docs, labels)).where(F.col("score") < threshold).select("row.*")

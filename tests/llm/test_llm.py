@@ -176,6 +176,47 @@ def test_repeats_on_given_tables(spark):
     assert rows_of(suffix_dedup.op6_suffix_dedup(spark, SF)) == brute_bytes(rows)
 
 
+def crafted():
+    """Texts with two grams whose hashes agree in the leading 45 bits, so that the places of grams decide."""
+    letters = "zugwgoxhaoylstprpeqfasxdmrdjsvgwjntxbqdvnztbsxuhrgmcygbsdfafiwemmvhcqbfldalmzkgixqhjyebbhtziehnheyxo"
+    words = "1954 3363 2739 2711 3136 2394 2827 1865 3263 1250 3169 2627 3979 967 6 2148 414 1228 2245 2122 216 1413 2927 2008 7 11 2442 1177 2080 3571 739 1053 1452 1108 3934 380 551 1490 140 3975 1603 2916 2097 107 2455 3802 3354 3526 1292 523"
+    return letters, " ".join(f"w{x}" for x in words.split())
+
+
+def test_anchors_do_not_depend_on_the_length_of_a_piece(spark):
+    letters, words = crafted()
+    r = random.Random(8)
+    some = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    rows = [(1, some(1000) + letters + some(300_000)), (2, some(20) + letters + some(20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {x.doc_id: x.n_removed for x in suffix_dedup.dedup_bytes(docs).collect()} == {1: 0, 2: 100}
+    other = lambda n: " ".join(f"x{r.randrange(10**9)}" for _ in range(n))
+    rows = [(1, f"{other(500)} {words} {other(300_000)}"), (2, f"{other(5)} {words} {other(5)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {x.doc_id: x.n_removed for x in substring_dedup.dedup_substrings(docs).collect()} == {1: 0, 2: 50}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 600), st.integers(0, 600), st.integers(2, 40), st.integers(0, 2**32))
+def test_a_window_has_one_anchor(before, after, letters, seed):
+    r = np.random.default_rng(seed)
+    window = r.integers(0, letters, 100).astype(np.uint8)
+    alone = repeats.runs_of(suffix_dedup.BYTE_VALUE[window], np.array([100]), 100, 32)
+    data = np.concatenate([r.integers(0, letters, before), window, r.integers(0, letters, after)]).astype(np.uint8)
+    runs = repeats.runs_of(suffix_dedup.BYTE_VALUE[data], np.array([len(data)]), 100, 32)
+    (at,) = np.flatnonzero((runs.first <= before) & (runs.last >= before))
+    assert runs.anchor[at] == alone.anchor[0]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=60, unique=True), st.sampled_from([1, 2, 16, 1 << 40]))
+def test_messages_go_to_buckets_that_have_keys(keys, buckets):
+    keys = np.sort(np.array(keys, np.uint64))
+    found = list(repeats.by_bucket(keys, buckets))
+    assert len(found) <= len(keys) and [k for _, i, j in found for k in range(i, j)] == list(range(len(keys)))
+    assert all(int(k) * buckets >> 64 == b for b, i, j in found for k in keys[i:j]) and [b for b, _, _ in found] == sorted({b for b, _, _ in found})
+
+
 def test_repeats_of_nothing(none):
     assert substring_dedup.dedup_substrings(none).count() == 0
     assert suffix_dedup.dedup_bytes(none).count() == 0
@@ -641,6 +682,23 @@ def test_pipeline_on_awkward_rows(spark, docs, none, labels, tmp_path):
     assert out.count() == 0
 
 
+NAMES = ["a.b", "row", "row.text", "cut", "id", "sha", "label", "keep", "own1", "own2", "n", "x", "c0", "v", "none", "back`tick", "__hx_k1", "__hx_k2", "__hx_n", "__hx_keep", "__hx_score", "__hx_d", "__hx_h", "__hx_kept", "__hx_runs", "__hx_items", "__hx_words"]
+
+
+def test_stages_keep_columns_whatever_their_names(spark, docs, labels, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "two words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = [c for c in docs.columns if c not in ("text", "n_chars")]
+    crowded = saved(docs.select("*", *[F.concat(F.lit(f"{k}:"), F.col("body")).alias(c) for k, c in enumerate(NAMES)]), "crowded")
+    given = Counter((r[own.index("body")], r) for r in (tuple(x[c] for c in [*own, *NAMES]) for x in crowded.collect()))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = saved(stage(spark, docs, str(tmp_path)), "plain"), saved(stage(spark, crowded, str(tmp_path)), "stage")
+        assert out.dtypes == crowded.dtypes
+        assert sorted(((x.body or -1, x.text, x.n_chars) for x in out.collect()), key=str) == sorted(((x.body or -1, x.text, x.n_chars) for x in plain.collect()), key=str)
+        assert not Counter((r[own.index("body")], r) for r in (tuple(x[c] for c in [*own, *NAMES]) for x in out.collect())) - given
+    assert corpus_pipeline.STAGES[-1][1](spark, crowded, str(tmp_path)).count() == docs.count()
+
+
 def test_pipeline_like_its_parts(spark):
     """Every stage against the operator's brute-force version on the stage's own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
