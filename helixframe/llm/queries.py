@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontam, fingerprints, lm, mixing, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from helixframe.llm import decontam, fingerprints, lm, mixing, personal, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def _mixing(spark, sf_dir: str):
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op8_mixing": _mixing,
         "op9_simhash": simhash.op9_simhash,
         "op10_decontamination": decontam.op10_decontamination,
+        "op11_pii": personal.op11_pii,
     }
 
 
