@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontam, fingerprints, importance, lm, mixing, personal, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from helixframe.llm import decontam, fingerprints, importance, lm, mixing, personal, phrases, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def _mixing(spark, sf_dir: str):
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "op10_decontamination": decontam.op10_decontamination,
         "op11_pii": personal.op11_pii,
+        "op12_collocations": phrases.op12_collocations,
         "op13_importance": importance.op13_importance,
     }
 
@@ -31,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": warc.WARC_SQL,
         "op8_mixing": mixing.MIX_SQL.format(documents="documents"),
         "op10_decontamination": decontam.DECONTAM_SQL,
+        "op12_collocations": phrases.PHRASE_SQL,
         "op13_importance": importance.IMPORTANCE_SQL,
     }
