@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,39 +78,6 @@ def window_fst(variants: DataFrame, calls: DataFrame, samples: DataFrame, size:
     return by.select("chrom", (F.col("k") * step + 1).alias("start"), "n_sites", "weighted", "mean")
 
 
-def autozygous_runs(variants: DataFrame, calls: DataFrame, error: float = 0.01, prior: float = 0.05, threshold: float = 0.99, generations: int = 4, per_base: float = 1e-8) -> DataFrame:
-    """(sample, chrom, start, end, n_sites): stretches whose posterior of being autozygous exceeds the threshold, by the
-    forward-backward algorithm of a two-state chain, per sample and chromosome."""
-    f = S.chromosomes(calls).groupBy("vid").agg(F.avg((F.col("allele") > 0).cast("int")).alias("p")).where("p > 0 and p < 1")
-    own = S.full(calls).join(S.biallelic(variants).select("vid", "chrom", "pos"), "vid").join(f, "vid").select("sample", "chrom", "pos", "p", (F.col("a1") != F.col("a2")).alias("het"))
-
-    def runs(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        pos, het = part["pos"].to_numpy(float), part["het"].to_numpy(bool)
-        h = 2 * part["p"].to_numpy() * (1 - part["p"].to_numpy())
-        emit = np.stack([np.where(het, h, 1 - h), np.where(het, error, 1 - error)], 1)
-        n = len(pos)
-        leave = 1 - np.exp(-2 * generations * per_base * np.diff(pos))
-        start = np.array([1 - prior, prior])
-        forward, back = np.empty((n, 2)), np.ones((n, 2))
-        forward[0] = start * emit[0]
-        forward[0] /= forward[0].sum()
-        step = [np.array([[1 - x * prior, x * prior], [x * (1 - prior), 1 - x * (1 - prior)]]) for x in leave]
-        for i in range(1, n):
-            forward[i] = forward[i - 1] @ step[i - 1] * emit[i]
-            forward[i] /= forward[i].sum()
-        for i in range(n - 2, -1, -1):
-            back[i] = step[i] @ (emit[i + 1] * back[i + 1])
-            back[i] /= back[i].sum()
-        both = forward * back
-        inside = both[:, 1] / both.sum(1) > threshold
-        edge = np.diff(np.r_[0, inside.astype(int), 0])
-        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-        return pd.DataFrame({"sample": part["sample"].iloc[0], "chrom": part["chrom"].iloc[0], "start": pos[a].astype(int), "end": pos[b].astype(int), "n_sites": b - a + 1})
-
-    return own.groupBy("sample", "chrom").applyInPandas(runs, "sample int, chrom string, start long, end long, n_sites long")
-
-
 def switch_errors(left: DataFrame, right: DataFrame, variants: DataFrame) -> DataFrame:
     """(sample, n_het, n_switch): consecutive common phased heterozygous sites where the pairing of haplotypes flips."""
     het = lambda c: c.where("phased and a1 <> a2")

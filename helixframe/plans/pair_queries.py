@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import pairs as P
 from helixframe.operators import windows as W
+from helixframe.operators.autozygosity import autozygous_runs
 from helixframe.plans.registry import query
 from helixframe.plans.site_queries import CHR, FST, ONE, TS, sites_of
 
@@ -141,7 +142,7 @@ def _(t):
 
 @query("n7_lroh")
 def _(t):
-    return W.autozygous_runs(sites_of(t), t.calls, error=0.4, prior=0.5, threshold=0.5)
+    return autozygous_runs(sites_of(t), t.calls, error=0.4, prior=0.5, threshold=0.5)
 
 
 _OTHER_CALLS = "CASE WHEN gq % 9 = 0 THEN a2 ELSE a1 END"

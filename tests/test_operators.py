@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helixframe.functions import variants as V
-from helixframe.operators import filters, mapping, pairs, ranges, sets, sites, structure, windows
+from helixframe.operators import filters, gram, mapping, pairs, ranges, sets, sites, structure, windows
+from helixframe.operators.autozygosity import autozygous_runs
 from helixframe.sources import tables, vcf
 
 
@@ -137,7 +138,7 @@ def test_autozygous_runs_are_found(spark):
             inside = s == 0 and 200 <= k < 420
             a = r.randint(0, 1)
             calls.append((k, s, a, a if inside else r.randint(0, 1)))
-    got = windows.autozygous_runs(spark.createDataFrame(v, "vid long, chrom string, pos long, ref string, alts array<string>"), spark.createDataFrame(calls, "vid long, sample int, a1 int, a2 int")).collect()
+    got = autozygous_runs(spark.createDataFrame(v, "vid long, chrom string, pos long, ref string, alts array<string>"), spark.createDataFrame(calls, "vid long, sample int, a1 int, a2 int")).collect()
     own = [x for x in got if x["sample"] == 0]
     assert own and max(x.n_sites for x in own) > 150 and all(x.n_sites < 60 for x in got if x["sample"] != 0)
 
@@ -271,6 +272,38 @@ def test_principal_components(spark, normalise):
         assert r.loading == pytest.approx(sum(centred[r.vid, s] * rows[s, r.component].value for s in range(6)))
 
 
+def test_blocked_products_like_plain_sums(spark):
+    """Every sum over sites for pairs of samples, whatever the blocks, against plain loops; some pairs share no site."""
+    r = random.Random(9)
+    v = spark.createDataFrame([(k, ["C"] if k % 9 else ["C", "G"]) for k in range(90)], "vid long, alts array<string>").repartition(5)
+    rows = [(k, s, r.randint(0, 1), r.randint(0, 1) if r.random() < 0.9 else None) for k in range(90) for s in range(23) if r.random() < 0.8 and not (s == 3 and k >= 40) and not (s == 5 and k < 40)]
+    calls = spark.createDataFrame(rows, "vid long, sample int, a1 int, a2 int").repartition(7)
+    x = {(k, s): a + b for k, s, a, b in rows if b is not None and k % 9}
+    sites_ = {k: [x[k, s] for s in range(23) if (k, s) in x] for k in range(90)}
+    f = {k: sum(own) / 2 / len(own) for k, own in sites_.items() if own}
+    want = {}
+    for s, t in itertools.combinations_with_replacement(range(23), 2):
+        both = [(f[k], x[k, s], x[k, t]) for k in range(90) if (k, s) in x and (k, t) in x]
+        if both:
+            het, opposite, hets = sum(a == b == 1 for _, a, b in both), sum(abs(a - b) == 2 for _, a, b in both), sum((a == 1) + (b == 1) for _, a, b in both)
+            poly = [(p, a, b) for p, a, b in both if 0 < p < 1]
+            yang = np.mean([(a * a - (1 + 2 * p) * a + 2 * p * p) / (2 * p * (1 - p)) if s == t else (a - 2 * p) * (b - 2 * p) / (2 * p * (1 - p)) for p, a, b in poly]) + (s == t)
+            g = sum((a - 2 * p) * (b - 2 * p) / (p * (1 - p)) for p, a, b in poly) / sum(0 < p < 1 for p in f.values())
+            want[s, t] = (het, opposite, (het - 2 * opposite) / hets if hets else None, yang, g)
+    assert (3, 5) not in want
+    for how in ({}, {"block": 7, "pairs_at_once": 3, "sites_at_once": 4, "fan_in": 2}):
+        king = {(z["sample"], z.sample2): z for z in pairs.relatedness_king(v, calls, **how).collect()}
+        yang = {(z["sample"], z.sample2): z.ajk for z in pairs.relatedness_yang(v, calls, **how).collect()}
+        g = {(z["sample"], z.sample2): z.g for z in pairs.gram_matrix(v, calls, **how).collect()}
+        assert king.keys() == yang.keys() == g.keys() == want.keys()
+        for key, (het, opposite, phi, ajk, gram_) in want.items():
+            assert (king[key].n_het_het, king[key].n_opposite) == (het, opposite) and king[key].phi == (phi if phi is None else pytest.approx(phi, abs=1e-5))
+            assert yang[key] == pytest.approx(ajk, abs=1e-5) and g[key] == pytest.approx(gram_)
+    one, two = (pairs.pca(v, calls, 3, block=size).collect() for size in (512, 6))
+    assert [(a["sample"], a.component) for a in one] == [(b["sample"], b.component) for b in two] and np.allclose([a.value for a in one], [b.value for b in two])
+    assert gram.numbered_samples(calls).count() == 23
+
+
 def test_autozygous_runs_like_all_paths(spark):
     """Posteriors from the probabilities of all 2^n paths of states."""
     error, prior, threshold, rate = 0.2, 0.3, 0.4, 2 * 4 * 1e-8
@@ -278,8 +311,12 @@ def test_autozygous_runs_like_all_paths(spark):
     v = [(k, f"chr{k % 2}", (k // 2 + 1) * 6_000_000 + k, "A", ["C"]) for k in range(16)]
     calls = [(k, s, r.randint(0, 1), r.randint(0, 1)) for k in range(16) for s in range(5)]
     calls = [(k, s, a, a if s == 0 else b) for k, s, a, b in calls]
-    got = windows.autozygous_runs(spark.createDataFrame(v, "vid long, chrom string, pos long, ref string, alts array<string>"), spark.createDataFrame(calls, "vid long, sample int, a1 int, a2 int"), error, prior, threshold)
+    got = autozygous_runs(spark.createDataFrame(v, "vid long, chrom string, pos long, ref string, alts array<string>"), spark.createDataFrame(calls, "vid long, sample int, a1 int, a2 int"), error, prior, threshold)
     got = {(x["sample"], x.chrom, x.start, x.end, x.n_sites) for x in got.collect()}
+    v_df, c_df = spark.createDataFrame(v, "vid long, chrom string, pos long, ref string, alts array<string>"), spark.createDataFrame([(k, f"n{s}", a, b) for k, s, a, b in calls if (k, s) != (6, 2)], "vid long, sample string, a1 int, a2 int")
+    # The width of bins and the size of blocks change nothing; samples may have names.
+    some = [sorted(map(tuple, autozygous_runs(v_df, c_df, error, prior, threshold, bin_width=width, block=size).collect())) for width, size in ((5_000_000, 2), (13_000_000, 64), (10**9, 1))]
+    assert some[0] == some[1] == some[2] and some[0]
     share = {k: np.mean([x for c in calls if c[0] == k for x in c[2:]]) for k in range(16)}
     want = set()
     for s, chrom in itertools.product(range(5), ("chr0", "chr1")):
