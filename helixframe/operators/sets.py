@@ -10,28 +10,6 @@ from pyspark.sql import functions as F
 from helixframe.functions.variants import fill_type, normalised
 
 
-def diff_sites(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(chrom, pos1, pos2, kind) of two site lists (chrom, pos, ref): B, one position and reference (N, '.' and '' match
-    anything); O, one position and another reference, or the reference spans overlap; 1 and 2, on one side only.
-
-    An unmatched left site takes the first unmatched right one that it overlaps, and a right site the first that takes it."""
-    from helixframe.operators.ranges import range_join
-
-    a = left.groupBy("chrom", "pos").agg(F.min("ref").alias("ref1"))
-    b = right.groupBy("chrom", "pos").agg(F.min("ref").alias("ref2"))
-    both = a.join(b, ["chrom", "pos"], "full")
-    wild = F.col("ref1").isin("N", ".", "") | F.col("ref2").isin("N", ".", "")
-    kind = F.when(F.col("ref1").isNull(), "2").when(F.col("ref2").isNull(), "1").when((F.col("ref1") == F.col("ref2")) | wild, "B").otherwise("O")
-    both = both.withColumn("kind", kind)
-    one = both.where("kind = '1'").select(F.col("chrom").alias("c1"), F.col("pos").alias("p1"), (F.col("pos") + F.length("ref1")).alias("e1"))
-    two = both.where("kind = '2'").select(F.col("chrom").alias("c2"), F.col("pos").alias("p2"), (F.col("pos") + F.length("ref2")).alias("e2"))
-    near = range_join(one, two, ("c1", "p1", "e1"), ("c2", "p2", "e2"), width=64)
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy("c1", "p1").orderBy("p2"))).where("k = 1").withColumn("k", F.row_number().over(Window.partitionBy("c2", "p2").orderBy("p1"))).where("k = 1")
-    pairs = near.select(F.col("c1").alias("chrom"), F.col("p1").alias("pos1"), F.col("p2").alias("pos2"), F.lit("O").alias("kind"))
-    rest = both.join(near.select(F.col("c1").alias("chrom"), F.col("p1").alias("pos"), F.lit("1").alias("kind")).union(near.select("c2", "p2", F.lit("2"))), ["chrom", "pos", "kind"], "left_anti")
-    return rest.select("chrom", F.when(F.col("kind") != "2", F.col("pos")).alias("pos1"), F.when(F.col("kind") != "1", F.col("pos")).alias("pos2"), "kind").union(pairs)
-
-
 def diff_samples(left: DataFrame, right: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(sample, kind): in B, 1 or 2; names (sample, other) renames the left side."""
     a = left.select("sample").distinct()

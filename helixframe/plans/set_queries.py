@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.operators import sets as G
+from helixframe.operators.merging import diff_sites
 from helixframe.plans.registry import query
 from helixframe.plans.site_queries import sites_of
 
@@ -25,13 +26,15 @@ def second_calls(t):
     return t.calls.where("sample < 16").withColumn("a1", F.when((F.col("vid") + F.col("sample")) % 9 == 0, 1 - F.least("a1", F.lit(1))).otherwise(F.col("a1"))).select("vid", "sample", "a1", "a2")
 
 
-@query("j16_diff_sites", f"""WITH {_AB}, x AS (SELECT chrom, pos, min(ref) AS r FROM a GROUP BY ALL), y AS (SELECT chrom, pos, min(ref) AS r FROM b GROUP BY ALL),
- f AS (SELECT COALESCE(x.chrom, y.chrom) AS chrom, COALESCE(x.pos, y.pos) AS pos, x.r AS r1, y.r AS r2, CASE WHEN x.r IS NULL THEN '2' WHEN y.r IS NULL THEN '1' WHEN x.r = y.r OR x.r = 'N' OR y.r = 'N' THEN 'B' ELSE 'O' END AS kind FROM x FULL JOIN y ON x.chrom = y.chrom AND x.pos = y.pos),
- n AS (SELECT o.chrom, o.pos AS p1, w.pos AS p2, row_number() OVER (PARTITION BY o.chrom, o.pos ORDER BY w.pos) AS k FROM f o JOIN f w ON o.kind = '1' AND w.kind = '2' AND o.chrom = w.chrom AND o.pos < w.pos + length(w.r2) AND w.pos < o.pos + length(o.r1)),
- m AS (SELECT *, row_number() OVER (PARTITION BY chrom, p2 ORDER BY p1) AS j FROM n WHERE k = 1), p AS (SELECT * FROM m WHERE j = 1)
- SELECT chrom, CASE WHEN kind <> '2' THEN pos END AS pos1, CASE WHEN kind <> '1' THEN pos END AS pos2, kind FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.chrom = f.chrom AND ((kind = '1' AND p1 = pos) OR (kind = '2' AND p2 = pos))) UNION ALL SELECT chrom, p1, p2, 'O' FROM p""")
+@query("j16_diff_sites", f"""WITH RECURSIVE {_AB}, x AS (SELECT chrom, pos, ref, row_number() OVER (PARTITION BY chrom ORDER BY pos, ref) AS i FROM a), y AS (SELECT chrom, pos, ref, row_number() OVER (PARTITION BY chrom ORDER BY pos, ref) AS j FROM b),
+ s AS (SELECT DISTINCT chrom, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(NULL AS BIGINT) AS pos1, CAST(NULL AS BIGINT) AS pos2, CAST('' AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS ref1, CAST(NULL AS VARCHAR) AS ref2 FROM (SELECT chrom FROM x UNION SELECT chrom FROM y)
+  UNION ALL SELECT chrom, i + CAST(kind <> '2' AS BIGINT), j + CAST(kind <> '1' AS BIGINT), CASE WHEN kind <> '2' THEN p END, CASE WHEN kind <> '1' THEN q END, kind, CASE WHEN kind <> '2' THEN r END, CASE WHEN kind <> '1' THEN t END FROM
+   (SELECT s.chrom, s.i, s.j, x.pos AS p, y.pos AS q, x.ref AS r, y.ref AS t, CASE WHEN y.pos IS NULL THEN '1' WHEN x.pos IS NULL THEN '2' WHEN x.pos = y.pos THEN CASE WHEN x.ref = y.ref OR x.ref IN ('N', '.', '') OR y.ref IN ('N', '.', '') THEN 'B' ELSE 'O' END
+      WHEN x.pos < y.pos THEN CASE WHEN y.pos < x.pos + length(x.ref) THEN 'O' ELSE '1' END ELSE CASE WHEN x.pos < y.pos + length(y.ref) THEN 'O' ELSE '2' END END AS kind
+    FROM s LEFT JOIN x ON x.chrom = s.chrom AND x.i = s.i LEFT JOIN y ON y.chrom = s.chrom AND y.j = s.j WHERE x.pos IS NOT NULL OR y.pos IS NOT NULL))
+ SELECT chrom, pos1, pos2, kind, ref1, ref2 FROM s WHERE kind <> ''""")
 def _(t):
-    return G.diff_sites(*two(t))
+    return diff_sites(*two(t))
 
 
 @query("j17_diff_indv", "WITH x AS (SELECT DISTINCT sample FROM calls WHERE sample > 2), y AS (SELECT DISTINCT sample FROM calls WHERE sample < 16) SELECT COALESCE(x.sample, y.sample) AS sample, CASE WHEN x.sample IS NULL THEN '2' WHEN y.sample IS NULL THEN '1' ELSE 'B' END AS kind FROM x FULL JOIN y ON x.sample = y.sample")

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helixframe.functions import variants as V
-from helixframe.operators import filters, gram, mapping, pairs, ranges, sets, sites, structure, windows
+from helixframe.operators import filters, gram, mapping, merging, pairs, ranges, sets, sites, structure, windows
 from helixframe.operators.autozygosity import autozygous_runs
 from helixframe.sources import tables, vcf
 
@@ -145,7 +145,39 @@ def test_autozygous_runs_are_found(spark):
 
 def test_diff_of_a_set_with_itself_is_all_both(spark):
     a = spark.createDataFrame([("1", 5, "A"), ("1", 9, "AT"), ("2", 5, "N")], "chrom string, pos long, ref string")
-    assert {r.kind for r in sets.diff_sites(a, a).collect()} == {"B"}
+    assert {r.kind for r in merging.diff_sites(a, a).collect()} == {"B"}
+
+
+def merged_one_by_one(a, b):
+    out = []
+    for chrom in sorted({x[0] for x in a + b}):
+        one, two = (sorted((p, r) for c, p, r in own if c == chrom) for own in (a, b))
+        while one or two:
+            if not two:
+                kind = "1"
+            elif not one:
+                kind = "2"
+            elif one[0][0] == two[0][0]:
+                kind = "B" if one[0][1] == two[0][1] or {one[0][1], two[0][1]} & {"N", ".", ""} else "O"
+            elif one[0][0] < two[0][0]:
+                kind = "O" if two[0][0] < one[0][0] + len(one[0][1]) else "1"
+            else:
+                kind = "O" if one[0][0] < two[0][0] + len(two[0][1]) else "2"
+            x, y = one.pop(0) if kind != "2" else None, two.pop(0) if kind != "1" else None
+            out.append((chrom, x and x[0], y and y[0], kind, x and x[1], y and y[1]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("width", [3, 17, 100_000])
+def test_merge_of_sorted_lists_like_one_by_one(spark, width):
+    r = random.Random(width)
+    for reach, span in ((6, 120), (40, 120), (3, 900)):
+        a, b = ([(r.choice("xy"), r.randint(1, span), r.choice(["A", "N", "", "AC" * r.randint(1, reach), "A" * r.randint(1, reach)])) for _ in range(n)] for n in (70, 60))
+        a.append(("z", 5, "ACGT"))
+        got = merging.diff_sites(*(spark.createDataFrame(x, "chrom string, pos long, ref string").repartition(3) for x in (a, b)), bin_width=width)
+        assert sorted((tuple(x) for x in got.collect()), key=str) == merged_one_by_one(a, b)
+    none = spark.createDataFrame([], "chrom string, pos long, ref string")
+    assert merging.diff_sites(none, none, width).count() == 0
 
 
 def test_permutation_keeps_labels_and_places(spark):
