@@ -109,51 +109,69 @@ def cut_text(text: bytes, buckets: int) -> tuple[Counter, list[int]]:
     return lines, across
 
 
+def _digest(line: bytes) -> bytes:
+    return hashlib.blake2b(line, digest_size=16).digest()
+
+
+def _code(buckets: int) -> type:
+    """The type that packs a bucket."""
+    return np.uint16 if buckets <= 1 << 16 else np.uint32
+
+
 def _cut(docs: DataFrame, buckets: int) -> DataFrame:
-    """(row, doc_id, across) of each document, with digest null, and (row, digest, line, times) of its lines."""
+    """(row, doc_id, across) of each document, with digest null, and (row, digest, times) of its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch):
-                rows, ids, across, digests, lines, times = [], [], [], [], [], []
+                rows, ids, across, digests, times = [], [], [], [], []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")), strict=True):
                     own, over = cut_text(text, buckets)
                     k = len(own)
                     rows += [row] * (1 + k)
                     ids += [doc_id] + [None] * k
-                    across += [np.array(over, np.uint32).tobytes()] + [None] * k
-                    digests += [None, *(hashlib.blake2b(x, digest_size=16).digest() for x in own)]
-                    lines += [None, *own]
+                    across += [np.array(over, _code(buckets)).tobytes()] + [None] * k
+                    digests += [None, *map(_digest, own)]
                     times += [None, *own.values()]
                     row += 1
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((rows, ids, across, digests, lines, times), kinds, strict=True)], ["row", "doc_id", "across", "digest", "line", "times"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((rows, ids, across, digests, times), kinds, strict=True)], ["row", "doc_id", "across", "digest", "times"])
 
-    return saved(docs.mapInArrow(run, "row long, doc_id long, across binary, digest binary, line binary, times long"), "lines")
+    return saved(docs.mapInArrow(run, "row long, doc_id long, across binary, digest binary, times long"), "lines")
 
 
-def _distinct_lines(cut: DataFrame, buckets: int) -> DataFrame:
+def _distinct_lines(docs: DataFrame, buckets: int) -> DataFrame:
     """(digest, times, n_words, features) of the corpus's distinct lines; features: their buckets, packed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                own: Counter = Counter()
+                for text in as_bytes(part.column("text")):
+                    own.update(x for x in text.translate(LINES).split(b"\n") if x and not x.isspace())
+                yield pa.RecordBatch.from_arrays([pa.array(map(_digest, own), pa.binary()), pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], ["digest", "line", "times"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column="line"):
-                lines = [x.split() for x in as_bytes(part.column("line"))]
-                found, counts = features_of(lines, buckets)
-                ends = 4 * np.cumsum(counts)
-                data = found.astype(np.uint32).tobytes()
-                packed = [data[e - 4 * n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("times"), pa.array([*map(len, lines)], pa.int64()), pa.array(packed, pa.binary())], ["digest", "times", "n_words", "features"])
+                words = [x.split() for x in as_bytes(part.column("line"))]
+                found, counts = features_of(words, buckets)
+                data = found.astype(_code(buckets)).tobytes()
+                each = np.dtype(_code(buckets)).itemsize
+                ends = each * np.cumsum(counts)
+                packed = [data[e - each * n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("times"), pa.array([*map(len, words)], pa.int64()), pa.array(packed, pa.binary())], ["digest", "times", "n_words", "features"])
 
-    lines = cut.where("digest is not null").groupBy("digest", "line").agg(F.sum("times").alias("times"))
-    return saved(lines.mapInArrow(run, "digest binary, times long, n_words long, features binary"), "features")
+    whole = docs.mapInArrow(lines, "digest binary, line binary, times long").groupBy("digest", "line").agg(F.sum("times").alias("times"))
+    return saved(whole.mapInArrow(count, "digest binary, times long, n_words long, features binary"), "features")
 
 
-def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(packed: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """All buckets in binary values, and how many each value has."""
     got = [x or b"" for x in packed.to_pylist()]
-    return np.frombuffer(b"".join(got), np.uint32).astype(np.int64), np.fromiter(map(len, got), np.int64, len(got)) // 4
+    found = np.frombuffer(b"".join(got), _code(buckets))
+    return found.astype(np.int64), np.fromiter(map(len, got), np.int64, len(got)) // found.itemsize
 
 
 def bucket_counts(cut: DataFrame, distinct: DataFrame, buckets: int) -> np.ndarray:
@@ -163,7 +181,7 @@ def bucket_counts(cut: DataFrame, distinct: DataFrame, buckets: int) -> np.ndarr
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             for part in slices(batch, column="features"):
-                at, counts = _unpacked(part.column("features"))
+                at, counts = _unpacked(part.column("features"), buckets)
                 times = np.repeat(part.column("times").to_numpy(zero_copy_only=False), counts)
                 np.add.at(total, at, times)
         some = np.flatnonzero(total)
@@ -184,16 +202,15 @@ def gains_of(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 def weigh(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFrame:
     """(doc_id, n_words, n_features, weight), a row per document, for a target of (text)."""
-    cut = _cut(texts_of(docs), buckets)
-    distinct = _distinct_lines(cut, buckets)
-    target_cut = _cut(texts_of(target.select(F.lit(0).alias("doc_id"), "text")), buckets)
-    gains = gains_of(bucket_counts(cut, distinct, buckets), bucket_counts(target_cut, _distinct_lines(target_cut, buckets), buckets))
+    docs, target = texts_of(docs), texts_of(target.select(F.lit(0).alias("doc_id"), "text"))
+    cut, distinct = _cut(docs, buckets), _distinct_lines(docs, buckets)
+    gains = gains_of(bucket_counts(cut, distinct, buckets), bucket_counts(_cut(target, buckets), _distinct_lines(target, buckets), buckets))
 
     def weights(column: str, keep: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, column=column):
-                    at, counts = _unpacked(part.column(column))
+                    at, counts = _unpacked(part.column(column), buckets)
                     before = np.r_[0, np.cumsum(gains[at])]
                     ends = np.cumsum(counts)
                     yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(counts), pa.array(before[ends] - before[ends - counts])], [*keep, "k", "w"])
