@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,17 +89,57 @@ def switch_errors(left: DataFrame, right: DataFrame, variants: DataFrame) -> Dat
     return own.withColumn("flip", flip).groupBy("sample").agg(F.count("*").alias("n_het"), F.count_if("flip").alias("n_switch"))
 
 
-def phase_chunks(calls: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Joins phased chunks. calls: sample, chunk, chrom, pos, a1, a2; chunks: chunk, chrom, rank. A chunk is swapped if over
-    the sites that it shares with the one before more pairs match crosswise; swaps multiply along the chunks."""
-    own = calls.where("phased and a1 <> a2").join(chunks.select("chunk", "rank"), "chunk")
-    before = own.select("sample", "chrom", "pos", (F.col("rank") + 1).alias("rank"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))
-    votes = own.join(before, ["sample", "chrom", "pos", "rank"], "left").groupBy("sample", "chrom", "rank").agg(
-        F.count_if((F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).alias("n_match"), F.count_if((F.col("a1") == F.col("b2")) & (F.col("a2") == F.col("b1"))).alias("n_cross"))
-    w = Window.partitionBy("sample", "chrom").orderBy("rank")
-    flips = F.sum((F.col("n_cross") > F.col("n_match")).cast("int")).over(w)
-    sets = F.sum(((F.col("n_cross") + F.col("n_match")) == 0).cast("int")).over(w)
-    return votes.select("sample", "chrom", "rank", "n_match", "n_cross", (flips % 2 == 1).alias("swapped"), sets.alias("phase_set"))
+def phase_join(calls: DataFrame, chunks: DataFrame, least_quality: float = 10.0, least_pq: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Joins phased chunks that overlap. calls: sample, chunk, chrom, pos, a1, a2, phased (pq with least_pq); chunks: chunk,
+    chrom, rank. Positions are once in a chunk, and at most two chunks share one.
+
+    At a position that two chunks share, p is the share of samples whose genotypes differ, at least 1/n and at most 1 - 1/n (1/4
+    for one sample). A sample that is phased and heterozygous in both, with the same alleles, matches with likelihood
+    p^2 + (1 - p)^2 and is crossed with 2 p (1 - p), or the other way round. The later chunk is turned over if crossing is
+    likelier; turns add up along a chromosome. Without such a position both likelihoods are 1/2, and nothing is turned. A new
+    phase set begins where quality, the difference of their log10, is below least_quality; and, with least_pq, at a call
+    outside overlaps whose pq is below that.
+
+    Returns (sample, chrom, rank, n_sites, lk_match, lk_mismatch, quality, swapped), a row per sample and chunk but a
+    chromosome's first; and the joined calls (sample, chrom, pos, a1, a2, phased, ps): where chunks overlap, the call of the
+    chunk whose end is farther off; ps is the first position of the phase set."""
+    pq = F.col("pq").cast("double") if "pq" in calls.columns else F.lit(None).cast("double")
+    own = calls.select("sample", "chunk", "pos", "a1", "a2", F.coalesce("phased", F.lit(False)).alias("phased"), pq.alias("pq")).join(chunks.select("chunk", "chrom", "rank"), "chunk").drop("chunk")
+    w = Window.partitionBy("chrom").orderBy("rank")
+    follows = chunks.select("chrom", "rank").distinct().withColumn("before", F.lag("rank").over(w)).where("before is not null")
+    before = own.join(follows.withColumnRenamed("rank", "next"), [own.chrom == follows.chrom, own["rank"] == follows.before]).select("sample", own.chrom.alias("chrom"), "pos", F.col("next").alias("rank"), F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("phased").alias("b_phased"))
+    shared = own.join(before, ["sample", "chrom", "pos", "rank"])
+    a1, a2, b1, b2 = F.col("a1"), F.coalesce("a2", "a1"), F.col("b1"), F.coalesce("b2", "b1")
+    same, cross = a1.eqNullSafe(b1) & a2.eqNullSafe(b2), a1.eqNullSafe(b2) & a2.eqNullSafe(b1)
+    n, wrong = F.count("*"), F.count_if(~(same | cross))
+    places = shared.groupBy("chrom", "rank", "pos").agg(F.when(n == 1, F.lit(0.25)).otherwise(F.least(F.greatest(wrong / n, 1 / n), 1 - 1 / n)).alias("p"))
+    ends = places.groupBy("chrom", "rank").agg(F.min("pos").alias("from"), F.max("pos").alias("to"))
+    told = shared.where(F.col("phased") & F.col("b_phased") & (a1 != a2) & (b1 != b2) & (same | cross)).withColumn("same", same).join(places, ["chrom", "rank", "pos"])
+    p = F.col("p")
+    alike, unlike = F.log10(p * p + (1 - p) * (1 - p)), F.log10(2 * p * (1 - p))
+    sums = told.groupBy("sample", "chrom", "rank").agg(F.count("*").alias("n_sites"), F.sum(F.when(F.col("same"), alike).otherwise(unlike)).alias("m"), F.sum(F.when(F.col("same"), unlike).otherwise(alike)).alias("x"))
+    half = F.lit(math.log10(0.5))
+    every = own.select("sample", "chrom", "rank").distinct().join(follows.select("chrom", "rank"), ["chrom", "rank"]).join(sums, ["sample", "chrom", "rank"], "left")
+    every = every.select("sample", "chrom", "rank", F.coalesce("n_sites", F.lit(0)).alias("n_sites"), F.coalesce("m", half).alias("m"), F.coalesce("x", half).alias("x"))
+    along = Window.partitionBy("sample", "chrom").orderBy("rank")
+    turned = F.sum((F.col("x") - F.col("m") > 1e-9).cast("int")).over(along) % 2 == 1
+    told_of = every.select("sample", "chrom", "rank", "n_sites", F.col("m").alias("lk_match"), F.col("x").alias("lk_mismatch"), F.abs(F.col("m") - F.col("x")).alias("quality"), turned.alias("swapped"))
+
+    # Of two calls at a shared position the one whose chunk's overlap ends, or began, farther off.
+    earlier = F.col("to") - F.col("pos") > F.col("pos") - F.col("from")
+    lost = places.join(ends, ["chrom", "rank"]).join(follows, ["chrom", "rank"]).select("chrom", "pos", F.when(earlier, F.col("rank")).otherwise(F.col("before")).alias("rank"))
+    inside = places.select("chrom", "pos").distinct().withColumn("shared", F.lit(True))
+    kept = own.join(lost, ["chrom", "pos", "rank"], "left_anti").join(inside, ["chrom", "pos"], "left").join(told_of.select("sample", "chrom", "rank", "swapped", "quality"), ["sample", "chrom", "rank"], "left")
+    # Breaks inside a chunk are numbered there; the numbers of the chunks before are added.
+    weak = F.lit(False) if least_pq is None else F.col("shared").isNull() & F.coalesce(F.col("pq") < least_pq, F.lit(False))
+    kept = kept.withColumn("breaks", F.sum(weak.cast("int")).over(Window.partitionBy("sample", "chrom", "rank").orderBy("pos")))
+    per = kept.groupBy("sample", "chrom", "rank").agg(F.max("breaks").alias("inner"), F.max((F.coalesce(F.col("quality") < least_quality, F.lit(False))).cast("int")).alias("new"))
+    start = per.select("sample", "chrom", "rank", (F.sum(F.col("inner") + F.col("new")).over(along) - F.col("inner")).alias("base"))
+    numbered = kept.join(start, ["sample", "chrom", "rank"]).withColumn("block", F.col("base") + F.col("breaks"))
+    firsts = numbered.groupBy("sample", "chrom", "block").agg(F.min("pos").alias("ps"))
+    turn = F.coalesce("swapped", F.lit(False)) & F.col("a2").isNotNull()
+    joined = numbered.join(firsts, ["sample", "chrom", "block"]).select("sample", "chrom", "pos", F.when(turn, F.col("a2")).otherwise(F.col("a1")).alias("a1"), F.when(turn, F.col("a1")).otherwise(F.col("a2")).alias("a2"), "phased", "ps")
+    return told_of, joined
 
 
 def haplotype_counts(variants: DataFrame, calls: DataFrame, bed: DataFrame) -> DataFrame:

@@ -157,12 +157,33 @@ def _(t):
     return W.switch_errors(c, other, t.variants)
 
 
-@query("n9_phased_join", """WITH o AS (SELECT c.*, chrom, pos FROM calls c JOIN variants USING (vid)), k AS (SELECT *, pos // 20000 AS r FROM o), ch AS (SELECT sample, chrom, pos, phased, a1, a2, r AS rank FROM k UNION ALL SELECT sample, chrom, pos, phased, CASE WHEN (sample + r) % 3 = 0 THEN a2 ELSE a1 END, CASE WHEN (sample + r) % 3 = 0 THEN a1 ELSE a2 END, r + 1 FROM k WHERE pos % 20000 > 15000),
- x AS (SELECT * FROM ch WHERE phased AND a1 <> a2), v AS (SELECT x.sample, x.chrom, x.rank, count(*) FILTER (x.a1 = b.a1 AND x.a2 = b.a2) AS n_match, count(*) FILTER (x.a1 = b.a2 AND x.a2 = b.a1) AS n_cross FROM x LEFT JOIN x b ON b.sample = x.sample AND b.chrom = x.chrom AND b.pos = x.pos AND b.rank + 1 = x.rank GROUP BY ALL)
- SELECT sample, chrom, rank, n_match, n_cross, SUM(CASE WHEN n_cross > n_match THEN 1 ELSE 0 END) OVER w % 2 = 1 AS swapped, CAST(SUM(CASE WHEN n_cross + n_match = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS phase_set FROM v WINDOW w AS (PARTITION BY sample, chrom ORDER BY rank)""")
-def _(t):
+_CHUNKS = """o AS (SELECT c.*, chrom, pos FROM calls c JOIN variants USING (vid)), k AS (SELECT *, pos // 20000 AS r FROM o),
+ ch AS (SELECT sample, chrom, pos, COALESCE(phased, false) AS phased, a1, a2, r AS rank FROM k UNION ALL SELECT sample, chrom, pos, COALESCE(phased, false), CASE WHEN (sample + r) % 3 = 0 AND pos % 7 > 0 THEN a2 ELSE a1 END, CASE WHEN (sample + r) % 3 = 0 AND pos % 7 > 0 THEN a1 ELSE a2 END, r + 1 FROM k WHERE pos % 20000 > 15000),
+ fo AS (SELECT chrom, rank, lag(rank) OVER (PARTITION BY chrom ORDER BY rank) AS before FROM (SELECT DISTINCT chrom, rank FROM ch)),
+ sh AS (SELECT a.sample, a.chrom, a.pos, a.rank, a.a1, COALESCE(a.a2, a.a1) AS a2, b.a1 AS b1, COALESCE(b.a2, b.a1) AS b2, a.phased AND b.phased AS ok FROM ch a JOIN fo ON fo.chrom = a.chrom AND fo.rank = a.rank JOIN ch b ON b.sample = a.sample AND b.chrom = a.chrom AND b.pos = a.pos AND b.rank = fo.before),
+ pl AS (SELECT chrom, rank, pos, CASE WHEN count(*) = 1 THEN 0.25 ELSE LEAST(GREATEST(count(*) FILTER (NOT ((a1 IS NOT DISTINCT FROM b1 AND a2 IS NOT DISTINCT FROM b2) OR (a1 IS NOT DISTINCT FROM b2 AND a2 IS NOT DISTINCT FROM b1))) / count(*)::DOUBLE, 1 / count(*)::DOUBLE), 1 - 1 / count(*)::DOUBLE) END AS p FROM sh GROUP BY ALL),
+ su AS (SELECT sample, chrom, rank, count(*) AS n_sites, SUM(CASE WHEN a1 = b1 THEN log10(p * p + (1 - p) * (1 - p)) ELSE log10(2 * p * (1 - p)) END) AS m, SUM(CASE WHEN a1 = b1 THEN log10(2 * p * (1 - p)) ELSE log10(p * p + (1 - p) * (1 - p)) END) AS x
+  FROM sh JOIN pl USING (chrom, rank, pos) WHERE ok AND a1 <> a2 AND b1 <> b2 AND ((a1 = b1 AND a2 = b2) OR (a1 = b2 AND a2 = b1)) GROUP BY ALL),
+ ev AS (SELECT sample, chrom, rank, COALESCE(n_sites, 0) AS n_sites, COALESCE(m, log10(0.5)) AS m, COALESCE(x, log10(0.5)) AS x FROM (SELECT DISTINCT sample, chrom, rank FROM ch) JOIN fo USING (chrom, rank) LEFT JOIN su USING (sample, chrom, rank) WHERE before IS NOT NULL),
+ tl AS (SELECT sample, chrom, rank, n_sites, m, x, SUM(CASE WHEN x - m > 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY sample, chrom ORDER BY rank) % 2 = 1 AS swapped FROM ev)"""
+
+
+def _chunked(t):
     o = t.calls.join(t.variants.select("vid", "chrom", "pos"), "vid").withColumn("rank", F.floor(F.col("pos") / 20000))
-    swap = (F.col("sample") + F.col("rank")) % 3 == 0
+    swap = ((F.col("sample") + F.col("rank")) % 3 == 0) & (F.col("pos") % 7 > 0)
     more = o.where("pos % 20000 > 15000").withColumn("x", F.when(swap, F.col("a2")).otherwise(F.col("a1"))).withColumn("a2", F.when(swap, F.col("a1")).otherwise(F.col("a2"))).withColumn("a1", F.col("x")).withColumn("rank", F.col("rank") + 1).drop("x")
     both = o.unionByName(more).withColumn("chunk", F.concat_ws(":", "chrom", F.col("rank").cast("string")))
-    return W.phase_chunks(both.drop("rank"), both.select("chunk", "chrom", "rank").distinct())
+    return W.phase_join(both.drop("rank"), both.select("chunk", "chrom", "rank").distinct(), 1.5)
+
+
+@query("n9_phased_join", f"WITH {_CHUNKS} SELECT sample, chrom, rank, n_sites, round(m, 6) AS lk_match, round(x, 6) AS lk_mismatch, round(abs(m - x), 6) AS quality, swapped FROM tl")
+def _(t):
+    return _chunked(t)[0].select("sample", "chrom", "rank", "n_sites", *[F.round(c, 6).alias(c) for c in ("lk_match", "lk_mismatch", "quality")], "swapped")
+
+
+@query("n9_joined_calls", f"""WITH {_CHUNKS}, en AS (SELECT chrom, rank, min(pos) AS f, max(pos) AS t FROM pl GROUP BY ALL), lo AS (SELECT chrom, pos, CASE WHEN t - pos > pos - f THEN rank ELSE before END AS rank FROM pl JOIN en USING (chrom, rank) JOIN fo USING (chrom, rank)),
+ ke AS (SELECT ch.*, swapped, COALESCE(abs(m - x) < 1.5, false) AS weak FROM ch ANTI JOIN lo USING (chrom, pos, rank) LEFT JOIN tl USING (sample, chrom, rank)), nu AS (SELECT *, SUM(n) OVER (PARTITION BY sample, chrom ORDER BY rank) AS block FROM (SELECT sample, chrom, rank, max(CAST(weak AS INT)) AS n FROM ke GROUP BY ALL)),
+ fi AS (SELECT *, min(pos) OVER (PARTITION BY sample, chrom, block) AS ps FROM ke JOIN nu USING (sample, chrom, rank))
+ SELECT sample, chrom, pos, CASE WHEN COALESCE(swapped, false) AND a2 IS NOT NULL THEN a2 ELSE a1 END AS a1, CASE WHEN COALESCE(swapped, false) AND a2 IS NOT NULL THEN a1 ELSE a2 END AS a2, phased, ps FROM fi""")
+def _(t):
+    return _chunked(t)[1]

@@ -180,6 +180,36 @@ def test_merge_of_sorted_lists_like_one_by_one(spark, width):
     assert merging.diff_sites(none, none, width).count() == 0
 
 
+def test_joined_chunks_have_the_haplotypes_that_they_were_cut_from(spark):
+    """Chunks of phased haplotypes, each sample's turned over at random, with some wrong calls: joined, they are the haplotypes
+    again, up to turning a whole phase set, and sets end where chunks don't overlap."""
+    r = random.Random(6)
+    truth = {(s, p): (0, 1) if r.random() < 0.5 else (1, 0) for s in range(6) for p in range(0, 900, 5)}
+    spans = [(0, 300), (200, 500), (400, 600), (605, 900)]
+    rows = []
+    for k, (a, b) in enumerate(spans):
+        for s in range(6):
+            turned = r.random() < 0.5
+            for p in range(a, b, 5):
+                x, y = truth[s, p]
+                wrong = r.random() < 0.02
+                x, y = (1, 1) if wrong else (x, y)
+                rows.append((s, f"c{k}", p, *((y, x) if turned else (x, y)), True, 3.0 if p == 100 else 50.0))
+    calls = spark.createDataFrame(rows, "sample int, chunk string, pos long, a1 int, a2 int, phased boolean, pq double").repartition(3)
+    chunks = spark.createDataFrame([(f"c{k}", "1", k * 10) for k in range(4)], "chunk string, chrom string, rank long")
+    for least_pq, starts in ((None, [0, 605]), (20.0, [0, 100, 605])):
+        told, joined = windows.phase_join(calls, chunks, 3.0, least_pq)
+        got = joined.collect()
+        assert len(got) == len({(x["sample"], x.pos) for x in got}) == 6 * len({p for a, b in spans for p in range(a, b, 5)})
+        assert sorted({x.ps for x in got}) == starts
+        for s in range(6):
+            for ps in starts:
+                own = [(x.a1, x.a2) == truth[s, x.pos] for x in got if x["sample"] == s and x.ps == ps and x.a1 != x.a2]
+                assert own and (all(own) or not any(own))
+        rows_ = {(x["sample"], x["rank"]): x for x in told.collect()}
+        assert all(rows_[s, 30].n_sites == 0 and rows_[s, 30].quality == 0 and rows_[s, 10].quality > 3 for s in range(6)) and (0, 0) not in rows_
+
+
 def test_permutation_keeps_labels_and_places(spark):
     df = spark.createDataFrame([("g", i, i * 10) for i in range(50)] + [("h", i, i) for i in range(20)], "group string, place long, label long")
     rows = structure.permutations(df, 2).collect()
