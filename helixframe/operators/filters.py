@@ -211,22 +211,29 @@ def snp_gap(variants: DataFrame, width: int) -> DataFrame:
     return range_join(points, gaps, ("chrom", "pos", "end"), ("i_chrom", "i_start", "i_end"), width=256).select("vid").distinct()
 
 
-def gap_window(variants: DataFrame, width: int, by: str = "qual") -> DataFrame:
-    """(vid, cluster, passes): indels whose spans come within `width` of each other; in a cluster the first one with the
-    greatest value of `by` passes."""
-    w = Window.partitionBy("chrom").orderBy("pos", "vid")
-    own = variants.where(is_indel()).select("vid", "chrom", "pos", (F.col("pos") + F.length("ref") - 1).alias("end"), F.col(by).alias("by"))
-    reach = F.max(F.col("end") + width).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    own = own.withColumn("new", (reach.isNull() | (F.col("pos") > reach)).cast("int")).withColumn("cluster", F.sum("new").over(w))
-    first = F.row_number().over(Window.partitionBy("chrom", "cluster").orderBy(F.desc("by"), "pos", "vid"))
-    return own.withColumn("passes", first == 1).select("vid", "chrom", "cluster", "passes")
-
-
-def snp_cluster(variants: DataFrame, number: int, run: int) -> DataFrame:
-    """(vid): members of any run of `run` bases that holds at least `number` variants."""
-    w = Window.partitionBy("chrom").orderBy("pos")
-    own = variants.select("vid", "chrom", "pos").withColumn("ahead", F.count("*").over(w.rangeBetween(0, run - 1)))
-    return own.withColumn("dense", F.max("ahead").over(w.rangeBetween(-(run - 1), 0))).where(F.col("dense") >= number).select("vid")
+def gap_window(variants: DataFrame, width: int, bin_width: int = 100_000) -> DataFrame:
+    """(vid, cluster, passes): indels (an alternative of another length) that come within `width` bases of an earlier one's
+    end. An indel ends as many bases after its position as the first such alternative is longer or shorter. Of a cluster the
+    first one of the highest allele frequency passes: the first value of AF in info_map, else of AF1, else of AC, else 0."""
+    from helixframe.operators.ranges import chains
+
+    size = F.get(F.transform(F.filter("alts", lambda a: F.length(a) != F.length("ref")), lambda a: F.abs(F.length(a) - F.length("ref"))), 0)
+    value = lambda key: F.expr(f"try_cast(split(try_element_at(info_map, '{key}'), ',')[0] as double)")
+    tag = F.coalesce(*map(value, ("AF", "AF1", "AC")), F.lit(0.0)) if "info_map" in variants.columns else F.lit(0.0)
+    own = variants.select("vid", "chrom", "pos", size.alias("size"), tag.alias("af")).where("size is not null")
+    own = chains(own.select("vid", "chrom", (F.col("pos") + 1).alias("from"), (F.col("pos") + F.col("size")).alias("to"), "af"), "from", "to", width, ("vid",), bin_width)
+    best = own.groupBy("chrom", "chain").agg(F.min(F.struct((-F.col("af")).alias("a"), "from", "vid"))["vid"].alias("best"))
+    return own.join(best, ["chrom", "chain"]).select("vid", "chrom", F.col("chain").alias("cluster"), (F.col("vid") == F.col("best")).alias("passes"))
+
+
+def snp_cluster(variants: DataFrame, number: int, run: int, bin_width: int = 100_000) -> DataFrame:
+    """(vid): members of any run of `run` bases that holds at least `number` variants. A bin also sees the variants of less than
+    a run before and after it."""
+    bins = F.sequence(F.floor((F.col("pos") - (run - 1)) / bin_width), F.floor((F.col("pos") + (run - 1)) / bin_width))
+    w = Window.partitionBy("chrom", "bin").orderBy("pos")
+    own = variants.select("vid", "chrom", "pos", F.explode(bins).alias("bin")).withColumn("ahead", F.count("*").over(w.rangeBetween(0, run - 1)))
+    dense = own.withColumn("dense", F.max("ahead").over(w.rangeBetween(-(run - 1), 0)))
+    return dense.where((F.col("dense") >= number) & (F.col("bin") == F.floor(F.col("pos") / bin_width))).select("vid")
 
 
 @dataclass

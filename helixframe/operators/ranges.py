@@ -7,9 +7,11 @@ be split by adaptive execution where a bin is crowded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.sources.scratch import saved
+
 
 def bins(start: Column, end: Column, width: int) -> Column:
     """The bins that [start, end) touches; an empty interval touches the bin of its start."""
@@ -65,3 +67,35 @@ def pairs_within(sites: DataFrame, window: int, key: str = "vid", most_rank: int
     if most_rank:
         near &= F.col("rank2") - F.col("rank") <= most_rank
     return a.join(b, near).drop("__bin", "__bin2", "rank", "rank2")
+
+
+def chains(rows: DataFrame, start: str, end: str, within: int, order: tuple[str, ...], bin_width: int = 100_000) -> DataFrame:
+    """rows (chrom, ...) with `chain`, which numbers a chromosome's groups of intervals: a row goes on with the group if its
+    start is at most `within` after the greatest end of all rows before it, in the order of start and `order`.
+
+    A bin knows its greatest end and how many groups begin in it; those are added up along a chromosome, a row per bin, so
+    that no task sorts a chromosome."""
+    own = saved(rows.withColumn("__bin", F.floor(F.col(start) / bin_width)), "chains")
+    w = Window.partitionBy("chrom", "__bin").orderBy(start, *order)
+    along = Window.partitionBy("chrom").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    ends = own.groupBy("chrom", "__bin").agg(F.max(end).alias("__end")).select("chrom", "__bin", F.max("__end").over(along).alias("__before"))
+    reach = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__before"))
+    own = own.join(ends, ["chrom", "__bin"]).withColumn("__reach", reach).withColumn("__new", (F.col("__reach").isNull() | (F.col(start) > F.col("__reach") + within)).cast("long"))
+    own = own.withColumn("__inside", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__before", "__reach")
+    counts = own.groupBy("chrom", "__bin").agg(F.sum("__new").alias("__n")).select("chrom", "__bin", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__base"))
+    return own.join(counts, ["chrom", "__bin"]).withColumn("chain", F.col("__base") + F.col("__inside")).drop("__bin", "__new", "__inside", "__base")
+
+
+def running_sums(rows: DataFrame, order: str, columns: list[str], range_rows: int = 200_000) -> DataFrame:
+    """rows with <column>_below and <column>_above: the sums over all rows that come before and after by `order`, whose values are
+    distinct. Rows are dealt to ranges; a range adds what the ranges before it sum up to."""
+    n = rows.count()
+    own = saved(rows.repartitionByRange(max(1, -(-n // range_rows)), order).withColumn("__part", F.spark_partition_id()), "ranges")
+    before, every = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = own.groupBy("__part").agg(*[F.sum(c).alias(f"__{c}") for c in columns])  # a row per range
+    sums = sums.select("__part", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}_before") for c in columns], *[F.sum(f"__{c}").over(every).alias(f"__{c}_all") for c in columns])
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = own.join(sums, "__part")
+    for c in columns:
+        out = out.withColumn(f"{c}_below", (F.col(f"__{c}_before") + F.coalesce(F.sum(c).over(inside), F.lit(0))).cast("long")).withColumn(f"{c}_above", (F.col(f"__{c}_all") - F.col(f"{c}_below") - F.col(c)).cast("long"))
+    return out.drop("__part", *[f"__{c}_{x}" for c in columns for x in ("before", "all")])

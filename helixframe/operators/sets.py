@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.variants import fill_type, normalised
+from helixframe.operators.ranges import chains
 
 
 def diff_samples(left: DataFrame, right: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -33,10 +34,8 @@ def intersect_sites(sets: dict[str, DataFrame], at_least: int = 1, at_most: int
     its first position."""
     all_ = tagged(sets).select("chrom", "pos", "src").distinct()
     if window:
-        w = Window.partitionBy("chrom").orderBy("pos", "src")
-        new = F.coalesce((F.col("pos") - F.lag("pos").over(w) > window).cast("int"), F.lit(1))
-        all_ = all_.withColumn("new", new).withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        by = all_.groupBy("chrom", "g").agg(F.min("pos").alias("pos"), F.array_join(F.array_sort(F.collect_set("src")), "+").alias("sources"), F.count_distinct("src").alias("n")).drop("g")
+        all_ = chains(all_.withColumn("end", F.col("pos")), "pos", "end", window, ("src",))
+        by = all_.groupBy("chrom", "chain").agg(F.min("pos").alias("pos"), F.array_join(F.array_sort(F.collect_set("src")), "+").alias("sources"), F.count_distinct("src").alias("n")).drop("chain")
     else:
         by = all_.groupBy("chrom", "pos").agg(F.array_join(F.array_sort(F.collect_set("src")), "+").alias("sources"), F.count("*").alias("n"))
     out = by.where(F.col("n") >= at_least)

@@ -78,43 +78,84 @@ def trivial_alignments(residues: DataFrame, sequences: DataFrame) -> DataFrame:
     return j.groupBy("chain_key").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("trivial"))
 
 
-def align_pair(a: str, b: str, open_gap: float = -10.0, extend: float = -0.5) -> tuple[str, str, float]:
-    """Global alignment with affine gaps: three score tables, filled by anti-diagonals."""
-    n, m = len(a), len(b)
-    rank = {c: i for i, c in enumerate(LETTERS)}
-    table = np.array(BLOSUM62, float)
-    ia, ib = (np.array([rank.get(c, rank["X"]) for c in s], int) for s in (a, b))
-    none = -1e18
-    tables = np.full((3, n + 1, m + 1), none)  # 0 pair, 1 gap in b, 2 gap in a
-    tables[0, 0, 0] = 0
-    tables[1, 1:, 0] = open_gap + extend * np.arange(n)
-    tables[2, 0, 1:] = open_gap + extend * np.arange(m)
-    for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        tables[0, i, j] = tables[:, i - 1, j - 1].max(0) + table[ia[i - 1], ib[j - 1]]
-        tables[1, i, j] = np.maximum(np.maximum(tables[0, i - 1, j], tables[2, i - 1, j]) + open_gap, tables[1, i - 1, j] + extend)
-        tables[2, i, j] = np.maximum(np.maximum(tables[0, i, j - 1], tables[1, i, j - 1]) + open_gap, tables[2, i, j - 1] + extend)
-    i, j, k = n, m, int(tables[:, n, m].argmax())
-    out_a, out_b = [], []
-    while i or j:
-        here = tables[k, i, j]
-        if k == 0:
-            i, j = i - 1, j - 1
-            out_a.append(a[i])
-            out_b.append(b[j])
-            k = int(tables[:, i, j].argmax())
-        elif k == 1:
-            i -= 1
-            out_a.append(a[i])
-            out_b.append("-")
-            k = 1 if i and abs(tables[1, i, j] + extend - here) < 1e-9 else int(np.argmax([tables[0, i, j], none, tables[2, i, j]]))
-        else:
-            j -= 1
-            out_a.append("-")
-            out_b.append(b[j])
-            k = 2 if j and abs(tables[2, i, j] + extend - here) < 1e-9 else int(np.argmax([tables[0, i, j], tables[1, i, j], none]))
-    return "".join(reversed(out_a)), "".join(reversed(out_b)), float(tables[:, n, m].max())
+class Aligner:
+    """Global alignment with affine gaps in linear space. A gap of k letters costs first + more * k. Rows are filled at once: a
+    gap along a row is a running maximum. Long pairs are halved where the rows from both ends fit best, and only stretches of
+    at most `cells` cells have tables to go back through."""
+
+    def __init__(self, open_gap: float = -10.0, extend: float = -0.5, cells: int = 1 << 20):
+        self.first, self.more, self.cells = open_gap - extend, extend, cells
+        self.rank = {c: i for i, c in enumerate(LETTERS)}
+        self.table = np.array(BLOSUM62, float)
+
+    def codes(self, letters: str) -> np.ndarray:
+        return np.array([self.rank.get(c, self.rank["X"]) for c in letters], int)
+
+    def rows(self, a: np.ndarray, b: np.ndarray, top: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(best, pair, down, along) of each row: letters paired, a gap in b, a gap in a. top: what a gap in b costs at first
+        that begins in the upper left corner, where it may go on from above."""
+        n, at = len(b), self.more * np.arange(len(b) + 1)
+        none = np.full(n + 1, -1e18)
+        best, down, along = self.first + at, none.copy(), self.first + at
+        best[0], along[0], down[0] = 0.0, -1e18, top
+        pair = none
+        yield best, pair, down, along
+        for x in a:
+            down = np.maximum(best + self.first, down) + self.more
+            pair = none.copy()
+            pair[1:] = best[:-1] + self.table[x, b]
+            before = np.maximum(pair, down)
+            along = none.copy()
+            along[1:] = self.first + at[1:] + np.maximum.accumulate(before - at)[:-1]
+            best = np.maximum(before, along)
+            yield best, pair, down, along
+
+    def last(self, a: np.ndarray, b: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
+        for best, _, down, _ in self.rows(a, b, top):
+            pass
+        return best, down
+
+    def path(self, a: np.ndarray, b: np.ndarray, top: float, bottom: float) -> tuple[str, float]:
+        """Steps P (a pair), D (a gap in b) and I (a gap in a), and the score."""
+        n, m = len(a), len(b)
+        if n < 2 or n * m <= self.cells:
+            return self.traced(a, b, top, bottom)
+        half = n // 2
+        best, down = self.last(a[:half], b, top)
+        best2, down2 = (x[::-1] for x in self.last(a[half:][::-1], b[::-1], bottom))
+        whole, cut = best + best2, down + down2 - self.first
+        j, k = int(whole.argmax()), int(cut.argmax())
+        if whole[j] >= cut[k]:
+            return self.path(a[:half], b[:j], top, self.first)[0] + self.path(a[half:], b[j:], self.first, bottom)[0], float(whole[j])
+        return self.path(a[: half - 1], b[:k], top, 0.0)[0] + "DD" + self.path(a[half + 1 :], b[k:], 0.0, bottom)[0], float(cut[k])
+
+    def traced(self, a: np.ndarray, b: np.ndarray, top: float, bottom: float) -> tuple[str, float]:
+        i, j = len(a), len(b)
+        if not j:
+            return "D" * i, (max(top, bottom) + self.more * i) if i else 0.0
+        best, pair, down, along = (np.array(x) for x in zip(*self.rows(a, b, top), strict=True))
+        score, ends = best[i, j], down[i, j] + bottom - self.first
+        steps, state = [], "D" if ends > score else ""
+        while i and j:
+            state = state or ("P" if pair[i, j] == best[i, j] else "D" if down[i, j] == best[i, j] else "I")
+            steps.append(state)
+            if state == "P":
+                i, j, state = i - 1, j - 1, ""
+            elif state == "D":
+                state = "" if best[i - 1, j] + self.first + self.more == down[i, j] else "D"
+                i -= 1
+            else:
+                state = "" if best[i, j - 1] + self.first + self.more == along[i, j] else "I"
+                j -= 1
+        return "I" * j + "D" * i + "".join(reversed(steps)), float(max(score, ends))
+
+
+def align_pair(a: str, b: str, open_gap: float = -10.0, extend: float = -0.5, cells: int = 1 << 20) -> tuple[str, str, float]:
+    """Global alignment with affine gaps: (a with gaps, b with gaps, score)."""
+    aligner = Aligner(open_gap, extend, cells)
+    steps, score = aligner.path(aligner.codes(a), aligner.codes(b), aligner.first, aligner.first)
+    left, right = iter(a), iter(b)
+    return "".join("-" if s == "I" else next(left) for s in steps), "".join("-" if s == "D" else next(right) for s in steps), score
 
 
 def global_alignments(pairs: DataFrame) -> DataFrame:
@@ -129,7 +170,7 @@ def global_alignments(pairs: DataFrame) -> DataFrame:
                 rows.append((key, x, y, score, round(same / max(1, min(len(a or ""), len(b or ""))), 6)))
             yield pd.DataFrame(rows, columns=["key", "a_aligned", "b_aligned", "score", "identity"])
 
-    return pairs.select("key", "a", "b").mapInPandas(run, "key long, a_aligned string, b_aligned string, score double, identity double")
+    return pairs.select("key", "a", "b").mapInPandas(run, f"key {pairs.schema['key'].dataType.simpleString()}, a_aligned string, b_aligned string, score double, identity double")
 
 
 def best_alignments(alignments: DataFrame, least: float = 0.85) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators import sites as S
+from helixframe.operators.ranges import running_sums
 from helixframe.operators.sites import ratio, rounded
 
 
@@ -34,14 +35,11 @@ def tstv_bins(variants: DataFrame, width: int) -> DataFrame:
 
 def tstv_by_quality(variants: DataFrame) -> DataFrame:
     """(qual, ts_below, tv_below, ts_above, tv_above): strictly below and above each quality. Counts are summed per quality
-    first, so the one ordered window has a row per distinct value."""
+    first, and then along ranges of qualities."""
     alt = F.col("alts")[0]
     own = S.biallelic(variants).where(S.is_single(F.col("ref"), alt) & F.col("qual").isNotNull()).withColumn("t", S.is_transition(F.col("ref"), alt))
     by = own.groupBy("qual").agg(F.count_if("t").alias("ts"), F.count_if(~F.col("t")).alias("tv"))
-    w = Window.orderBy("qual")
-    low, high = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    sums = [F.coalesce(F.sum(c).over(o), F.lit(0)).alias(f"{c}_{n}") for n, o in (("below", low), ("above", high)) for c in ("ts", "tv")]
-    return by.select("qual", *sums)
+    return running_sums(by, "qual", ["ts", "tv"]).select("qual", "ts_below", "tv_below", "ts_above", "tv_above")
 
 
 def tajima_d(variants: DataFrame, calls: DataFrame, width: int, n_samples: int) -> DataFrame:

@@ -253,10 +253,13 @@ def _(t):
     return P.snp_gap(sites_of(t), 600)
 
 
-@query("f32_gap_win", f"""WITH o AS (SELECT vid, chrom, pos, pos + length(ref) - 1 AS e, qual FROM variants WHERE {INDEL}), r AS (SELECT *, max(e + 700) OVER (PARTITION BY chrom ORDER BY pos, vid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
- c AS (SELECT *, CAST(SUM(CASE WHEN reach IS NULL OR pos > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY pos, vid) AS BIGINT) AS cluster FROM r) SELECT vid, chrom, cluster, row_number() OVER (PARTITION BY chrom, cluster ORDER BY qual DESC, pos, vid) = 1 AS passes FROM c""")
+@query("f32_gap_win", """WITH o AS (SELECT vid, chrom, pos + 1 AS f, pos + CASE WHEN length(alt1) <> length(ref) THEN abs(length(alt1) - length(ref)) ELSE abs(length(alt2) - length(ref)) END AS e,
+  CASE vid % 4 WHEN 0 THEN (vid % 5) / 10 WHEN 1 THEN (vid % 7) / 10 WHEN 2 THEN vid % 3 ELSE 0 END AS af FROM variants WHERE length(alt1) <> length(ref) OR length(alt2) <> length(ref)),
+ r AS (SELECT *, max(e + 700) OVER (PARTITION BY chrom ORDER BY f, vid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o), c AS (SELECT *, CAST(SUM(CASE WHEN reach IS NULL OR f > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY f, vid) AS BIGINT) AS cluster FROM r)
+ SELECT vid, chrom, cluster, row_number() OVER (PARTITION BY chrom, cluster ORDER BY af DESC, f, vid) = 1 AS passes FROM c""")
 def _(t):
-    return P.gap_window(sites_of(t), 700)
+    f = F.when(F.col("vid") % 4 == 0, F.concat(F.lit(";AF="), (F.col("vid") % 5 / 10).cast("string"), F.lit(",9;AC=8"))).when(F.col("vid") % 4 == 1, F.concat(F.lit(";AF1="), (F.col("vid") % 7 / 10).cast("string"))).when(F.col("vid") % 4 == 2, F.concat(F.lit(";AC="), (F.col("vid") % 3).cast("string"))).otherwise("")
+    return P.gap_window(info_map(sites_of(t).withColumn("info", F.concat("info", f))), 700)
 
 
 @query("f33_snp_cluster", """WITH a AS (SELECT vid, chrom, pos, count(*) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN CURRENT ROW AND 1499 FOLLOWING) AS n FROM variants), b AS (SELECT vid, max(n) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 1499 PRECEDING AND CURRENT ROW) AS m FROM a) SELECT vid FROM b WHERE m >= 5""")

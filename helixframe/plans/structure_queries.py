@@ -228,11 +228,9 @@ def _(t):
 
 def aligned(t):
     """Each chain's whole sequence against that of every other chain of its structure that comes after it."""
-    from pyspark.sql import Window
-
-    s = S.chain_sequences(one_residue(t)).withColumn("k", F.row_number().over(Window.orderBy("structid", "chain")))
-    b = s.select("structid", F.col("chain").alias("chain2"), F.col("seq").alias("b"), F.col("k").alias("k2"))
-    return S.global_alignments(s.join(b, "structid").where("chain < chain2").select((F.col("k") * 100_000 + F.col("k2")).cast("long").alias("key"), F.col("seq").alias("a"), "b"))
+    s = S.chain_sequences(one_residue(t))
+    b = s.select("structid", F.col("chain").alias("chain2"), F.col("seq").alias("b"))
+    return S.global_alignments(s.join(b, "structid").where("chain < chain2").select(F.concat_ws(":", "structid", "chain", "chain2").alias("key"), F.col("seq").alias("a"), "b"))
 
 
 @query("t6_global_align")
@@ -242,7 +240,7 @@ def _(t):
 
 @query("t7_best_alignment")
 def _(t):
-    return S.best_alignments(aligned(t).withColumn("gene", F.floor(F.col("key") / 100_000)), 0.1)
+    return S.best_alignments(aligned(t).withColumn("gene", F.regexp_extract("key", "^(.*):", 1)), 0.1)
 
 
 @query("a53_alignment_stats", """WITH p AS (SELECT seq_id AS key, unnest(range(1, CAST(length(seq) AS BIGINT) + 1)) AS i, seq FROM sequences), c AS (SELECT key, substr(seq, i, 1) AS a, CASE WHEN i % 4 = 0 THEN 'A' ELSE substr(seq, i, 1) END AS b, length(seq) AS n FROM p)

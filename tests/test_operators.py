@@ -210,6 +210,60 @@ def test_joined_chunks_have_the_haplotypes_that_they_were_cut_from(spark):
         assert all(rows_[s, 30].n_sites == 0 and rows_[s, 30].quality == 0 and rows_[s, 10].quality > 3 for s in range(6)) and (0, 0) not in rows_
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("ACDW", max_size=14), st.text("ACDWX", max_size=14), st.sampled_from([(-10.0, -0.5), (-2.0, -1.0), (-3.0, -0.5)]), st.sampled_from([1, 6, 30]))
+def test_halved_alignments_are_as_good(a, b, costs, cells):
+    want = structure.align_pair(a, b, *costs)
+    x, y, score = structure.align_pair(a, b, *costs, cells=cells)
+    assert score == want[2] and x.replace("-", "") == a and y.replace("-", "") == b and len(x) == len(y)
+    rank = {c: i for i, c in enumerate(structure.LETTERS)}
+    own, gap = 0.0, ""
+    for p, q in zip(x, y, strict=True):
+        assert (p, q) != ("-", "-")
+        side = "a" if p == "-" else "b" if q == "-" else ""
+        own += structure.BLOSUM62[rank[p]][rank[q]] if not side else costs[1] if side == gap else costs[0]
+        gap = side
+    assert own == score
+
+
+def test_long_alignment_takes_little_memory():
+    import tracemalloc
+
+    r = random.Random(1)
+    a = "".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=6000))
+    b = a[:1000] + a[1300:4000] + "W" * 200 + a[4000:]
+    tracemalloc.start()
+    x, y, _ = structure.align_pair(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150_000_000 and x.count("-") == 200 and y.count("-") == 300
+
+
+def test_scans_do_not_depend_on_bins(spark):
+    """Chains of intervals, dense runs and running sums against loops, for bins and ranges of any size."""
+    r = random.Random(2)
+    rows = [(k, r.choice("xy"), r.randint(0, 3000), r.choice([1, 2, 30, 400])) for k in range(150)]
+    df = spark.createDataFrame(rows, "vid long, chrom string, a long, n long").withColumn("b", F.col("a") + F.col("n"))
+    want, dense = {}, set()
+    for chrom in "xy":
+        number, reach = 0, None
+        for a, k, n in sorted((a, k, n) for k, c, a, n in rows if c == chrom):
+            number += reach is None or a > reach + 5
+            reach = max(reach or 0, a + n)
+            want[k] = number
+        places = sorted((a, k) for k, c, a, _ in rows if c == chrom)
+        for a, _ in places:
+            run = [k for p, k in places if a <= p < a + 60]
+            dense |= set(run) if len(run) >= 4 else set()
+    for width in (7, 90, 100_000):
+        assert {x.vid: x.chain for x in ranges.chains(df, "a", "b", 5, ("vid",), width).collect()} == want
+        assert {x.vid for x in filters.snp_cluster(df.withColumnRenamed("a", "pos"), 4, 60, width).collect()} == dense
+    values = spark.createDataFrame([(float(k) * 1.5, k % 3, k) for k in range(40)], "q double, u long, v long").repartition(3)
+    for each in (6, 100_000):
+        got = ranges.running_sums(values, "q", ["u", "v"], each).collect()
+        assert all(x.u_below == sum(k % 3 for k in range(x.v)) and x.v_above == sum(range(x.v + 1, 40)) for x in got) and len(got) == 40
+
+
 def test_permutation_keeps_labels_and_places(spark):
     df = spark.createDataFrame([("g", i, i * 10) for i in range(50)] + [("h", i, i) for i in range(20)], "group string, place long, label long")
     rows = structure.permutations(df, 2).collect()
