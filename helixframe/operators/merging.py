@@ -102,3 +102,54 @@ def diff_sites(left: DataFrame, right: DataFrame, bin_width: int = 100_000) -> D
         return pd.DataFrame(out, columns=["chrom", "pos1", "pos2", "kind", "ref1", "ref2"]).astype({"pos1": "Int64", "pos2": "Int64"})
 
     return rows.groupBy("chrom", "bin").cogroup(entered.groupBy("chrom", "bin")).applyInPandas(take, "chrom string, pos1 long, pos2 long, kind string, ref1 string, ref2 string")
+
+
+def without_overlaps(rows: DataFrame, bin_width: int = 100_000) -> DataFrame:
+    """rows (contig, start, end, order): those that are taken if a contig is gone through in the order of start and `order`, and a
+    row is skipped that starts before the end of the last one taken. end is exclusive.
+
+    The state is that end. A bin goes through its rows for every end that reaches into it, these maps are followed along the
+    contig, and then each bin goes through its rows once."""
+    own = saved(rows.withColumn("bin", F.floor(F.col("start") / bin_width)), "rows")
+    last = F.floor((F.col("end") - 1) / bin_width)
+    ends = own.where(last > F.col("bin")).select("contig", F.explode(F.sequence(F.col("bin") + 1, last)).alias("bin"), "end").distinct()
+    both = own.select("contig", "bin", "start", "end", "order", F.lit(False).alias("entry")).union(ends.select("contig", "bin", F.lit(None).cast("long"), "end", F.lit(None).cast(own.schema["order"].dataType), F.lit(True)))
+
+    def gone_through(part: pd.DataFrame, at: int) -> list[int]:
+        taken = []
+        for k, start, end in zip(part.index, part["start"], part["end"], strict=True):
+            if start >= at:
+                taken.append(k)
+                at = end
+        return taken
+
+    def maps(part: pd.DataFrame) -> pd.DataFrame:
+        here = part[~part["entry"]].sort_values(["start", "order"])
+        out = []
+        for at in [0, *sorted(set(part["end"][part["entry"]].tolist()))]:
+            taken = gone_through(here, at)
+            out.append((part["contig"].iloc[0], part["bin"].iloc[0], at, max(at, here["end"][taken[-1]]) if taken else at))
+        return pd.DataFrame(out, columns=["contig", "bin", "at", "to"])
+
+    contig = own.schema["contig"].dataType.simpleString()
+
+    def follow(part: pd.DataFrame) -> pd.DataFrame:
+        lead: dict = {}
+        for b, at, to in part[["bin", "at", "to"]].itertuples(index=False):
+            lead.setdefault(b, {})[at] = to
+        state, out = 0, []
+        for b in sorted(lead):
+            state = state if state > b * bin_width else 0
+            out.append((part["contig"].iloc[0], b, state))
+            state = lead[b][state]
+        return pd.DataFrame(out, columns=["contig", "bin", "at"])
+
+    entered = both.groupBy("contig", "bin").applyInPandas(maps, f"contig {contig}, bin long, at long, to long").groupBy("contig").applyInPandas(follow, f"contig {contig}, bin long, at long")
+
+    def take(part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return part
+        part = part.sort_values(["start", "order"])
+        return part.loc[gone_through(part, int(entry["at"].iloc[0]))]
+
+    return own.groupBy("contig", "bin").cogroup(entered.groupBy("contig", "bin")).applyInPandas(take, own.schema).drop("bin")

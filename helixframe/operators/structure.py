@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.variants import event, iupac, reshaped_likelihoods
+from helixframe.operators.merging import without_overlaps
 from helixframe.operators.ranges import range_join
 
 LETTERS = "ARNDCQEGHILKMFPSTWYVBZX*"
@@ -224,23 +225,32 @@ def flanks(variants: DataFrame, chunks: DataFrame, size: int, length: int, masks
     return variants.join(left, F.col("vid") == left["key"]).join(right, F.col("vid") == right["key"]).select("vid", F.concat("l", F.lit("["), "ref", F.lit("/"), "alt", F.lit("]"), "r").alias("text"))
 
 
-def consensus(reference: DataFrame, variants: DataFrame) -> DataFrame:
-    """(contig, seq): variants (contig, pos, ref, alt) applied in order; one that overlaps the last applied one is skipped.
-    A contig's variants and text are one group: an upper bound is the longest contig."""
-
-    def apply(key: tuple, seqs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(seqs):
-            return pd.DataFrame({"contig": [], "seq": []})
-        seq, out, at = seqs["seq"].iloc[0], [], 0
-        for pos, ref, alt in sorted(zip(own["pos"], own["ref"], own["alt"], strict=True)):
-            start = pos - 1
-            if start < at or seq[start : start + len(ref)] != ref:
-                continue
-            out += [seq[at:start], alt]
-            at = start + len(ref)
-        return pd.DataFrame({"contig": [key[0]], "seq": ["".join([*out, seq[at:]])]})
-
-    return reference.groupBy("contig").cogroup(variants.groupBy("contig")).applyInPandas(apply, f"contig {reference.schema['contig'].dataType.simpleString()}, seq string")
+def consensus_chunks(chunks: DataFrame, variants: DataFrame, size: int) -> DataFrame:
+    """(contig, chunk, text): the reference's chunks with the variants (contig, pos, ref, alt) applied in the order of their
+    places. One whose reference is not there, whatever the case, or that overlaps the last applied one, is skipped. An
+    alternative is in lower case where the reference is. A variant is written in the chunk in which it starts; the chunks that
+    it reaches into leave its bases out."""
+    v = variants.select("contig", F.col("pos").cast("long").alias("pos"), "ref", "alt").where("length(ref) > 0").distinct()
+    key = F.struct("ref", "alt")
+    spans = v.select(F.struct("pos", "ref", "alt").alias("key"), "contig", F.col("pos").alias("start"), (F.col("pos") + F.length("ref")).alias("end"))
+    real = fetch(spans, chunks, size).where(F.upper("seq") == F.upper(F.col("key")["ref"])).select("contig", (F.col("start") - 1).alias("start"), (F.col("end") - 1).alias("end"), F.col("key")["ref"].alias("ref"), F.col("key")["alt"].alias("alt"), (F.lower("seq") == F.col("seq")).alias("low"))
+    ordered = real.withColumn("alt", F.when(F.col("low"), F.lower("alt")).otherwise(F.col("alt"))).select("contig", "start", "end", key.alias("order"))
+    taken = without_overlaps(ordered.withColumn("order", F.to_json("order")), max(size, 1000)).withColumn("alt", F.get_json_object("order", "$.alt"))
+    into = taken.select("contig", "start", "end", "alt", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias("chunk"))
+    edits = into.groupBy("contig", "chunk").agg(F.array_sort(F.collect_list(F.struct("start", "end", "alt"))).alias("edits"))  # at most a chunk's bases
+    base = F.col("chunk") * size
+    step = lambda acc, e: F.struct(
+        F.concat(acc["made"], F.substring("text", acc["at"] - base + 1, F.greatest(e["start"] - acc["at"], F.lit(0))), F.when(e["start"] >= base, e["alt"]).otherwise("")).alias("made"), e["end"].alias("at"))
+    done = F.aggregate("edits", F.struct(F.lit("").alias("made"), base.alias("at")), step)
+    made = F.concat(done["made"], F.substring("text", done["at"] - base + 1, F.greatest(base + F.length("text") - done["at"], F.lit(0))))
+    return chunks.join(edits, ["contig", "chunk"], "left").select("contig", "chunk", F.when(F.col("edits").isNull(), F.col("text")).otherwise(made).alias("text"))
+
+
+def consensus(reference: DataFrame, variants: DataFrame, size: int = 100_000) -> DataFrame:
+    """(contig, seq) of (contig, seq): consensus_chunks, put together again to a row per contig. For contigs that are too long
+    for a row, take the chunks."""
+    parts = consensus_chunks(chunked(reference, size), variants, size)
+    return parts.groupBy("contig").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "").alias("seq"))
 
 
 def contrast(calls: DataFrame, plus: list, minus: list, least_dp: int = 0) -> DataFrame:

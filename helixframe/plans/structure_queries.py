@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import variants as V
 from helixframe.operators import structure as S
+from helixframe.operators.stats import user_stats
+from helixframe.plans.filter_queries import info_map
 from helixframe.plans.function_queries import lines_of
 from helixframe.plans.registry import query
 from helixframe.plans.site_queries import sites_of
@@ -292,12 +294,16 @@ def _(t):
     return S.flanks(placed(t).select("vid", "contig", "pos", F.lit("R").alias("ref"), F.col("alt1").alias("alt")), chunks, 64, 5, masks, lower=True)
 
 
-@query("t10_consensus", """WITH v AS (SELECT seq_id AS contig, unnest([3, 9, 20]) AS pos, seq FROM sequences WHERE length(seq) >= 30) SELECT DISTINCT contig, concat(substr(seq, 1, 2), 'ZZ', substr(seq, 4, 5), substr(seq, 9, 1), 'Z', substr(seq, 11)) AS seq FROM v""")
+@query("t10_consensus", """WITH b AS (SELECT seq_id, seq, unnest(range(0, length(seq) // 10 + 1)) AS k FROM sequences), p AS (SELECT seq_id, k, substr(seq, CAST(10 * k + 1 AS BIGINT), 10) AS w FROM b),
+ e AS (SELECT seq_id, k, CASE WHEN length(w) < 10 THEN w WHEN (seq_id + k) % 3 > 0 THEN concat(substr(w, 1, 2), 'ZZ', substr(w, 7, 1), 'Y', substr(w, 9)) ELSE concat(substr(w, 1, 4), 'QQQ', substr(w, 6, 2), 'Y', substr(w, 9)) END AS w FROM p) SELECT seq_id AS contig, string_agg(w, '' ORDER BY k) AS seq FROM e GROUP BY seq_id""")
 def _(t):
-    ref = t.sequences.where("length(seq) >= 30").select(F.col("seq_id").alias("contig"), "seq")
-    at = F.explode(F.array(F.lit(3), F.lit(10), F.lit(11)))
-    v = ref.select("contig", at.alias("pos"), "seq").withColumn("ref", F.when(F.col("pos") == 11, "?").otherwise(F.expr("substring(seq, pos, 1)"))).withColumn("alt", F.when(F.col("pos") == 3, "ZZ").otherwise("Z"))
-    return S.consensus(ref, v.select("contig", "pos", "ref", "alt"))
+    ref = t.sequences.select(F.col("seq_id").alias("contig"), "seq")
+    own = ref.where("length(seq) >= 10").select("contig", "seq", F.explode(F.expr("sequence(0, cast(floor(length(seq) / 10) as int) - 1)")).alias("k"))
+    piece = lambda at, n: F.substring("seq", 10 * F.col("k") + at, F.lit(n))
+    # The first of three is there in two of three stretches, and then takes the second one's place.
+    first = F.struct((10 * F.col("k") + 3).alias("pos"), F.when((F.col("contig") + F.col("k")) % 3 > 0, piece(3, 4)).otherwise("????").alias("ref"), F.lit("ZZ").alias("alt"))
+    second, third = F.struct((10 * F.col("k") + 5).alias("pos"), piece(5, 1).alias("ref"), F.lit("QQQ").alias("alt")), F.struct((10 * F.col("k") + 8).alias("pos"), piece(8, 1).alias("ref"), F.lit("Y").alias("alt"))
+    return S.consensus(ref, own.select("contig", F.inline(F.array(first, second, third))), 1000)
 
 
 _CODES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in V.IUPAC.items()) + "}"
@@ -385,8 +391,6 @@ def _(t):
 
 @query("t19_remove_tags", "SELECT vid, CASE WHEN filter IS NULL THEN '.' WHEN filter = 'q10;s50' THEN 's50' ELSE '' END AS filters, CASE WHEN vid % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN vid % 19 = 0 THEN 0 ELSE 1 END + 1 AS n_info FROM variants")
 def _(t):
-    from helixframe.plans.filter_queries import info_map
-
     v = S.remove_tags(info_map(sites_of(t)), ["AA"], ["q10"], True)
     return v.select("vid", F.coalesce(F.array_join("filters", ";"), F.lit(".")).alias("filters"), F.size("info_map").alias("n_info"))
 
@@ -413,6 +417,28 @@ def _(t):
     return S.variant_counts(sites_of(t), t.calls, F.col("qual"), 20, 60)
 
 
+_EVENT = "CASE WHEN {a} = ref THEN 'r0' WHEN length({a}) = length(ref) THEN concat('s', CAST(len([i FOR i IN range(1, length(ref) + 1) IF substr(ref, i, 1) <> substr({a}, i, 1)]) AS VARCHAR)) WHEN starts_with(ref, {a}) OR starts_with({a}, ref) OR ends_with(ref, {a}) OR ends_with({a}, ref) THEN CASE WHEN length({a}) > length(ref) THEN concat('i+', CAST(length({a}) - length(ref) AS VARCHAR)) ELSE concat('i', CAST(length({a}) - length(ref) AS VARCHAR)) END ELSE 'o' END"
+_KIND = "CASE left({t}, 1) WHEN 'r' THEN 'ref' WHEN 's' THEN 'snp' WHEN 'i' THEN 'indel' ELSE 'other' END"
+
+
+@query("a42_user_stats", f"""WITH fc AS (SELECT * FROM calls WHERE a1 IS NOT NULL AND a2 IS NOT NULL), pe AS (SELECT vid, count(*) FILTER (a1 > 0 OR a2 > 0) AS carriers, count(*) FILTER (a1 = 1 OR a2 = 1) > 0 AS one, count(*) FILTER (a1 = 2 OR a2 = 2) > 0 AS two FROM fc GROUP BY vid),
+ si AS (SELECT v.*, COALESCE(carriers, 0) AS carriers, CAST(COALESCE(one, false) AS INT) + CAST(COALESCE(two, false) AS INT) AS n_alt FROM variants v LEFT JOIN pe USING (vid)),
+ al AS (SELECT vid, ref, a, {_EVENT.format(a="a")} AS t FROM (SELECT vid, ref, unnest([x FOR x IN [alt1, alt2] IF x IS NOT NULL]) AS a FROM variants)),
+ la AS (SELECT vid, ref, a, t, 'change' AS stat, concat(ref, '>', a) AS key FROM al WHERE t = 's1' UNION ALL SELECT vid, ref, a, t, CASE WHEN concat(ref, a) IN ('AG', 'GA', 'CT', 'TC') THEN 'ts' ELSE 'tv' END, '' FROM al WHERE t = 's1' UNION ALL SELECT vid, ref, a, t, 'indel', substr(t, 2) FROM al WHERE starts_with(t, 'i')),
+ en AS (SELECT vid, 'count' AS stat, '' AS key FROM si UNION ALL SELECT vid, 'n_alt', CAST(n_alt AS VARCHAR) FROM si UNION ALL SELECT DISTINCT vid, {_KIND.format(t="t")}, '' FROM al UNION ALL SELECT vid, stat, key FROM la),
+ bq AS (SELECT vid, floor(qual / 20) * 20 AS q, TRY_CAST(regexp_extract(info, 'DP=([0-9]+)', 1) AS INT) AS d FROM si),
+ sc AS (SELECT vid, 'all' AS scope FROM si UNION ALL SELECT vid, concat('FILTER/', COALESCE(unnest(string_split(filter, ';')), '.')) FROM si WHERE filter IS NOT NULL UNION ALL SELECT vid, 'FILTER/.' FROM si WHERE filter IS NULL
+  UNION ALL SELECT vid, concat('QUAL/', CASE WHEN q > 60 THEN '>60' ELSE CAST(CAST(q AS INT) AS VARCHAR) END) FROM bq UNION ALL SELECT vid, concat('INFO/DP/', CASE WHEN d // 50 * 50 > 100 THEN '>100' ELSE CAST(d // 50 * 50 AS VARCHAR) END) FROM bq UNION ALL SELECT vid, 'INFO/DB' FROM si WHERE info LIKE '%;DB%'),
+ ca AS (SELECT fc.vid, sample, a1, a2, COALESCE(phased, false) AS ph, dp, gq, carriers FROM fc JOIN si USING (vid)),
+ ce AS (SELECT DISTINCT vid, sample, unnest([a1, a2]) AS k FROM ca), ct AS (SELECT ce.vid, sample, CASE WHEN k = 0 THEN v.ref WHEN k = 1 THEN alt1 ELSE alt2 END AS a, v.ref FROM ce JOIN variants v USING (vid)), cx AS (SELECT DISTINCT vid, sample, ref, a, CASE WHEN a = ref THEN 'r0' ELSE {_EVENT.format(a="a")} END AS t FROM ct WHERE a IS NOT NULL),
+ ke AS (SELECT vid, sample, 'count' AS stat, '' AS key FROM ca UNION ALL SELECT vid, sample, CASE WHEN a1 = a2 AND a1 = 0 THEN 'hom_RR' WHEN a1 = 0 OR a2 = 0 THEN 'het_RA' WHEN a1 = a2 THEN 'hom_AA' ELSE 'het_AA' END, '' FROM ca UNION ALL SELECT vid, sample, CASE WHEN ph THEN 'phased' ELSE 'unphased' END, '' FROM ca
+  UNION ALL SELECT DISTINCT vid, sample, {_KIND.format(t="t")}, '' FROM cx UNION ALL SELECT cx.vid, sample, stat, key FROM cx JOIN la ON la.vid = cx.vid AND la.a = cx.a WHERE cx.t <> 'r0' UNION ALL SELECT vid, sample, 'private', '' FROM ca WHERE carriers = 1 AND (a1 > 0 OR a2 > 0)),
+ ks AS (SELECT vid, sample, 'all' AS scope FROM ca UNION ALL SELECT vid, sample, concat('FORMAT/GQ/', CAST(gq // 25 * 25 AS VARCHAR)) FROM ca UNION ALL SELECT vid, sample, concat('SAMPLE/3/DP/', CASE WHEN dp IS NULL THEN '.' WHEN dp // 10 * 10 > 30 THEN '>30' ELSE CAST(dp // 10 * 10 AS VARCHAR) END) FROM ca WHERE sample = 3)
+ SELECT scope, CAST(NULL AS INT) AS sample, stat, key, count(*) AS n FROM en JOIN sc USING (vid) GROUP BY ALL UNION ALL SELECT 'all', NULL, 'shared', CAST(carriers AS VARCHAR), count(*) FROM si GROUP BY carriers UNION ALL SELECT scope, sample, stat, key, count(*) FROM ke JOIN ks USING (vid, sample) GROUP BY ALL""")
+def _(t):
+    return user_stats(info_map(sites_of(t)), t.calls, ["FILTER", "QUAL=20:60", "INFO/DP=50:100", "INFO/DB=flag", "FORMAT/GQ=25:100", "SAMPLE/3/DP=10:30"])
+
+
 @query("a42_sample_stats", """WITH c AS (SELECT sample, vid, a1, a2 FROM calls WHERE a1 > 0 OR a2 > 0), k AS (SELECT vid, count(DISTINCT sample) AS n FROM c GROUP BY vid)
  SELECT sample, count(*) AS n, count(*) FILTER (length(ref) = 1 AND alt2 IS NULL) AS n_snp, count(*) FILTER (length(ref) > 1 OR alt2 IS NOT NULL) AS n_indel, count(*) FILTER (alt2 IS NOT NULL) AS n_multi, count(*) FILTER (k.n = 1) AS n_private, count(*) FILTER (k.n > 1) AS n_shared,
  count(*) FILTER (length(ref) = 1 AND alt2 IS NULL AND concat(ref, alt1) IN ('AG', 'GA', 'CT', 'TC')) AS n_ts FROM c JOIN k USING (vid) JOIN variants USING (vid) GROUP BY sample""")

@@ -264,6 +264,45 @@ def test_scans_do_not_depend_on_bins(spark):
         assert all(x.u_below == sum(k % 3 for k in range(x.v)) and x.v_above == sum(range(x.v + 1, 40)) for x in got) and len(got) == 40
 
 
+@pytest.mark.parametrize("size", [3, 10, 64, 1000])
+def test_consensus_like_one_by_one(spark, size):
+    r = random.Random(size)
+    contigs = {"x": "".join(r.choices("ACGT", k=300)), "y": "".join(r.choices("acgt", k=77)), "z": "", "w": "ACGTACGTAC"}
+    rows = []
+    for c, seq in contigs.items():
+        for _ in range(len(seq) // 2):
+            pos, n = r.randint(1, len(seq) + 2), r.choice([1, 1, 2, 5, 40])
+            ref = seq[pos - 1 : pos - 1 + n].upper()
+            rows.append((c, pos, r.choice([ref, ref, ref, "ACT"]), r.choice(["", "T", "GATTACA", "G"])))
+    rows += rows[:5] + [("w", 1, "ACGTACGTAC", "T"), ("other", 1, "A", "T")]
+    want = {}
+    for c, seq in contigs.items():
+        out, at = [], 0
+        for pos, ref, alt in sorted({x[1:] for x in rows if x[0] == c}):
+            was = seq[pos - 1 : pos - 1 + len(ref)]
+            if ref and pos - 1 >= at and was.upper() == ref:
+                out += [seq[at : pos - 1], alt.lower() if was == was.lower() else alt]
+                at = pos - 1 + len(ref)
+        want[c] = "".join([*out, seq[at:]])
+    got = structure.consensus(spark.createDataFrame(list(contigs.items()), "contig string, seq string"), spark.createDataFrame(rows, "contig string, pos long, ref string, alt string").repartition(3), size)
+    assert {x.contig: x.seq for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("width", [4, 50, 100_000])
+def test_rows_without_overlaps_like_one_by_one(spark, width):
+    r = random.Random(width)
+    rows = [(r.choice("ab"), s, s + r.choice([1, 2, 9, 120]), k) for k, s in enumerate(r.randint(0, 900) for _ in range(200))]
+    want = set()
+    for c in "ab":
+        at = 0
+        for s, k, e in sorted((s, k, e) for c_, s, e, k in rows if c_ == c):
+            if s >= at:
+                want.add(k)
+                at = e
+    got = merging.without_overlaps(spark.createDataFrame(rows, "contig string, start long, end long, order long"), width)
+    assert {x.order for x in got.collect()} == want
+
+
 def test_permutation_keeps_labels_and_places(spark):
     df = spark.createDataFrame([("g", i, i * 10) for i in range(50)] + [("h", i, i) for i in range(20)], "group string, place long, label long")
     rows = structure.permutations(df, 2).collect()
