@@ -10,6 +10,7 @@ from helixframe.plans.registry import query
 from helixframe.plans.site_queries import sites_of
 from helixframe.sources import exports as X
 from helixframe.sources import vcf as R
+from helixframe.sources.scratch import folder
 
 _ALTS = "[x FOR x IN [alt1, alt2] IF x IS NOT NULL]"
 _FILTER = "CASE WHEN filter IS NULL THEN '.' ELSE filter END"
@@ -53,9 +54,11 @@ def _(t):
     return a.select("vid", "alt", "x.alt_type", F.col("x.pos").alias("mate"), "x.seq")
 
 
-@query("s24_region_scan", "SELECT vid, pos FROM variants WHERE chrom = 'chr3' AND pos >= 50000 AND pos < 90000")
+@query("s24_region_scan", "SELECT vid, pos, ref FROM variants WHERE chrom = 'chr3' AND pos >= 50000 AND pos < 90000")
 def _(t):
-    return t.variants.where((F.col("chrom") == "chr3") & F.col("pos").between(50000, 89999)).select("vid", "pos")
+    at = folder(t.spark, "store")
+    R.store(t.variants.select("vid", "chrom", "pos", "ref"), at)
+    return R.region_scan(t.spark, at, "chr3", 50_000, 90_000).select("vid", "pos", "ref")
 
 
 @query("p1_parse_csq", """WITH s AS (SELECT vid, string_split(csq, '|') AS f FROM consequences) SELECT vid, replace(f[1], '&', ';') AS consequence, f[2] AS feature, NULLIF(split_part(f[3], '/', 1), '') AS ref_amino_acid, NULLIF(split_part(f[3], '/', 2), '') AS alt_amino_acid, TRY_CAST(split_part(f[4], '-', 1) AS INT) AS protein_pos, CAST(f[5] = 'YES' AS INT) AS canonical, NULLIF(replace(f[6], '&', ','), '') AS existing_variation FROM s""")
@@ -241,10 +244,18 @@ def _(t):
     return R.vcf_lines(sites_of(t).withColumn("info_text", F.col("info")), t.calls, list(range(20))).select(F.md5("value").alias("line"))
 
 
-@query("w2_vcf_to_table", "SELECT chrom, pos, alt1 AS alt, 3 * size AS dp, regexp_extract(info, 'AA=([ACGT])', 1) AS aa FROM variants")
+_DECLARED = ['##INFO=<ID=DP,Number=1,Type=Integer,Description="">', '##INFO=<ID=AA,Number=1,Type=String,Description="">', '##INFO=<ID=DB,Number=0,Type=Flag,Description="">', '##INFO=<ID=MQ,Number=1,Type=Float,Description="">',
+             '##INFO=<ID=AF,Number=A,Type=Float,Description="">', '##INFO=<ID=AD,Number=R,Type=Integer,Description="">', '##INFO=<ID=pos,Number=1,Type=Integer,Description="">']
+
+
+@query("w2_vcf_to_table", """SELECT chrom, pos, id, ref, alt, qual, CASE WHEN filter IS NULL THEN '.' WHEN filter = 'PASS' THEN '' ELSE filter END AS filters, 3 * size AS dp, regexp_extract(info, 'AA=([ACGT])', 1) AS aa, vid % 4 = 0 AS db, CASE WHEN vid % 19 <> 0 THEN CAST(vid % 60 AS DOUBLE) END AS mq,
+ CASE WHEN k = 1 THEN (vid % 10) / 10 ELSE 0.5 END AS af, CASE WHEN k = 1 THEN vid % 7 ELSE 3 END AS ad, CASE WHEN vid % 3 = 0 THEN vid END AS pos_2 FROM (SELECT *, unnest([1, 2]) AS k, unnest([alt1, alt2]) AS alt FROM variants) WHERE alt IS NOT NULL""")
 def _(t):
-    v = R.parse_lines(lines_of(t))
-    return v.select("chrom", "pos", F.get("alts", F.lit(0)).alias("alt"), R.typed_info(F.col("info"), "DP").alias("dp"), R.typed_info(F.col("info"), "AA").alias("aa"))
+    v = t.variants
+    two = F.col("alt2").isNotNull()
+    more = F.concat(F.lit(";AF="), (F.col("vid") % 10 / 10).cast("string"), F.when(two, ",0.5").otherwise(""), F.lit(";AD=1,"), (F.col("vid") % 7).cast("string"), F.when(two, ",3").otherwise(""), F.when(F.col("vid") % 3 == 0, F.concat(F.lit(";pos="), F.col("vid").cast("string"))).otherwise(""))
+    lines = v.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", F.concat_ws(",", "alt1", "alt2"), F.col("qual").cast("string"), F.coalesce("filter", F.lit(".")), F.concat("info", more)).alias("value"))
+    return R.typed_table(R.parse_lines(lines), R.parse_header(_DECLARED), per_allele=True).withColumn("filters", F.coalesce(F.array_join("filters", ";"), F.lit(".")))
 
 
 @query("w4_to_012", "SELECT c.vid, sample, CASE WHEN a1 IS NULL AND a2 IS NULL THEN -1 WHEN a1 = 0 AND a2 = 0 THEN 0 WHEN a1 > 0 AND a2 > 0 THEN 2 ELSE 1 END AS code FROM calls c JOIN variants USING (vid) WHERE alt2 IS NULL")
@@ -262,9 +273,18 @@ def _with_alleles(t):
     return X.with_alleles(sites_of(t), t.calls)
 
 
-@query("w5_to_plink_ped", f"SELECT sample, md5(concat_ws(chr(9), CAST(sample AS VARCHAR), CAST(sample AS VARCHAR), '0', '0', '0', '0', string_agg(concat({_ALL.format('a1')}, ' ', {_SECOND}), chr(9) ORDER BY chrom, pos))) AS line FROM calls JOIN variants USING (vid) GROUP BY sample")
+_PED = f"string_agg(concat({_ALL.format('a1')}, ' ', {_SECOND}), chr(9) ORDER BY pos)"
+
+
+@query("w5_to_plink_ped", f"SELECT sample, chrom, pos // 50000 AS bin, {_PED} AS line FROM calls JOIN variants USING (vid) GROUP BY ALL")
 def _(t):
-    return X.plink_ped(_with_alleles(t)).withColumn("line", F.md5("line"))
+    return X.plink_ped(_with_alleles(t), 50_000)
+
+
+@query("w5_whole_ped_lines", f"SELECT sample, concat_ws(chr(9), CAST(sample AS VARCHAR), CAST(sample AS VARCHAR), '0', '0', '0', '0', {_PED.replace('ORDER BY pos', 'ORDER BY chrom, pos')}) AS line FROM calls JOIN variants USING (vid) WHERE chrom < 'chr3' GROUP BY sample")
+def _(t):
+    rows = _with_alleles(t).where("chrom < 'chr3'")
+    return X.whole_lines(X.plink_ped(rows, 50_000), {"line": "\t"}, X.plink_family(rows.select("sample").distinct()))
 
 
 @query("w5_to_plink_map", "SELECT vid, concat_ws(chr(9), substr(chrom, 4), COALESCE(id, concat(chrom, ':', CAST(pos AS VARCHAR))), '0', CAST(pos AS VARCHAR)) AS line FROM variants")
@@ -289,9 +309,9 @@ def _(t):
 
 for _name, _expr in (("w8_to_ldhat_phased", "COALESCE(CAST(a1 AS VARCHAR), '?')"), ("w9_to_ldhat_unphased", "CASE WHEN a1 IS NULL OR a2 IS NULL THEN '?' WHEN a1 <> a2 THEN '2' ELSE CAST(a1 AS VARCHAR) END")):
 
-    @query(_name, f"SELECT sample, string_agg({_expr}, '' ORDER BY pos) AS sites, string_agg(CAST(round(pos / 1000, 3) AS VARCHAR), ',' ORDER BY pos) AS locs FROM calls JOIN variants USING (vid) WHERE alt2 IS NULL AND chrom = 'chr2' GROUP BY sample")
+    @query(_name, f"SELECT sample, chrom, pos // 50000 AS bin, string_agg({_expr}, '' ORDER BY pos) AS sites, string_agg(CAST(round(pos / 1000, 3) AS VARCHAR), ',' ORDER BY pos) AS locs FROM calls JOIN variants USING (vid) WHERE alt2 IS NULL GROUP BY ALL")
     def _(t, phased=_name.endswith("_phased")):
-        return X.ldhat(sites_of(t).where("chrom = 'chr2'"), t.calls, phased)
+        return X.ldhat(sites_of(t), t.calls, phased, 50_000)
 
 
 @query("w10_to_beagle_gl", "SELECT c.vid, sample, round(power(10, -gq / 10.0), 6) AS l0, round(power(10, -dp / 10.0), 6) AS l1 FROM calls c JOIN variants USING (vid) WHERE alt2 IS NULL AND dp IS NOT NULL")
@@ -301,16 +321,14 @@ def _(t):
     return got.select("vid", "sample", F.col("likelihoods")[0].alias("l0"), F.col("likelihoods")[1].alias("l1"))
 
 
-@query("w11_extract_info", "SELECT chrom, pos, CAST(3 * size AS VARCHAR) AS dp, CASE WHEN vid % 19 <> 0 THEN CAST(vid % 60 AS VARCHAR) ELSE '?' END AS mq FROM variants")
+@query("w11_extract_info", f"SELECT chrom, pos, ref, array_to_string({_ALTS}, ',') AS alts, CAST(3 * size AS VARCHAR) AS dp, CASE WHEN vid % 19 <> 0 THEN CAST(vid % 60 AS VARCHAR) ELSE '?' END AS mq, CASE WHEN vid % 4 = 0 THEN '1' ELSE '?' END AS db FROM variants")
 def _(t):
-    v = R.parse_lines(lines_of(t))
-    return v.select("chrom", "pos", *[F.coalesce(F.try_element_at("info", F.lit(k.upper())), F.lit("?")).alias(k) for k in ("dp", "mq")])
+    return R.extract_info(R.parse_lines(lines_of(t)), ["DP", "MQ", "DB"])
 
 
-@query("w12_extract_format", "SELECT v.chrom, v.pos, concat('NA', CAST(s.sample AS VARCHAR)) AS sample, CAST(gq AS DOUBLE) AS value FROM variants v CROSS JOIN (SELECT CAST(unnest(range(20)) AS INT) AS sample) s LEFT JOIN calls c ON c.vid = v.vid AND c.sample = s.sample")
+@query("w12_extract_format", "SELECT v.chrom, v.pos, concat('NA', CAST(s.sample AS VARCHAR)) AS sample, CAST(gq AS BIGINT) AS value FROM variants v CROSS JOIN (SELECT CAST(unnest(range(20)) AS INT) AS sample) s LEFT JOIN calls c ON c.vid = v.vid AND c.sample = s.sample")
 def _(t):
-    lines = lines_of(t)
-    return R.parse_calls(R.parse_lines(lines), R.parse_header(HEAD)).select("chrom", "pos", "sample", F.col("gq").alias("value"))
+    return R.extract_format(R.parse_lines(lines_of(t)), R.parse_header([*HEAD[:-1], '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="">', HEAD[-1]]), "GQ")
 
 
 @query("w13_vcf_query", f"SELECT vid, concat(any_value(chrom), ':', CAST(any_value(pos) AS VARCHAR), ' ', string_agg(concat(CAST(sample AS VARCHAR), '=', {_GT}), ' ' ORDER BY sample)) AS line FROM calls JOIN variants USING (vid) GROUP BY vid")

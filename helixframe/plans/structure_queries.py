@@ -499,6 +499,19 @@ def _(t):
     return t.spark.read.parquet(f"{at}/out")
 
 
+@query("s25_ingest_vcf_dir", "SELECT chrom, pos, COALESCE(id, '.') AS id, ref, concat_ws(',', alt1, alt2) AS alts, qual FROM variants")
+def _(t):
+    at = folder(t.spark, "arrive")
+    data = lines_of(t)
+    # A first load, then all files again with more, and then the last batch once more by itself.
+    data.where("value like 'chr1%' or value like 'chr2%'").write.text(f"{at}/in")
+    jobs.ingest_dir(jobs.arriving_lines(t.spark, f"{at}/in"), f"{at}/table", f"{at}/state").awaitTermination()
+    data.write.mode("append").text(f"{at}/in")
+    jobs.ingest_dir(jobs.arriving_lines(t.spark, f"{at}/in"), f"{at}/table", f"{at}/state").awaitTermination()
+    jobs.add_new(jobs.sites_of_lines(data.where("value like 'chr2%' or value like 'chr5%'")), f"{at}/table")
+    return t.spark.read.parquet(f"{at}/table").select("chrom", "pos", "id", "ref", "alts", "qual")
+
+
 @query("r2_stream_counts", "SELECT CASE WHEN filter IS NULL THEN '.' WHEN filter = 'PASS' THEN '' ELSE filter END AS filter, count(*) AS n, count(*) FILTER (alt2 IS NULL AND concat(ref, alt1) IN ('AG', 'GA', 'CT', 'TC')) AS n_ts FROM variants GROUP BY 1")
 def _(t):
     at, name = folder(t.spark, "arrive"), f"counts_{uuid4().hex}"

@@ -35,10 +35,18 @@ def plink_family(samples: DataFrame) -> DataFrame:
     return samples.select("sample", F.concat_ws("\t", name, name, *[F.lit("0")] * 4).alias("line"))
 
 
-def plink_ped(rows: DataFrame) -> DataFrame:
-    """(sample, line) in the order of sites; a line is as long as there are sites."""
-    cells = rows.groupBy("sample").agg(ordered_join(_letters(), ["chrom", "pos"], "\t").alias("cells"))
-    return plink_family(rows.select("sample").distinct()).join(cells, "sample").select("sample", F.concat_ws("\t", "line", "cells").alias("line"))
+def plink_ped(rows: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """(sample, chrom, bin, line): a sample's PED line in pieces, one for `width` bases of a chromosome, so that no row or group
+    holds a whole line, which is as long as there are sites. Joined by tabs in the order of chrom and bin, behind the line of
+    plink_family(), they are the line; whole_lines() joins those that are short enough. plink_tped() has a line per site."""
+    return rows.groupBy("sample", "chrom", F.floor(F.col("pos") / width).alias("bin")).agg(ordered_join(_letters(), ["pos"], "\t").alias("line"))
+
+
+def whole_lines(pieces: DataFrame, columns: dict[str, str], begin: DataFrame | None = None) -> DataFrame:
+    """A row per sample of pieces (sample, chrom, bin, ...): each column joined by what `columns` says, behind the line of `begin`
+    (sample, line). For lines that fit into a row."""
+    out = pieces.groupBy("sample").agg(*[ordered_join(F.col(c), ["chrom", "bin"], sep).alias(c) for c, sep in columns.items()])
+    return out if begin is None else begin.withColumnRenamed("line", "__begin").join(out, "sample").select("sample", F.concat_ws("\t", "__begin", "line").alias("line"))
 
 
 def plink_map(variants: DataFrame) -> DataFrame:
@@ -90,12 +98,12 @@ def scores_json(scores: DataFrame) -> DataFrame:
     return scores.groupBy("structid", "chain").agg(F.to_json(F.map_from_entries(entries)).alias("json"))
 
 
-def ldhat(variants: DataFrame, calls: DataFrame, phased: bool) -> DataFrame:
-    """(sample, sites, locs) over the biallelic sites of one chromosome: the first allele of each call, or, unphased, 2 for
-    unlike alleles; ? if missing; places in kilobases."""
-    own = calls.join(variants.where(F.size("alts") == 1).select("vid", "pos"), "vid")
+def ldhat(variants: DataFrame, calls: DataFrame, phased: bool, width: int = 1_000_000) -> DataFrame:
+    """(sample, chrom, bin, sites, locs) over the biallelic sites of `width` bases: the first allele of each call, or, unphased,
+    2 for unlike alleles; ? if missing; places in kilobases. whole_lines() joins short ones: sites without, locs with commas."""
+    own = calls.join(variants.where(F.size("alts") == 1).select("vid", "chrom", "pos"), "vid")
     code = F.col("a1").cast("string") if phased else F.when(F.col("a1") != F.col("a2"), "2").when(F.col("a1") == F.col("a2"), F.col("a1").cast("string"))
-    return own.groupBy("sample").agg(ordered_join(F.coalesce(code, F.lit("?")), ["pos"], "").alias("sites"), ordered_join(F.round(F.col("pos") / 1000, 3).cast("string"), ["pos"], ",").alias("locs"))
+    return own.groupBy("sample", "chrom", F.floor(F.col("pos") / width).alias("bin")).agg(ordered_join(F.coalesce(code, F.lit("?")), ["pos"], "").alias("sites"), ordered_join(F.round(F.col("pos") / 1000, 3).cast("string"), ["pos"], ",").alias("locs"))
 
 
 def beagle_likelihoods(calls: DataFrame, values: str, phred: bool = True, filtered: Column | None = None) -> DataFrame:

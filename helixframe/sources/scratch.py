@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir; only where that is unset, as in tests, in one of this machine."""
+    """A new folder in spark.checkpoint.dir; in one of this machine only where that is unset and all tasks run in this process,
+    as in tests. Elsewhere a missing setting is an error, as a local folder would lose data."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+
         base = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
     return f"{base}/{name}-{uuid4().hex}"
 

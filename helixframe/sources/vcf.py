@@ -129,6 +129,55 @@ def typed_info(info: Column, key: str, header: Header | None = None) -> Column:
     return cast(null_dot(raw)) if number == "1" else F.transform(F.split(raw, ","), lambda x: cast(null_dot(x)))
 
 
+def column_names(keys: Iterable[str], taken: Iterable[str]) -> dict[str, str]:
+    """A column's name for each key: lower case, other signs as _, a number behind what is taken already."""
+    used, out = {x.lower() for x in taken}, {}
+    for key in keys:
+        name = base = re.sub(r"\W", "_", key.lower())
+        n = 1
+        while name in used:
+            n += 1
+            name = f"{base}_{n}"
+        used.add(name)
+        out[key] = name
+    return out
+
+
+def typed_table(variants: DataFrame, header: Header, per_allele: bool = False) -> DataFrame:
+    """chrom, pos, id, ref, alts, qual, filters and a typed column for every INFO key that the header declares. With per_allele a row
+    for each alternative: `alt`, and of keys with a value per alternative (Number A) or per allele (R) that one's."""
+    fixed = ["chrom", "pos", "id", "ref", "qual", "filters"]
+    names = column_names(header.info, [*fixed, "alt", "alts", "info"])
+    rows = variants.select(*fixed, "alts", *[typed_info(F.col("info"), key, header).alias(name) for key, name in names.items()])
+    if not per_allele:
+        return rows.select(*fixed[:4], "alts", *fixed[4:], *names.values())
+    at = {"A": F.col("__k"), "R": F.col("__k") + 1}
+    own = [F.get(name, at[header.info[key][1]]).alias(name) if header.info[key][1] in at and header.info[key][0] != "Flag" else F.col(name) for key, name in names.items()]
+    return rows.select("*", F.posexplode_outer("alts").alias("__k", "alt")).select(*fixed[:4], "alt", *fixed[4:], *own)
+
+
+def extract_info(variants: DataFrame, keys: list[str], missing: str = "?") -> DataFrame:
+    """chrom, pos, ref, alts as text and the INFO values of some keys as text, a flag as 1 or 0."""
+    value = lambda k: F.when(~F.coalesce(F.map_contains_key("info", k), F.lit(False)), F.lit(None)).when(F.try_element_at("info", F.lit(k)) == "", "1").otherwise(F.try_element_at("info", F.lit(k)))
+    names = column_names(keys, ["chrom", "pos", "ref", "alts"])
+    return variants.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"), *[F.coalesce(value(k), F.lit(missing)).alias(name) for k, name in names.items()])
+
+
+def extract_format(variants: DataFrame, header: Header, key: str) -> DataFrame:
+    """(chrom, pos, sample, value) of one FORMAT key, as its declared type says; null where it is missing or a call lacks it."""
+    kind, number = header.format.get(key, ("String", "1"))
+    names = [F.get("__names", F.col("__k"))]
+    if header.by_file:
+        rows = variants.join(variants.sparkSession.createDataFrame(list(header.by_file.items()), "file string, __names array<string>"), "file")
+    else:
+        rows = variants.withColumn("__names", F.array(*map(F.lit, header.samples)) if header.samples else F.array().cast("array<string>"))
+    rows = rows.withColumn("__at", F.array_position("format", key).cast("int")).select("chrom", "pos", "__names", "__at", F.posexplode("fields").alias("__k", "__text"))
+    raw = null_dot(F.when(F.col("__at") > 0, F.get(F.split("__text", ":"), F.col("__at") - 1)))
+    cast = lambda x: x.try_cast(SPARK_TYPE[kind])
+    value = cast(raw) if number == "1" or key == "GT" else F.transform(F.split(raw, ","), lambda x: cast(null_dot(x)))
+    return rows.select("chrom", "pos", names[0].alias("sample"), value.alias("value"))
+
+
 def parse_calls(variants: DataFrame, header: Header) -> DataFrame:
     """variants with a row per sample: sample, gt, a1, a2 (null if missing), ploidy, phased, and dp, gq and ft where the
     format has them."""
