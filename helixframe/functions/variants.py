@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 IUPAC = {"AA": "A", "CC": "C", "GG": "G", "TT": "T", "AC": "M", "AG": "R", "AT": "W", "CG": "S", "CT": "Y", "GT": "K"}
 #: Residue names and letters, some modified ones included. Fixed values.
 AA3 = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V", "MSE": "M", "SEC": "U"}
+#: Modified residues and the letters of those that they stand for, by name; ASX and GLX are either of two. Fixed values.
+MODIFIED = {
+    "2AS": "D", "3AH": "H", "5HP": "E", "ACL": "R", "AGM": "R", "AIB": "A", "ALM": "A", "ALO": "T", "ALY": "K", "ARM": "R", "ASA": "D", "ASB": "D", "ASK": "D", "ASL": "D", "ASQ": "D", "ASX": "B",
+    "AYA": "A", "BCS": "C", "BHD": "D", "BMT": "T", "BNN": "A", "BUC": "C", "BUG": "L", "C5C": "C", "C6C": "C", "CCS": "C", "CEA": "C", "CGU": "E", "CHG": "A", "CLE": "L", "CME": "C", "CSD": "A",
+    "CSO": "C", "CSP": "C", "CSS": "C", "CSW": "C", "CSX": "C", "CXM": "M", "CY1": "C", "CY3": "C", "CYG": "C", "CYM": "C", "CYQ": "C", "DAH": "F", "DAL": "A", "DAR": "R", "DAS": "D", "DCY": "C",
+    "DGL": "E", "DGN": "Q", "DHA": "A", "DHI": "H", "DIL": "I", "DIV": "V", "DLE": "L", "DLY": "K", "DNP": "A", "DPN": "F", "DPR": "P", "DSN": "S", "DSP": "D", "DTH": "T", "DTR": "W", "DTY": "Y",
+    "DVA": "V", "EFC": "C", "FLA": "A", "FME": "M", "GGL": "E", "GL3": "G", "GLX": "Z", "GLZ": "G", "GMA": "E", "GSC": "G", "HAC": "A", "HAR": "R", "HIC": "H", "HIP": "H", "HMR": "R", "HPQ": "F",
+    "HTR": "W", "HYP": "P", "IIL": "I", "IYR": "Y", "KCX": "K", "LLP": "K", "LLY": "K", "LTR": "W", "LYM": "K", "LYZ": "K", "MAA": "A", "MEN": "N", "MHS": "H", "MIS": "S", "MLE": "L", "MLY": "K",
+    "MPQ": "G", "MSA": "G", "MVA": "V", "NEM": "H", "NEP": "H", "NLE": "L", "NLN": "L", "NLP": "L", "NMC": "G", "OAS": "S", "OCS": "C", "OMT": "M", "PAQ": "Y", "PCA": "E", "PEC": "C", "PHI": "F",
+    "PHL": "F", "PR3": "C", "PRR": "A", "PTR": "Y", "SAC": "S", "SAR": "G", "SCH": "C", "SCS": "C", "SCY": "C", "SEL": "S", "SEP": "S", "SET": "S", "SHC": "C", "SHR": "K", "SMC": "C", "SOC": "C",
+    "STY": "Y", "SVA": "S", "TIH": "A", "TPL": "W", "TPO": "T", "TPQ": "A", "TRG": "K", "TRO": "W", "TYB": "Y", "TYQ": "Y", "TYS": "Y", "TYY": "Y",
+}
 #: Consequences that count as non-synonymous. Fixed values.
 NONSYNONYMOUS = ["initiator_codon_variant", "inframe_insertion", "inframe_deletion", "missense_variant", "stop_gained", "stop_lost", "frameshift_variant", "splice_region_variant", "transcript_ablation"]
 #: Populations whose frequencies a record carries. Fixed values.
@@ -20,6 +32,46 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def one_letter(name: Column, unknown: str | None = None) -> Column:
+    """A residue's letter by its name, in any case; modified residues have the letter of the one they stand for."""
+    return F.coalesce(F.try_element_at(literal_map(MODIFIED | AA3), F.upper(F.trim(name))), F.lit(unknown))
+
+
+def is_monomorphic(alts: str = "alts") -> Column:
+    """A site without an alternative."""
+    return F.size(F.filter(alts, lambda a: a != ".")) == 0
+
+
+def sv_end(info: str = "info_map") -> Column:
+    """END of a structural variant, or the reference's last base."""
+    return F.coalesce(F.try_element_at(info, F.lit("END")).try_cast("long"), F.col("pos") + F.length("ref") - 1)
+
+
+def is_precise(info: str = "info_map") -> Column:
+    return ~F.coalesce(F.map_contains_key(info, F.lit("IMPRECISE")), F.lit(False))
+
+
+def is_filtered(filters: str = "filters") -> Column:
+    return F.coalesce(F.size(filters) > 0, F.lit(False))
+
+
+def swiss_model_path(root: str, unp: Column, start: Column, end: Column, template: Column, coordinate_id: Column) -> Column:
+    """Where a model of that repository lies: an accession without its isoform is cut into folders of 2, 2 and the other letters."""
+    bare = F.regexp_replace(unp, "-[^-]*$", "")
+    folders = F.concat_ws("/", F.lit(root), F.substring(unp, 1, 2), F.substring(unp, 3, 2), F.substring(bare, F.lit(5), F.length(bare)))
+    return F.concat(folders, F.lit("/swissmodel/"), F.concat_ws("_", start.cast("string"), end.cast("string"), template, coordinate_id), F.lit(".pdb"))
+
+
+def alphafold_path(root: str, model: Column) -> Column:
+    """Of a model id AF-<accession>-F<n>: folders of the accession's letters 1-2 and 3-4."""
+    return F.concat(F.lit(root + "/human/"), F.substring(model, 4, 2), F.lit("/"), F.substring(model, 6, 2), F.lit("/"), model, F.lit("-model_v1.cif.gz"))
+
+
+def model_is_sound(mpqs: Column, longest: Column) -> Column:
+    """Whether a model's quality exceeds what a chain of `longest` residues asks for."""
+    return mpqs > 2 - F.log(longest) / (2 * F.log(F.lit(2.0)))
+
+
 def is_sv(alts: str = "alts") -> Column:
     return F.exists(alts, lambda a: a.startswith("<") | a.contains("[") | a.contains("]"))
 

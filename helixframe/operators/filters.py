@@ -330,20 +330,23 @@ class SiteFilter:
 
 
 #: Defaults of the named annotation filters; a filter whose bound is None is off. Fixed values.
-NAMED = {"MinAB": 2, "MinDP": 2, "MaxDP": 10_000_000, "MinMQ": 10, "StrandBias": 1e-4, "BaseQualBias": 0.0, "MapQualBias": 0.0, "EndDistBias": 1e-4, "RefN": True, "Qual": 10, "VDB": 0.0, "HWE": None}
+NAMED = {"MinAB": 2, "MinDP": 2, "MaxDP": 10_000_000, "MinMQ": 10, "StrandBias": 1e-4, "BaseQualBias": 0.0, "MapQualBias": 0.0, "EndDistBias": 1e-4, "RefN": True, "Qual": 10, "VDB": 0.0, "HWE": None, "HWE_G3": None, "HWE2": None}
 
 
 def named_filters(variants: DataFrame, **bounds: float | None) -> DataFrame:
-    """(vid, failed): names of the filters that a site fails, joined by ';'. Columns ref, qual, info_map; hwe and icf for HWE. DP4
-    counts reference and alternative bases on both strands, PV4 holds the p values of four biases. A missing value passes."""
+    """(vid, failed): names of the filters that a site fails, joined by ';'. Columns ref, qual, info_map; for HWE and
+    HWE2 hwe and icf, a p value and the inbreeding coefficient. HWE_G3 fails where INFO's HWE_G3 is too low and its G3, the shares
+    of the genotypes, have more heterozygotes than expected. DP4 counts reference and alternative bases on both strands, PV4 holds the p values of four biases. A missing value passes."""
     at = NAMED | bounds
     value = lambda key: F.try_element_at("info_map", F.lit(key))
     part = lambda key, i: F.get(F.split(value(key), ","), F.lit(i)).try_cast("double")
     dp4 = [part("DP4", i) for i in range(4)]
+    share = part("G3", 0) + part("G3", 1) / 2
     depth = F.coalesce(value("DP").try_cast("double"), dp4[0] + dp4[1] + dp4[2] + dp4[3])
     broken = {
         "MinAB": lambda b: dp4[2] + dp4[3] < b, "MinDP": lambda b: depth < b, "MaxDP": lambda b: depth > b, "MinMQ": lambda b: value("MQ").try_cast("double") < b, "RefN": lambda b: F.col("ref").contains("N"),
-        "Qual": lambda b: F.col("qual") < b, "VDB": lambda b: value("VDB").try_cast("double") < b, "HWE": lambda b: (F.col("hwe") < b) & (F.col("icf") < 0),
+        "Qual": lambda b: F.col("qual") < b, "VDB": lambda b: value("VDB").try_cast("double") < b, "HWE": lambda b: (F.col("hwe") < b) & (F.col("icf") < 0), "HWE2": lambda b: (F.col("hwe") < b) & (F.col("icf") < 0),
+        "HWE_G3": lambda b: (value("HWE_G3").try_cast("double") < b) & (share > 0) & (share < 1) & (part("G3", 1) > 2 * share * (1 - share)),
     } | {name: (lambda b, i=i: part("PV4", i) < b) for i, name in enumerate(("StrandBias", "BaseQualBias", "MapQualBias", "EndDistBias"))}
     names = [F.when(F.coalesce(broken[n](b), F.lit(False)), F.lit(n)) for n, b in at.items() if b is not None]
     return variants.select("vid", F.array_join(F.array_sort(F.array_compact(F.array(*names))), ";").alias("failed"))

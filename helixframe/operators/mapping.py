@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,3 +206,104 @@ def protein_structures(chains: DataFrame, structures: DataFrame, scores: DataFra
     own = chains.join(structures, "structid").join(scores.groupBy("structid", "chain").agg(F.max("perc_identity").alias("perc_identity")), ["structid", "chain"])
     per = own.groupBy("unp", "structid", by).agg(F.max("perc_identity").alias("perc_identity"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("#"), "chain"))), ";").alias("chains"))
     return per.withColumn("k", F.row_number().over(Window.partitionBy("unp").orderBy(F.desc(by) if descending else F.asc(by), F.desc("perc_identity"), "structid")))
+
+
+# Lookups, each for a whole table of questions.
+
+
+def entity_kinds(entities: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
+    """(entity, kind): of tables that hold entities in their only column, by kind, the first that has it; null for none."""
+    every = [ids.toDF("entity").select("entity", F.lit(k).alias("rank"), F.lit(name).alias("kind")) for k, (name, ids) in enumerate(kinds.items())]
+    first = reduce(DataFrame.union, every).groupBy("entity").agg(F.min_by("kind", "rank").alias("kind"))
+    return entities.select("entity").distinct().join(first, "entity", "left")
+
+
+def exists_in(ids: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The distinct ids, in the only column, that all tables have in a column of that name."""
+    (name,) = ids.columns
+    return reduce(lambda a, b: a.join(b.select(name), name, "left_semi"), tables, ids.distinct())
+
+
+def id_lookup(edges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(unp, id_type, ids): an accession's ids of each type, sorted; of the accessions asked for (unp), or all."""
+    own = edges if asked is None else edges.join(asked.select("unp"), "unp", "left_semi")
+    return own.groupBy("unp", "id_type").agg(F.array_join(F.array_sort(F.collect_set("ext_id")), ",").alias("ids"))
+
+
+def refseq2unp(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """(asked, unps) of RefSeq ids: proteins (NP_, XP_, YP_) by edges of type RefSeq, others by RefSeq_NT; versions as in
+    versioned_lookup."""
+    protein = F.col("asked").rlike("^[NXYA]P_")
+    return versioned_lookup(asked.where(protein), edges, "RefSeq").union(versioned_lookup(asked.where(~protein), edges, "RefSeq_NT"))
+
+
+def unp2refseq(asked: DataFrame, edges: DataFrame, id_type: str = "RefSeq_NT") -> DataFrame:
+    """(unp, refseqs): an accession's RefSeq ids, or if it has none, those of the accession without its isoform, sorted."""
+    ids = ids_of(edges, id_type).groupBy("unp").agg(F.array_sort(F.collect_set("ext_id")).alias("ids"))
+    own, base = ids.toDF("unp", "own"), ids.toDF("base", "of_base")
+    out = asked.select("unp").distinct().withColumn("base", F.regexp_replace("unp", "-.*$", "")).join(own, "unp", "left").join(base, "base", "left")
+    return out.select("unp", F.array_join(F.coalesce("own", "of_base", F.array().cast("array<string>")), ",").alias("refseqs"))
+
+
+def models_of(asked: DataFrame, models: DataFrame) -> DataFrame:
+    """asked (.., seq_id, first, last) with each model (model, seq_id, target_beg, target_end) that covers first to last. A model's
+    seq_id may go on behind an ENSP or other id with _ or a point, which then counts up to there."""
+    own = models.select("model", "target_beg", "target_end", F.explode(F.array_distinct(F.array("seq_id", F.regexp_replace("seq_id", r"[_.].*$", "")))).alias("seq_id"))
+    return asked.join(own, "seq_id").where((F.col("target_beg") <= F.col("first")) & (F.col("target_end") >= F.col("last"))).drop("target_beg", "target_end")
+
+
+def by_protein_variant(consequences: DataFrame, scores: DataFrame) -> DataFrame:
+    """Consequences (.., transcript, protein_variant) with the scores of (transcript, protein_variant)."""
+    return consequences.join(scores, ["transcript", "protein_variant"])
+
+
+def by_transcript(rows: DataFrame, xref: DataFrame, versions: bool = False) -> DataFrame:
+    """rows (.., transcript) with the columns of xref (transcript, ..); with versions only equal versions meet."""
+    bare = (lambda c: F.col(c)) if versions else (lambda c: F.regexp_replace(c, r"\.\d+$", ""))
+    return rows.withColumn("__t", bare("transcript")).join(xref.withColumn("__t", bare("transcript")).drop("transcript"), "__t").drop("__t")
+
+
+def segment_residues(segments: DataFrame, residues: DataFrame) -> DataFrame:
+    """(structid, chain, unp_pos, seq_pos, resnum, icode, resolved): the positions of segments with the residue that the list
+    (structid, chain, seq_pos, resnum, icode, resolved) has there; null where it has none."""
+    return segment_alignment(segments).join(residues, ["structid", "chain", "seq_pos"], "left").select("structid", "chain", "unp_pos", "seq_pos", "resnum", "icode", F.coalesce("resolved", F.lit(False)).alias("resolved"))
+
+
+def best_isoform_chain(xref: DataFrame, order: str) -> DataFrame:
+    """(structid, chain, best): of a chain's rows (structid, chain, unp) the last by `order`."""
+    return xref.groupBy("structid", "chain").agg(F.max_by("unp", order).alias("best"))
+
+
+def longest_chain(chains: DataFrame) -> DataFrame:
+    """(unp, structid, chain, n): an accession's chain with most residues n, of equals the first by name."""
+    best = chains.groupBy("unp").agg(F.min_by(F.struct("structid", "chain", "n"), F.struct((-F.col("n")).alias("m"), "structid", "chain")).alias("b"))
+    return best.select("unp", "b.*")
+
+
+def covered(rows: DataFrame, keys: list[str], first: str, last: str, begins_by: int | None = None, ends_after: int | None = None) -> DataFrame:
+    """(keys, lo, hi): the least `first` and greatest `last` of each group, of groups that begin by and end after some place."""
+    out = rows.groupBy(*keys).agg(F.min(first).alias("lo"), F.max(last).alias("hi"))
+    out = out if begins_by is None else out.where(F.col("lo") <= begins_by)
+    return out if ends_after is None else out.where(F.col("hi") >= ends_after)
+
+
+def confidence_summary(residues: DataFrame, value: str) -> DataFrame:
+    """(structid, mean, per_residue): a model's mean confidence, and its residues' in their order, whole numbers."""
+    by = F.array_sort(F.collect_list(F.struct("chain", "seqid", "res_id", F.floor(value).cast("int").alias("v"))))  # a structure's residues
+    return residues.groupBy("structid").agg(F.round(F.avg(value), 4).alias("mean"), F.array_join(F.transform(by, lambda r: r["v"].cast("string")), ",").alias("per_residue"))
+
+
+def summary(residues: DataFrame, transcripts: DataFrame, mapped_: DataFrame, variants: DataFrame) -> DataFrame:
+    """One row of distinct counts: structures, chains, residues, transcripts, mapped_consequences, mapped_structures, snps."""
+    parts = [
+        residues.agg(F.count_distinct("structid").alias("structures"), F.count_distinct(F.concat_ws(":", "structid", "chain")).alias("chains"), F.count("*").alias("residues")),
+        transcripts.agg(F.count_distinct("transcript").alias("transcripts")), mapped_.agg(F.count_distinct("gc_id").alias("mapped_consequences"), F.count_distinct("structid").alias("mapped_structures")),
+        variants.where("length(ref) = 1").agg(F.count("*").alias("snps")),
+    ]
+    return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+
+
+def of_protein(sets: dict[str, DataFrame], accession: str) -> DataFrame:
+    """(unp, label): the entities of a protein, its accession with or without an isoform, in the sets (unp) named by label."""
+    own = lambda df: df.where((F.col("unp") == accession) | F.col("unp").startswith(accession + "-"))
+    return reduce(DataFrame.union, [own(df).select("unp", F.lit(label).alias("label")) for label, df in sets.items()]).distinct()

@@ -15,7 +15,7 @@ def diff_samples(left: DataFrame, right: DataFrame, names: DataFrame | None = No
     """(sample, kind): in B, 1 or 2; names (sample, other) renames the left side."""
     a = left.select("sample").distinct()
     if names is not None:
-        a = a.join(F.broadcast(names), "sample", "left").select(F.coalesce("other", "sample").alias("sample"))
+        a = a.join(names, "sample", "left").select(F.coalesce("other", "sample").alias("sample"))
     return a.withColumn("x", F.lit(1)).join(right.select("sample").distinct().withColumn("y", F.lit(1)), "sample", "full").select("sample", F.when(F.col("x").isNull(), "2").when(F.col("y").isNull(), "1").otherwise("B").alias("kind"))
 
 
@@ -282,3 +282,10 @@ def concat(sets: list[DataFrame], pad: bool = False) -> DataFrame:
     if unlike and not pad:
         raise ValueError(f"sets have different columns: {sets[0].columns} and {unlike[0]}")
     return sort_sites(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=pad), sets), natural=False)
+
+
+def in_order(calls: DataFrame, template: DataFrame) -> DataFrame:
+    """(vid, line): a site's calls in the order of a template (sample, place), which may leave samples out."""
+    text = F.concat(F.coalesce(F.col("a1").cast("string"), F.lit(".")), F.lit("/"), F.coalesce(F.col("a2").cast("string"), F.lit(".")))
+    cells = F.array_sort(F.collect_list(F.struct("place", text.alias("g"))))  # a site's samples
+    return calls.join(template, "sample").groupBy("vid").agg(F.array_join(F.transform(cells, lambda x: x["g"]), " ").alias("line"))

@@ -394,3 +394,47 @@ def variant_counts(variants: DataFrame, calls: DataFrame, value: Column, width:
     entries = F.concat(F.array_compact(F.transform("alts", allele)), F.array(entry("n_alt", F.size("alts").cast("string")), entry("carriers", F.coalesce("c", F.lit(0)).cast("string"))))
     long = own.select("bin", F.explode(entries).alias("e")).select("bin", "e.stat", "e.key").withColumn("all", F.lit(True))
     return long.groupingSets([["bin", "stat", "key"], ["all", "stat", "key"]], "bin", "all", "stat", "key").agg(F.count("*").alias("n")).where("all or bin is not null").drop("all")
+
+
+# Residues.
+
+
+def residue_frame(residues: DataFrame, alignment: DataFrame) -> DataFrame:
+    """Residues (structid, chain, seqid, x, y, z, ..) that an alignment (structid, chain, seqid, unp_pos) places, without hetero
+    groups where `hetero` says so."""
+    own = residues.where(~F.coalesce("hetero", F.lit(False))) if "hetero" in residues.columns else residues
+    return own.join(alignment.select("structid", "chain", "seqid", "unp_pos"), ["structid", "chain", "seqid"])
+
+
+def protein_chains(residues: DataFrame, chains: DataFrame | None = None, species: str = "HUMAN") -> DataFrame:
+    """(structid, chain, seq) of residues (structid, chain, seqid, letter): in their order, unknown letters as serine. Hetero
+    groups and numbers under 1 go; with chains (structid, chain, species, first, last) also other species, unlisted chains and
+    residues outside first to last."""
+    own = residues.where("seqid >= 1")
+    own = own.where(~F.coalesce("hetero", F.lit(False))) if "hetero" in own.columns else own
+    if chains is not None:
+        own = own.join(chains.where(F.col("species") == species), ["structid", "chain"]).where(F.col("seqid").between(F.col("first"), F.col("last")))
+    letters = F.array_sort(F.collect_list(F.struct("seqid", F.coalesce("letter", F.lit("S")).alias("l"))))  # a chain's residues
+    return own.groupBy("structid", "chain").agg(F.array_join(F.transform(letters, lambda x: x["l"]), "").alias("seq"))
+
+
+def renumbered(residues: DataFrame, begins: DataFrame | None = None) -> DataFrame:
+    """(structid, chain, seqid, number): a chain's residues counted from 1, or from where begins (structid, chain, begin) says that
+    the window of a model begins."""
+    w = Window.partitionBy("structid", "chain").orderBy("seqid")
+    own = residues.select("structid", "chain", "seqid", F.row_number().over(w).alias("k"))
+    own = own.withColumn("begin", F.lit(1)) if begins is None else own.join(begins, ["structid", "chain"])
+    return own.select("structid", "chain", "seqid", (F.col("k") + F.col("begin") - 1).cast("long").alias("number"))
+
+
+def variable_residues(view: DataFrame, flag: Column, value: Column) -> DataFrame:
+    """(structid, chain, seqid) of a structure view's residues with the flag; of a structure without any such, of those with a
+    value."""
+    r = view.select("structid", "chain", "seqid", F.coalesce(flag, F.lit(False)).alias("f"), value.isNotNull().alias("v"))
+    some = r.groupBy("structid").agg(F.bool_or("f").alias("some"))
+    return r.join(some, "structid").where("f or (not some and v)").select("structid", "chain", "seqid").distinct()
+
+
+def view_order(view: DataFrame, order: list[str]) -> DataFrame:
+    """view with `k`, a row's place in its structure."""
+    return view.withColumn("k", F.row_number().over(Window.partitionBy("structid").orderBy(*order)))

@@ -248,6 +248,15 @@ def _(t):
     return P.named_filters(info_map(t.variants.withColumn("info", more)), MaxDP=140)
 
 
+@query("f30_equilibrium_filters", """WITH g AS (SELECT vid, (vid % 10) / 20 AS rr, (vid % 7) / 14 AS ra, (vid % 100) / 1000.0 AS p, (vid % 50) / 100.0 AS h, (vid % 3 - 1) / 2.0 AS f FROM variants)
+ SELECT vid, concat_ws(';', CASE WHEN h < 0.2 AND f < 0 THEN 'HWE2' END, CASE WHEN vid % 4 > 0 AND p < 0.05 AND rr + ra / 2 > 0 AND rr + ra / 2 < 1 AND ra > 2 * (rr + ra / 2) * (1 - rr - ra / 2) THEN 'HWE_G3' END) AS failed FROM g""")
+def _(t):
+    text = lambda c: c.cast("double").cast("string")
+    g3 = F.concat(F.lit(";G3="), text(F.col("vid") % 10 / 20), F.lit(","), text(F.col("vid") % 7 / 14), F.lit(",0;HWE_G3="), text(F.col("vid") % 100 / 1000.0))
+    v = t.variants.withColumn("info", F.concat("info", F.when(F.col("vid") % 4 > 0, g3).otherwise(""))).withColumns({"hwe": F.col("vid") % 50 / 100.0, "icf": (F.col("vid") % 3 - 1) / 2.0})
+    return P.named_filters(info_map(v), **{n: None for n in P.NAMED} | {"HWE_G3": 0.05, "HWE2": 0.2})
+
+
 @query("f31_snp_gap", f"WITH g AS (SELECT chrom, pos - 600 AS s, pos + length(ref) + 600 AS e FROM variants WHERE {INDEL}) SELECT DISTINCT v.vid FROM (SELECT * FROM variants WHERE NOT {INDEL}) v JOIN g ON g.chrom = v.chrom AND v.pos >= s AND v.pos < e")
 def _(t):
     return P.snp_gap(sites_of(t), 600)

@@ -138,12 +138,13 @@ def _(t):
     return sites_of(t).select("vid", V.affected_range().alias("r")).select("vid", "r.*")
 
 
-@query("p9_sv_end", "SELECT vid, pos + 3 * size AS sv_end, vid % 4 <> 0 AS is_precise, filter IS NOT NULL AND filter <> 'PASS' AS is_filtered FROM variants")
+@query("p9_sv_end", "SELECT vid, CASE WHEN vid % 3 = 0 THEN pos + size ELSE pos + length(ref) - 1 END AS sv_end, vid % 5 <> 0 AS is_precise, filter IS NOT NULL AND filter <> 'PASS' AS is_filtered, vid % 11 = 0 AS is_monomorphic FROM variants")
 def _(t):
     from helixframe.plans.filter_queries import info_map
 
-    v = info_map(sites_of(t))
-    return v.select("vid", (F.col("pos") + F.element_at("info_map", "DP").cast("long")).alias("sv_end"), (~F.map_contains_key("info_map", "DB")).alias("is_precise"), F.coalesce(F.size("filters") > 0, F.lit(False)).alias("is_filtered"))
+    more = F.concat("info", F.when(F.col("vid") % 3 == 0, F.concat(F.lit(";END="), (F.col("pos") + F.col("size")).cast("string"))).otherwise(""), F.when(F.col("vid") % 5 == 0, ";IMPRECISE").otherwise(""))
+    v = info_map(sites_of(t).withColumn("info", more)).withColumn("alts", F.when(F.col("vid") % 11 == 0, F.array(F.lit("."))).otherwise(F.col("alts")))
+    return v.select("vid", V.sv_end().alias("sv_end"), V.is_precise().alias("is_precise"), V.is_filtered().alias("is_filtered"), V.is_monomorphic().alias("is_monomorphic"))
 
 
 @query("p10_call_predicates", "SELECT c.vid, sample, CASE WHEN a1 IS NULL OR a2 IS NULL THEN NULL WHEN a1 = 0 AND a2 = 0 THEN 0 WHEN a1 <> a2 THEN 1 ELSE 2 END AS gt_type, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN concat([ref, alt1, alt2][a1 + 1], CASE WHEN phased THEN '|' ELSE '/' END, [ref, alt1, alt2][a2 + 1]) END AS bases, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN a1 <> a2 END AS is_het, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN a1 > 0 OR a2 > 0 END AS is_variant, gq < 20 AS is_filtered FROM calls c JOIN variants USING (vid)")
@@ -189,10 +190,12 @@ def _(t):
     return t.sequences.select("seq_id", F.md5("seq").alias("md5"), V.modbase_seq_id(F.col("seq")).alias("modbase_id"), F.col("seq").rlike("^[ACDEFGHIKLMNPQRSTVWY]+$").alias("protein"))
 
 
-@query("p19_p21_residues", "WITH m AS (SELECT res_id, ['ALA', 'ARG', 'MSE', 'XXX'][1 + CAST(res_id % 4 AS INT)] AS name, z FROM residues) SELECT res_id, CASE name WHEN 'ALA' THEN 'A' WHEN 'ARG' THEN 'R' WHEN 'MSE' THEN 'M' END AS letter, round(abs(z) / CASE name WHEN 'ALA' THEN 115.0 WHEN 'ARG' THEN 225.0 WHEN 'MSE' THEN 185.0 END, 4) AS rsa FROM m")
+_NAMES = ["ALA", "ARG", "MSE", "XXX", "SEP", "hyp", "LLP", "CSO"]
+
+
+@query("p19_p21_residues", f"WITH m AS (SELECT res_id, {_NAMES}[1 + CAST(res_id % 8 AS INT)] AS name, z FROM residues) SELECT res_id, CASE name WHEN 'ALA' THEN 'A' WHEN 'ARG' THEN 'R' WHEN 'MSE' THEN 'M' WHEN 'SEP' THEN 'S' WHEN 'hyp' THEN 'P' WHEN 'LLP' THEN 'K' WHEN 'CSO' THEN 'C' END AS letter, round(abs(z) / CASE name WHEN 'ALA' THEN 115.0 WHEN 'ARG' THEN 225.0 WHEN 'MSE' THEN 185.0 WHEN 'SEP' THEN 115.0 WHEN 'hyp' THEN 145.0 WHEN 'LLP' THEN 200.0 WHEN 'CSO' THEN 135.0 END, 4) AS rsa FROM m")
 def _(t):
-    name = F.get(F.array(*map(F.lit, ("ALA", "ARG", "MSE", "XXX"))), (F.col("res_id") % 4).cast("int"))
-    letter = F.try_element_at(V.literal_map(V.AA3), name)
+    letter = V.one_letter(F.get(F.array(*map(F.lit, _NAMES)), (F.col("res_id") % 8).cast("int")))
     return t.residues.select("res_id", letter.alias("letter"), V.relative_access(F.abs("z"), letter, {letter: float(access) for letter, *_, access in PROPERTIES}).alias("rsa"))
 
 
@@ -204,9 +207,13 @@ def _(t):
     return t.residues.join(F.broadcast(aa_properties(t.spark)), F.col("rescode") == F.col("letter")).select("res_id", "size", "kind", "hp", F.round(F.abs("z") / F.col("access"), 4).alias("rsa"))
 
 
-@query("p22_model_path", "SELECT iid, concat('/models/', substr(transcript, 1, 2), '/', transcript, '/', CAST(seqid AS VARCHAR), '.pdb') AS path FROM intervals")
+@query("p22_model_path", """SELECT iid, concat('/swiss/P', substr(CAST(10000 + iid % 50000 AS VARCHAR), 1, 1), '/', substr(CAST(10000 + iid % 50000 AS VARCHAR), 2, 2), '/', substr(CAST(10000 + iid % 50000 AS VARCHAR), 4), '/swissmodel/', CAST(seqid AS VARCHAR), '_', CAST(seqid + 9 AS VARCHAR), '_', transcript, '_c', CAST(iid AS VARCHAR), '.pdb') AS swiss,
+ concat('/af/human/P', substr(CAST(10000 + iid % 50000 AS VARCHAR), 1, 1), '/', substr(CAST(10000 + iid % 50000 AS VARCHAR), 2, 2), '/AF-P', CAST(10000 + iid % 50000 AS VARCHAR), '-F2-model_v1.cif.gz') AS alphafold FROM intervals""")
 def _(t):
-    return t.intervals.select("iid", F.concat(F.lit("/models/"), F.substring("transcript", 1, 2), F.lit("/"), "transcript", F.lit("/"), F.col("seqid").cast("string"), F.lit(".pdb")).alias("path"))
+    unp = F.concat(F.lit("P"), (10000 + F.col("iid") % 50000).cast("string"))
+    isoform = F.when(F.col("iid") % 2 == 0, F.concat(unp, F.lit("-2"))).otherwise(unp)
+    swiss = V.swiss_model_path("/swiss", isoform, F.col("seqid"), F.col("seqid") + 9, F.col("transcript"), F.concat(F.lit("c"), F.col("iid").cast("string")))
+    return t.intervals.select("iid", swiss.alias("swiss"), V.alphafold_path("/af", F.concat(F.lit("AF-"), unp, F.lit("-F2"))).alias("alphafold"))
 
 
 @query("p23_alphafold_window", "SELECT iid, CAST(CASE WHEN iid % 6000 <= 2700 THEN 1 ELSE GREATEST(1, LEAST(ceil((seqid * 10 - 700.0) / 200) + 1, ceil((iid % 6000 - 1400) / 200.0) + 1)) END AS INT) AS fragment FROM intervals")
@@ -216,15 +223,18 @@ def _(t):
 
 @query("p24_mpqs_threshold", "SELECT iid FROM intervals WHERE (iid % 30) / 10.0 > 2 - ln(seqid) / (2 * ln(2))")
 def _(t):
-    return t.intervals.where((F.col("iid") % 30) / 10.0 > 2 - F.log("seqid") / (2 * F.log(F.lit(2.0)))).select("iid")
+    return t.intervals.where(V.model_is_sound((F.col("iid") % 30) / 10.0, F.col("seqid"))).select("iid")
 
 
-@query("p25_entity_label", "WITH q AS (SELECT DISTINCT unp AS entity FROM idmap UNION SELECT DISTINCT structid FROM intervals UNION SELECT DISTINCT transcript FROM intervals) SELECT entity, CASE WHEN entity IN (SELECT structid FROM residues) THEN 'structure' WHEN entity IN (SELECT unp FROM idmap) THEN 'unp' WHEN entity IN (SELECT transcript FROM intervals) THEN 'gene' END AS kind FROM q")
+@query("p25_entity_label", """WITH q AS (SELECT DISTINCT unp AS entity FROM idmap UNION SELECT DISTINCT structid FROM intervals UNION SELECT DISTINCT transcript FROM intervals UNION SELECT concat('M', CAST(p_partkey AS VARCHAR)) FROM part UNION SELECT concat('W', CAST(s_suppkey AS VARCHAR)) FROM supplier UNION SELECT 'P7' UNION SELECT 'nothing')
+ SELECT entity, CASE WHEN entity IN (SELECT concat('M', CAST(p_partkey AS VARCHAR)) FROM part WHERE p_size > 10) THEN 'model' WHEN entity IN (SELECT concat('W', CAST(s_suppkey AS VARCHAR)) FROM supplier UNION SELECT 'P7') THEN 'swiss' WHEN entity IN (SELECT structid FROM residues) THEN 'structure' WHEN entity IN (SELECT unp FROM idmap) THEN 'unp' WHEN entity IN (SELECT transcript FROM intervals) THEN 'gene' END AS kind FROM q""")
 def _(t):
-    q = t.idmap.select(F.col("unp").alias("entity")).union(t.intervals.select("structid")).union(t.intervals.select("transcript")).distinct()
-    kinds = t.residues.select(F.col("structid").alias("entity"), F.lit(1).alias("rank"), F.lit("structure").alias("kind")).union(t.idmap.select("unp", F.lit(2), F.lit("unp"))).union(t.intervals.select("transcript", F.lit(3), F.lit("gene")))
-    first = kinds.groupBy("entity").agg(F.min_by("kind", "rank").alias("kind"))
-    return q.join(first, "entity", "left")
+    from helixframe.operators import mapping as M
+
+    model, swiss = t.part.select(F.concat(F.lit("M"), F.col("p_partkey").cast("string"))), t.supplier.select(F.concat(F.lit("W"), F.col("s_suppkey").cast("string")))
+    p7, nothing = (t.region.limit(1).select(F.lit(x)) for x in ("P7", "nothing"))
+    q = t.idmap.select("unp").union(t.intervals.select("structid")).union(t.intervals.select("transcript")).union(model).union(swiss).union(p7).union(nothing).toDF("entity")
+    return M.entity_kinds(q, {"model": t.part.where("p_size > 10").select(F.concat(F.lit("M"), F.col("p_partkey").cast("string"))), "swiss": swiss.union(p7), "structure": t.residues.select("structid"), "unp": t.idmap.select("unp"), "gene": t.intervals.select("transcript")})
 
 
 @query("p26_iupac", "SELECT vid, CASE concat(LEAST(ref, alt1), GREATEST(ref, alt1)) WHEN 'AC' THEN 'M' WHEN 'AG' THEN 'R' WHEN 'AT' THEN 'W' WHEN 'CG' THEN 'S' WHEN 'CT' THEN 'Y' WHEN 'GT' THEN 'K' WHEN 'AA' THEN 'A' WHEN 'CC' THEN 'C' WHEN 'GG' THEN 'G' WHEN 'TT' THEN 'T' END AS code FROM variants")

@@ -147,7 +147,7 @@ def _(t):
 
 @query("j8_idmap_lookup", "SELECT unp, id_type, string_agg(DISTINCT ext_id, ',' ORDER BY ext_id) AS ids FROM idmap GROUP BY unp, id_type")
 def _(t):
-    return t.idmap.groupBy("unp", "id_type").agg(F.array_join(F.array_sort(F.collect_set("ext_id")), ",").alias("ids"))
+    return M.id_lookup(t.idmap)
 
 
 _U = "u AS (SELECT DISTINCT unp, ext_id FROM idmap WHERE id_type = 'UniParc')"
@@ -185,17 +185,42 @@ for _name, _args in (("j12_refseq2unp", ("RefSeq_NT", "NM_", 60)), ("j13_ens2unp
         return M.versioned_lookup(asked, t.idmap, kind)
 
 
+_NP = "e AS (SELECT unp, id_type, ext_id FROM idmap UNION ALL SELECT unp, 'RefSeq', concat('NP', substr(ext_id, 3)) FROM idmap WHERE id_type = 'RefSeq_NT' AND ext_id NOT LIKE '%.2')"
+
+
+@query("j12_refseq2unp_both", f"""WITH {_NP}, q AS (SELECT DISTINCT concat(CASE WHEN p_partkey % 2 = 0 THEN 'NP_' ELSE 'NM_' END, CAST(p_partkey % 60 AS VARCHAR), CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('.', CAST(p_partkey % 6 AS VARCHAR)) END) AS asked FROM part),
+ i AS (SELECT DISTINCT unp, ext_id, split_part(ext_id, '.', 1) AS bare, CASE WHEN ext_id LIKE '%.%' THEN CAST(split_part(ext_id, '.', 2) AS INT) ELSE -1 END AS v FROM e WHERE id_type IN ('RefSeq', 'RefSeq_NT')), n AS (SELECT bare, max(v) AS v FROM i GROUP BY bare),
+ x AS (SELECT asked, string_agg(DISTINCT unp, ',' ORDER BY unp) AS u FROM q JOIN i ON ext_id = asked GROUP BY asked), l AS (SELECT i.bare, string_agg(DISTINCT unp, ',' ORDER BY unp) AS u FROM i JOIN n ON n.bare = i.bare AND n.v = i.v GROUP BY i.bare)
+ SELECT q.asked, COALESCE(x.u, l.u, '') AS unps FROM q LEFT JOIN x ON x.asked = q.asked LEFT JOIN l ON l.bare = split_part(q.asked, '.', 1)""")
+def _(t):
+    return M.refseq2unp(t.part.select(F.concat(F.when(F.col("p_partkey") % 2 == 0, "NP_").otherwise("NM_"), (F.col("p_partkey") % 60).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("."), (F.col("p_partkey") % 6).cast("string")))).alias("asked")).distinct(), _with_proteins(t))
+
+
+def _with_proteins(t):
+    return t.idmap.union(t.idmap.where("id_type = 'RefSeq_NT' and ext_id not like '%.2'").select("unp", F.lit("RefSeq"), F.concat(F.lit("NP"), F.expr("substring(ext_id, 3)"))))
+
+
+for _kind, _name in (("RefSeq_NT", "j12_unp2refseq_nt"), ("RefSeq", "j12_unp2refseq_np")):
+
+    @query(_name, f"WITH {_NP}, q AS (SELECT DISTINCT unp FROM idmap UNION SELECT concat(unp, '-7') FROM idmap WHERE unp NOT LIKE '%-%' UNION SELECT 'Q1'), r AS (SELECT unp, string_agg(DISTINCT ext_id, ',' ORDER BY ext_id) AS s FROM e WHERE id_type = '{_kind}' GROUP BY unp) SELECT q.unp, COALESCE(a.s, b.s, '') AS refseqs FROM q LEFT JOIN r a ON a.unp = q.unp LEFT JOIN r b ON b.unp = split_part(q.unp, '-', 1)")
+    def _(t, kind=_kind):
+        asked = t.idmap.select("unp").union(t.idmap.where("unp not like '%-%'").select(F.concat("unp", F.lit("-7")))).union(t.region.limit(1).select(F.lit("Q1")))
+        return M.unp2refseq(asked, _with_proteins(t), kind)
+
+
 @query("j14_unp2sequence", "SELECT DISTINCT unp, ext_id, seq FROM idmap LEFT JOIN sequences ON concat('X', CAST(seq_id AS VARCHAR)) = ext_id WHERE id_type = 'UniParc'")
 def _(t):
     s = t.sequences.select(F.concat(F.lit("X"), F.col("seq_id").cast("string")).alias("ext_id"), "seq")
     return M.ids_of(t.idmap, "UniParc").join(s, "ext_id", "left").select("unp", "ext_id", "seq")
 
 
-@query("j15_model_lookup", "SELECT i.iid, p.p_partkey AS model FROM intervals i JOIN part p ON concat('T', CAST(p.p_partkey % 500 AS VARCHAR)) = i.transcript AND p.p_size <= i.seqid % 60 AND p.p_size + 20 >= i.seqid % 60")
+@query("j15_model_lookup", "SELECT i.iid, p.p_partkey AS model FROM intervals i JOIN part p ON concat('T', CAST(p.p_partkey % 500 AS VARCHAR)) = i.transcript AND p.p_size <= i.seqid % 60 AND p.p_size + 20 >= i.seqid % 60 + 2")
 def _(t):
-    m = t.part.select(F.col("p_partkey").alias("model"), F.concat(F.lit("T"), (F.col("p_partkey") % 500).cast("string")).alias("transcript"), F.col("p_size").alias("target_beg"), (F.col("p_size") + 20).alias("target_end"))
-    at = F.col("seqid") % 60
-    return t.intervals.join(m, "transcript").where((F.col("target_beg") <= at) & (F.col("target_end") >= at)).select("iid", "model")
+    # Every other model's id has a suffix behind the transcript's.
+    name = F.concat(F.lit("T"), (F.col("p_partkey") % 500).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "_1ABC").otherwise(""))
+    m = t.part.select(F.col("p_partkey").alias("model"), name.alias("seq_id"), F.col("p_size").alias("target_beg"), (F.col("p_size") + 20).alias("target_end"))
+    asked = t.intervals.select("iid", F.col("transcript").alias("seq_id"), (F.col("seqid") % 60).alias("first"), (F.col("seqid") % 60 + 2).alias("last"))
+    return M.models_of(asked, m).select("iid", "model")
 
 
 @query("j19_annotate_from_table", """WITH k AS (SELECT iid, chrom, start_pos, end_pos, CASE WHEN iid % 16 = 5 THEN '.' ELSE substr('ACGT', CAST(1 + iid % 4 AS INT), 1) END AS ref, substr('ACGT', CAST(1 + (iid // 4) % 4 AS INT), 1) AS alt FROM intervals),
@@ -240,19 +265,21 @@ def _(t):
     s = t.part.groupBy(F.concat(F.lit("T"), (F.col("p_partkey") % 500).cast("string")).alias("transcript"), key.alias("protein_variant")).agg(F.round(F.avg("p_retailprice"), 4).alias("score"))
     f = F.split("csq", r"\|")
     c = t.consequences.where(f[2] != "").select("vid", "transcript", F.concat(F.substring(f[2], 1, 1), f[3], F.substring(f[2], 3, 1)).alias("protein_variant"))
-    return c.join(s, ["transcript", "protein_variant"])
+    return M.by_protein_variant(c, s)
 
 
 @query("j22_mane_xref", "SELECT i.iid, x.unp FROM intervals i JOIN (SELECT DISTINCT unp, concat('T', substr(ext_id, 2)) AS transcript FROM idmap WHERE id_type = 'UniParc') x USING (transcript)")
 def _(t):
     x = M.ids_of(t.idmap, "UniParc").select("unp", F.concat(F.lit("T"), F.substring("ext_id", 2, 20)).alias("transcript")).distinct()
-    return t.intervals.join(x, "transcript").select("iid", "unp")
+    return M.by_transcript(t.intervals.withColumn("transcript", F.concat("transcript", F.lit("."), (F.col("iid") % 3).cast("string"))), x).select("iid", "unp")
 
 
-@query("j23_sifts_segment_align", "SELECT structid, chain, seqid + k AS unp_pos, seqid % 50 + k AS seq_pos FROM (SELECT structid, chain, CAST(seqid AS BIGINT) AS seqid, unnest(range(0, iid % 9 + 1)) AS k FROM intervals)")
+@query("j23_sifts_segment_align", """WITH s AS (SELECT structid, chain, CAST(seqid AS BIGINT) AS seqid, unnest(range(0, iid % 9 + 1)) AS k FROM intervals), r AS (SELECT structid, chain, CAST(seqid AS BIGINT) AS seq_pos, max(res_id) AS res_id FROM residues GROUP BY ALL)
+ SELECT s.structid, s.chain, s.seqid + k AS unp_pos, s.seqid % 50 + k AS seq_pos, r.res_id % 400 AS resnum, CASE WHEN r.res_id % 5 = 0 THEN 'A' WHEN r.res_id IS NOT NULL THEN '' END AS icode, COALESCE(r.res_id % 3 > 0, false) AS resolved FROM s LEFT JOIN r ON r.structid = s.structid AND r.chain = s.chain AND r.seq_pos = s.seqid % 50 + k""")
 def _(t):
     s = t.intervals.select("structid", "chain", F.col("seqid").cast("long").alias("unp_start"), (F.col("seqid") + F.col("iid") % 9).alias("unp_end"), (F.col("seqid") % 50).cast("long").alias("seq_start"), (F.col("seqid") % 50 + F.col("iid") % 9).alias("seq_end"))
-    return M.segment_alignment(s)
+    r = t.residues.groupBy("structid", "chain", F.col("seqid").cast("long").alias("seq_pos")).agg(F.max("res_id").alias("n"))
+    return M.segment_residues(s, r.select("structid", "chain", "seq_pos", (F.col("n") % 400).alias("resnum"), F.when(F.col("n") % 5 == 0, "A").otherwise("").alias("icode"), (F.col("n") % 3 > 0).alias("resolved")))
 
 
 @query("j24_sifts_canonical_align", "SELECT res_id, seq_id, seqid FROM (SELECT res_id, rescode, seqid, res_id % 200 AS seq_id FROM residues WHERE seqid > 0) r JOIN sequences USING (seq_id) WHERE substr(seq, seqid, 1) = rescode")
@@ -263,7 +290,7 @@ def _(t):
 
 @query("j25_best_isoform_chain", "SELECT structid, chain, arg_max(transcript, iid) AS best FROM intervals GROUP BY structid, chain")
 def _(t):
-    return t.intervals.groupBy("structid", "chain").agg(F.max_by("transcript", "iid").alias("best"))
+    return M.best_isoform_chain(t.intervals.withColumnRenamed("transcript", "unp"), "iid")
 
 
 @query("a43_indel_stats", "WITH d AS (SELECT DISTINCT vid, abs(length(alt1) - length(ref)) % 3 = 0 AS in_frame FROM variants v JOIN intervals i ON i.chrom = v.chrom AND v.pos >= start_pos AND v.pos < end_pos WHERE length(alt1) <> length(ref)) SELECT in_frame, count(*) AS n FROM d GROUP BY in_frame")
@@ -277,16 +304,7 @@ def _(t):
 
 @query("a46_summary_stats", f"WITH {_HIT} SELECT (SELECT count(DISTINCT structid) FROM residues) AS structures, (SELECT count(DISTINCT concat(structid, chain)) FROM residues) AS chains, (SELECT count(*) FROM residues) AS residues, (SELECT count(DISTINCT transcript) FROM intervals) AS transcripts, (SELECT count(DISTINCT gc_id) FROM hit) AS mapped_consequences, (SELECT count(DISTINCT structid) FROM hit) AS mapped_structures, (SELECT count(*) FROM variants WHERE length(ref) = 1) AS snps")
 def _(t):
-    hit = M.intersect(consequences(t), mapped(t))
-    parts = [
-        t.residues.agg(F.count_distinct("structid").alias("structures"), F.count_distinct(F.concat("structid", "chain")).alias("chains"), F.count("*").alias("residues")),
-        t.intervals.agg(F.count_distinct("transcript").alias("transcripts")), hit.agg(F.count_distinct("gc_id").alias("mapped_consequences"), F.count_distinct("structid").alias("mapped_structures")),
-        t.variants.where("length(ref) = 1").agg(F.count("*").alias("snps")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:  # one row each
-        out = out.crossJoin(p)
-    return out
+    return M.summary(t.residues, t.intervals, M.intersect(consequences(t), mapped(t)), t.variants)
 
 
 @query("a47_get_protein", "SELECT structid, string_agg(DISTINCT concat('#', chain), ';' ORDER BY concat('#', chain)) AS chains, count(DISTINCT seqid) AS n_residues, min(x) AS least_x FROM residues GROUP BY structid")
@@ -320,30 +338,27 @@ def _(t):
 
 @query("a48_repr_subset", "WITH c AS (SELECT transcript, structid, chain, count(*) AS n FROM intervals GROUP BY ALL) SELECT transcript, structid, chain, n FROM (SELECT *, row_number() OVER (PARTITION BY transcript ORDER BY n DESC, structid, chain) AS k FROM c) WHERE k = 1")
 def _(t):
-    c = t.intervals.groupBy("transcript", "structid", "chain").agg(F.count("*").alias("n"))
-    best = c.groupBy("transcript").agg(F.min_by(F.struct("structid", "chain", "n"), F.struct((-F.col("n")).alias("m"), "structid", "chain")).alias("b"))
-    return best.select("transcript", "b.*")
+    return M.longest_chain(t.intervals.groupBy(F.col("transcript").alias("unp"), "structid", "chain").agg(F.count("*").alias("n"))).withColumnRenamed("unp", "transcript")
 
 
 @query("a49_chain_coverage", "SELECT structid, chain, min(seqid) AS lo, max(seqid) AS hi FROM intervals GROUP BY structid, chain HAVING min(seqid) <= 20 AND max(seqid) >= 380")
 def _(t):
-    return t.intervals.groupBy("structid", "chain").agg(F.min("seqid").alias("lo"), F.max("seqid").alias("hi")).where("lo <= 20 and hi >= 380")
+    return M.covered(t.intervals, ["structid", "chain"], "seqid", "seqid", 20, 380)
 
 
 @query("a50_dbref_ranges", "SELECT structid, chain, transcript AS unp, min(seqid) AS lo, max(seqid) AS hi FROM intervals GROUP BY ALL")
 def _(t):
-    return t.intervals.groupBy("structid", "chain", F.col("transcript").alias("unp")).agg(F.min("seqid").alias("lo"), F.max("seqid").alias("hi"))
+    return M.covered(t.intervals.withColumnRenamed("transcript", "unp"), ["structid", "chain", "unp"], "seqid", "seqid")
 
 
 @query("a51_coverage_range", "SELECT transcript, chrom, min(start_pos) AS lo, max(end_pos) AS hi FROM intervals GROUP BY ALL")
 def _(t):
-    return t.intervals.groupBy("transcript", "chrom").agg(F.min("start_pos").alias("lo"), F.max("end_pos").alias("hi"))
+    return M.covered(t.intervals, ["transcript", "chrom"], "start_pos", "end_pos")
 
 
 @query("a54_plddt_summary", "SELECT structid, round(avg(z), 4) AS mean, string_agg(CAST(CAST(floor(z) AS INT) AS VARCHAR), ',' ORDER BY chain, seqid, res_id) AS per_residue FROM residues GROUP BY structid")
 def _(t):
-    by = F.array_sort(F.collect_list(F.struct("chain", "seqid", "res_id", F.floor("z").cast("int").alias("v"))))
-    return t.residues.groupBy("structid").agg(F.round(F.avg("z"), 4).alias("mean"), F.array_join(F.transform(by, lambda r: r["v"].cast("string")), ",").alias("per_residue"))
+    return M.confidence_summary(t.residues, "z")
 
 
 _EXONS = "ex AS (SELECT transcript, chrom, CASE WHEN CAST(substr(transcript, 2) AS INT) % 2 = 0 THEN 1 ELSE -1 END AS strand, start_pos AS s, end_pos AS e, row_number() OVER (PARTITION BY transcript, chrom ORDER BY iid) AS rank FROM intervals)"

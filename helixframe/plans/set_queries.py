@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.operators import mapping as M
 from helixframe.operators import sets as G
 from helixframe.operators.merging import diff_sites
 from helixframe.plans.registry import query
@@ -203,10 +204,7 @@ for _name, _how, _sql in (("g3_subset_types", {}, f"WITH c AS (SELECT vid, sampl
 
 @query("g4_union_labels", "SELECT DISTINCT unp, label FROM (SELECT unp, 'map' AS label FROM idmap WHERE unp = 'P12' OR unp LIKE 'P12-%' UNION ALL SELECT concat('P', CAST(vid % 300 AS VARCHAR)), 'site' FROM variants WHERE vid % 300 = 12)")
 def _(t):
-    base = lambda df: df.where((F.col("unp") == "P12") | F.col("unp").startswith("P12-"))
-    a = base(t.idmap).select("unp", F.lit("map").alias("label"))
-    b = base(t.variants.select(F.concat(F.lit("P"), (F.col("vid") % 300).cast("string")).alias("unp"))).select("unp", F.lit("site").alias("label"))
-    return a.union(b).distinct()
+    return M.of_protein({"map": t.idmap, "site": t.variants.select(F.concat(F.lit("P"), (F.col("vid") % 300).cast("string")).alias("unp"))}, "P12")
 
 
 @query("g5_delete_by_label", "SELECT iid, structid AS label FROM intervals WHERE structid <> 'S7'")
@@ -245,11 +243,9 @@ def _(t):
 
 @query("o3_shuffle_cols", "SELECT c.vid, string_agg(concat(COALESCE(CAST(a1 AS VARCHAR), '.'), '/', COALESCE(CAST(a2 AS VARCHAR), '.')), ' ' ORDER BY (c.sample * 7) % 20) AS line FROM calls c GROUP BY c.vid")
 def _(t):
-    order = t.samples.select("sample", ((F.col("sample") * 7) % 20).alias("place"))
-    text = F.concat(F.coalesce(F.col("a1").cast("string"), F.lit(".")), F.lit("/"), F.coalesce(F.col("a2").cast("string"), F.lit(".")))
-    return t.calls.join(F.broadcast(order), "sample").groupBy("vid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("g")))), lambda x: x["g"]), " ").alias("line"))
+    return G.in_order(t.calls, t.samples.select("sample", ((F.col("sample") * 7) % 20).alias("place")))
 
 
 @query("o5_exists_in", "SELECT DISTINCT structid FROM residues WHERE structid IN (SELECT structid FROM intervals)")
 def _(t):
-    return t.residues.select("structid").distinct().join(t.intervals.select("structid"), "structid", "left_semi")
+    return M.exists_in(t.residues.select("structid"), t.intervals)
\ No newline at end of file

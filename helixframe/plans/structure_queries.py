@@ -180,10 +180,10 @@ def _(t):
     return S.residue_centroids(R.atoms(atom_lines(t))).select("chain", "resid", "x", "y")
 
 
-@query("t2_residue_frame", "SELECT r.structid, r.chain, r.seqid, unp_pos, round(x, 4) AS x FROM residues r JOIN (SELECT structid, chain, CAST(seqid AS INT) AS seqid, max(iid % 1000) AS unp_pos FROM intervals GROUP BY ALL) a USING (structid, chain, seqid)")
+@query("t2_residue_frame", "SELECT r.structid, r.chain, r.seqid, unp_pos, round(x, 4) AS x FROM residues r JOIN (SELECT structid, chain, CAST(seqid AS INT) AS seqid, max(iid % 1000) AS unp_pos FROM intervals GROUP BY ALL) a USING (structid, chain, seqid) WHERE res_id % 4 > 0")
 def _(t):
     a = t.intervals.groupBy("structid", "chain", "seqid").agg(F.max(F.col("iid") % 1000).alias("unp_pos"))
-    return t.residues.join(a, ["structid", "chain", "seqid"]).select("structid", "chain", "seqid", "unp_pos", F.round("x", 4).alias("x"))
+    return S.residue_frame(t.residues.withColumn("hetero", F.col("res_id") % 4 == 0), a).select("structid", "chain", "seqid", "unp_pos", F.round("x", 4).alias("x"))
 
 
 _ONE = "o AS (SELECT structid, chain, seqid, min(rescode) AS rescode FROM residues GROUP BY ALL)"
@@ -193,10 +193,11 @@ def one_residue(t):
     return t.residues.groupBy("structid", "chain", "seqid").agg(F.min("rescode").alias("rescode"))
 
 
-@query("t3_chain_filter", f"WITH {_ONE} SELECT structid, chain, string_agg(CASE WHEN rescode = 'W' THEN 'S' ELSE rescode END, '' ORDER BY seqid) AS seq FROM o WHERE seqid >= 1 GROUP BY structid, chain")
+@query("t3_chain_filter", f"WITH {_ONE} SELECT structid, chain, string_agg(CASE WHEN rescode = 'W' THEN 'S' ELSE rescode END, '' ORDER BY seqid) AS seq FROM o WHERE seqid >= 1 AND chain <> 'D' AND seqid >= CAST(substr(structid, 2) AS INT) AND seqid <= 9 AND seqid % 7 > 0 GROUP BY structid, chain")
 def _(t):
-    own = one_residue(t).where("seqid >= 1").withColumn("rescode", F.when(F.col("rescode") == "W", "S").otherwise(F.col("rescode")))
-    return own.groupBy("structid", "chain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seqid", "rescode"))), lambda x: x["rescode"]), "").alias("seq"))
+    own = one_residue(t).select("structid", "chain", "seqid", F.when(F.col("rescode") != "W", F.col("rescode")).alias("letter"), (F.col("seqid") % 7 == 0).alias("hetero"))
+    chains = t.residues.select("structid", "chain").distinct().select("structid", "chain", F.when(F.col("chain") == "D", "MOUSE").otherwise("HUMAN").alias("species"), F.substring("structid", 2, 5).cast("int").alias("first"), F.lit(9).alias("last"))
+    return S.protein_chains(own, chains)
 
 
 @query("n12_gap_letters", f"WITH {_ONE}, k AS (SELECT * FROM o WHERE seqid % 3 <> 1), g AS (SELECT *, COALESCE(seqid - lag(seqid) OVER (PARTITION BY structid, chain ORDER BY seqid) - 1, 0) AS gap FROM k) SELECT structid, chain, string_agg(concat(repeat('X', gap), rescode), '' ORDER BY seqid) AS seq FROM g GROUP BY structid, chain")
@@ -204,11 +205,10 @@ def _(t):
     return S.chain_sequences(one_residue(t).where("seqid % 3 <> 1"))
 
 
-@query("n11_renumber_residues", f"WITH {_ONE} SELECT structid, chain, seqid, row_number() OVER (PARTITION BY structid, chain ORDER BY seqid) + 99 AS number FROM o")
+@query("n11_renumber_residues", f"WITH {_ONE} SELECT structid, chain, seqid, row_number() OVER (PARTITION BY structid, chain ORDER BY seqid) + 200 * CAST(substr(structid, 2) AS BIGINT) AS number FROM o")
 def _(t):
-    from pyspark.sql import Window
-
-    return one_residue(t).select("structid", "chain", "seqid", (F.row_number().over(Window.partitionBy("structid", "chain").orderBy("seqid")) + 99).cast("long").alias("number"))
+    begins = t.residues.select("structid", "chain").distinct().withColumn("begin", 1 + 200 * F.substring("structid", 2, 5).cast("int"))
+    return S.renumbered(one_residue(t), begins)
 
 
 @query("t4_biounits", "WITH op AS (SELECT * FROM (VALUES (1, 1.0, 0.0, 0.0, 5.0), (2, 0.0, -1.0, 1.0, 0.0)) v(op, c, s, r, t)) SELECT res_id AS serial, op, chain, round(c * x + s * y + t, 4) AS x, round(r * x + c * y, 4) AS y, round(z, 4) AS z FROM residues, op WHERE chain IN ('A', 'B')")
@@ -375,18 +375,16 @@ def _(t):
     return S.validate(v, t.calls, {"DP": "Integer", "MQ": "Float"})
 
 
-@query("t16_permute_snps", 'SELECT r.k AS round, chrom AS "group", count(*) AS n, CAST(SUM(vid) AS BIGINT) AS labels, CAST(SUM(pos) AS BIGINT) AS places FROM variants, range(1, 4) r(k) GROUP BY ALL')
+@query("t16_permute_snps", """WITH l AS (SELECT r.k AS round, chrom, pos, vid FROM variants, range(1, 4) r(k)), a AS (SELECT *, row_number() OVER (PARTITION BY round, chrom ORDER BY pos, vid) AS i FROM l), b AS (SELECT *, row_number() OVER (PARTITION BY round, chrom ORDER BY md5(concat('11:', CAST(round AS VARCHAR), ':', CAST(vid AS VARCHAR))), vid, pos) AS i FROM l)
+ SELECT a.round, a.chrom AS "group", a.pos AS place, b.vid AS label FROM a JOIN b ON a.round = b.round AND a.chrom = b.chrom AND a.i = b.i""")
 def _(t):
-    labels = t.variants.select(F.col("chrom").alias("group"), F.col("pos").alias("place"), F.col("vid").alias("label"))
-    # Sums are what every permutation keeps; which label goes where is tested in tests/.
-    return S.permutations(labels, 3).groupBy("round", "group").agg(F.count("*").alias("n"), F.sum("label").alias("labels"), F.sum("place").alias("places"))
+    return S.permutations(t.variants.select(F.col("chrom").alias("group"), F.col("pos").alias("place"), F.col("vid").alias("label")), 3)
 
 
 @query("t18_variable_residues", "WITH r AS (SELECT structid, chain, seqid, iid % 3 AS k FROM intervals), f AS (SELECT structid, bool_or(k = 1) AS any_flag FROM r GROUP BY structid) SELECT DISTINCT structid, chain, seqid FROM r JOIN f USING (structid) WHERE k = 1 OR (NOT any_flag AND k IS NOT NULL)")
 def _(t):
-    r = t.intervals.select("structid", "chain", "seqid", (F.col("iid") % 3).alias("k"))
-    f = r.groupBy("structid").agg(F.bool_or(F.col("k") == 1).alias("any_flag"))
-    return r.join(f, "structid").where("k = 1 or (not any_flag and k is not null)").select("structid", "chain", "seqid").distinct()
+    k = F.col("iid") % 3
+    return S.variable_residues(t.intervals, k == 1, k)
 
 
 @query("t19_remove_tags", "SELECT vid, CASE WHEN filter IS NULL THEN '.' WHEN filter = 'q10;s50' THEN 's50' ELSE '' END AS filters, CASE WHEN vid % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN vid % 19 = 0 THEN 0 ELSE 1 END + 1 AS n_info FROM variants")
@@ -395,12 +393,14 @@ def _(t):
     return v.select("vid", F.coalesce(F.array_join("filters", ";"), F.lit(".")).alias("filters"), F.size("info_map").alias("n_info"))
 
 
-@query("t20_cmp_sequence", "SELECT seq_id AS \"group\", CAST(1 AS BIGINT) AS n_common FROM sequences WHERE length(seq) >= 12 AND seq_id % 2 = 0")
+@query("t20_cmp_sequence", """WITH l AS (SELECT seq_id, seq, v.k, v.a FROM sequences, (VALUES (0, 1), (1, 3), (2, 7)) v(k, a)), m AS (SELECT DISTINCT seq_id, concat(left(seq, a), 'Q', substr(seq, a + 2)) AS made FROM l WHERE length(seq) >= 12),
+ r AS (SELECT DISTINCT seq_id, concat(left(seq, a), CASE WHEN (seq_id + k) % 3 = 0 THEN 'Q' ELSE 'QQ' END, substr(seq, a + 2)) AS made FROM l WHERE length(seq) >= 12) SELECT m.seq_id AS "group", count(*) AS n_common FROM m JOIN r ON r.seq_id = m.seq_id AND r.made = m.made GROUP BY m.seq_id""")
 def _(t):
-    # Of two files, one cuts a base after an anchor, the other the same base before the next one: equal where both bases are.
-    s = t.sequences.where("length(seq) >= 12").select(F.col("seq_id").alias("group"), F.concat(F.substring("seq", 1, 4), F.lit("ZZ"), F.substring("seq", 5, 8)).alias("slice"))
-    left = s.select("group", F.lit(4).alias("off"), F.lit("ZZ").alias("ref"), F.lit("Z").alias("alt"), "slice")
-    right = s.select("group", F.lit(4).alias("off"), F.lit("ZZ").alias("ref"), F.when(F.col("group") % 2 == 0, "Z").otherwise("ZZZ").alias("alt"), "slice")
+    # Three variants in each file; every third of the second file is the first one's.
+    s = t.sequences.where("length(seq) >= 12").select(F.col("seq_id").alias("group"), F.col("seq").alias("slice"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(off).alias("off")) for k, off in ((0, 1), (1, 3), (2, 7))])).alias("v")).select("group", "slice", "v.*")
+    own = s.withColumn("ref", F.expr("substring(slice, off + 1, 1)"))
+    left = own.select("group", "off", "ref", F.lit("Q").alias("alt"), "slice")
+    right = own.select("group", "off", "ref", F.when((F.col("group") + F.col("k")) % 3 == 0, "Q").otherwise("QQ").alias("alt"), "slice")
     return S.same_sequence(left, right)
 
 
@@ -485,9 +485,7 @@ def _(t):
 
 @query("o4_view_order", "SELECT structid, chain, seqid, res_id, row_number() OVER (PARTITION BY structid ORDER BY chain, seqid, res_id) AS k FROM residues")
 def _(t):
-    from pyspark.sql import Window
-
-    return t.residues.select("structid", "chain", "seqid", "res_id", F.row_number().over(Window.partitionBy("structid").orderBy("chain", "seqid", "res_id")).alias("k"))
+    return S.view_order(t.residues.select("structid", "chain", "seqid", "res_id"), ["chain", "seqid", "res_id"])
 
 
 @query("r1_stream_ingest", "SELECT chrom, pos, COALESCE(id, '.') AS id, ref, concat_ws(',', alt1, alt2) AS alts, qual FROM variants")
