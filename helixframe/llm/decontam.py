@@ -2,9 +2,10 @@
 
 A document's words are streamed through the automaton, which keeps the longest match that ends at each word. A word is hit
 if it lies in a match of `window` words, or in a whole item of fewer words (the coverage limit). Items are taken in blocks
-of about block_words words, numbered by hashes; each block has an automaton of its own, of a size so bounded, that is
-broadcast. The documents pass a few blocks' automata in a stage, without a shuffle, and are written between such stages, so
-that neither a task nor the driver ever holds more than `at_once` of them, however large the benchmark is.
+of about block_words words, numbered by hashes; each block has an automaton of its own, of a size so bounded, whose items are
+broadcast. The documents pass a few blocks' automata in a stage, without a shuffle. If there are more blocks, each stage
+gives only the hits of documents that have any; so neither a task nor the driver ever holds more than `at_once` blocks,
+however large the benchmark is, and texts are not written between stages.
 
 Nulls: a null text has no words; a null item_id is written as an empty string. Items of equal id count once. Documents are
 rows of their own, whatever their doc_id. Empty documents have no hits; an empty benchmark gives none anywhere. A very long
@@ -13,6 +14,7 @@ text is streamed like others. Other columns are kept, whatever their names. An e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,9 +145,9 @@ def merge_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
-    """(block, item, words): the items' words, joined by spaces, in blocks of about block_words words by their hashes. An
-    item too long for a tenth of a block is cut into overlapping parts, which have the same windows."""
+def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[DataFrame, int]:
+    """(block, item, words) and the number of blocks: the items' words, joined by spaces, in blocks of about block_words words by
+    their hashes. An item too long for a tenth of a block is cut into overlapping parts, which have the same windows."""
     longest = max(window, block_words // 10)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +160,8 @@ def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> DataFram
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
     parts = saved(items.mapInArrow(cut, "item string, words binary, n long").where("n > 0").distinct(), "items")
     total = parts.agg(F.sum("n")).first()[0] or 0
-    return parts.select(F.pmod(F.xxhash64("item", "words"), F.lit(max(1, -(-total // block_words)))).alias("block"), "item", "words")
+    count = max(1, -(-total // block_words))
+    return parts.select(F.pmod(F.xxhash64("item", "words"), F.lit(count)).alias("block"), "item", "words"), count
 
 
 def remove_spans(text: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -176,43 +179,86 @@ def remove_spans(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 RUNS, ITEMS, WORDS = "__hx_runs", "__hx_items", "__hx_words"
 
 
-def _pass(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
-    """(row, runs, items, words) with the block's runs and items added; row: a struct of the input's columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    built: list[ItemAutomaton] = []
-    schema = docs.schema
+#: Automata that this worker has built, by token: tasks of a worker share them.
+_built: dict[str, ItemAutomaton] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(ItemAutomaton(shared.value, window))
-        out = arrow_schema(schema)
-        kind = {name: out.field(name).type for name in out.names}
-        for batch in batches:
-            for part in slices(batch):
-                runs, items, counts = [], [], []
-                for text, old, had in zip(as_bytes(part.column("text")), part.column(RUNS).to_pylist(), part.column(ITEMS).to_pylist(), strict=True):
-                    words = words_of(text)
-                    own, found = built[0].scan(words)
-                    runs.append(merge_runs([*map(tuple, old), *own]) if old else own)
-                    items.append(sorted({*had, *found}))
-                    counts.append(len(words))
-                made = {RUNS: pa.array(runs, kind[RUNS]), ITEMS: pa.array(items, kind[ITEMS]), WORDS: pa.array(counts, kind[WORDS])}
-                yield pa.RecordBatch.from_arrays([made.get(name, part.column(i)) for i, name in enumerate(out.names)], names=out.names)
 
-    return docs.mapInArrow(run, schema)
+def _automaton(token: str, block: list[tuple[str, list[bytes]]], window: int, keep: int) -> ItemAutomaton:
+    if token not in _built:
+        while len(_built) >= keep:
+            _built.pop(next(iter(_built)))
+        _built[token] = ItemAutomaton(block, window)
+    return _built[token]
+
+
+def _block(blocks: DataFrame, number: int) -> list[tuple[str, list[bytes]]]:
+    """A block, of bounded size, for a broadcast."""
+    return [(r["item"], bytes(r["words"]).split()) for r in blocks.where(F.col("block") == number).orderBy("item", "words").collect()]
+
+
+def _scanner(spark, blocks: DataFrame, numbers: list[int], window: int):
+    """scan(texts): (runs, items, number of words) of each text against some blocks."""
+    shared = [(uuid.uuid4().hex, spark.sparkContext.broadcast(_block(blocks, n))) for n in numbers]
+
+    def scan(texts: list[bytes]) -> list[tuple[list[tuple[int, int]], list[str], int]]:
+        automata = [_automaton(token, block.value, window, len(shared)) for token, block in shared]
+        out = []
+        for text in texts:
+            words = words_of(text)
+            found = [a.scan(words) for a in automata]
+            runs = merge_runs([r for own, _ in found for r in own]) if len(found) > 1 else found[0][0]
+            out.append((runs, sorted(set().union(*(items for _, items in found))), len(words)))
+        return out
+
+    return scan
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000, at_once: int = 2) -> DataFrame:
     """docs with __hx_runs (array of [first, last) word numbers, merged), __hx_items (the items, sorted as strings) and
-    __hx_words (the number of words); columns of the input that have such a name are replaced."""
+    __hx_words (the number of words); columns of the input that have such a name are replaced.
+
+    If the benchmark has more blocks than are taken at once, documents are written once with a number each, every pass gives
+    the numbers and hits of documents that have any, and these are put together and joined to the documents."""
     out = docs.withColumn("text", F.col("text").cast("string")).withColumn(RUNS, F.array().cast("array<array<int>>")).withColumn(ITEMS, F.array().cast("array<string>")).withColumn(WORDS, F.lit(0).cast("long"))
-    blocks = item_blocks(benchmark, window, block_words)
-    numbers = sorted(r["block"] for r in blocks.select("block").distinct().collect())
-    for i, number in enumerate(numbers or [0]):
-        if i and i % at_once == 0:
-            out = saved(out, "hits")
-        out = _pass(out, [(r["item"], bytes(r["words"]).split()) for r in blocks.where(F.col("block") == number).orderBy("item", "words").collect()], window)
-    return out
+    blocks, count = item_blocks(benchmark, window, block_words)
+    spark = docs.sparkSession
+    schema = out.schema
+    passes = [list(range(at, min(count, at + at_once))) for at in range(0, count, at_once)]
+    if len(passes) == 1:
+        scan = _scanner(spark, blocks, passes[0], window)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = arrow_schema(schema)
+            kind = {name: names.field(name).type for name in names.names}
+            for batch in batches:
+                for part in slices(batch):
+                    got = scan(as_bytes(part.column("text")))
+                    made = {RUNS: pa.array([x[0] for x in got], kind[RUNS]), ITEMS: pa.array([x[1] for x in got], kind[ITEMS]), WORDS: pa.array([x[2] for x in got], kind[WORDS])}
+                    yield pa.RecordBatch.from_arrays([made.get(name, part.column(i)) for i, name in enumerate(names.names)], names=names.names)
+
+        return out.mapInArrow(run, schema)
+
+    rows = saved(out.select(F.monotonically_increasing_id().alias("n"), "text", whole_row(out).alias("row")), "documents")
+    hits = None
+    for own in passes:
+        scan = _scanner(spark, blocks, own, window)
+
+        def hit(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    got = [(n, runs, items) for n, (runs, items, _) in zip(part.column("n").to_pylist(), scan(as_bytes(part.column("text"))), strict=True) if runs]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.list_(pa.list_(pa.int32()))), pa.array([x[2] for x in got], pa.list_(pa.string()))], ["n", "runs", "items"])
+
+        one = saved(rows.select("n", "text").mapInArrow(hit, "n long, runs array<array<int>>, items array<string>"), "hits")
+        hits = one if hits is None else hits.union(one)
+    # A document has a row per pass at most. Runs that touch or overlap are one.
+    gathered = hits.groupBy("n").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
+    last = lambda acc: F.element_at(acc, -1)
+    grown = lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))[1] >= x[0]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.array(last(acc)[0], F.greatest(last(acc)[1], x[1]))))).otherwise(F.concat(acc, F.array(x)))
+    merged = gathered.select("n", F.aggregate("r", F.array().cast("array<array<int>>"), grown).alias("r"), "i")
+    found = rows.join(merged, "n", "left")
+    new = {RUNS: F.coalesce("r", F.array().cast("array<array<int>>")), ITEMS: F.coalesce("i", F.array().cast("array<string>")), WORDS: F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")}
+    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in out.columns])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
