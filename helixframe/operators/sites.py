@@ -268,7 +268,7 @@ def site_pi(calls: DataFrame) -> DataFrame:
 
 def fst_terms(calls: DataFrame, samples: DataFrame) -> DataFrame:
     """(vid, num, den) of the Weir-Cockerham estimator, alleles summed; complete diploid calls."""
-    own = full(calls).join(F.broadcast(samples), "sample")
+    own = full(calls).join(samples, "sample")
     size = own.groupBy("vid", "pop").agg(F.count("*").alias("n"))
     alleles = own.select("vid", F.explode(F.array("a1", "a2")).alias("allele")).distinct()
     grid = size.join(alleles, "vid")
@@ -288,6 +288,5 @@ def fst_terms(calls: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def weir_fst(calls: DataFrame, samples: DataFrame) -> DataFrame:
-    """(vid, fst); null where the denominator is 0. Exact halves in the last digit are many here, and the order of sums
-    would decide how they round: a hair lifts them."""
-    return fst_terms(calls, samples).select("vid", rounded(F.when(F.abs("den") > 1e-12, F.col("num") / F.col("den") + 1e-10)).alias("fst"))
+    """(vid, fst), to ten digits, without negative zeros; null where the denominator is 0."""
+    return fst_terms(calls, samples).select("vid", (F.round(F.when(F.abs("den") > 1e-12, F.col("num") / F.col("den")), 10) + 0.0).alias("fst"))

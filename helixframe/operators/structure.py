@@ -277,7 +277,7 @@ def fix_ploidy(calls: DataFrame, regions: DataFrame, sexes: DataFrame) -> DataFr
     """Calls (vid, chrom, pos, sample, a1, a2) with the ploidy of their region (chrom, start, end, sex, ploidy) and sex: one
     allele where it is 1, none where it is 0. With likelihoods (pl, n_alleles) the one allele is the best by these, and
     they are made to fit."""
-    j = calls.join(F.broadcast(sexes), "sample", "left").join(F.broadcast(regions.withColumnsRenamed({"chrom": "r_chrom", "sex": "r_sex"})), (F.col("chrom") == F.col("r_chrom")) & (F.col("sex") == F.col("r_sex")) & F.col("pos").between(F.col("start"), F.col("end")), "left")
+    j = calls.join(sexes, "sample", "left").join(regions.withColumnsRenamed({"chrom": "r_chrom", "sex": "r_sex"}), (F.col("chrom") == F.col("r_chrom")) & (F.col("sex") == F.col("r_sex")) & F.col("pos").between(F.col("start"), F.col("end")), "left")
     p = F.coalesce("ploidy", F.lit(2))
     if "pl" not in calls.columns:
         return j.select("vid", "sample", F.when(p > 0, F.col("a1")).alias("a1"), F.when(p > 1, F.col("a2")).alias("a2"), p.alias("ploidy"))

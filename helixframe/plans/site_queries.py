@@ -172,7 +172,7 @@ FST = """o AS (SELECT c.*, pop FROM calls c JOIN samples USING (sample) WHERE a1
  fst AS (SELECT vid, SUM(a) AS num, SUM(a + bb + cc) AS den FROM terms GROUP BY vid)"""
 
 
-@query("a32_weir_fst", f"WITH {FST} SELECT vid, round(CASE WHEN abs(den) > 1e-12 THEN num / den + 1e-10 END, 6) AS fst FROM fst")
+@query("a32_weir_fst", f"WITH {FST} SELECT vid, round(CASE WHEN abs(den) > 1e-12 THEN num / den END, 10) + 0.0 AS fst FROM fst")
 def _(t):
     return S.weir_fst(t.calls, t.samples)
 

@@ -186,7 +186,7 @@ def parse_calls(variants: DataFrame, header: Header) -> DataFrame:
     rows = variants.select("*", *[F.array_position("format", k).cast("int").alias(f"__{k}") for k in keys])
     if header.by_file:
         names = variants.sparkSession.createDataFrame(list(header.by_file.items()), "file string, __names array<string>")
-        rows = rows.join(F.broadcast(names), "file")  # names, as many as files and samples
+        rows = rows.join(names, "file")
     else:
         rows = rows.withColumn("__names", F.array(*map(F.lit, header.samples)) if header.samples else F.array().cast("array<string>"))
     rows = rows.select("*", F.posexplode("fields").alias("__k", "__text")).select("*", F.get("__names", F.col("__k")).alias("sample"), F.split("__text", ":").alias("__values"))
