@@ -49,7 +49,7 @@ PLACE_BITS = 19
 def pack_chunk(ids: pa.Array, texts: list[bytes]) -> bytes:
     null = np.array(ids.is_null().to_numpy(zero_copy_only=False), np.uint8)
     body = struct.pack("<q", len(texts)) + null.tobytes() + ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + np.array([*map(len, texts)], np.int64).tobytes() + b"".join(texts)
-    return zstandard.ZstdCompressor(3).compress(body)
+    return zstandard.ZstdCompressor(2).compress(body)
 
 
 def open_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -94,10 +94,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
-def runs_of(values: np.ndarray, counts: np.ndarray, width: int, k: int) -> Runs:
+def runs_of(values: np.ndarray, counts: np.ndarray, width: int, k: int, whole: bool = True) -> Runs:
     """The runs of all windows of the documents whose tokens' hashes follow each other in values. A very long row of
     tokens is taken in pieces; a run that is cut in two there is two runs with one anchor. Of grams whose hashes agree but
-    for the low bits, the leftmost is least, whatever stands around the window."""
+    for the low bits, the leftmost is least, whatever stands around the window. whole: hash whole runs, too."""
     assert PIECE + width < 1 << PLACE_BITS
     doc_of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     doc_starts = np.cumsum(counts) - counts
@@ -118,15 +118,15 @@ def runs_of(values: np.ndarray, counts: np.ndarray, width: int, k: int) -> Runs:
         turn = np.flatnonzero(np.diff(place)) + 1
         new, end = np.r_[0, turn], np.r_[turn, len(starts)] - 1
         first, last = starts[new], starts[end]
-        whole = span_hash(prefix_hash(h, 1), first, last + width, 1)
+        hashed = span_hash(prefix_hash(h, 1), first, last + width, 1) if whole else np.zeros(len(first), np.uint64)
         # Least hashes are small; mixed once more they spread over the buckets evenly.
         anchor = mix(g[place[new]] + np.uint64(0x9E3779B97F4A7C15))
-        found.append(Runs(anchor, first + at, last + at, d[first], whole, doc_starts[d[first]], place[new] + at))
+        found.append(Runs(anchor, first + at, last + at, d[first], hashed, doc_starts[d[first]], place[new] + at))
     none = np.empty(0, np.int64)
     return Runs.joined(found) if found else Runs(none.view(np.uint64), none, none, none, none.view(np.uint64), none, none)
 
 
-def longer_keys(runs: Runs, values: np.ndarray, width: int, k: int, level: int) -> Runs:
+def longer_keys(runs: Runs, values: np.ndarray, width: int, k: int, level: int, whole: bool = True) -> Runs:
     """The runs cut up by longer keys. Level 1: windows with the anchor in their second half share what is before it, the
     others what is after it, half of the rest of a window. Level 2: a window is its own key."""
     if level == 1:
@@ -145,7 +145,8 @@ def longer_keys(runs: Runs, values: np.ndarray, width: int, k: int, level: int)
         out.first = out.last = out.first + _inner(number)
         start, end, salt = out.first, out.first + width, np.uint64(0x165667B19E3779F9)
     out.anchor = mix(span_hash(prefix_hash(values, 2), start, end, 2) + salt)
-    out.whole = span_hash(prefix_hash(values, 1), out.first, out.last + width, 1)
+    if whole:
+        out.whole = span_hash(prefix_hash(values, 1), out.first, out.last + width, 1)
     return out
 
 
@@ -197,15 +198,16 @@ def _ask(runs: Runs, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys, and of each the number of distinct runs; 2 at least if it is repeated in the chunk (across: in another document)."""
     if not len(runs.anchor):
         return runs.anchor, np.empty(0, np.int64)
-    order = np.lexsort((runs.whole, runs.doc, runs.anchor))
-    a, d, w = runs.anchor[order], runs.doc[order], runs.whole[order]
-    keys, at = np.unique(a, return_index=True)
-    same = np.r_[False, a[1:] == a[:-1]]
-    docs = 1 + np.add.reduceat(same & np.r_[False, d[1:] != d[:-1]], at, dtype=np.int64)
-    order = np.lexsort((w, a))
-    distinct = 1 + np.add.reduceat(np.r_[False, (a[1:] == a[:-1]) & (w[order][1:] != w[order][:-1])], at, dtype=np.int64)
-    times = np.diff(np.r_[at, len(a)])
-    return keys, np.where(docs > 1, np.maximum(distinct, 2), 1) if across else np.where(times > 1, np.maximum(distinct, 2), 1)
+    order = np.lexsort((runs.whole, runs.anchor))
+    a, w = runs.anchor[order], runs.whole[order]
+    at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    distinct = 1 + np.add.reduceat(np.r_[False, (a[1:] == a[:-1]) & (w[1:] != w[:-1])], at, dtype=np.int64)
+    if across:
+        most, least = np.maximum.reduceat(runs.doc[order], at), np.minimum.reduceat(runs.doc[order], at)
+        several = most > least
+    else:
+        several = np.diff(np.r_[at, len(a)]) > 1
+    return a[at], np.where(several, np.maximum(distinct, 2), 1)
 
 
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -300,33 +302,38 @@ def _count_answer(parts: list[bytes], hot: int) -> list[bytes]:
 
 class Chunk:
     """A chunk with its runs and what the answers say about their keys, level by level. pending: the runs that the next
-    level has to ask about; runs: those whose keys are repeated."""
+    level has to ask about, if it asks; else runs: those whose keys are repeated."""
 
-    def __init__(self, scheme: Scheme, row: dict, bits: int):
+    def __init__(self, scheme: Scheme, row: dict, bits: int, asks: bool = False):
         self.scheme = scheme
         self.null, self.ids, self.texts = open_chunk(row["body"])
         self.values, self.counts = scheme.tokens(self.texts)
-        self.ties = text_ties(self.texts)
-        runs, known = runs_of(self.values, self.counts, scheme.width, scheme.k), []
+        runs, known = runs_of(self.values, self.counts, scheme.width, scheme.k, False), []
         for level in range(LEVELS):
             if level and not len(runs.anchor):
                 break
             if level:
-                runs = longer_keys(runs, self.values, scheme.width, scheme.k, level)
+                runs = longer_keys(runs, self.values, scheme.width, scheme.k, level, asks)
             if f"parts{level}" not in row:
                 break
-            code = self._codes(np.unique(runs.anchor), row[f"parts{level}"] or [], bits)[np.searchsorted(np.unique(runs.anchor), runs.anchor)]
+            keys, inverse = np.unique(runs.anchor, return_inverse=True)
+            code = self._codes(keys, row[f"parts{level}"] or [], bits)[inverse]
             known.append(runs.take(np.flatnonzero(code == 1)))
             runs = runs.take(np.flatnonzero(code == 2))
-        self.pending, self.runs = runs, Runs.joined(known)
-        self._lead()
+        self.pending = runs
+        if not asks:
+            self.ties, self.runs = text_ties(self.texts), Runs.joined(known)
+            self._lead()
 
     def _codes(self, keys: np.ndarray, parts: list[dict], bits: int) -> np.ndarray:
         """The code of each key: the least of its counters."""
         got = np.frombuffer(b"".join(bytes(x["data"]) for x in parts), np.uint8)
         least, at = np.full(len(keys), 2, np.uint8), 0
-        for row in range(max(1, self.scheme.sketch_rows)):
-            cell = cells(keys, row, bits) if self.scheme.sketch_rows else keys
+        if not self.scheme.sketch_rows:
+            assert len(got) == len(keys), "an answer is missing"
+            return got
+        for row in range(self.scheme.sketch_rows):
+            cell = cells(keys, row, bits)
             own, inverse = np.unique(cell, return_inverse=True)
             least = np.minimum(least, got[at : at + len(own)][inverse])
             at += len(own)
@@ -468,11 +475,11 @@ def repeated_tokens(docs: DataFrame, scheme: Scheme, finish: Callable[[Chunk, np
     table = saved(_chunks(docs, scheme, ask_buckets, bits), "chunks", "uncompressed")
     known, asks = table.where("bucket = -1").select("chunk", "body"), table.where("bucket >= 0").select("chunk", "bucket", "data")
 
-    def chunk_rows(make: Callable[[Chunk], Iterator[tuple[int, bytes]]]):
+    def chunk_rows(make: Callable[[Chunk], Iterator[tuple[int, bytes]]], asks: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in rows_of(batch):
-                    for b, data in make(Chunk(scheme, row, bits)):
+                    for b, data in make(Chunk(scheme, row, bits, asks)):
                         yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["chunk", "bucket", "data"])
 
         return known.mapInArrow(run, "chunk long, bucket int, data binary")
@@ -483,12 +490,12 @@ def repeated_tokens(docs: DataFrame, scheme: Scheme, finish: Callable[[Chunk, np
         known = known.join(got, "chunk", "left")
         if not got.where(F.exists(f"parts{level}", lambda x: F.contains(x["data"], F.lit(b"\x02")))).limit(1).count():
             break
-        asks = chunk_rows(lambda c: _asks(c.pending, scheme, ask_buckets, bits))
+        asks = chunk_rows(lambda c: _asks(c.pending, scheme, ask_buckets, bits), True)
 
     def compare(parts: list[bytes]) -> list[bytes]:
         return [struct.pack("<q", len(x)) + np.packbits(x).tobytes() for x in compare_runs([open_sent(x) for x in parts], scheme)]
 
-    second = saved(answers(chunk_rows(lambda c: c.sends(send_buckets)), compare, "bits"), "bits")
+    second = saved(answers(chunk_rows(lambda c: c.sends(send_buckets), False), compare, "bits"), "bits")
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -71,10 +71,21 @@ class Symbols:
         return s
 
 
+def sorted_by(key: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """A stable order by numbers from 0 on, of what is in some order already: 16 bits at a time, which numpy sorts by digits."""
+    for shift in (0, 16) if key.max(initial=0) > 0xFFFF else (0,):
+        digits = (key >> shift).astype(np.uint16)
+        order = np.argsort(digits, kind="stable") if order is None else order[np.argsort(digits[order], kind="stable")]
+    return order
+
+
 def shard_orders(symbols: Symbols, bounds: list[int], depth: int) -> list[np.ndarray]:
     """The suffixes from each bound to the next, a shard's, sorted by their first `depth` symbols."""
-    nth = [symbols.nth(k) for k in reversed(range(depth))]
-    return [a + np.lexsort([x[a:b] for x in nth]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    order = None
+    for k in reversed(range(depth)):
+        order = sorted_by(symbols.nth(k), order)
+    shard = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    return np.split(sorted_by(shard, order), bounds[1:-1])
 
 
 def merge_shards(symbols: Symbols, orders: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,22 +93,22 @@ def merge_shards(symbols: Symbols, orders: list[np.ndarray], depth: int) -> tupl
     with the one before it, `depth` at most; found by refining the interleave of the shards' transforms."""
     sizes = [*map(len, orders)]
     transforms = symbols.before[np.concatenate(orders)]
-    shard = np.repeat(np.arange(len(orders), dtype=np.uint16 if len(orders) < 2**16 else np.int64), sizes)
+    shard = np.repeat(np.arange(len(orders)), sizes)
     block = np.zeros(len(shard), np.int64)
     common = np.full(len(shard), depth)
     common[:1] = 0
     for done in range(depth):
         # Each shard's transform is read from its begin to its end, in the order in which the interleave takes from it.
         comes = np.empty(len(shard), np.int32)
-        comes[np.argsort(shard, kind="stable")] = transforms
-        to = np.argsort(comes, kind="stable")
+        comes[sorted_by(shard)] = transforms
+        to = sorted_by(comes)
         shard, symbol, block = shard[to], comes[to], block[to]
         # An end of a string is alike no other symbol, nor another end as far as what follows is concerned.
         cut = (symbol[1:] != symbol[:-1]) | ((block[1:] != block[:-1]) & (symbol[1:] > 0))
         common[1:][cut] = np.minimum(common[1:][cut], done)
         block = np.r_[0, np.cumsum(cut)]
     suffixes = np.empty(len(shard), np.int64)
-    suffixes[np.argsort(shard, kind="stable")] = np.concatenate(orders)
+    suffixes[sorted_by(shard)] = np.concatenate(orders)
     return suffixes, common
 
 
@@ -119,9 +130,9 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, shards: np.ndarray, wi
         start = symbols.byte[suffixes]
         first = np.r_[True, group[1:] != group[:-1]]
         lead = start[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        span = np.arange(width)
+        windows = np.lib.stride_tricks.sliding_window_view(data, width)
         for at in range(0, len(start), 50_000):
-            if not np.array_equal(data[start[at : at + 50_000, None] + span], data[lead[at : at + 50_000, None] + span]):
+            if not np.array_equal(windows[start[at : at + 50_000]], windows[lead[at : at + 50_000]]):
                 strings = Numbers()
                 group = np.array([strings[data[x : x + width].tobytes()] for x in start.tolist()])
                 break
