@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -276,12 +279,61 @@ def only_types(variants: DataFrame, calls: DataFrame, types: list[str], replace_
     return variants.join(called, "vid", "left_semi"), own.join(called, "vid", "left_semi")
 
 
-def concat(sets: list[DataFrame], pad: bool = False) -> DataFrame:
-    """Sets below one another, by place. Sets must have the same columns; with pad, those that one lacks are null."""
+def first_unsorted(sites: DataFrame) -> tuple | None:
+    """The first place (chrom, pos), in the order of the rows, that is less than one before it; null if there is none. Tasks look
+    through their rows; the driver compares where they begin and end, a row each."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = bad = None
+        for batch in batches:
+            for at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                first = first or at
+                if bad is None and last is not None and at < last:
+                    bad = at
+                last = max(last or at, at)
+        rows = [] if first is None else [(TaskContext.get().partitionId(), *first, *last, *(bad or (None, None)))]
+        kinds = (pa.int32(), *(pa.string(), pa.int64()) * 3)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["part", "c1", "p1", "c2", "p2", "c3", "p3"])
+
+    greatest = None
+    for r in sites.select("chrom", F.col("pos").cast("long")).mapInArrow(look, "part int, c1 string, p1 long, c2 string, p2 long, c3 string, p3 long").orderBy("part").collect():
+        if greatest is not None and (r.c1, r.p1) < greatest:
+            return r.c1, r.p1
+        if r.c3 is not None:
+            return r.c3, r.p3
+        greatest = (r.c2, r.p2)
+    return None
+
+
+def concat(sets: list[DataFrame], pad: bool = False, are_sorted: bool = False) -> DataFrame:
+    """Sets below one another, by place. Sets must have the same columns; with pad, those that one lacks are null.
+
+    With are_sorted each set has to be in the order of chrom and pos, which is checked. Then only the sets' ends are compared:
+    sets that lie apart follow one another as they are, without a shuffle, and only those whose ranges overlap are merged."""
     unlike = [df.columns for df in sets if set(df.columns) != set(sets[0].columns)]
     if unlike and not pad:
         raise ValueError(f"sets have different columns: {sets[0].columns} and {unlike[0]}")
-    return sort_sites(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=pad), sets), natural=False)
+    below = lambda own: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=pad), own)
+    if not are_sorted:
+        return sort_sites(below(sets), natural=False)
+    place = F.struct("chrom", F.col("pos").cast("long").alias("pos"))
+    spans = []
+    for k, df in enumerate(sets):
+        if (bad := first_unsorted(df)) is not None:
+            raise ValueError(f"set {k} is not sorted at {bad[0]}:{bad[1]}")
+        a, b = df.agg(F.min(place), F.max(place)).first()
+        if a is not None:
+            spans.append((tuple(a), tuple(b), k))
+    groups: list[list[int]] = []
+    end = None
+    for a, b, k in sorted(spans):
+        if end is None or a > end:
+            groups.append([])
+        groups[-1].append(k)
+        end = b if end is None else max(end, b)
+    whole = below([df.limit(0) for df in sets]).columns
+    parts = [sets[own[0]] if len(own) == 1 else sort_sites(below([sets[k] for k in own]), natural=False) for own in groups]
+    return below([below([sets[0].limit(0), *[df.limit(0) for df in sets[1:]]]), *parts]).select(*whole) if parts else below(sets)
 
 
 def in_order(calls: DataFrame, template: DataFrame) -> DataFrame:

@@ -241,6 +241,13 @@ def _(t):
     return G.concat([a.where("chrom = 'chr1'"), b.where("chrom = 'chr2'").withColumn("extra", F.lit("b"))], pad=True)
 
 
+@query("o2_concat_sorted", f"WITH {_AB} SELECT chrom, pos, vid, qual, NULL AS extra FROM a WHERE chrom <= 'chr3' UNION ALL SELECT chrom, pos, vid, qual, 'b' FROM b WHERE chrom = 'chr3' UNION ALL SELECT chrom, pos, vid, qual, 'c' FROM b WHERE chrom > 'chr3'")
+def _(t):
+    a, b = (x.select("chrom", "pos", "vid", "qual") for x in two(t))
+    parts = [b.where("chrom > 'chr3'").withColumn("extra", F.lit("c")), b.where("chrom = 'chr3'").withColumn("extra", F.lit("b")), a.where("chrom <= 'chr3'")]
+    return G.concat([G.sort_sites(x, natural=False) for x in parts], pad=True, are_sorted=True)
+
+
 @query("o3_shuffle_cols", "SELECT c.vid, string_agg(concat(COALESCE(CAST(a1 AS VARCHAR), '.'), '/', COALESCE(CAST(a2 AS VARCHAR), '.')), ' ' ORDER BY (c.sample * 7) % 20) AS line FROM calls c GROUP BY c.vid")
 def _(t):
     return G.in_order(t.calls, t.samples.select("sample", ((F.col("sample") * 7) % 20).alias("place")))

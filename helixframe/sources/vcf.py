@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,22 +52,32 @@ def parse_header(lines: Iterable[str]) -> Header:
     return out
 
 
-def file_heads(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The lines with # that begin each file of a path, by file. Only the files' beginnings are read, by Hadoop's readers,
-    so that any store and compression will do that Spark's text source reads."""
+def file_heads(spark: SparkSession, path: str, piece: int = 1 << 16, at_once: int = 16) -> dict[str, list[str]]:
+    """The lines with # that begin each file of a path, by file. Only the files' beginnings are read, a piece at a time and some
+    files at once, by Hadoop's readers, so that any store and compression will do that Spark's text source reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    heads: dict[str, list[str]] = {}
-    for name in spark.read.text(path).inputFiles():
+
+    def head(name: str) -> list[str]:
         file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
         stream = file.getFileSystem(conf).open(file)
         codec = codecs.getCodec(file)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
-        heads[name] = []
-        while (line := reader.readLine()) is not None and line.startswith("#"):
-            heads[name].append(line)
-        reader.close()
-    return heads
+        reader = codec.createInputStream(stream) if codec else stream
+        data = b""
+        try:
+            while True:
+                got = bytes(reader.readNBytes(piece))
+                data += got
+                lines = data.split(b"\n")
+                done = next((i for i, x in enumerate(lines[: len(lines) - (len(got) == piece)]) if not x.startswith(b"#")), None)
+                if done is not None or len(got) < piece:
+                    return [x.decode().rstrip("\r") for x in lines[:done] if x.startswith(b"#")]
+        finally:
+            reader.close()
+
+    names = spark.read.text(path).inputFiles()
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(names, pool.map(head, names), strict=True))
 
 
 def read_header(spark: SparkSession, path: str) -> Header:

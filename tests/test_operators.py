@@ -312,6 +312,39 @@ def test_permutation_keeps_labels_and_places(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, structure.permutations(df, 2).collect()))
 
 
+def test_sorted_sets_follow_one_another(spark):
+    r = random.Random(1)
+    rows = sorted((r.choice("abc"), r.randint(0, 500)) for _ in range(300))
+    frame = lambda own: spark.createDataFrame(own, "chrom string, pos long").coalesce(3)
+    apart = [frame(rows[200:]), frame(rows[:90]), frame([x for x in rows[90:200] if x > rows[89] and x < rows[200]])]
+    out = sets.concat(apart, are_sorted=True)
+    got = [tuple(x) for x in out.collect()]
+    assert got == sorted(got) and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    crossing = sets.concat([*apart, frame(rows[150:260]).withColumn("x", F.lit(1))], pad=True, are_sorted=True)
+    places = [tuple(x)[:2] for x in crossing.collect()]
+    assert places == sorted(places) and len(places) == len(got) + 110 and crossing.columns == ["chrom", "pos", "x"]
+    assert sets.first_unsorted(frame(rows)) is None
+    with pytest.raises(ValueError, match="not sorted at b:7"):
+        sets.concat([frame([("a", 1), ("b", 9), ("b", 7)])], are_sorted=True)
+
+
+def test_heads_of_many_and_long_files(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in").mkdir()
+    want = {}
+    for k in range(20):
+        head = ["##fileformat=VCFv4.2", *(f"##contig=<ID=c{i},length={i}>" for i in range(k * 300)), "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO" + ("\tFORMAT\té" if k % 2 else "")]
+        body = [] if k % 5 == 0 else [f"1\t{i}\t.\tA\tC\t.\t.\t." for i in range(k * 50)]
+        text = "\n".join([*head, *body]) + ("\n" if k % 3 else "")
+        name = f"f{k}.vcf" + (".gz" if k % 4 == 0 else "")
+        (gzip.open if k % 4 == 0 else open)(tmp_path / "in" / name, "wb").write(text.encode())
+        want[name] = head
+    for piece in (7, 1 << 16):
+        got = vcf.file_heads(spark, str(tmp_path / "in"), piece) if piece > 100 else {n: h for n, h in vcf.file_heads(spark, str(tmp_path / "in" / "f1.vcf"), piece).items()}
+        assert {n.rpartition("/")[2]: h for n, h in got.items()} == (want if piece > 100 else {"f1.vcf": want["f1.vcf"]})
+
+
 def test_vcf_round_trip(spark, tmp_path):
     text = "##fileformat=VCFv4.2\n##INFO=<ID=DP,Number=1,Type=Integer,Description=\"d\">\n##INFO=<ID=AF,Number=A,Type=Float,Description=\"f\">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\n1\t10\trs1\tA\tC,G\t29.5\tPASS\tDP=4;AF=0.5,.;DB\tGT:DP\t0|2:7\t./.:.\n1\t12\t.\tG\t.\t.\t.\t.\tGT\t0\t1/1\n"
     (tmp_path / "a.vcf").write_text(text)
