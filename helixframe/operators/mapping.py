@@ -166,11 +166,14 @@ def codons(exons: DataFrame) -> DataFrame:
     chrom, strand, e_start, e_end half-open, rank). A codon that spans an intron has its outer ends."""
     w = Window.partitionBy("transcript").orderBy("rank")
     n = F.col("e_end") - F.col("e_start")
-    own = exons.withColumn("before", F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = own.withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))))
-    base = F.when(F.col("strand") > 0, F.col("e_start") + F.col("offset")).otherwise(F.col("e_end") - 1 - F.col("offset"))
-    place = F.col("before") + F.col("offset")
-    return own.groupBy("transcript", (F.floor(place / 3) + 1).alias("seqid"), "chrom").agg(F.min(base).alias("start"), (F.max(base) + 1).alias("end"), F.count("*").alias("n")).where("n = 3").drop("n")
+    own = exons.withColumn("n", n).where("n > 0").withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # A row for each codon that an exon has a part of: from which base of the exon to which.
+    own = own.withColumn("k", F.explode(F.sequence(F.floor(F.col("before") / 3), F.floor((F.col("before") + F.col("n") - 1) / 3))))
+    own = own.withColumn("a", F.greatest(3 * F.col("k") - F.col("before"), F.lit(0))).withColumn("b", F.least(3 * F.col("k") + 3 - F.col("before"), F.col("n")))
+    start = F.when(F.col("strand") > 0, F.col("e_start") + F.col("a")).otherwise(F.col("e_end") - F.col("b"))
+    own = own.select("transcript", (F.col("k") + 1).alias("seqid"), "chrom", start.alias("start"), (start + F.col("b") - F.col("a")).alias("end"), (F.col("b") - F.col("a")).alias("n"))
+    split = own.where("n < 3").groupBy("transcript", "seqid", "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    return own.where("n = 3").union(split.where("n = 3")).drop("n")
 
 
 def _with_key(rows: DataFrame, other: DataFrame, on: list[str], key: str) -> DataFrame:

@@ -74,8 +74,10 @@ def trivial_alignments(residues: DataFrame, sequences: DataFrame) -> DataFrame:
     """(chain_key, trivial): whether all residues (chain_key, seq_id, resnum, letter, hetero, icode, k) stand at their numbers'
     places in the sequence: no hetero residues or insertion codes, ascending, in range, equal letters."""
     w = Window.partitionBy("chain_key").orderBy("k")
-    j = residues.join(sequences, "seq_id").withColumn("up", F.coalesce(F.col("resnum") > F.lag("resnum").over(w), F.lit(True)))
-    ok = ~F.col("hetero") & (F.col("icode") == "") & F.col("up") & F.col("resnum").between(F.lit(1), F.length("seq")) & (F.expr("substring(seq, resnum, 1)") == F.col("letter"))
+    letters = sequences.select("seq_id", F.posexplode(F.split("seq", "")).alias("at", "there")).select("seq_id", (F.col("at") + 1).alias("resnum"), "there")
+    own = residues.join(sequences.select("seq_id"), "seq_id", "left_semi").withColumn("up", F.coalesce(F.col("resnum") > F.lag("resnum").over(w), F.lit(True)))
+    j = own.join(letters, ["seq_id", "resnum"], "left")
+    ok = ~F.col("hetero") & (F.col("icode") == "") & F.col("up") & (F.col("there") == F.col("letter"))
     return j.groupBy("chain_key").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("trivial"))
 
 

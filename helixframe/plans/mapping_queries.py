@@ -21,10 +21,11 @@ def mapped(t):
 
 
 def domains(t):
-    return t.part.selectExpr("concat('S', cast(p_partkey % 10 as string)) as structid", "substr('ABCD', cast(1 + p_partkey % 4 as int), 1) as chain", "cast(p_size % 12 as int) as seqstart", "cast(p_size % 12 + 1 + p_partkey % 3 as int) as seqend", "concat('PF', cast(p_partkey as string)) as domain").where("cast(substr(domain, 3) as int) % 40 = 1")
+    d = t.part.selectExpr("concat('S', cast(p_partkey % 10 as string)) as structid", "substr('ABCD', cast(1 + p_partkey % 4 as int), 1) as chain", "cast(p_size % 12 as int) as seqstart", "cast(p_size % 12 + 1 + p_partkey % 3 as int) as seqend", "p_partkey")
+    return d.groupBy("structid", "chain", "seqstart").agg(F.max("seqend").alias("seqend"), F.concat(F.lit("PF"), F.min("p_partkey").cast("string")).alias("domain"))
 
 
-_DOM = "dom AS (SELECT concat('S', CAST(p_partkey % 10 AS VARCHAR)) AS structid, substr('ABCD', CAST(1 + p_partkey % 4 AS INT), 1) AS chain, p_size % 12 AS seqstart, p_size % 12 + 1 + p_partkey % 3 AS seqend, concat('PF', CAST(p_partkey AS VARCHAR)) AS domain FROM part WHERE p_partkey % 40 = 1)"
+_DOM = "dom AS (SELECT concat('S', CAST(p_partkey % 10 AS VARCHAR)) AS structid, substr('ABCD', CAST(1 + p_partkey % 4 AS INT), 1) AS chain, p_size % 12 AS seqstart, max(p_size % 12 + 1 + p_partkey % 3) AS seqend, concat('PF', CAST(min(p_partkey) AS VARCHAR)) AS domain FROM part GROUP BY ALL)"
 
 
 @query("j1_intersect", f"WITH {_HIT} SELECT * FROM hit")
@@ -282,9 +283,10 @@ def _(t):
     return M.segment_residues(s, r.select("structid", "chain", "seq_pos", (F.col("n") % 400).alias("resnum"), F.when(F.col("n") % 5 == 0, "A").otherwise("").alias("icode"), (F.col("n") % 3 > 0).alias("resolved")))
 
 
-@query("j24_sifts_canonical_align", "SELECT res_id, seq_id, seqid FROM (SELECT res_id, rescode, seqid, res_id % 200 AS seq_id FROM residues WHERE seqid > 0) r JOIN sequences USING (seq_id) WHERE substr(seq, seqid, 1) = rescode")
+@query("j24_sifts_canonical_align", "SELECT res_id, seq_id, seqid FROM residues JOIN sequences ON res_id % 500 = seq_id % 500 WHERE seqid > 0 AND substr(seq, seqid, 1) = rescode")
 def _(t):
-    rows = t.residues.where("seqid > 0").select("res_id", F.col("rescode").alias("letter"), F.col("seqid").alias("pos"), (F.col("res_id") % 200).alias("seq_id"))
+    asked = t.sequences.select("seq_id", (F.col("seq_id") % 500).alias("k"))
+    rows = t.residues.where("seqid > 0").withColumn("k", F.col("res_id") % 500).join(asked, "k").select("res_id", F.col("rescode").alias("letter"), F.col("seqid").alias("pos"), "seq_id")
     return M.checked_alignment(rows, t.sequences).select("res_id", "seq_id", F.col("pos").alias("seqid"))
 
 

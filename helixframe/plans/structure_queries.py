@@ -219,13 +219,14 @@ def _(t):
     return S.biounits(t.residues.withColumnRenamed("res_id", "serial"), asm, ops).select("serial", F.col("op").cast("int").alias("op"), "chain", "x", "y", "z")
 
 
-@query("t5_trivial_align", """WITH r AS (SELECT seq_id AS k, unnest(range(1, 6)) AS i, seq FROM sequences), x AS (SELECT k, i, CASE WHEN k % 4 = 0 AND i = 3 THEN i + 9 ELSE i END AS num, CASE WHEN k % 5 = 0 AND i = 2 THEN '?' ELSE substr(seq, CASE WHEN k % 4 = 0 AND i = 3 THEN i + 9 ELSE i END, 1) END AS l, seq FROM r),
- y AS (SELECT k, COALESCE(num > lag(num) OVER (PARTITION BY k ORDER BY i), true) AND num BETWEEN 1 AND length(seq) AND substr(seq, num, 1) = l AS ok FROM x) SELECT k AS chain_key, bool_and(ok) AS trivial FROM y GROUP BY k""")
+@query("t5_trivial_align", """WITH r AS (SELECT seq_id AS k, unnest(range(1, length(seq) + 1)) AS i, seq FROM sequences), x AS (SELECT k, i, CASE WHEN k % 4 = 0 AND i = 30 THEN i + 9 ELSE i END AS num, CASE WHEN k % 5 = 0 AND i = length(seq) - k % 3 THEN '?' ELSE substr(seq, CASE WHEN k % 4 = 0 AND i = 30 THEN i + 9 ELSE i END, 1) END AS l, seq FROM r),
+ y AS (SELECT k, num > COALESCE(lag(num) OVER (PARTITION BY k ORDER BY i), 0) AND num <= length(seq) AND substr(seq, num, 1) = l AS ok FROM x) SELECT k AS chain_key, bool_and(ok) AS trivial FROM y GROUP BY k""")
 def _(t):
-    r = t.sequences.select(F.col("seq_id").alias("chain_key"), "seq_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"), "seq")
-    num = F.when((F.col("chain_key") % 4 == 0) & (F.col("k") == 3), F.col("k") + 9).otherwise(F.col("k"))
-    r = r.withColumn("resnum", num).withColumn("letter", F.when((F.col("chain_key") % 5 == 0) & (F.col("k") == 2), "?").otherwise(F.expr("substring(seq, resnum, 1)")))
-    return S.trivial_alignments(r.select("chain_key", "seq_id", "resnum", "letter", F.lit(False).alias("hetero"), F.lit("").alias("icode"), "k"), t.sequences)
+    r = t.sequences.where("length(seq) > 0").select(F.col("seq_id").alias("chain_key"), "seq_id", F.posexplode(F.split("seq", "")).alias("k", "l"), F.length("seq").alias("n"), F.expr("substring(seq, 39, 1)").alias("other"))
+    # A residue of every fourth chain has another's number, and a late one of every fifth another letter.
+    jump = (F.col("chain_key") % 4 == 0) & (F.col("k") == 29)
+    letter = F.when((F.col("chain_key") % 5 == 0) & (F.col("k") + 1 == F.col("n") - F.col("chain_key") % 3), "?").when(jump, F.col("other")).otherwise(F.col("l"))
+    return S.trivial_alignments(r.select("chain_key", "seq_id", F.when(jump, 39).otherwise(F.col("k") + 1).alias("resnum"), letter.alias("letter"), F.lit(False).alias("hetero"), F.lit("").alias("icode"), "k"), t.sequences)
 
 
 def aligned(t):
@@ -265,11 +266,13 @@ def _(t):
     return t.sequences.where("length(seq) > 20").select("seq_id", V.seq_differences(F.col("seq"), b).alias("differences"), V.close_enough(F.col("seq"), b).alias("close"))
 
 
-_SLICE = "WITH v AS (SELECT vid, vid % 200 AS contig, 1 + (vid * 7) % 290 AS pos, alt1 FROM variants)"
+_SLICE = "WITH v AS (SELECT vid, vid % 1009 AS contig, 1 + (vid * 7919) % (COALESCE(length(seq), 300) + 3) AS pos, alt1 FROM variants LEFT JOIN sequences ON seq_id = vid % 1009)"
 
 
 def placed(t):
-    return t.variants.select("vid", (F.col("vid") % 200).alias("contig"), (1 + (F.col("vid") * 7) % 290).alias("pos"), "alt1")
+    """Variants spread over whole sequences, and some behind their ends."""
+    v = t.variants.select("vid", (F.col("vid") % 1009).alias("contig"), "alt1").join(t.sequences.select(F.col("seq_id").alias("contig"), F.length("seq").alias("n")), "contig", "left")
+    return v.select("vid", "contig", (1 + (F.col("vid") * 7919) % (F.coalesce("n", F.lit(300)) + 3)).alias("pos"), "alt1")
 
 
 @query("t11_fill_aa", f"{_SLICE} SELECT vid, CASE WHEN seq_id IS NULL THEN 'NN' ELSE rpad(substr(seq, pos, 2), 2, 'N') END AS aa FROM v LEFT JOIN sequences ON seq_id = contig")
