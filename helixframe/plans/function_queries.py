@@ -163,9 +163,12 @@ def _(t):
     return t.variants.select("vid", V.event(F.col("ref"), alt).alias("e")).select("vid", F.col("e.type").alias("event"), "e.sequence")
 
 
-@query("p12_normalize_alleles", """WITH a AS (SELECT vid, pos, concat(ref, 'CA') AS r, concat(alt1, 'CA') AS a, ref, alt1 FROM variants WHERE length(ref) = 1) SELECT vid, pos, ref, alt1 AS alt FROM a""")
+@query("p12_normalize_alleles", "SELECT vid, pos + 2 * (vid % 4) AS pos, ref, CASE WHEN vid % 2 = 1 AND ref <> 'G' THEN concat(ref, 'G') ELSE alt1 END AS alt FROM variants WHERE length(ref) = 1")
 def _(t):
-    v = t.variants.where("length(ref) = 1").select("vid", V.normalised(F.concat("ref", F.lit("CA")), F.concat("alt1", F.lit("CA")), F.col("pos")).alias("n"))
+    # Bases on both sides of a substitution or an insertion.
+    around = lambda core: F.concat(F.expr("repeat('GT', cast(vid % 4 as int))"), core, F.expr("repeat('CA', cast(vid % 3 as int))"))
+    alt = F.when((F.col("vid") % 2 == 1) & (F.col("ref") != "G"), F.concat("ref", F.lit("G"))).otherwise(F.col("alt1"))
+    v = t.variants.where("length(ref) = 1").select("vid", V.normalised(around(F.col("ref")), around(alt), F.col("pos")).alias("n"))
     return v.select("vid", "n.*")
 
 
@@ -249,9 +252,9 @@ _GT = "concat(COALESCE(CAST(a1 AS VARCHAR), '.'), CASE WHEN phased THEN '|' ELSE
 
 
 @query("w1_write_vcf", f"""WITH c AS (SELECT v.vid, s.sample, COALESCE(concat({_GT}, ':', COALESCE(CAST(dp AS VARCHAR), '.'), ':', COALESCE(CAST(gq AS VARCHAR), '.')), './.:.:.') AS x FROM variants v CROSS JOIN (SELECT CAST(unnest(range(20)) AS INT) AS sample) s LEFT JOIN calls k ON k.vid = v.vid AND k.sample = s.sample), g AS (SELECT vid, string_agg(x, chr(9) ORDER BY sample) AS x FROM c GROUP BY vid)
- SELECT md5(concat_ws(chr(9), chrom, CAST(pos AS VARCHAR), COALESCE(id, '.'), ref, concat_ws(',', alt1, alt2), CASE WHEN qual = floor(qual) THEN CAST(CAST(qual AS BIGINT) AS VARCHAR) ELSE CAST(qual AS VARCHAR) END, {_FILTER}, info, 'GT:DP:GQ', x)) AS line FROM variants JOIN g USING (vid)""")
+ SELECT concat_ws(chr(9), chrom, CAST(pos AS VARCHAR), COALESCE(id, '.'), ref, concat_ws(',', alt1, alt2), CASE WHEN qual = floor(qual) THEN CAST(CAST(qual AS BIGINT) AS VARCHAR) ELSE CAST(qual AS VARCHAR) END, {_FILTER}, info, 'GT:DP:GQ', x) AS line FROM variants JOIN g USING (vid)""")
 def _(t):
-    return R.vcf_lines(sites_of(t).withColumn("info_text", F.col("info")), t.calls, list(range(20))).select(F.md5("value").alias("line"))
+    return R.vcf_lines(sites_of(t).withColumn("info_text", F.col("info")), t.calls, list(range(20))).select(F.col("value").alias("line"))
 
 
 _DECLARED = ['##INFO=<ID=DP,Number=1,Type=Integer,Description="">', '##INFO=<ID=AA,Number=1,Type=String,Description="">', '##INFO=<ID=DB,Number=0,Type=Flag,Description="">', '##INFO=<ID=MQ,Number=1,Type=Float,Description="">',
