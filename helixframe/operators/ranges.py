@@ -57,11 +57,9 @@ def grid_join(left: DataFrame, right: DataFrame, l: tuple[str, str, str], r: tup
 
 def pairs_within(sites: DataFrame, window: int, key: str = "vid", most_rank: int | None = None) -> DataFrame:
     """Site pairs on one chromosome, first before second, at most `window` bases (and most_rank sites) apart."""
-    from pyspark.sql import Window
-
     a = sites.withColumn("__bin", F.floor(F.col("pos") / window))
     if most_rank:
-        a = a.withColumn("rank", F.row_number().over(Window.partitionBy("chrom").orderBy("pos", key)))
+        a = ranked(sites, key).withColumn("__bin", F.floor(F.col("pos") / window))
     b = a.select(*[F.col(c).alias(f"{c}2") for c in a.columns if c != "__bin"], F.explode(F.array(F.col("__bin"), F.col("__bin") - 1)).alias("__bin2"))
     near = (F.col("chrom") == F.col("chrom2")) & (F.col("__bin") == F.col("__bin2")) & ((F.col("pos2") > F.col("pos")) | ((F.col("pos2") == F.col("pos")) & (F.col(f"{key}2") > F.col(key)))) & (F.col("pos2") - F.col("pos") <= window)
     if most_rank:
@@ -69,6 +67,15 @@ def pairs_within(sites: DataFrame, window: int, key: str = "vid", most_rank: int
     return a.join(b, near).drop("__bin", "__bin2", "rank", "rank2")
 
 
+def ranked(sites: DataFrame, key: str = "vid", bin_width: int = 100_000) -> DataFrame:
+    """sites with `rank`, their number along the chromosome by pos and key: a number in a bin, and the bins' sizes before it."""
+    own = saved(sites.withColumn("__bin", F.floor(F.col("pos") / bin_width)), "ranked")
+    along = Window.partitionBy("chrom").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    base = own.groupBy("chrom", "__bin").agg(F.count("*").alias("__n")).select("chrom", "__bin", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("chrom", "__bin").orderBy("pos", key))
+    return own.withColumn("rank", inside).join(base, ["chrom", "__bin"]).withColumn("rank", F.col("rank") + F.col("__base")).drop("__bin", "__base")
+
+
 def chains(rows: DataFrame, start: str, end: str, within: int, order: tuple[str, ...], bin_width: int = 100_000) -> DataFrame:
     """rows (chrom, ...) with `chain`, which numbers a chromosome's groups of intervals: a row goes on with the group if its
     start is at most `within` after the greatest end of all rows before it, in the order of start and `order`.

@@ -258,6 +258,9 @@ def test_scans_do_not_depend_on_bins(spark):
     for width in (7, 90, 100_000):
         assert {x.vid: x.chain for x in ranges.chains(df, "a", "b", 5, ("vid",), width).collect()} == want
         assert {x.vid for x in filters.snp_cluster(df.withColumnRenamed("a", "pos"), 4, 60, width).collect()} == dense
+    order = {k: i + 1 for c in "xy" for i, (_, k) in enumerate(sorted((a, k) for k, own, a, _ in rows if own == c))}
+    for width in (11, 100_000):
+        assert {x.vid: x["rank"] for x in ranges.ranked(df.withColumnRenamed("a", "pos"), "vid", width).collect()} == order
     values = spark.createDataFrame([(float(k) * 1.5, k % 3, k) for k in range(40)], "q double, u long, v long").repartition(3)
     for each in (6, 100_000):
         got = ranges.running_sums(values, "q", ["u", "v"], each).collect()
