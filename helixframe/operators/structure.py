@@ -289,17 +289,25 @@ def fix_ploidy(calls: DataFrame, regions: DataFrame, sexes: DataFrame) -> DataFr
     return j.select("vid", "sample", first.alias("a1"), F.when(p > 1, F.col("a2")).alias("a2"), p.alias("ploidy"), F.when(p == 1, one["values"]).when(p > 1, F.col("pl")).alias("pl"))
 
 
-def validate(variants: DataFrame, calls: DataFrame | None = None, info_types: dict[str, str] | None = None) -> DataFrame:
+def validate(variants: DataFrame, calls: DataFrame | None = None, info_types: dict[str, str] | None = None, block_lines: int = 100_000) -> DataFrame:
     """(vid, rule): a row per broken rule. Columns: chrom, pos, ref, alts, qual, filters, order (the line's number).
 
     info_types, the header's types by key, checks the map `info`: values of Integer and Float keys, keys without a type.
     With calls, allele numbers are checked, and the declared columns an and ac (an array, one per alternative) if there."""
-    w = Window.partitionBy("chrom").orderBy("order")
+    # The line before on the same chromosome is in the same block of lines, or the last of the block before that has any.
+    name = F.coalesce("chrom", F.lit(""))
+    variants = variants.withColumn("__block", F.floor(F.col("order") / block_lines))
+    ends = variants.groupBy(name.alias("__chrom"), F.col("__block").alias("__b")).agg(F.max_by("pos", "order").alias("__last"))
+    ends = ends.select("__chrom", "__b", F.lag("__last").over(Window.partitionBy("__chrom").orderBy("__b")).alias("__before"))
+    variants = variants.join(ends, (name == F.col("__chrom")) & (F.col("__block") == F.col("__b")))
+    w = Window.partitionBy("__chrom", "__block").orderBy("order")
+    previous = F.when(F.row_number().over(w) == 1, F.col("__before")).otherwise(F.lag("pos").over(w))
+    variants = variants.withColumn("__previous", previous).drop("__block", "__b", "__chrom", "__before")
     alleles = "^[ACGTN]+$"
     rules: dict[str, Column] = {
         "no chromosome": F.coalesce(F.col("chrom"), F.lit("")) == "", "position": F.col("pos").isNull() | (F.col("pos") < 0), "reference": ~F.coalesce(F.col("ref").rlike(alleles), F.lit(False)),
         "alternative": F.exists("alts", lambda a: ~a.rlike(r"^[ACGTN*]+$|^<.+>$|[\[\]]")), "equal alleles": F.array_contains("alts", F.col("ref")), "quality": F.col("qual") < 0,
-        "filter": F.exists("filters", lambda f: f.rlike(r"[\s;]") | (f == "0")), "unsorted": F.col("pos") < F.lag("pos").over(w), "duplicate position": F.col("pos") == F.lag("pos").over(w),
+        "filter": F.exists("filters", lambda f: f.rlike(r"[\s;]") | (f == "0")), "unsorted": F.col("pos") < F.col("__previous"), "duplicate position": F.col("pos") == F.col("__previous"),
     }
     if info_types is not None:
         shape = {"Integer": r"^(-?\d+|\.)(,(-?\d+|\.))*$", "Float": r"^([-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?|\.)(,([-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?|\.))*$"}

@@ -375,7 +375,7 @@ def _(t):
     v = v.withColumn("alts", F.array(F.when(F.col("vid") % 43 == 3, "!").otherwise(F.col("alt1")))).withColumn("order", F.col("vid"))
     info = F.map_filter(F.create_map(F.lit("DP"), F.when(F.col("vid") % 37 == 4, "x").otherwise(F.col("size").cast("string")), F.lit("ZZ"), F.when(F.col("vid") % 47 == 5, "1")), lambda _, x: x.isNotNull())
     v = v.withColumn("info", info).withColumn("an", F.col("size")).withColumn("ac", F.array(F.col("size") % 5))
-    return S.validate(v, t.calls, {"DP": "Integer", "MQ": "Float"})
+    return S.validate(v, t.calls, {"DP": "Integer", "MQ": "Float"}, block_lines=70)
 
 
 @query("t16_permute_snps", """WITH l AS (SELECT r.k AS round, chrom, pos, vid FROM variants, range(1, 4) r(k)), a AS (SELECT *, row_number() OVER (PARTITION BY round, chrom ORDER BY pos, vid) AS i FROM l), b AS (SELECT *, row_number() OVER (PARTITION BY round, chrom ORDER BY md5(concat('11:', CAST(round AS VARCHAR), ':', CAST(vid AS VARCHAR))), vid, pos) AS i FROM l)
