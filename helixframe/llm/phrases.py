@@ -1,10 +1,11 @@
 """Collocations: phrases of two to five words that are more frequent than their parts let expect, per language.
 
 1. Texts are cut into chunks; a chunk numbers its words and keeps its texts as those numbers, with a break wherever a piece
-   ends. Words are counted per language; a word that is not frequent becomes a break, too, as no candidate can contain it.
-2. Level by level, a chunk asks the hash ranges (buckets) about its phrases of k words, both of whose parts of k - 1 words
-   passed the level before. A bucket adds up all chunks' counts by 64-bit hashes, which never undercounts, and says which
-   may be frequent. So candidates are Apriori-safe, and only phrases that occur are ever looked at.
+   ends. It asks hash ranges (buckets) how frequent its words are in its language, each word once; one that is not frequent
+   becomes a break, too, as no candidate can contain it.
+2. A chunk asks the buckets about its phrases of two frequent words, and then about those of three to five words of which every
+   two neighbours passed. A bucket adds up all chunks' counts by leading bits of hashes, which never undercounts, and says
+   which may be frequent. So candidates are Apriori-safe, and only phrases that occur are ever looked at.
 3. Distinct candidates go to blocks of about `block_phrases`; a task builds a double-array trie of each block. A few blocks at
    a time are broadcast. In every chunk numpy moves the states of all positions on by a word at once, level by level, and
    counts the accepting states; Spark adds up the chunks. These counts are exact: tries compare words, not hashes.
@@ -21,7 +22,8 @@ own. An empty table gives an empty one.
 from __future__ import annotations
 
 import pickle
-from collections import defaultdict
+import struct
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import Numbers, as_bytes, give_back, mix, saved, slices
+from helixframe.llm.common import Numbers, as_bytes, byte_size, give_back, mix, saved, slices
 from helixframe.llm.repeats import answers, buckets_for, by_bucket, differences, rows_of, squeeze, summed, unsqueeze
 
 #: Lower case; what ends a piece becomes a full stop, which is in no word then; tabs become spaces.
@@ -42,16 +44,41 @@ CHUNK_BYTES = 4_000_000
 LONGEST = 5
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(x.astype(np.int32).tobytes())
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Numbers below 2^32, byte plane by byte plane, which compress."""
+    planes = [np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays]
+    return struct.pack(f"<{len(arrays)}q", *map(len, arrays)) + zstandard.ZstdCompressor(3).compress(b"".join(planes))
 
 
-def _opened(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32)
+def _opened(data: bytes, arrays: int = 1) -> list[np.ndarray]:
+    body, out, at = zstandard.ZstdDecompressor().decompress(data[8 * arrays :]), [], 0
+    for n in struct.unpack_from(f"<{arrays}q", data):
+        out.append(np.frombuffer(body, np.uint8, 4 * n, at).reshape(4, n).T.copy().view(np.int32).ravel())
+        at += 4 * n
+    return out
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, lang, body) with the texts as numbers, 0 where a piece ends; and (chunk, lang, number, word, n) of its words."""
+def by_frequency(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, order): numbers from 1 to n by how often they occur, which take fewer bytes; order[new - 1] is the old number."""
+    order = np.argsort(-np.bincount(codes, minlength=n + 1)[1:], kind="stable").astype(np.int32) + 1
+    new = np.zeros(n + 1, np.int32)
+    new[order] = np.arange(1, n + 1)
+    return new[codes], order
+
+
+def _sent(words: list[bytes], times: np.ndarray) -> bytes:
+    return struct.pack("<qq", len(words), len(times)) + zstandard.ZstdCompressor(3).compress(times.astype(np.int64).tobytes() + b" ".join(words))
+
+
+def _received(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    n, m = struct.unpack_from("<qq", data)
+    body = zstandard.ZstdDecompressor().decompress(data[16:])
+    return body[8 * m :].split(b" ") if n else [], np.frombuffer(body, np.int64, m)
+
+
+def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, lang, bucket, data, n): with bucket -1 the texts of a chunk as numbers of its words, 0 where a piece ends, and how
+    many words there are; else what the chunk asks about its words. Words are numbered in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
@@ -66,75 +93,144 @@ def _chunks(docs: DataFrame) -> DataFrame:
                     tokens = b".".join(texts).translate(PIECES).replace(b".", b" . ").split()
                     codes = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
                     words = list(numbers)[1:]
+                    del tokens, numbers
+                    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+                    order = np.argsort(hashes, kind="stable")
+                    place = np.zeros(len(words) + 1, np.int32)
+                    place[1 + order] = np.arange(1, len(words) + 1)
+                    codes = place[codes]
                     times = np.bincount(codes, minlength=len(words) + 1)[1:]
-                    n = len(words)
-                    columns = [pa.array([chunk] * (1 + n), pa.int64()), pa.array([lang] * (1 + n), pa.string()), pa.array([_packed(codes)] + [None] * n, pa.binary()), pa.array(np.arange(1 + n, dtype=np.int32)), pa.array([None, *words], pa.binary()).cast(pa.string()), pa.array(np.r_[0, times].astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "body", "number", "word", "n"])
+                    sent = [(b, _sent([words[k] for k in order[i:j].tolist()], times[i:j])) for b, i, j in by_bucket(hashes[order], buckets)]
+                    n = len(sent)
+                    columns = [pa.array([chunk] * (1 + n), pa.int64()), pa.array([lang] * (1 + n), pa.string()), pa.array([-1, *(b for b, _ in sent)], pa.int32()), pa.array([_packed(*by_frequency(codes, len(words))), *(x for _, x in sent)], pa.binary()), pa.array([int(times.sum())] + [0] * n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "bucket", "data", "n"])
                     chunk += 1
 
-    return saved(docs.mapInArrow(run, "chunk long, lang string, body binary, number int, word string, n long"), "words")
+    return saved(docs.mapInArrow(run, "chunk long, lang string, bucket int, data binary, n long"), "words", "uncompressed")
+
+
+def _frequent(table: DataFrame, least: int) -> DataFrame:
+    """(chunk, lang, bucket, data): the buckets' answers, a flag for each word of a chunk's question and the frequent ones; and,
+    with chunk -1, all frequent words of a bucket and language with their counts."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        total: dict[str, Counter] = defaultdict(Counter)
+        asked = []
+        for lang, data in zip(group["lang"], group["data"], strict=True):
+            words, times = _received(bytes(data))
+            total[lang].update(dict(zip(words, times.tolist(), strict=True)))
+            asked.append(words)
+        bucket, rows = int(group["bucket"].iloc[0]), []
+        for chunk, lang, words in zip(group["chunk"], group["lang"], asked, strict=True):
+            own = total[lang]
+            flags = np.fromiter((own[w] >= least for w in words), np.uint8, len(words))
+            rows.append((chunk, lang, bucket, _sent([w for w, f in zip(words, flags.tolist(), strict=True) if f], flags)))
+        for lang, own in total.items():
+            found = sorted((w, n) for w, n in own.items() if n >= least)
+            if found:
+                rows.append((-1, lang, bucket, _sent([w for w, _ in found], np.array([n for _, n in found]))))
+        give_back()
+        return pd.DataFrame(rows, columns=["chunk", "lang", "bucket", "data"])
+
+    return saved(table.where("bucket >= 0").groupBy("bucket").applyInPandas(run, "chunk long, lang string, bucket int, data binary"), "frequent")
+
+
+def _words_of(answers_: DataFrame) -> DataFrame:
+    """(lang, part, f) of the frequent words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows_of(batch):
+                words, times = _received(row["data"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(times)], ["lang", "part", "f"])
 
-def _encoded(table: DataFrame, frequent: DataFrame) -> DataFrame:
+    return answers_.where("chunk = -1").mapInArrow(run, "lang string, part string, f long")
+
+
+def _encoded(table: DataFrame, answered: DataFrame) -> DataFrame:
     """(chunk, lang, words, body): the chunks' frequent words, joined by spaces, and their texts as those words' numbers from 1
     on, 0 for breaks, one between any two words that are not neighbours."""
-    own = table.where("number > 0").join(frequent.select("lang", "word"), ["lang", "word"])
-    own = own.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("number", "word"))).alias("words"))
-    bodies = table.where("number = 0").select("chunk", "lang", "body").join(own, "chunk")
+    own = answered.where("chunk >= 0").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("parts"))
+    bodies = table.where("bucket = -1").select("chunk", "lang", "data").join(own, "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                codes = _opened(row["body"])
-                new = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
-                new[[w["number"] for w in row["words"]]] = np.arange(1, len(row["words"]) + 1)
+                codes, order = _opened(row["data"], 2)
+                parts = [_received(x["data"]) for x in row["parts"]]
+                words, flag = [w for own, _ in parts for w in own], np.concatenate([x for _, x in parts])
+                kept = order[flag[order - 1] > 0]  # the frequent ones, in the order of the chunk's numbers
+                place = np.cumsum(flag > 0)[kept - 1] - 1
+                new = np.zeros(len(flag) + 1, np.int32)
+                new[1:][flag[order - 1] > 0] = np.arange(1, len(kept) + 1)
                 codes = new[codes]
                 codes = codes[(codes > 0) | np.r_[True, codes[:-1] > 0]]
-                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([row["lang"]]), pa.array([" ".join(w["word"] for w in row["words"]).encode()], pa.binary()), pa.array([_packed(codes)], pa.binary())], ["chunk", "lang", "words", "body"])
+                words = [words[k] for k in place.tolist()]
+                if len(words):
+                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([row["lang"]]), pa.array([b" ".join(words)], pa.binary()), pa.array([_packed(codes)], pa.binary())], ["chunk", "lang", "words", "body"])
 
     return saved(bodies.mapInArrow(run, "chunk long, lang string, words binary, body binary"), "encoded")
 
 
 class Candidates:
-    """The phrases of a chunk that may be frequent, as far as answers go. keys: hashes of the phrases of the first level without
-    an answer, sorted, and how often they occur; found: (length, starts) of each level's, each phrase once."""
+    """The phrases of a chunk that may be frequent, as far as answers go: first those of two words, then all longer ones whose
+    every two neighbours passed. keys: the counters of the phrases without an answer, leading bits of their hashes, sorted, and
+    what they count; found: (length, starts, hashes) of those that passed."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int):
         self.words = row["words"].split(b" ")
-        codes = _opened(row["body"])
+        self.codes = _opened(row["body"])[0]
+        self.low, self.found = np.uint64(64 - bits), []
         salt = np.uint64(xxhash.xxh3_64_intdigest(row["lang"].encode()))
-        word = np.r_[np.uint64(0), np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))][codes]
-        self.codes, self.found = codes, []
-        at = np.flatnonzero(codes)
-        key = mix(word[at] + salt)
-        for k in range(2, LONGEST + 1):
-            both = np.flatnonzero(np.diff(at) == 1)  # the next start passed, too
-            at, key = at[both], mix(key[both] * np.uint64(0x9E3779B97F4A7C15) + word[at[both] + k - 1])
-            keys, first, inverse, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            if f"level{k}" not in row:
-                self.keys, self.times = keys, times
-                return
-            passed = np.frombuffer(b"".join(bytes(x["data"]) for x in row[f"level{k}"] or []), np.uint8).astype(bool)
-            assert len(passed) == len(keys), "an answer is missing"
-            self.found.append((k, at[first[passed]]))
-            keep = passed[inverse]
-            at, key = at[keep], key[keep]
-
-    def phrases(self) -> list[str]:
-        out = []
-        for k, starts in self.found:
-            for own in self.codes[starts[:, None] + np.arange(k)].tolist():
-                out.append(b" ".join([self.words[c - 1] for c in own]).decode())
-        return out
-
-
-def candidates(encoded: DataFrame, least: int, buckets: int) -> DataFrame:
-    """(lang, phrase), each once: all phrases of two to LONGEST words that occur `least` times or more, and few others."""
+        word = np.r_[np.uint64(0), np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))][self.codes]
+        at = np.flatnonzero(self.codes)
+        levels = [(2, *self._longer(at, mix(word[at] + salt), word, 2))]
+        if not self._passed(levels, row, "pairs"):
+            return
+        levels, (_, at, key) = [], self.found[0]
+        for k in range(3, LONGEST + 1):
+            at, key = self._longer(at, key, word, k)
+            levels.append((k, at, key))
+        self._passed(levels, row, "longer")
+
+    @staticmethod
+    def _longer(at: np.ndarray, key: np.ndarray, word: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of k words, both of whose parts of k - 1 words are there."""
+        both = np.flatnonzero(np.diff(at) == 1)
+        return at[both], mix(key[both] * np.uint64(0x9E3779B97F4A7C15) + word[at[both] + k - 1])
+
+    def _passed(self, levels: list, row: dict, name: str) -> bool:
+        counters = np.concatenate([key for _, _, key in levels]) >> self.low << self.low
+        self.keys, inverse, self.times = np.unique(counters, return_inverse=True, return_counts=True)
+        if name not in row:
+            return False
+        passed = np.frombuffer(b"".join(bytes(x["data"]) for x in row[name] or []), np.uint8).astype(bool)
+        assert len(passed) == len(self.keys), "an answer is missing"
+        for (k, at, key), keep in zip(levels, np.split(passed[inverse], np.cumsum([len(x) for _, x, _ in levels])[:-1]), strict=True):
+            self.found.append((k, at[keep], key[keep]))
+        return True
+
+    def phrases(self) -> list[bytes]:
+        """Each phrase once. Phrases that share a hash, though they differ, must not stand in for one another."""
+        out: set[bytes] = set()
+        for k, starts, key in self.found:
+            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            own = self.codes[starts[:, None] + np.arange(k)]
+            other = (own != own[first[inverse]]).any(1)
+            for codes in own[np.r_[first, np.flatnonzero(other)]].tolist():
+                out.add(b" ".join([self.words[c - 1] for c in codes]))
+        return sorted(out)
+
+
+def candidates(encoded: DataFrame, least: int, tokens: int) -> DataFrame:
+    """(lang, phrase), each once: all phrases of two to LONGEST words that occur `least` times or more, and few others. Of the
+    hashes so many bits count that eight counters come to a word of the corpus."""
+    buckets, bits = buckets_for(tokens, 2_000_000), min(63, max(8, int(tokens).bit_length() + 3))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                c = Candidates(row)
+                c = Candidates(row, bits)
                 sent = [(b, squeeze(differences(c.keys[i:j]), c.times[i:j])) for b, i, j in by_bucket(c.keys, buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(sent), pa.int64()), pa.array([b for b, _ in sent], pa.int32()), pa.array([x for _, x in sent], pa.binary())], ["chunk", "bucket", "data"])
 
@@ -143,17 +239,27 @@ def candidates(encoded: DataFrame, least: int, buckets: int) -> DataFrame:
         return [(n >= least).astype(np.uint8).tobytes() for n in summed(asked)]
 
     known = encoded
-    for k in range(2, LONGEST + 1):
-        got = saved(answers(known.mapInArrow(ask, "chunk long, bucket int, data binary"), enough, f"level{k}"), "answers")
+    for name in ("pairs", "longer"):
+        got = saved(answers(known.mapInArrow(ask, "chunk long, bucket int, data binary"), enough, name), "answers")
         known = known.join(got, "chunk", "left")
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def called(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                found = Candidates(row).phrases()
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(found), pa.string()), pa.array(found, pa.string())], ["lang", "phrase"])
+                found = Candidates(row, bits).phrases()
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+                order = np.argsort(hashes >> np.uint64(40), kind="stable")
+                sent = [(b, zstandard.ZstdCompressor(3).compress(b"\n".join([found[k] for k in order[i:j].tolist()]))) for b, i, j in by_bucket(hashes[order] >> np.uint64(40) << np.uint64(40), buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(sent), pa.string()), pa.array([b for b, _ in sent], pa.int32()), pa.array([x for _, x in sent], pa.binary())], ["lang", "bucket", "data"])
 
-    return known.mapInArrow(name, "lang string, phrase string").distinct()
+    def distinct(group: pd.DataFrame) -> pd.DataFrame:
+        known: dict[str, set[bytes]] = defaultdict(set)
+        for lang, data in zip(group["lang"], group["data"], strict=True):
+            known[lang].update(zstandard.ZstdDecompressor().decompress(data).split(b"\n"))
+        rows = [(lang, x.decode()) for lang in sorted(known) for x in sorted(known[lang])]
+        return pd.DataFrame(rows, columns=["lang", "phrase"])
+
+    return known.mapInArrow(called, "lang string, bucket int, data binary").groupBy("bucket").applyInPandas(distinct, "lang string, phrase string")
 
 
 class Trie:
@@ -161,57 +267,65 @@ class Trie:
     has a state to start from. accept[t]: the phrase's number, or -1."""
 
     def __init__(self, phrases: list[tuple[str, list[bytes]]]):
-        self.symbols = {w: i + 1 for i, w in enumerate(sorted({w for _, words in phrases for w in words}))}
+        n = self.phrases = len(phrases)
+        often = Counter(w for _, words in phrases for w in words)
+        self.symbols = {w: i + 1 for i, w in enumerate(sorted(often, key=lambda w: (-often[w], w)))}  # children lie close together
         self.start = {lang: i for i, lang in enumerate(sorted({lang for lang, _ in phrases}))}
-        children: list[dict[int, int]] = [{} for _ in self.start]
-        number = [-1] * len(children)
-        for i, (lang, words) in enumerate(phrases):
-            node = self.start[lang]
-            for w in words:
-                c = self.symbols[w]
-                if c not in children[node]:
-                    children[node][c] = len(children)
-                    children.append({})
-                    number.append(-1)
-                node = children[node][c]
-            number[node] = i
-        # Nodes with most children are placed first, those with one fill the gaps.
-        used, free = bytearray(b"\1" * len(self.start)), len(self.start)
-        slot = {i: i for i in range(len(self.start))}
-        base, check, accept = {}, {}, {}
-        level = [*range(len(self.start))]
-        while level:
-            level.sort(key=lambda x: (-len(children[x]), x))
-            for node in level:
-                codes = sorted(children[node])
-                if not codes:
-                    continue
-                at, tries = free, 0
+        codes, sizes = np.zeros((n, LONGEST), np.int64), np.zeros(n, np.int64)
+        for i, (_, words) in enumerate(phrases):
+            sizes[i] = len(words)
+            codes[i, : len(words)] = [self.symbols[w] for w in words]
+        slot = np.fromiter((self.start[lang] for lang, _ in phrases), np.int64, n)  # of each phrase's last state so far
+        used, free, top = np.ones(len(self.start), bool), len(self.start), len(self.start)  # free: all before it are used; top: none from it on is
+        accept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        placed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        width = len(self.symbols) + 1
+        for k in range(LONGEST):
+            rows = np.flatnonzero(sizes > k)
+            children, inverse = np.unique(slot[rows] * width + codes[rows, k], return_inverse=True)
+            parent, code = children // width, children % width
+            begin = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]]) if len(parent) else np.empty(0, np.int64)
+            many = np.diff(np.r_[begin, len(parent)])
+            at = np.empty(len(children), np.int64)
+            # States with most children are placed first; those with one take what is free.
+            for g in np.argsort(-many, kind="stable")[: int((many > 1).sum())].tolist():
+                own = code[begin[g] : begin[g] + many[g]]
+                # Not always from the first gap: those that are left there fit hardly anything.
+                first, tries = free + g * 7919 % (top - free + 1), 0
                 while True:
-                    at = at if at >= len(used) else used.find(0, at)
-                    at = len(used) if at < 0 else at
-                    if all(at - codes[0] + c >= len(used) or not used[at - codes[0] + c] for c in codes):
+                    ahead = np.flatnonzero(~used[first : first + 4096])
+                    first = min(top, first + int(ahead[0]) if len(ahead) else first + 4096)
+                    to = first - own[0] + own
+                    if first >= top or not used[to[to < top]].any():
                         break
                     tries += 1
-                    at = at + 1 if tries < 50 else len(used)
-                end = at - codes[0] + codes[-1] + 1
-                if end > len(used):
-                    used.extend(bytes(end - len(used)))
-                base[slot[node]] = at - codes[0]
-                for c in codes:
-                    t = at - codes[0] + c
-                    used[t] = 1
-                    slot[children[node][c]] = t
-                    check[t] = slot[node]
-                    accept[t] = number[children[node][c]]
-                while free < len(used) and used[free]:
-                    free += 1
-            level = [x for node in level for x in children[node].values()]
-        size = len(used)
-        filled = lambda values, empty: np.array([values.get(i, empty) for i in range(size)], np.int32)
+                    first = first + 1 if tries < 200 else top
+                top = max(top, int(to[-1]) + 1)
+                if top > len(used):
+                    used = np.r_[used, np.zeros(top, bool)]
+                used[to] = True
+                at[begin[g] : begin[g] + many[g]] = to
+                ahead = np.flatnonzero(~used[free : free + 4096])
+                free = min(top, free + int(ahead[0]) if len(ahead) else free + 4096)
+            alone = begin[many == 1]
+            gaps = np.flatnonzero(~used)
+            if len(gaps) < len(alone):
+                used = np.r_[used, np.zeros(len(alone), bool)]
+                gaps = np.flatnonzero(~used)
+            at[alone] = gaps[: len(alone)]
+            used[at[alone]] = True
+            top = max(top, int(at.max(initial=-1)) + 1)
+            placed.append((parent, code, at))
+            slot[rows] = at[inverse]
+            ends = rows[sizes[rows] == k + 1]
+            accept[k] = (slot[ends].copy(), ends)
+        size = top
         # A state without children leads far below 0.
-        self.base, self.check, self.accept = filled(base, -(2**30)), filled(check, -1), filled(accept, -1)
-        self.phrases = len(phrases)
+        self.base, self.check, self.accept = np.full(size, -(2**30), np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        for parent, code, at in placed:
+            self.base[parent], self.check[at] = at - code, parent
+        for where, numbers in accept.values():
+            self.accept[where] = numbers
 
     def count(self, lang: str, words: list[bytes], codes: np.ndarray, total: np.ndarray) -> None:
         """Adds the occurrences of all phrases in the text, given as numbers of words from 1 on, 0 for breaks."""
@@ -231,8 +345,9 @@ class Trie:
             total += np.bincount(ends[ends >= 0], minlength=self.phrases)
 
 
-def count_phrases(encoded: DataFrame, phrases: DataFrame, block_phrases: int = 200_000, at_once: int = 4) -> DataFrame:
-    """(lang, phrase, f): how often each of the distinct phrases occurs."""
+def count_phrases(encoded: DataFrame, phrases: DataFrame, block_phrases: int = 200_000, at_once: int = 4, fan_in: int = 32) -> DataFrame:
+    """(lang, phrase, f): how often each of the distinct phrases occurs. A task sends a block's counts as one row; they are
+    added up in rounds of fan_in tasks."""
     phrases = saved(phrases, "phrases")
     blocks = max(1, -(-phrases.count() // block_phrases))
     placed = phrases.withColumn("block", F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)).cast("int"))
@@ -243,10 +358,12 @@ def count_phrases(encoded: DataFrame, phrases: DataFrame, block_phrases: int = 2
         data = zstandard.ZstdCompressor(1).compress(pickle.dumps(trie))
         head = pd.DataFrame({"block": [group["block"].iloc[0]], "number": [-1], "lang": [None], "phrase": [None], "trie": [data]})
         rows = pd.DataFrame({"block": group["block"], "number": range(len(group)), "lang": group["lang"], "phrase": group["phrase"], "trie": None})
+        del trie
+        give_back()
         return pd.concat([head, rows])
 
     built = saved(placed.groupBy("block").applyInPandas(build, "block int, number int, lang string, phrase string, trie binary"), "tries")
-    counts = None
+    parts = None
     for at in range(0, blocks, at_once):
         some = built.where(f"number = -1 and block >= {at} and block < {at + at_once}").select("block", "trie").collect()
         shared = encoded.sparkSession.sparkContext.broadcast([(r["block"], bytes(r["trie"])) for r in some])
@@ -256,31 +373,45 @@ def count_phrases(encoded: DataFrame, phrases: DataFrame, block_phrases: int = 2
             totals = [np.zeros(t.phrases, np.int64) for _, t in tries]
             for batch in batches:
                 for row in rows_of(batch):
-                    words, codes = row["words"].split(b" "), _opened(row["body"])
+                    words, codes = row["words"].split(b" "), _opened(row["body"])[0]
                     for (_, trie), total in zip(tries, totals, strict=True):
                         trie.count(row["lang"], words, codes, total)
-            for (b, _), total in zip(tries, totals, strict=True):
-                some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b, np.int32)), pa.array(some.astype(np.int32)), pa.array(total[some])], ["block", "number", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in tries], pa.int32()), pa.array([_sent([], x) for x in totals], pa.binary())], ["block", "data"])
             give_back()
 
-        own = saved(encoded.mapInArrow(run, "block int, number int, n long").groupBy("block", "number").agg(F.sum("n").alias("f")), "counts")
-        counts = own if counts is None else counts.union(own)
-    return built.where("number >= 0").select("block", "number", "lang", "phrase").join(counts, ["block", "number"]).select("lang", "phrase", "f")
+        own = saved(encoded.mapInArrow(run, "block int, data binary").withColumn("part", F.spark_partition_id()), "counts")
+        parts = own if parts is None else parts.union(own)
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(_received(bytes(x))[1] for x in group["data"])
+        return pd.DataFrame({"block": group["block"].iloc[:1], "part": group["part"].iloc[:1], "data": [_sent([], total)]})
+
+    most = parts.agg(F.max("part")).first()[0] or 0
+    while most > 0:
+        most //= fan_in
+        parts = parts.withColumn("part", F.expr(f"part div {fan_in}").cast("int")).groupBy("block", "part").applyInPandas(add, "block int, part int, data binary")
+
+    def name(phrases: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        phrases = phrases.sort_values("number")
+        total = _received(bytes(counts["data"].iloc[0]))[1] if len(counts) else np.zeros(len(phrases), np.int64)
+        return pd.DataFrame({"lang": phrases["lang"], "phrase": phrases["phrase"], "f": total})
+
+    counted = built.where("number >= 0").select("block", "number", "lang", "phrase").groupBy("block").cogroup(parts.groupBy("block"))
+    return counted.applyInPandas(name, "lang string, phrase string, f long")
 
 
 def collocations(docs: DataFrame, least: int = 100, most: int = 2000, block_phrases: int = 200_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's highest-scoring phrases that occur `least` times or more."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    table = _chunks(texts)
-    words = saved(table.where("number > 0").groupBy("lang", "word").agg(F.sum("n").alias("f")).where(f"f >= {least}"), "frequent")
-    totals = table.where("number > 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    encoded = _encoded(table, words)
-    tokens = totals.agg(F.sum("n")).first()[0] or 0
-    found = count_phrases(encoded, candidates(encoded, least, buckets_for(tokens, 2_000_000)), block_phrases)
+    table = _chunks(texts, buckets_for(byte_size(texts) / 20, 1_000_000))
+    answered = _frequent(table, least)
+    words = _words_of(answered)
+    totals = table.where("bucket = -1").groupBy("lang").agg(F.sum("n").alias("n"))
+    encoded = _encoded(table, answered)
+    found = count_phrases(encoded, candidates(encoded, least, totals.agg(F.sum("n")).first()[0] or 0), block_phrases)
     a = saved(found.where(f"f >= {least}"), "phrases").select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
-    parts = words.select("lang", F.col("word").alias("part"), "f").union(a.select("lang", "phrase", "a"))
+    parts = words.union(a.select("lang", "phrase", "a"))
 
     # A longer candidate with as many occurrences has one between it and the phrase, a word longer, so a word is enough.
     inside = F.explode(F.array(*[F.array_join(F.expr(f"slice(w, {at}, size(w) - 1)"), " ") for at in (1, 2)]))
