@@ -106,3 +106,12 @@ def running_sums(rows: DataFrame, order: str, columns: list[str], range_rows: in
     for c in columns:
         out = out.withColumn(f"{c}_below", (F.col(f"__{c}_before") + F.coalesce(F.sum(c).over(inside), F.lit(0))).cast("long")).withColumn(f"{c}_above", (F.col(f"__{c}_all") - F.col(f"{c}_below") - F.col(c)).cast("long"))
     return out.drop("__part", *[f"__{c}_{x}" for c in columns for x in ("before", "all")])
+
+
+def numbered(rows: DataFrame, *order: Column, range_rows: int = 200_000) -> DataFrame:
+    """rows with `number`, their place from 1 on by `order`: dealt to ranges, a place in a range, and the sizes of those before."""
+    own = saved(rows.repartitionByRange(max(1, -(-rows.count() // range_rows)), *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = own.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per range
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return own.withColumn("number", inside).join(before, "__part").withColumn("number", F.col("number") + F.col("__before")).drop("__part", "__before")

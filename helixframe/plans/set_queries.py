@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import mapping as M
 from helixframe.operators import sets as G
 from helixframe.operators.merging import diff_sites
+from helixframe.operators.ranges import numbered
 from helixframe.plans.registry import query
 from helixframe.plans.site_queries import sites_of
 
@@ -226,13 +227,7 @@ def _(t):
 
 @query("o1_vcf_sort", "SELECT vid, row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), pos) AS k FROM variants")
 def _(t):
-    from pyspark.sql import Window
-
-    # The order shows as a rank within a chromosome plus the sizes of the chromosomes before it.
-    v = G.sort_sites(t.variants)
-    per = v.groupBy("chrom").agg(F.count("*").alias("n"))
-    before = per.select("chrom", F.coalesce(F.sum("n").over(Window.orderBy(*G.natural_chrom()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return v.join(F.broadcast(before), "chrom").select("vid", (F.row_number().over(Window.partitionBy("chrom").orderBy("pos")) + F.col("before")).alias("k"))
+    return numbered(t.variants, *G.natural_chrom(), F.col("pos"), range_rows=500).select("vid", F.col("number").alias("k"))
 
 
 @query("o2_concat", f"WITH {_AB} SELECT chrom, pos, vid, qual, NULL AS extra FROM a WHERE chrom = 'chr1' UNION ALL SELECT chrom, pos, vid, qual, 'b' FROM b WHERE chrom = 'chr2'")
