@@ -40,7 +40,7 @@ from helixframe.llm.repeats import answers, buckets_for, by_bucket, differences,
 
 #: Lower case; what ends a piece becomes a full stop, which is in no word then; tabs become spaces.
 PIECES = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 8_000_000
 LONGEST = 5
 
 
@@ -224,8 +224,8 @@ class Candidates:
 
 def candidates(encoded: DataFrame, least: int, tokens: int) -> DataFrame:
     """(lang, phrase), each once: all phrases of two to LONGEST words that occur `least` times or more, and few others. Of the
-    hashes so many bits count that eight counters come to a word of the corpus."""
-    buckets, bits = buckets_for(tokens, 2_000_000), min(63, max(8, int(tokens).bit_length() + 3))
+    hashes so many bits count that four counters or more come to a word of the corpus."""
+    buckets, bits = buckets_for(tokens, 2_000_000), min(63, max(8, int(tokens).bit_length() + 2))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
