@@ -19,7 +19,7 @@ The automaton of a large corpus fits nowhere whole, so each shard of documents g
    with the words' counts and numbers of their own. Words are compared as such, so no two are taken for one.
 2. It asks about its bigrams after words that are states, then about its trigrams after bigrams that are states. What is
    shuffled grows with the corpus; a shard asks once per distinct gram, whatever its documents repeat.
-3. From the answers it builds states, arcs and failure arcs, for some documents at a time, and goes through each text once
+3. From the answers it builds states, arcs and failure arcs, lays them out along its texts, and goes through each text once
    from left to right, carries the state, and adds up log-probabilities.
 
 Bigrams and trigrams are known by 64-bit hashes of the words' numbers.
@@ -179,80 +179,77 @@ def left(count: np.ndarray, share: float, soon: float) -> np.ndarray:
 
 
 class Automaton:
-    """The part of the automaton that a shard's tokens can reach. State 0 is the empty one, then come those of the shard's
-    words and bigrams. Arcs and failure arcs of the longer states are made for some tokens at a time, by reach()."""
+    """The part of the automaton that a shard's tokens can reach: the empty state, those of the shard's words and those of its
+    bigrams. Arcs and failure arcs are arrays of logarithms, by the number of the gram or word that they belong to; an arc
+    that is missing is 1. An arc's end is the longest state that then ends the history: 2 a bigram's, 1 a word's, 0 the empty."""
 
     def __init__(self, g: Grams, n: int, v: int):
-        self.g, self.words = g, len(g.count)
-        self.p1 = np.where(g.count > 0, (g.count - DISCOUNT) / n, DISCOUNT * v / n) if n > 0 else np.ones(self.words)
+        self.g, word = g, g.shard.word
+        p1 = np.where(g.count > 0, (g.count - DISCOUNT) / n, DISCOUNT * v / n) if n > 0 else np.ones(len(g.count))
         self.is_state = g.count >= LEAST_SEEN
-        #: The empty state's arcs: their logarithms, and where they lead.
-        self.empty, self.home = np.log10(self.p1).tolist(), np.where(self.is_state, np.arange(self.words) + 1, 0).tolist()
-
-    def reach(self, start: int, end: int) -> None:
-        g, words, word = self.g, self.words, self.g.shard.word
-
-        def some(at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The grams that end in [start, end), and where each does."""
-            i, j = np.searchsorted(at, [start, end])
-            own, first = np.unique(gram[i:j], return_index=True)
-            return own, at[i + first]
-
-        pairs, at = some(g.at2, g.pair)
-        h, w = word[at - 1].astype(np.int64), word[at]
-        p2 = S2 * g.count2[pairs] / (g.count[h] + M2) + left(g.count[h], S2, M2) * self.p1[w]
-        to2 = np.where(g.count2[pairs] >= LEAST_SEEN, 1 + words + pairs, np.where(self.is_state[w], w + 1, 0))
-        seen = g.count2[pairs] > 0
-        triples, at = some(g.at3, g.triple)
-        before, last = g.pair_of[at - 1].astype(np.int64), np.searchsorted(pairs, g.pair_of[at])
-        p3 = S3 * g.count3[triples] / (g.count2[before] + M3) + left(g.count2[before], S3, M3) * p2[last]
-        seen3 = g.count3[triples] > 0
-        #: (state, word) as one number, to the number of the arc; and the arcs' logarithms and ends.
-        keys = np.r_[((h + 1) * words + w)[seen], ((1 + words + before) * words + word[at])[seen3]]
-        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.log, self.to = np.log10(np.r_[p2[seen], p3[seen3]]).tolist(), np.r_[to2[seen], to2[last][seen3]].tolist()
-        #: Failure arcs: of bigrams to their last words, of words to the empty state.
-        deep = g.count2[pairs] >= LEAST_SEEN
-        known = np.unique(word[start:end])
-        known = known[self.is_state[known]]
-        states = np.r_[1 + words + pairs[deep], known + 1]
-        self.fail = dict(zip(states.tolist(), range(len(states)), strict=True))
-        self.weight = np.log10(np.r_[left(g.count2[pairs[deep]], S3, M3), left(g.count[known], S2, M2)]).tolist()
-        self.shorter = np.r_[w[deep] + 1, np.zeros(len(known), np.int64)].tolist()
-
-    def traverse(self, tokens: list[int]) -> float:
-        """The log10 probability of a text, in one go from left to right."""
-        arcs, log, to, words, state, total = self.arcs, self.log, self.to, self.words, 0, 0.0
-        for token in tokens:
-            while state:
-                arc = arcs.get(state * words + token)
-                if arc is not None:
-                    total += log[arc]
-                    state = to[arc]
-                    break
-                arc = self.fail[state]
-                total += self.weight[arc]
-                state = self.shorter[arc]
-            else:
-                total += self.empty[token]
-                state = self.home[token]
-        return total
-
-
-def score_shard(g: Grams, n: int, v: int, most: int = 200_000) -> list[float]:
-    """The documents' scores; arcs are made for so many tokens at a time, or for one longer document."""
-    counts, word, model = g.shard.counts.tolist(), g.shard.word, Automaton(g, n, v)
+        at = np.zeros(len(g.keys2), np.int64)
+        at[g.pair] = g.at2  # a place of each bigram
+        h, w = word[at - 1], word[at]
+        p2 = S2 * g.count2 / (g.count[h] + M2) + left(g.count[h], S2, M2) * p1[w]
+        self.end = np.where(g.count2 >= LEAST_SEEN, 2, self.is_state[w])
+        at = np.zeros(len(g.keys3), np.int64)
+        at[g.triple] = g.at3
+        before, last = g.pair_of[at - 1], g.pair_of[at]
+        p3 = S3 * g.count3 / (g.count2[before] + M3) + left(g.count2[before], S3, M3) * p2[last]
+        self.empty = np.log10(p1)
+        self.arc2, self.arc3 = (np.where(count > 0, np.log10(np.where(count > 0, p, 1)), 1.0) for count, p in ((g.count2, p2), (g.count3, p3)))
+        self.fail1, self.fail2 = np.log10(left(g.count, S2, M2)), np.log10(left(g.count2, S3, M3))
+        self.triple_of = np.full(len(word), -1, np.int32)
+        self.triple_of[g.at3] = g.triple
+
+    def along(self, start: int, end: int) -> list[np.ndarray]:
+        """What the tokens [start, end) may meet, in their order: the arc of the bigram's state before a token and its failure arc,
+        the same of the word's state, the empty state's arc; where arcs of longer states end, and where the empty state's."""
+        g, word = self.g, self.g.shard.word[start:end]
+        pair, triple = g.pair_of[start:end], self.triple_of[start:end]
+        earlier = g.pair_of[max(start - 1, 0) : end - 1] if start else np.r_[np.int32(-1), g.pair_of[: max(end - 1, 0)]]
+        previous = g.shard.word[max(start - 1, 0) : end - 1] if start else np.r_[word[:1], word[:-1]]
+        some = lambda values, at, none: np.where(at >= 0, values[at], none) if len(values) else np.full(len(at), none)
+        return [some(self.arc3, triple, 1.0), some(self.fail2, earlier, 0.0), some(self.arc2, pair, 1.0), self.fail1[previous], self.empty[word], some(self.end, pair, 0), self.is_state[word].astype(np.int64)]
+
+
+def traverse(state: int, total: float, met: list[list]) -> tuple[int, float]:
+    """Goes through tokens from left to right: the state, and the log10 probability, after them."""
+    for arc3, fail2, arc2, fail1, empty, end, home in zip(*met, strict=True):
+        if state == 2:
+            if arc3 <= 0:
+                total += arc3
+                state = end
+                continue
+            total += fail2
+            state = 1
+        if state:
+            if arc2 <= 0:
+                total += arc2
+                state = end
+                continue
+            total += fail1
+        total += empty
+        state = home
+    return state, total
+
+
+def score_shard(g: Grams, n: int, v: int, most: int = 50_000) -> list[float]:
+    """The documents' scores. Tokens are looked at so many at a time; a longer document carries its state over."""
+    model, ends = Automaton(g, n, v), np.cumsum(g.shard.counts).tolist()
     out: list[float] = []
-    at = start = first = 0
-    for k, size in enumerate([*counts, None]):
-        if size is None or (at > start and at + size - start > most):
-            model.reach(start, at)
-            x = start
-            for c in counts[first:k]:
-                out.append(model.traverse(word[x : x + c].tolist()))
-                x += c
-            start, first = at, k
-        at += size or 0
+    state, total, doc = 0, 0.0, 0
+    for start in range(0, len(g.shard.word), most):
+        end = min(start + most, len(g.shard.word))
+        met = [x.tolist() for x in model.along(start, end)]
+        at = start
+        while at < end:
+            to = min(ends[doc], end)
+            state, total = traverse(state, total, [x[at - start : to - start] for x in met])
+            at = to
+            if to == ends[doc]:
+                out.append(total)
+                state, total, doc = 0, 0.0, doc + 1
     return out
 
 
