@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,9 +51,9 @@ def parse_header(lines: Iterable[str]) -> Header:
     return out
 
 
-def file_heads(spark: SparkSession, path: str, piece: int = 1 << 16, at_once: int = 16) -> dict[str, list[str]]:
-    """The lines with # that begin each file of a path, by file. Only the files' beginnings are read, a piece at a time and some
-    files at once, by Hadoop's readers, so that any store and compression will do that Spark's text source reads."""
+def file_heads(spark: SparkSession, path: str, piece: int = 1 << 16) -> dict[str, list[str]]:
+    """The lines with # that begin each file of a path, by file. Only the files' beginnings are read, some kilobytes at a time, by
+    Hadoop's readers, so that any store and compression will do that Spark's text source reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
 
@@ -75,9 +74,7 @@ def file_heads(spark: SparkSession, path: str, piece: int = 1 << 16, at_once: in
         finally:
             reader.close()
 
-    names = spark.read.text(path).inputFiles()
-    with ThreadPoolExecutor(at_once) as pool:
-        return dict(zip(names, pool.map(head, names), strict=True))
+    return {name: head(name) for name in spark.read.text(path).inputFiles()}
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
