@@ -331,16 +331,18 @@ def test_sorted_sets_follow_one_another(spark):
         sets.concat([frame([("a", 1), ("b", 9), ("b", 7)])], are_sorted=True)
 
 
-def test_scratch_tables_can_be_removed(spark, tmp_path, monkeypatch):
+def test_scratch_tables_can_be_removed(spark, monkeypatch):
+    from pathlib import Path
+
     from helixframe.sources import scratch
 
     monkeypatch.setattr(scratch, "_made", [])
-    monkeypatch.setattr("tempfile.mkdtemp", lambda prefix: str(tmp_path))
-    kept = tmp_path / "kept"
-    kept.mkdir()
     df = scratch.saved(spark.range(3).toDF("x"), "some")
-    assert df.count() == 3 and len(list(tmp_path.iterdir())) == 2
-    assert scratch.remove_made(spark) == 1 and list(tmp_path.iterdir()) == [kept] and scratch.remove_made(spark) == 0
+    (made,) = (Path(x.removeprefix("file://")) for x in scratch._made)
+    beside = Path(str(made) + "-beside")
+    beside.mkdir()
+    assert df.count() == 3 and made.is_dir()
+    assert scratch.remove_made(spark) == 1 and not made.exists() and beside.is_dir() and scratch.remove_made(spark) == 0
 
 
 def test_heads_of_many_and_long_files(spark, tmp_path):
