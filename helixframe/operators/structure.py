@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.variants import event, iupac, reshaped_likelihoods
+from helixframe.functions.variants import event, iupac, one_letter, reshaped_likelihoods
 from helixframe.operators.merging import without_overlaps
 from helixframe.operators.ranges import range_join
 
@@ -448,3 +448,14 @@ def variable_residues(view: DataFrame, flag: Column, value: Column) -> DataFrame
 def view_order(view: DataFrame, order: list[str]) -> DataFrame:
     """view with `k`, a row's place in its structure."""
     return view.withColumn("k", F.row_number().over(Window.partitionBy("structid").orderBy(*order)))
+
+
+def letters(residues: DataFrame, modified: DataFrame | None = None, unknown: str | None = None) -> DataFrame:
+    """residues (structid, resname, ..) with `letter`: of the name itself, or of the standard residue that the structure's own list
+    (structid, resname, standard) gives for it."""
+    own = one_letter(F.col("resname"))
+    if modified is None:
+        return residues.withColumn("letter", F.coalesce(own, F.lit(unknown)))
+    per = modified.groupBy("structid", F.upper("resname").alias("__name")).agg(F.min("standard").alias("__standard"))
+    out = residues.withColumn("__name", F.upper("resname")).join(per, ["structid", "__name"], "left")
+    return out.withColumn("letter", F.coalesce(own, one_letter(F.col("__standard")), F.lit(unknown))).drop("__name", "__standard")

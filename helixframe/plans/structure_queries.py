@@ -180,6 +180,17 @@ def _(t):
     return S.residue_centroids(R.atoms(atom_lines(t))).select("chain", "resid", "x", "y")
 
 
+@query("p19_modified_residues", """WITH r AS (SELECT res_id, lower(structid) AS structid, ['ALA', 'MSE', 'Q1Q', 'Q2Q', 'Q3Q'][1 + CAST(res_id % 5 AS INT)] AS resname FROM residues), m AS (SELECT DISTINCT lower(structid) AS structid, CASE res_id % 5 WHEN 2 THEN 'Q1Q' ELSE 'Q2Q' END AS resname, CASE res_id % 5 WHEN 2 THEN 'TRP' ELSE 'LYS' END AS standard FROM residues WHERE (res_id % 5 = 2 AND structid < 'S5') OR res_id % 5 = 3)
+ SELECT res_id, CASE resname WHEN 'ALA' THEN 'A' WHEN 'MSE' THEN 'M' ELSE CASE standard WHEN 'TRP' THEN 'W' WHEN 'LYS' THEN 'K' ELSE 'X' END END AS letter FROM r LEFT JOIN m USING (structid, resname)""")
+def _(t):
+    k = (F.col("res_id") % 5).cast("int")
+    name = F.get(F.array(*map(F.lit, ("ALA", "MSE", "Q1Q", "Q2Q", "Q3Q"))), k)
+    lines = t.residues.where("(res_id % 5 = 2 and structid < 'S5') or res_id % 5 = 3").select(F.format_string("MODRES %-4s %3s %s %4d  %3s  SOME RESIDUE", "structid", name, "chain", "seqid", F.when(k == 2, "TRP").otherwise("LYS")).alias("value"))
+    other = t.residues.select(F.format_string("SEQRES %-4s", "structid").alias("value"))
+    r = t.residues.select("res_id", F.lower("structid").alias("structid"), name.alias("resname"))
+    return S.letters(r, R.modified_residues(lines.union(other)), "X").select("res_id", "letter")
+
+
 @query("t2_residue_frame", "SELECT r.structid, r.chain, r.seqid, unp_pos, round(x, 4) AS x FROM residues r JOIN (SELECT structid, chain, CAST(seqid AS INT) AS seqid, max(iid % 1000) AS unp_pos FROM intervals GROUP BY ALL) a USING (structid, chain, seqid) WHERE res_id % 4 > 0")
 def _(t):
     a = t.intervals.groupBy("structid", "chain", "seqid").agg(F.max(F.col("iid") % 1000).alias("unp_pos"))

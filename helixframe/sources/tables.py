@@ -208,6 +208,14 @@ def atoms(lines: DataFrame) -> DataFrame:
     )
 
 
+def modified_residues(lines: DataFrame) -> DataFrame:
+    """(structid, resname, chain, resid, icode, standard) of the MODRES records of structure files: which standard residue each
+    modified one stands for."""
+    s = lambda a, n: F.trim(F.substring("value", a, n))
+    return lines.where(F.col("value").startswith("MODRES")).select(
+        F.lower(s(8, 4)).alias("structid"), F.upper(s(13, 3)).alias("resname"), s(17, 1).alias("chain"), s(19, 4).try_cast("int").alias("resid"), s(23, 1).alias("icode"), F.upper(s(25, 3)).alias("standard"))
+
+
 def read_cif_atoms(spark: SparkSession, path: str) -> DataFrame:
     """Atoms of mmCIF files, a structure each."""
     return cif_atoms(spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\..*$", "").alias("structid"), "value"))
