@@ -104,52 +104,68 @@ def diff_sites(left: DataFrame, right: DataFrame, bin_width: int = 100_000) -> D
     return rows.groupBy("chrom", "bin").cogroup(entered.groupBy("chrom", "bin")).applyInPandas(take, "chrom string, pos1 long, pos2 long, kind string, ref1 string, ref2 string")
 
 
-def without_overlaps(rows: DataFrame, bin_width: int = 100_000) -> DataFrame:
+def without_overlaps(rows: DataFrame, bin_width: int = 100_000, slot_rows: int = 200_000) -> DataFrame:
     """rows (contig, start, end, order): those that are taken if a contig is gone through in the order of start and `order`, and a
     row is skipped that starts before the end of the last one taken. end is exclusive.
 
     The state is that end. A bin goes through its rows for every end that reaches into it, these maps are followed along the
     contig, and then each bin goes through its rows once."""
     own = saved(rows.withColumn("bin", F.floor(F.col("start") / bin_width)), "rows")
+    # Bins are small where contigs are; a task takes some thousands of rows' bins at once.
+    slots = F.lit(max(1, -(-own.count() // slot_rows)))
+    slot, of_contig = F.pmod(F.xxhash64("contig", "bin"), slots).cast("int"), F.pmod(F.xxhash64("contig"), slots).cast("int")
     last = F.floor((F.col("end") - 1) / bin_width)
     ends = own.where(last > F.col("bin")).select("contig", F.explode(F.sequence(F.col("bin") + 1, last)).alias("bin"), "end").distinct()
     both = own.select("contig", "bin", "start", "end", "order", F.lit(False).alias("entry")).union(ends.select("contig", "bin", F.lit(None).cast("long"), "end", F.lit(None).cast(own.schema["order"].dataType), F.lit(True)))
 
-    def gone_through(part: pd.DataFrame, at: int) -> list[int]:
+    def bins_of(part: pd.DataFrame) -> Iterator[tuple[object, int, int, int]]:
+        """(contig, bin, begin, end) of the rows of each bin in a sorted frame."""
+        contigs, bins = part["contig"].tolist(), part["bin"].tolist()
+        begin = 0
+        for i in range(1, len(bins) + 1):
+            if i == len(bins) or bins[i] != bins[begin] or contigs[i] != contigs[begin]:
+                yield contigs[begin], bins[begin], begin, i
+                begin = i
+
+    def gone_through(starts: list[int], ends: list[int], rows: range, at: int) -> list[int]:
         taken = []
-        for k, start, end in zip(part.index, part["start"], part["end"], strict=True):
-            if start >= at:
+        for k in rows:
+            if starts[k] >= at:
                 taken.append(k)
-                at = end
+                at = ends[k]
         return taken
 
     def maps(part: pd.DataFrame) -> pd.DataFrame:
-        here = part[~part["entry"]].sort_values(["start", "order"])
+        part = part.sort_values(["contig", "bin", "entry", "start", "order"])
+        starts, ends, entry = part["start"].fillna(0).astype("int64").tolist(), part["end"].tolist(), part["entry"].tolist()
         out = []
-        for at in [0, *sorted(set(part["end"][part["entry"]].tolist()))]:
-            taken = gone_through(here, at)
-            out.append((part["contig"].iloc[0], part["bin"].iloc[0], at, max(at, here["end"][taken[-1]]) if taken else at))
+        for contig, b, i, j in bins_of(part):
+            first = next((k for k in range(i, j) if entry[k]), j)
+            for at in [0, *sorted(set(ends[first:j]))]:
+                taken = gone_through(starts, ends, range(i, first), at)
+                out.append((contig, b, at, max(at, ends[taken[-1]]) if taken else at))
         return pd.DataFrame(out, columns=["contig", "bin", "at", "to"])
 
-    contig = own.schema["contig"].dataType.simpleString()
+    contig_type = own.schema["contig"].dataType.simpleString()
 
     def follow(part: pd.DataFrame) -> pd.DataFrame:
-        lead: dict = {}
-        for b, at, to in part[["bin", "at", "to"]].itertuples(index=False):
-            lead.setdefault(b, {})[at] = to
-        state, out = 0, []
-        for b in sorted(lead):
-            state = state if state > b * bin_width else 0
-            out.append((part["contig"].iloc[0], b, state))
-            state = lead[b][state]
+        part = part.sort_values(["contig", "bin"])
+        ats, tos = part["at"].tolist(), part["to"].tolist()
+        out, now, state = [], None, 0
+        for contig, b, i, j in bins_of(part):
+            state = state if contig == now and state > b * bin_width else 0
+            out.append((contig, b, state))
+            now, state = contig, dict(zip(ats[i:j], tos[i:j], strict=True))[state]
         return pd.DataFrame(out, columns=["contig", "bin", "at"])
 
-    entered = both.groupBy("contig", "bin").applyInPandas(maps, f"contig {contig}, bin long, at long, to long").groupBy("contig").applyInPandas(follow, f"contig {contig}, bin long, at long")
+    entered = both.groupBy(slot.alias("slot")).applyInPandas(maps, f"contig {contig_type}, bin long, at long, to long").groupBy(of_contig.alias("slot")).applyInPandas(follow, f"contig {contig_type}, bin long, at long")
 
     def take(part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if not len(part):
-            return part
-        part = part.sort_values(["start", "order"])
-        return part.loc[gone_through(part, int(entry["at"].iloc[0]))]
-
-    return own.groupBy("contig", "bin").cogroup(entered.groupBy("contig", "bin")).applyInPandas(take, own.schema).drop("bin")
+        part = part.sort_values(["contig", "bin", "start", "order"])
+        at = {(c, b): x for c, b, x in zip(entry["contig"], entry["bin"], entry["at"], strict=True)}
+        starts, ends = part["start"].tolist(), part["end"].tolist()
+        taken = [k for contig, b, i, j in bins_of(part) for k in gone_through(starts, ends, range(i, j), at[contig, b])]
+        return part.iloc[taken].drop(columns="slot")
+
+    first, second = own.withColumn("slot", slot), entered.withColumn("slot", slot)
+    return first.groupBy("slot").cogroup(second.groupBy("slot")).applyInPandas(take, own.schema).drop("bin")

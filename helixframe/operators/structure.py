@@ -237,7 +237,7 @@ def consensus_chunks(chunks: DataFrame, variants: DataFrame, size: int) -> DataF
     spans = v.select(F.struct("pos", "ref", "alt").alias("key"), "contig", F.col("pos").alias("start"), (F.col("pos") + F.length("ref")).alias("end"))
     real = fetch(spans, chunks, size).where(F.upper("seq") == F.upper(F.col("key")["ref"])).select("contig", (F.col("start") - 1).alias("start"), (F.col("end") - 1).alias("end"), F.col("key")["ref"].alias("ref"), F.col("key")["alt"].alias("alt"), (F.lower("seq") == F.col("seq")).alias("low"))
     ordered = real.withColumn("alt", F.when(F.col("low"), F.lower("alt")).otherwise(F.col("alt"))).select("contig", "start", "end", key.alias("order"))
-    taken = without_overlaps(ordered.withColumn("order", F.to_json("order")), max(size, 1000)).withColumn("alt", F.get_json_object("order", "$.alt"))
+    taken = without_overlaps(ordered.withColumn("order", F.to_json("order")), max(10 * size, 1000)).withColumn("alt", F.get_json_object("order", "$.alt"))
     into = taken.select("contig", "start", "end", "alt", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias("chunk"))
     edits = into.groupBy("contig", "chunk").agg(F.array_sort(F.collect_list(F.struct("start", "end", "alt"))).alias("edits"))  # at most a chunk's bases
     base = F.col("chunk") * size

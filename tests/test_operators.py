@@ -302,8 +302,9 @@ def test_rows_without_overlaps_like_one_by_one(spark, width):
             if s >= at:
                 want.add(k)
                 at = e
-    got = merging.without_overlaps(spark.createDataFrame(rows, "contig string, start long, end long, order long"), width)
-    assert {x.order for x in got.collect()} == want
+    for slot_rows in (20, 100_000):
+        got = merging.without_overlaps(spark.createDataFrame(rows, "contig string, start long, end long, order long"), width, slot_rows)
+        assert {x.order for x in got.collect()} == want and got.columns == ["contig", "start", "end", "order"]
 
 
 def test_permutation_keeps_labels_and_places(spark):
