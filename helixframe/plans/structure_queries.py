@@ -312,8 +312,8 @@ def _(t):
  e AS (SELECT seq_id, k, CASE WHEN length(w) < 10 THEN w WHEN (seq_id + k) % 3 > 0 THEN concat(substr(w, 1, 2), 'ZZ', substr(w, 7, 1), 'Y', substr(w, 9)) ELSE concat(substr(w, 1, 4), 'QQQ', substr(w, 6, 2), 'Y', substr(w, 9)) END AS w FROM p) SELECT seq_id AS contig, string_agg(w, '' ORDER BY k) AS seq FROM e GROUP BY seq_id""")
 def _(t):
     ref = t.sequences.select(F.col("seq_id").alias("contig"), "seq")
-    own = ref.where("length(seq) >= 10").select("contig", "seq", F.explode(F.expr("sequence(0, cast(floor(length(seq) / 10) as int) - 1)")).alias("k"))
-    piece = lambda at, n: F.substring("seq", 10 * F.col("k") + at, F.lit(n))
+    own = ref.select("contig", F.posexplode(F.regexp_extract_all("seq", F.lit("(?s).{10}"), F.lit(0))).alias("k", "w"))
+    piece = lambda at, n: F.substring("w", at, n)
     # The first of three is there in two of three stretches, and then takes the second one's place.
     first = F.struct((10 * F.col("k") + 3).alias("pos"), F.when((F.col("contig") + F.col("k")) % 3 > 0, piece(3, 4)).otherwise("????").alias("ref"), F.lit("ZZ").alias("alt"))
     second, third = F.struct((10 * F.col("k") + 5).alias("pos"), piece(5, 1).alias("ref"), F.lit("QQQ").alias("alt")), F.struct((10 * F.col("k") + 8).alias("pos"), piece(8, 1).alias("ref"), F.lit("Y").alias("alt"))
