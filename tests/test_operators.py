@@ -356,7 +356,8 @@ def test_heads_of_many_and_long_files(spark, tmp_path):
         body = [] if k % 5 == 0 else [f"1\t{i}\t.\tA\tC\t.\t.\t." for i in range(k * 50)]
         text = "\n".join([*head, *body]) + ("\n" if k % 3 else "")
         name = f"f{k}.vcf" + (".gz" if k % 4 == 0 else "")
-        (gzip.open if k % 4 == 0 else open)(tmp_path / "in" / name, "wb").write(text.encode())
+        with (gzip.open if k % 4 == 0 else open)(tmp_path / "in" / name, "wb") as file:
+            file.write(text.encode())
         want[name] = head
     for piece in (7, 1 << 16):
         got = vcf.file_heads(spark, str(tmp_path / "in"), piece) if piece > 100 else {n: h for n, h in vcf.file_heads(spark, str(tmp_path / "in" / "f1.vcf"), piece).items()}
