@@ -1,5 +1,6 @@
 """Calls as text for other programs, a line per row. Rows are calls joined with their sites (with_alleles): vid, chrom, pos,
-id, alleles, sample, a1, a2, phased. A call is haploid if it is phased and lacks its second allele."""
+id, alleles, sample, a1, a2, phased. A call is haploid if it is phased and lacks its second allele. Sites of one position follow
+one another by vid, in all samples alike."""
 
 from __future__ import annotations
 
@@ -39,7 +40,7 @@ def plink_ped(rows: DataFrame, width: int = 1_000_000) -> DataFrame:
     """(sample, chrom, bin, line): a sample's PED line in pieces, one for `width` bases of a chromosome, so that no row or group
     holds a whole line, which is as long as there are sites. Joined by tabs in the order of chrom and bin, behind the line of
     plink_family(), they are the line; whole_lines() joins those that are short enough. plink_tped() has a line per site."""
-    return rows.groupBy("sample", "chrom", F.floor(F.col("pos") / width).alias("bin")).agg(ordered_join(_letters(), ["pos"], "\t").alias("line"))
+    return rows.groupBy("sample", "chrom", F.floor(F.col("pos") / width).alias("bin")).agg(ordered_join(_letters(), ["pos", "vid"], "\t").alias("line"))
 
 
 def whole_lines(pieces: DataFrame, columns: dict[str, str], begin: DataFrame | None = None) -> DataFrame:
@@ -103,7 +104,7 @@ def ldhat(variants: DataFrame, calls: DataFrame, phased: bool, width: int = 1_00
     2 for unlike alleles; ? if missing; places in kilobases. whole_lines() joins short ones: sites without, locs with commas."""
     own = calls.join(variants.where(F.size("alts") == 1).select("vid", "chrom", "pos"), "vid")
     code = F.col("a1").cast("string") if phased else F.when(F.col("a1") != F.col("a2"), "2").when(F.col("a1") == F.col("a2"), F.col("a1").cast("string"))
-    return own.groupBy("sample", "chrom", F.floor(F.col("pos") / width).alias("bin")).agg(ordered_join(F.coalesce(code, F.lit("?")), ["pos"], "").alias("sites"), ordered_join(F.round(F.col("pos") / 1000, 3).cast("string"), ["pos"], ",").alias("locs"))
+    return own.groupBy("sample", "chrom", F.floor(F.col("pos") / width).alias("bin")).agg(ordered_join(F.coalesce(code, F.lit("?")), ["pos", "vid"], "").alias("sites"), ordered_join(F.round(F.col("pos") / 1000, 3).cast("string"), ["pos", "vid"], ",").alias("locs"))
 
 
 def beagle_likelihoods(calls: DataFrame, values: str, phred: bool = True, filtered: Column | None = None) -> DataFrame:

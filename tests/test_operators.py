@@ -598,3 +598,22 @@ def test_frequency_at_its_bound(spark):
     site = spark.createDataFrame([(1, "A", ["C"])], "vid int, ref string, alts array<string>")
     calls = spark.createDataFrame([(1, s, 0, int(s < 2)) for s in range(5)], "vid int, sample int, a1 int, a2 int")
     assert filters.by_frequency(site, calls, min_maf=0.2).count() == 1
+
+
+def test_samples_lines_have_sites_of_one_position_alike(spark):
+    from helixframe.sources import exports
+
+    site = spark.createDataFrame([(7, "1", 5, None, "A", ["C"]), (3, "1", 5, None, "G", ["T"])], "vid int, chrom string, pos int, id string, ref string, alts array<string>")
+    calls = spark.createDataFrame([(7, 1, 0, 0, True), (3, 1, 1, 1, True), (7, 2, 1, 1, True), (3, 2, 0, 0, True)], "vid int, sample int, a1 int, a2 int, phased boolean")
+    assert {r["sample"]: r.line for r in exports.plink_ped(exports.with_alleles(site, calls)).collect()} == {1: "T T\tA A", 2: "G G\tC C"}
+    for phased in (True, False):
+        assert {r["sample"]: r.sites for r in exports.ldhat(site, calls, phased).collect()} == {1: "10", 2: "01"}
+
+
+def test_places_of_equal_positions_by_vid(spark, tmp_path):
+    from helixframe import plans
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    part.union(part.withColumn("p_partkey", F.col("p_partkey") + 200_000)).repartition(7, F.rand(5)).write.parquet(str(tmp_path / "part.parquet"))
+    rows = [r.vid for r in plans.QUERIES["o1_vcf_sort"](spark, str(tmp_path)).orderBy("k").collect()]
+    assert rows == sorted(rows, key=lambda v: (1 + v % 5, 1 + v * 7919 % 200_000, v))
