@@ -227,7 +227,7 @@ def _(t):
 
 @query("o1_vcf_sort", "SELECT vid, row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), pos) AS k FROM variants")
 def _(t):
-    return numbered(t.variants, *G.natural_chrom(), F.col("pos"), range_rows=500).select("vid", F.col("number").alias("k"))
+    return numbered(t.variants, *G.natural_chrom(), F.col("pos"), F.col("vid"), range_rows=500).select("vid", F.col("number").alias("k"))
 
 
 @query("o2_concat", f"WITH {_AB} SELECT chrom, pos, vid, qual, NULL AS extra FROM a WHERE chrom = 'chr1' UNION ALL SELECT chrom, pos, vid, qual, 'b' FROM b WHERE chrom = 'chr2'")
