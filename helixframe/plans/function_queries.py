@@ -289,9 +289,10 @@ def _with_alleles(t):
 _PED = f"string_agg(concat({_ALL.format('a1')}, ' ', {_SECOND}), chr(9) ORDER BY pos)"
 
 
-@query("w5_to_plink_ped", f"SELECT sample, chrom, pos // 50000 AS bin, {_PED} AS line FROM calls JOIN variants USING (vid) GROUP BY ALL")
+@query("w5_to_plink_ped", f"SELECT sample, md5(concat_ws(chr(9), CAST(sample AS VARCHAR), CAST(sample AS VARCHAR), '0', '0', '0', '0', string_agg(concat({_ALL.format('a1')}, ' ', {_SECOND}), chr(9) ORDER BY chrom, pos))) AS line FROM calls JOIN variants USING (vid) GROUP BY sample")
 def _(t):
-    return X.plink_ped(_with_alleles(t), 50_000)
+    rows = _with_alleles(t)
+    return X.whole_lines(X.plink_ped(rows, 50_000), {"line": "\t"}, X.plink_family(rows.select("sample").distinct())).withColumn("line", F.md5("line"))
 
 
 @query("w5_whole_ped_lines", f"SELECT sample, concat_ws(chr(9), CAST(sample AS VARCHAR), CAST(sample AS VARCHAR), '0', '0', '0', '0', {_PED.replace('ORDER BY pos', 'ORDER BY chrom, pos')}) AS line FROM calls JOIN variants USING (vid) WHERE chrom < 'chr3' GROUP BY sample")

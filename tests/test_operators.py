@@ -617,3 +617,35 @@ def test_places_of_equal_positions_by_vid(spark, tmp_path):
     part.union(part.withColumn("p_partkey", F.col("p_partkey") + 200_000)).repartition(7, F.rand(5)).write.parquet(str(tmp_path / "part.parquet"))
     rows = [r.vid for r in plans.QUERIES["o1_vcf_sort"](spark, str(tmp_path)).orderBy("k").collect()]
     assert rows == sorted(rows, key=lambda v: (1 + v % 5, 1 + v * 7919 % 200_000, v))
+
+
+def test_residue_frame_without_hetero_groups_only_where_told(spark):
+    from helixframe import plans
+
+    folder = "/root/testdata/sf0.001"
+    from helixframe.sources.views import Tables
+
+    t = Tables(spark, folder)
+    placed = t.residues.join(t.intervals.select("structid", "chain", "seqid"), ["structid", "chain", "seqid"], "left_semi")
+    assert plans.QUERIES["t2_residue_frame"](spark, folder).count() == placed.count() > placed.where("res_id % 4 > 0").count()
+    rows = spark.createDataFrame([("S", "A", 1, False), ("S", "A", 2, True), ("S", "A", 3, None)], "structid string, chain string, seqid int, hetero boolean")
+    assert sorted(r.seqid for r in structure.residue_frame(rows, rows.withColumn("unp_pos", F.lit(1))).collect()) == [1, 3]
+
+
+def test_ped_lines_are_whole(spark):
+    from hashlib import md5
+
+    from helixframe import plans
+    from helixframe.sources.views import Tables
+
+    folder = "/root/testdata/sf0.001"
+    t = Tables(spark, folder)
+    rows = t.calls.join(t.variants, "vid").orderBy("chrom", "pos", "vid").collect()
+    want = {}
+    for r in rows:
+        bases = [r.ref, r.alt1, r.alt2]
+        one = bases[r.a1] or "0" if r.a1 is not None else "0"
+        two = bases[r.a2] or "0" if r.a2 is not None else one if r.phased else "0"
+        want.setdefault(r["sample"], [str(r["sample"])] * 2 + ["0"] * 4).append(f"{one} {two}")
+    got = {r["sample"]: r.line for r in plans.QUERIES["w5_to_plink_ped"](spark, folder).collect()}
+    assert got == {s: md5("\t".join(cells).encode()).hexdigest() for s, cells in want.items()}
