@@ -649,3 +649,20 @@ def test_ped_lines_are_whole(spark):
         want.setdefault(r["sample"], [str(r["sample"])] * 2 + ["0"] * 4).append(f"{one} {two}")
     got = {r["sample"]: r.line for r in plans.QUERIES["w5_to_plink_ped"](spark, folder).collect()}
     assert got == {s: md5("\t".join(cells).encode()).hexdigest() for s, cells in want.items()}
+
+
+def test_merged_ranges_and_hits_once(spark):
+    rows = [("a", 1, 5), ("a", 4, 8), ("a", 8, 9), ("a", 2, 3), ("b", 1, 2), ("b", 5, 5), ("b", 4, 7)]
+    df = spark.createDataFrame(rows, "k string, s int, e int")
+    assert sorted(map(tuple, ranges.merged(df, ["k"], "s", "e").collect())) == [("a", 1, 8), ("a", 8, 9), ("b", 1, 2), ("b", 4, 7)]
+    r = random.Random(3)
+    place = lambda: (r.choice("xy"), "A", r.randrange(3))
+    spans = [("c", s, s + r.randrange(0, 400), r.choice(["T1", "T2"]), *place()) for s in (r.randrange(1500) for _ in range(80))]
+    asked = [(f"{i}", "c", p, p + r.choice([0, 1, 1, 300]), r.choice([None, "", "T1"])) for i, p in enumerate(r.randrange(1500) for _ in range(60))]
+    m = spark.createDataFrame(spans, "b_chrom string, b_start int, b_end int, b_transcript string, structid string, chain string, seqid int")
+    c = spark.createDataFrame(asked, "gc_id string, chrom string, pos int, end_pos int, transcript string")
+    want = {(g, *z) for g, _, p, q, t in asked for _, s, e, u, *z in spans if p < e and s < q and (not t or t == u)}
+    hits = mapping.intersect(c, m)
+    assert sorted(map(tuple, hits.collect())) == sorted(want)
+    by = {s: (sum(w[1] == s for w in want), len({w[0] for w in want if w[1] == s})) for s in "xy"}
+    assert {x.structid: (x.n, x.n_consequences) for x in mapping.intersection_counts(c, m).collect()} == by
