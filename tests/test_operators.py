@@ -666,3 +666,15 @@ def test_merged_ranges_and_hits_once(spark):
     assert sorted(map(tuple, hits.collect())) == sorted(want)
     by = {s: (sum(w[1] == s for w in want), len({w[0] for w in want if w[1] == s})) for s in "xy"}
     assert {x.structid: (x.n, x.n_consequences) for x in mapping.intersection_counts(c, m).collect()} == by
+
+
+def test_mask_runs_are_merged(spark):
+    r = random.Random(8)
+    runs = [("c", s, s + r.choice([0, 3, 900, 3000]), r.randrange(4)) for s in (r.randrange(9000) for _ in range(25))]
+    places = list(range(0, 9000, 7)) + [None]
+    v = spark.createDataFrame(list(enumerate(places)), "vid int, pos int").withColumn("chrom", F.lit("c"))
+    m = spark.createDataFrame(runs, "chrom string, start int, end int, digit int")
+    for invert in (False, True):
+        got = filters.by_mask(v, m, 1, invert)
+        assert sorted(x.vid for x in got.collect()) == [i for i, p in enumerate(places) if p is not None and any(s <= p < e and (d > 1) == invert for _, s, e, d in runs)]
+        assert "Window" in got._jdf.queryExecution().optimizedPlan().toString()  # runs are merged before they meet sites
