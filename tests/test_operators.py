@@ -1,6 +1,7 @@
 """What SQL does not cover: exact tests, alignments, chains, permutations, spatial clusters, greedy choices, formats."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -678,3 +679,24 @@ def test_mask_runs_are_merged(spark):
         got = filters.by_mask(v, m, 1, invert)
         assert sorted(x.vid for x in got.collect()) == [i for i, p in enumerate(places) if p is not None and any(s <= p < e and (d > 1) == invert for _, s, e, d in runs)]
         assert "Window" in got._jdf.queryExecution().optimizedPlan().toString()  # runs are merged before they meet sites
+
+
+def test_erfc(spark):
+    from helixframe.operators.sites import erfc
+
+    xs = [k / 64 for k in range(64 * 30)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc(F.col("x")).alias("y")).collect()
+    assert all(abs(r.y - math.erfc(r.x)) <= 1e-13 * math.erfc(r.x) + 1e-300 for r in got)
+
+
+@pytest.mark.parametrize("samples", [20, 150, 700])
+def test_counts_of_pairs_are_compiled(spark, samples):
+    """Pairs' counts are generated code, not functions of arrays' elements, as long as the words of a site are few."""
+    v = spark.createDataFrame([(k, "chr1", 10 + k, ["C"]) for k in range(3)], "vid int, chrom string, pos long, alts array<string>")
+    c = spark.createDataFrame([(k, s, s * (k + 1) % 2, s % 3 % 2, True) for k in range(3) for s in range(samples)], "vid int, sample int, a1 int, a2 int, phased boolean")
+    near = pairs.near_pairs(v, c, 100)
+    got = [pairs.genotype_r2(near), pairs.haplotype_r2(near), pairs.genotype_chisq(near)]
+    assert [r.n_indv for r in got[0].collect()] == [samples] * 3
+    for df in got:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert ("lambdafunction" in plan) == (samples > 512) and "erfc(" not in plan
