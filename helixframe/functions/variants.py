@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,11 +115,25 @@ def affected_range() -> Column:
     return F.struct(F.array_min(F.transform(spans, lambda x: x["s"])).alias("start"), F.array_max(F.transform(spans, lambda x: x["e"])).alias("end"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), whose value is worked out once however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def common_prefix(a: Column, b: Column) -> Column:
-    """How many first letters agree."""
-    n = F.least(F.length(a), F.length(b))
-    agree = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
-    return F.coalesce(F.array_max(agree), F.lit(0))
+    """How many first letters agree: its binary digits from the greatest on, each by comparing the letters that it adds."""
+
+    def agree(x: Column) -> Column:
+        digits = F.sequence(F.ceil(F.log2(x["n"] + 1)).cast("int"), F.lit(0), F.lit(-1))
+
+        def step(at: Column, digit: Column) -> Column:
+            more = F.call_function("shiftleft", F.lit(1), digit)
+            piece = lambda c: F.substring(x[c], at + 1, more)
+            return F.when((at + more <= x["n"]) & (piece("a") == piece("b")), at + more).otherwise(at)
+
+        return F.aggregate(digits, F.lit(0), step)
+
+    return F.coalesce(bound(F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("n")), agree), F.lit(0))
 
 
 def common_suffix(a: Column, b: Column) -> Column:
@@ -150,10 +166,18 @@ def event_type(ref: Column, alt: Column) -> Column:
 
 def normalised(ref: Column, alt: Column, pos: Column) -> Column:
     """Struct (pos, ref, alt): shared last bases are cut, then shared first ones, at least one base of each stays."""
-    cut = F.least(common_suffix(ref, alt), F.length(ref) - 1, F.length(alt) - 1)
-    r, a = F.substring(ref, F.lit(1), F.length(ref) - cut), F.substring(alt, F.lit(1), F.length(alt) - cut)
-    head = F.least(common_prefix(r, a), F.length(r) - 1, F.length(a) - 1)
-    return F.struct((pos + head).alias("pos"), F.substring(r, head + 1, F.length(r)).alias("ref"), F.substring(a, head + 1, F.length(a)).alias("alt"))
+    least = lambda x, shared: F.least(shared, F.length(x["r"]) - 1, F.length(x["a"]) - 1)
+    given = F.struct(ref.alias("r"), alt.alias("a"))
+
+    def without_end(x: Column) -> Column:
+        left = lambda c: F.substring(x["x"][c], F.lit(1), F.length(x["x"][c]) - x["cut"]).alias(c)
+        return F.struct(left("r"), left("a"))
+
+    def without_head(y: Column) -> Column:
+        return bound(least(y, common_prefix(y["r"], y["a"])), lambda head: F.struct((pos + head).alias("pos"), F.substring(y["r"], head + 1, F.length(y["r"])).alias("ref"), F.substring(y["a"], head + 1, F.length(y["a"])).alias("alt")))
+
+    cut = bound(given, lambda x: F.struct(x.alias("x"), least(x, common_suffix(x["r"], x["a"])).alias("cut")))
+    return bound(bound(cut, without_end), without_head)
 
 
 def fill_type(ref: Column, alt: Column) -> Column:
@@ -253,10 +277,24 @@ def derived_af(maf: Column, aa: Column, ref: Column) -> Column:
     return F.when(aa.isNull() | (aa == ".") | (aa == ref), maf).otherwise(1 - maf)
 
 
+def unlike_places(a: Column, b: Column, piece: int = 64) -> Column:
+    """Array of (i, x, y): the places, from 1 on, where sequences of one length differ, with both letters. Sequences are compared
+    in pieces, and only those that differ letter by letter."""
+    cut = lambda c: F.regexp_extract_all(c, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    pieces = F.transform(F.arrays_zip(cut(a).alias("x"), cut(b).alias("y")), lambda p, k: F.when(p["x"] != p["y"], F.struct(k.alias("k"), p["x"].alias("x"), p["y"].alias("y"))))
+
+    def letters(p: Column) -> Column:
+        one = F.arrays_zip(F.split(p["x"], "").alias("x"), F.split(p["y"], "").alias("y"))
+        return F.filter(F.transform(one, lambda l, i: F.struct((p["k"] * piece + i + 1).alias("i"), l["x"].alias("x"), l["y"].alias("y"))), lambda l: l["x"] != l["y"])
+
+    return F.flatten(F.transform(F.array_compact(pieces), letters))
+
+
 def seq_identity(a: Column, b: Column) -> Column:
     """Struct (n, mismatches, share) of two sequences; of unequal lengths the share is 1.0."""
-    unlike = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda x: x))
-    return F.struct(F.length(a).alias("n"), F.when(F.length(a) == F.length(b), unlike).alias("mismatches"), F.when(F.length(a) != F.length(b), 1.0).otherwise(F.round(unlike / F.greatest(F.length(a), F.lit(1)), 6)).alias("share"))
+    number = F.when(F.length(a) == F.length(b), F.size(unlike_places(a, b)))
+    share = lambda x: F.when(x["n"] != x["m"], 1.0).otherwise(F.round(x["unlike"] / F.greatest(x["n"], F.lit(1)), 6))
+    return bound(F.struct(F.length(a).alias("n"), F.length(b).alias("m"), number.alias("unlike")), lambda x: F.struct(x["n"].alias("n"), x["unlike"].alias("mismatches"), share(x).alias("share")))
 
 
 def modbase_seq_id(seq: Column) -> Column:
@@ -297,15 +335,13 @@ def parse_vep_row(line: Column) -> Column:
 
 def seq_differences(a: Column, b: Column) -> Column:
     """'place a>b' of each place where two sequences of one length differ, joined by commas; null if their lengths differ."""
-    places = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    told = F.transform(places, lambda p, i: F.when(p["x"] != p["y"], F.concat((i + 1).cast("string"), F.lit(" "), p["x"], F.lit(">"), p["y"])))
-    return F.when(F.length(a) == F.length(b), F.array_join(F.array_compact(told), ","))
+    told = F.transform(unlike_places(a, b), lambda p: F.concat(p["i"].cast("string"), F.lit(" "), p["x"], F.lit(">"), p["y"]))
+    return F.when(F.length(a) == F.length(b), F.array_join(told, ","))
 
 
 def close_enough(a: Column, b: Column, share: float = 0.01) -> Column:
     """Whether sequences of one length differ in at most one place, or in less than a share of them."""
-    x = seq_identity(a, b)
-    return (F.length(a) == F.length(b)) & ((x["mismatches"] <= 1) | (x["share"] < share))
+    return (F.length(a) == F.length(b)) & bound(seq_identity(a, b), lambda x: (x["mismatches"] <= 1) | (x["share"] < share))
 
 
 def reshaped_likelihoods(values: Column, n_alleles: Column, haploid: bool, phred: bool = True) -> Column:
