@@ -700,3 +700,45 @@ def test_counts_of_pairs_are_compiled(spark, samples):
     for df in got:
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert ("lambdafunction" in plan) == (samples > 512) and "erfc(" not in plan
+
+
+@given(st.text("ACG", max_size=9), st.text("AC", max_size=40), st.text("CG", max_size=40), st.text("ACG", max_size=9))
+@settings(max_examples=5, deadline=None)
+def test_long_alleles(spark, head, one, two, tail):
+    import os.path
+
+    a, b = head * 30 + one + tail, head * 30 + two + tail
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(V.common_prefix(F.col("a"), F.col("b")).alias("p"), V.common_suffix(F.col("a"), F.col("b")).alias("s"), V.normalised(F.col("a"), F.col("b"), F.lit(5)).alias("n")).first()
+    assert row.p == len(os.path.commonprefix([a, b])) and row.s == len(os.path.commonprefix([a[::-1], b[::-1]]))
+    if a and b:
+        cut = min(row.s, len(a) - 1, len(b) - 1)
+        x, y = a[: len(a) - cut], b[: len(b) - cut]
+        head = min(len(os.path.commonprefix([x, y])), len(x) - 1, len(y) - 1)
+        assert (row.n.pos, row.n.ref, row.n.alt) == (5 + head, x[head:], y[head:])
+
+
+def test_alleles_are_cut_once(spark):
+    """The plan names the cut alleles a few times, not once for every use of them; a table's rows meet by them as a key."""
+    v = spark.createDataFrame([(1, "chr1", 10, None, "AT", ["A", "AG"], 1.0, ["q"], {"X": "1"})], "vid long, chrom string, pos long, id string, ref string, alts array<string>, qual double, filters array<string>, info map<string, string>")
+    plan = v.select(V.normalised(F.col("ref"), F.get("alts", F.lit(0)), F.col("pos")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2
+    t = spark.createDataFrame([("chr1", 5, 10, 1, "AT", ["AG", "A"], "one"), ("chr1", 5, 10, 2, ".", ["T"], "two"), ("chr1", 5, 10, 3, "T", ["G"], "three"), ("chr1", 5, 10, 4, "A", ["C"], "four"), ("chr1", 11, 12, 5, ".", ["T"], "five")], "chrom string, start long, end long, rank int, ref string, alts array<string>, id string")
+    got = sets.annotate_from_table(v, t, match_alleles=True)
+    assert got.first()["id"] == "one;three;two"
+    assert "(__pair" in got._jdf.queryExecution().optimizedPlan().toString() and "arrays_overlap" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_that_differ(spark):
+    r = random.Random(3)
+    rows = []
+    for n in (0, 1, 63, 64, 65, 300):
+        a = "".join(r.choice("ACDE") for _ in range(n))
+        rows += [(a, a), (a, "".join(r.choice("ACDE") if r.random() < 0.1 else c for c in a)), (a, a + "A")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", V.seq_differences(F.col("a"), F.col("b")).alias("d"), V.seq_identity(F.col("a"), F.col("b")).alias("i"), V.close_enough(F.col("a"), F.col("b")).alias("c"))
+    for x in got.collect():
+        want = [f"{i} {p}>{q}" for i, (p, q) in enumerate(zip(x.a, x.b, strict=False), 1) if p != q]
+        same = len(x.a) == len(x.b)
+        assert x.d == (",".join(want) if same else None) and x.i.mismatches == (len(want) if same else None)
+        assert x.c == (same and (len(want) <= 1 or round(len(want) / len(x.a), 6) < 0.01))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 6
