@@ -70,15 +70,30 @@ def biounits(atoms: DataFrame, assemblies: DataFrame, operators: DataFrame) -> D
     return a.select("assembly", "op", "chain", "serial", *moved)
 
 
+def chain_rows(residues: DataFrame) -> DataFrame:
+    """(chain_key, seq_id, residues): residues (chain_key, seq_id, resnum, letter, hetero, icode, k) in the order of k, a row per
+    chain."""
+    one = F.struct("k", "resnum", "letter", "hetero", "icode")
+    return residues.groupBy("chain_key", "seq_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["resnum"].alias("resnum"), x["letter"].alias("letter"), x["hetero"].alias("hetero"), x["icode"].alias("icode"))).alias("residues"))
+
+
 def trivial_alignments(residues: DataFrame, sequences: DataFrame) -> DataFrame:
     """(chain_key, trivial): whether all residues (chain_key, seq_id, resnum, letter, hetero, icode, k) stand at their numbers'
-    places in the sequence: no hetero residues or insertion codes, ascending, in range, equal letters."""
-    w = Window.partitionBy("chain_key").orderBy("k")
-    letters = sequences.select("seq_id", F.posexplode(F.split("seq", "")).alias("at", "there")).select("seq_id", (F.col("at") + 1).alias("resnum"), "there")
-    own = residues.join(sequences.select("seq_id"), "seq_id", "left_semi").withColumn("up", F.coalesce(F.col("resnum") > F.lag("resnum").over(w), F.lit(True)))
-    j = own.join(letters, ["seq_id", "resnum"], "left")
-    ok = ~F.col("hetero") & (F.col("icode") == "") & F.col("up") & (F.col("there") == F.col("letter"))
-    return j.groupBy("chain_key").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("trivial"))
+    places in the sequence: no hetero residues or insertion codes, ascending, in range, equal letters. residues may come as
+    chain_rows() too.
+
+    A chain meets its sequence once, as its letters and the runs of its numbers, not residue by residue."""
+    chains = residues if "residues" in residues.columns else chain_rows(residues)
+    numbers = F.col("residues.resnum").cast("array<bigint>")
+    begins = F.filter(F.transform("__numbers", lambda n, i: F.when((i == 0) | (n != F.get("__numbers", i - 1) + 1) | n.isNull(), F.struct(i.alias("at"), n.alias("n")))), lambda x: x.isNotNull())
+    plain = F.forall("residues", lambda r: F.coalesce(~r["hetero"] & (r["icode"] == "") & (F.length(r["letter"]) == 1), F.lit(False)))
+    ends = F.concat(F.slice(F.col("__begins.at"), 2, F.greatest(F.size("__begins"), F.lit(1))), F.array(F.size("__numbers")))
+    runs = F.transform(F.arrays_zip("__begins", ends.alias("to")), lambda x: F.struct(x["__begins"]["at"].alias("at"), x["__begins"]["n"].alias("n"), (x["to"] - x["__begins"]["at"]).alias("size")))
+    own = chains.select("chain_key", "seq_id", numbers.alias("__numbers"), F.array_join("residues.letter", "").alias("__letters"), plain.alias("__plain"))
+    own = own.withColumn("__begins", begins).select("chain_key", "seq_id", "__letters", "__plain", runs.alias("__runs"))
+    up = F.forall(F.transform("__runs", lambda r, i: (i == 0) | (r["n"] >= F.get("__runs", i - 1)["n"] + F.get("__runs", i - 1)["size"])), lambda x: F.coalesce(x, F.lit(False)))
+    there = F.forall("__runs", lambda r: F.coalesce((r["n"] >= 1) & (F.substring("seq", r["n"].cast("int"), r["size"]) == F.substring("__letters", r["at"] + 1, r["size"])), F.lit(False)))
+    return own.join(sequences.select("seq_id", "seq"), "seq_id").groupBy("chain_key").agg(F.bool_and(F.coalesce(F.col("__plain") & up & there, F.lit(False))).alias("trivial"))
 
 
 class Aligner:

@@ -233,11 +233,15 @@ def _(t):
 @query("t5_trivial_align", """WITH r AS (SELECT seq_id AS k, unnest(range(1, length(seq) + 1)) AS i, seq FROM sequences), x AS (SELECT k, i, CASE WHEN k % 4 = 0 AND i = 30 THEN i + 9 ELSE i END AS num, CASE WHEN k % 5 = 0 AND i = length(seq) - k % 3 THEN '?' ELSE substr(seq, CASE WHEN k % 4 = 0 AND i = 30 THEN i + 9 ELSE i END, 1) END AS l, seq FROM r),
  y AS (SELECT k, num > COALESCE(lag(num) OVER (PARTITION BY k ORDER BY i), 0) AND num <= length(seq) AND substr(seq, num, 1) = l AS ok FROM x) SELECT k AS chain_key, bool_and(ok) AS trivial FROM y GROUP BY k""")
 def _(t):
-    r = t.sequences.where("length(seq) > 0").select(F.col("seq_id").alias("chain_key"), "seq_id", F.posexplode(F.split("seq", "")).alias("k", "l"), F.length("seq").alias("n"), F.expr("substring(seq, 39, 1)").alias("other"))
     # A residue of every fourth chain has another's number, and a late one of every fifth another letter.
-    jump = (F.col("chain_key") % 4 == 0) & (F.col("k") == 29)
-    letter = F.when((F.col("chain_key") % 5 == 0) & (F.col("k") + 1 == F.col("n") - F.col("chain_key") % 3), "?").when(jump, F.col("other")).otherwise(F.col("l"))
-    return S.trivial_alignments(r.select("chain_key", "seq_id", F.when(jump, 39).otherwise(F.col("k") + 1).alias("resnum"), letter.alias("letter"), F.lit(False).alias("hetero"), F.lit("").alias("icode"), "k"), t.sequences)
+    chain, n = F.col("seq_id"), F.length("seq")
+    jump, late = (chain % 4 == 0) & (n >= 30), F.when(chain % 5 == 0, n - chain % 3)
+    changed = lambda at, by, text: F.concat(F.substring(text, F.lit(1), at - 1), by, F.substring(text, at + 1, n))
+    moved = F.when(jump, changed(F.lit(30), F.rpad(F.expr("substring(seq, 39, 1)"), 1, " "), F.col("seq"))).otherwise(F.col("seq"))
+    letters = V.bound(moved, lambda x: F.when((late >= 1) & (late <= n), changed(late, F.lit("?"), x)).otherwise(x))
+    residue = lambda l, k, jump: F.struct(F.when(jump & (k == 29), 39).otherwise(k + 1).alias("resnum"), l.alias("letter"), F.lit(False).alias("hetero"), F.lit("").alias("icode"))
+    residues = V.bound(F.struct(F.split(letters, "").alias("l"), jump.alias("jump")), lambda x: F.transform(x["l"], lambda l, k: residue(l, k, x["jump"])))
+    return S.trivial_alignments(t.sequences.where("length(seq) > 0").select(chain.alias("chain_key"), "seq_id", residues.alias("residues")), t.sequences)
 
 
 def aligned(t):

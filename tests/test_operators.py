@@ -742,3 +742,30 @@ def test_places_that_differ(spark):
         assert x.c == (same and (len(want) <= 1 or round(len(want) / len(x.a), 6) < 0.01))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 6
+
+
+def test_trivial_alignments(spark):
+    """Chains by residues and by rows against a loop; a chain meets its sequence in one row."""
+    r = random.Random(8)
+    sequences = {k: "".join(r.choice("ACD") for _ in range(12)) for k in range(30)}
+    rows = []
+    for chain in range(90):
+        seq, at = sequences[chain % 30], sorted(r.sample(range(1, 13), r.randint(1, 12)))
+        if r.random() < 0.2:
+            r.shuffle(at)
+        for k, n in enumerate(at):
+            rows.append((chain, chain % 30, n + 12 * (r.random() < 0.02), seq[n - 1] if r.random() < 0.97 else "E", r.random() < 0.02, "A" if r.random() < 0.02 else "", k))
+    want = {}
+    for chain in range(90):
+        own = [x for x in rows if x[0] == chain]
+        seq = sequences[chain % 30]
+        want[chain] = all(not x[4] and not x[5] and 1 <= x[2] <= 12 and seq[x[2] - 1 : x[2]] == x[3] for x in own) and all(a[2] < b[2] for a, b in itertools.pairwise(own))
+    assert 20 < sum(want.values()) < 70
+    r.shuffle(rows)
+    s = spark.createDataFrame(list(sequences.items()), "seq_id int, seq string")
+    residues = spark.createDataFrame(rows, "chain_key int, seq_id int, resnum int, letter string, hetero boolean, icode string, k int")
+    for given in (residues, structure.chain_rows(residues)):
+        got = structure.trivial_alignments(given, s)
+        assert {x.chain_key: x.trivial for x in got.collect()} == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Generate" not in plan
