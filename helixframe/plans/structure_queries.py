@@ -165,14 +165,19 @@ def _(t):
     return R.atoms(atom_lines(t)).groupBy("chain", "resid").agg(F.count("*").alias("n"))
 
 
-@query("s23_read_cif_atoms", """SELECT structid, 'ATOM' AS record, CAST(res_id AS INT) AS serial, CASE WHEN res_id % 2 = 0 THEN 'CA' ELSE concat('O5', chr(39)) END AS atom, CASE WHEN res_id % 5 = 0 THEN 'B' ELSE '' END AS altloc, 'ALA' AS resname, chain, CAST(seqid AS INT) AS resid, CASE WHEN res_id % 7 = 0 THEN 'A' ELSE '' END AS icode, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, 'C' AS element FROM residues""")
-def _(t):
+def cif_texts(t, rows=50_000):
+    """mmCIF texts (structid, value) of residues: a structure in files of so many numbers, so that no row holds a growing structure."""
     n = lambda c: F.format_string("%.3f", F.round(c, 3))
     k = F.col("res_id")
     head = ["group_PDB", "id", "type_symbol", "label_atom_id", "label_alt_id", "label_comp_id", "label_asym_id", "pdbx_PDB_ins_code", "Cartn_x", "Cartn_y", "Cartn_z", "auth_seq_id", "auth_asym_id"]
     line = F.concat_ws("  ", F.lit("ATOM"), k.cast("string"), F.lit("C"), F.when(k % 2 == 0, "CA").otherwise("\"O5'\""), F.when(k % 5 == 0, "B").otherwise("."), F.lit("ALA"), F.lit("Z"), F.when(k % 7 == 0, "A").otherwise("?"), n("x"), n("y"), n("z"), F.col("seqid").cast("string"), "chain")
-    texts = t.residues.groupBy("structid").agg(F.concat(F.lit("data_\n#\nloop_\n" + "".join(f"_atom_site.{h}\n" for h in head)), F.array_join(F.collect_list(line), "\n"), F.lit("\n#\n")).alias("value"))
-    return R.cif_atoms(texts)
+    texts = t.residues.groupBy("structid", F.floor(k / rows).alias("part")).agg(F.concat(F.lit("data_\n#\nloop_\n" + "".join(f"_atom_site.{h}\n" for h in head)), F.array_join(F.collect_list(line), "\n"), F.lit("\n#\n")).alias("value"))
+    return texts.drop("part")
+
+
+@query("s23_read_cif_atoms", """SELECT structid, 'ATOM' AS record, CAST(res_id AS INT) AS serial, CASE WHEN res_id % 2 = 0 THEN 'CA' ELSE concat('O5', chr(39)) END AS atom, CASE WHEN res_id % 5 = 0 THEN 'B' ELSE '' END AS altloc, 'ALA' AS resname, chain, CAST(seqid AS INT) AS resid, CASE WHEN res_id % 7 = 0 THEN 'A' ELSE '' END AS icode, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, 'C' AS element FROM residues""")
+def _(t):
+    return R.cif_atoms(cif_texts(t))
 
 
 @query("t1_residue_centroid", "WITH a AS (SELECT chain, CAST(seqid AS INT) AS resid, round(x + k, 3) AS x, k, round(y, 3) AS y FROM residues, range(2) r(k) WHERE seqid > 0), b AS (SELECT chain, resid, k, avg(x) AS x, avg(y) AS y FROM a GROUP BY ALL) SELECT chain, resid, round(avg(x), 4) AS x, round(avg(y), 4) AS y FROM b GROUP BY ALL")

@@ -224,7 +224,9 @@ def read_cif_atoms(spark: SparkSession, path: str) -> DataFrame:
 def cif_atoms(texts: DataFrame) -> DataFrame:
     """Atoms of mmCIF texts (structid, value), with the columns of atoms() and structid. The file says in which order its
     columns stand; a column that it lacks is null. Author's names and numbers come before the labels."""
-    own = texts.select("structid", F.regexp_extract_all("value", F.lit(r"(?m)^_atom_site\.(\S+)"), F.lit(1)).alias("names"), F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^(?:ATOM|HETATM)\s.*$"), F.lit(0))).alias("line"))
+    # The names are read off a text before its lines are dealt out; beside explode() they would be read again for every line.
+    own = texts.select("structid", F.regexp_extract_all("value", F.lit(r"(?m)^_atom_site\.(\S+)"), F.lit(1)).alias("names"), F.regexp_extract_all("value", F.lit(r"(?m)^(?:ATOM|HETATM)\s.*$"), F.lit(0)).alias("lines"))
+    own = own.select("structid", "names", F.explode("lines").alias("line"))
     own = own.withColumn("f", F.split(F.trim("line"), r"\s+"))
 
     def item(*names: str) -> Column:

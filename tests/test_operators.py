@@ -769,3 +769,18 @@ def test_trivial_alignments(spark):
         assert {x.chain_key: x.trivial for x in got.collect()} == want
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Generate" not in plan
+
+
+def test_cif_texts_are_bounded(spark):
+    """Ten times the residues of a structure are more texts, not longer ones."""
+    from types import SimpleNamespace
+
+    from helixframe.plans.structure_queries import cif_texts
+
+    for n in (1000, 10000):
+        r = spark.range(n).selectExpr("id as res_id", "concat('S', id % 2) as structid", "'A' as chain", "cast(id % 100 as int) as seqid", "0.5D as x", "1.5D as y", "2.5D as z")
+        texts = cif_texts(SimpleNamespace(residues=r), rows=500)
+        assert texts.count() == n // 250 and max(len(x.value.splitlines()) for x in texts.collect()) < 250 + 20
+        assert tables.cif_atoms(texts).count() == n
+        plan = tables.cif_atoms(texts)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate explode(") < plan.index("_atom_site")  # below the lines
