@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,14 +144,36 @@ def phase_join(calls: DataFrame, chunks: DataFrame, least_quality: float = 10.0,
 
 
 def haplotype_counts(variants: DataFrame, calls: DataFrame, bed: DataFrame) -> DataFrame:
-    """(iid, n_snp, n_unique, spectrum): haplotypes of phased samples over the sites in a bin; spectrum: multiplicity:number."""
+    """(iid, n_snp, n_unique, spectrum): haplotypes of phased samples over the sites in a bin; spectrum: multiplicity:number.
+
+    A site's calls are one text, a letter per chromosome, and a place, one for all bins that are equal, gets a row per site."""
     from helixframe.operators.ranges import range_join
 
-    points = S.biallelic(variants).select("vid", "chrom", "pos", (F.col("pos") + 1).alias("end"))
-    own = range_join(points, bed.select("iid", F.col("chrom").alias("b_chrom"), "start", F.col("end").alias("b_end")), ("chrom", "pos", "end"), ("b_chrom", "start", "b_end"))
-    n = own.groupBy("iid").agg(F.count("*").alias("n_snp"))
-    got = own.join(calls.where("phased and a1 is not null and a2 is not null"), "vid").select("iid", "pos", "sample", F.explode(F.array(F.struct(F.lit(0).alias("h"), F.col("a1").alias("a")), F.struct(F.lit(1).alias("h"), F.col("a2").alias("a")))).alias("c"))
-    strings = got.groupBy("iid", "sample", "c.h").agg(F.count("*").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("c.a").alias("a")))), lambda x: x["a"].cast("string")), "").alias("hap"))
-    whole = strings.join(n, "iid").where("k = n_snp").groupBy("iid", "n_snp", "hap").agg(F.count("*").alias("m"))
-    spectrum = whole.groupBy("iid", "n_snp", "m").agg(F.count("*").alias("f")).groupBy("iid", "n_snp").agg(F.sum("f").alias("n_unique"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", "f"))), lambda x: F.concat(x["m"].cast("string"), F.lit(":"), x["f"].cast("string"))), ",").alias("spectrum"))
-    return spectrum
+    whole = calls.where("phased and a1 is not null and a2 is not null").select("vid", "sample", "a1", "a2")
+    number = whole.select("sample").distinct().select("sample", (F.row_number().over(Window.orderBy("sample")) - 1).alias("k"))  # of a study's people
+    n = number.count()
+    letter = lambda c: F.call_function("char", 48 + F.col(c))
+    texts = whole.join(number, "sample").groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("k", F.concat(letter("a1"), letter("a2"))))).alias("m"))
+    texts = texts.select("vid", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(max(n, 1))), lambda i: F.coalesce(F.try_element_at("m", i - 1), F.lit(".."))), "").alias("letters"))
+    points = S.biallelic(variants).select("vid", "chrom", "pos", (F.col("pos") + 1).alias("end")).join(texts, "vid", "left").drop("vid").fillna(".." * max(n, 1), ["letters"])
+    places = bed.select(F.col("chrom").alias("b_chrom"), "start", F.col("end").alias("b_end")).distinct()
+    own = range_join(points, places, ("chrom", "pos", "end"), ("b_chrom", "start", "b_end"), width=256)
+    by = own.groupBy("b_chrom", "start", "b_end").agg(F.collect_list(F.struct("pos", "letters")).alias("s"))
+    rows = by.select("b_chrom", "start", "b_end", F.col("s.pos").alias("pos"), F.array_join("s.letters", "").alias("letters"))
+
+    def spectra(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for chrom, start, end, pos, letters in part.itertuples(index=False):
+                rank = np.unique(np.asarray(pos), return_inverse=True)[1]
+                a = np.frombuffer(letters.encode("utf-32-le"), np.uint32).reshape(len(rank), -1)
+                a = a[:, (a != ord(".")).all(axis=0)]
+                if a.shape[1]:
+                    # In the order of places, and of alleles where sites share one.
+                    a = np.sort((rank[:, None].astype(np.int64) << 32) + a, axis=0)
+                    times, of = np.unique(np.unique(a, axis=1, return_counts=True)[1], return_counts=True)
+                    out.append((chrom, start, end, len(rank), int(of.sum()), ",".join(f"{m}:{f}" for m, f in zip(times, of, strict=True))))
+            yield pd.DataFrame(out, columns=["b_chrom", "start", "b_end", "n_snp", "n_unique", "spectrum"])
+
+    found = rows.mapInPandas(spectra, "b_chrom string, start long, b_end long, n_snp long, n_unique long, spectrum string")
+    return bed.join(found, (F.col("chrom") == F.col("b_chrom")) & (bed["start"] == found["start"]) & (F.col("end") == F.col("b_end"))).select("iid", "n_snp", "n_unique", "spectrum")

@@ -784,3 +784,36 @@ def test_cif_texts_are_bounded(spark):
         assert tables.cif_atoms(texts).count() == n
         plan = tables.cif_atoms(texts)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Generate explode(") < plan.index("_atom_site")  # below the lines
+
+
+def test_haplotypes_of_equal_places(spark):
+    """Sites that share a position, equal bins and calls with gaps against a loop; equal bins are one place, and no row exists
+    for a bin, a site and a sample."""
+    r = random.Random(5)
+    sites_ = [(k, "chr1", r.randint(1, 30), ["C"]) for k in range(25)]
+    calls = [(k, s, r.randint(0, 1), r.randint(0, 1), r.random() < 0.95) for k in range(25) for s in range(8) if r.random() < 0.97]
+    bed = [(i, "chr1", a := r.randint(0, 25), a + r.randint(1, 8)) for i in range(40)]
+    bed += [(i + 40, *x[1:]) for i, x in enumerate(bed)]
+    v = spark.createDataFrame(sites_, "vid int, chrom string, pos long, alts array<string>")
+    c = spark.createDataFrame(calls, "vid int, sample int, a1 int, a2 int, phased boolean")
+    b = spark.createDataFrame(bed, "iid int, chrom string, start long, end long")
+    want = {}
+    for i, _, start, end in bed:
+        inside = {k: p for k, _, p, _ in sites_ if start <= p < end}
+        own = [[x for x in calls if x[0] in inside and x[1] == s and x[4]] for s in range(8)]
+        strings = ["".join(str(a) for _, a in sorted((inside[x[0]], x[2 + h]) for x in o)) for o in own if inside and len(o) == len(inside) for h in (0, 1)]
+        times = [strings.count(x) for x in set(strings)]
+        if times:
+            want[i] = (len(inside), len(times), ",".join(f"{m}:{times.count(m)}" for m in sorted(set(times))))
+    got = windows.haplotype_counts(v, c, b)
+    assert {x.iid: (x.n_snp, x.n_unique, x.spectrum) for x in got.collect()} == want and len(want) > 20
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("explode(") == 2  # bins of sites and of places
+
+
+def test_models_of_equal_places(spark):
+    asked = spark.createDataFrame([(i, f"T{i % 3}", i % 5, i % 5 + 2) for i in range(60)], "iid int, seq_id string, first int, last int")
+    models = spark.createDataFrame([(m, f"T{m % 3}" + "_1ABC" * (m % 2), m % 7, m % 7 + 4) for m in range(30)], "model int, seq_id string, target_beg int, target_end int")
+    got = mapping.models_of(asked, models)
+    assert sorted((x.iid, x.model) for x in got.collect()) == sorted((i, m) for i in range(60) for m in range(30) if i % 3 == m % 3 and m % 7 <= i % 5 and m % 7 + 4 >= i % 5 + 2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("target_beg") and "Aggregate [seq_id" in plan
