@@ -56,11 +56,22 @@ def _bin_sites(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return samples, places[0], p, het
 
 
+def narrowed(sites: DataFrame, width: int, most: int) -> int:
+    """width, or as much less that no bin of a chromosome's positions has more than `most` sites; 1 at least."""
+    while True:
+        n = sites.groupBy("chrom", F.floor(F.col("pos") / width).alias("bin")).count().agg(F.max("count").alias("n")).first()["n"] or 0
+        if n <= most or width == 1:
+            return width
+        width = max(1, width // -(-n // most))
+
+
 def autozygous_runs(
-    variants: DataFrame, calls: DataFrame, error: float = 0.01, prior: float = 0.05, threshold: float = 0.99, generations: int = 4, per_base: float = 1e-8, bin_width: int = 1_000_000, block: int = 64,
+    variants: DataFrame, calls: DataFrame, error: float = 0.01, prior: float = 0.05, threshold: float = 0.99, generations: int = 4, per_base: float = 1e-8, bin_width: int = 1_000_000, block: int = 64, bin_sites: int = 10_000,
 ) -> DataFrame:
     """(sample, chrom, start, end, n_sites): stretches of a sample's sites whose posterior of being autozygous exceeds the
-    threshold. Sites of one position are in the order of their vid."""
+    threshold. Sites of one position are in the order of their vid. Bins are narrower than bin_width where sites are dense, so
+    that none has more than bin_sites, but of one position."""
+    bin_width = narrowed(S.biallelic(variants), bin_width, bin_sites)
     chain = Chain(prior, 2 * generations * per_base, error)
     f = S.chromosomes(calls).groupBy("vid").agg(F.avg((F.col("allele") > 0).cast("int")).alias("p")).where("p > 0 and p < 1")
     number = saved(numbered_samples(calls), "samples")

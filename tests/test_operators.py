@@ -817,3 +817,18 @@ def test_models_of_equal_places(spark):
     assert sorted((x.iid, x.model) for x in got.collect()) == sorted((i, m) for i in range(60) for m in range(30) if i % 3 == m % 3 and m % 7 <= i % 5 and m % 7 + 4 >= i % 5 + 2)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("target_beg") and "Aggregate [seq_id" in plan
+
+
+def test_bins_of_dense_sites(spark):
+    """Ten times the sites on one chromosome are more bins, not larger ones; runs do not depend on it."""
+    from helixframe.operators.autozygosity import narrowed
+
+    for n in (200, 2000):
+        s = spark.range(n).selectExpr("'chr1' as chrom", "id % 400 as pos")
+        width = narrowed(s, 1000, 50)
+        assert s.groupBy("chrom", F.floor(F.col("pos") / width)).count().agg(F.max("count")).first()[0] <= 50
+    r = random.Random(4)
+    v = spark.createDataFrame([(k, "chr1", 10 * k, ["C"]) for k in range(60)], "vid int, chrom string, pos long, alts array<string>")
+    c = spark.createDataFrame([(k, x, a := r.randint(0, 1), a if 20 * x < k < 20 * x + 25 else 1 - a, True) for k in range(60) for x in range(3)], "vid int, sample int, a1 int, a2 int, phased boolean")
+    one, many = (sorted(map(tuple, autozygous_runs(v, c, error=0.1, prior=0.5, threshold=0.5, per_base=1e-3, bin_sites=most).collect())) for most in (10_000, 4))
+    assert one == many and one
