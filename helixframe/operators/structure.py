@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from helixframe.functions.variants import event, iupac, one_letter, reshaped_likelihoods
-from helixframe.operators.merging import without_overlaps
 from helixframe.operators.ranges import range_join
+from helixframe.sources.scratch import saved
 
 LETTERS = "ARNDCQEGHILKMFPSTWYVBZX*"
 #: BLOSUM62 (Henikoff and Henikoff 1992), rows and columns in the order of LETTERS. Fixed values.
@@ -242,32 +247,200 @@ def flanks(variants: DataFrame, chunks: DataFrame, size: int, length: int, masks
     return variants.join(left, F.col("vid") == left["key"]).join(right, F.col("vid") == right["key"]).select("vid", F.concat("l", F.lit("["), "ref", F.lit("/"), "alt", F.lit("]"), "r").alias("text"))
 
 
+def packed_variants(variants: DataFrame, size: int, kind: int) -> DataFrame:
+    """Rows (contig, chunk, kind, text, steps, ref_n, alts, alt_n) of variants (contig, start, ref, alt): neighbours of one chunk
+    in one row, their letters joined, their places as steps from the one before, so that little of them is shuffled."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            contig, start, ref, alt = batch.columns
+            at = start.to_numpy(zero_copy_only=False)
+            chunk, new = at // size, np.ones(n, bool)
+            new[1:] = (chunk[1:] != chunk[:-1]) | pc.not_equal(contig.slice(1), contig.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            ends = np.append(first, n).astype(np.int32)
+            steps = np.diff(at, prepend=0)
+            steps[first] = at[first] - chunk[first] * size
+
+            def joined(c: pa.Array) -> pa.Array:
+                offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + n + 1]
+                return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets[ends].copy()), c.buffers()[2])
+
+            def numbers(x: np.ndarray) -> pa.Array:
+                return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(4 * ends), pa.py_buffer(x.astype(np.int32))])
+
+            columns = [contig.take(pa.array(first)), pa.array(chunk[first]), joined(ref), numbers(steps), numbers(pc.utf8_length(ref).to_numpy()), joined(alt), numbers(pc.utf8_length(alt).to_numpy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["contig", "chunk", "text", "steps", "ref_n", "alts", "alt_n"])
+
+    own = variants.select("contig", "start", "ref", "alt")
+    made = own.mapInArrow(pack, f"contig {own.schema['contig'].dataType.simpleString()}, chunk long, text string, steps binary, ref_n binary, alts string, alt_n binary")
+    return made.withColumn("kind", F.lit(kind))
+
+
+#: Rows of a chunk: its text, variants whose reference is still to be looked at, variants that reach out of it, ends that reach into it.
+_TEXT, _INSIDE, _REACHING, _ENTRY = range(4)
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(contig, chunk, text, real, ends) of each chunk in sorted rows: its text, null without one; its variants (start, end, alt)
+    whose reference is there, in their order, with places from the chunk's begin; the ends that reach into it."""
+
+    def pieces(text: str, lengths: bytes) -> list[str]:
+        ends = np.cumsum(np.frombuffer(lengths, np.int32)).tolist()
+        return [text[i:j] for i, j in zip([0, *ends], ends)]
+
+    def chunk_of(key: tuple, rows: list[tuple]) -> tuple:
+        there = [r[1] for r in rows if r[0] == _TEXT]
+        text, every = "".join(there), []
+        for kind, letters, steps, ref_n, alts, alt_n, _ in rows:
+            if kind in (_INSIDE, _REACHING):
+                starts = np.cumsum(np.frombuffer(steps, np.int32), dtype=np.int64).tolist()
+                every += zip(starts, pieces(letters, ref_n), pieces(alts, alt_n), [kind] * len(starts))
+        every.sort()
+        real = []
+        for start, ref, alt, kind in every:
+            end = start + len(ref)
+            if kind == _INSIDE:
+                was = text[start:end]
+                if was != ref and was.upper() != ref.upper():
+                    continue
+                if was == was.lower():
+                    alt = alt.lower()
+            real.append((start, end, alt))
+        return *key, text if there else None, real, [r[-1] for r in rows if r[0] == _ENTRY]
+
+    key, rows = None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for contig, chunk, *row in zip(*columns):
+            if key != (contig, chunk):
+                if rows:
+                    yield chunk_of(key, rows)
+                key, rows = (contig, chunk), []
+            rows.append(tuple(row))
+    if rows:
+        yield chunk_of(key, rows)
+
+
+def _gone_through(real: list[tuple], at: int) -> tuple[list[tuple], int]:
+    taken = []
+    for v in real:
+        if v[0] >= at:
+            taken.append(v)
+            at = v[1]
+    return taken, at
+
+
+def _entered(rows: DataFrame, size: int) -> DataFrame:
+    """(contig, chunk, at): how far, from the chunk's begin, the last variant taken before a chunk reaches into it, of the rows of
+    all chunks that variants reach out of or into."""
+    contig = rows.schema["contig"].dataType.simpleString()
+
+    def frames(found: Iterator[tuple], names: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        while own := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind if k == 0 else pa.int64()) for k, c in enumerate(zip(*own))], names=names)
+
+    kind = to_arrow_type(rows.schema["contig"].dataType)
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((name, chunk, at, _gone_through(real, at)[1]) for name, chunk, _, real, ends in _chunk_rows(batches) for at in sorted({0, *ends}))
+        return frames(found, ["contig", "chunk", "at", "to"], kind)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def along() -> Iterator[tuple]:
+            now, state, after = None, 0, 0
+            for batch in batches:
+                for name, chunk, at, to in zip(*[c.to_pylist() for c in batch.columns]):
+                    if now != (name, chunk):
+                        # What is left of the reach behind the chunk before; nothing reaches over a chunk that has no rows.
+                        state = max(after - size, 0) if now == (name, chunk - 1) else 0
+                        now = (name, chunk)
+                        yield name, chunk, state
+                    if at == state:
+                        after = to
+
+        return frames(along(), ["contig", "chunk", "at"], kind)
+
+    led = rows.repartition("contig", "chunk").sortWithinPartitions("contig", "chunk").mapInArrow(maps, f"contig {contig}, chunk long, at long, to long")
+    return led.repartition("contig").sortWithinPartitions("contig", "chunk", "at").mapInArrow(follow, f"contig {contig}, chunk long, at long")
+
+
+def _edited(chunks: DataFrame, variants: DataFrame, size: int, whole: bool) -> DataFrame:
+    v = variants.select("contig", (F.col("pos").cast("long") - 1).alias("start"), "ref", "alt").where("contig is not null and start >= 0 and length(ref) > 0 and alt is not null")
+    first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.length("ref") - 1) / size)
+    columns = ["contig", "chunk", "kind", "text", "steps", "ref_n", "alts", "alt_n", "at"]
+    both = lambda *frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    texts = chunks.select("contig", "chunk", F.lit(_TEXT).alias("kind"), "text")
+    rows = both(texts, packed_variants(v.where(first == last), size, _INSIDE)).withColumn("at", F.lit(None).cast("long"))
+    # Variants that reach out of their chunk are looked at before, as their reference is in several.
+    reaching = saved(v.where(first < last).distinct(), "reaching")
+    if not reaching.isEmpty():
+        over = lambda df: df.select("contig", F.explode(F.sequence(first, last)).alias("chunk")).distinct()
+        spans = reaching.select(F.struct("ref", "alt").alias("key"), "contig", (F.col("start") + 1).alias("start"), (F.col("start") + 1 + F.length("ref")).alias("end"))
+        got = fetch(spans, chunks.join(over(reaching), ["contig", "chunk"], "left_semi"), size).where(F.upper("seq") == F.upper(F.col("key")["ref"]))
+        alt = F.col("key")["alt"]
+        real = saved(got.select("contig", (F.col("start") - 1).alias("start"), F.col("key")["ref"].alias("ref"), F.when(F.lower("seq") == F.col("seq"), F.lower(alt)).otherwise(alt).alias("alt")), "reaching")
+        sure = packed_variants(real, size, _REACHING)
+        into = real.select("contig", F.explode(F.sequence(first + 1, last)).alias("chunk"), (F.col("start") + F.length("ref")).alias("end"))
+        into = into.select("contig", "chunk", F.lit(_ENTRY).alias("kind"), (F.col("end") - F.col("chunk") * size).alias("at")).distinct()
+        few = both(rows.join(over(real), ["contig", "chunk"], "left_semi"), sure, into).select(columns)
+        rows = both(rows, sure, _entered(few, size).withColumn("kind", F.lit(_ENTRY)))
+    rows = rows.select(columns)
+    name = to_arrow_type(rows.schema["contig"].dataType)
+
+    def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one_by_one() -> Iterator[tuple]:
+            for contig, chunk, text, real, ends in _chunk_rows(batches):
+                if text is None:
+                    continue
+                entry = max(ends, default=0)
+                made, at = [], entry
+                for start, end, alt in _gone_through(real, entry)[0]:
+                    made += [text[at:start], alt]
+                    at = end
+                yield contig, chunk, "".join([*made, text[at:]])
+
+        def by_contig() -> Iterator[tuple]:
+            for contig, own in groupby(one_by_one(), lambda x: x[0]):
+                yield contig, None, "".join(x[2] for x in own)
+
+        # Rows go back in batches of some megabytes.
+        own, held = [], 0
+        for row in by_contig() if whole else one_by_one():
+            own.append(row)
+            held += len(row[2])
+            if held > 4_000_000 or len(own) == 10_000:
+                yield batch_of(own)
+                own, held = [], 0
+        if own:
+            yield batch_of(own)
+
+    def batch_of(own: list[tuple]) -> pa.RecordBatch:
+        contigs, numbers, texts = zip(*own)
+        return pa.RecordBatch.from_arrays([pa.array(contigs, name), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=["contig", "chunk", "text"])
+
+    dealt = rows.repartition("contig") if whole else rows.repartition("contig", "chunk")
+    return dealt.sortWithinPartitions("contig", "chunk").mapInArrow(edit, f"contig {rows.schema['contig'].dataType.simpleString()}, chunk long, text string")
+
+
 def consensus_chunks(chunks: DataFrame, variants: DataFrame, size: int) -> DataFrame:
     """(contig, chunk, text): the reference's chunks with the variants (contig, pos, ref, alt) applied in the order of their
     places. One whose reference is not there, whatever the case, or that overlaps the last applied one, is skipped. An
     alternative is in lower case where the reference is. A variant is written in the chunk in which it starts; the chunks that
-    it reaches into leave its bases out."""
-    v = variants.select("contig", F.col("pos").cast("long").alias("pos"), "ref", "alt").where("length(ref) > 0").distinct()
-    key = F.struct("ref", "alt")
-    spans = v.select(F.struct("pos", "ref", "alt").alias("key"), "contig", F.col("pos").alias("start"), (F.col("pos") + F.length("ref")).alias("end"))
-    real = fetch(spans, chunks, size).where(F.upper("seq") == F.upper(F.col("key")["ref"])).select("contig", (F.col("start") - 1).alias("start"), (F.col("end") - 1).alias("end"), F.col("key")["ref"].alias("ref"), F.col("key")["alt"].alias("alt"), (F.lower("seq") == F.col("seq")).alias("low"))
-    ordered = real.withColumn("alt", F.when(F.col("low"), F.lower("alt")).otherwise(F.col("alt"))).select("contig", "start", "end", key.alias("order"))
-    taken = without_overlaps(ordered.withColumn("order", F.to_json("order")), max(10 * size, 1000)).withColumn("alt", F.get_json_object("order", "$.alt"))
-    into = taken.select("contig", "start", "end", "alt", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias("chunk"))
-    edits = into.groupBy("contig", "chunk").agg(F.array_sort(F.collect_list(F.struct("start", "end", "alt"))).alias("edits"))  # at most a chunk's bases
-    base = F.col("chunk") * size
-    step = lambda acc, e: F.struct(
-        F.concat(acc["made"], F.substring("text", acc["at"] - base + 1, F.greatest(e["start"] - acc["at"], F.lit(0))), F.when(e["start"] >= base, e["alt"]).otherwise("")).alias("made"), e["end"].alias("at"))
-    done = F.aggregate("edits", F.struct(F.lit("").alias("made"), base.alias("at")), step)
-    made = F.concat(done["made"], F.substring("text", done["at"] - base + 1, F.greatest(base + F.length("text") - done["at"], F.lit(0))))
-    return chunks.join(edits, ["contig", "chunk"], "left").select("contig", "chunk", F.when(F.col("edits").isNull(), F.col("text")).otherwise(made).alias("text"))
+    it reaches into leave its bases out.
+
+    A chunk meets its variants once. How far variants reach into it is found before, from the chunks that any reaches out of
+    or into: such a chunk is gone through for every end that reaches into it, and these maps are followed along the contig."""
+    return _edited(chunks, variants, size, False)
 
 
 def consensus(reference: DataFrame, variants: DataFrame, size: int = 100_000) -> DataFrame:
     """(contig, seq) of (contig, seq): consensus_chunks, put together again to a row per contig. For contigs that are too long
     for a row, take the chunks."""
-    parts = consensus_chunks(chunked(reference, size), variants, size)
-    return parts.groupBy("contig").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "").alias("seq"))
+    return _edited(chunked(reference, size), variants, size, True).select("contig", F.col("text").alias("seq"))
 
 
 def contrast(calls: DataFrame, plus: list, minus: list, least_dp: int = 0) -> DataFrame:

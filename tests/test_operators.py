@@ -292,6 +292,14 @@ def test_consensus_like_one_by_one(spark, size):
     assert {x.contig: x.seq for x in got.collect()} == want
 
 
+def test_consensus_deals_its_variants_out_once(spark):
+    seqs = {k: "ACGTACGTÄé" * 50 for k in range(20)}
+    rows = [(k, 1 + at, seqs[k][at : at + 2], "TTT") for k in seqs for at in range(0, 500, 5)] + [(k, 5, "T", "C") for k in seqs]
+    got = structure.consensus(spark.createDataFrame(list(seqs.items()), "contig long, seq string"), spark.createDataFrame(rows, "contig long, pos long, ref string, alt string"), 100)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {x.contig: x.seq for x in got.collect()} == {k: "".join("TTT" + s[at + 2 : at + 5] for at in range(0, 500, 5)) for k, s in seqs.items()}
+
+
 @pytest.mark.parametrize("width", [4, 50, 100_000])
 def test_rows_without_overlaps_like_one_by_one(spark, width):
     r = random.Random(width)
