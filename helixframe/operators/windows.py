@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import sites as S
 from helixframe.operators.ranges import running_sums
 from helixframe.operators.sites import ratio, rounded
+from helixframe.sources.scratch import saved
 
 
 def dense_bins(by_bin: DataFrame, counts: list[str], from_first: bool = True) -> DataFrame:
@@ -108,17 +109,26 @@ def phase_join(calls: DataFrame, chunks: DataFrame, least_quality: float = 10.0,
     own = calls.select("sample", "chunk", "pos", "a1", "a2", F.coalesce("phased", F.lit(False)).alias("phased"), pq.alias("pq")).join(chunks.select("chunk", "chrom", "rank"), "chunk").drop("chunk")
     w = Window.partitionBy("chrom").orderBy("rank")
     follows = chunks.select("chrom", "rank").distinct().withColumn("before", F.lag("rank").over(w)).where("before is not null")
-    before = own.join(follows.withColumnRenamed("rank", "next"), [own.chrom == follows.chrom, own["rank"] == follows.before]).select("sample", own.chrom.alias("chrom"), "pos", F.col("next").alias("rank"), F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("phased").alias("b_phased"))
-    shared = own.join(before, ["sample", "chrom", "pos", "rank"])
+    # Calls at positions of two chunks; equal ones of a sample there are one row with their number, so that no row is made for each
+    # two of them where sites share a position.
+    spots = own.groupBy("chrom", "pos").agg(F.min("rank").alias("before"), F.max("rank").alias("next")).where("before < next").join(follows.withColumnRenamed("rank", "next"), ["chrom", "next", "before"])
+    at = ["sample", "chrom", "pos", "next"]
+    near = own.join(spots, ["chrom", "pos"]).where("rank = before or rank = next").repartition(*at)
+    kinds = lambda of, a, b: near.where(F.col("rank") == F.col(of)).groupBy(*at, F.col("a1").alias(f"{a}1"), F.col("a2").alias(f"{a}2"), F.col("phased").alias(b)).agg(F.count("*").alias(f"{a}_n"))
     a1, a2, b1, b2 = F.col("a1"), F.coalesce("a2", "a1"), F.col("b1"), F.coalesce("b2", "b1")
     same, cross = a1.eqNullSafe(b1) & a2.eqNullSafe(b2), a1.eqNullSafe(b2) & a2.eqNullSafe(b1)
-    n, wrong = F.count("*"), F.count_if(~(same | cross))
+    times = F.col("a_n") * F.col("b_n")
+    tells = F.col("phased") & F.col("b_phased") & (a1 != a2) & (b1 != b2)
+    total = lambda which, name: F.coalesce(F.sum(F.when(which, times)), F.lit(0)).alias(name)
+    shared = kinds("next", "a", "phased").join(kinds("before", "b", "b_phased"), at).groupBy(*at).agg(F.sum(times).alias("n"), total(~(same | cross), "wrong"), total(tells & same, "n_same"), total(tells & cross & ~same, "n_cross"))
+    shared = saved(shared.withColumnRenamed("next", "rank"), "shared")
+    n, wrong = F.sum("n"), F.sum("wrong")
     places = shared.groupBy("chrom", "rank", "pos").agg(F.when(n == 1, F.lit(0.25)).otherwise(F.least(F.greatest(wrong / n, 1 / n), 1 - 1 / n)).alias("p"))
     ends = places.groupBy("chrom", "rank").agg(F.min("pos").alias("from"), F.max("pos").alias("to"))
-    told = shared.where(F.col("phased") & F.col("b_phased") & (a1 != a2) & (b1 != b2) & (same | cross)).withColumn("same", same).join(places, ["chrom", "rank", "pos"])
-    p = F.col("p")
+    told = shared.where("n_same + n_cross > 0").join(places, ["chrom", "rank", "pos"])
+    p, n_same, n_cross = F.col("p"), F.col("n_same"), F.col("n_cross")
     alike, unlike = F.log10(p * p + (1 - p) * (1 - p)), F.log10(2 * p * (1 - p))
-    sums = told.groupBy("sample", "chrom", "rank").agg(F.count("*").alias("n_sites"), F.sum(F.when(F.col("same"), alike).otherwise(unlike)).alias("m"), F.sum(F.when(F.col("same"), unlike).otherwise(alike)).alias("x"))
+    sums = told.groupBy("sample", "chrom", "rank").agg(F.sum(n_same + n_cross).alias("n_sites"), F.sum(n_same * alike + n_cross * unlike).alias("m"), F.sum(n_same * unlike + n_cross * alike).alias("x"))
     half = F.lit(math.log10(0.5))
     every = own.select("sample", "chrom", "rank").distinct().join(follows.select("chrom", "rank"), ["chrom", "rank"]).join(sums, ["sample", "chrom", "rank"], "left")
     every = every.select("sample", "chrom", "rank", F.coalesce("n_sites", F.lit(0)).alias("n_sites"), F.coalesce("m", half).alias("m"), F.coalesce("x", half).alias("x"))
@@ -129,17 +139,23 @@ def phase_join(calls: DataFrame, chunks: DataFrame, least_quality: float = 10.0,
     # Of two calls at a shared position the one whose chunk's overlap ends, or began, farther off.
     earlier = F.col("to") - F.col("pos") > F.col("pos") - F.col("from")
     lost = places.join(ends, ["chrom", "rank"]).join(follows, ["chrom", "rank"]).select("chrom", "pos", F.when(earlier, F.col("rank")).otherwise(F.col("before")).alias("rank"))
-    inside = places.select("chrom", "pos").distinct().withColumn("shared", F.lit(True))
-    kept = own.join(lost, ["chrom", "pos", "rank"], "left_anti").join(inside, ["chrom", "pos"], "left").join(told_of.select("sample", "chrom", "rank", "swapped", "quality"), ["sample", "chrom", "rank"], "left")
+    kept = own.join(lost, ["chrom", "pos", "rank"], "left_anti")
     # Breaks inside a chunk are numbered there; the numbers of the chunks before are added.
-    weak = F.lit(False) if least_pq is None else F.col("shared").isNull() & F.coalesce(F.col("pq") < least_pq, F.lit(False))
-    kept = kept.withColumn("breaks", F.sum(weak.cast("int")).over(Window.partitionBy("sample", "chrom", "rank").orderBy("pos")))
-    per = kept.groupBy("sample", "chrom", "rank").agg(F.max("breaks").alias("inner"), F.max((F.coalesce(F.col("quality") < least_quality, F.lit(False))).cast("int")).alias("new"))
-    start = per.select("sample", "chrom", "rank", (F.sum(F.col("inner") + F.col("new")).over(along) - F.col("inner")).alias("base"))
-    numbered = kept.join(start, ["sample", "chrom", "rank"]).withColumn("block", F.col("base") + F.col("breaks"))
-    firsts = numbered.groupBy("sample", "chrom", "block").agg(F.min("pos").alias("ps"))
+    if least_pq is None:
+        kept = kept.withColumn("breaks", F.lit(0).cast("long"))
+    else:
+        inside = places.select("chrom", "pos").distinct().withColumn("shared", F.lit(True))
+        weak = F.col("shared").isNull() & F.coalesce(F.col("pq") < least_pq, F.lit(False))
+        kept = kept.join(inside, ["chrom", "pos"], "left").withColumn("breaks", F.sum(weak.cast("int")).over(Window.partitionBy("sample", "chrom", "rank").orderBy("pos")))
+    # What lies between two breaks is a row until its phase set is known.
+    cells = kept.groupBy("sample", "chrom", "rank", "breaks").agg(F.min("pos").alias("first"))
+    per = cells.groupBy("sample", "chrom", "rank").agg(F.max("breaks").alias("inner")).join(told_of.select("sample", "chrom", "rank", "swapped", "quality"), ["sample", "chrom", "rank"], "left")
+    new = F.coalesce(F.col("quality") < least_quality, F.lit(False)).cast("int")
+    start = per.select("sample", "chrom", "rank", "swapped", (F.sum(F.col("inner") + new).over(along) - F.col("inner")).alias("base"))
+    ps = F.min("first").over(Window.partitionBy("sample", "chrom", F.col("base") + F.col("breaks")))
+    sets = cells.join(start, ["sample", "chrom", "rank"]).select("sample", "chrom", "rank", "breaks", "swapped", ps.alias("ps"))
     turn = F.coalesce("swapped", F.lit(False)) & F.col("a2").isNotNull()
-    joined = numbered.join(firsts, ["sample", "chrom", "block"]).select("sample", "chrom", "pos", F.when(turn, F.col("a2")).otherwise(F.col("a1")).alias("a1"), F.when(turn, F.col("a1")).otherwise(F.col("a2")).alias("a2"), "phased", "ps")
+    joined = kept.join(sets, ["sample", "chrom", "rank", "breaks"]).select("sample", "chrom", "pos", F.when(turn, F.col("a2")).otherwise(F.col("a1")).alias("a1"), F.when(turn, F.col("a1")).otherwise(F.col("a2")).alias("a2"), "phased", "ps")
     return told_of, joined
 
 

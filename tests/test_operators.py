@@ -211,6 +211,16 @@ def test_joined_chunks_have_the_haplotypes_that_they_were_cut_from(spark):
         assert all(rows_[s, 30].n_sites == 0 and rows_[s, 30].quality == 0 and rows_[s, 10].quality > 3 for s in range(6)) and (0, 0) not in rows_
 
 
+def test_chunks_with_many_calls_at_one_position_join_without_their_pairs(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(windows, "saved", lambda df, name: made.append(df) or df)
+    rows = [(s, c, 5, k % 2, 1 - k % 2, True) for s in (1, 2) for c in ("a", "b") for k in range(300)]
+    calls, chunks = spark.createDataFrame(rows, "sample int, chunk string, pos long, a1 int, a2 int, phased boolean"), spark.createDataFrame([("a", "1", 0), ("b", "1", 1)], "chunk string, chrom string, rank long")
+    told, joined = windows.phase_join(calls, chunks)
+    assert [(x.n, x.wrong, x.n_same, x.n_cross) for x in made[0].collect()] == [(90_000, 0, 45_000, 45_000)] * 2
+    assert {x.n_sites for x in told.collect()} == {90_000} and joined.count() == 600
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ACDW", max_size=14), st.text("ACDWX", max_size=14), st.sampled_from([(-10.0, -0.5), (-2.0, -1.0), (-3.0, -0.5)]), st.sampled_from([1, 6, 30]))
 def test_halved_alignments_are_as_good(a, b, costs, cells):

@@ -66,3 +66,8 @@ def test_query_with_sites_at_one_position(spark, copied, name):
     want = c.execute(plans.ORACLES[name])
     names = [x[0] for x in want.description]
     assert sorted(tuple(plain(r[n]) for n in names) for r in df.collect()) == sorted(tuple(plain(v) for v in r) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["n9_phased_join", "n9_joined_calls"])
+def test_phase_with_sites_at_one_position(spark, copied, name):
+    test_query_with_sites_at_one_position(spark, copied, name)
