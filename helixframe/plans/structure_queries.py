@@ -16,7 +16,7 @@ from helixframe.plans.function_queries import lines_of
 from helixframe.plans.registry import query
 from helixframe.plans.site_queries import sites_of
 from helixframe.sources import tables as R
-from helixframe.sources.scratch import folder
+from helixframe.sources.scratch import folder, saved
 from helixframe.streaming import jobs
 
 
@@ -523,7 +523,7 @@ def _(t):
 @query("s25_ingest_vcf_dir", "SELECT chrom, pos, COALESCE(id, '.') AS id, ref, concat_ws(',', alt1, alt2) AS alts, qual FROM variants")
 def _(t):
     at = folder(t.spark, "arrive")
-    data = lines_of(t)
+    data = saved(lines_of(t), "lines")
     # A first load, then all files again with more, and then the last batch once more by itself.
     data.where("value like 'chr1%' or value like 'chr2%'").write.text(f"{at}/in")
     jobs.ingest_dir(jobs.arriving_lines(t.spark, f"{at}/in"), f"{at}/table", f"{at}/state").awaitTermination()

@@ -252,11 +252,17 @@ def vcf_lines(variants: DataFrame, calls: DataFrame | None = None, samples: list
     ]
     if calls is not None:
         text = F.concat_ws(":", call_text(), F.coalesce(F.col("dp").cast("string"), F.lit(".")), F.coalesce(F.col("gq").cast("string"), F.lit(".")))
-        # A row per cell, as many as the file has; each line's cells are put in order once.
+        # A site's calls are put in order once, and what lies between two of them is filled: no row exists for an uncalled cell.
+        n = len(samples or [])
         order = v.sparkSession.createDataFrame([(s, k) for k, s in enumerate(samples or [])], f"sample {calls.schema['sample'].dataType.simpleString()}, __k int")
-        grid = v.select("vid").join(F.broadcast(order)).join(calls.select("vid", "sample", text.alias("__t")), ["vid", "sample"], "left")
-        line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", F.coalesce("__t", F.lit("./.:.:.")).alias("__t")))), lambda x: x["__t"]), "\t")
-        v = v.join(grid.groupBy("vid").agg(line.alias("__c")), "vid", "left")
+        own = calls.select("vid", "sample", text.alias("__t")).join(F.broadcast(order), "sample").groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("__k", "__t"))).alias("__s"))
+        none = F.array().cast("array<struct<__k:int,__t:string>>")
+        v = v.join(own, "vid", "left").withColumn("__s", F.coalesce("__s", none))
+        before = lambda j: F.coalesce(F.get("__s", j - 1)["__k"], F.lit(-1))
+        called = F.transform("__s", lambda x, j: F.concat(F.repeat(F.lit("./.:.:.\t"), x["__k"] - before(j) - 1), x["__t"]))
+        behind = n - 1 - before(F.size("__s"))
+        rest = F.when(behind > 0, F.substring(F.repeat(F.lit("\t./.:.:."), behind), 2, 8 * n))
+        v = v.withColumn("__c", F.concat_ws("\t", F.when(F.size("__s") > 0, F.array_join(called, "\t")), rest) if n else F.lit(None).cast("string")).drop("__s")
         cells += [F.lit("GT:DP:GQ"), F.col("__c")]
     return v.select("chrom", "pos", F.concat_ws("\t", *cells).alias("value"))
 

@@ -45,7 +45,8 @@ def add_new(rows: DataFrame, target: str, key: list[str] | None = None) -> int:
     key = key or KEY
     spark = rows.sparkSession
     order = [F.col(c).asc_nulls_last() for c in rows.columns if c not in key and rows.schema[c].dataType.typeName() not in ("map",)] or [F.lit(0)]
-    own = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__k = 1").drop("__k")
+    # Stored, so that lines are parsed and put in order once, not for each of the passes below.
+    own = saved(rows.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__k = 1").drop("__k"), "batch")
     if exists(spark, target):
         chroms = [r[0] for r in own.select("chrom").distinct().limit(1001).collect()]  # of a genome, or all partitions
         have = spark.read.parquet(target)
@@ -53,8 +54,7 @@ def add_new(rows: DataFrame, target: str, key: list[str] | None = None) -> int:
             have = have.where(F.col("chrom").isin([c for c in chroms if c is not None]) | F.col("chrom").isNull())
         there = have.select(*[F.col(c).alias(f"__{c}") for c in key])
         on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])
-        own = own.join(there, on, "left_anti")
-    own = saved(own, "new")
+        own = saved(own.join(there, on, "left_anti"), "new")
     own.repartitionByRange("chrom", *[c for c in key if c != "chrom"]).write.mode("append").partitionBy("chrom").parquet(target)
     return own.count()
 

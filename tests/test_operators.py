@@ -326,6 +326,17 @@ def test_rows_without_overlaps_like_one_by_one(spark, width):
         assert {x.order for x in got.collect()} == want and got.columns == ["contig", "start", "end", "order"]
 
 
+def test_vcf_lines_fill_uncalled_cells_without_rows_for_them(spark):
+    r = random.Random(3)
+    samples = ["c", "a", "d", "b", "e"]
+    calls = [(vid, s, 0, 1, False, vid, 9) for vid in range(40) for s in [*samples, "other"] if vid and r.random() < vid / 39]
+    v = spark.createDataFrame([(k, "1", k, None, "A", ["T"], 1.0, [], "DP=4") for k in range(40)], "vid long, chrom string, pos long, id string, ref string, alts array<string>, qual double, filters array<string>, info_text string")
+    got = vcf.vcf_lines(v, spark.createDataFrame(calls, "vid long, sample string, a1 int, a2 int, phased boolean, dp int, gq int").repartition(3), samples)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    have = {c[:2] for c in calls}
+    assert {x.pos: x.value.split("\t")[8:] for x in got.collect()} == {k: ["GT:DP:GQ", *[f"0/1:{k}:9" if (k, s) in have else "./.:.:." for s in samples]] for k in range(40)}
+
+
 def test_permutation_keeps_labels_and_places(spark):
     df = spark.createDataFrame([("g", i, i * 10) for i in range(50)] + [("h", i, i) for i in range(20)], "group string, place long, label long")
     rows = structure.permutations(df, 2).collect()
