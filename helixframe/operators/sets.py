@@ -83,18 +83,16 @@ def merge_sites(
     flags = own.select("chrom", "pos", F.explode_outer("filters").alias("f")).groupBy("chrom", "pos").agg(F.array_join(F.array_sort(F.collect_set("f")), ";").alias("filters"))
     qual = own.groupBy("chrom", "pos").agg(F.round(F.sum(F.col("qual") * weight) / F.sum(F.when(F.col("qual").isNotNull(), weight)), 2).alias("qual"), *[_total(own, c) for c in summed], *[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in first],
         F.array_join(F.array_sort(F.collect_set("src")), "+").alias("sources"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(number.alias("k"), flagged.alias("t")))), lambda x: x["t"]), ",").alias("sf"))
-    place = stretched.join(alts, ["chrom", "pos"]).select("src", "vid", (F.col("k") + 1).alias("old"), F.array_position("alts", F.col("alt")).cast("int").alias("new"))
-    moved = tagged(calls)
-    for side in ("a1", "a2"):
-        p = place.select("src", "vid", F.col("old").alias(side), F.col("new").alias(f"{side}_new"))
-        moved = moved.join(p, ["src", "vid", side], "left").withColumn(side, F.when(F.col(side) == 0, 0).otherwise(F.col(f"{side}_new"))).drop(f"{side}_new")
-    where = own.select("src", "vid", "chrom", "pos").distinct()
-    moved = moved.join(where, ["src", "vid"]).select("chrom", "pos", "src", "sample", "a1", "a2")
+    # A site's new allele numbers are one array, so that its calls are put in order for one join.
+    longer = F.transform("alts", lambda x: F.concat(x, F.expr("substring(long_ref, length(ref) + 1)")))
+    place = own.withColumn("__own", longer).drop("alts").join(alts, ["chrom", "pos"], "left").select("src", "vid", "chrom", "pos", F.transform("__own", lambda x: F.array_position("alts", x).cast("int")).alias("__new")).distinct()
+    number_of = lambda c: F.when(F.col(c) == 0, 0).otherwise(F.get("__new", F.col(c) - 1)).alias(c)
+    moved = tagged({name: df.select("vid", "sample", "a1", "a2") for name, df in calls.items()}).join(place, ["src", "vid"]).select("chrom", "pos", "src", "sample", number_of("a1"), number_of("a2"))
     if samples is not None:
         who = tagged({name: df.select("sample") for name, df in samples.items()})
-        lacking = ref.select("chrom", "pos", F.explode(F.array(*map(F.lit, samples))).alias("src")).join(own.select("chrom", "pos", "src"), ["chrom", "pos", "src"], "left_anti")
+        lacking = ref.select("chrom", "pos", F.explode(F.array(*map(F.lit, samples))).alias("src")).join(all_.select("chrom", "pos", "src"), ["chrom", "pos", "src"], "left_anti")
         blank = F.lit(missing).cast("int")
-        moved = moved.unionByName(lacking.join(who, "src").select("chrom", "pos", "src", "sample", blank.alias("a1"), blank.alias("a2")))
+        moved = moved.unionByName(lacking.join(F.broadcast(who), "src").select("chrom", "pos", "src", "sample", blank.alias("a1"), blank.alias("a2")))
     an = moved.select("chrom", "pos", F.explode(F.array("a1", "a2")).alias("a")).where("a is not null").groupBy("chrom", "pos").agg(F.count("*").alias("an"), F.count_if(F.col("a") > 0).alias("ac"))
     sites = ref.join(alts, ["chrom", "pos"]).join(flags, ["chrom", "pos"]).join(qual, ["chrom", "pos"]).join(an, ["chrom", "pos"], "left").na.fill(0, ["an", "ac"])
     return sites.select("chrom", "pos", F.col("long_ref").alias("ref"), F.array_join("alts", ",").alias("alts"), "qual", "filters", "sources", "sf", "an", "ac", *summed, *first), moved

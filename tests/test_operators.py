@@ -337,6 +337,23 @@ def test_vcf_lines_fill_uncalled_cells_without_rows_for_them(spark):
     assert {x.pos: x.value.split("\t")[8:] for x in got.collect()} == {k: ["GT:DP:GQ", *[f"0/1:{k}:9" if (k, s) in have else "./.:.:." for s in samples]] for k in range(40)}
 
 
+def test_merged_calls_meet_their_site_in_one_join(spark):
+    sites = "vid long, chrom string, pos long, ref string, alts array<string>, qual double, filters array<string>"
+    a = spark.createDataFrame([(1, "1", 5, "A", ["T", "G"], 1.0, []), (2, "1", 9, "A", [], 1.0, []), (3, "1", 9, "A", None, 1.0, [])], sites)
+    b = spark.createDataFrame([(1, "1", 5, "AC", ["C", "TC"], 1.0, []), (2, "1", 7, "A", ["T"], 1.0, [])], sites)
+    calls = spark.createDataFrame([(vid, s, x, y) for vid in (1, 2, 3, 4) for s, x, y in ((0, 0, 1), (1, 2, None), (2, 1, 2))], "vid long, sample int, a1 int, a2 int")
+    merged = lambda **more: sets.merge_sites({"a": a, "b": b}, {"a": calls, "b": calls}, **more)[1]
+    plan = merged()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner, ((src") + plan.count("Join LeftOuter, (((src") == 1
+    own = [("a", 1, {1: 3, 2: 2}), ("a", 2, {}), ("a", 3, {}), ("b", 1, {1: 1, 2: 3}), ("b", 2, {1: 1})]
+    place = {("a", 1): 5, ("a", 2): 9, ("a", 3): 9, ("b", 1): 5, ("b", 2): 7}
+    want = [("1", place[src, vid], src, s, *(0 if x == 0 else new.get(x) for x in pair)) for src, vid, new in own for s, pair in enumerate(((0, 1), (2, None), (1, 2)))]
+    assert sorted(map(str, map(tuple, merged().collect()))) == sorted(map(str, want))
+    who = spark.createDataFrame([(0,), (7,)], "sample int")
+    more = [("1", pos, src, s, 0, 0) for src, pos in (("a", 7), ("b", 9)) for s in (0, 7)]
+    assert sorted(map(str, map(tuple, merged(samples={"a": who, "b": who}, missing=0).collect()))) == sorted(map(str, want + more))
+
+
 def test_permutation_keeps_labels_and_places(spark):
     df = spark.createDataFrame([("g", i, i * 10) for i in range(50)] + [("h", i, i) for i in range(20)], "group string, place long, label long")
     rows = structure.permutations(df, 2).collect()
