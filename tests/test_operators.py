@@ -354,6 +354,19 @@ def test_merged_calls_meet_their_site_in_one_join(spark):
     assert sorted(map(str, map(tuple, merged(samples={"a": who, "b": who}, missing=0).collect()))) == sorted(map(str, want + more))
 
 
+def test_rows_meet_a_transcript_once_however_many_references_it_has(spark):
+    rows = [(1, "T1.1"), (2, "T1.2"), (3, "T2"), (4, None), (5, "T9")]
+    xref = [("T1.1", "P", 1), ("T1.2", "Q", 2), ("T1", "P", 1), ("T2.7", None, 3), (None, "R", 4)]
+    own, more = spark.createDataFrame(rows, "iid int, transcript string"), spark.createDataFrame(xref, "transcript string, unp string, n int")
+    bare = lambda x, versions: x if versions or x is None else x.split(".")[0]
+    for versions in (False, True):
+        got = mapping.by_transcript(own, more, versions)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" in plan and plan.index("Generate") < plan.index("Join")
+        want = [(i, t, u, n) for i, t in rows for x, u, n in xref if t and x and bare(t, versions) == bare(x, versions)]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and got.columns == ["iid", "transcript", "unp", "n"]
+
+
 def test_permutation_keeps_labels_and_places(spark):
     df = spark.createDataFrame([("g", i, i * 10) for i in range(50)] + [("h", i, i) for i in range(20)], "group string, place long, label long")
     rows = structure.permutations(df, 2).collect()
