@@ -295,9 +295,9 @@ def _(t):
     return X.whole_lines(X.plink_ped(rows, 50_000), {"line": "\t"}, X.plink_family(rows.select("sample").distinct())).withColumn("line", F.md5("line"))
 
 
-@query("w5_whole_ped_lines", f"SELECT sample, concat_ws(chr(9), CAST(sample AS VARCHAR), CAST(sample AS VARCHAR), '0', '0', '0', '0', {_PED.replace('ORDER BY pos', 'ORDER BY chrom, pos')}) AS line FROM calls JOIN variants USING (vid) WHERE chrom < 'chr3' GROUP BY sample")
+@query("w5_whole_ped_lines", f"SELECT sample, concat_ws(chr(9), CAST(sample AS VARCHAR), CAST(sample AS VARCHAR), '0', '0', '0', '0', {_PED.replace('ORDER BY pos', 'ORDER BY chrom, pos')}) AS line FROM calls JOIN variants USING (vid) GROUP BY sample")
 def _(t):
-    rows = _with_alleles(t).where("chrom < 'chr3'")
+    rows = _with_alleles(t)
     return X.whole_lines(X.plink_ped(rows, 50_000), {"line": "\t"}, X.plink_family(rows.select("sample").distinct()))
 
 

@@ -711,6 +711,17 @@ def test_ped_lines_are_whole(spark):
     assert got == {s: md5("\t".join(cells).encode()).hexdigest() for s, cells in want.items()}
 
 
+def test_whole_ped_lines_have_all_chromosomes(spark):
+    from helixframe import plans
+    from helixframe.sources.views import Tables
+
+    folder = "/root/testdata/sf0.001"
+    t = Tables(spark, folder)
+    want = {r["sample"]: r["n"] for r in t.calls.join(t.variants, "vid").groupBy("sample").agg(F.count("*").alias("n")).collect()}
+    # Six columns before the calls.
+    assert {r["sample"]: r.line.count("\t") - 5 for r in plans.QUERIES["w5_whole_ped_lines"](spark, folder).collect()} == want
+
+
 def test_merged_ranges_and_hits_once(spark):
     rows = [("a", 1, 5), ("a", 4, 8), ("a", 8, 9), ("a", 2, 3), ("b", 1, 2), ("b", 5, 5), ("b", 4, 7)]
     df = spark.createDataFrame(rows, "k string, s int, e int")
