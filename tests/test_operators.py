@@ -711,6 +711,19 @@ def test_ped_lines_are_whole(spark):
     assert got == {s: md5("\t".join(cells).encode()).hexdigest() for s, cells in want.items()}
 
 
+def test_sites_against_those_of_other_chromosomes(spark):
+    chrom = {v: "xyz"[v % 3] for v in range(40)}
+    v = spark.createDataFrame([(k, c, 5 * k, ["C"]) for k, c in chrom.items()], "vid int, chrom string, pos int, alts array<string>")
+    c = spark.createDataFrame([(k, s, (k + s) % 2, 1, True) for k in chrom for s in range(3)], "vid int, sample int, a1 int, a2 int, phased boolean")
+    want = sorted((a, b) for a in chrom for b in chrom if chrom[a] != chrom[b])
+    some = v.where("vid % 10 = 0")
+    for blocks in (1, 4, 64):
+        # All sites, whatever their number, and those listed.
+        assert sorted((r.vid, r.vid2) for r in pairs.other_chromosome_pairs(v, c, blocks=blocks).collect()) == want
+        assert sorted((r.vid, r.vid2) for r in pairs.other_chromosome_pairs(v, c, some, blocks).collect()) == [(a, b) for a, b in want if a % 10 == 0]
+        assert sorted((r.vid, r.vid2) for r in pairs.listed_pairs(v, c, some, blocks).collect()) == [(a, b) for a in chrom for b in chrom if a % 10 == 0 and a != b and chrom[a] == chrom[b]]
+
+
 def test_whole_ped_lines_have_all_chromosomes(spark):
     from helixframe import plans
     from helixframe.sources.views import Tables
