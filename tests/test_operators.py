@@ -764,6 +764,20 @@ def test_mask_runs_are_merged(spark):
         assert "Window" in got._jdf.queryExecution().optimizedPlan().toString()  # runs are merged before they meet sites
 
 
+def test_chi_square_of_pairs_is_compiled(spark):
+    from helixframe import plans
+    from helixframe.operators.sites import with_chi_square_p
+
+    rows = [(x, float(d), math.erfc(math.sqrt(x / 2)) if d == 1 else math.exp(-x / 2) * (1 if d == 2 else 1 + x / 2)) for x in (0.0, 0.3, 1.2, 2.0, 3.0, 5.5, 17.0, 80.0, 2000.0) for d in (1, 2, 4)]
+    rows += [(3.0, 0.0, None), (None, 1.0, None)]
+    got = with_chi_square_p(spark.createDataFrame(rows, "x double, d double, want double"), "x", "d", "p").collect()
+    assert [list(r.asDict()) for r in got[:1]] == [["x", "d", "want", "p"]]
+    assert all(r.p is None if r.want is None else abs(r.p - r.want) < 1e-12 for r in got)
+    # Methods of over 8000 bytes are left to the interpreter.
+    code = plans.QUERIES["a26_geno_chisq"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().debug().codegenToSeq()
+    assert all(0 < code.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(code.size()))
+
+
 def test_erfc(spark):
     from helixframe.operators.sites import erfc
 
