@@ -484,10 +484,12 @@ def repeated_tokens(docs: DataFrame, scheme: Scheme, finish: Callable[[Chunk, np
 
         return known.mapInArrow(run, "chunk long, bucket int, data binary")
 
+    # What buckets answer compresses so well that its files look small enough to be sent to all by way of the driver, which would
+    # hold it unpacked; so the joins are told to sort.
     for level in range(LEVELS):
         hot = scheme.hot if level < LEVELS - 1 else 2**62
         got = saved(answers(asks, lambda parts, hot=hot: _count_answer(parts, hot), f"parts{level}"), "answers")
-        known = known.join(got, "chunk", "left")
+        known = known.join(got.hint("merge"), "chunk", "left")
         if not got.where(F.exists(f"parts{level}", lambda x: F.contains(x["data"], F.lit(b"\x02")))).limit(1).count():
             break
         asks = chunk_rows(lambda c: _asks(c.pending, scheme, ask_buckets, bits), True)
@@ -503,4 +505,4 @@ def repeated_tokens(docs: DataFrame, scheme: Scheme, finish: Callable[[Chunk, np
                 c = Chunk(scheme, row, bits)
                 yield finish(c, c.removed(row["bits"]))
 
-    return known.join(second, "chunk", "left").mapInArrow(end, schema)
+    return known.join(second.hint("merge"), "chunk", "left").mapInArrow(end, schema)

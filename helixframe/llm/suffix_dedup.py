@@ -174,7 +174,7 @@ def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     cut = dedup_bytes(docs, width).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.col("text_sha256").alias("sha"), F.col("kept_text").alias("cut"))
     cut = saved(cut, "cut").dropDuplicates(["id", "sha"])
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("sha"), whole_row(docs).alias("row"))
-    out = rows.join(cut, ["id", "sha"], "left")
+    out = rows.join(cut.hint("merge"), ["id", "sha"], "left")  # texts alike look small on disk, but not to a driver
     was = F.col("cut").isNotNull()
     new = {"text": F.when(was, F.col("cut")).otherwise(F.col("row.text")).cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:

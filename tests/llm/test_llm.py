@@ -783,3 +783,10 @@ def test_sliding_minimum():
     x = np.random.default_rng(0).integers(0, 50, 60).astype(np.uint64)
     for w in (1, 2, 3, 5, 8, 13):
         assert repeats.sliding_min(x, w).tolist() == [int(x[i : i + w].min()) for i in range(60 - w + 1)]
+
+
+def test_repeats_send_nothing_by_way_of_the_driver(spark):
+    docs = spark.createDataFrame([(i, "all the same words again and again " * 20 + str(i)) for i in range(8)], "doc_id long, text string")
+    for df in (suffix_dedup.dedup_bytes(docs), suffix_dedup.without_repeats(docs)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.n_removed > 0 for r in suffix_dedup.dedup_bytes(docs).orderBy("doc_id").collect()] == [True] * 8
