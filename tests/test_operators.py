@@ -735,6 +735,24 @@ def test_whole_ped_lines_have_all_chromosomes(spark):
     assert {r["sample"]: r.line.count("\t") - 5 for r in plans.QUERIES["w5_whole_ped_lines"](spark, folder).collect()} == want
 
 
+def test_first_rows_of_a_view_without_the_others(spark):
+    r = random.Random(8)
+    make = lambda rows, schema: spark.createDataFrame(sorted(set(rows), key=str), schema)
+    place = lambda: (r.choice("st"), r.choice("AB"), r.randrange(4))
+    hits = [(f"{r.randrange(40)}:{k}", *place()) for k in range(120)]
+    residues = [(*place(), k) for k in range(20)] + [("s", None, 1, 50), ("u", "A", 1, 51)]
+    every = [
+        make(residues, "structid string, chain string, seqid int, res_id int"), make([("s", "A", "P1"), ("t", "B", "P2")], "structid string, chain string, unp string"), make([("s", "X-RAY", 2.0)], "structid string, method string, resolution double"),
+        make([("t", "MODEL", 0.5)], "structid string, model_method string, mpqs double"), make(hits, "gc_id string, structid string, chain string, seqid int"),
+        make([(g, int(g.split(":")[0]), 0, r.choice(["", None, "T1", "T2", "T9"]), r.choice(["missense_variant", "x"])) for g, *_ in hits], "gc_id string, vid int, pos int, transcript string, consequence string"), make([(v, float(v), f"rs{v}") for v in range(0, 40, 2)], "vid int, qual double, id string"),
+        make([(s, c, n, e, n + 1) for s, c, n in (place() for _ in range(30)) for e in r.sample(["T1", "T2", "T3", None], 2)], "structid string, chain string, seqid int, enst string, ens_seqid int"), make([("T1", 2, "G1"), ("T2", 3, "G2")], "enst string, ens_seqid int, gene string"),
+        make([("s", "A", "T1", 0.5)], "structid string, chain string, enst string, perc_identity double"), make([("s", "A", 0, 2, "D2"), ("s", "A", 1, 3, "D1"), ("t", "B", 0, 9, None), ("t", "B", 1, 9, "D3")], "structid string, chain string, seqstart int, seqend int, domain string"),
+    ]
+    whole, few = mapping.structure_view(*every), mapping.structure_view(*every, first=True)
+    assert whole.columns == few.columns and few.count() < whole.count()
+    assert sorted(map(str, mapping.one_per_variant(few).collect())) == sorted(map(str, mapping.one_per_variant(whole).collect()))
+
+
 def test_merged_ranges_and_hits_once(spark):
     rows = [("a", 1, 5), ("a", 4, 8), ("a", 8, 9), ("a", 2, 3), ("b", 1, 2), ("b", 5, 5), ("b", 4, 7)]
     df = spark.createDataFrame(rows, "k string, s int, e int")
