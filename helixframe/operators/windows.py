@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators import sites as S
-from helixframe.operators.ranges import running_sums
+from helixframe.operators.ranges import bins, dealt, running_sums
 from helixframe.operators.sites import ratio, rounded
 from helixframe.sources.scratch import saved
 
@@ -159,37 +160,76 @@ def phase_join(calls: DataFrame, chunks: DataFrame, least_quality: float = 10.0,
     return told_of, joined
 
 
-def haplotype_counts(variants: DataFrame, calls: DataFrame, bed: DataFrame) -> DataFrame:
-    """(iid, n_snp, n_unique, spectrum): haplotypes of phased samples over the sites in a bin; spectrum: multiplicity:number.
+def _haplotypes(pos: np.ndarray, letters: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of sites in the order of their places: a row per chromosome with its allele at each site, in the order of alleles where
+    sites share a place, and how many sites before each, and before the end, lack the chromosome's."""
+    a = np.frombuffer("".join(letters).encode("utf-32-le"), np.uint32).reshape(len(pos), -1)
+    rank = np.unique(pos, return_inverse=True)[1]
+    codes = np.sort((rank[:, None].astype(np.int64) << 32) + a, axis=0).astype(np.uint32).T
+    return np.ascontiguousarray(codes.astype(np.uint8) if codes.max(initial=0) < 256 else codes), np.vstack([np.zeros((1, a.shape[1]), np.int64), np.cumsum(a == ord("."), axis=0)])
+
+
+def _spectrum(codes: np.ndarray, missing: np.ndarray, i: int, j: int) -> tuple[int, int, str] | None:
+    """(n_snp, n_unique, spectrum) of the sites from i to j, none if every chromosome lacks one."""
+    times = Counter(codes[k, i:j].tobytes() for k in np.flatnonzero(missing[i] == missing[j]).tolist())
+    of = Counter(times.values())
+    return (j - i, len(times), ",".join(f"{m}:{of[m]}" for m in sorted(of))) if times else None
 
-    A site's calls are one text, a letter per chromosome, and a place, one for all bins that are equal, gets a row per site."""
-    from helixframe.operators.ranges import range_join
 
-    whole = calls.where("phased and a1 is not null and a2 is not null").select("vid", "sample", "a1", "a2")
+def haplotype_counts(variants: DataFrame, calls: DataFrame, bed: DataFrame, width: int = 8192) -> DataFrame:
+    """(iid, n_snp, n_unique, spectrum): haplotypes of phased samples over the sites in a bin; spectrum: multiplicity:number.
+
+    A site's calls are one text, a letter per chromosome. Sites and places, one for all bins that are equal, meet by stretches of
+    `width` bases, so that no row exists for a place and a site; only a place that goes beyond a stretch takes its sites' texts
+    along, a piece per stretch."""
+    # Calls are made once, for the samples' numbers and for their letters.
+    whole = saved(calls.where("phased and a1 is not null and a2 is not null").select("vid", "sample", "a1", "a2"), "calls")
     number = whole.select("sample").distinct().select("sample", (F.row_number().over(Window.orderBy("sample")) - 1).alias("k"))  # of a study's people
     n = number.count()
     letter = lambda c: F.call_function("char", 48 + F.col(c))
     texts = whole.join(number, "sample").groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("k", F.concat(letter("a1"), letter("a2"))))).alias("m"))
     texts = texts.select("vid", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(max(n, 1))), lambda i: F.coalesce(F.try_element_at("m", i - 1), F.lit(".."))), "").alias("letters"))
-    points = S.biallelic(variants).select("vid", "chrom", "pos", (F.col("pos") + 1).alias("end")).join(texts, "vid", "left").drop("vid").fillna(".." * max(n, 1), ["letters"])
-    places = bed.select(F.col("chrom").alias("b_chrom"), "start", F.col("end").alias("b_end")).distinct()
-    own = range_join(points, places, ("chrom", "pos", "end"), ("b_chrom", "start", "b_end"), width=256)
-    by = own.groupBy("b_chrom", "start", "b_end").agg(F.collect_list(F.struct("pos", "letters")).alias("s"))
-    rows = by.select("b_chrom", "start", "b_end", F.col("s.pos").alias("pos"), F.array_join("s.letters", "").alias("letters"))
+    points = S.biallelic(variants).select("vid", "chrom", "pos").join(texts, "vid", "left").fillna(".." * max(n, 1), ["letters"])
+    points = points.where("chrom is not null").select("chrom", F.col("pos").cast("long").alias("pos"), "letters", F.explode(bins(F.col("pos"), F.col("pos") + 1, width)).alias("stretch"))
+    places = bed.select(F.col("chrom").alias("b_chrom"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("b_end")).where("b_chrom is not null").distinct()
+    places = places.withColumn("stretch", F.explode(bins(F.col("start"), F.col("b_end"), width)))
+    columns = ["b_chrom", "start", "b_end", "n_snp", "n_unique", "spectrum", "pos", "letters"]
+
+    def meet(key: tuple, sites: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(sites) and len(asked):
+            sites = sites.sort_values("pos", kind="stable")
+            pos, letters = sites["pos"].to_numpy(), sites["letters"].tolist()
+            codes, missing = _haplotypes(pos, letters)
+            begins, ends = np.searchsorted(pos, asked["start"].to_numpy()).tolist(), np.searchsorted(pos, asked["b_end"].to_numpy()).tolist()
+            low, high = key[1] * width, (key[1] + 1) * width
+            for chrom, start, end, i, j in zip(asked["b_chrom"], asked["start"].tolist(), asked["b_end"].tolist(), begins, ends, strict=True):
+                if i >= j:
+                    continue
+                if start < low or end > high:
+                    out.append((chrom, start, end, None, None, None, pos[i:j], "".join(letters[i:j])))
+                elif got := _spectrum(codes, missing, i, j):
+                    out.append((chrom, start, end, *got, None, None))
+        return pd.DataFrame(out, columns=columns).astype({"n_snp": "Int64", "n_unique": "Int64"})
+
+    schema = "b_chrom string, start long, b_end long, n_snp long, n_unique long, spectrum string, pos array<long>, letters string"
+    met = dealt(points, "chrom", "stretch").groupBy("chrom", "stretch").cogroup(dealt(places, "b_chrom", "stretch").groupBy("b_chrom", "stretch")).applyInPandas(meet, schema)
+    piece = F.when(F.col("letters").isNotNull(), F.struct("pos", "letters"))
+    by = met.groupBy("b_chrom", "start", "b_end").agg(*[F.max(c).alias(c) for c in ("n_snp", "n_unique", "spectrum")], F.array_sort(F.collect_list(piece)).alias("s"))
+    rows = by.select("b_chrom", "start", "b_end", "n_snp", "n_unique", "spectrum", F.flatten("s.pos").alias("pos"), F.array_join("s.letters", "").alias("letters"))
 
     def spectra(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for chrom, start, end, pos, letters in part.itertuples(index=False):
-                rank = np.unique(np.asarray(pos), return_inverse=True)[1]
-                a = np.frombuffer(letters.encode("utf-32-le"), np.uint32).reshape(len(rank), -1)
-                a = a[:, (a != ord(".")).all(axis=0)]
-                if a.shape[1]:
-                    # In the order of places, and of alleles where sites share one.
-                    a = np.sort((rank[:, None].astype(np.int64) << 32) + a, axis=0)
-                    times, of = np.unique(np.unique(a, axis=1, return_counts=True)[1], return_counts=True)
-                    out.append((chrom, start, end, len(rank), int(of.sum()), ",".join(f"{m}:{f}" for m, f in zip(times, of, strict=True))))
-            yield pd.DataFrame(out, columns=["b_chrom", "start", "b_end", "n_snp", "n_unique", "spectrum"])
+            for *place, n_snp, n_unique, spectrum, pos, letters in part.itertuples(index=False):
+                if spectrum is not None:
+                    out.append((*place, int(n_snp), int(n_unique), spectrum))
+                    continue
+                each = len(letters) // len(pos)
+                codes, missing = _haplotypes(np.asarray(pos), [letters[k : k + each] for k in range(0, len(letters), each)])
+                if got := _spectrum(codes, missing, 0, len(pos)):
+                    out.append((*place, *got))
+            yield pd.DataFrame(out, columns=columns[:6])
 
     found = rows.mapInPandas(spectra, "b_chrom string, start long, b_end long, n_snp long, n_unique long, spectrum string")
     return bed.join(found, (F.col("chrom") == F.col("b_chrom")) & (bed["start"] == found["start"]) & (F.col("end") == F.col("b_end"))).select("iid", "n_snp", "n_unique", "spectrum")

@@ -925,6 +925,31 @@ def test_haplotypes_of_equal_places(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("explode(") == 2  # bins of sites and of places
 
 
+def test_haplotypes_by_stretches(spark):
+    """Places within a stretch, beyond one and over several, of sites at one position, against a loop; sites and places meet by
+    stretches, not in rows of their own."""
+    r = random.Random(6)
+    spots = [(k, r.choice(["x", "y", None]), r.randint(1, 60), ["C"]) for k in range(60)]
+    calls = [(k, s, r.randint(0, 2), r.randint(0, 1), True) for k in range(60) for s in range(5) if r.random() < 0.98]
+    bed = [(i, r.choice(["x", "y", None]), a := r.randint(0, 55), a + r.choice([0, 2, 5, 9, 30])) for i in range(60)]
+    v = spark.createDataFrame(spots, "vid int, chrom string, pos long, alts array<string>")
+    c = spark.createDataFrame(calls, "vid int, sample int, a1 int, a2 int, phased boolean")
+    b = spark.createDataFrame(bed, "iid int, chrom string, start long, end long")
+    want = {}
+    for i, chrom, start, end in bed:
+        inside = {k: p for k, x, p, _ in spots if chrom is not None and x == chrom and start <= p < end}
+        own = [[x for x in calls if x[0] in inside and x[1] == s] for s in range(5)]
+        strings = ["".join(str(a) for _, a in sorted((inside[x[0]], x[2 + h]) for x in o)) for o in own if inside and len(o) == len(inside) for h in (0, 1)]
+        times = [strings.count(x) for x in set(strings)]
+        if times:
+            want[i] = (len(inside), len(times), ",".join(f"{m}:{times.count(m)}" for m in sorted(set(times))))
+    assert len(want) > 20
+    for width in (4, 16, 1000):
+        got = windows.haplotype_counts(v, c, b, width)
+        assert {x.iid: (x.n_snp, x.n_unique, x.spectrum) for x in got.collect()} == want
+    assert "CoGroup" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_models_of_equal_places(spark):
     asked = spark.createDataFrame([(i, f"T{i % 3}", i % 5, i % 5 + 2) for i in range(60)], "iid int, seq_id string, first int, last int")
     models = spark.createDataFrame([(m, f"T{m % 3}" + "_1ABC" * (m % 2), m % 7, m % 7 + 4) for m in range(30)], "model int, seq_id string, target_beg int, target_end int")
